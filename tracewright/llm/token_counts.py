@@ -1,9 +1,11 @@
 """Token counts of whole texts without materialising ids.
 
-Documents become per-document pre-token frequencies (one row for each block of documents and distinct pre-token, with
-the documents' positions and frequencies as arrays), which are dealt out by pre-token. Where all rows of a pre-token
-meet, its pieces are counted once and joined to its rows; dealt out again by block, pieces times frequencies are
-summed for each document. A hot pre-token has one row a block, so no key outgrows a task, and a block is bounded in bytes.
+A task turns each block of documents (bounded in bytes) into per-document pre-token frequencies: for each distinct
+pre-token of the block, the documents that have it and how often. These are dealt out by pre-token, packed as one row
+for each block and slot of the pre-tokens' hash, since a row for each pre-token costs more in row headers than in
+data. Where all rows of a slot meet, each distinct pre-token's pieces are counted once and joined to the frequencies;
+dealt out again by block, pieces times frequencies are summed for each document. A hot pre-token is one entry for each
+block, so no key outgrows a task.
 """
 
 from __future__ import annotations
@@ -17,90 +19,104 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import common, tokens
 
-_SCHEMA = "block long, slot int, pre_token string, at array<int>, freq array<int>, ids array<long>, n_bytes array<long>"
-_ARROW = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("pre_token", pa.string()), ("at", pa.list_(pa.int32())), ("freq", pa.list_(pa.int32())), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
+_SCHEMA = "block long, slot int, keys binary, key_bytes binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>"
 
 
-def _slot(key: str) -> int:
-    return xxhash.xxh32_intdigest(key.encode()) & 0x7FFFFFFF
+def _zip(values: np.ndarray | bytes) -> bytes:
+    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
-def _postings(table: pa.Table, block: int, pattern: str, path: str) -> pa.RecordBatch:
-    """Rows of one block: a first one with its documents, then one for each distinct pre-token."""
+def _unzip(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
+
+
+def _frequencies(table: pa.Table, block: int, slots: int, pattern: str, path: str):
+    """A first row with the block's documents, then one for each slot with its pre-tokens' frequencies."""
     texts = [x or "" for x in table.column("text").to_pylist()]
-    of, codes, lengths = {}, [], []
+    of: dict[str, int] = {}
+    codes, lengths = [], []
     for text in texts:
         own = tokens.pre_tokens(text, pattern, path)
         lengths.append(len(own))
         codes += [of.setdefault(x, len(of)) for x in own]
+    ids = [x for x in table.column("doc_id").to_pylist()]
+    none = _zip(b"")
+    yield {"block": block, "slot": block % slots, "keys": none, "key_bytes": none, "n_docs": none, "at": none, "freq": none, "ids": ids, "n_bytes": [len(x.encode()) for x in texts]}
+    if not of:
+        return
+    keys = [x.encode() for x in of]
+    slot = np.array([xxhash.xxh32_intdigest(x) for x in keys], dtype=np.int64) % slots
+    order = np.argsort(slot, kind="stable")
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order] = np.arange(len(order))
     docs = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)
-    pairs, freq = np.unique(np.asarray(codes, dtype=np.int64) * len(texts) + docs, return_counts=True)
-    starts = np.searchsorted(pairs, np.arange(len(of) + 1, dtype=np.int64) * len(texts))
-    offsets = np.concatenate([[0], starts]).astype(np.int32)  # the first row has no frequencies
-    lists = lambda values: pa.ListArray.from_arrays(pa.array(offsets), pa.array(values.astype(np.int32)))
-    rows, n = len(of) + 1, len(texts)
-    only = pa.array(np.concatenate([[0], np.full(rows, n)]).astype(np.int32))
-    bytes_ = np.array([len(x.encode()) for x in texts], dtype=np.int64)
-    ids = table.column("doc_id").cast(pa.int64()).combine_chunks()
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(np.full(rows, block), pa.int64()),
-            pa.array([_slot(f"block {block}"), *map(_slot, of)], pa.int32()),
-            pa.array([None, *of], pa.string()),
-            lists(pairs % max(n, 1)),
-            lists(freq),
-            pa.ListArray.from_arrays(only, ids if isinstance(ids, pa.Array) else ids.chunk(0)),
-            pa.ListArray.from_arrays(only, pa.array(bytes_)),
-        ],
-        schema=_ARROW,
-    )
-
-
-def pre_token_frequencies(docs: DataFrame, path: str, pattern: str, block_bytes: int) -> DataFrame:
-    """Per-document pre-token frequencies, by block. Rows of a block without pre-tokens are its first row only."""
+    pairs, freq = np.unique(rank[np.asarray(codes, dtype=np.int64)] * len(texts) + docs, return_counts=True)
+    key_of, at = np.divmod(pairs, len(texts))
+    cuts = np.searchsorted(slot[order], np.arange(slots + 1))
+    pair_cuts = np.searchsorted(key_of, cuts)
+    per_key = np.bincount(key_of, minlength=len(order)).astype("<u4")
+    for s in np.flatnonzero(np.diff(cuts)).tolist():
+        own = [keys[i] for i in order[cuts[s] : cuts[s + 1]].tolist()]
+        p = slice(pair_cuts[s], pair_cuts[s + 1])
+        yield {
+            "block": block, "slot": s, "keys": _zip(b"".join(own)), "key_bytes": _zip(np.array([len(x) for x in own], "<u4")),
+            "n_docs": _zip(per_key[cuts[s] : cuts[s + 1]]), "at": _zip(at[p].astype("<u4")), "freq": _zip(freq[p].astype("<u4")), "ids": None, "n_bytes": None,
+        }
+
+
+def pre_token_frequencies(docs: DataFrame, path: str, pattern: str, block_bytes: int, slots: int) -> DataFrame:
+    """Per-document pre-token frequencies, packed by block and slot."""
+    arrow = pa.schema([("block", pa.int64()), ("slot", pa.int32()), *((c, pa.binary()) for c in ("keys", "key_bytes", "n_docs", "at", "freq")), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
 
     def run(batches):
         part = TaskContext.get().partitionId()
         for i, table in enumerate(common.text_blocks(batches, block_bytes)):
-            yield _postings(table, (part << 32) + i, pattern, path)
+            rows = list(_frequencies(table, (part << 32) + i, slots, pattern, path))
+            for k in range(0, len(rows), 256):
+                yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=arrow)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
 
 def _count(path: str):
-    """Adds the pieces of each pre-token; all rows of a pre-token are in one partition, so each is counted once."""
+    """Puts the pieces of each pre-token in its key's place; all rows of a slot are in one partition, so each is counted once."""
 
     def run(batches):
         known: dict[str, int] = {}
         for batch in batches:
-            keys = batch.column("pre_token").to_pylist()
-            new = list({k for k in keys if k is not None}.difference(known))
-            for key, e in zip(new, tokens.tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-                known[key] = len(e.ids)
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array([known.get(k) for k in keys], pa.int32()), *(batch.column(c) for c in ("at", "freq", "ids", "n_bytes"))], names=["block", "pieces", "at", "freq", "ids", "n_bytes"])
+            pieces = []
+            for keys, sizes in zip(batch.column("keys").to_pylist(), batch.column("key_bytes").to_pylist(), strict=True):
+                raw, ends = _unzip(keys), np.cumsum(np.frombuffer(_unzip(sizes), "<u4")).tolist()
+                own = [raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
+                new = list(set(own).difference(known))
+                for key, e in zip(new, tokens.tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
+                    known[key] = len(e.ids)
+                pieces.append(_zip(np.array([known[k] for k in own], "<u4")))
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(pieces, pa.binary()), *(batch.column(c) for c in ("n_docs", "at", "freq", "ids", "n_bytes"))], names=["block", "pieces", "n_docs", "at", "freq", "ids", "n_bytes"])
 
     return run
 
 
 def _sum(table: pa.Table) -> pa.Table:
     """The documents of one block with their tokens summed."""
-    at = table.column("at").combine_chunks()
-    first = table.filter(pa.compute.is_null(table.column("pieces")))
-    ids, n_bytes = first.column("ids").combine_chunks().flatten(), first.column("n_bytes").combine_chunks().flatten()
-    n = pa.compute.list_value_length(at).fill_null(0).to_numpy(zero_copy_only=False)
-    pieces = np.repeat(table.column("pieces").combine_chunks().fill_null(0).to_numpy(), n)
-    total = np.bincount(at.flatten().to_numpy(), weights=pieces * table.column("freq").combine_chunks().flatten().to_numpy().astype(np.float64), minlength=len(ids))
-    return pa.table({"doc_id": ids, "n_bytes": n_bytes, "n_tokens": pa.array(total.astype(np.int64))})
+    rows = table.to_pylist()
+    first = next(r for r in rows if r["ids"] is not None)
+    total = np.zeros(len(first["ids"]), dtype=np.int64)
+    for r in rows:
+        pieces, n_docs, at, freq = (np.frombuffer(_unzip(r[c]), "<u4").astype(np.int64) for c in ("pieces", "n_docs", "at", "freq"))
+        np.add.at(total, at, np.repeat(pieces, n_docs) * freq)
+    return pa.table({"doc_id": pa.array(first["ids"], pa.int64()), "n_bytes": pa.array(first["n_bytes"], pa.int64()), "n_tokens": pa.array(total)})
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, block_bytes: int = 8 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, block_bytes: int = 16 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text; others are ignored).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and repeated or null ids give one row each. An empty
     table gives an empty result. Strings of added tokens inside a text count as the library has them by default.
     """
     parts = common.partitions(docs.sparkSession)
-    found = pre_token_frequencies(docs, path, pattern, block_bytes).repartition(parts, "slot").drop("slot")
-    counted = found.mapInArrow(_count(path), "block long, pieces int, at array<int>, freq array<int>, ids array<long>, n_bytes array<long>")
+    found = pre_token_frequencies(docs, path, pattern, block_bytes, parts).repartition(parts, "slot")
+    counted = found.mapInArrow(_count(path), "block long, pieces binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>")
     summed = counted.groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)

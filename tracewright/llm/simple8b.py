@@ -32,8 +32,7 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     choice = np.full(n, ESCAPE, dtype=np.int64)
     for s in range(len(SELECTORS) - 1, -1, -1):  # the last that fits is the one with most ids
         count, bits = SELECTORS[s]
-        wide = np.flatnonzero(ids >> np.uint64(bits))
-        stop = np.append(wide, n)[np.searchsorted(wide, at)]
+        stop = np.minimum.accumulate(np.where(ids >> np.uint64(bits), at, n)[::-1])[::-1]  # the next id that is too wide
         choice[np.minimum(stop, ends) >= np.minimum(at + count, ends)] = s
     # Walk all blocks at once, a word at a time.
     here, last = np.arange(blocks) * block, np.minimum((np.arange(blocks) + 1) * block, n)

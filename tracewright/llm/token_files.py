@@ -43,7 +43,7 @@ def _get(uri: str) -> bytes:
         return f.read()
 
 
-def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int = 2, shard_bytes: int = 16 << 20, folder: str | None = None) -> DataFrame:
+def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int = 2, shard_ids: int = 1 << 20, folder: str | None = None) -> DataFrame:
     """Writes the shard files; returns their manifest, already written itself.
 
     A null text is the end id alone. Repeated ids keep all their rows; equal ids are ordered by text. A null id comes
@@ -53,15 +53,25 @@ def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int = 2, shar
     folder = folder or common.new_path(spark, "tokens")
 
     def run(batches):
-        part, attempt, encoder = TaskContext.get().partitionId(), uuid.uuid4().hex, tokens.Encoder(path, pattern)
-        end = np.array([end_id], "<u4").tobytes()
-        for seq, table in enumerate(common.text_blocks(batches, shard_bytes)):
-            ids = [x + end for x in encoder.encode([t or "" for t in table.column("text").to_pylist()])]
-            counts = np.array([len(x) // 4 for x in ids])
-            doc_ids = table.column("doc_id").combine_chunks().to_numpy(zero_copy_only=False)
-            data = simple8b.pack(doc_ids, counts, np.frombuffer(b"".join(ids), "<u4"))
+        part, attempt, encoder = TaskContext.get().partitionId(), uuid.uuid4().hex, tokens.encoder(path, pattern)
+        end, seq, doc_ids, held, size = np.array([end_id], "<u4").tobytes(), 0, [], [], 0
+
+        def shard():
+            counts = np.array([len(x) // 4 for x in held])
+            data = simple8b.pack(np.array(doc_ids), counts, np.frombuffer(b"".join(held), "<u4"))
             uri = _put(folder, f"{part:06d}-{seq:06d}-{attempt}.s8b", data)
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [uri], "n_docs": [len(ids)], "n_ids": [int(counts.sum())], "n_bytes": [len(data)]})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [uri], "n_docs": [len(held)], "n_ids": [int(counts.sum())], "n_bytes": [len(data)]})
+
+        for table in common.text_blocks(batches, 256 << 10):
+            for doc_id, ids in zip(table.column("doc_id").to_pylist(), encoder.encode(table.column("text").to_pylist()), strict=True):
+                doc_ids.append(doc_id)
+                held.append(ids + end)
+                size += len(ids) // 4 + 1
+            if size >= shard_ids:
+                yield shard()
+                seq, doc_ids, held, size = seq + 1, [], [], 0
+        if held:
+            yield shard()
 
     ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")

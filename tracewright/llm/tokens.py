@@ -9,10 +9,9 @@ by the tokeniser's own pattern.
 from __future__ import annotations
 
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
 #: Two neighbouring white-space characters (Python's \s holds every Unicode one).
 _RUNS = re.compile(r"\s\s")
 
@@ -61,22 +60,44 @@ def pre_tokens(text: str, pattern: str, path: str) -> list[str]:
 
 
 class Encoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes; every distinct pre-token is encoded once while it is remembered."""
+    """Ids of texts as little-endian unsigned 32-bit bytes.
+
+    Two memories, each cleared when full: groups as pre_tokens() cuts them, so that most of a text is one look-up a word,
+    and the tokeniser's own pre-tokens, so that the library merges each of them once.
+    """
 
-    def __init__(self, path: str, pattern: str, most: int = 1_000_000):
-        self.path, self.pattern, self.most, self.known = path, pattern, most, {}
+    def __init__(self, path: str, pattern: str, most_groups: int = 250_000, most: int = 900_000):
+        self.path, self.pattern, self.most_groups, self.most = path, pattern, most_groups, most
+        self.groups: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
-    def learn(self, new: list[str]) -> None:
+    def _cut(self, group: str) -> list[str]:
+        cut = specials(self.path)
+        return [group] if cut and cut.search(group) else _pattern(self.pattern).findall(group)
+
+    def learn(self, groups: set[str]) -> None:
+        own = {g: self._cut(g) for g in groups}
         if len(self.known) > self.most:
             self.known.clear()
+        new = list({x for cut in own.values() for x in cut}.difference(self.known))
         for key, e in zip(new, tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[key] = np.asarray(e.ids, dtype="<u4").tobytes()
+            self.known[key] = array("I", e.ids).tobytes()
+        get = self.known.__getitem__
+        for g, cut in own.items():
+            self.groups[g] = b"".join(map(get, cut))
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Meant for a few hundred thousand characters at a time: their groups are held together."""
         cuts = [pre_tokens(x, self.pattern, self.path) for x in texts]
-        if new := set().union(*cuts).difference(self.known):
-            self.learn(list(new))
-            if missing := set().union(*cuts).difference(self.known):  # forgotten just now
-                self.learn(list(missing))
-        get = self.known.__getitem__
+        if len(self.groups) > self.most_groups:
+            self.groups.clear()
+        if new := set().union(*cuts).difference(self.groups):
+            self.learn(new)
+        get = self.groups.__getitem__
         return [b"".join(map(get, x)) for x in cuts]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """A worker's encoder stays for its next tasks."""
+    return Encoder(path, pattern)

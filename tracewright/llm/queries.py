@@ -4,12 +4,23 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tracewright.llm import line_rules, winnowing
 from tracewright.llm.common import read
+from tracewright.llm.licenses import scan_licenses
+from tracewright.llm.mixing import label_domains, mix
 from tracewright.llm.token_counts import count_tokens
 from tracewright.llm.token_files import read_tokens, write_tokens
 
 BPE = "byte_bpe_50k.json"
+#: Tokens that each domain keeps, relative to what it has.
+MIX_WEIGHTS = {"quality1_toxic0": 1.0, "quality0_toxic0": 0.5, "quality1_toxic1": 0.25, "quality0_toxic1": 0.1}
+
+
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = winnowing.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,9 +28,22 @@ def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, str(public_tokenizers.path(BPE)), public_tokenizers.PATTERN, end_id=2))
 
 
+def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), str(public_tokenizers.path(BPE)), public_tokenizers.PATTERN)
 
 
-QUERIES = {"op3_simple8b": op3_simple8b, "op7_token_counts": op7_token_counts}
-SQL: dict[str, str] = {}
+def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_rules.clean_lines(read(spark, sf_dir, "documents")).drop("kept_text", "n_failed_lines")
+
+
+def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mix(read(spark, sf_dir, "documents"), label_domains(read(spark, sf_dir, "labels")), MIX_WEIGHTS)
+    return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
+
+
+QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
+SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op9_line_rules": line_rules.SQL}

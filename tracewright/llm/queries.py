@@ -12,6 +12,7 @@ from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.mixing import label_domains, mix
 from tracewright.llm.token_counts import count_tokens
 from tracewright.llm.token_files import read_tokens, write_tokens
+from tracewright.llm.toxicity import score_toxicity
 
 BPE = "byte_bpe_50k.json"
 #: Tokens that each domain keeps, relative to what it has.
@@ -28,6 +29,10 @@ def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, str(public_tokenizers.path(BPE)), public_tokenizers.PATTERN, end_id=2))
 
 
+def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("spans")
+
+
 def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -45,5 +50,5 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
 
 
-QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
+QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
 SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op9_line_rules": line_rules.SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import line_rules, winnowing
+from tracewright.llm import line_rules, warc_zip, winnowing
 from tracewright.llm.common import read
 from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.mixing import label_domains, mix
@@ -33,6 +33,10 @@ def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("spans")
 
 
+def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_zip.read_records(warc_zip.write_archives(read(spark, sf_dir, "pages")))
+
+
 def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
@@ -50,5 +54,5 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
 
 
-QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
-SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op9_line_rules": line_rules.SQL}
+QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op5_zip_warc": op5_zip_warc, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
+SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL}

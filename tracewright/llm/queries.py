@@ -10,6 +10,7 @@ from tracewright.llm import line_rules, warc_zip, winnowing
 from tracewright.llm.common import read
 from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.mixing import label_domains, mix
+from tracewright.llm.near_dedup import near_duplicates
 from tracewright.llm.token_counts import count_tokens
 from tracewright.llm.token_files import read_tokens, write_tokens
 from tracewright.llm.toxicity import score_toxicity
@@ -45,6 +46,10 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), str(public_tokenizers.path(BPE)), public_tokenizers.PATTERN)
 
 
+def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules.clean_lines(read(spark, sf_dir, "documents")).drop("kept_text", "n_failed_lines")
 
@@ -54,5 +59,5 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
 
 
-QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op5_zip_warc": op5_zip_warc, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
+QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op5_zip_warc": op5_zip_warc, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op8_odd_sketch_dedup": op8_odd_sketch_dedup, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
 SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL}

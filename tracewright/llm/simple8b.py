@@ -19,6 +19,8 @@ SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8
 ESCAPE = 15
 _COUNT = np.array([n for n, _ in SELECTORS] + [0] * (ESCAPE - len(SELECTORS)) + [1])
 _BITS = np.array([b for _, b in SELECTORS] + [0] * (ESCAPE - len(SELECTORS)) + [60])
+#: Bits that an id needs, for all ids below 2^17 (0 needs none).
+_LENGTH = np.array([i.bit_length() for i in range(1 << 17)], dtype=np.uint8)
 
 
 def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
@@ -27,28 +29,39 @@ def encode(ids: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]
     if len(ids) and int(ids.max()) >> 60:
         raise ValueError("an id needs more than 60 bits")
     n, blocks = len(ids), -(-len(ids) // block)
-    at = np.arange(n)
-    ends = np.minimum((at // block + 1) * block, n)
-    choice = np.full(n, ESCAPE, dtype=np.int64)
+    # Bits of each id, a row a block; what lies beyond an end needs no bits. Windows' maxima tell what fits.
+    widest = SELECTORS[0][0]
+    bits = np.zeros((blocks, block + widest), dtype=np.uint8)
+    flat = np.zeros(blocks * block, dtype=np.uint8)
+    flat[:n] = _LENGTH[np.minimum(ids, len(_LENGTH) - 1).astype(np.int64)]
+    large = np.flatnonzero(ids >= len(_LENGTH))
+    flat[large] = np.frexp(ids[large].astype(np.float64))[1]
+    bits[:, :block] = flat.reshape(blocks, block)
+    power = {1: bits}
+    while 2 * max(power) <= widest:
+        k = max(power)
+        power[2 * k] = np.maximum(power[k][:, : power[k].shape[1] - k], power[k][:, k:])
+    choice = np.full((blocks, block), ESCAPE, dtype=np.uint8)
     for s in range(len(SELECTORS) - 1, -1, -1):  # the last that fits is the one with most ids
-        count, bits = SELECTORS[s]
-        stop = np.minimum.accumulate(np.where(ids >> np.uint64(bits), at, n)[::-1])[::-1]  # the next id that is too wide
-        choice[np.minimum(stop, ends) >= np.minimum(at + count, ends)] = s
+        count, most = SELECTORS[s]
+        k = max(p for p in power if p <= count)
+        choice[np.maximum(power[k][:, :block], power[k][:, count - k : count - k + block]) <= most] = s
+    choice = choice.ravel()
     # Walk all blocks at once, a word at a time.
     here, last = np.arange(blocks) * block, np.minimum((np.arange(blocks) + 1) * block, n)
     begins, live = [], np.arange(blocks)
     while len(live):
         begins.append(here[live])
-        here[live] += _COUNT[choice[here[live]]]
+        here[live] += _COUNT[choice[here[live]].astype(np.int64)]
         live = live[here[live] < last[live]]
     begin = np.sort(np.concatenate(begins)) if begins else np.zeros(0, dtype=np.int64)
-    selector = choice[begin] if len(begin) else begin
+    selector = choice[begin].astype(np.int64) if len(begin) else begin
     words = selector.astype(np.uint64) << np.uint64(60)
     for s in np.unique(selector):
         own = np.flatnonzero(selector == s)
         for k in range(_COUNT[s]):
             take = begin[own] + k
-            inside = take < ends[begin[own]]
+            inside = take < np.minimum((begin[own] // block + 1) * block, n)
             words[own[inside]] |= ids[take[inside]] << np.uint64(k * _BITS[s])
     return words, np.searchsorted(begin, np.append(np.arange(blocks) * block, n)).astype(np.uint64)
 

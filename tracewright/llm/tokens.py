@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 #: Two neighbouring white-space characters (Python's \s holds every Unicode one).
 _RUNS = re.compile(r"\s\s")
@@ -62,38 +63,43 @@ def pre_tokens(text: str, pattern: str, path: str) -> list[str]:
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    Two memories, each cleared when full: groups as pre_tokens() cuts them, so that most of a text is one look-up a word,
-    and the tokeniser's own pre-tokens, so that the library merges each of them once.
+    One memory, cleared when full, holds the ids of groups as pre_tokens() cuts them and of the tokeniser's own
+    pre-tokens, so that most of a text is one look-up a word and the library merges each pre-token once.
     """
 
-    def __init__(self, path: str, pattern: str, most_groups: int = 250_000, most: int = 900_000):
-        self.path, self.pattern, self.most_groups, self.most = path, pattern, most_groups, most
-        self.groups: dict[str, bytes] = {}
+    def __init__(self, path: str, pattern: str, most: int = 900_000):
+        self.path, self.pattern, self.most = path, pattern, most
         self.known: dict[str, bytes] = {}
 
     def _cut(self, group: str) -> list[str]:
+        """A group's pre-tokens: letters after at most one space are one, and a comma or full stop after them is another."""
+        if group[-1] in ",." and group[1:-1].isalpha() and (group[0] == " " or group[0].isalpha()):
+            return [group[:-1], group[-1]]
         cut = specials(self.path)
         return [group] if cut and cut.search(group) else _pattern(self.pattern).findall(group)
 
     def learn(self, groups: set[str]) -> None:
-        own = {g: self._cut(g) for g in groups}
-        if len(self.known) > self.most:
-            self.known.clear()
-        new = list({x for cut in own.values() for x in cut}.difference(self.known))
+        known = self.known
+        if len(known) > self.most:
+            known.clear()
+        whole = [g for g in groups if g[1:].isalpha() and (g[0] == " " or g[0].isalpha()) or len(g) == 1]
+        parts = {g: self._cut(g) for g in groups.difference(whole)}
+        new = [*whole, *{x for cut in parts.values() for x in cut}.difference(known, whole)]
         for key, e in zip(new, tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.known[key] = array("I", e.ids).tobytes()
-        get = self.known.__getitem__
-        for g, cut in own.items():
-            self.groups[g] = b"".join(map(get, cut))
+            known[key] = array("I", e.ids).tobytes()
+        get = known.__getitem__
+        for g, cut in parts.items():
+            known[g] = b"".join(map(get, cut))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Meant for a few hundred thousand characters at a time: their groups are held together."""
         cuts = [pre_tokens(x, self.pattern, self.path) for x in texts]
-        if len(self.groups) > self.most_groups:
-            self.groups.clear()
-        if new := set().union(*cuts).difference(self.groups):
+        needed = set(chain.from_iterable(cuts))
+        if new := needed.difference(self.known):
             self.learn(new)
-        get = self.groups.__getitem__
+            if missing := needed.difference(self.known):  # forgotten just now
+                self.learn(missing)
+        get = self.known.__getitem__
         return [b"".join(map(get, x)) for x in cuts]
 
 

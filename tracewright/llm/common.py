@@ -85,3 +85,13 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Ta
             held.append(batch.slice(start))
     if held:
         yield pa.Table.from_batches(held)
+
+
+def packed(values) -> bytes:
+    """An array's bytes (or bytes) compressed, with their length."""
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> bytes:
+    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)

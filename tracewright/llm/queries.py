@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import line_rules, warc_zip, winnowing
+from tracewright.llm import line_rules, ppm, warc_zip, winnowing
 from tracewright.llm.common import read
 from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.mixing import label_domains, mix
@@ -20,6 +20,10 @@ BPE = "byte_bpe_50k.json"
 MIX_WEIGHTS = {"quality1_toxic0": 1.0, "quality0_toxic0": 0.5, "quality1_toxic1": 0.25, "quality0_toxic1": 0.1}
 
 
+def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(read(spark, sf_dir, "documents"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = winnowing.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
@@ -59,5 +63,5 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
 
 
-QUERIES = {"op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op5_zip_warc": op5_zip_warc, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op8_odd_sketch_dedup": op8_odd_sketch_dedup, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
+QUERIES = {"op1_ppm_scoring": op1_ppm_scoring, "op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op5_zip_warc": op5_zip_warc, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op8_odd_sketch_dedup": op8_odd_sketch_dedup, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
 SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL}

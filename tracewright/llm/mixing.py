@@ -27,13 +27,23 @@ def bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def features(text: Column, words: Column, buckets: int) -> Column:
+    """A text's distinct buckets: of its words, and of a few of its looks (symbols, capitals, repeats), each in tenths."""
+    text = F.coalesce(text, F.lit(""))
+    n = F.greatest(F.length(text), F.lit(1))
+    share = lambda chars: (n - F.length(F.translate(text, chars, "")) - F.when(F.length(text) == 0, 1).otherwise(0)) / n
+    looks = {"symbols": share("#*$%&|<>@^~={}[]\\/"), "stops": 4 * share(".,;:!?"), "capitals": share(common.UPPER), "digits": share("0123456789"), "distinct": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))}
+    marks = [F.concat(F.lit(f" {name} "), F.floor(10 * x).cast("string")) for name, x in looks.items()]
+    return F.array_distinct(F.concat(F.transform(words, lambda w: bucket(w, buckets)), F.array(*(bucket(m, buckets) for m in marks))))
+
+
 def train_domains(docs: DataFrame, labelled: DataFrame, buckets: int = 1 << 15) -> tuple[list[str], list[float], list[list[float]]]:
     """Domains, their log priors, and each domain's log ratio to the whole corpus by bucket, from all labelled documents.
 
     labelled: doc_id, domain, one row an id. Words are counted in Spark; what is collected has at most buckets rows for each domain.
     """
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labelled.select("doc_id", "domain"), "doc_id")
-    words = small.select("domain", F.explode(F.array_distinct(F.transform(common.words(F.col("text")), lambda w: bucket(w, buckets)))).alias("b"))
+    words = small.select("domain", F.explode(common.let(common.words(F.col("text")), lambda ws: features(F.col("text"), ws, buckets))).alias("b"))
     counts = words.groupBy("domain", "b").count().collect()
     priors = {r["domain"]: r["count"] for r in small.groupBy("domain").count().collect()}
     domains = sorted(priors)
@@ -65,7 +75,7 @@ def posteriors(docs: DataFrame, model, temperature: float = 1.0) -> DataFrame:
             add = lambda k: lambda acc, b: acc + F.get(flat[k], b)
             return F.array(*(F.lit(prior[k]) + temperature * F.aggregate(bs, F.lit(0.0), add(k)) for k in range(len(domains))))
 
-        return F.struct(F.size(ws).cast("long").alias("n_tokens"), common.let(F.array_distinct(F.transform(ws, lambda w: bucket(w, buckets))), of).alias("logs"))
+        return F.struct(F.size(ws).cast("long").alias("n_tokens"), common.let(features(F.col("text"), ws, buckets), of).alias("logs"))
 
     def normal(logs: Column) -> Column:
         top = F.array_max(logs)

@@ -174,7 +174,7 @@ def _asked(table: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarr
     return strings, words, {GRAM: np.unique(np.concatenate(strings)), WORD: np.unique(np.concatenate(words))}
 
 
-def score(docs: DataFrame, order: int = 4, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text; others are ignored).
 
     Documents whose crc32(doc_id as text) mod folds is `held` are not learnt from. A null text is empty: one token, its

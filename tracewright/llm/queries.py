@@ -35,7 +35,7 @@ def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("spans")
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("spans", "text_hash")
 
 
 def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

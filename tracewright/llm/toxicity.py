@@ -301,16 +301,17 @@ def score_texts(docs: DataFrame, chain: Chain, keep: str | None = None, likely:
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
-    """doc_id, held_out, score, predicted, spans of each row of docs (doc_id, text; others are ignored).
+    """doc_id, text_hash, held_out, score, predicted, spans of each row of docs (doc_id, text; others are ignored).
 
     Only rows whose crc32(doc_id as text) mod folds is not `held` are learnt from. Null and empty texts have no tokens
     and get the score of a text without any sign. Repeated rows get equal scores; labels of one id that differ count as
     toxic. Without labelled rows of both marks all scores are 0.
     """
+    docs = docs.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     out_of = common.crc_mod(F.col("doc_id"), folds) == held
     chain = train(docs.where(~out_of).select("doc_id", "text"), labels)
     if chain is None:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0.0).alias("score"), F.array().cast("array<struct<start:int,end:int,p:double>>").alias("spans"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.lit(0.0).alias("score"), F.array().cast("array<struct<start:int,end:int,p:double>>").alias("spans"))
     else:
-        rows = score_texts(docs, chain)
-    return rows.select("doc_id", (common.crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+        rows = score_texts(docs, chain, keep="text_hash")
+    return rows.select("doc_id", "text_hash", (common.crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")

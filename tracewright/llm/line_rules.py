@@ -14,32 +14,21 @@ from pyspark.sql import functions as F
 from tracewright.llm import common
 
 # Fixed values.
-SYMBOLS = "#*$%&|<>"
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-SENTENCE_END = "[.!?:;,\\)\"'\\]]$"
-NAVIGATION = "(?i)^(home|menu|log in|login|sign in|sign up|subscribe|share|next|previous|back to top|contact us|about us|search|skip to content|read more|click here|site map|sitemap)([^a-z]|$)"
+SYMBOLS = "[#*$%&|<>]"
+MARKS = "[!-/:-@\\[-`{-~]"
+HAS_WORD = "[^\\x20\\x09-\\x0D]"
+SENTENCE_END = "[.!?:;,\\)\"'\\]] *$"
+NAVIGATION = "(?i)^ *(home|menu|log in|login|sign in|sign up|subscribe|share|next|previous|back to top|contact us|about us|search|skip to content|read more|click here|site map|sitemap)([^a-z]|$)"
 SEPARATORS = "([|>/*] .*){2}"
 BOILERPLATE = "(?i)(all rights reserved|we use cookies|cookie policy|privacy policy|terms of use|terms of service|javascript is disabled|enable javascript|lorem ipsum)"
 
 
-def without(text: Column, chars: str) -> Column:
-    return F.translate(text, chars, "")
-
-
-def bare(text: Column) -> Column:
-    """The text without ASCII white space."""
-    return without(text, " \t\n\x0b\x0c\r")
-
-
-def line_fails(line: Column, long_run: int = 30) -> Column:
-    """Whether a line that has a word fails one of the rules."""
-    solid = bare(line)
-    n, marks, symbols = F.length(solid), F.length(solid) - F.length(without(solid, MARKS)), F.length(solid) - F.length(without(solid, SYMBOLS))
-    words = F.size(F.split(F.trim(line), " +"))
-    noisy = (5 * marks > n) | (10 * symbols > n) | ((marks == 0) & (words >= long_run))
-    trimmed = F.trim(line)
-    menu = (words <= 6) & ~trimmed.rlike(SENTENCE_END) & (trimmed.rlike(NAVIGATION) | trimmed.rlike(SEPARATORS))
-    return noisy | menu | ((words <= 40) & trimmed.rlike(BOILERPLATE))
+def line_fails(line: Column) -> Column:
+    """Whether a line that has a word fails one of the rules. Lengths are in characters."""
+    n = F.length(line)
+    noisy = common.let(F.regexp_count(line, F.lit(MARKS)), lambda marks: (6 * marks > n) | ((marks == 0) & (n >= 200))) | (12 * F.regexp_count(line, F.lit(SYMBOLS)) > n)
+    menu = (n <= 60) & ~line.rlike(SENTENCE_END) & (line.rlike(NAVIGATION) | line.rlike(SEPARATORS))
+    return noisy | menu | ((n <= 300) & line.rlike(BOILERPLATE))
 
 
 def repeated_words(words: Column) -> Column:
@@ -64,27 +53,28 @@ def clean_lines(docs: DataFrame, most_lost: int = 50) -> DataFrame:
     alone. Other columns of docs are ignored.
     """
     text = F.coalesce("text", F.lit(""))
+    total = lambda lines: F.aggregate(lines, F.lit(0), lambda acc, x: acc + F.length(x))
 
     def measured(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), repeated_words(words).cast("long").alias("n_repeat_words"))
+        return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), repeated_words(words).cast("long").alias("n_repeat_words"))
 
     def by_line(lines: Column) -> Column:
         kept = F.filter(lines, lambda x: ~line_fails(x))
-        return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.size(lines).cast("long").alias("n_lines"), kept.alias("kept_lines"))
+        return F.struct((F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.size(lines).cast("long").alias("n_lines"), total(lines).alias("n_chars"), kept.alias("kept_lines"))
 
-    worded = F.filter(F.split(text, "\n"), lambda x: bare(x) != "")
+    worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         common.let(common.space_words(F.col("text")), measured).alias("w"),
         common.let(worded, by_line).alias("l"),
-        F.length(bare(text)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.regexp_count(text, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
+    )
+    rows = rows.withColumn("base_failed", (F.col("w.n_words") < 50) | (100 * F.col("w.n_repeat_words") > 50 * F.col("w.n_words")))
+    lost = F.col("l.n_chars") - total(F.col("l.kept_lines"))
+    kept = ~F.col("base_failed") & (100 * lost <= most_lost * F.col("l.n_chars"))
+    return rows.select(
+        "doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", (F.col("l.n_lines") - F.size("l.kept_lines")).alias("n_failed_lines"), F.array_join("l.kept_lines", "\n").alias("kept_text"), "base_failed", kept.alias("kept")
     )
-    kept_text = F.array_join("l.kept_lines", "\n")
-    rows = rows.select("doc_id", "w.n_words", "word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", (F.col("l.n_lines") - F.size("l.kept_lines")).alias("n_failed_lines"), kept_text.alias("kept_text"))
-    rows = rows.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
-    lost = F.col("word_chars") - F.length(bare(F.col("kept_text")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (100 * lost <= most_lost * F.col("word_chars")))
 
 
 SQL = r"""
@@ -94,18 +84,17 @@ w AS (SELECT *, list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda
 win AS (SELECT uid, i, ws[i] || ' ' || ws[i+1] || ' ' || ws[i+2] AS k FROM w, unnest(range(1, len(ws) - 1)) AS r(i)),
 rep AS (SELECT uid, i FROM (SELECT *, count(*) OVER (PARTITION BY uid, k) AS n FROM win) WHERE n > 1),
 cov AS (SELECT uid, count(DISTINCT i + j) AS n FROM rep, range(3) AS r(j) GROUP BY uid),
-li AS (SELECT uid, x, trim(x, ' ') AS t, translate(x, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13), '') AS s FROM w, unnest(ls) AS r(x)),
-lm AS (SELECT *, length(s) AS n, length(s) - length(regexp_replace(s, '[!-/:-@\[-`{-~]', '', 'g')) AS marks,
-              length(s) - length(regexp_replace(s, '[#*$%&|<>]', '', 'g')) AS symbols, len(string_split_regex(t, ' +')) AS k FROM li),
-lf AS (SELECT uid, n, (5 * marks > n OR 10 * symbols > n OR (marks = 0 AND k >= 30))
-         OR (k <= 6 AND NOT regexp_matches(t, '[.!?:;,\)"''\]]$') AND (regexp_matches(t, '{navigation}') OR regexp_matches(t, '{separators}')))
-         OR (k <= 40 AND regexp_matches(t, '{boilerplate}')) AS fails FROM lm),
-lost AS (SELECT uid, sum(n) FILTER (WHERE fails) AS lost FROM lf GROUP BY uid),
+lm AS (SELECT uid, x AS t, length(x) AS n, length(x) - length(regexp_replace(x, '[!-/:-@\[-`{-~]', '', 'g')) AS marks,
+              length(x) - length(regexp_replace(x, '[#*$%&|<>]', '', 'g')) AS symbols FROM w, unnest(ls) AS r(x)),
+lf AS (SELECT uid, n, (6 * marks > n OR 12 * symbols > n OR (marks = 0 AND n >= 200))
+         OR (n <= 60 AND NOT regexp_matches(t, '[.!?:;,\)"''\]] *$') AND (regexp_matches(t, '{navigation}') OR regexp_matches(t, '{separators}')))
+         OR (n <= 300 AND regexp_matches(t, '{boilerplate}')) AS fails FROM lm),
+lost AS (SELECT uid, coalesce(sum(n) FILTER (WHERE fails), 0) AS lost, sum(n) AS chars FROM lf GROUP BY uid),
 b AS (SELECT doc_id, len(ws)::BIGINT AS n_words, length(translate(text, chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13), ''))::BIGINT AS word_chars,
              (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
-             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost
+             (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, coalesce(lost, 0) AS lost, coalesce(chars, 0) AS chars
       FROM w LEFT JOIN cov c USING (uid) LEFT JOIN lost USING (uid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * word_chars AS kept
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND 100 * lost <= 50 * chars AS kept
 FROM b
 """.replace("{navigation}", NAVIGATION).replace("{separators}", SEPARATORS).replace("{boilerplate}", BOILERPLATE)

@@ -2,7 +2,8 @@
 
 1. Every document gets its distinct shingles' MinHash samples, the samples' bands, and an odd sketch: each sample sets
    or clears (parity) one bit of a bitmap, so the bits in which two bitmaps differ tell how many samples differ, which
-   is precise for high similarities. Documents with the same words are one class from here on.
+   is precise for high similarities. A second, larger odd sketch takes the whole set in: with the sets' sizes its
+   differing bits tell the similarity to about a hundredth. Documents with the same words are one class from here on.
 2. Classes that share a band are candidates. In each bucket all members meet a hub, another one in each band; the
    sketches choose each member's best hubs, and only these pairs are confirmed on the full sets.
 3. Members that confirmed links have joined are one component and need no comparing. What is left, members of one bucket
@@ -25,7 +26,9 @@ from tracewright.llm.components import components
 
 #: Words in a shingle; bands and rows (a pair at 0.85 is missed once in 4e7); bits of the odd sketch.
 WORDS, BANDS, ROWS, BITS = 5, 30, 5, 512
-_SCHEMA = "doc_id long, text_hash long, node long, n_shingles long, bands array<long>, sketch array<long>"
+#: Bits of the odd sketch of a whole set, and how far its estimate may fall below the threshold.
+SET_BITS, SET_MARGIN = 2048, 0.05
+_SCHEMA = "doc_id long, text_hash long, node long, n_shingles long, bands array<long>, sketch array<long>, parity array<long>"
 _C = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -40,8 +43,8 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
     return (rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32), rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
-def signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: a hash of its words, its number of distinct shingles, its bands' hashes and its odd sketch. hashes: the words seen so far."""
+def signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+    """For each text: a hash of its words, its number of distinct shingles, its bands' hashes and its two odd sketches. hashes: the words seen so far."""
     cut = [x.encode().lower().split() for x in texts]  # bytes: ASCII letters and ASCII white space only
     for w in set().union(*cut).difference(hashes):
         hashes[w] = xxhash.xxh3_64_intdigest(w)
@@ -64,8 +67,12 @@ def signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray,
         counts = np.array([len(x) for x in own])
         full = np.flatnonzero(counts)
         bands, sketch = np.zeros((len(texts), BANDS), dtype=np.int64), np.zeros((len(texts), BITS // 64), dtype=np.int64)
+        parity = np.zeros((len(texts), SET_BITS // 64), dtype=np.int64)
         if len(full):
-            x = (np.concatenate(own) >> np.uint64(32)).astype(np.uint32)
+            every = np.concatenate(own)
+            bit = np.repeat(np.arange(len(full)), counts[full]) * SET_BITS + (every % np.uint64(SET_BITS)).astype(np.int64)
+            parity[full] = np.packbits((np.bincount(bit, minlength=len(full) * SET_BITS) & 1).astype(np.uint8).reshape(len(full), SET_BITS), axis=1).view(np.int64)
+            x = (every >> np.uint64(32)).astype(np.uint32)
             starts = (np.cumsum(counts) - counts)[full]
             a, b = _permutations()
             least = np.empty((len(full), BANDS * ROWS), dtype=np.uint64)
@@ -79,24 +86,35 @@ def signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray,
             at = _mix(least * _C + np.arange(BANDS * ROWS, dtype=np.uint64)) % np.uint64(BITS)
             odd = np.bincount((np.arange(len(full))[:, None] * BITS + at.astype(np.int64)).ravel(), minlength=len(full) * BITS) & 1
             sketch[full] = np.packbits(odd.astype(np.uint8).reshape(len(full), BITS), axis=1).view(np.int64)
-    return whole, counts, bands, sketch
+    return whole, counts, bands, sketch, parity
 
 
 def sign(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, node (the words' hash), n_shingles, bands, sketch of each row."""
+    """doc_id, text_hash, node (the words' hash), n_shingles, bands, sketch, parity of each row."""
 
     def run(batches):
         hashes: dict[bytes, int] = {}
         for table in common.text_blocks(batches, 1 << 20):
             if len(hashes) > 500_000:
                 hashes.clear()
-            node, n, bands, sketch = signatures(table.column("text").to_pylist(), hashes)
+            node, n, bands, sketch, parity = signatures(table.column("text").to_pylist(), hashes)
             lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64()))
-            yield from pa.table({"doc_id": table.column("doc_id"), "text_hash": table.column("text_hash"), "node": node, "n_shingles": pa.array(n, pa.int64()), "bands": lists(bands), "sketch": lists(sketch)}).to_batches()
+            yield from pa.table({"doc_id": table.column("doc_id"), "text_hash": table.column("text_hash"), "node": node, "n_shingles": pa.array(n, pa.int64()), "bands": lists(bands), "sketch": lists(sketch), "parity": lists(parity)}).to_batches()
 
     return docs.mapInArrow(run, _SCHEMA)
 
 
+def set_estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
+    """Similarity from the whole sets' odd sketches: their differing bits tell the size of the difference.
+
+    1 where the sketch is too small for it (a difference of twice its bits or more): nothing is told apart then.
+    """
+    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SET_BITS // 64)), F.lit(0))
+    size = -SET_BITS / 2.0 * F.log(F.greatest(1.0 - 2.0 * differ / SET_BITS, F.lit(1e-3)))
+    sizes = (n_a + n_b).cast("double")
+    return F.when(0.15 / 1.85 * sizes > 2 * SET_BITS, 1.0).otherwise((sizes - size) / (sizes + size))
+
+
 def estimate(a: Column, b: Column) -> Column:
     """Similarity of two texts from the bits in which their odd sketches differ: 1 + (bits / 4k) ln(1 - 2 d / bits)."""
     differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(BITS // 64)), F.lit(0))
@@ -133,19 +151,21 @@ def _best(pairs: DataFrame, by: list[str], most: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
-def find_links(classes: DataFrame, texts_of, percent: int, least: float, rounds: int = 3) -> DataFrame:
+def find_links(classes: DataFrame, texts_of, percent: int, least: float, rounds: int = 2) -> DataFrame:
     """Confirmed links (a, b) that connect all classes which the bands and the full sets link.
 
-    classes: node, n_shingles, bands, sketch, already written. texts_of(nodes): node and text of these.
+    classes: node, n_shingles, bands, sketch, parity, already written. texts_of(nodes): node and text of these.
     """
     members = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "node").alias("order"), "node")).alias("hub")).where(F.col("n") > 1)
     shared = common.written(members.join(buckets.select("bucket", F.col("hub.node").alias("hub")), "bucket"), "shared-buckets")
     texts = common.written(texts_of(shared.select("node").distinct()), "candidate-texts")
-    about = classes.select("node", "n_shingles", "sketch")
-    side = lambda name: about.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"))
+    about = classes.select("node", "n_shingles", "sketch", "parity")
+    side = lambda name: about.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"), F.col("parity").alias(f"parity_{name}"))
     met = shared.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
-    met = met.where(alike_sizes(F.col("n_a"), F.col("n_b"), percent)).withColumn("estimate", estimate(F.col("sketch_a"), F.col("sketch_b"))).where(F.col("estimate") >= least).select("a", "b", "estimate")
+    met = met.where(alike_sizes(F.col("n_a"), F.col("n_b"), percent)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
+    sets = set_estimate(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))
+    met = met.withColumn("estimate", sets).where(F.col("estimate") >= percent / 100 - SET_MARGIN).select("a", "b", "estimate")
     tested = common.written(confirm(_best(met, ["a"], 1), texts, percent), "tested")
     for turn in range(rounds + 1):
         links = tested.where("linked").select("a", "b")
@@ -159,11 +179,11 @@ def find_links(classes: DataFrame, texts_of, percent: int, least: float, rounds:
         sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
         mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top")).where(F.col("k") > 1).select("bucket", F.col("top.label").alias("top"))
         left = common.written(labelled.join(mixed, "bucket").join(about, "node"), "mixed-buckets")
-        a = left.where(F.col("label") != F.col("top")).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"))
-        b = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"))
+        a = left.where(F.col("label") != F.col("top")).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"))
+        b = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"))
         once = (F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))  # two members outside the top component meet once
-        close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least))
-        close = close.select("a", "b", "label_b", estimate(F.col("sketch_a"), F.col("sketch_b")).alias("estimate")).distinct()
+        close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & (sets >= percent / 100 - SET_MARGIN))
+        close = close.select("a", "b", "label_b", sets.alias("estimate")).distinct()
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         close = close.join(known, ["a", "b"], "left_anti")
         if turn < rounds:
@@ -185,7 +205,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15) ->
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = common.written(sign(docs), "signatures")
-    classes = signed.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "n_shingles", "bands", "sketch")).alias("x"))
+    classes = signed.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "n_shingles", "bands", "sketch", "parity")).alias("x"))
     classes = common.written(classes.select("node", "first", "x.*"), "classes")
 
     def texts_of(nodes: DataFrame) -> DataFrame:

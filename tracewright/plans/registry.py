@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from tracewright.plans import queries as q
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return q.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(q.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(q.SQL)

@@ -8,18 +8,19 @@ by the tokeniser's own pattern.
 
 from __future__ import annotations
 
+import json
 import re
 from array import array
 from functools import lru_cache
-from itertools import chain
+
+import numpy as np
 
 #: Two neighbouring white-space characters (Python's \s holds every Unicode one).
 _RUNS = re.compile(r"\s\s")
 
 
-@lru_cache(maxsize=4)
-def tokenizer(path: str):
-    """One tokeniser for each worker, single-threaded: Spark's tasks are the parallelism."""
+def tokenizer_of(path: str):
+    """A tokeniser, single-threaded: Spark's tasks are the parallelism."""
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -28,6 +29,25 @@ def tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=4)
+def tokenizer(path: str):
+    """One for each worker."""
+    return tokenizer_of(path)
+
+
+@lru_cache(maxsize=4)
+def word_tokenizer(path: str):
+    """The same vocabulary and merges for pre-tokens that stand in lines of one string, or None if the file cuts texts otherwise than bytes by pattern."""
+    from tokenizers import pre_tokenizers
+
+    out = tokenizer_of(path)
+    kind = json.loads(out.to_str())["pre_tokenizer"] or {}
+    if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or out.normalizer is not None:
+        return None
+    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return out
+
+
 @lru_cache(maxsize=4)
 def _pattern(pattern: str):
     import regex
@@ -85,22 +105,31 @@ class Encoder:
         whole = [g for g in groups if g[1:].isalpha() and (g[0] == " " or g[0].isalpha()) or len(g) == 1]
         parts = {g: self._cut(g) for g in groups.difference(whole)}
         new = [*whole, *{x for cut in parts.values() for x in cut}.difference(known, whole)]
-        for key, e in zip(new, tokenizer(self.path).encode_batch_fast(new, add_special_tokens=False), strict=True):
+        cut, words = specials(self.path), word_tokenizer(self.path)
+        alone = [x for x in new if words is None or "\n" in x or not x[1:].isalpha() and cut and cut.search(x)]
+        joined = list(set(new).difference(alone)) if alone else new
+        for key, e in zip(alone, tokenizer(self.path).encode_batch_fast(alone, add_special_tokens=False), strict=True):
             known[key] = array("I", e.ids).tobytes()
+        for i in range(0, len(joined), 2000):
+            own = joined[i : i + 2000]
+            e = words.encode("\n".join(own), add_special_tokens=False)
+            raw, ends = array("I", e.ids).tobytes(), (np.searchsorted(np.array(e.word_ids), np.arange(len(own)), side="right") * 4).tolist()
+            known.update(zip(own, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
         get = known.__getitem__
-        for g, cut in parts.items():
-            known[g] = b"".join(map(get, cut))
+        for g, own in parts.items():
+            known[g] = b"".join(map(get, own))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Meant for a few hundred thousand characters at a time: their groups are held together."""
         cuts = [pre_tokens(x, self.pattern, self.path) for x in texts]
-        needed = set(chain.from_iterable(cuts))
-        if new := needed.difference(self.known):
-            self.learn(new)
-            if missing := needed.difference(self.known):  # forgotten just now
-                self.learn(missing)
-        get = self.known.__getitem__
-        return [b"".join(map(get, x)) for x in cuts]
+        get = self.known.get
+        found = [list(map(get, x)) for x in cuts]
+        missing = [(k, i) for k, ids in enumerate(found) if None in ids for i, x in enumerate(ids) if x is None]
+        if missing:
+            self.learn({cuts[k][i] for k, i in missing})
+            for k, i in missing:
+                found[k][i] = self.known[cuts[k][i]]
+        return [b"".join(x) for x in found]
 
 
 @lru_cache(maxsize=2)

@@ -1,7 +1,7 @@
 """Toxic spans by a linear-chain conditional random field, and document scores from its marginals.
 
-1. Cues, from all labelled training rows: Spark counts for each word and word beginning how many distinct labelled texts
-   of either mark hold it; those that occur almost only in toxic ones are cues.
+1. Cues: words and word beginnings that occur almost only in toxic texts. Candidates come from a bounded sample of
+   labelled rows; their counts by mark cover all labelled training rows.
 2. Labelled tokens: a token with a cue in a toxic text is toxic, all others of labelled texts are not. Segments of
    tokens from a bounded sample of labelled rows (`most_rows`, a parameter) train a two-state chain.
 3. Every text is tagged whole: forward-backward marginals over all its tokens, at a cost linear in its length. Spans of
@@ -176,30 +176,46 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 # --- training --------------------------------------------------------------------------------------------------
 
 
-def _cue_counts(batches):
-    """For each task: how many of its texts of either mark hold each cue name. One row a name, whatever the number of texts."""
-    held = {0: Counter(), 1: Counter()}
+def _cue_counts(only: set[str] | None):
+    """For each task: how many of its texts of either mark hold each cue name (of `only`, if given). One row a name, whatever the number of texts."""
 
-    def rows():
-        names = list({**held[0], **held[1]})
-        for i in range(0, len(names), 20_000):
-            own = names[i : i + 20_000]
-            yield pa.RecordBatch.from_pydict({"name": own, "clean": pa.array([held[0][x] for x in own], pa.int64()), "toxic": pa.array([held[1][x] for x in own], pa.int64())})
+    def run(batches):
+        held = {0: Counter(), 1: Counter()}
+
+        def rows():
+            names = list({**held[0], **held[1]})
+            for i in range(0, len(names), 20_000):
+                own = names[i : i + 20_000]
+                yield pa.RecordBatch.from_pydict({"name": own, "clean": pa.array([held[0][x] for x in own], pa.int64()), "toxic": pa.array([held[1][x] for x in own], pa.int64())})
+
+        for batch in batches:
+            for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                names = {x for w in set(_WORD.findall(text.translate(_LOWER))) for x in cue_names(w)}
+                held[mark].update(names if only is None else names & only)
+                if len(held[0]) + len(held[1]) > 400_000:
+                    yield from rows()
+                    held = {0: Counter(), 1: Counter()}
+        yield from rows()
+
+    return run
 
-    for batch in batches:
-        for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-            held[mark].update({x for w in set(_WORD.findall(text.translate(_LOWER))) for x in cue_names(w)})
-            if len(held[0]) + len(held[1]) > 400_000:
-                yield from rows()
-                held = {0: Counter(), 1: Counter()}
-    yield from rows()
 
+def _counted(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
+    return texts.select("text", "toxic").mapInArrow(_cue_counts(only), "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
-def find_cues(labelled: DataFrame, least: int = 4, purity: float = 0.8, most: int = 20_000) -> set[str]:
-    """Names that at least `least` toxic texts hold, `purity` of all that do; at most `most`, the most frequent ones."""
-    counts = labelled.select("text", "toxic").mapInArrow(_cue_counts, "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
-    found = counts.where((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).orderBy(F.desc("toxic"), "name").limit(most)
-    return {r.name for r in found.select("name").toLocalIterator()}
+
+def find_cues(sample: DataFrame, labelled: DataFrame, least: int = 4, ratio: float = 4.0, purity: float = 0.8, most: int = 20_000) -> set[str]:
+    """Names that at least `least` toxic texts hold, `purity` of all labelled texts that do.
+
+    Candidates come from the bounded sample: names `ratio` times as frequent in its toxic texts as in the others, at most
+    `most` of them, the most frequent ones. Their counts then cover all labelled texts.
+    """
+    sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
+    often = F.col("toxic") * sizes.get(0, 0) >= ratio * sizes.get(1, 0) * F.col("clean")
+    found = _counted(sample).where((F.col("toxic") >= least) & often).orderBy(F.desc("toxic"), "name").limit(most)
+    candidates = {r.name for r in found.select("name").toLocalIterator()}
+    sure = _counted(labelled, candidates).where((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean"))))
+    return {r.name for r in sure.select("name").toLocalIterator()}  # `most` names at most
 
 
 def segments_of(text: str, mark: int, cues: set[str], each: int = 3) -> list[tuple[list[str], list[int]]]:
@@ -214,21 +230,29 @@ def segments_of(text: str, mark: int, cues: set[str], each: int = 3) -> list[tup
     return [(own[s : s + SEGMENT], flags[s : s + SEGMENT]) for s in chosen if own[s : s + SEGMENT]]
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000) -> Chain | None:
+def _joined(docs: DataFrame, marks: DataFrame, most: int = 500_000) -> DataFrame:
+    """docs with their marks (id, toxic): broadcast if they are no more than `most` rows, else shuffled."""
+    small = F.broadcast(marks) if marks.count() <= most else marks
+    return docs.join(small, F.col("doc_id") == F.col("id")).select("text", "toxic", "h")
+
+
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_rows: int = 20_000) -> Chain | None:
     """The chain of these labelled rows; None if they lack one of the marks.
 
-    The texts' cues count over all of them; at most `most_rows` texts (half of each mark, least hashes first) make the
-    segments and the curve.
+    Equal texts count once. Candidates for cues come from at most `most_cue_rows` texts, segments and curve from at most
+    `most_rows` of these (half of each mark, least hashes first); the cues' counts are over all labelled texts. No text
+    is shuffled or written: labelled ids find their texts by a join at the scan.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(marks, F.col("doc_id") == F.col("id"))
-    labelled = common.written(joined.select("text", "toxic", F.xxhash64("text").alias("h")).dropDuplicates(["h", "toxic"]), "labelled")
-    cues = find_cues(labelled)
-    sample = []
-    for mark in (1, 0):
-        sample.append(labelled.where(F.col("toxic") == mark).orderBy("h").limit(most_rows // 2))
-    if not all(x.take(1) for x in sample):
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = common.written(_joined(docs.select("doc_id", "h", F.col("doc_id").alias("text")), marks).groupBy("h", "toxic").agg(F.min("text").alias("id")), "labelled")
+    picked = [ids.where(F.col("toxic") == mark).orderBy("h", "id").limit(most_cue_rows // 2) for mark in (1, 0)]
+    picked = common.written(picked[0].unionByName(picked[1]), "toxic-sample")
+    small = [picked.where(F.col("toxic") == mark).orderBy("h", "id").limit(most_rows // 2) for mark in (1, 0)]
+    if not all(x.take(1) for x in small):
         return None
+    one_text = lambda chosen: _joined(docs, chosen.select("id", "toxic"))  # noqa: E731  rows that repeat an id stand with it
+    cues = find_cues(one_text(picked), one_text(ids))
 
     def cut(batches):
         for batch in batches:
@@ -238,12 +262,12 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000) -> Chain |
             if out:
                 yield pa.RecordBatch.from_pydict({"mark": pa.array([x[0] for x in out], pa.int32()), "words": [x[1] for x in out], "y": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
 
-    texts = common.written(sample[0].unionByName(sample[1]).repartition(8), "toxic-sample")
+    texts = one_text(common.written(small[0].unionByName(small[1]), "toxic-sample"))
     got = texts.select("text", "toxic").mapInArrow(cut, "mark int, words array<string>, y array<int>").collect()
     chain = Chain(*fit_chain([(r["words"], r["y"]) for r in got]), np.zeros(3))
     rows = score_texts(texts.select(F.col("h").alias("doc_id"), "text", "toxic"), chain, keep="toxic").select("top", "many", "toxic").collect()
     x, y = np.array([[r["top"], r["many"]] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)
-    share = labelled.agg(F.avg("toxic")).first()[0]
+    share = ids.agg(F.avg("toxic")).first()[0]
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
     chain.curve = fit_curve(x, y, weight)
     chain.known = {}

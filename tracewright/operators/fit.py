@@ -97,7 +97,9 @@ def robust_fit(ticks: DataFrame, by: list[str], gates: Gates = Gates()) -> DataF
         return F.when(acc["done"], acc).otherwise(_let(_line(acc["keep"]), with_line))
 
     keep = F.aggregate(F.sequence(F.lit(1), F.lit(gates.fit_rounds)), state(all_of, F.lit(False)), one_round, lambda acc: acc["keep"])
-    fitted = grouped.withColumn("keep", F.when(F.size("ts") == 2, all_of).otherwise(keep)).withColumn("line", _line(F.col("keep")))
+    # Each explode of one value keeps the fold from being written out again wherever its result is used.
+    fitted = grouped.withColumn("keep", F.explode(F.array(F.when(F.size("ts") == 2, all_of).otherwise(keep))))
+    fitted = fitted.withColumn("line", F.explode(F.array(_line(F.col("keep")))))
     slope, intercept = F.col("line.slope"), F.col("line.intercept")
     residual = lambda t: t["v"] - (slope * t["p"] + intercept)
     n_used = F.size("keep")

@@ -54,11 +54,11 @@ def norm_box_to_px(spark: SparkSession, d: str) -> DataFrame:
     return q.select("page", "pos", out.alias("b")).select("page", "pos", *flat("b"))
 
 
-@query(f"WITH {b.BOXES} SELECT a.page, a.pos AS pos_a, c.pos AS pos_b, round({b.iou_sql('a', 'c')}, 6) AS iou FROM bx a JOIN bx c ON a.page = c.page AND a.pos < c.pos")
+@query(f"WITH {b.BOXES} SELECT a.page, a.pos AS pos_a, c.pos AS pos_b, round({b.iou_sql('a', 'c')}, 12) AS iou FROM bx a JOIN bx c ON a.page = c.page AND a.pos < c.pos")
 def box_iou_pairs(spark, d):
     q = b.boxes(spark, d)
     one, two = q.select("page", F.col("pos").alias("pos_a"), F.col("box").alias("a")), q.select("page", F.col("pos").alias("pos_b"), F.col("box").alias("c"))
-    return one.join(two, "page").where("pos_a < pos_b").select("page", "pos_a", "pos_b", r(g.iou(F.col("a"), F.col("c"))).alias("iou"))
+    return one.join(two, "page").where("pos_a < pos_b").select("page", "pos_a", "pos_b", r(g.iou(F.col("a"), F.col("c")), 12).alias("iou"))
 
 
 @query(f"""WITH {b.BOXES}, c AS (SELECT *, trunc(0.12 * w)::BIGINT AS mx, trunc(0.12 * h)::BIGINT AS my, trunc(0.05 * w)::BIGINT AS nx FROM bx),

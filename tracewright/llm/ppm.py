@@ -15,7 +15,10 @@ answers and counts travel packed, one row for each block and slot.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -69,12 +72,23 @@ def _texts(table: pa.Table) -> list[bytes]:
     return [(x or "").encode().lower() for x in table.column("text").to_pylist()]  # bytes: A-Z only
 
 
-class Words(dict):
-    """Keys of words, each hashed once."""
+class Places(dict):
+    """A place for each distinct word, in the order in which they come."""
 
     def __missing__(self, word: bytes) -> int:
-        key = self[word] = xxhash.xxh3_64_intdigest(word)
-        return key
+        place = self[word] = len(self)
+        return place
+
+    def keys_of(self) -> np.ndarray:
+        return np.fromiter(map(xxhash.xxh3_64_intdigest, self), dtype=np.uint64, count=len(self))
+
+
+def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of all texts' words one after another, how many each text has, and the places' keys. Ends are not among them."""
+    places = Places()
+    get = places.__getitem__
+    own = [list(map(get, t.split())) for t in texts]
+    return np.fromiter(chain.from_iterable(own), dtype=np.int64), np.array([len(x) for x in own], dtype=np.int64), places.keys_of()
 
 
 def count(docs: DataFrame, order: int, slots: int, chunk: int = 4 << 20) -> DataFrame:
@@ -98,12 +112,11 @@ def count(docs: DataFrame, order: int, slots: int, chunk: int = 4 << 20) -> Data
             out = []
             parts = [np.unique(grams([t for t, h in zip(texts, held, strict=True) if h == x], order), return_counts=True) for x in (False, True)]
             out += rows(GRAM, *added(np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1] * 0])))
-            known, own, learnt = Words(), [], 0
-            for t, h in zip(texts, held, strict=True):
-                if not h:
-                    own.append(np.fromiter(map(known.__getitem__, t.split()), dtype=np.uint64))
-                    learnt += 1
-            keys, n = np.unique(np.concatenate([*own, np.full(learnt, END_WORD, dtype=np.uint64)]) if own else np.zeros(0, dtype=np.uint64), return_counts=True)
+            at, lengths, keys = word_places([t for t, h in zip(texts, held, strict=True) if not h])
+            n = np.bincount(at, minlength=len(keys))
+            if len(lengths):
+                keys, n = np.append(keys, np.uint64(END_WORD)), np.append(n, len(lengths))
+            keys, n = added(keys, n)
             out += rows(WORD, keys, n)
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_pylist(out[i : i + 64], schema=_ARROW)
@@ -166,12 +179,12 @@ def string_values(counted: DataFrame, order: int) -> DataFrame:
     return seen.unionByName(asked).select("slot", (F.shiftleft("ctx", 8).bitwiseOR(F.col("sym").cast("long"))).alias("key"), "value")
 
 
-def _asked(table: pa.Table, order: int) -> tuple[list[np.ndarray], list[np.ndarray], dict[int, np.ndarray]]:
-    """A block's strings and words by document, and the distinct keys of each kind in order."""
-    texts, known = _texts(table), Words()
-    strings = [grams([t], order) for t in texts]
-    words = [np.append(np.fromiter(map(known.__getitem__, t.split()), dtype=np.uint64), np.uint64(END_WORD)) for t in texts]
-    return strings, words, {GRAM: np.unique(np.concatenate(strings)), WORD: np.unique(np.concatenate(words))}
+def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs, 0 for empty ones."""
+    out, some = np.zeros(len(lengths), dtype=values.dtype), lengths > 0
+    if some.any():
+        out[some] = np.add.reduceat(values, (np.cumsum(lengths) - lengths)[some])
+    return out
 
 
 def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
@@ -203,8 +216,8 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
     dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(max(slots, min(blocks, 100_000)), "block")
 
     def request(key, table):
-        out = []
-        for kind, keys in _asked(table, order)[2].items():
+        out, texts = [], _texts(table)
+        for kind, keys in ((GRAM, np.unique(grams(texts, order))), (WORD, np.sort(np.append(word_places(texts)[2], np.uint64(END_WORD))))):
             at, ends = by_slot(keys, slots)
             keys, begin = keys[at], 0
             for s, end in enumerate(ends.tolist()):
@@ -226,24 +239,25 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "slot": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "values": pa.array([x[3] for x in out], pa.binary())})
 
     def add_up(table, answers):
-        strings, words, distinct = _asked(table, order)
-        got = {(r["kind"], r["slot"]): r["values"] for r in answers.to_pylist()}
-        values = {}
-        for kind, keys in distinct.items():
-            at, ends = by_slot(keys, slots)
-            values[kind], begin = np.empty(len(keys), np.float64 if kind == GRAM else np.int64), 0
+        texts, got = _texts(table), {(r["kind"], r["slot"]): r["values"] for r in answers.to_pylist()}
+
+        def answered(kind: int, keys: np.ndarray) -> np.ndarray:
+            """The answers in the order of the keys; they came slot by slot, in the keys' own order."""
+            out, rank = np.empty(len(keys), np.float64 if kind == GRAM else np.int64), np.argsort(keys)
+            at, ends = by_slot(keys[rank], slots)
+            begin = 0
             for s, end in enumerate(ends.tolist()):
                 if end > begin:
-                    values[kind][at[begin:end]] = np.frombuffer(common.unpacked(got[kind, s]), values[kind].dtype)
+                    out[rank[at[begin:end]]] = np.frombuffer(common.unpacked(got[kind, s]), out.dtype)
                 begin = end
-        rate = np.log10((values[WORD] + 1) / base)
-        out = {"n_tokens": [], "n_known": [], "base_score": [], "score": []}
-        for s, w in zip(strings, words, strict=True):
-            at = np.searchsorted(distinct[WORD], w)
-            out["n_tokens"].append(len(w))
-            out["n_known"].append(int((values[WORD][at] > 0).sum()))
-            out["base_score"].append(float(rate[at].sum()))
-            out["score"].append(float(values[GRAM][np.searchsorted(distinct[GRAM], s)].sum()))
+            return out
+
+        at, distinct = pd.factorize(grams(texts, order))
+        score = sums(answered(GRAM, distinct)[at], np.array([len(t) + 1 for t in texts], dtype=np.int64))
+        at, lengths, keys = word_places(texts)
+        n = answered(WORD, np.append(keys, np.uint64(END_WORD)))
+        rate, end = np.log10((n + 1) / base), len(keys)
+        out = {"n_tokens": lengths + 1, "n_known": sums((n[at] > 0).astype(np.int64), lengths) + int(n[end] > 0), "base_score": sums(rate[at], lengths) + rate[end], "score": score}
         kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out")} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
 

@@ -46,7 +46,7 @@ def directory(f: BinaryIO, size: int) -> list[dict]:
     tail_at = max(0, size - 65_557)
     tail = _range(f, tail_at, size - tail_at)
     at = tail.rfind(_END)
-    while at >= 0 and at + 22 + struct.unpack("<H", tail[at + 20 : at + 22])[0] > len(tail):
+    while at >= 0 and at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail):  # a comment may hold the signature, too
         at = tail.rfind(_END, 0, at)
     if at < 0:
         raise ValueError("no end of central directory")

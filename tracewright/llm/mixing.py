@@ -27,23 +27,34 @@ def bucket(word: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(buckets)).cast("int")
 
 
+def tokens_of(text: Column) -> Column:
+    """Words in lower case, as the classifier and the token counts take them."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), common.NON_WORD), lambda w: w != F.lit(""))
+
+
 def features(text: Column, words: Column, buckets: int) -> Column:
     """A text's distinct buckets: of its words, and of a few of its looks (symbols, capitals, repeats), each in tenths."""
-    text = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(text), F.lit(1))
-    share = lambda chars: (n - F.length(F.translate(text, chars, "")) - F.when(F.length(text) == 0, 1).otherwise(0)) / n
-    looks = {"symbols": share("#*$%&|<>@^~={}[]\\/"), "stops": 4 * share(".,;:!?"), "capitals": share(common.UPPER), "digits": share("0123456789"), "distinct": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))}
-    marks = [F.concat(F.lit(f" {name} "), F.floor(10 * x).cast("string")) for name, x in looks.items()]
-    return F.array_distinct(F.concat(F.transform(words, lambda w: bucket(w, buckets)), F.array(*(bucket(m, buckets) for m in marks))))
+    share = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) / F.coalesce(n, F.lit(1))
+    distinct = F.array_distinct(F.transform(words, lambda w: bucket(w, buckets)))
+
+    def with_looks(own: Column) -> Column:
+        looks = {"symbols": share("[#*$%&|<>@^~={}]"), "capitals": share("[A-Z]"), "distinct": F.size(own) / F.greatest(F.size(words), F.lit(1))}
+        return F.array_union(own, F.array(*(bucket(F.concat(F.lit(f" {name} "), F.floor(10 * x).cast("string")), buckets) for name, x in looks.items())))
+
+    return common.let(distinct, with_looks)
 
 
-def train_domains(docs: DataFrame, labelled: DataFrame, buckets: int = 1 << 15) -> tuple[list[str], list[float], list[list[float]]]:
-    """Domains, their log priors, and each domain's log ratio to the whole corpus by bucket, from all labelled documents.
+def train_domains(docs: DataFrame, labelled: DataFrame, buckets: int = 1 << 15, most_rows: int = 20_000) -> tuple[list[str], list[float], list[list[float]]]:
+    """Domains, their log priors, and each domain's log ratio to the whole corpus by bucket, from at most `most_rows` labelled documents.
 
-    labelled: doc_id, domain, one row an id. Words are counted in Spark; what is collected has at most buckets rows for each domain.
+    labelled: doc_id, domain, one row an id; those with the least hashes are the sample. Its ids are broadcast (most_rows
+    bounds them), so texts are not shuffled. Words are counted in Spark; what is collected has at most buckets rows for
+    each domain.
     """
-    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labelled.select("doc_id", "domain"), "doc_id")
-    words = small.select("domain", F.explode(common.let(common.words(F.col("text")), lambda ws: features(F.col("text"), ws, buckets))).alias("b"))
+    labelled = F.broadcast(labelled.select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
+    small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labelled, "doc_id")
+    words = small.select("domain", F.explode(common.let(tokens_of(F.col("text")), lambda ws: features(F.col("text"), ws, buckets))).alias("b"))
     counts = words.groupBy("domain", "b").count().collect()
     priors = {r["domain"]: r["count"] for r in small.groupBy("domain").count().collect()}
     domains = sorted(priors)
@@ -81,7 +92,7 @@ def posteriors(docs: DataFrame, model, temperature: float = 1.0) -> DataFrame:
         top = F.array_max(logs)
         return common.let(F.transform(logs, lambda x: F.exp(x - top)), lambda es: F.transform(es, lambda e: e / F.aggregate(es, F.lit(0.0), lambda a, x: a + x)))
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), common.let(common.words(F.col("text")), scored).alias("x"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), common.let(tokens_of(F.col("text")), scored).alias("x"))
     return rows.select("doc_id", "text_hash", "x.n_tokens", common.let(F.col("x.logs"), normal).alias("p"))
 
 
@@ -145,7 +156,7 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets
     model = train_domains(docs, labelled, buckets)
     domains = model[0]
     if not domains:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(common.words(F.col("text"))).cast("long").alias("n_tokens"))
+        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(tokens_of(F.col("text"))).cast("long").alias("n_tokens"))
         return rows.withColumn("posteriors", F.create_map(F.lit(""), F.lit(1.0))).withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1))
     rows = common.written(posteriors(docs, model), "posteriors")
     now = expected_totals(rows, len(domains), F.lit(1.0))

@@ -151,10 +151,25 @@ def _best(pairs: DataFrame, by: list[str], most: int) -> DataFrame:
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
 
-def find_links(classes: DataFrame, texts_of, percent: int, least: float, rounds: int = 2) -> DataFrame:
-    """Confirmed links (a, b) that connect all classes which the bands and the full sets link.
-
-    classes: node, n_shingles, bands, sketch, parity, already written. texts_of(nodes): node and text of these.
+def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
+    """node, label after these further links: components of the labels that they join, not of all links again."""
+    if label is None:
+        return components(links)
+    ends = links
+    for end in ("a", "b"):
+        ends = ends.join(label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+    ends = common.written(ends.select("label_a", "label_b"), "label-links")
+    moved = components(ends, "label_a", "label_b").select(F.col("node").alias("label"), F.col("label").alias("to"))
+    ends = ends.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct().select(F.col("label").alias("node"), "label")
+    every = label.unionByName(ends.join(label, "node", "left_anti"))  # nodes that had no link before are their own labels
+    return common.written(every.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label")), "labels")
+
+
+def find_components(classes: DataFrame, texts_of, percent: int, least: float, rounds: int = 1) -> DataFrame | None:
+    """node, label of all classes that confirmed links join (None without any link): all that bands and full sets link.
+
+    classes: node, n_shingles, bands, sketch, parity, already written. texts_of(nodes): node and text of these. The first
+    `rounds` take each member's two likeliest pairs with every other component, the last round takes all that are left.
     """
     members = classes.select("node", F.explode("bands").alias("bucket"))
     buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "node").alias("order"), "node")).alias("hub")).where(F.col("n") > 1)
@@ -166,33 +181,33 @@ def find_links(classes: DataFrame, texts_of, percent: int, least: float, rounds:
     met = met.where(alike_sizes(F.col("n_a"), F.col("n_b"), percent)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
     sets = set_estimate(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))
     met = met.withColumn("estimate", sets).where(F.col("estimate") >= percent / 100 - SET_MARGIN).select("a", "b", "estimate")
-    tested = common.written(confirm(_best(met, ["a"], 1), texts, percent), "tested")
+    tested = more = common.written(confirm(_best(met, ["a"], 1), texts, percent), "tested")
+    label = None
     for turn in range(rounds + 1):
-        links = tested.where("linked").select("a", "b")
-        if not links.take(1):
-            label = None
-            labelled = shared.select("bucket", "node", F.col("node").alias("label"))
-        else:
-            label = components(links)
-            labelled = common.written(shared.select("bucket", "node").join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")), "labelled-buckets")
-        # The buckets whose members are in several components, and the component that most are in.
-        sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top")).where(F.col("k") > 1).select("bucket", F.col("top.label").alias("top"))
-        left = common.written(labelled.join(mixed, "bucket").join(about, "node"), "mixed-buckets")
-        a = left.where(F.col("label") != F.col("top")).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"))
-        b = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"))
-        once = (F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))  # two members outside the top component meet once
-        close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & (sets >= percent / 100 - SET_MARGIN))
-        close = close.select("a", "b", "label_b", sets.alias("estimate")).distinct()
+        links = more.where("linked").select("a", "b")
+        if links.take(1):
+            label = joined(label, links)
+        if turn == 0 or links.take(1):
+            labelled = shared.select("bucket", "node")
+            labelled = labelled.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")) if label is not None else labelled.withColumn("label", F.col("node"))
+            labelled = common.written(labelled, "labelled-buckets")
+            # The buckets whose members are in several components, and the component that most are in.
+            sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
+            mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top")).where(F.col("k") > 1).select("bucket", F.col("top.label").alias("top"))
+            left = common.written(labelled.join(mixed, "bucket").join(about, "node"), "mixed-buckets")
+            a = left.where(F.col("label") != F.col("top")).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"))
+            b = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"))
+            once = (F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))  # two members outside the top component meet once
+            close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & (sets >= percent / 100 - SET_MARGIN))
+            close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")).distinct(), "close-pairs")
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        close = close.join(known, ["a", "b"], "left_anti")
-        if turn < rounds:
-            close = _best(close, ["a", "label_b"], 2)
-        more = common.written(confirm(close, texts, percent), "tested")
+        fresh = close.join(known, ["a", "b"], "left_anti")
+        more = common.written(confirm(_best(fresh, ["a", "label_b"], 2) if turn < rounds else fresh, texts, percent), "tested")
         if not more.take(1):
             break
-        tested = common.written(tested.unionByName(more), "tested")
-    return tested.where("linked").select("a", "b")
+        tested = tested.unionByName(more)
+    links = more.where("linked").select("a", "b")
+    return joined(label, links) if links.take(1) else label
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15) -> DataFrame:
@@ -212,8 +227,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15) ->
         wanted = classes.join(nodes, "node", "left_semi").select("text_hash", "node")
         return docs.select("text_hash", "text").join(wanted, "text_hash").groupBy("node").agg(F.min("text").alias("text"))
 
-    links = find_links(classes, texts_of, percent, percent / 100 - margin)
-    label = components(links) if links.take(1) else None
+    label = find_components(classes, texts_of, percent, percent / 100 - margin)
     firsts = classes.select("node", "first")
     if label is not None:
         both = firsts.join(label, "node", "left").select("node", "first", F.coalesce("label", "node").alias("label"))

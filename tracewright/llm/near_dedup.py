@@ -194,12 +194,14 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
             # The buckets whose members are in several components, and the component that most are in.
             sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
             mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top")).where(F.col("k") > 1).select("bucket", F.col("top.label").alias("top"))
-            left = common.written(labelled.join(mixed, "bucket").join(about, "node"), "mixed-buckets")
-            a = left.where(F.col("label") != F.col("top")).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"))
-            b = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"))
+            left = common.written(labelled.join(mixed, "bucket").join(classes.select("node", "n_shingles", "sketch", "parity", "bands"), "node"), "mixed-buckets")
+            a = left.where(F.col("label") != F.col("top")).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"), F.col("bands").alias("bands_a"))
+            b = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"), F.col("bands").alias("bands_b"))
             once = (F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))  # two members outside the top component meet once
-            close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & (sets >= percent / 100 - SET_MARGIN))
-            close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")).distinct(), "close-pairs")
+            first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True))
+            here = F.get("bands_a", first.cast("int") - 1) == a.bucket  # a pair that meets in several buckets leaves the first of them alone
+            close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & (sets >= percent / 100 - SET_MARGIN) & here)
+            close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")), "close-pairs")
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         fresh = close.join(known, ["a", "b"], "left_anti")
         more = common.written(confirm(_best(fresh, ["a", "label_b"], 2) if turn < rounds else fresh, texts, percent), "tested")

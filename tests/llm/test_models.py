@@ -153,6 +153,24 @@ def test_sketch_estimates():
         assert est == pytest.approx(j, abs=0.12) and whole == pytest.approx(j, abs=0.04)
 
 
+def test_long_near_duplicates_are_all_linked(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):  # pairs at 0.85 to 0.87: a changed block of words takes four more shingles with it
+        n = rng.randrange(12_000, 25_000)
+        base = [f"{k}w{i}" for i in range(n)]
+        changed = int(n * rng.uniform(0.0695, 0.0805) / 2)
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([f"{k}x{i}" for i in range(changed)] + base[changed : n - changed] + [f"{k}y{i}" for i in range(changed)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
+    want = {}
+    for (i, t), (j, u) in zip(rows[::2], rows[1::2], strict=True):
+        a, b = ({tuple(ws[s : s + 5]) for s in range(len(ws) - 4)} for ws in (t.split(), u.split()))
+        linked = 100 * len(a & b) >= 85 * len(a | b)
+        want |= {i: (len(a), i), j: (len(b), i if linked else j)}
+    assert got == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(5, 5)]

@@ -3,7 +3,8 @@
 1. Every document gets its distinct shingles' MinHash samples, the samples' bands, and an odd sketch: each sample sets
    or clears (parity) one bit of a bitmap, so the bits in which two bitmaps differ tell how many samples differ, which
    is precise for high similarities. A second, larger odd sketch takes the whole set in: with the sets' sizes its
-   differing bits tell the similarity to about a hundredth. Documents with the same words are one class from here on.
+   differing bits tell the similarity to about a hundredth, or nothing of very large differences: how far they may lie
+   above what the threshold allows follows from the sizes. Documents with the same words are one class from here on.
 2. Classes that share a band are candidates. In each bucket all members meet a hub, another one in each band; the
    sketches choose each member's best hubs, and only these pairs are confirmed on the full sets.
 3. Members that confirmed links have joined are one component and need no comparing. What is left, members of one bucket
@@ -15,6 +16,8 @@ No bucket is expanded into its pairs: a join's condition holds sketch, size and
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -26,8 +29,8 @@ from tracewright.llm.components import components
 
 #: Words in a shingle; bands and rows (a pair at 0.85 is missed once in 4e7); bits of the odd sketch.
 WORDS, BANDS, ROWS, BITS = 5, 30, 5, 512
-#: Bits of the odd sketch of a whole set, and how far its estimate may fall below the threshold.
-SET_BITS, SET_MARGIN = 2048, 0.05
+#: Bits of the odd sketch of a whole set, and by how many standard deviations they may differ more than expected at the threshold.
+SET_BITS, SET_DEVIATIONS = 2048, 5
 _SCHEMA = "doc_id long, text_hash long, node long, n_shingles long, bands array<long>, sketch array<long>, parity array<long>"
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -104,15 +107,29 @@ def sign(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, _SCHEMA)
 
 
+def set_differ(a: Column, b: Column) -> Column:
+    """The bits in which the whole sets' odd sketches differ."""
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SET_BITS // 64)), F.lit(0))
+
+
 def set_estimate(a: Column, b: Column, n_a: Column, n_b: Column) -> Column:
-    """Similarity from the whole sets' odd sketches: their differing bits tell the size of the difference.
+    """Similarity from the whole sets' odd sketches: their differing bits tell the size of the difference. Noise near saturation: it orders pairs only."""
+    size = -SET_BITS / 2.0 * F.log(F.greatest(1.0 - 2.0 * set_differ(a, b) / SET_BITS, F.lit(1e-3)))
+    sizes = (n_a + n_b).cast("double")
+    return (sizes - size) / (sizes + size)
 
-    1 where the sketch is too small for it (a difference of twice its bits or more): nothing is told apart then.
+
+def set_may_reach(a: Column, b: Column, n_a: Column, n_b: Column, percent: int) -> Column:
+    """Whether the whole sets' odd sketches leave it open that two sets are this similar.
+
+    The sizes give the largest difference that the threshold allows, and that gives mean and variance of the differing
+    bits (of d throws into k bits those hit oddly often). More than five deviations above the mean rules a pair out, and
+    so does more than the difference itself. With differences much over k nothing is ruled out: half of the bits differ.
     """
-    differ = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SET_BITS // 64)), F.lit(0))
-    size = -SET_BITS / 2.0 * F.log(F.greatest(1.0 - 2.0 * differ / SET_BITS, F.lit(1e-3)))
-    sizes = (n_a + n_b).cast("double")
-    return F.when(0.15 / 1.85 * sizes > 2 * SET_BITS, 1.0).otherwise((sizes - size) / (sizes + size))
+    k, most = float(SET_BITS), F.floor((n_a + n_b) * (100 - percent) / (100 + percent)).cast("double")
+    left = F.exp(most * math.log(1 - 2 / k))
+    mean, variance = k / 2 * (1 - left), (k + k * (k - 1) * F.exp(most * math.log(1 - 4 / k)) - k * k * left * left) / 4
+    return set_differ(a, b) <= F.least(most, F.ceil(mean + SET_DEVIATIONS * F.sqrt(F.greatest(variance, F.lit(0.0)))))
 
 
 def estimate(a: Column, b: Column) -> Column:
@@ -180,7 +197,8 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
     met = shared.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
     met = met.where(alike_sizes(F.col("n_a"), F.col("n_b"), percent)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
     sets = set_estimate(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))
-    met = met.withColumn("estimate", sets).where(F.col("estimate") >= percent / 100 - SET_MARGIN).select("a", "b", "estimate")
+    may_reach = set_may_reach(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"), percent)
+    met = met.where(may_reach).select("a", "b", sets.alias("estimate"))
     tested = more = common.written(confirm(_best(met, ["a"], 1), texts, percent), "tested")
     label = None
     for turn in range(rounds + 1):
@@ -200,7 +218,7 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
             once = (F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))  # two members outside the top component meet once
             first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True))
             here = F.get("bands_a", first.cast("int") - 1) == a.bucket  # a pair that meets in several buckets leaves the first of them alone
-            close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & (sets >= percent / 100 - SET_MARGIN) & here)
+            close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & may_reach & here)
             close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")), "close-pairs")
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         fresh = close.join(known, ["a", "b"], "left_anti")

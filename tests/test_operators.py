@@ -236,3 +236,32 @@ def test_stitch_and_hints(spark):
     hints = spark.createDataFrame([(1, 3, None, 0, "by month"), (1, None, 2, 1, "by place"), (1, None, 1, 2, "late")], "page int, h_month int, h_index int, h_ord int, hint string")
     got = {r.place: (r.hint, r.way) for r in sr.panel_hints(panels, hints, ["page"]).collect()}
     assert got == {1: ("by month", 1), 2: ("by place", 2), 3: (None, None)}
+
+
+def test_all_curves_are_compared(spark, tmp_path):
+    import random
+    from statistics import median
+
+    from tracewright.plans.queries import QUERIES
+
+    rng = random.Random(7)
+    near = [rng.gauss(0, 1) for _ in range(64)]
+    rows = []
+    for v in range(60):  # those that rank first are all alike
+        first = v * 37 % 101 > 40
+        rows.append((v, v % 2, [x + rng.gauss(0, 0.01) for x in near] if first else [rng.gauss(0, 1) for _ in range(64)]))
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    rows = [(r.vec_id, r.label, r.embedding) for r in spark.read.parquet(str(tmp_path / "embeddings.parquet")).collect()]
+    apart = lambda a, b: median(abs(x * 1000 - y * 1000) for x, y in zip(a, b, strict=True))
+    pairs, top = {}, []
+    for tile in (0, 1):
+        own = sorted((r for r in rows if r[1] == tile), key=lambda r: (-(r[0] * 37 % 101), r[0]))
+        pairs |= {(tile, a[0], b[0]): apart(a[2], b[2]) for i, a in enumerate(own) for b in own[i + 1 :]}
+        taken = []
+        for r in own:
+            if len(taken) < 6 and all(apart(r[2], t[2]) > 120 for t in taken):
+                taken.append(r)
+        top += [(tile, i + 1, r[0]) for i, r in enumerate(taken)]
+    got = {(r.tile, r.cand_a, r.cand_b): r.separation for r in QUERIES["polyline_separation"](spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * 30 * 29 // 2 and got == pytest.approx(pairs, abs=2e-6)
+    assert sorted(tuple(r) for r in QUERIES["distinct_topk"](spark, str(tmp_path)).collect()) == sorted(top) and len(top) == 12

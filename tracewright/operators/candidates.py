@@ -70,6 +70,7 @@ def separations(polylines: DataFrame, tile: list[str], order: str, samples: int
     used = polylines if within is None else polylines.where(F.col(order) <= within)
     a = used.select(*tile, F.col(order).alias("order_a"), F.col("cand").alias("cand_a"), F.col("pts").alias("pts_a"))
     b = used.select(*tile, F.col(order).alias("order_b"), F.col("cand").alias("cand_b"), F.col("pts").alias("pts_b"))
+    a = a.repartition(4 * a.sparkSession.sparkContext.defaultParallelism)  # a tile's pairs are many: its curves are dealt out
     pairs = a.join(b, tile).where(F.col("order_a") < F.col("order_b"))
     return pairs.select(*tile, "order_a", "order_b", "cand_a", "cand_b", separation(F.col("pts_a"), F.col("pts_b"), samples).alias("separation"))
 
@@ -95,6 +96,20 @@ def distinct_candidates(ranked: DataFrame, pairs: DataFrame, tile: list[str], mo
     return grouped.select(*tile, F.transform(F.aggregate("cs", F.slice("cs", 1, 0), step), lambda c: c["cand"]).alias("accepted"))
 
 
+def distinct_polylines(polylines: DataFrame, tile: list[str], order: str, most: int, limit: Column) -> DataFrame:
+    """tile, accepted: as distinct_candidates, straight from all polylines of a tile (order, cand, pts).
+
+    The fold compares a candidate with the accepted ones alone, and with none once `most` are accepted.
+    """
+    grouped = polylines.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("rank"), "cand", "pts"))).alias("cs"))
+
+    def step(acc: Column, c: Column) -> Column:
+        far = lambda: F.forall(acc, lambda a: separation(a["pts"], c["pts"]) > limit)
+        return F.when(F.size(acc) >= most, acc).when(far(), F.concat(acc, F.array(c))).otherwise(acc)
+
+    return grouped.select(*tile, F.transform(F.aggregate("cs", F.slice("cs", 1, 0), step), lambda c: c["cand"]).alias("accepted"))
+
+
 def name_series(accepted: Column, assigned: Column, labels: Column) -> Column:
     """(series, cand, label) of accepted candidates: the assigned label if it is free, else the first free one, else 'series i'.
 

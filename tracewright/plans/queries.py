@@ -329,7 +329,7 @@ def baseline_interp(spark, d):
 SELECT a.tile, a.cand AS cand_a, c.cand AS cand_b, round(median(abs(a.y - c.y)), 6) AS separation FROM u a JOIN u c ON a.tile = c.tile AND a.n < c.n AND a.x = c.x GROUP BY 1, 2, 3""")
 def polyline_separation(spark, d):
     ranked = _ranked_curves(spark, d)
-    return cd.separations(ranked, ["tile"], "rank", within=20).select("tile", "cand_a", "cand_b", r(F.col("separation")).alias("separation"))
+    return cd.separations(ranked, ["tile"], "rank").select("tile", "cand_a", "cand_b", r(F.col("separation")).alias("separation"))
 
 
 def _ranked_curves(spark, d):
@@ -343,9 +343,7 @@ cl AS (SELECT tile, nb AS n, list(na) AS close FROM sp WHERE s <= 120 GROUP BY 1
 st AS (SELECT tile, 1 AS n, [1::BIGINT] AS acc FROM (SELECT DISTINCT tile FROM rk) UNION ALL SELECT st.tile, st.n + 1, CASE WHEN len(acc) < 6 AND NOT list_has_any(acc, close) THEN list_append(acc, it.n) ELSE acc END FROM st JOIN it ON it.tile = st.tile AND it.n = st.n + 1)
 SELECT st.tile, i::INT AS place, rk.cand FROM (SELECT tile, arg_max(acc, n) AS acc FROM st GROUP BY 1) st, unnest(range(1, len(acc) + 1)) AS r(i) JOIN rk ON rk.tile = st.tile AND rk.n = acc[i]""")
 def distinct_topk(spark, d):
-    ranked = _ranked_curves(spark, d).where("rank <= 20")
-    pairs = cd.separations(ranked, ["tile"], "rank")
-    q = cd.distinct_candidates(ranked.select("tile", "rank", "cand"), pairs, ["tile"], 6, cd.threshold(8000.0))
+    q = cd.distinct_polylines(_ranked_curves(spark, d), ["tile"], "rank", 6, cd.threshold(8000.0))
     return q.select("tile", F.posexplode("accepted").alias("place", "cand")).select("tile", (F.col("place") + 1).alias("place"), "cand")
 
 

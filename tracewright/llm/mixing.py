@@ -2,15 +2,16 @@
 
 The labels table names each labelled document's domain. A naive-Bayes classifier over hashed words (its table of
 `buckets` x domains log ratios is the only thing that reaches the driver, whatever the input) gives every
-document posteriors over the domains. Projected-gradient least squares then finds nonnegative rates, one a document,
-whose expected tokens by domain (rate x tokens x posterior, summed) meet the targets: every step is one aggregate of a
-sum for each domain over all documents, and the rates stay with the documents. Errors count relative to the targets,
-and rates start at one, so documents that need no change keep their rate.
+document posteriors over the domains. A projected gradient step from rate one then gives nonnegative rates, one a document,
+whose expected tokens by domain (rate x tokens x posterior, summed) meet the targets: its multipliers, one a domain, are
+found by Newton steps, each one aggregate of a few sums over all documents. Errors count relative to the targets, and
+the rates are those nearest to one, so documents that need no change keep their rate.
 """
 
 from __future__ import annotations
 
 import json
+import logging
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -102,32 +103,63 @@ def expected_totals(rows: DataFrame, k: int, rate: Column) -> list[float]:
     return [float(x) for x in sums]
 
 
-def fit_rates(rows: DataFrame, targets: list[float], steps: int = 60, ridge: float = 0.0, every: int = 6, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
+def fit_rates(rows: DataFrame, targets: list[float], steps: int = 60, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
     """rows with a column rate >= 0, and the totals it gives.
 
-    rows: n_tokens and p, already written. Each step: residuals of the totals relative to the targets, then
-    rate <- max(0, rate - step * gradient), with step 1/L of the scaled normal matrix. Rates are written every few
-    steps, so that the plan stays short.
+    rows: n_tokens and p, already written. Of the nonnegative rates that meet the targets those nearest to one are a
+    projected gradient step from one, rate = max(0, 1 - gradient), whose k multipliers solve the convex dual problem:
+    Newton steps on the rates that are not at zero, halved until the dual falls, which converges from anywhere. Each is
+    one aggregate. Targets that no rates meet give their least-squares totals, or what `steps` reach: compare the totals.
     """
     k = len(targets)
     scale = [1.0 / max(t, 1.0) for t in targets]
-    pair = lambda a, b: F.coalesce(F.sum(F.pow(F.col("n_tokens").cast("double"), 2) * F.get("p", F.lit(a)) * F.get("p", F.lit(b))), F.lit(0.0))
+    part = [F.col("n_tokens").cast("double") * F.get("p", F.lit(d)) * scale[d] for d in range(k)]
     cells = [(a, b) for a in range(k) for b in range(a, k)]
-    normal = dict(zip(cells, rows.agg(*(pair(a, b).alias(f"m{a}_{b}") for a, b in cells)).first(), strict=True))
-    inverse = _preconditioner([[normal[min(a, b), max(a, b)] * scale[a] * scale[b] for b in range(k)] for a in range(k)])
-    rows = rows.withColumn("rate", F.lit(1.0))
-    totals = expected_totals(rows, k, F.col("rate"))
-    for i in range(steps):
-        residual = [(totals[d] - targets[d]) * scale[d] for d in range(k)]
-        if max(abs(x) for x in residual) <= tolerance:
+    rate_at = lambda y: F.greatest(F.lit(0.0), 1.0 - sum((part[d] * y[d] for d in range(k)), F.lit(0.0)))
+    total = lambda c, name: F.coalesce(F.sum(c), F.lit(0.0)).alias(name)
+
+    def measured(y: list[float]) -> tuple[list[float], list[list[float]], float]:
+        at = rows.withColumn("rate", rate_at(y))
+        free = F.when(F.col("rate") > 0, 1.0).otherwise(0.0)
+        x = at.agg(*(total(F.col("rate") * part[d], f"s{d}") for d in range(k)), *(total(free * part[a] * part[b], f"m{a}_{b}") for a, b in cells), total(F.col("rate") * F.col("rate"), "square")).first()
+        return [x[f"s{d}"] - targets[d] * scale[d] for d in range(k)], [[x[f"m{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)], x["square"] / 2
+
+    y = [0.0] * k
+    residual, normal, square = measured(y)
+    little = 1e-9 * max([normal[d][d] for d in range(k)] + [1e-300])  # keeps the multipliers finite where no rates meet the targets
+    dual = lambda y, square: square + sum(y[d] * targets[d] * scale[d] + little / 2 * y[d] ** 2 for d in range(k))
+    for _ in range(steps):
+        slope = [residual[d] - little * y[d] for d in range(k)]
+        if max(map(abs, residual)) <= tolerance or max(map(abs, slope)) <= 1e-12:
             break
-        move = [sum(inverse[a][b] * residual[b] for b in range(k)) for a in range(k)]
-        gradient = sum((F.get("p", F.lit(d)) * (move[d] * scale[d]) for d in range(k)), F.lit(0.0)) * F.col("n_tokens")
-        rows = rows.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") - gradient - ridge * (F.col("rate") - 1.0)))
-        if (i + 1) % every == 0:
-            rows = common.written(rows, "rates")
-        totals = expected_totals(rows, k, F.col("rate"))
-    return rows, totals
+        inverse = _preconditioner([[normal[a][b] + (little if a == b else 0.0) for b in range(k)] for a in range(k)])
+        move = [sum(inverse[a][b] * slope[b] for b in range(k)) for a in range(k)]
+        fall, now = sum(m * g for m, g in zip(move, slope, strict=True)), dual(y, square)
+        for half in range(30):
+            there = [v + m / 2**half for v, m in zip(y, move, strict=True)]
+            found = measured(there)
+            if dual(there, found[2]) <= now - 1e-4 * fall / 2**half + 1e-12 * abs(now):
+                break
+        else:
+            break  # no fall that doubles can show
+        y, (residual, normal, square) = there, found
+    return rows.withColumn("rate", rate_at(y)), [residual[d] / scale[d] + targets[d] for d in range(k)]
+
+
+def snap_rates(rows: DataFrame, targets: list[float], totals: list[float], snap: float, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
+    """rows with rates within `snap` of a whole number at that number, and the totals that they give then.
+
+    snap is halved as often as it takes to keep the totals within tolerance of the targets (or as near as they were).
+    """
+    k, widths = len(targets), [*(snap / 2**i for i in range(8)), 0.0]
+    near = F.rint("rate")
+    snapped = lambda width: F.when(F.abs(F.col("rate") - near) <= width, near).otherwise(F.col("rate"))
+    worst = lambda sums: max((abs(x - t) / max(t, 1.0) for x, t in zip(sums, targets, strict=True)), default=0.0)
+    most = max(tolerance, worst(totals) * (1 + 1e-9))
+    x = rows.agg(*(F.coalesce(F.sum(snapped(w) * F.col("n_tokens") * F.get("p", F.lit(d))), F.lit(0.0)).alias(f"s{i}_{d}") for i, w in enumerate(widths) for d in range(k))).first()
+    sums = [[x[f"s{i}_{d}"] for d in range(k)] for i in range(len(widths))]
+    i = next((i for i, own in enumerate(sums) if worst(own) <= most), len(widths) - 1)
+    return rows.withColumn("rate", snapped(widths[i])), sums[i]
 
 
 def _preconditioner(m: list[list[float]]) -> list[list[float]]:
@@ -150,7 +182,8 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets
 
     weights: each domain's share of the mix, relative to its present expected tokens if `tokens` is None (1.0 keeps a
     domain as it is), else to `tokens` in all. copies: the rate with its fraction decided by a hash of the id; a rate
-    within `snap` of a whole number is that number. Null texts have no tokens and keep rate 1. Without labelled rows
+    within `snap` of a whole number is that number, as far as totals stay within a thousandth of their targets (else `snap`
+    is halved); targets that no rates meet are logged with the totals reached. Null texts have no tokens and keep rate 1. Without labelled rows
     there is one domain, "", and every rate is 1. Repeated rows get equal rates. Other columns of docs are ignored.
     """
     model = train_domains(docs, labelled, buckets)
@@ -161,9 +194,11 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets
     rows = common.written(posteriors(docs, model), "posteriors")
     now = expected_totals(rows, len(domains), F.lit(1.0))
     targets = [weights.get(d, 1.0) * (now[i] if tokens is None else tokens) for i, d in enumerate(domains)]
-    rows, _ = fit_rates(rows, targets)
-    near = F.rint("rate")
-    rate = F.when(F.abs(F.col("rate") - near) <= snap, near).otherwise(F.col("rate"))
+    rows, totals = fit_rates(rows, targets, tolerance=1e-4)
+    rows, totals = snap_rates(rows, targets, totals, snap)
+    if missed := {d: (round(x), round(t)) for d, x, t in zip(domains, totals, targets, strict=True) if abs(x - t) > 1e-3 * max(t, 1.0)}:
+        logging.getLogger(__name__).warning("expected tokens that miss their targets (reached, target): %s", missed)
+    rate = F.col("rate")
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
     named = F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("p"))

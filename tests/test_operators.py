@@ -265,3 +265,22 @@ def test_all_curves_are_compared(spark, tmp_path):
     got = {(r.tile, r.cand_a, r.cand_b): r.separation for r in QUERIES["polyline_separation"](spark, str(tmp_path)).collect()}
     assert len(got) == 2 * 30 * 29 // 2 and got == pytest.approx(pairs, abs=2e-6)
     assert sorted(tuple(r) for r in QUERIES["distinct_topk"](spark, str(tmp_path)).collect()) == sorted(top) and len(top) == 12
+
+
+def test_every_point_gets_a_baseline(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from tracewright.plans.queries import QUERIES
+
+    rng = random.Random(8)
+    minutes = rng.sample(range(43_000), 400)
+    rows = [(i, rng.randrange(10, 30), datetime(2024, 1, 1) + timedelta(minutes=m), rng.random() * 100) for i, m in enumerate(minutes)]
+    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+    x = {i: m / 1440 for i, m in enumerate(minutes)}
+    want = {}
+    for i, user, _, y in rows:
+        knots = sorted((x[j], v) for j, u, _, v in rows if u == 10 + user % 10)
+        base = float(np.interp(x[i], *zip(*knots, strict=True)))
+        want[user % 10, user, i] = (base, y - (base - 50))
+    got = {(r.tile, r.cand, r.ord): (r.base, r.corrected) for r in QUERIES["baseline_interp"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)

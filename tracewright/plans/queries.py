@@ -320,8 +320,9 @@ j AS (SELECT p.tile, p.cand, p.ord, p.x, p.y, s.x AS a, s.y AS ya, s.x2, s.y2, f
 SELECT tile, cand, ord, round(base, 6) AS base, round(y - (base - 50), 6) AS corrected FROM (SELECT *, CASE WHEN a IS NULL THEN fy WHEN x2 IS NULL OR x = a THEN ya ELSE ya + (y2 - ya) * (x - a) / (x2 - a) END AS base FROM j)""")
 def baseline_interp(spark, d):
     p = b.points(spark, d)
-    knots = p.where("cand % 50 < 10 AND ord % 4 = 0").select("tile", "x", "y")
-    q = resample.interpolate(p.where("ord % 5 = 1").select("tile", "x", "cand", "ord", "y"), knots, ["tile"])
+    first = p.groupBy("tile").agg(F.min("cand").alias("cand"))  # a tile's baseline curve: all of its points are knots
+    knots = p.join(first, ["tile", "cand"], "left_semi").select("tile", "x", "y")
+    q = resample.interpolate(p.select("tile", "x", "cand", "ord", "y"), knots, ["tile"])
     return q.select("tile", "cand", "ord", r(F.col("base")).alias("base"), r(resample.correct(F.col("y"), F.col("base"), F.lit(50.0))).alias("corrected"))
 
 

@@ -174,3 +174,16 @@ def test_rates_reach_hard_targets(spark):
     got = fitted.collect()
     assert min(r.rate for r in got) >= 0 and totals == pytest.approx(targets, rel=1e-3)
     assert [sum(r.rate * r.n_tokens * r.p[d] for r in got) for d in range(3)] == pytest.approx(totals)
+
+
+def test_looks_of_a_text(spark):
+    texts = ["aa bb aa [x] {y} \\ / #", "One. Two, three; four: 12 of 345!", "A", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    df = df.withColumn("ws", mixing.tokens_of(F.col("text"))).withColumn("got", mixing.features(F.col("text"), F.col("ws"), 1 << 30))
+    for i, t in enumerate(texts):
+        n, ws = max(len(t), 1), words(t)
+        count = lambda chars: sum(c in chars for c in t)  # noqa: B023, E731
+        looks = {"symbols": count("#*$%&|<>@^~={}[]\\/") / n, "stops": 4 * (count(".,;:!?") / n), "capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, "digits": count("0123456789") / n, "distinct": len(set(ws)) / max(len(ws), 1)}
+        names = [*ws, *(f" {name} {int(10 * x)}" for name, x in looks.items())]
+        want = spark.createDataFrame([(x,) for x in names], "x string").select(mixing.bucket(F.col("x"), 1 << 30).alias("b")).distinct()
+        assert set(df.collect()[i].got) == {r.b for r in want.collect()}

@@ -34,13 +34,13 @@ def tokens_of(text: Column) -> Column:
 
 
 def features(text: Column, words: Column, buckets: int) -> Column:
-    """A text's distinct buckets: of its words, and of a few of its looks (symbols, capitals, repeats), each in tenths."""
+    """A text's distinct buckets: of its words, and of a few of its looks (symbols, stops, capitals, digits, repeats), each in tenths."""
     n = F.greatest(F.length(text), F.lit(1))
     share = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) / F.coalesce(n, F.lit(1))
     distinct = F.array_distinct(F.transform(words, lambda w: bucket(w, buckets)))
 
     def with_looks(own: Column) -> Column:
-        looks = {"symbols": share("[#*$%&|<>@^~={}]"), "capitals": share("[A-Z]"), "distinct": F.size(own) / F.greatest(F.size(words), F.lit(1))}
+        looks = {"symbols": share(r"[#*$%&|<>@^~={}\[\]\\/]"), "stops": 4 * share("[.,;:!?]"), "capitals": share("[A-Z]"), "digits": share("[0-9]"), "distinct": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))}
         return F.array_union(own, F.array(*(bucket(F.concat(F.lit(f" {name} "), F.floor(10 * x).cast("string")), buckets) for name, x in looks.items())))
 
     return common.let(distinct, with_looks)

@@ -36,8 +36,8 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least id stays; rows equal in id and text are one document."""
-    found = near_duplicates(docs).where("kept").select("doc_id", "text_hash").distinct()
+    """Of each group of near duplicates the document with the least id stays (a similarity of 0.80 or more links); rows equal in id and text are one document."""
+    found = near_duplicates(docs, percent=80).where("kept").select("doc_id", "text_hash").distinct()
     rows = docs.withColumn("__text", F.xxhash64(F.coalesce("text", F.lit("")))).dropDuplicates(["doc_id", "__text"]).drop("__text")
     return _with(rows, found, "left_semi").select(*docs.columns)
 

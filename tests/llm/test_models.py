@@ -171,6 +171,16 @@ def test_long_near_duplicates_are_all_linked(spark):
     assert got == want
 
 
+def test_pipeline_links_from_080_on(spark, tmp_path):
+    import corpus_pipeline
+
+    base = [f"w{i}" for i in range(204)]
+    rows = [(1, base), (2, [*base[:182], *(f"x{i}" for i in range(22))]), (3, [*base[22:], *(f"y{i}" for i in range(28))])]
+    docs = spark.createDataFrame([(i, " ".join(ws)) for i, ws in rows], "doc_id long, text string")
+    # 1 and 2 share 178 of 222 shingles (0.802), 1 and 3 share 178 of 228 (0.781)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, str(tmp_path)).collect()) == [1, 3]
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(i, i + 1) for i in range(100, 140)] + [(5, 5)]

@@ -2,7 +2,8 @@
 
 Each line is tested alone: marks (too much punctuation or too many symbols, or a long run of words with no punctuation
 at all), navigation (a short unfinished line that opens with a menu word or is cut by separators) and boilerplate
-(fixed notices). Failing lines go; a document goes if more than `most_lost` percent of its word characters went.
+(fixed notices). Failing lines go; a document goes if more than `most_lost` percent of the characters of its lines (white space too) went.
+Limits count characters, white space too, not words or word characters: README.md says since when and what it changed.
 Everything is computed within a row, so there is no shuffle, and a document's length is the only thing that counts.
 """
 

@@ -48,6 +48,19 @@ def test_simple8b_packs_and_refuses():
         simple8b.unpack(b"notashard" + bytes(40))
 
 
+def test_simple8b_keeps_wide_ids():
+    ids = [2**32, 5, 2**60 - 1, 0, 2**32 - 1]
+    words, offsets = simple8b.encode(np.array(ids, np.uint64))
+    assert simple8b.decode(words, len(ids), offsets).tolist() == ids
+    doc_ids, counts, back, nulls = simple8b.unpack(simple8b.pack(np.array([-(2**63), 7]), np.array([1, 0, 4]), np.array(ids, np.uint64), 1))
+    assert (doc_ids.tolist(), counts.tolist(), back.tolist(), nulls) == ([-(2**63), 7], [1, 0, 4], ids, 1)
+
+
+def test_null_and_least_ids_differ(spark):
+    docs = spark.createDataFrame([(None, "a b"), (-(2**63), "c"), (None, "d"), (3, "e")], "doc_id long, text string")
+    assert [r.doc_id for r in sorted(read_tokens(write_tokens(docs, PATH, PATTERN, shard_ids=2)).collect(), key=lambda r: r.start)] == [None, None, -(2**63), 3]
+
+
 def test_counts_on_odd_rows(odd, odd_rows, empty):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(odd, PATH, PATTERN, limit=30, block_bytes=5000).collect())
     texts = [r[1] or "" for r in odd_rows]

@@ -19,9 +19,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset (local runs)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where that is unset, local runs get one of their own; a cluster does not."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -46,6 +48,12 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slots_for(docs: DataFrame, slot_bytes: int) -> int:
+    """How many slots keys are dealt out to: the shuffle's partitions, or more where the texts have more bytes than they should hold."""
+    n = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(partitions(docs.sparkSession), -(-int(n) // slot_bytes))
+
+
 def lowered(text: Column) -> Column:
     """A-Z only, as the contracts say."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

@@ -4,15 +4,16 @@ A 64-bit word holds a selector in its top 4 bits and ids in the other 60: SELECT
 bits. Selector 15 is the escape: one id that is too wide for the packed forms. Ids are coded in blocks of BLOCK ids;
 no word crosses a block, and each block's first word is in the offsets, so blocks decode alone and all at once.
 
-A shard file: MAGIC, then little-endian 64-bit counts of documents, ids and words; the documents' ids, their counts
-of ids, the blocks' offsets in words (one more than blocks), and the words.
+A shard file: MAGIC, then little-endian 64-bit counts of documents, ids, words and documents without an id, which come
+first; the other documents' ids, all documents' counts of ids, the blocks' offsets in words (one more than blocks), and
+the words.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-MAGIC = b"S8BTOK01"
+MAGIC = b"S8BTOK02"
 BLOCK = 1024
 #: Fixed values: (ids in a word, bits of an id), by selector.
 SELECTORS = ((60, 1), (30, 2), (20, 3), (15, 4), (12, 5), (10, 6), (8, 7), (7, 8), (6, 10), (5, 12), (4, 15), (3, 20), (2, 30))
@@ -76,7 +77,7 @@ def decode(words: np.ndarray, n: int, offsets: np.ndarray, block: int = BLOCK) -
     firsts = np.asarray(offsets[:-1], dtype=np.int64)
     begin = own_block * block + before - (before[firsts][own_block] if len(words) else 0)
     limit = np.minimum((own_block + 1) * block, n)
-    out = np.zeros(n, dtype=np.uint32)
+    out = np.zeros(n, dtype=np.uint64)
     for s in np.unique(selector):
         own = np.flatnonzero(selector == s)
         mask = np.uint64((1 << int(_BITS[s])) - 1)
@@ -87,22 +88,25 @@ def decode(words: np.ndarray, n: int, offsets: np.ndarray, block: int = BLOCK) -
     return out
 
 
-def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray) -> bytes:
-    """A shard file of documents in the order given."""
+def pack(doc_ids: np.ndarray, counts: np.ndarray, ids: np.ndarray, nulls: int = 0) -> bytes:
+    """A shard file of documents in the order given; `nulls` documents without an id stand before those of doc_ids."""
+    if len(doc_ids) + nulls != len(counts):
+        raise ValueError("every document needs its count")
     words, offsets = encode(ids)
-    head = np.array([len(doc_ids), len(ids), len(words)], dtype="<u8")
+    head = np.array([len(counts), len(ids), len(words), nulls], dtype="<u8")
     parts = (head, np.asarray(doc_ids, "<i8"), np.asarray(counts, "<u8"), offsets.astype("<u8"), words.astype("<u8"))
     return MAGIC + b"".join(x.tobytes() for x in parts)
 
 
-def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The documents' ids, their counts and all token ids of a shard file."""
+def unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The documents' ids, the counts of all documents, all token ids of a shard file, and how many documents have no id."""
     if data[:8] != MAGIC:
         raise ValueError("not a Simple-8b shard")
-    docs, n, n_words = (int(x) for x in np.frombuffer(data, "<u8", 3, 8))
-    doc_ids = np.frombuffer(data, "<i8", docs, 32)
-    counts = np.frombuffer(data, "<u8", docs, 32 + 8 * docs)
-    blocks = -(-n // BLOCK)
-    offsets = np.frombuffer(data, "<u8", blocks + 1, 32 + 16 * docs)
-    words = np.frombuffer(data, "<u8", n_words, 32 + 16 * docs + 8 * (blocks + 1))
-    return doc_ids, counts.astype(np.int64), decode(words, n, offsets)
+    docs, n, n_words, nulls = (int(x) for x in np.frombuffer(data, "<u8", 4, 8))
+    sizes = ((docs - nulls, "<i8"), (docs, "<u8"), (-(-n // BLOCK) + 1, "<u8"), (n_words, "<u8"))
+    parts, at = [], 40
+    for size, kind in sizes:
+        parts.append(np.frombuffer(data, kind, size, at))
+        at += 8 * size
+    doc_ids, counts, offsets, words = parts
+    return doc_ids, counts.astype(np.int64), decode(words, n, offsets), nulls

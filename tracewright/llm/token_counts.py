@@ -79,20 +79,17 @@ def pre_token_frequencies(docs: DataFrame, path: str, pattern: str, block_bytes:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, _SCHEMA)
 
 
-def _count(path: str):
-    """Puts the pieces of each pre-token in its key's place; all rows of a slot are in one partition, so each is counted once."""
+def _count(path: str, pattern: str):
+    """Puts the pieces of each pre-token in its key's place; all rows of a slot are in one partition, so each is counted once while the encoder's bounded memory holds it."""
 
     def run(batches):
-        known: dict[str, int] = {}
+        encoder = tokens.Encoder(path, pattern)
         for batch in batches:
             pieces = []
             for keys, sizes in zip(batch.column("keys").to_pylist(), batch.column("key_bytes").to_pylist(), strict=True):
                 raw, ends = _unzip(keys), np.cumsum(np.frombuffer(_unzip(sizes), "<u4")).tolist()
                 own = [raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
-                new = list(set(own).difference(known))
-                for key, e in zip(new, tokens.tokenizer(path).encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    known[key] = len(e.ids)
-                pieces.append(_zip(np.array([known[k] for k in own], "<u4")))
+                pieces.append(_zip(np.fromiter(map(len, encoder.of(own)), "<u4", len(own)) // 4))
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(pieces, pa.binary()), *(batch.column(c) for c in ("n_docs", "at", "freq", "ids", "n_bytes"))], names=["block", "pieces", "n_docs", "at", "freq", "ids", "n_bytes"])
 
     return run
@@ -109,14 +106,14 @@ def _sum(table: pa.Table) -> pa.Table:
     return pa.table({"doc_id": pa.array(first["ids"], pa.int64()), "n_bytes": pa.array(first["n_bytes"], pa.int64()), "n_tokens": pa.array(total)})
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, block_bytes: int = 16 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, block_bytes: int = 16 << 20, slot_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text; others are ignored).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and repeated or null ids give one row each. An empty
-    table gives an empty result. Strings of added tokens inside a text count as the library has them by default.
+    table gives an empty result. Pre-tokens are dealt out to a slot for each slot_bytes of the texts. Strings of added tokens inside a text count as the library has them by default.
     """
-    parts = common.partitions(docs.sparkSession)
+    parts = common.slots_for(docs, slot_bytes)
     found = pre_token_frequencies(docs, path, pattern, block_bytes, parts).repartition(parts, "slot")
-    counted = found.mapInArrow(_count(path), "block long, pieces binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>")
+    counted = found.mapInArrow(_count(path, pattern), "block long, pieces binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>")
     summed = counted.groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)

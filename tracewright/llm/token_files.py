@@ -47,33 +47,41 @@ def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int = 2, shar
     """Writes the shard files; returns their manifest, already written itself.
 
     A null text is the end id alone. Repeated ids keep all their rows; equal ids are ordered by text. A null id comes
-    first and is stored as -2^63. An empty table gives no shards.
+    first and is read back as null. An empty table gives no shards. Other columns of docs are ignored. A shard ends with
+    the document that brings it to shard_ids ids.
     """
     spark = docs.sparkSession
     folder = folder or common.new_path(spark, "tokens")
 
     def run(batches):
         part, attempt, encoder = TaskContext.get().partitionId(), uuid.uuid4().hex, tokens.encoder(path, pattern)
-        end, seq, doc_ids, held, size = np.array([end_id], "<u4").tobytes(), 0, [], [], 0
+        seq, held = 0, []  # what a shard holds so far: document ids, counts and token ids, in pieces
 
         def shard():
-            counts = np.array([len(x) // 4 for x in held])
-            data = simple8b.pack(np.array(doc_ids), counts, np.frombuffer(b"".join(held), "<u4"))
+            doc_ids = pa.chunked_array([x[0] for x in held])
+            counts, ids = (np.concatenate([x[i] for x in held]) for i in (1, 2))
+            data = simple8b.pack(doc_ids.drop_null().to_numpy(), counts, ids, doc_ids.null_count)
             uri = _put(folder, f"{part:06d}-{seq:06d}-{attempt}.s8b", data)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [uri], "n_docs": [len(held)], "n_ids": [int(counts.sum())], "n_bytes": [len(data)]})
-
-        for table in common.text_blocks(batches, 256 << 10):
-            for doc_id, ids in zip(table.column("doc_id").to_pylist(), encoder.encode(table.column("text").to_pylist()), strict=True):
-                doc_ids.append(doc_id)
-                held.append(ids + end)
-                size += len(ids) // 4 + 1
-            if size >= shard_ids:
-                yield shard()
-                seq, doc_ids, held, size = seq + 1, [], [], 0
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [uri], "n_docs": [len(counts)], "n_ids": [len(ids)], "n_bytes": [len(data)]})
+
+        size = 0
+        for table in common.text_blocks(batches, 8 << 20):
+            counts, ids = encoder.ids_of(table.column("text").to_pylist())
+            ids = np.insert(ids, np.cumsum(counts), end_id)
+            counts += 1
+            ends, doc_ids, at = np.cumsum(counts), table.column("doc_id").combine_chunks(), 0
+            while at < len(counts):
+                begin = ends[at] - counts[at]
+                stop = min(int(np.searchsorted(ends, begin + shard_ids - size)) + 1, len(counts))
+                held.append((doc_ids.slice(at, stop - at), counts[at:stop], ids[begin : ends[stop - 1]]))
+                size, at = size + int(ends[stop - 1] - begin), stop
+                if size >= shard_ids:
+                    yield shard()
+                    seq, held, size = seq + 1, [], 0
         if held:
             yield shard()
 
-    ordered = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(common.partitions(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     return common.written(ordered.mapInArrow(run, _MANIFEST), "token-manifest")
 
@@ -92,12 +100,14 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             for uri, start in zip(batch.column("path").to_pylist(), batch.column("start").to_pylist(), strict=True):
-                doc_ids, counts, ids = simple8b.unpack(_get(uri))
+                doc_ids, counts, ids, nulls = simple8b.unpack(_get(uri))
+                if len(ids) and int(ids.max()) >> 32:
+                    raise ValueError(f"{uri} holds an id of more than 32 bits, which ids_crc32 does not cover")
                 ends = np.cumsum(counts)
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(doc_ids, pa.int64()), pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                own = pa.chunked_array([pa.nulls(nulls, pa.int64()), pa.array(doc_ids, pa.int64())]).combine_chunks()
+                yield pa.RecordBatch.from_arrays([own, pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     found = with_starts(manifest).select("path", "start").repartition(common.partitions(manifest.sparkSession), "path")
-    rows = found.mapInArrow(run, _ROW)
-    return rows.withColumn("doc_id", F.when(F.col("doc_id") != -(2**63), F.col("doc_id")))
+    return found.mapInArrow(run, _ROW)

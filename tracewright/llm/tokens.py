@@ -12,11 +12,16 @@ import json
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 
 #: Two neighbouring white-space characters (Python's \s holds every Unicode one).
 _RUNS = re.compile(r"\s\s")
+#: White space that texts hardly hold, in every library's sense of the word.
+_MARKS = ("\u2028", "\u2029", "\x85", "\u1680")
 
 
 def tokenizer_of(path: str):
@@ -35,16 +40,35 @@ def tokenizer(path: str):
     return tokenizer_of(path)
 
 
-@lru_cache(maxsize=4)
-def word_tokenizer(path: str):
-    """The same vocabulary and merges for pre-tokens that stand in lines of one string, or None if the file cuts texts otherwise than bytes by pattern."""
-    from tokenizers import pre_tokenizers
+#: The character that byte-level vocabularies write for each byte; printable ones stand for themselves.
+_STAY = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_CHARACTER = np.full(256, 0, dtype="<u2")
+_CHARACTER[_STAY] = _STAY
+_CHARACTER[np.setdiff1d(np.arange(256), _STAY)] = 0x100 + np.arange(256 - len(_STAY))
+
 
-    out = tokenizer_of(path)
-    kind = json.loads(out.to_str())["pre_tokenizer"] or {}
-    if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or out.normalizer is not None:
+@lru_cache(maxsize=4)
+def _model(path: str):
+    """The tokeniser's model, which merges one pre-token, or None if the file cuts texts otherwise than bytes by pattern."""
+    found = tokenizer(path)
+    kind = json.loads(found.to_str())["pre_tokenizer"] or {}
+    if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or found.normalizer is not None:
         return None
-    out.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split("\n", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return found.model
+
+
+def merged(pre: list[str], path: str) -> list[bytes]:
+    """Each pre-token's ids as little-endian unsigned 32-bit bytes. The library's model takes them as byte-level characters; a string of an added token goes through the whole library."""
+    model, cut = _model(path), specials(path)
+    if model is None:
+        return [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(pre, add_special_tokens=False)]
+    raw = np.frombuffer(b"\xff".join([x.encode() for x in pre]), np.uint8)
+    names = _CHARACTER[raw].tobytes().decode("utf-16-le").split(chr(_CHARACTER[0xFF])) if pre else []
+    out = [array("I", [t.id for t in model.tokenize(x)]).tobytes() for x in names]
+    if cut:
+        for i, x in enumerate(pre):
+            if not x[1:].isalpha() and cut.search(x):
+                out[i] = array("I", tokenizer(path).encode(x, add_special_tokens=False).ids).tobytes()
     return out
 
 
@@ -84,52 +108,96 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
     One memory, cleared when full, holds the ids of groups as pre_tokens() cuts them and of the tokeniser's own
-    pre-tokens, so that most of a text is one look-up a word and the library merges each pre-token once.
+    pre-tokens, so that a distinct group is one look-up and the library merges each pre-token once.
     """
 
     def __init__(self, path: str, pattern: str, most: int = 900_000):
         self.path, self.pattern, self.most = path, pattern, most
         self.known: dict[str, bytes] = {}
 
-    def _cut(self, group: str) -> list[str]:
-        """A group's pre-tokens: letters after at most one space are one, and a comma or full stop after them is another."""
-        if group[-1] in ",." and group[1:-1].isalpha() and (group[0] == " " or group[0].isalpha()):
-            return [group[:-1], group[-1]]
-        cut = specials(self.path)
-        return [group] if cut and cut.search(group) else _pattern(self.pattern).findall(group)
+    def _cut(self, groups: list[str]) -> list[list[str]]:
+        """Each group's pre-tokens. Most groups are cut together, in one string between separators that are white space of their own."""
+        cut, find = specials(self.path), _pattern(self.pattern).findall
+        alone = {i: [g] if cut and cut.search(g) else find(g) for i, g in enumerate(groups) if g[-1].isspace() or g[0] != " " and g[0].isspace() or cut and cut.search(g)}
+        joined = [g for i, g in enumerate(groups) if i not in alone]
+        text = "".join(joined)
+        mark = next((x for x in _MARKS if x not in text), None)
+        if mark is None:
+            found = list(map(find, joined))
+        else:
+            found, own = [], []
+            for x in find(mark.join(joined)):
+                if x == mark:
+                    found.append(own)
+                    own = []
+                else:
+                    own.append(x)
+            found += [own] if joined else []
+        rest = iter(found)
+        return [alone[i] if i in alone else next(rest) for i in range(len(groups))]
 
     def learn(self, groups: set[str]) -> None:
         known = self.known
         if len(known) > self.most:
             known.clear()
-        whole = [g for g in groups if g[1:].isalpha() and (g[0] == " " or g[0].isalpha()) or len(g) == 1]
-        parts = {g: self._cut(g) for g in groups.difference(whole)}
-        new = [*whole, *{x for cut in parts.values() for x in cut}.difference(known, whole)]
-        cut, words = specials(self.path), word_tokenizer(self.path)
-        alone = [x for x in new if words is None or "\n" in x or not x[1:].isalpha() and cut and cut.search(x)]
-        joined = list(set(new).difference(alone)) if alone else new
-        for key, e in zip(alone, tokenizer(self.path).encode_batch_fast(alone, add_special_tokens=False), strict=True):
-            known[key] = array("I", e.ids).tobytes()
-        for i in range(0, len(joined), 2000):
-            own = joined[i : i + 2000]
-            e = words.encode("\n".join(own), add_special_tokens=False)
-            raw, ends = array("I", e.ids).tobytes(), (np.searchsorted(np.array(e.word_ids), np.arange(len(own)), side="right") * 4).tolist()
-            known.update(zip(own, [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)], strict=True))
+        known[""] = b""
+        whole = [g for g in groups if g and (g[1:].isalpha() and (g[0] == " " or g[0].isalpha()) or len(g) == 1)]
+        rest = list(groups.difference(whole, [""]))
+        parts = self._cut(rest)
+        new = [*whole, *set(chain.from_iterable(parts)).difference(known, whole)]
+        known.update(zip(new, merged(new, self.path), strict=True))
         get = known.__getitem__
-        for g, own in parts.items():
-            known[g] = b"".join(map(get, own))
+        known.update(zip(rest, [b"".join(map(get, own)) for own in parts], strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Meant for a few hundred thousand characters at a time: their groups are held together."""
-        cuts = [pre_tokens(x, self.pattern, self.path) for x in texts]
-        get = self.known.get
-        found = [list(map(get, x)) for x in cuts]
-        missing = [(k, i) for k, ids in enumerate(found) if None in ids for i, x in enumerate(ids) if x is None]
+    def of(self, groups: list[str]) -> list[bytes]:
+        """Each group's ids."""
+        found = list(map(self.known.get, groups))
+        missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
-            self.learn({cuts[k][i] for k, i in missing})
-            for k, i in missing:
-                found[k][i] = self.known[cuts[k][i]]
-        return [b"".join(x) for x in found]
+            self.learn({groups[k] for k in missing})
+            for k in missing:
+                found[k] = self.known[groups[k]]
+        return found
+
+    def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each text has, and the ids of all texts one after another.
+
+        Arrow cuts the texts at spaces and numbers their distinct groups, so Python sees each distinct group of the
+        texts once. Meant for a few million characters at a time: their groups are held together.
+        """
+        plain = [_RUNS.search(x) is None for x in texts]
+        cut = pa.compute.split_pattern(pa.array([x if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()), " ")
+        coded = cut.flatten().dictionary_encode()
+        lengths, code = np.diff(cut.offsets.to_numpy()), coded.indices.to_numpy().astype(np.int64)
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        keys = [" " + w for w in words]
+        # A text's first group has no space before it.
+        heads = np.cumsum(lengths) - lengths
+        distinct, own = np.unique(code[heads], return_inverse=True)
+        code[heads] = len(keys) + own
+        keys += [words[c] for c in distinct.tolist()]
+        doc = np.repeat(np.arange(len(texts)), lengths)
+        if not all(plain):
+            parts = [(i, pre_tokens(x, self.pattern, self.path)) for i, (x, p) in enumerate(zip(texts, plain, strict=True)) if not p]
+            places: dict[str, int] = {}
+            more = [places.setdefault(g, len(keys) + len(places)) for _, x in parts for g in x]
+            keys += places
+            code, doc = np.append(code, np.array(more, dtype=np.int64)), np.append(doc, np.repeat([i for i, _ in parts], [len(x) for _, x in parts]))
+            order = np.argsort(doc, kind="stable")
+            code, doc = code[order], doc[order]
+        for k in np.flatnonzero(np.bincount(code, minlength=len(keys)) == 0).tolist():
+            keys[k] = ""  # a word that only begins texts
+        found = self.of(keys)
+        raw, n = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+        each = n[code]
+        at = np.repeat((np.cumsum(n) - n)[code] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        return np.bincount(doc, weights=each, minlength=len(texts)).astype(np.int64), raw[at]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids."""
+        counts, ids = self.ids_of(texts)
+        ends, raw = (np.cumsum(counts) * 4).tolist(), ids.tobytes()
+        return [raw[a:z] for a, z in zip([0, *ends], ends, strict=False)]
 
 
 @lru_cache(maxsize=2)

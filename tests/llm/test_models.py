@@ -137,6 +137,30 @@ def test_near_duplicates_like_brute_force(spark, odd, odd_rows, empty):
     assert near_dedup.near_duplicates(odd).count() == len(odd_rows)
 
 
+def test_near_duplicates_without_ids(spark):
+    """A null id gives way to any other; where links reach no id all rows are kept."""
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(None, text), (7, text), (None, text + " x"), (None, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
+    got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())))
+    assert got == sorted(map(str, [(7, 6, 7, True), (None, 6, 7, False), (None, 7, 7, False), (None, 2, None, True), (None, 2, None, True), (None, 0, None, True)]))
+
+
+def test_a_hot_bucket_is_a_grid(spark, monkeypatch):
+    """Texts of one template, most of them below the threshold, meet in buckets of many parts."""
+    monkeypatch.setattr(near_dedup, "GRID", 8)
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for k in range(90):
+        copy = list(base)
+        for at in rng.sample(range(120), rng.choice([1, 2, 5, 6])):
+            copy[at] = f"x{rng.randrange(10**6)}"
+        rows.append((k, " ".join(copy)))
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want, _ = components_of(rows)
+    assert {r.doc_id: r.component_id for r in got} == {k: want.get(k, k) for k, _ in rows} and len(set(want.values())) > 1
+
+
 def test_sketch_estimates():
     rng = random.Random(3)
     for j in (0.7, 0.85, 0.95):

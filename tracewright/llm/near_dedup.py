@@ -31,6 +31,8 @@ from tracewright.llm.components import components
 WORDS, BANDS, ROWS, BITS = 5, 30, 5, 512
 #: Bits of the odd sketch of a whole set, and by how many standard deviations they may differ more than expected at the threshold.
 SET_BITS, SET_DEVIATIONS = 2048, 5
+#: Members of a bucket that one task compares with as many others.
+GRID = 256
 _SCHEMA = "doc_id long, text_hash long, node long, n_shingles long, bands array<long>, sketch array<long>, parity array<long>"
 _C = np.uint64(0x9E3779B97F4A7C15)
 
@@ -154,16 +156,26 @@ def shingles(text: Column) -> Column:
     return common.let(common.space_words(common.lowered(text)), made)
 
 
-def confirm(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """pairs (a, b) with linked: whether 100 * intersection >= percent * union of the full sets. The text of a travels to b."""
-    first = pairs.select("a", "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = first.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+def confirm(pairs: DataFrame, texts: DataFrame, percent: int, most: int = 64) -> DataFrame:
+    """pairs (a, b), already written, with linked: whether 100 * intersection >= percent * union of the full sets.
+
+    The text of a travels to b. An end of many pairs has its text in a place for each `most` of them, so no task holds
+    all pairs of a hub.
+    """
+    both, places = pairs.select("a", "b"), {}
+    for end, other in (("a", "b"), ("b", "a")):
+        places[end] = pairs.groupBy(end).agg(F.ceil(F.count("*") / most).cast("int").alias("places"))
+        both = both.join(places[end], end).withColumn(f"at_{end}", F.pmod(F.xxhash64(other), F.col("places")).cast("int")).drop("places")
+    for end in ("a", "b"):
+        own = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).join(places[end], end)
+        both = both.join(own.withColumn(f"at_{end}", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places"), [end, f"at_{end}"])
     sets = both.select("a", "b", shingles(F.col("text_a")).alias("x"), shingles(F.col("text_b")).alias("y"))
     common_n = F.size(F.array_intersect("x", "y"))
     return sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), common_n.alias("n")).select("a", "b", (100 * F.col("n") >= percent * (F.col("nx") + F.col("ny") - F.col("n"))).alias("linked"))
 
 
 def _best(pairs: DataFrame, by: list[str], most: int) -> DataFrame:
+    """The likeliest pairs of each group; one row a pair."""
     order = Window.partitionBy(*by).orderBy(F.desc("estimate"), "b")
     return pairs.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).drop("place")
 
@@ -199,7 +211,7 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
     sets = set_estimate(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))
     may_reach = set_may_reach(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"), percent)
     met = met.where(may_reach).select("a", "b", sets.alias("estimate"))
-    tested = more = common.written(confirm(_best(met, ["a"], 1), texts, percent), "tested")
+    tested = more = common.written(confirm(common.written(_best(met, ["a"], 1).select("a", "b"), "pairs"), texts, percent), "tested")
     label = None
     for turn in range(rounds + 1):
         links = more.where("linked").select("a", "b")
@@ -211,18 +223,21 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
             labelled = common.written(labelled, "labelled-buckets")
             # The buckets whose members are in several components, and the component that most are in.
             sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top")).where(F.col("k") > 1).select("bucket", F.col("top.label").alias("top"))
+            mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where(F.col("k") > 1).select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("n") / GRID).cast("int").alias("parts"))
             left = common.written(labelled.join(mixed, "bucket").join(classes.select("node", "n_shingles", "sketch", "parity", "bands"), "node"), "mixed-buckets")
-            a = left.where(F.col("label") != F.col("top")).select("bucket", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"), F.col("bands").alias("bands_a"))
-            b = left.select("bucket", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"), F.col("bands").alias("bands_b"))
+            # A large bucket is a grid: its members are dealt into parts, and each part of a meets each part of b in a task of its own.
+            part, every = F.pmod(F.xxhash64("bucket", "node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            a = left.where(F.col("label") != F.col("top")).select("bucket", part.alias("i"), every.alias("j"), F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"), F.col("bands").alias("bands_a"))
+            b = left.select("bucket", every.alias("i"), part.alias("j"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"), F.col("bands").alias("bands_b"))
             once = (F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))  # two members outside the top component meet once
             first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True))
             here = F.get("bands_a", first.cast("int") - 1) == a.bucket  # a pair that meets in several buckets leaves the first of them alone
-            close = a.join(b, (a.bucket == b.bucket) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & may_reach & here)
+            close = a.join(b, (a.bucket == b.bucket) & (a.i == b.i) & (a.j == b.j) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & may_reach & here)
             close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")), "close-pairs")
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         fresh = close.join(known, ["a", "b"], "left_anti")
-        more = common.written(confirm(_best(fresh, ["a", "label_b"], 2) if turn < rounds else fresh, texts, percent), "tested")
+        fresh = _best(fresh, ["a", "label_b"], 2) if turn < rounds else fresh
+        more = common.written(confirm(common.written(fresh.select("a", "b"), "pairs"), texts, percent), "tested")
         if not more.take(1):
             break
         tested = tested.unionByName(more)
@@ -235,17 +250,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15) ->
 
     component_id: the least doc_id that links reach; kept: whether it is the row's own. Texts without words, null ones
     too, have an empty set and are linked with nothing, each its own component. Repeated rows are copies of each
-    other and share component and verdict. margin: how far a sketch's estimate may fall below the threshold before a
-    pair is left unconfirmed (five standard deviations).
+    other and share component and verdict. A null doc_id comes after all others: such a row gives way to any row with an
+    id, and where links reach no id the component_id is null and all of its rows are kept. margin: how far a sketch's
+    estimate may fall below the threshold before a pair is left unconfirmed (five standard deviations). An empty table
+    gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     signed = common.written(sign(docs), "signatures")
-    classes = signed.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "n_shingles", "bands", "sketch", "parity")).alias("x"))
-    classes = common.written(classes.select("node", "first", "x.*"), "classes")
+    classes = signed.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "doc_id", "n_shingles", "bands", "sketch", "parity")).alias("x"))
+    classes = common.written(classes.select("node", "first", F.col("x.doc_id").alias("one"), "x.text_hash", "x.n_shingles", "x.bands", "x.sketch", "x.parity"), "classes")
 
     def texts_of(nodes: DataFrame) -> DataFrame:
-        wanted = classes.join(nodes, "node", "left_semi").select("text_hash", "node")
-        return docs.select("text_hash", "text").join(wanted, "text_hash").groupBy("node").agg(F.min("text").alias("text"))
+        """One row of each class gives its text, so a text of many copies is no hot key."""
+        wanted = classes.join(nodes, "node", "left_semi").select("one", F.col("text_hash").alias("hash"), "node")
+        return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("text_hash") == F.col("hash"))).groupBy("node").agg(F.min("text").alias("text"))
 
     label = find_components(classes, texts_of, percent, percent / 100 - margin)
     firsts = classes.select("node", "first")

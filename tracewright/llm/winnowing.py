@@ -4,15 +4,18 @@ Texts are cut into words; every `k` consecutive words have a hash, and of every
 kept as a fingerprint, with its place. Any span of k + w - 1 words that two texts share holds a fingerprint of both at
 the same place of the span, so with k + w - 1 = SPAN no shared span of SPAN words is missed. Fingerprints of documents
 and items are joined on the hash; each hit is extended to the spans that hold it, and these are compared word for word
-with the items' spans. Items shorter than SPAN are one window; for their few lengths (at most SPAN - 1) all places of
-the documents are candidates.
+with the items' spans. Items shorter than SPAN are one window; for their few lengths (at most SPAN - 1) the hashes of
+all places of the documents are probed, and strings are made of hits only.
 
-No more than the fingerprints (a third of the words) is exploded, only hits are shuffled, and the benchmark's side is
-broadcast only where Spark's own size limit (spark.sql.autoBroadcastJoinThreshold) admits it.
+The fingerprints (a third of the words) are exploded, and a hash for each place and short length that the benchmark has;
+only hits are shuffled, and the benchmark's side is broadcast only where Spark's own size limit
+(spark.sql.autoBroadcastJoinThreshold) admits it.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +55,24 @@ def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
     return cut.select("item_id", length.alias("length"), F.explode(F.array_distinct(made)).alias("window"))
 
 
-def find_hits(docs: DataFrame, items: DataFrame, k: int, w: int) -> DataFrame:
-    """doc_id, text_hash and the places at which a document's fingerprint is an item's, too."""
-    marks = items.select(F.explode(fingerprints(common.words(F.col("text")), k, w)).alias("f")).select("f.h").distinct()
-    own = docs.select("doc_id", "text_hash", F.explode(common.let(common.words(F.col("text")), lambda ws: fingerprints(ws, k, w))).alias("f"))
-    hits = own.select("doc_id", "text_hash", "f.h", "f.i").join(marks, "h", "left_semi")
-    return hits.groupBy("doc_id", "text_hash").agg(F.collect_set("i").alias("places"))
+def find_hits(docs: DataFrame, items: DataFrame, short: list[int], k: int, w: int) -> DataFrame:
+    """doc_id, text_hash, and the places `at` (n, i) at which a document has an item's fingerprint (n = 0) or, by hash, a short item of n words."""
+    cut = items.where(F.col("item_id").isNotNull()).select(common.words(F.col("text")).alias("words"))
+    long = cut.where(F.size("words") >= k + w - 1).select(F.lit(0).alias("n"), F.explode(fingerprints(F.col("words"), k, w)["h"]).alias("h"))
+    marks = [long, *(cut.where(F.size("words") == n).select(F.lit(n).alias("n"), gram_hash(F.col("words"), F.lit(0), n).alias("h")) for n in short)]
+    marks = reduce(DataFrame.unionByName, marks).distinct()
+
+    def probes(ws: Column) -> Column:
+        entry = lambda n, h, i: F.struct(F.lit(n).alias("n"), h.alias("h"), i.alias("i"))
+        probe = lambda n: lambda i: entry(n, gram_hash(ws, i, n), i)
+        own = [F.transform(fingerprints(ws, k, w), lambda f: entry(0, f["h"], f["i"]))]
+        for n in short:
+            places = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
+            own.append(F.transform(places, probe(n)))
+        return F.concat(*own)
+
+    own = docs.select("doc_id", "text_hash", F.explode(common.let(common.words(F.col("text")), probes)).alias("f")).select("doc_id", "text_hash", "f.*")
+    return own.join(marks, ["n", "h"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("n", "i")).alias("at"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = 6, span: int = SPAN) -> DataFrame:
@@ -65,43 +80,35 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 6, span: int = SPA
 
     Null texts have no words, hence no hits. Items without words or with a null id are ignored; repeated items count
     by their distinct ids. Repeated rows give equal rows, one each; a null doc_id is a value like any other. An empty
-    benchmark contaminates nothing.
+    benchmark contaminates nothing. Only documents with hits have their spans cut and compared; the others meet them at
+    the end, by their own keys.
     """
     w = span - k + 1
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
     windows = item_windows(items, span)
     short = sorted(r.length for r in windows.where(F.col("length") < span).select("length").distinct().collect())  # at most span - 1 numbers
-    hits = find_hits(docs, items, k, w).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "places")
-    joined = docs.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash")), "left")
+    hits = find_hits(docs, items, short, k, w).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "at")
+    same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
 
     def candidates(ws: Column) -> Column:
-        """A first entry that stands for the document itself, then the spans around hits and all of the short lengths."""
-        entry = lambda s, n, text: F.struct(s.cast("int").alias("s"), F.lit(n).alias("length"), text.alias("window"))
-        of_length = lambda n: lambda s: entry(s, n, F.array_join(F.slice(ws, s + 1, n), " "))
-        last = F.size(ws) - span
-        around = F.flatten(F.transform(F.col("places"), lambda p: F.sequence(p - (w - 1), p)))
-        starts = F.filter(F.array_distinct(around), lambda s: (s >= 0) & (s <= last))
-        found = [F.array(entry(F.lit(-1), 0, F.lit(""))), F.coalesce(F.transform(starts, of_length(span)), F.array().cast("array<struct<s:int,length:int,window:string>>"))]
-        for n in short:
-            places = F.when(F.size(ws) >= n, F.sequence(F.lit(0), F.size(ws) - n)).otherwise(F.array().cast("array<int>"))
-            found.append(F.transform(places, of_length(n)))
-        return F.struct(F.size(ws).alias("n_words"), F.concat(*found).alias("c"))
+        """The spans around fingerprints' hits, and the short ones that were hit."""
+        entry = lambda s, n: F.struct(s.cast("int").alias("s"), n.cast("int").alias("length"), F.array_join(F.slice(ws, s + 1, n), " ").alias("window"))
+        around = F.flatten(F.transform(F.filter("at", lambda p: p["n"] == 0), lambda p: F.sequence(p["i"] - (w - 1), p["i"])))
+        starts = F.filter(F.array_distinct(around), lambda s: (s >= 0) & (s <= F.size(ws) - span))
+        return F.concat(F.transform(starts, lambda s: entry(s, F.lit(span))), F.transform(F.filter("at", lambda p: p["n"] > 0), lambda p: entry(p["i"], p["n"])))
 
-    spans = joined.select("doc_id", "text_hash", common.let(common.words(F.col("text")), candidates).alias("x"))
-    spans = spans.select("doc_id", "text_hash", F.col("x.n_words").cast("long").alias("n_words"), F.explode("x.c").alias("c")).select("doc_id", "text_hash", "n_words", "c.*")
+    spans = docs.join(hits, same).select("doc_id", "text_hash", F.explode(common.let(common.words(F.col("text")), candidates)).alias("c")).select("doc_id", "text_hash", "c.*")
     known = windows.groupBy("length", "window").agg(F.collect_set("item_id").alias("item_ids"))
-    checked = spans.join(known, ["length", "window"], "left").where((F.col("s") < 0) | F.col("item_ids").isNotNull())
+    checked = spans.join(known, ["length", "window"])
     # Spans in order: each adds the words that those before it have not covered.
     one = F.struct(F.col("s"), (F.col("s") + F.col("length")).alias("e"))
-    grouped = checked.groupBy("doc_id", "text_hash", "n_words").agg(
-        F.count_if(F.col("s") < 0).alias("copies"), F.array_sort(F.collect_set(F.when(F.col("s") >= 0, one))).alias("spans"), F.flatten(F.collect_set("item_ids")).alias("found")
-    )
+    grouped = checked.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(one)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
     step = lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n"))
-    out = grouped.select(
-        "doc_id", "text_hash", "n_words", F.aggregate("spans", zero, step, lambda acc: acc["n"]).cast("long").alias("n_hit"), F.array_sort(F.array_distinct("found")).alias("item_ids"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")
-    ).drop("copy")
-    return out.withColumn("n_items", F.size("item_ids").cast("long"))
+    found = grouped.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.aggregate("spans", zero, step, lambda acc: acc["n"]).cast("long").alias("n_hit"), "item_ids")
+    rows = docs.select("doc_id", "text_hash", F.size(common.words(F.col("text"))).cast("long").alias("n_words")).join(found, same, "left")
+    ids = F.coalesce("item_ids", F.array().cast("array<string>"))
+    return rows.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"))
 
 
 SQL = r"""

@@ -15,6 +15,7 @@ answers and counts travel packed, one row for each block and slot.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -30,6 +31,8 @@ START, END = b"\xfe", b"\xff"
 #: The end token's key: a word never holds a space.
 END_WORD = xxhash.xxh3_64_intdigest(b" ")
 GRAM, WORD = 0, 1
+#: Slots of the keys at most: each block has a row for every slot. Beyond, a slot's requests are dealt out to several places.
+MOST_SLOTS = 4096
 _PACK = "slot int, kind int, keys binary, counts binary, n_keys long, n_sum long"
 _ARROW = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), ("n_sum", pa.int64())])
 
@@ -121,10 +124,21 @@ def count(docs: DataFrame, order: int, slots: int, chunk: int = 4 << 20) -> Data
             for i in range(0, len(out), 64):
                 yield pa.RecordBatch.from_pylist(out[i : i + 64], schema=_ARROW)
 
-    def merge(key, table):
-        got = table.to_pylist()
-        keys, counts = added(np.concatenate([np.frombuffer(common.unpacked(r["keys"]), np.uint64) for r in got]), np.concatenate([np.frombuffer(common.unpacked(r["counts"]), np.int64) for r in got]))
-        return pa.Table.from_pylist([{"slot": key[0].as_py(), "kind": key[1].as_py(), "keys": common.packed(keys), "counts": common.packed(counts), "n_keys": len(keys), "n_sum": int(counts.sum())}], schema=_ARROW)
+    def merge(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """One row a slot. Memory holds the slot's distinct keys and as many new ones, however many rows come."""
+        keys, counts, held, size = np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
+
+        def folded():
+            return added(np.concatenate([keys, *(x for x, _ in held)]), np.concatenate([counts, *(n for _, n in held)]))
+
+        for batch in batches:
+            for k, n in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                held.append((np.frombuffer(common.unpacked(k), np.uint64), np.frombuffer(common.unpacked(n), np.int64)))
+                size += len(held[-1][0])
+                if size > max(len(keys), 1 << 20):
+                    (keys, counts), held, size = folded(), [], 0
+        keys, counts = folded()
+        yield pa.RecordBatch.from_pylist([{"slot": key[0].as_py(), "kind": key[1].as_py(), "keys": common.packed(keys), "counts": common.packed(counts), "n_keys": len(keys), "n_sum": int(counts.sum())}], schema=_ARROW)
 
     return docs.mapInArrow(run, _PACK).groupBy("slot", "kind").applyInArrow(merge, _PACK)
 
@@ -187,17 +201,22 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20) -> DataFrame:
+def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20, slot_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text; others are ignored).
 
     Documents whose crc32(doc_id as text) mod folds is `held` are not learnt from. A null text is empty: one token, its
     end. A null id counts as the empty text for the fold. Repeated rows are counted and scored as often as they stand.
     Without training texts every symbol has probability 1/256 and the base is 0. Words are told apart by 64-bit hashes.
+    An empty table gives an empty result. Keys are dealt out to a slot for each slot_bytes of the texts. docs must give
+    its rows in the same order when it is read again, as files do: a row's block follows its place.
     """
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6")
     spark = docs.sparkSession
-    slots = common.partitions(spark)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    blocks = max(1, -(-int(size) // block_bytes))
+    slots = max(common.partitions(spark), min(-(-int(size) // slot_bytes), MOST_SLOTS))
+    places = max(1, -(-int(size) // (4 * slots * slot_bytes)))  # of a slot's requests, and of its part of the model
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (common.crc_mod(F.col("doc_id"), folds) == held).alias("held_out"))
     counted = common.written(count(docs, order, slots), "counted")
     totals = counted.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n_sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_keys"), F.lit(0)).alias("v")).first()
@@ -211,9 +230,9 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
     strings = string_values(counted, order).groupBy("slot").applyInArrow(gather, "slot int, kind int, keys binary, values binary")
     model = common.written(strings.unionByName(counted.where(F.col("kind") == WORD).select("slot", "kind", "keys", F.col("counts").alias("values"))), "model")
 
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-int(size) // block_bytes))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int")).repartition(max(slots, min(blocks, 100_000)), "block")
+    # Rows are dealt, not values: rows that repeat go to many blocks.
+    turn = F.monotonically_increasing_id().bitwiseAND(1023)
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", turn), F.lit(blocks)).cast("int")).repartition(max(slots, min(blocks, 100_000)), "block")
 
     def request(key, table):
         out, texts = [], _texts(table)
@@ -226,17 +245,23 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
                 begin = end
         return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "slot": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "keys": pa.array([x[3] for x in out], pa.binary())})
 
-    def answer(key, asked, known):
-        kind, rows, out = key[1].as_py(), known.to_pylist(), []
-        dtype = np.float64 if kind == GRAM else np.int64
-        keys = np.frombuffer(common.unpacked(rows[0]["keys"]), np.uint64) if rows else np.zeros(0, np.uint64)
-        values = np.frombuffer(common.unpacked(rows[0]["values"]), dtype) if rows else np.zeros(0, dtype)
-        for r in asked.to_pylist():
-            own = np.frombuffer(common.unpacked(r["keys"]), np.uint64)
-            at = np.minimum(np.searchsorted(keys, own), max(len(keys) - 1, 0))
-            got = np.where(keys[at] == own, values[at], 0) if len(keys) else np.zeros(len(own), dtype)
-            out.append((r["block"], key[0].as_py(), kind, common.packed(got.astype(dtype))))
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "slot": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "values": pa.array([x[3] for x in out], pa.binary())})
+    def answer(batches):
+        """Rows come by slot, kind and place, the model's before the requests: one slot of the model and one request are held at a time."""
+        place, keys, values = None, None, None
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                dtype = np.float64 if r["kind"] == GRAM else np.int64
+                if place != (own := (r["slot"], r["kind"], r["place"])):
+                    place, keys, values = own, np.zeros(0, np.uint64), np.zeros(0, dtype)
+                asked = np.frombuffer(common.unpacked(r["keys"]), np.uint64)
+                if r["values"] is not None:
+                    keys, values = asked, np.frombuffer(common.unpacked(r["values"]), dtype)
+                    continue
+                at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
+                got = np.where(keys[at] == asked, values[at], 0) if len(keys) else np.zeros(len(asked), dtype)
+                out.append((r["block"], r["slot"], r["kind"], common.packed(got.astype(dtype))))
+            yield pa.RecordBatch.from_pydict({"block": pa.array([x[0] for x in out], pa.int32()), "slot": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "values": pa.array([x[3] for x in out], pa.binary())})
 
     def add_up(table, answers):
         texts, got = _texts(table), {(r["kind"], r["slot"]): r["values"] for r in answers.to_pylist()}
@@ -262,6 +287,9 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
         return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out")} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
 
     requests = dealt.groupBy("block").applyInArrow(request, "block int, slot int, kind int, keys binary")
-    answers = requests.groupBy("slot", "kind").cogroup(model.groupBy("slot", "kind")).applyInArrow(answer, "block int, slot int, kind int, values binary")
+    known = model.select("slot", "kind", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), F.lit(-1).alias("block"), "keys", "values")
+    asked = requests.select("slot", "kind", F.pmod("block", F.lit(places)).alias("place"), "block", "keys", F.lit(None).cast("binary").alias("values"))
+    both = known.unionByName(asked).repartition(min(2 * slots * places, 100_000), "slot", "kind", "place").sortWithinPartitions("slot", "kind", "place", "block")
+    answers = both.mapInArrow(answer, "block int, slot int, kind int, values binary")
     scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")

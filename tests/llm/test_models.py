@@ -247,6 +247,29 @@ def test_zip_directories():
         warc_zip.member_start(packed, warc_zip.directory(packed, len(packed.getvalue()))[0])
 
 
+def test_cut_archives_are_refused():
+    """Every byte of the directory and of the end records cut or spoilt gives a ValueError or an equal directory, never another error."""
+    raw = io.BytesIO()
+    with zipfile.ZipFile(raw, "w", zipfile.ZIP_STORED) as z, z.open(zipfile.ZipInfo("a"), "w", force_zip64=True) as f:
+        f.write(b"hello")
+    data = raw.getvalue()
+    for cut in range(len(data)):
+        with pytest.raises(ValueError):
+            warc_zip.directory(io.BytesIO(data[:cut]), cut)
+    entry = {"size": 0xFFFFFFFF, "packed": 5, "offset": 0xFFFFFFFF}
+    assert warc_zip.widened(entry, b"\x02\x00\x01\x00z" + b"\x01\x00\x10\x00" + (7).to_bytes(8, "little") + (9).to_bytes(8, "little")) == {"size": 7, "packed": 5, "offset": 9}
+    for short in (b"\x01\x00\x08\x00" + bytes(8), b"\x01\x00\x10\x00" + bytes(9)):
+        with pytest.raises(ValueError):
+            warc_zip.widened(entry, short)
+
+
+def test_urls_keep_their_spaces_encoded():
+    import gzip
+
+    head = gzip.decompress(warc_zip.record(1, "http://a b/\tc?d=é\r\nX: y", b"", 0, "0", None)).split(b"\r\n")
+    assert b"WARC-Target-URI: http://a%20b/%09c?d=\xc3\xa9%0D%0AX:%20y" in head
+
+
 def test_archives_round_trip(spark):
     import hashlib
 

@@ -1,7 +1,7 @@
 """WARC records in ZIP archives: writing them, reading their directories, and range-reading records without extraction.
 
-Writing: payloads' digests are grouped to find each payload's first page (one row a digest reaches the join, so a hot
-payload costs one row a page); then every task packs its records, each a gzip member, into stored members of archives of
+Writing: payloads' digests are grouped to find each payload's first page; pages meet that by their own ids, so a hot
+payload is no hot key; then every task packs its records, each a gzip member, into stored members of archives of
 a bounded size, with an index member. Reading: archives are opened at their end; the end records (ZIP64's where the
 classic fields overflow), the central directory and the local headers locate the stored members; index lines become rows,
 and records are read by ranges of bytes, a few megabytes at a time.
@@ -12,10 +12,13 @@ from __future__ import annotations
 import gzip
 import hashlib
 import json
+import re
 import struct
 import uuid
 import zipfile
+from collections.abc import Iterator
 from typing import BinaryIO
+from urllib.parse import quote
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -25,14 +28,38 @@ from pyspark.sql import functions as F
 from tracewright.llm import common
 
 # Signatures and layouts of the ZIP format (APPNOTE), and what marks an overflow.
-_END, _END64, _LOCATE64, _ENTRY, _LOCAL = b"PK\x05\x06", b"PK\x06\x06", b"PK\x06\x07", b"PK\x01\x02", b"PK\x03\x04"
-_FULL16, _FULL32 = 0xFFFF, 0xFFFFFFFF
+_RECORDS = {
+    "local header": (b"PK\x03\x04", "version:H flags:H method:H time:H date:H crc:I packed:I size:I name:H extra:H"),
+    "directory entry": (b"PK\x01\x02", "made:H version:H flags:H method:H time:H date:H crc:I packed:I size:I name:H extra:H note:H disk:H inner:H outer:I offset:I"),
+    "end record": (b"PK\x05\x06", "disk:H first:H here:H entries:H length:I start:I note:H"),
+    "ZIP64 locator": (b"PK\x06\x07", "disk:I at:Q disks:I"),
+    "ZIP64 end record": (b"PK\x06\x06", "rest:Q made:H version:H disk:I first:I here:Q entries:Q length:Q start:Q"),
+}
+_FULL16, _FULL32, _ZIP64_FIELD = 0xFFFF, 0xFFFFFFFF, 1
 INDEX, RECORDS = "indexes/index.cdxj", "archive/data.warc.gz"
 
 
 # --- ZIP directories -------------------------------------------------------------------------------------------
 
 
+class Record:
+    """One kind of fixed-size record: where its fields lie, after its signature."""
+
+    def __init__(self, kind: str):
+        self.kind, (self.signature, fields) = kind, _RECORDS[kind]
+        self.names = [f.split(":")[0] for f in fields.split()]
+        self.layout = struct.Struct("<4s" + "".join(f.split(":")[1] for f in fields.split()))
+        self.size = self.layout.size
+
+    def parse(self, data: bytes, at: int = 0) -> dict:
+        if len(data) - at < self.size or data[at : at + 4] != self.signature:
+            raise ValueError(f"no {self.kind} where one should be")
+        return dict(zip(self.names, self.layout.unpack_from(data, at)[1:], strict=True))
+
+
+_LOCAL, _ENTRY, _END, _LOCATOR, _END64 = map(Record, _RECORDS)
+
+
 def _range(f, start: int, n: int) -> bytes:
     f.seek(start)
     data = f.read(n)
@@ -41,74 +68,87 @@ def _range(f, start: int, n: int) -> bytes:
     return data
 
 
-def directory(f: BinaryIO, size: int) -> list[dict]:
-    """Name, offset of the local header, sizes and method of each member, from the archive's end."""
-    tail_at = max(0, size - 65_557)
+def _part(data: bytes, at: int, n: int) -> bytes:
+    if at + n > len(data):
+        raise ValueError("a record ends early")
+    return data[at : at + n]
+
+
+def extra_fields(extra: bytes) -> Iterator[tuple[int, bytes]]:
+    """Number and bytes of each extra field; a few bytes that hold no whole header may follow."""
+    at = 0
+    while len(extra) - at >= 4:
+        kind, n = struct.unpack_from("<HH", extra, at)
+        yield kind, _part(extra, at + 4, n)
+        at += 4 + n
+
+
+def widened(entry: dict, extra: bytes) -> dict:
+    """A directory entry with its overflowed sizes and offset: the ZIP64 extra field holds just those, in this order."""
+    over = [x for x in ("size", "packed", "offset") if entry[x] == _FULL32]
+    wide = next((data for kind, data in extra_fields(extra) if kind == _ZIP64_FIELD), None)
+    if not over or wide is None:
+        return entry
+    return entry | dict(zip(over, struct.unpack(f"<{len(over)}Q", _part(wide, 0, 8 * len(over))), strict=True))
+
+
+def _end_of(f: BinaryIO, size: int) -> dict:
+    """The end record: the last one whose note reaches just to the archive's end (a note may hold the signature, too); ZIP64's where fields overflow."""
+    tail_at = max(0, size - _END.size - _FULL16)
     tail = _range(f, tail_at, size - tail_at)
-    at = tail.rfind(_END)
-    while at >= 0 and at + 22 + int.from_bytes(tail[at + 20 : at + 22], "little") != len(tail):  # a comment may hold the signature, too
-        at = tail.rfind(_END, 0, at)
-    if at < 0:
+    places = [m.start() for m in re.finditer(re.escape(_END.signature), tail) if len(tail) - m.start() >= _END.size]
+    at = next((p for p in reversed(places) if p + _END.size + _END.parse(tail, p)["note"] == len(tail)), None)
+    if at is None:
         raise ValueError("no end of central directory")
-    count, length, start = struct.unpack("<H", tail[at + 10 : at + 12])[0], *struct.unpack("<II", tail[at + 12 : at + 20])
-    if _FULL16 == count or _FULL32 in (length, start):
-        where = tail_at + at - 20
-        if where >= 0 and (locator := _range(f, where, 20))[:4] == _LOCATE64:
-            end64 = _range(f, struct.unpack("<Q", locator[8:16])[0], 56)
-            if end64[:4] != _END64:
-                raise ValueError("broken ZIP64 end record")
-            count, length, start = struct.unpack("<QQQ", end64[32:56])
-    data, members, p = _range(f, start, length), [], 0
-    for _ in range(count):
-        if data[p : p + 4] != _ENTRY:
-            raise ValueError("broken central directory")
-        method = struct.unpack("<H", data[p + 10 : p + 12])[0]
-        packed, whole, n_name, n_extra, n_note = struct.unpack("<IIHHH", data[p + 20 : p + 34])
-        offset = struct.unpack("<I", data[p + 42 : p + 46])[0]
-        name, extra = data[p + 46 : p + 46 + n_name], data[p + 46 + n_name : p + 46 + n_name + n_extra]
-        whole, packed, offset = _zip64(extra, whole, packed, offset)
-        members.append({"name": name.decode(), "method": method, "packed": packed, "size": whole, "offset": offset})
-        p += 46 + n_name + n_extra + n_note
-    return members
+    end = _END.parse(tail, at)
+    if end["entries"] != _FULL16 and _FULL32 not in (end["length"], end["start"]):
+        return end
+    before = tail_at + at - _LOCATOR.size
+    if before < 0 or (found := _range(f, before, _LOCATOR.size))[:4] != _LOCATOR.signature:
+        return end
+    return _END64.parse(_range(f, _LOCATOR.parse(found)["at"], _END64.size))
 
 
-def _zip64(extra: bytes, *values: int) -> list[int]:
-    """The values, with those that overflow taken from the ZIP64 extra field, which holds just them, in order."""
-    p = 0
-    while p + 4 <= len(extra):
-        kind, n = struct.unpack("<HH", extra[p : p + 4])
-        if kind == 1:
-            wide = iter(struct.unpack(f"<{n // 8}Q", extra[p + 4 : p + 4 + n // 8 * 8]))
-            return [next(wide) if v == _FULL32 else v for v in values]
-        p += 4 + n
-    return list(values)
+def directory(f: BinaryIO, size: int) -> list[dict]:
+    """Name, offset of the local header, sizes and method of each member, from the archive's end. Anything cut short is a ValueError."""
+    end = _end_of(f, size)
+    data, members, at = _range(f, end["start"], end["length"]), [], 0
+    for _ in range(end["entries"]):
+        entry = _ENTRY.parse(data, at)
+        at += _ENTRY.size
+        name, extra, note = (entry[x] for x in ("name", "extra", "note"))
+        wide = widened(entry, _part(data, at + name, extra))
+        members.append({"name": _part(data, at, name).decode(), "method": wide["method"], "packed": wide["packed"], "size": wide["size"], "offset": wide["offset"]})
+        at += name + extra + note
+    return members
 
 
 def member_start(f: BinaryIO, member: dict) -> int:
     """Where a stored member's bytes begin: its local header may differ in length from the directory's entry."""
     if member["method"] != 0:
         raise ValueError(f"{member['name']} is compressed; only stored members can be read by ranges")
-    head = _range(f, member["offset"], 30)
-    if head[:4] != _LOCAL:
-        raise ValueError("broken local header")
-    n_name, n_extra = struct.unpack("<HH", head[26:30])
-    return member["offset"] + 30 + n_name + n_extra
+    head = _LOCAL.parse(_range(f, member["offset"], _LOCAL.size))
+    return member["offset"] + _LOCAL.size + head["name"] + head["extra"]
 
 
 # --- WARC records ----------------------------------------------------------------------------------------------
 
 
-def record(page_id, url: str, payload: bytes, digest: str, refers_to) -> bytes:
-    """One gzip member: a response with its payload, or a revisit that refers to another page's response."""
+#: What a header's line cannot hold: white space and control characters; they are percent-encoded.
+_UNSAFE = re.compile("[\\s\x00-\x1f\x7f]")
+
+
+def record(page_id, url: str, payload: bytes | None, length: int, digest: str, refers_to) -> bytes:
+    """One gzip member: a response with its payload, or a revisit (without one) that refers to another page's response."""
     kind = "response" if refers_to is None else "revisit"
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(len(payload)).encode() + b"\r\n\r\n"
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: " + str(length).encode() + b"\r\n\r\n"
     body = http + (payload if refers_to is None else b"")
     lines = [
         "WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{'' if page_id is None else page_id}>", "WARC-Date: 1970-01-01T00:00:00Z", "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha256:{digest}", f"Content-Length: {len(body)}",
     ]
     if url:
-        lines.insert(3, "WARC-Target-URI: " + "".join(url.split()))
+        lines.insert(3, "WARC-Target-URI: " + _UNSAFE.sub(lambda m: quote(m.group()), url))
     if refers_to is not None:
         lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
     return gzip.compress(("\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n", 6, mtime=0)
@@ -133,11 +173,16 @@ _ARCHIVES = "path string, size long, n_records long"
 
 
 def find_revisits(pages: DataFrame, least: int) -> DataFrame:
-    """pages with `first`, the least page_id of an equal payload of at least `least` bytes, or null where this row is it."""
-    held = pages.where((F.col("n") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies"))
-    held = held.where(F.col("copies") > 1).select(F.col("digest").alias("own"), "first")
-    found = pages.join(held, (F.col("digest") == F.col("own")) & (F.col("n") >= least), "left").drop("own")
-    return found.withColumn("first", F.when(F.col("page_id") != F.col("first"), F.col("first")))
+    """pages with `first`, the least page_id of an equal payload of at least `least` bytes, or null where this row is it.
+
+    Digests are grouped without payloads, and rows meet their revisits by page_id and digest: a payload of many copies
+    is no key of any row that carries it. Revisits lose their payload.
+    """
+    light = pages.where((F.col("n") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest").distinct()
+    held = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1).select("digest", "first")
+    revisits = light.join(held, "digest").where(F.col("page_id") != F.col("first")).select(F.col("page_id").alias("own_id"), F.col("digest").alias("own"), "first")
+    found = pages.join(revisits, (F.col("page_id") == F.col("own_id")) & (F.col("digest") == F.col("own")), "left").drop("own_id", "own")
+    return found.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")))
 
 
 def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 64 << 20, folder: str | None = None) -> DataFrame:
@@ -178,7 +223,7 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 64 <
                     out = store.open_output_stream(f"{root}/{part:06d}-{seq:06d}-{attempt}.wacz")
                     zipped = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED, allowZip64=True)
                     member = zipped.open(zipfile.ZipInfo(RECORDS), "w", force_zip64=True)
-                data = record(r["page_id"], r["url"] or "", r["payload"], r["digest"], r["first"])
+                data = record(r["page_id"], r["url"] or "", r["payload"], r["n"], r["digest"], r["first"])
                 member.write(data)
                 lines.append(json.dumps({"id": r["page_id"], "offset": at, "length": len(data), "member": RECORDS}))
                 at += len(data)
@@ -188,7 +233,7 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 64 <
         if out is not None:
             yield close()
 
-    return common.written(find_revisits(rows, least).select("page_id", "url", "payload", "digest", "first").mapInArrow(run, _ARCHIVES), "warc-manifest")
+    return common.written(find_revisits(rows, least).select("page_id", "url", "payload", "n", "digest", "first").mapInArrow(run, _ARCHIVES), "warc-manifest")
 
 
 def locate(manifest: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:

@@ -242,6 +242,8 @@ def test_all_curves_are_compared(spark, tmp_path):
     import random
     from statistics import median
 
+    from tracewright.operators import candidates
+    from tracewright.plans import queries
     from tracewright.plans.queries import QUERIES
 
     rng = random.Random(7)
@@ -262,7 +264,8 @@ def test_all_curves_are_compared(spark, tmp_path):
             if len(taken) < 6 and all(apart(r[2], t[2]) > 120 for t in taken):
                 taken.append(r)
         top += [(tile, i + 1, r[0]) for i, r in enumerate(taken)]
-    got = {(r.tile, r.cand_a, r.cand_b): r.separation for r in QUERIES["polyline_separation"](spark, str(tmp_path)).collect()}
+    ranked = queries._ranked_curves(spark, str(tmp_path))
+    got = {(r.tile, r.cand_a, r.cand_b): r.separation for r in candidates.separations(ranked, ["tile"], "rank").collect()}
     assert len(got) == 2 * 30 * 29 // 2 and got == pytest.approx(pairs, abs=2e-6)
     assert sorted(tuple(r) for r in QUERIES["distinct_topk"](spark, str(tmp_path)).collect()) == sorted(top) and len(top) == 12
 
@@ -284,3 +287,29 @@ def test_every_point_gets_a_baseline(spark, tmp_path):
         want[user % 10, user, i] = (base, y - (base - 50))
     got = {(r.tile, r.cand, r.ord): (r.base, r.corrected) for r in QUERIES["baseline_interp"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=2e-6) for k in want)
+
+
+def test_repeated_points_keep_their_months(spark):
+    from tracewright.operators import months
+
+    points = spark.createDataFrame([(1, 2.0), (1, 2.0), (1, 9.0), (2, 2.0)], "page int, px double")
+    extents = spark.createDataFrame([(1, 1, 0.0, 3.0), (1, 2, 2.0, 5.0)], "page int, month int, x0 double, x1 double")
+    assert [tuple(r) for r in months.month_of(points, extents, ["page"]).collect()] == [(1, 2.0, 1, 0.0, 3.0)] * 2
+
+
+def test_global_rank_and_long_digits(spark):
+    from tracewright.functions import text
+    from tracewright.operators.metrics import global_rank
+
+    names = ["p2", "p10", "p" + "9" * 30, "p1" + "0" * 30, "p007", "p"]
+    rows = spark.createDataFrame([(n,) for n in names * 1], "name string").withColumn("key", text.natural_key(F.col("name")))
+    got = [r.name for r in global_rank(rows, ["key", "name"], parts=4).orderBy("place").collect()]
+    assert got == ["p", "p2", "p007", "p10", "p" + "9" * 30, "p1" + "0" * 30]
+
+
+def test_seeds_outside_the_image(spark):
+    from tracewright.operators import raster
+
+    image = spark.createDataFrame([(1, r, c, 10.0 if r == 3 else 100.0) for r in range(8) for c in range(5)], "tile int, row int, col int, gray double")
+    seeds = spark.createDataFrame([(1, 0, 40.0, -3.0)], "tile int, seed int, x double, y double")
+    assert raster.refine_ridges(image, seeds, ["tile"], 6, 1).first().new_y == pytest.approx(3.0)

@@ -10,19 +10,17 @@ MONTHS = (
     ("januar", 1), ("jänner", 1), ("februar", 2), ("märz", 3), ("maerz", 3), ("april", 4), ("mai", 5), ("juni", 6), ("juli", 7), ("august", 8), ("september", 9), ("oktober", 10), ("november", 11), ("dezember", 12),
     ("january", 1), ("february", 2), ("march", 3), ("may", 5), ("june", 6), ("july", 7), ("october", 10), ("december", 12),
 )
+# The forms of labels.
 _NAME = "[A-Za-zäöüÄÖÜ]+\\.?"
 ISO, MONTH_YEAR, DAY_MONTH = "^(\\d{4})-(\\d{2})-(\\d{2})$", f"^({_NAME})\\s+(\\d{{4}})$", f"^(\\d{{1,2}})\\.?\\s*({_NAME})\\s*(\\d{{4}})?$"
+#: Every name, and every beginning of three letters at least with the first name that has it.
+_BEGINNINGS = {name[:n]: number for name, number in reversed(MONTHS) for n in range(3, len(name))} | dict(MONTHS)
 
 
 def month_number(name: Column) -> Column:
-    """1 to 12 of a full name, or of the first name that begins so (three letters at least)."""
+    """1 to 12 of a full name, or of the first name that begins so (three letters at least): one look-up in a constant map."""
     key = F.lower(F.regexp_replace(F.trim(name), "\\.+$", ""))
-    out = F.when(F.lit(False), F.lit(0))
-    for full, number in MONTHS:
-        out = out.when(key == full, F.lit(number))
-    for full, number in MONTHS:
-        out = out.when((F.length(key) >= 3) & F.lit(full).startswith(key), F.lit(number))
-    return out
+    return F.try_element_at(F.create_map(*(F.lit(x) for pair in _BEGINNINGS.items() for x in pair)), key)
 
 
 def _date(year: Column, month: Column, day: Column) -> Column:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# A printed number.
 NUMBER = "-?\\d+(?:[.,]\\d+)?"
 
 
@@ -18,10 +19,11 @@ def slug(name: Column, most: int = 40) -> Column:
     return F.coalesce(F.nullif(cut, F.lit("")), F.lit("run"))
 
 
-def natural_key(name: Column, width: int = 20) -> Column:
-    """Sorts as the name does with its runs of digits taken as numbers."""
+def natural_key(name: Column) -> Column:
+    """Sorts as the name does with its runs of digits taken as numbers: each run without leading zeros, after its length."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("(\\d+|[^\\d]+)"), F.lit(1))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), F.lpad(p, width, "0")).otherwise(p)), "")
+    number = lambda p: F.ltrim(p, F.lit("0"))
+    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), F.concat(F.lpad(F.length(number(p)).cast("string"), 9, "0"), number(p))).otherwise(p)), "")
 
 
 def month_list(spec: Column) -> Column:

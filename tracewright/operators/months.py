@@ -45,12 +45,11 @@ def layout(tiles: DataFrame, page: list[str]) -> DataFrame:
 def month_of(points: DataFrame, extents: DataFrame, page: list[str], px: str = "px") -> DataFrame:
     """points with the first month whose extent [x0, x1] holds them (left out where none does); extents: page, month, x0, x1.
 
-    A page has twelve extents at most, so the page's key joins and the range is a filter on few rows a point.
+    A page has twelve extents at most: they are one array, and every point, repeated ones too, looks its own up.
     """
-    hit = points.join(extents, page).where((F.col("x0") <= F.col(px)) & (F.col(px) <= F.col("x1")))
-    own = [c for c in points.columns if c not in page]
-    best = hit.groupBy(*page, *own).agg(F.min(F.struct("month", "x0", "x1")).alias("e"))
-    return best.select(*page, *own, "e.*")
+    of_page = extents.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("month", "x0", "x1"))).alias("extents"))
+    first = F.get(F.filter("extents", lambda e: (e["x0"] <= F.col(px)) & (F.col(px) <= e["x1"])), F.lit(0))
+    return points.join(of_page, page).withColumn("e", first).where(F.col("e").isNotNull()).select(*points.columns, "e.*")
 
 
 def nearest_peak(strength: DataFrame, by: list[str], edge: Column, window: Column, level: float = 0.5) -> DataFrame:

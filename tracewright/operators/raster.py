@@ -32,10 +32,13 @@ def grayscale(r: Column, g: Column, b: Column) -> Column:
 def refine_ridges(raster: DataFrame, seeds: DataFrame, by: list[str], window: int = 25, strip: int = 3) -> DataFrame:
     """seeds (by, seed, x, y) with new_y: the darkest row near the seed, between rows by a parabola; y itself without a clear dip.
 
-    The profile is the mean gray of a strip around x for each row within the window, smoothed by (1 4 6 4 1) / 16.
+    The profile is the mean gray of a strip around x for each row within the window, smoothed by (1 4 6 4 1) / 16. A seed
+    outside of the image looks from the nearest pixel inside.
     """
-    xi, yi = F.rint(F.col("x")).cast("int"), F.rint(F.col("y")).cast("int")
-    near = raster.join(seeds, by).where(F.col("col").between(xi - strip, xi + strip) & F.col("row").between(yi - window, yi + window))
+    size = raster.groupBy(*by).agg(F.max("col").alias("last_col"), F.max("row").alias("last_row"))
+    inside = lambda c, last: F.greatest(F.lit(0), F.least(F.rint(F.col(c)).cast("int"), F.col(last).cast("int")))
+    xi, yi = inside("x", "last_col"), inside("y", "last_row")
+    near = raster.join(seeds.join(size, by), by).where(F.col("col").between(xi - strip, xi + strip) & F.col("row").between(yi - window, yi + window))
     profile = near.groupBy(*by, "seed", "x", "y", "row").agg(F.avg("gray").alias("v"))
     key = [*by, "seed", "x", "y"]
     o = Window.partitionBy(*key).orderBy("row")

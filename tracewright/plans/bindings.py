@@ -1,5 +1,7 @@
 """Driver tables as chart inputs: candidates, polylines, ticks, aligned series, boxes, labels, rasters, month panels.
 
+Charts are small and many: the number of tiles, panels and pages grows with the tables, what one of them holds does not.
+
 Each function has its SQL beside it (a common table expression of the same columns), for the oracle queries.
 """
 
@@ -18,31 +20,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def points(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B1: tile, cand, ord, x (days since 2024-01-01), y, confidence: a candidate polyline for each user."""
+    """B1: tile (15 users), cand, ord, x (days since 2024-01-01), y, confidence: a candidate polyline for each user."""
     e = table(spark, sf_dir, "events")
     x = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(86400000000.0)
-    return e.select((F.col("user_id") % 10).alias("tile"), F.col("user_id").alias("cand"), F.col("event_id").alias("ord"), x.alias("x"), F.col("value").alias("y"), ((F.col("user_id") * 37 % 100) / 100.0).alias("confidence"))
+    return e.select((F.col("user_id") % 10 + F.floor(F.col("user_id") / 150) * 10).alias("tile"), F.col("user_id").alias("cand"), F.col("event_id").alias("ord"), x.alias("x"), F.col("value").alias("y"), ((F.col("user_id") * 37 % 100) / 100.0).alias("confidence"))
+
+
+POINTS = """pt AS (SELECT user_id % 10 + user_id // 150 * 10 AS tile, user_id AS cand, event_id AS ord, (epoch_us(ts) - 1704067200000000) / 86400000000.0::DOUBLE AS x, value AS y, (user_id * 37 % 100) / 100.0::DOUBLE AS confidence FROM events)"""
 
 
-POINTS = """pt AS (SELECT user_id % 10 AS tile, user_id AS cand, event_id AS ord, (epoch_us(ts) - 1704067200000000) / 86400000000.0::DOUBLE AS x, value AS y, (user_id * 37 % 100) / 100.0::DOUBLE AS confidence FROM events)"""
+def _label_tile() -> Column:
+    return F.col("label").cast("long") + F.floor(F.col("vec_id") / 500) * 10
 
 
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B2: tile (label), cand (vector), ord = x, y: 64 points each."""
+    """B2: tile (label, 50 vectors), cand (vector), ord = x, y: 64 points each."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(F.col("label").cast("long").alias("tile"), F.col("vec_id").alias("cand"), F.posexplode("embedding").alias("ord", "v")).select("tile", "cand", "ord", F.col("ord").cast("double").alias("x"), (F.col("v").cast("double") * 1000).alias("y"))
+    return e.select(_label_tile().alias("tile"), F.col("vec_id").alias("cand"), F.posexplode("embedding").alias("ord", "v")).select("tile", "cand", "ord", F.col("ord").cast("double").alias("x"), (F.col("v").cast("double") * 1000).alias("y"))
 
 
-CURVES = """cv AS (SELECT label::BIGINT AS tile, vec_id AS cand, i - 1 AS ord, (i - 1)::DOUBLE AS x, embedding[i]::DOUBLE * 1000 AS y FROM embeddings, unnest(range(1, 65)) AS r(i))"""
+CURVES = """cv AS (SELECT label::BIGINT + vec_id // 500 * 10 AS tile, vec_id AS cand, i - 1 AS ord, (i - 1)::DOUBLE AS x, embedding[i]::DOUBLE * 1000 AS y FROM embeddings, unnest(range(1, 65)) AS r(i))"""
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B3: panel (source), ord (document), pixel (spaces), value (characters)."""
+    """B3: panel (source, 50 documents), ord (document), pixel (spaces), value (characters)."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("panel"), F.col("doc_id").alias("ord"), (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))).cast("double").alias("pixel"), F.col("n_chars").cast("double").alias("value"))
+    panel = F.concat(F.substring("source", 1, 3), (F.substring("source", 4, 9).cast("long") + F.floor(F.col("doc_id") / 1000) * 20).cast("string"))
+    return d.select(panel.alias("panel"), F.col("doc_id").alias("ord"), (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))).cast("double").alias("pixel"), F.col("n_chars").cast("double").alias("value"))
 
 
-TICKS = """tk AS (SELECT source AS panel, doc_id AS ord, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS pixel, n_chars::DOUBLE AS value FROM documents)"""
+TICKS = """tk AS (SELECT left(source, 3) || (substr(source, 4)::BIGINT + doc_id // 1000 * 20) AS panel, doc_id AS ord, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS pixel, n_chars::DOUBLE AS value FROM documents)"""
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,13 +92,13 @@ pr AS (SELECT day, date_trunc('month', day)::DATE AS mon, p, t FROM pd JOIN gt U
 
 
 def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B8: tile (label), row (rank of the vector), col (index), gray."""
+    """B8: tile (label, 50 vectors), row (rank of the vector), col (index), gray."""
     e = table(spark, sf_dir, "embeddings")
-    row = F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1
-    return e.withColumn("row", row).select(F.col("label").cast("long").alias("tile"), "row", F.posexplode("embedding").alias("col", "v")).select("tile", "row", "col", (F.col("v").cast("double") * 100).alias("gray"))
+    row = F.row_number().over(Window.partitionBy("tile").orderBy("vec_id")) - 1
+    return e.withColumn("tile", _label_tile()).withColumn("row", row).select("tile", "row", F.posexplode("embedding").alias("col", "v")).select("tile", "row", "col", (F.col("v").cast("double") * 100).alias("gray"))
 
 
-RASTER = """rs AS (SELECT label::BIGINT AS tile, rn AS "row", i - 1 AS col, embedding[i]::DOUBLE * 100 AS gray FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS rn FROM embeddings), unnest(range(1, 65)) AS r(i))"""
+RASTER = """rs AS (SELECT tile, rn AS "row", i - 1 AS col, embedding[i]::DOUBLE * 100 AS gray FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY vec_id) - 1 AS rn FROM (SELECT *, label::BIGINT + vec_id // 500 * 10 AS tile FROM embeddings)), unnest(range(1, 65)) AS r(i))"""
 
 
 def month_panels(spark: SparkSession, sf_dir: str) -> DataFrame:

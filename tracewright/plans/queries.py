@@ -146,21 +146,17 @@ SELECT c_custkey, name, row_number() OVER (ORDER BY array_to_string(list_transfo
 def natural_sort_rank(spark, d):
     c = b.table(spark, d, "customer")
     name = F.concat("c_name", F.lit("-"), (F.col("c_custkey") * 7919 % 1000).cast("string"), "c_mktsegment", (F.col("c_custkey") % 13).cast("string"))
-    q = c.select("c_custkey", name.alias("name")).withColumn("key", text.natural_key(F.col("name"))).orderBy("key", "c_custkey")
-    # A global rank without one task for all rows: the place within a range of keys, after all rows of the ranges before it.
-    q = q.withColumn("part", F.spark_partition_id()).withColumn("at", F.row_number().over(Window.partitionBy("part").orderBy("key", "c_custkey")))
-    sizes = q.groupBy("part").agg(F.count("*").alias("n"))
-    before = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("before"))
-    return q.join(F.broadcast(before), "part").select("c_custkey", "name", (F.col("before") + F.col("at")).alias("place"))
+    q = c.select("c_custkey", name.alias("name")).withColumn("key", text.natural_key(F.col("name")))
+    return metrics.global_rank(q, ["key", "c_custkey"]).select("c_custkey", "name", "place")
 
 
-@query("""WITH s AS (SELECT r_regionkey, r_regionkey || '10018:18' || (39 + r_regionkey) || ':1-3+6,290022:1844:' || (r_regionkey + 1) || '+' || (r_regionkey + 1) AS spec FROM region),
+@query("""WITH s AS (SELECT r_regionkey, r_regionkey || '70405:18' || (51 + r_regionkey) || ':1-3+6,481516:1862:' || (r_regionkey + 1) || '+' || (r_regionkey + 1) AS spec FROM region),
 p AS (SELECT r_regionkey, i AS part, string_split(string_split(spec, ',')[i], ':') AS f FROM s, unnest(range(1, 3)) AS r(i)),
 c AS (SELECT r_regionkey, part, f, j, string_split(string_split(f[3], '+')[j], '-') AS ab FROM p, unnest(range(1, len(string_split(f[3], '+')) + 1)) AS r(j))
 SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY part, j, m) - 1 AS at, f[1] AS scan, f[2]::INT AS year, m::INT AS mon FROM c, unnest(range(ab[1]::INT, coalesce(ab[2], ab[1])::INT + 1)) AS r(m)""")
 def month_spec_expand(spark, d):
     k = F.col("r_regionkey")
-    spec = F.concat(k.cast("string"), F.lit("10018:18"), (k + 39).cast("string"), F.lit(":1-3+6,290022:1844:"), (k + 1).cast("string"), F.lit("+"), (k + 1).cast("string"))
+    spec = F.concat(k.cast("string"), F.lit("70405:18"), (k + 51).cast("string"), F.lit(":1-3+6,481516:1862:"), (k + 1).cast("string"), F.lit("+"), (k + 1).cast("string"))
     q = b.table(spark, d, "region").select("r_regionkey", F.posexplode(text.gauge_months(spec)).alias("at", "m"))
     return q.select("r_regionkey", F.col("at").cast("long").alias("at"), "m.scan", "m.year", F.col("m.month").alias("mon"))
 
@@ -312,11 +308,11 @@ def series_densify_gaps(spark, d):
     return q.select("tile", "cand", "slice", "x_key", r(F.col("y")).alias("y"), "flagged")
 
 
-_KNOTS = "kn AS (SELECT tile, x, max(y) AS y FROM pt WHERE cand % 50 < 10 AND ord % 4 = 0 GROUP BY 1, 2)"
+_KNOTS = "kn AS (SELECT tile, x, max(y) AS y FROM pt JOIN (SELECT tile, min(cand) AS cand FROM pt GROUP BY 1) USING (tile, cand) GROUP BY 1, 2)"
 
 
 @query(f"""WITH {b.POINTS}, {_KNOTS}, sg AS (SELECT tile, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM kn WINDOW o AS (PARTITION BY tile ORDER BY x)), fi AS (SELECT tile, min(x) AS fx, arg_min(y, x) AS fy FROM kn GROUP BY 1),
-j AS (SELECT p.tile, p.cand, p.ord, p.x, p.y, s.x AS a, s.y AS ya, s.x2, s.y2, fy FROM pt p ASOF LEFT JOIN sg s ON p.tile = s.tile AND p.x >= s.x LEFT JOIN fi ON p.tile = fi.tile WHERE p.ord % 5 = 1)
+j AS (SELECT p.tile, p.cand, p.ord, p.x, p.y, s.x AS a, s.y AS ya, s.x2, s.y2, fy FROM pt p ASOF LEFT JOIN sg s ON p.tile = s.tile AND p.x >= s.x LEFT JOIN fi ON p.tile = fi.tile)
 SELECT tile, cand, ord, round(base, 6) AS base, round(y - (base - 50), 6) AS corrected FROM (SELECT *, CASE WHEN a IS NULL THEN fy WHEN x2 IS NULL OR x = a THEN ya ELSE ya + (y2 - ya) * (x - a) / (x2 - a) END AS base FROM j)""")
 def baseline_interp(spark, d):
     p = b.points(spark, d)
@@ -326,10 +322,16 @@ def baseline_interp(spark, d):
     return q.select("tile", "cand", "ord", r(F.col("base")).alias("base"), r(resample.correct(F.col("y"), F.col("base"), F.lit(50.0))).alias("corrected"))
 
 
-@query(f"""WITH {b.CURVES}, rk AS (SELECT tile, cand, row_number() OVER (PARTITION BY tile ORDER BY cand * 37 % 101 DESC, cand) AS n FROM (SELECT DISTINCT tile, cand FROM cv)), u AS (SELECT tile, cand, n, x, y FROM cv JOIN rk USING (tile, cand) WHERE n <= 20)
-SELECT a.tile, a.cand AS cand_a, c.cand AS cand_b, round(median(abs(a.y - c.y)), 6) AS separation FROM u a JOIN u c ON a.tile = c.tile AND a.n < c.n AND a.x = c.x GROUP BY 1, 2, 3""")
+@query(f"""WITH {b.POINTS}, pl AS (SELECT tile, cand, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM pt WINDOW o AS (PARTITION BY tile, cand ORDER BY x, ord)),
+ex AS (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY cand * 37 % 101 DESC, cand) AS n FROM (SELECT tile, cand, min(x) AS a, max(x) AS z FROM pt GROUP BY 1, 2)),
+pr AS (SELECT a.tile, a.cand AS cand_a, c.cand AS cand_b, greatest(a.a, c.a) AS lo, least(a.z, c.z) AS hi FROM ex a JOIN ex c ON a.tile = c.tile AND a.n < c.n),
+sm AS (SELECT *, lo + (hi - lo) * i / 63 AS sx FROM pr, range(64) AS r(i) WHERE hi > lo),
+ya AS (SELECT sm.*, CASE WHEN p.x2 IS NULL THEN p.y ELSE p.y + (p.y2 - p.y) * ((sx - p.x) / (p.x2 - p.x)) END AS y_a FROM sm ASOF JOIN pl p ON sm.tile = p.tile AND sm.cand_a = p.cand AND sm.sx >= p.x),
+yb AS (SELECT ya.*, CASE WHEN p.x2 IS NULL THEN p.y ELSE p.y + (p.y2 - p.y) * ((sx - p.x) / (p.x2 - p.x)) END AS y_b FROM ya ASOF JOIN pl p ON ya.tile = p.tile AND ya.cand_b = p.cand AND ya.sx >= p.x)
+SELECT tile, cand_a, cand_b, round(median(abs(y_a - y_b)), 6) AS separation FROM yb GROUP BY 1, 2, 3 UNION ALL SELECT tile, cand_a, cand_b, 'infinity'::DOUBLE FROM pr WHERE hi <= lo""")
 def polyline_separation(spark, d):
-    ranked = _ranked_curves(spark, d)
+    lines = cd.as_polylines(b.points(spark, d), ["tile", "cand"])
+    ranked = lines.withColumn("rank", F.row_number().over(Window.partitionBy("tile").orderBy(F.desc(F.col("cand") * 37 % 101), "cand")))
     return cd.separations(ranked, ["tile"], "rank").select("tile", "cand_a", "cand_b", r(F.col("separation")).alias("separation"))
 
 
@@ -338,9 +340,9 @@ def _ranked_curves(spark, d):
     return lines.withColumn("rank", F.row_number().over(Window.partitionBy("tile").orderBy(F.desc(F.col("cand") * 37 % 101), "cand")))
 
 
-@query(f"""WITH RECURSIVE {b.CURVES}, rk AS (SELECT tile, cand, row_number() OVER (PARTITION BY tile ORDER BY cand * 37 % 101 DESC, cand) AS n FROM (SELECT DISTINCT tile, cand FROM cv)), u AS (SELECT tile, cand, n, x, y FROM cv JOIN rk USING (tile, cand) WHERE n <= 20),
+@query(f"""WITH RECURSIVE {b.CURVES}, rk AS (SELECT tile, cand, row_number() OVER (PARTITION BY tile ORDER BY cand * 37 % 101 DESC, cand) AS n FROM (SELECT DISTINCT tile, cand FROM cv)), u AS (SELECT tile, cand, n, x, y FROM cv JOIN rk USING (tile, cand)),
 sp AS (SELECT a.tile, a.n AS na, c.n AS nb, median(abs(a.y - c.y)) AS s FROM u a JOIN u c ON a.tile = c.tile AND a.n < c.n AND a.x = c.x GROUP BY 1, 2, 3),
-cl AS (SELECT tile, nb AS n, list(na) AS close FROM sp WHERE s <= 120 GROUP BY 1, 2), it AS (SELECT tile, n, cand, coalesce(close, []) AS close FROM rk LEFT JOIN cl USING (tile, n) WHERE n <= 20),
+cl AS (SELECT tile, nb AS n, list(na) AS close FROM sp WHERE s <= 120 GROUP BY 1, 2), it AS (SELECT tile, n, cand, coalesce(close, []) AS close FROM rk LEFT JOIN cl USING (tile, n)),
 st AS (SELECT tile, 1 AS n, [1::BIGINT] AS acc FROM (SELECT DISTINCT tile FROM rk) UNION ALL SELECT st.tile, st.n + 1, CASE WHEN len(acc) < 6 AND NOT list_has_any(acc, close) THEN list_append(acc, it.n) ELSE acc END FROM st JOIN it ON it.tile = st.tile AND it.n = st.n + 1)
 SELECT st.tile, i::INT AS place, rk.cand FROM (SELECT tile, arg_max(acc, n) AS acc FROM st GROUP BY 1) st, unnest(range(1, len(acc) + 1)) AS r(i) JOIN rk ON rk.tile = st.tile AND rk.n = acc[i]""")
 def distinct_topk(spark, d):
@@ -383,7 +385,12 @@ def box_nms(spark, d):
     return bx.suppress(b.boxes(spark, d), ["page"], 0.3).select("page", F.col("pos").cast("long").alias("pos"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {b.BOXES}, od AS (SELECT page, row_number() OVER (PARTITION BY page ORDER BY y + h / 2, pos) AS n, struct_pack(pos := pos, x := x, y := y, h := h, mid := y + h / 2) AS s FROM bx),
+st AS (SELECT page, n, [[s]] AS rs FROM od WHERE n = 1 UNION ALL SELECT page, n, CASE WHEN hit IS NULL OR hit = 0 THEN list_append(rs, [s]) ELSE list_transform(rs, lambda l, i: CASE WHEN i = hit THEN list_append(l, s) ELSE l END) END
+  FROM (SELECT st.page, od.n, rs, s, list_position(list_transform(rs, lambda l: len(list_filter(l, lambda a: least(a.y + a.h, od.s.y + od.s.h) - greatest(a.y, od.s.y) > 0.5 * least(a.h, od.s.h))) > 0), true) AS hit FROM st JOIN od ON od.page = st.page AND od.n = st.n + 1)),
+la AS (SELECT page, arg_max(rs, n) AS rs FROM st GROUP BY page), fl AS (SELECT page, i AS line, list_min(list_transform(rs[i], lambda a: a.mid)) AS top, unnest(rs[i]) AS s FROM la, unnest(range(1, len(rs) + 1)) AS u(i)),
+pl AS (SELECT page, s.pos AS pos, (dense_rank() OVER (PARTITION BY page ORDER BY top, line))::INT AS "row", (row_number() OVER (PARTITION BY page ORDER BY top, line, s.x, s.mid, s.pos))::INT AS place FROM fl)
+SELECT *, printf('p%02d', place) AS panel_id FROM pl""")
 def reading_order(spark, d):
     q = bx.reading_order(b.boxes(spark, d), ["page"])
     return q.select("page", "pos", "row", "place", F.format_string("p%02d", F.col("place")).alias("panel_id"))
@@ -399,14 +406,23 @@ def _match(spark, d):
     return m.withColumn("left_err", left).withColumn("right_err", right)
 
 
-@query()
+_MATCH = f"""{b.BOXES}, tr AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY pos) AS n FROM bx WHERE pos % 2 = 0),
+cn AS (SELECT t.page, t.n, list(struct_pack(pos := f.pos, iou := {b.iou_sql('t', 'f')}, x := f.x, w := f.w) ORDER BY {b.iou_sql('t', 'f')} DESC, f.pos) FILTER (WHERE {b.iou_sql('t', 'f')} >= 0.2) AS cs FROM tr t JOIN bx f ON f.page = t.page AND f.pos % 2 = 1 GROUP BY 1, 2),
+ch AS (SELECT t.page, t.n, coalesce(c.cs, []) AS cs FROM tr t LEFT JOIN cn c USING (page, n)),
+st AS (SELECT page, n, cs[1] AS hit, [cs[1].pos] AS used FROM ch WHERE n = 1 UNION ALL SELECT page, n, hit, list_append(used, hit.pos) FROM (SELECT st.page, ch.n, used, list_filter(ch.cs, lambda c: NOT coalesce(list_contains(used, c.pos), false))[1] AS hit FROM st JOIN ch ON ch.page = st.page AND ch.n = st.n + 1)),
+mt AS (SELECT t.page, t.pos AS ord, hit.pos AS pos, hit IS NOT NULL AS detected, hit.iou AS iou, (hit.x - t.x) / (t.w / 30.0::DOUBLE) AS le, (hit.x + hit.w - t.x - t.w) / (t.w / 30.0::DOUBLE) AS re FROM tr t JOIN st USING (page, n))"""
+
+
+@query(f"WITH RECURSIVE {_MATCH} SELECT page, ord, pos, detected, round(iou, 6) AS iou, round(le, 6) AS left_err_days, round(re, 6) AS right_err_days FROM mt")
 def box_greedy_match(spark, d):
     return _match(spark, d).select("page", "ord", "pos", "detected", r(F.col("iou")).alias("iou"), r(F.col("left_err")).alias("left_err_days"), r(F.col("right_err")).alias("right_err_days"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_MATCH}, er AS (SELECT page // 500 AS run, true AS one, detected, iou, abs(le) AS e FROM mt UNION ALL SELECT page // 500, false, detected, iou, abs(re) FROM mt)
+SELECT run, count(*) FILTER (WHERE one) AS n, count(*) FILTER (WHERE one AND detected) AS n_detected, round(avg(iou) FILTER (WHERE one), 6) AS mean_iou, round(median(e), 6) AS pooled_median, round(greatest(median(e) FILTER (WHERE one), median(e) FILTER (WHERE NOT one)), 6) AS worse_median FROM er GROUP BY run""")
 def fullpage_summary(spark, d):
-    return metrics.summarize(_match(spark, d)).select("n", "n_detected", *(r(F.col(c)).alias(c) for c in ("mean_iou", "pooled_median", "worse_median")))
+    q = _match(spark, d).withColumn("run", F.floor(F.col("page") / 500))
+    return metrics.summarize(q, ["run"]).select("run", "n", "n_detected", *(r(F.col(c)).alias(c) for c in ("mean_iou", "pooled_median", "worse_median")))
 
 
 _MONTH_NAMES = ["Januar", "Feb.", "März", "April", "Mai", "Juni", "Juli", "Aug.", "Sept.", "Oktober", "Xxx", "Dezember"]
@@ -457,7 +473,12 @@ def edge_snap(spark, d):
     return months.nearest_peak(s, ["tile", "edge"], F.col("edge"), F.lit(9)).select("tile", "edge", F.col("snapped").cast("int").alias("snapped"))
 
 
-@query()
+@query(f"""WITH {b.RASTER}, sd AS (SELECT tile, col AS seed, col AS x, 20.4::DOUBLE AS y FROM rs WHERE "row" = 20 AND col IN (10, 30, 50)),
+pf AS (SELECT s.tile, seed, y, "row", avg(gray) AS v, row_number() OVER (PARTITION BY s.tile, seed ORDER BY "row") - 1 AS i, count(*) OVER (PARTITION BY s.tile, seed) AS n, min("row") OVER (PARTITION BY s.tile, seed) AS top FROM sd s JOIN rs ON rs.tile = s.tile AND col BETWEEN x - 2 AND x + 2 AND "row" BETWEEN 8 AND 32 GROUP BY 1, 2, 3, 4),
+sm AS (SELECT a.tile, a.seed, a.y, a.i, a.n, a.top, sum(b.v * w) / 16 AS s FROM pf a, (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) AS k(o, w) JOIN pf b ON a.tile = b.tile AND a.seed = b.seed AND b.i = (a.n - 1) - abs((a.n - 1) - abs(a.i + o)) GROUP BY ALL),
+st AS (SELECT tile, seed, y, n, top, avg(s) AS mean, min(s) AS low, stddev_pop(s) AS spread, list(s ORDER BY i) AS ss FROM sm GROUP BY ALL),
+dp AS (SELECT *, list_position(ss, low) AS m, ss[list_position(ss, low) - 1] AS a, low AS b, ss[list_position(ss, low) + 1] AS c FROM st)
+SELECT tile, seed, round(y, 6) AS y, round(CASE WHEN n >= 3 AND spread >= 1e-3 AND mean - low >= 0.5 * spread THEN top + m - 1 + CASE WHEN m > 1 AND m < n AND abs(a - 2 * b + c) > 1e-9 THEN 0.5 * (a - c) / (a - 2 * b + c) ELSE 0 END ELSE y END, 6) AS new_y FROM dp""")
 def ridge_refine(spark, d):
     q = b.raster(spark, d)
     seeds = q.where("row = 20 AND col IN (10, 30, 50)").select("tile", F.col("col").alias("seed"), F.col("col").cast("double").alias("x"), (F.col("row") + 0.4).alias("y"))
@@ -475,14 +496,13 @@ def running_layout(spark, d):
     return months.layout(q, ["year"]).select("year", F.col("month").alias("mon"), "x", "y", "page_w")
 
 
-_EXTENTS = "ex AS (SELECT t AS tile, m AS mon, m * 5 - 6.0 AS x0, m * 5 + 0.5 AS x1 FROM range(10) AS a(t), range(1, 7) AS c(m))"
+_EXTENTS = "ex AS (SELECT tile, m AS mon, m * 5 - 6.0 AS x0, m * 5 + 0.5 AS x1 FROM (SELECT DISTINCT tile FROM pt), range(1, 7) AS c(m))"
 
 
 @query(f"WITH {b.POINTS}, {_EXTENTS} SELECT tile, ord, mon::INT AS mon, round(x0 * 10 + (x - x0), 6) AS moved FROM (SELECT p.tile, ord, x, mon, x0, row_number() OVER (PARTITION BY p.tile, ord ORDER BY mon) AS n FROM pt p JOIN ex ON p.tile = ex.tile AND x BETWEEN x0 AND x1) WHERE n = 1")
 def range_month_lookup(spark, d):
     q = b.points(spark, d).select("tile", "ord", F.col("x").alias("px"))
-    m = spark.range(1, 7).select(F.col("id").cast("int").alias("month"), (F.col("id") * 5 - 6.0).alias("x0"), (F.col("id") * 5 + 0.5).alias("x1"))
-    extents = m.withColumn("tile", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(9).cast("long"))))
+    extents = q.select("tile").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumns({"x0": F.col("month") * 5 - 6.0, "x1": F.col("month") * 5 + 0.5})
     return months.month_of(q, extents, ["tile"]).select("tile", "ord", F.col("month").alias("mon"), r(F.col("x0") * 10 + (F.col("px") - F.col("x0"))).alias("moved"))
 
 
@@ -577,9 +597,12 @@ def review_flags(spark, d):
 
 def flagship(spark: SparkSession, d: str, gates: Gates = GENERIC) -> DataFrame:
     """Candidates to one selected, densified daily series for each tile, in one plan."""
-    chosen = cd.select_single(_scored(spark, d), None, ["tile"], gates).select("tile", "cand")
+    scored = _scored(spark, d).withColumn("s_alpha", r(F.col("s_alpha"), 9))
+    chosen = cd.select_single(scored, None, ["tile"], gates).select("tile", "cand")
     series = _last(spark, d).join(chosen, ["tile", "cand"], "left_semi")
-    return resample.densify(series, ["tile", "cand"], b.SLICES, F.lit(date(2024, 1, 1))).select("tile", "cand", "x_key", "x", "y", "flagged")
+    return resample.densify(series, ["tile", "cand"], b.SLICES, F.lit(date(2024, 1, 1))).select("tile", "cand", "x_key", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "flagged")
 
 
 QUERIES["selected_series"] = flagship
+SQL["selected_series"] = f"""WITH {_SCORED}, bs AS (SELECT tile, cand FROM (SELECT tile, cand, row_number() OVER (PARTITION BY tile ORDER BY round(s_alpha, 9) DESC, cand) AS n FROM sc) WHERE n = 1)
+SELECT b.tile, b.cand, (DATE '2024-01-01' + s::INT)::VARCHAR AS x_key, round(x, 6) AS x, round(y, 6) AS y, x IS NULL AS flagged FROM (SELECT * FROM bs, range(30) AS r(s)) b LEFT JOIN ls ON ls.tile = b.tile AND ls.cand = b.cand AND ls.slice = b.s"""

@@ -107,11 +107,21 @@ def test_line_counts(spark, odd, odd_rows, empty):
 
 def test_line_rules(spark):
     prose = "The river rose again in spring, and the gauge at the old bridge read four feet.\n"
-    rows = [("clean", prose * 2 + " ".join(f"word{i}" for i in range(60)) + ". End."), ("menu", "\n".join(["Home > News > All", "Log in", "Read more", "Next page"] * 20) + "\n" + " ".join(f"item{i}" for i in range(30))), ("marks", " ".join(f"w{i}&&&&" for i in range(80)))]
+    rows = [("clean", prose * 2 + " ".join(f"word{i}" for i in range(60)) + ". End."), ("menu", "\n".join(["Home > News > All", "Log in", "Read more", "Next page"] * 20) + "\n" + " ".join(f"item{i}" for i in range(29))), ("marks", " ".join(f"w{i}&&&&" for i in range(80)))]
     got = {r.doc_id: r for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").transform(line_rules.clean_lines).collect()}
     assert got[0].kept and not got[1].kept and not got[2].kept and got[1].n_failed_lines == 80 and "Home" not in got[1].kept_text
 
 
+def test_line_rules_in_four_languages(spark):
+    prose = "Der Fluss stieg im Frühjahr wieder, und der Pegel zeigte vier Fuß, " + " ".join(f"wort{i}" for i in range(150)) + ".\n"
+    lines = ["Lire la suite »", "ÜBER UNS", "Leer MÁS", "Tous droits RÉSERVÉS, une maison de la ville.", "Nous lisons la suite.", "Datenschutzerklärung der alten Stadt am Fluss.", "Política de Cookies de la ciudad.", "inicios", "weiter unten im Text"]
+    r = spark.createDataFrame([(1, prose + "\n".join(lines))], "doc_id long, text string").transform(line_rules.clean_lines).first()
+    assert r.kept and r.n_failed_lines == 6 and r.kept_text.split("\n")[-3:] == ["Nous lisons la suite.", "inicios", "weiter unten im Text"]
+    english = line_rules.Rules(phrases=tuple(p for p in line_rules.PHRASES if p[0] == "en"))
+    assert line_rules.clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), rules=english).first().n_failed_lines == 0
+    assert line_rules.clean_lines(spark.createDataFrame([(1, "Home\nlorem ipsum")], "doc_id long, text string"), rules=line_rules.Rules(phrases=())).first().n_failed_lines == 0
+
+
 def test_licenses(spark, odd, odd_rows, empty):
     mit, gpl = NOTICES[0][1].split(), NOTICES[4][1].split()
     broken = " ".join([*mit[:12], "xx", "yy", *mit[12:30], *mit[33:]])  # words put in and left out

@@ -1,7 +1,9 @@
 """Toxicity, near duplicates, archives and the pipeline."""
 
 import io
+import itertools
 import random
+import re
 import zipfile
 import zlib
 from collections import defaultdict
@@ -44,6 +46,53 @@ def test_gradient_fits_labels():
     assert p[1] > 0.9 and p[0] < 0.1 and p[2] < 0.1
 
 
+def test_gradient_like_finite_differences():
+    """The likelihood is summed over all labellings of short segments."""
+    rng = np.random.default_rng(4)
+    theta, features = rng.normal(0, 1, 6 + 5), rng.integers(0, 6, (5, 3))
+    code, lengths = rng.integers(0, 5, (4, 5)), [5, 3, 1, 4]
+    mask = np.array([[float(t < n) for t in range(5)] for n in lengths])
+    y = rng.integers(0, 2, (4, 5)) * mask
+
+    def loss(theta):
+        e, move, total = theta[:6][features].sum(1)[code], theta[6:10].reshape(2, 2), 0.0
+        for k, n in enumerate(lengths):
+            weight = lambda ys: theta[10] * ys[0] + sum(e[k, t] * ys[t] for t in range(n)) + sum(move[ys[t], ys[t + 1]] for t in range(n - 1))  # noqa: B023, E731
+            total += np.log(sum(np.exp(weight(ys)) for ys in itertools.product((0, 1), repeat=n))) - weight([int(v) for v in y[k, :n]])
+        return total
+
+    want = [(loss(theta + d) - loss(theta - d)) / 2e-6 for d in np.eye(11) * 1e-6]
+    assert toxicity.chain_gradient(theta, features, code, y, mask) == pytest.approx(want, abs=1e-5)
+
+
+def test_document_score_like_direct_evaluation(spark):
+    rng = np.random.default_rng(5)
+    weights = rng.normal(0, 2, toxicity.WIDTH).astype(np.float32)
+    chain = toxicity.Chain(weights, np.array([[0.2, -0.7], [-0.1, 0.4]]), -0.5, np.array([0.7, 0.9, -0.3]))
+    rows = [(k, " ".join(rng.choice(["aa", "Bb", "c,c", "dddd", "é"], n))) for k, n in enumerate([0, 1, 2, 5, 8])]
+    got = {r.doc_id: r for r in toxicity.score_texts(spark.createDataFrame(rows, "doc_id long, text string"), chain).collect()}
+    for k, text in rows:
+        words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())
+        e = [float(weights[toxicity.token_features(w)].sum()) for w in words]
+        p, z = np.zeros(len(words)), 0.0
+        for ys in itertools.product((0, 1), repeat=len(words)):
+            own = np.exp((chain.first * ys[0] if ys else 0) + sum(a * b for a, b in zip(e, ys, strict=True)) + sum(chain.moves[a, b] for a, b in itertools.pairwise(ys)))
+            p, z = p + own * np.array(ys), z + own
+        p = p / z
+        top = np.log(np.clip(p.max(), 6e-6, 1 - 6e-6) / (1 - np.clip(p.max(), 6e-6, 1 - 6e-6))) if len(p) else -12.0
+        want = 1 / (1 + np.exp(-(0.7 * top + 0.9 * np.log1p(p[p > 0.2].sum()) - 0.3)))
+        assert got[k].score == pytest.approx(want, abs=1e-5) and len(got[k].spans) == sum(1 for v, _ in itertools.groupby(p >= 0.5) if v)
+
+
+def test_samples_hold_a_repeated_row_once(spark, monkeypatch):
+    rows, marks = toxic_corpus(120)
+    docs = spark.createDataFrame(rows + [rows[5]] * 3000 + [(rows[5][0], f"other text {k % 7}") for k in range(2000)], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda segments, fit=toxicity.fit_chain: seen.append(len(segments)) or fit(segments))
+    assert toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")) is not None
+    assert seen[0] <= 3 * (120 + 7)
+
+
 def toxic_corpus(n=600):
     rng = random.Random(9)
     plain = ["".join(rng.choice(("re", "th", "an", "on", "er", "ti", "ve", "mo", "sc", "id", "es", "or")) for _ in range(rng.randrange(1, 5))) for _ in range(400)]

@@ -113,6 +113,40 @@ def _chained(top: np.ndarray, low: np.ndarray, first: float, piece: int = 64) ->
     return out.ravel()[:n]
 
 
+def chain_gradient(theta: np.ndarray, features: np.ndarray, code: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    """Gradient of the segments' negative log likelihood, by forward and backward messages over all segments at once.
+
+    theta: weights, the four moves, the start. features: each word's columns of the weights. code, y, mask: word, label
+    and whether there is a token, a row a segment.
+    """
+    s, t = code.shape
+    e = np.clip(theta[:-5][features].sum(1)[code], -30, 30)
+    move, start = np.exp(theta[-5:-1]).reshape(2, 2), theta[-1]
+    psi = np.stack([np.ones_like(e), np.exp(e)], axis=2)
+    alpha, beta = np.empty((t, s, 2)), np.ones((t, s, 2))
+    alpha[0] = np.stack([np.ones(s), np.full(s, np.exp(start))], axis=1) * psi[:, 0]
+    alpha[0] /= alpha[0].sum(1, keepdims=True)
+    for k in range(1, t):
+        own = (alpha[k - 1] @ move) * psi[:, k]
+        alpha[k] = np.where(mask[:, k, None] > 0, own / own.sum(1, keepdims=True), alpha[k - 1])
+    for k in range(t - 2, -1, -1):
+        own = (beta[k + 1] * psi[:, k + 1]) @ move.T
+        beta[k] = np.where(mask[:, k + 1, None] > 0, own / own.sum(1, keepdims=True), 1.0)
+    p = alpha * beta
+    p = (p / p.sum(2, keepdims=True))[:, :, 1].T
+    diff = (p - y) * mask
+    by_word = np.bincount(code.ravel(), weights=diff.ravel(), minlength=len(features))
+    g = np.zeros_like(theta)
+    g[:-5] = np.bincount(features.ravel(), weights=np.repeat(by_word, features.shape[1]), minlength=len(theta) - 5)
+    both = mask[:, 1:] * mask[:, :-1]
+    joint = alpha[:-1, :, :, None] * move[None, None] * (psi[:, 1:].transpose(1, 0, 2) * beta[1:])[:, :, None, :]
+    joint /= joint.sum((2, 3), keepdims=True)
+    seen = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:]) * both).sum(), ((1 - y[:, :-1]) * y[:, 1:] * both).sum()], [(y[:, :-1] * (1 - y[:, 1:]) * both).sum(), (y[:, :-1] * y[:, 1:] * both).sum()]])
+    g[-5:-1] = ((joint * both.T[:, :, None, None]).sum((0, 1)) - seen).ravel()
+    g[-1] = diff[:, 0].sum()
+    return g
+
+
 def fit_chain(segments: list[tuple[list[str], list[int]]], steps: int = 70, rate: float = 0.25, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights, moves and start of the chain that makes the segments' labels likeliest (Adam on the exact gradient)."""
     s, t = len(segments), SEGMENT
@@ -128,32 +162,7 @@ def fit_chain(segments: list[tuple[list[str], list[int]]], steps: int = 70, rate
     theta[-5:] = [0.0, -2.0, -1.0, 0.0, -2.0]
     m, v, total = np.zeros_like(theta), np.zeros_like(theta), max(mask.sum(), 1.0)
     for step in range(1, steps + 1):
-        per_word = theta[:-5][features].sum(1)
-        e = np.clip(per_word[code], -30, 30)
-        move, start = np.exp(theta[-5:-1]).reshape(2, 2), theta[-1]
-        psi = np.stack([np.ones_like(e), np.exp(e)], axis=2)
-        alpha, beta = np.empty((t, s, 2)), np.ones((t, s, 2))
-        alpha[0] = np.stack([np.ones(s), np.full(s, np.exp(start))], axis=1) * psi[:, 0]
-        alpha[0] /= alpha[0].sum(1, keepdims=True)
-        for k in range(1, t):
-            own = (alpha[k - 1] @ move) * psi[:, k]
-            alpha[k] = np.where(mask[:, k, None] > 0, own / own.sum(1, keepdims=True), alpha[k - 1])
-        for k in range(t - 2, -1, -1):
-            own = (beta[k + 1] * psi[:, k + 1]) @ move.T
-            beta[k] = np.where(mask[:, k + 1, None] > 0, own / own.sum(1, keepdims=True), 1.0)
-        p = alpha * beta
-        p = (p / p.sum(2, keepdims=True))[:, :, 1].T
-        diff = (p - y) * mask
-        by_word = np.bincount(code.ravel(), weights=diff.ravel(), minlength=len(features))
-        g = np.zeros_like(theta)
-        g[:-5] = np.bincount(features.ravel(), weights=np.repeat(by_word, features.shape[1]), minlength=len(used))
-        both = mask[:, 1:] * mask[:, :-1]
-        joint = alpha[:-1, :, :, None] * move[None, None] * (psi[:, 1:].transpose(1, 0, 2) * beta[1:])[:, :, None, :]
-        joint /= joint.sum((2, 3), keepdims=True)
-        seen = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:]) * both).sum(), ((1 - y[:, :-1]) * y[:, 1:] * both).sum()], [(y[:, :-1] * (1 - y[:, 1:]) * both).sum(), (y[:, :-1] * y[:, 1:] * both).sum()]])
-        g[-5:-1] = ((joint * both.T[:, :, None, None]).sum((0, 1)) - seen).ravel()
-        g[-1] = diff[:, 0].sum()
-        g = g / total * 50 + l2 * theta
+        g = chain_gradient(theta, features, code, y, mask) / total * 50 + l2 * theta
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         theta -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-6)
     weights = np.zeros(WIDTH, dtype=np.float32)
@@ -204,22 +213,21 @@ def _counted(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
     return texts.select("text", "toxic").mapInArrow(_cue_counts(only), "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def find_cues(sample: DataFrame, labelled: DataFrame, least: int = 4, ratio: float = 4.0, purity: float = 0.8, most: int = 20_000) -> set[str]:
+def find_cues(sample: DataFrame, labelled: DataFrame, least: int = 4, ratio: float = 4.0, purity: float = 0.8) -> set[str]:
     """Names that at least `least` toxic texts hold, `purity` of all labelled texts that do.
 
-    Candidates come from the bounded sample: names `ratio` times as frequent in its toxic texts as in the others, at most
-    `most` of them, the most frequent ones. Their counts then cover all labelled texts.
+    Candidates come from the bounded sample (as many as its toxic texts have words, at most): names `ratio` times as
+    frequent in its toxic texts as in the others. Their counts then cover all labelled texts.
     """
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     often = F.col("toxic") * sizes.get(0, 0) >= ratio * sizes.get(1, 0) * F.col("clean")
-    found = _counted(sample).where((F.col("toxic") >= least) & often).orderBy(F.desc("toxic"), "name").limit(most)
-    candidates = {r.name for r in found.select("name").toLocalIterator()}
+    candidates = {r.name for r in _counted(sample).where((F.col("toxic") >= least) & often).select("name").toLocalIterator()}
     sure = _counted(labelled, candidates).where((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean"))))
-    return {r.name for r in sure.select("name").toLocalIterator()}  # `most` names at most
+    return {r.name for r in sure.select("name").toLocalIterator()}
 
 
-def segments_of(text: str, mark: int, cues: set[str], each: int = 3) -> list[tuple[list[str], list[int]]]:
-    """Segments of a labelled text: of a toxic one, those that hold a cue; of another, evenly spaced ones."""
+def segments_of(text: str, mark: int, cues: set[str], each: int) -> list[tuple[list[str], list[int]]]:
+    """At most `each` evenly spaced segments of a labelled text; of a toxic one, of those that hold a cue."""
     own = _WORD.findall(text.translate(_LOWER))
     flags = [int(mark == 1 and any(x in cues for x in cue_names(w))) for w in own]
     starts = range(0, max(len(own), 1), SEGMENT)
@@ -230,39 +238,41 @@ def segments_of(text: str, mark: int, cues: set[str], each: int = 3) -> list[tup
     return [(own[s : s + SEGMENT], flags[s : s + SEGMENT]) for s in chosen if own[s : s + SEGMENT]]
 
 
-def _joined(docs: DataFrame, marks: DataFrame, most: int = 500_000) -> DataFrame:
-    """docs with their marks (id, toxic): broadcast if they are no more than `most` rows, else shuffled."""
-    small = F.broadcast(marks) if marks.count() <= most else marks
-    return docs.join(small, F.col("doc_id") == F.col("id")).select("text", "toxic", "h")
+def _joined(docs: DataFrame, marks: DataFrame, on: list[str], most: int = 500_000) -> DataFrame:
+    """docs with their marks (on, toxic): broadcast if they are no more than `most` rows, else shuffled by the keys."""
+    return docs.join(F.broadcast(marks) if marks.count() <= most else marks, on)
 
 
-def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_rows: int = 20_000) -> Chain | None:
+def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_rows: int = 20_000, segments: int = 3) -> Chain | None:
     """The chain of these labelled rows; None if they lack one of the marks.
 
-    Equal texts count once. Candidates for cues come from at most `most_cue_rows` texts, segments and curve from at most
-    `most_rows` of these (half of each mark, least hashes first); the cues' counts are over all labelled texts. No text
-    is shuffled or written: labelled ids find their texts by a join at the scan.
+    Candidates for cues come from at most `most_cue_rows` texts, segments (`segments` a text at most) and curve from at
+    most `most_rows` of these (half of each mark, least hashes first); a text stands in these samples once, however
+    often its row or text repeats. The cues' counts are over all labelled rows, whose ids find their texts by a join:
+    at the scan, without moving a text, for up to half a million labels, else by a shuffle on the id.
     """
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    ids = common.written(_joined(docs.select("doc_id", "h", F.col("doc_id").alias("text")), marks).groupBy("h", "toxic").agg(F.min("text").alias("id")), "labelled")
+    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    ids = common.written(_joined(docs.select("id", "h"), marks, ["id"]).groupBy("h", "toxic").agg(F.min("id").alias("id")), "labelled")
     picked = [ids.where(F.col("toxic") == mark).orderBy("h", "id").limit(most_cue_rows // 2) for mark in (1, 0)]
     picked = common.written(picked[0].unionByName(picked[1]), "toxic-sample")
     small = [picked.where(F.col("toxic") == mark).orderBy("h", "id").limit(most_rows // 2) for mark in (1, 0)]
     if not all(x.take(1) for x in small):
         return None
-    one_text = lambda chosen: _joined(docs, chosen.select("id", "toxic"))  # noqa: E731  rows that repeat an id stand with it
-    cues = find_cues(one_text(picked), one_text(ids))
+
+    with_text = lambda chosen: _joined(docs, chosen.select("id", "h", "toxic"), ["id", "h"]).select("text", "toxic", "h")
+    once = lambda chosen: with_text(chosen).groupBy("h", "toxic").agg(F.min("text").alias("text"))
+    cues = find_cues(once(picked), with_text(ids))
 
     def cut(batches):
         for batch in batches:
             out = []
             for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                out += [(mark, w, y) for w, y in segments_of(text, mark, cues)]
+                out += [(mark, w, y) for w, y in segments_of(text, mark, cues, segments)]
             if out:
                 yield pa.RecordBatch.from_pydict({"mark": pa.array([x[0] for x in out], pa.int32()), "words": [x[1] for x in out], "y": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
 
-    texts = one_text(common.written(small[0].unionByName(small[1]), "toxic-sample"))
+    texts = once(common.written(small[0].unionByName(small[1]), "toxic-sample"))
     got = texts.select("text", "toxic").mapInArrow(cut, "mark int, words array<string>, y array<int>").collect()
     chain = Chain(*fit_chain([(r["words"], r["y"]) for r in got]), np.zeros(3))
     rows = score_texts(texts.select(F.col("h").alias("doc_id"), "text", "toxic"), chain, keep="toxic").select("top", "many", "toxic").collect()

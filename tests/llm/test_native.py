@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -162,10 +163,47 @@ def test_mixing(spark, odd, odd_rows, empty):
     assert len(none) == len(odd_rows) and all(r.rate == 1.0 and r.copies == 1 for r in none)
 
 
-def test_projected_gradient_keeps_rates_nonnegative(spark):
-    rows = spark.createDataFrame([(10, [1.0, 0.0]), (20, [0.5, 0.5]), (5, [0.0, 1.0])], "n_tokens long, p array<double>")
-    fitted, totals = mixing.fit_rates(rows, [100.0, 1e-9], steps=200, tolerance=1e-6)
-    assert min(r.rate for r in fitted.collect()) >= 0 and totals[0] == pytest.approx(100, rel=0.2)
+def solved(rows, targets, rounds=400):
+    """The nearest nonnegative rates to one that meet the targets, by sweeps: each domain's multiplier in turn, by bisection."""
+    a = np.array([[n * x / t for x, t in zip(p, targets, strict=True)] for n, p in rows]).T
+    y = np.zeros(len(targets))
+    for _ in range(rounds):
+        for d in range(len(targets)):
+            total = lambda v: np.maximum(0, 1 - a.T @ np.where(np.arange(len(y)) == d, v, y)) @ a[d]  # noqa: B023, E731
+            lo, hi = -1.0, 1.0
+            while total(lo) < 1:
+                lo *= 2
+            while total(hi) > 1:
+                hi *= 2
+            for _ in range(60):
+                lo, hi = (mid, hi) if total(mid := (lo + hi) / 2) > 1 else (lo, mid)
+            y[d] = (lo + hi) / 2
+    return np.maximum(0, 1 - a.T @ y)
+
+
+def test_rates_like_a_brute_force_solver(spark):
+    rng = np.random.default_rng(6)
+    rows = [(int(rng.integers(1, 300)), [float(x) for x in rng.dirichlet([0.4, 0.3, 0.2])]) for _ in range(300)]
+    now = [sum(n * p[d] for n, p in rows) for d in range(3)]
+    targets = [1.3 * now[0], 0.7 * now[1], 0.15 * now[2]]
+    df = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, n_tokens long, p array<double>")
+    fitted, totals = mixing.fit_rates(df, targets, tolerance=1e-7)
+    got, want = [r.rate for r in fitted.orderBy("k").collect()], solved(rows, targets)
+    assert totals == pytest.approx(targets, rel=1e-3) and got == pytest.approx(list(want), abs=1e-3) and min(want) == 0.0
+
+
+def test_targets_out_of_reach(spark):
+    """Nothing of the first domain comes without a third of the second: the totals come as near as they can, relative to their targets."""
+    rows = [(30, [2 / 3, 1 / 3]), (60, [2 / 3, 1 / 3]), (0, [0.5, 0.5])]
+    df = spark.createDataFrame(rows, "n_tokens long, p array<double>")
+    fitted, totals = mixing.fit_rates(df, [100.0, 10.0], steps=200, tolerance=1e-9)
+    x = np.array([[n * p[0] / 100, n * p[1] / 10] for n, p in rows]).T  # relative totals are x r: least squares over the one direction
+    s = (x[:, 0] / 30).sum() / ((x[:, 0] / 30) @ (x[:, 0] / 30))
+    assert totals == pytest.approx([s * 2 / 3, s / 3], rel=1e-2) and all(r.rate >= 0 for r in fitted.collect())
+    docs = spark.createDataFrame([(k, "a b c " * 20) for k in range(4)], "doc_id long, text string")
+    labels = spark.createDataFrame([(0, "x"), (1, "y")], "doc_id long, domain string")
+    out = mixing.mix(docs, labels, {"x": 5.0, "y": 0.0})
+    assert no_python(out) and out.first().residual > 0.1
 
 
 def test_rates_reach_hard_targets(spark):

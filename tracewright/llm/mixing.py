@@ -2,10 +2,13 @@
 
 The labels table names each labelled document's domain. A naive-Bayes classifier over hashed words (its table of
 `buckets` x domains log ratios is the only thing that reaches the driver, whatever the input) gives every
-document posteriors over the domains. A projected gradient step from rate one then gives nonnegative rates, one a document,
-whose expected tokens by domain (rate x tokens x posterior, summed) meet the targets: its multipliers, one a domain, are
-found by Newton steps, each one aggregate of a few sums over all documents. Errors count relative to the targets, and
-the rates are those nearest to one, so documents that need no change keep their rate.
+document posteriors over the domains.
+
+The objective: with rates r >= 0, one a document, and A r their expected tokens by domain (rate x tokens x posterior,
+summed), the least sum of (r - 1)^2 among all r whose A r are the targets; where no rates meet them, of all r whose A r
+come nearest to the targets, each domain's error relative to its target. At the solution r is a projected gradient step
+from one, max(0, 1 - A'y). Its multipliers y, one a domain, solve the convex dual and are found by Newton steps, each
+one aggregate of a few sums over all documents; documents that need no change keep their rate.
 """
 
 from __future__ import annotations
@@ -178,19 +181,20 @@ def _preconditioner(m: list[list[float]]) -> list[list[float]]:
 
 
 def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets: int = 1 << 15, tokens: float | None = None, snap: float = 0.05) -> DataFrame:
-    """doc_id, text_hash, n_tokens, domain posteriors (map), rate, copies of each row of docs (doc_id, text).
+    """doc_id, text_hash, n_tokens, domain posteriors (map), rate, copies, residual of each row of docs (doc_id, text).
 
     weights: each domain's share of the mix, relative to its present expected tokens if `tokens` is None (1.0 keeps a
     domain as it is), else to `tokens` in all. copies: the rate with its fraction decided by a hash of the id; a rate
     within `snap` of a whole number is that number, as far as totals stay within a thousandth of their targets (else `snap`
-    is halved); targets that no rates meet are logged with the totals reached. Null texts have no tokens and keep rate 1. Without labelled rows
+    is halved). residual, the same in all rows: the largest error of a domain's total relative to its target, after
+    snapping; above a thousandth no rates met the targets, and the totals reached are logged. Null texts have no tokens and keep rate 1. Without labelled rows
     there is one domain, "", and every rate is 1. Repeated rows get equal rates. Other columns of docs are ignored.
     """
     model = train_domains(docs, labelled, buckets)
     domains = model[0]
     if not domains:
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(tokens_of(F.col("text"))).cast("long").alias("n_tokens"))
-        return rows.withColumn("posteriors", F.create_map(F.lit(""), F.lit(1.0))).withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1))
+        return rows.withColumn("posteriors", F.create_map(F.lit(""), F.lit(1.0))).withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1)).withColumn("residual", F.lit(0.0))
     rows = common.written(posteriors(docs, model), "posteriors")
     now = expected_totals(rows, len(domains), F.lit(1.0))
     targets = [weights.get(d, 1.0) * (now[i] if tokens is None else tokens) for i, d in enumerate(domains)]
@@ -198,11 +202,12 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets
     rows, totals = snap_rates(rows, targets, totals, snap)
     if missed := {d: (round(x), round(t)) for d, x, t in zip(domains, totals, targets, strict=True) if abs(x - t) > 1e-3 * max(t, 1.0)}:
         logging.getLogger(__name__).warning("expected tokens that miss their targets (reached, target): %s", missed)
+    residual = max((abs(x - t) / max(t, 1.0) for x, t in zip(totals, targets, strict=True)), default=0.0)
     rate = F.col("rate")
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
     named = F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("p"))
-    return rows.select("doc_id", "text_hash", "n_tokens", named.alias("posteriors"), rate.alias("rate"), copies.alias("copies"))
+    return rows.select("doc_id", "text_hash", "n_tokens", named.alias("posteriors"), rate.alias("rate"), copies.alias("copies"), F.lit(residual).alias("residual"))
 
 
 def label_domains(labels: DataFrame) -> DataFrame:

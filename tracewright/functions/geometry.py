@@ -118,3 +118,22 @@ def centre_edges(centre: Column, size: Column, dim: Column) -> tuple[Column, Col
 def days_off(edge: Column, truth: Column, width: Column, days: Column) -> Column:
     """An edge's error in days, where the width spans so many."""
     return (edge - truth) / (width / days)
+
+
+def tile_box(plot: Column, page_w: Column, page_h: Column, margin: float) -> Column:
+    """A tile's box on its page: the plot area with a padding of at least four pixels, within the page."""
+    pad = lambda size: F.greatest(F.lit(4), F.floor(margin * size)).cast("long")
+    return expand(plot, pad(plot["w"]), pad(plot["h"]), page_w, page_h) if margin > 0 else plot
+
+
+def tile_transform(area: Column, stretch: float = 1.0) -> Column:
+    """Where a tile begins on its page, its scales, and its size in pixels."""
+    return F.struct(
+        area["x"].cast("double").alias("crop_x"), area["y"].cast("double").alias("crop_y"), F.lit(float(stretch)).alias("x_scale"), F.lit(1.0).alias("y_scale"),
+        F.greatest(F.lit(1), F.rint(area["w"] * stretch)).cast("int").alias("width"), area["h"].cast("int").alias("height"),
+    )
+
+
+def crop_to_page(v: Column, start: Column, size: Column) -> Column:
+    """A normalised position within a crop, in pixels of the page."""
+    return start + v / 1000.0 * size

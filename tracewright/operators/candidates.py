@@ -96,18 +96,57 @@ def distinct_candidates(ranked: DataFrame, pairs: DataFrame, tile: list[str], mo
     return grouped.select(*tile, F.transform(F.aggregate("cs", F.slice("cs", 1, 0), step), lambda c: c["cand"]).alias("accepted"))
 
 
-def distinct_polylines(polylines: DataFrame, tile: list[str], order: str, most: int, limit: Column) -> DataFrame:
-    """tile, accepted: as distinct_candidates, straight from all polylines of a tile (order, cand, pts).
+def _accept(cs: Column, most: Column | int, limit: Column) -> Column:
+    """Of candidates (rank, cand, pts) in order up to `most`, each farther than `limit` from all accepted before it.
 
-    The fold compares a candidate with the accepted ones alone, and with none once `most` are accepted.
+    A candidate is compared with the accepted ones alone, and with none once `most` are accepted.
     """
-    grouped = polylines.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("rank"), "cand", "pts"))).alias("cs"))
 
     def step(acc: Column, c: Column) -> Column:
         far = lambda: F.forall(acc, lambda a: separation(a["pts"], c["pts"]) > limit)
         return F.when(F.size(acc) >= most, acc).when(far(), F.concat(acc, F.array(c))).otherwise(acc)
 
-    return grouped.select(*tile, F.transform(F.aggregate("cs", F.slice("cs", 1, 0), step), lambda c: c["cand"]).alias("accepted"))
+    return F.aggregate(cs, F.slice(cs, 1, 0), step)
+
+
+def distinct_polylines(polylines: DataFrame, tile: list[str], order: str, most: int, limit: Column, exclude: Column | None = None) -> DataFrame:
+    """tile, accepted: as distinct_candidates, straight from all polylines of a tile (order, cand, pts) but those that `exclude` marks."""
+    used = polylines if exclude is None else polylines.where(~exclude)
+    grouped = used.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("rank"), "cand", "pts"))).alias("cs"))
+    return grouped.select(*tile, F.transform(_accept(F.col("cs"), most, limit), lambda c: c["cand"]).alias("accepted"))
+
+
+def census(page_n: Column, page_labels: Column, panel_n: Column, panel_labels: Column) -> tuple[Column, Column]:
+    """How many series a panel has and their labels: its own count and labels beat its page's; without labels they are numbered."""
+    n = F.greatest(F.lit(1), F.coalesce(F.nullif(panel_n, F.lit(0)), page_n, F.lit(1)))
+    given = lambda xs: F.filter(F.coalesce(xs, F.array().cast("array<string>")), lambda x: x.isNotNull() & (x != ""))
+    labels = F.when(F.size(given(panel_labels)) > 0, given(panel_labels)).when(F.size(given(page_labels)) > 0, given(page_labels))
+    numbered = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("series "), i.cast("string")))
+    return n, F.slice(F.coalesce(labels, numbered), F.lit(1), n)
+
+
+def select_multi(polylines: DataFrame, tile: list[str]) -> DataFrame:
+    """tile, n_series, chosen: the series (series, cand, label) of tiles with several curves, and too_few.
+
+    polylines: tile, rank, cand, pts, and for the whole tile n_series, labels, height and assigned (candidate to label,
+    or null). Distinct candidates are taken in rank order; if there are too few, once more with half the height's
+    threshold. Those assigned 'artifact' give way to the next candidates that are distinct among themselves, if any are
+    left at all. Labels that are missing or taken are replaced (name_series).
+    """
+    about = ["n_series", "labels", "height", "assigned"]
+    grouped = polylines.groupBy(*tile).agg(F.array_sort(F.collect_list(F.struct("rank", "cand", "pts"))).alias("cs"), *(F.first(c, ignorenulls=True).alias(c) for c in about))
+    once = lambda df, name, value: df.withColumn(name, F.explode(F.array(value)))  # noqa: E731  keeps a fold from being written out wherever it is used
+    first = once(grouped, "first", _accept(F.col("cs"), F.col("n_series"), threshold(F.col("height"))))
+    second = _accept(F.col("cs"), F.col("n_series"), threshold(F.floor(F.col("height") / 2)))
+    taken = once(first, "accepted", F.when(F.size("first") < F.col("n_series"), second).otherwise(F.col("first")))
+    label = lambda c: F.lower(F.coalesce(F.try_element_at("assigned", c["cand"]), F.lit("")))
+    kept = taken.withColumn("keep", F.when(F.col("assigned").isNull(), F.col("accepted")).otherwise(F.filter("accepted", lambda c: label(c) != "artifact")))
+    rest = F.filter("cs", lambda c: ~F.array_contains(F.transform("accepted", lambda a: a["cand"]), c["cand"]))
+    refill = F.when(F.size("keep") < F.size("accepted"), _accept(rest, F.col("n_series") - F.size("keep"), threshold(F.col("height")))).otherwise(F.slice("cs", 1, 0))
+    kept = once(kept, "both", F.concat("keep", refill))
+    final = kept.withColumn("final", F.transform(F.when(F.size("both") > 0, F.col("both")).otherwise(F.col("accepted")), lambda c: c["cand"]))
+    named = name_series(F.col("final"), F.coalesce("assigned", F.map_from_arrays(F.array().cast("array<bigint>"), F.array().cast("array<string>"))), F.col("labels"))
+    return once(final, "chosen", named).select(*tile, "n_series", "chosen", (F.size("final") < F.col("n_series")).alias("too_few"))
 
 
 def name_series(accepted: Column, assigned: Column, labels: Column) -> Column:

@@ -66,7 +66,34 @@ def nearest_peak(strength: DataFrame, by: list[str], edge: Column, window: Colum
     return near.groupBy(*by).agg(F.coalesce(best["at"], F.first("edge")).alias("snapped"))
 
 
-def seams(strength: DataFrame, by: list[str], targets: DataFrame, window: Column) -> DataFrame:
-    """by, j, at: the strongest column around each target (by, j, target); of equal ones the first."""
+def seams(strength: DataFrame, by: list[str], targets: DataFrame, window: Column, key: list[str] | None = None) -> DataFrame:
+    """by, key, at: the strongest column around each target (by, key, target); of equal ones the first."""
+    key = key or ["j"]
     hit = strength.join(targets, by).where((F.col("col") >= F.col("target") - window) & (F.col("col") <= F.col("target") + window))
-    return hit.groupBy(*by, "j").agg(F.max_by("col", F.struct("s", -F.col("col"))).alias("at"))
+    return hit.groupBy(*by, *key).agg(F.max_by("col", F.struct("s", -F.col("col"))).alias("at"))
+
+
+def to_pseudo_page(points: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
+    """points (page, x, y in pixels) where a pseudo page has them, in the first month whose box holds them by x.
+
+    boxes: page, month, x0, x1, y0 (edges of the month's box), tile_x, tile_y, tile_w, tile_h (its tile there, with the box
+    in its middle), y1. Points that no box holds are left out.
+    """
+    hit = month_of(points, boxes.select(*page, "month", "x0", "x1"), page, "x").drop("x0", "x1").join(boxes, [*page, "month"])
+    centred = lambda tile, size, a, b: F.col(tile) + (F.col(size) - (F.col(b) - F.col(a))) / 2.0
+    out = hit.withColumn("new_x", centred("tile_x", "tile_w", "x0", "x1") + F.col("x") - F.col("x0")).withColumn("new_y", centred("tile_y", "tile_h", "y0", "y1") + F.col("y") - F.col("y0"))
+    return out.select(*points.columns, "month", "new_x", "new_y")
+
+
+def cut_at_seams(boxes: DataFrame, page: list[str], strength: DataFrame) -> DataFrame:
+    """boxes (page, pos, x, w, parts) cut into `parts`, each cut at the strongest column near its even place; adds part, x, w.
+
+    strength: page, col, s. A cut is looked for within a tenth of a part on either side, and stays even without columns.
+    """
+    wide = boxes.where("parts > 1").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    wide = wide.withColumn("target", F.col("x") + F.rint(F.col("j") * F.col("w") / F.col("parts")).cast("long")).withColumn("reach", F.floor(F.col("w") / F.col("parts") / 10))
+    keys = [*page, "pos"]
+    found = seams(strength, page, wide.select(*keys, "j", "target", "reach"), F.col("reach"), ["pos", "j"])
+    cuts = wide.join(found, [*keys, "j"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.coalesce("at", "target"))).alias("cuts"))
+    whole = boxes.join(cuts, keys, "left").withColumn("edges", F.concat(F.array("x"), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(F.col("x") + F.col("w"))))
+    return whole.select(*keys, F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("part", "left"), "edges").select(*keys, (F.col("part") + 1).alias("part"), F.col("left").alias("x"), (F.get("edges", F.col("part") + 1) - F.col("left")).alias("w"))

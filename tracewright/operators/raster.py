@@ -65,3 +65,18 @@ def refine_ridges(raster: DataFrame, seeds: DataFrame, by: list[str], window: in
     clear = (total >= 3) & (F.col("spread") >= 1e-3) & (F.col("mean") - F.col("low") >= 0.5 * F.col("spread"))
     found = arrays.select(*by, "seed", F.when(clear, F.col("top") + exact).alias("found"))
     return seeds.join(found, [*by, "seed"], "left").withColumn("new_y", F.coalesce("found", F.col("y").cast("double"))).drop("found")
+
+
+def crop(raster: DataFrame, x: Column, y: Column, w: Column, h: Column) -> DataFrame:
+    """The pixels of a box, with rows and columns from its corner."""
+    inside = raster.where((F.col("col") >= x) & (F.col("col") < x + w) & (F.col("row") >= y) & (F.col("row") < y + h))
+    return inside.withColumn("row", F.col("row") - y).withColumn("col", F.col("col") - x)
+
+
+def rotate(raster: DataFrame, by: list[str], degrees: Column) -> DataFrame:
+    """Images turned counter-clockwise by a multiple of 90 degrees: an index of each pixel, no resampling."""
+    size = raster.groupBy(*by).agg(F.max("row").alias("last_row"), F.max("col").alias("last_col"))
+    q, r, c = F.pmod(F.rint(degrees / 90), F.lit(4)).cast("int"), F.col("row"), F.col("col")
+    row = F.when(q == 1, F.col("last_col") - c).when(q == 2, F.col("last_row") - r).when(q == 3, c).otherwise(r)
+    col = F.when(q == 1, r).when(q == 2, F.col("last_col") - c).when(q == 3, F.col("last_row") - r).otherwise(c)
+    return raster.join(size, by).select(*by, row.alias("row"), col.alias("col"), *(x for x in raster.columns if x not in (*by, "row", "col")))

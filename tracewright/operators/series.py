@@ -62,3 +62,15 @@ def panel_hints(panels: DataFrame, hints: DataFrame, page: list[str]) -> DataFra
 def flag_rows(*parts: DataFrame) -> DataFrame:
     """Review flags of all stages as one table (stage, ref, reason, severity): rows are appended, nothing is locked."""
     return reduce(DataFrame.unionByName, parts)
+
+
+def gaps(series: DataFrame, by: list[str]) -> DataFrame:
+    """by, n_gaps, gaps: the keys at which a series has no sample, in order."""
+    empty = F.array_sort(F.collect_list(F.when(F.col("flagged"), F.struct("slice", "x_key"))))
+    return series.groupBy(*by).agg(F.transform(empty, lambda e: e["x_key"]).alias("gaps")).withColumn("n_gaps", F.size("gaps").cast("long"))
+
+
+def chain_of_panels(panels: DataFrame, by: list[str], used: str) -> DataFrame:
+    """A stitched series' confidences: the least of its panels' chains (a map), and whether any panel's baseline was applied."""
+    least = [F.min(F.col("chain")[c]).alias(c) for c in ("panel", "calibration", "extraction", "coverage")]
+    return panels.groupBy(*by).agg(*least, F.bool_or(used).alias("baseline_applied"), F.count("*").alias("n"))

@@ -136,3 +136,51 @@ def test_streaming(spark, tmp_path):
     q = landing.to_series(landing.landing_points(spark, str(src)), out, str(tmp_path / "ck"), 0.0, 10.0, 10, flags)
     q.awaitTermination(120)
     assert spark.read.parquet(out).where("NOT flagged").count() == 5 and spark.read.parquet(flags).first().reason == "5 empty slices"
+
+
+def flat_chart(spark, panels, columns):
+    """Panels with a line at y = 200 (value 16 by the ticks of `p1`) and one at y = 300, and two of three without ticks."""
+    ticks = [("p1", i, 360.0 - 50 * i, 5.0 * i) for i in range(6)] + [("p2", 0, 360.0, 0.0)]
+    pts = [(p, c, d, 100.0 + d, y + 0.001 * d, conf) for p in ("p1", "p2", "q1") for c, y, conf in ((1, 200.0, 0.9), (2, 300.0, 0.8), (3, 200.5, 0.85)) for d in range(62)]
+    return (
+        spark.createDataFrame(ticks, "panel string, ord int, pixel double, value double"),
+        spark.createDataFrame(pts, "panel string, cand int, ord int, x double, y double, confidence double"),
+        spark.createDataFrame(panels, f"panel string, page string, x0 double, x1 double, unit string, {columns}"),
+    )
+
+
+def test_unusable_panels_take_their_own_pages_axis(spark):
+    panels = [("p1", "a", 100.0, 162.0, "mm", 31, date(1849, 1, 1)), ("p2", "a", 100.0, 162.0, "mm", 31, date(1849, 3, 1)), ("q1", "b", 100.0, 162.0, "mm", 31, date(1849, 1, 1))]
+    rows = digitize(*flat_chart(spark, panels, "n int, start date")).where("slice = 0").collect()
+    got = {r.panel: r for r in rows}
+    assert got["p2"].value_native == pytest.approx(16.0, abs=0.1) and "y_fit_shared_from:p1" in got["p2"].flags and got["p2"].donor == "p1"
+    assert got["q1"].value_native is None and got["q1"].flags == ["unusable"] and got["q1"].donor is None and not got["q1"].flagged
+
+
+def test_axes_from_labels_and_months(spark):
+    panels = [("p1", "a", 100.0, 162.0, "mm", "numeric", "1", "31", "1849-03-01", "1849-03-31"), ("p2", "a", 100.0, 162.0, "mm", "numeric", "40", "10", None, None), ("q1", "a", 100.0, 162.0, "mm", "date", "Juli 1849", "", None, None)]
+    rows = digitize(*flat_chart(spark, panels, "x_kind string, x_start string, x_end string, month_start string, month_end string")).collect()
+    keys = lambda p: [r.x_key for r in sorted((r for r in rows if r.panel == p), key=lambda r: r.slice)]
+    assert (keys("p1")[0], keys("p1")[-1], len(keys("p1"))) == ("1849-03-01", "1849-03-31", 31)
+    assert (keys("p2")[0], keys("p2")[1], keys("p2")[-1]) == ("40", "39", "10") and (keys("q1")[0], keys("q1")[-1]) == ("1849-07-01", "1849-07-31")
+
+
+def test_several_series_and_anchors(spark):
+    panels = [("p1", "a", 100.0, 162.0, "mm", 31, None, 2, ["Pegel", "Wind"], 400.0), ("p2", "a", 100.0, 162.0, "mm", 31, None, 3, None, 400.0)]
+    ticks, pts, panels = flat_chart(spark, panels, "n int, start date, n_series int, labels array<string>, height double")
+    anchors = spark.createDataFrame([("a", None, 0, 400.0, 0.0), ("a", None, 1, 0.0, 400.0), ("a", "p2", 0, 400.0, 0.0), ("a", "p2", 1, 0.0, 40.0)], "page string, panel string, ord int, pixel double, value double")
+    assigned = spark.createDataFrame([("p1", {1: "Wind", 2: "Pegel"})], "panel string, assigned map<int,string>")
+    rows = digitize(ticks, pts.where("panel != 'q1'"), panels, anchors=anchors, assigned=assigned).where("slice = 0").collect()
+    got = sorted((r.panel, r.series, r.cand, r.label, round(r.value_native, 2)) for r in rows)
+    assert got == [("p1", "s1", 1, "Wind", 200.0), ("p1", "s2", 2, "Pegel", 100.0), ("p2", "s1", 1, "series 1", 20.0), ("p2", "s2", 2, "series 2", 10.0)]
+    flags = {r.panel: r.flags for r in rows}
+    assert "too_few_curves" in flags["p2"] and "too_few_curves" not in flags["p1"] and "hint_mismatch" in flags["p1"] and "user_hint:y_anchors" in flags["p2"]
+
+
+def test_scale_and_side_in_the_chain(spark):
+    """A panel declared linear with log ticks, and one with two value scales."""
+    ticks = [("p1", i, 400.0 - 40 * i, 10.0 ** (i / 2), None) for i in range(8)] + [("p2", i, 400.0 - 40 * i, 5.0 * i, "left") for i in range(8)] + [("p2", 10 + i, 395.0 - 40 * i, 900.0 * i + (300 if i % 2 else 0), "right") for i in range(8)]
+    _, pts, panels = flat_chart(spark, [("p1", "a", 100.0, 162.0, "mm", 31, None, "linear", False), ("p2", "b", 100.0, 162.0, "mm", 31, None, "unknown", True)], "n int, start date, y_scale string, dual boolean")
+    rows = digitize(spark.createDataFrame(ticks, "panel string, ord int, pixel double, value double, side string"), pts.where("panel != 'q1'"), panels).where("slice = 0").collect()
+    got = {r.panel: r.value_native for r in rows}
+    assert got["p1"] == pytest.approx(10**2.5, rel=0.01) and got["p2"] == pytest.approx(25.0, rel=0.01)

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tracewright.config import Gates
 from tracewright.functions import dates, text
+from tracewright.functions.columns import let
 from tracewright.operators import fit
 
 _X = "struct<kind:string,start:string,end:string,n_samples:int,flags:array<string>>"
@@ -20,10 +21,10 @@ def _axis(kind: str, start: Column, end: Column, n: Column, flags: Column) -> Co
     return F.struct(F.lit(kind).alias("kind"), start.cast("string").alias("start"), end.cast("string").alias("end"), n.cast("int").alias("n_samples"), flags.cast("array<string>").alias("flags"))
 
 
-def _extent(start: Column, end: Column) -> tuple[Column, Column]:
-    """Both dates of a labelled extent; an end without a year has the start's."""
-    first = dates.parse_label(start)
-    return first, dates.parse_label(end, F.year(first))
+def _with_extent(start: Column, end: Column, body) -> Column:
+    """body(first, last): both dates of a labelled extent, each read once; an end without a year has the start's."""
+    both = lambda first: F.struct(first.alias("first"), dates.parse_label(end, F.year(first)).alias("last"))
+    return let(dates.parse_label(start), lambda first: let(both(first), lambda x: body(x["first"], x["last"])))
 
 
 def _plain(number: Column) -> Column:
@@ -36,31 +37,38 @@ def x_axis(kind: Column, start: Column, end: Column) -> Column:
     Dates: one sample a day; a single label stands for its whole month. Numbers: one sample a unit if the extent is whole;
     it may fall. Labels that cannot be read stay as they are, with a flag and no samples.
     """
-    first, last = _extent(start, end)
     none, n = F.array(), F.lit(None)
-    dated = F.when(last >= first, _axis("date", first, last, F.date_diff(last, first) + 1, none))
-    dated = dated.when(first.isNotNull() & last.isNull(), _axis("date", F.trunc(first, "MM"), F.last_day(first), dates.days_in_month(first), none))
-    dated = dated.otherwise(_axis("date", start, end, n, F.array(F.lit("dates_unparsed"))))
-    a, b = text.lenient_number(start), text.lenient_number(end)
-    width = F.abs(b - a)
-    counted = F.when(a != b, _axis("numeric", _plain(a), _plain(b), F.when(width == F.rint(width), width + 1), F.when(b < a, F.array(F.lit("descending"))).otherwise(none)))
-    counted = counted.otherwise(_axis("numeric", start, end, n, F.array(F.lit("numeric_extent_unparsed"))))
-    return F.when(kind == "date", dated).when(kind == "numeric", counted).otherwise(_axis("unknown", start, end, n, none))
+
+    def dated(first: Column, last: Column) -> Column:
+        out = F.when(last >= first, _axis("date", first, last, F.date_diff(last, first) + 1, none))
+        out = out.when(first.isNotNull() & last.isNull(), _axis("date", F.trunc(first, "MM"), F.last_day(first), dates.days_in_month(first), none))
+        return out.otherwise(_axis("date", start, end, n, F.array(F.lit("dates_unparsed"))))
+
+    def counted(x: Column) -> Column:
+        a, b, width = x["a"], x["b"], F.abs(x["b"] - x["a"])
+        out = F.when(a != b, _axis("numeric", _plain(a), _plain(b), F.when(width == F.rint(width), width + 1), F.when(b < a, F.array(F.lit("descending"))).otherwise(none)))
+        return out.otherwise(_axis("numeric", start, end, n, F.array(F.lit("numeric_extent_unparsed"))))
+
+    numbers = F.struct(text.lenient_number(start).alias("a"), text.lenient_number(end).alias("b"))
+    return F.when(kind == "date", _with_extent(start, end, dated)).when(kind == "numeric", let(numbers, counted)).otherwise(_axis("unknown", start, end, n, none))
 
 
 def with_month(x: Column, start: Column, end: Column) -> Column:
     """A panel's month beats an axis that is no dated one with samples (day numbers, say)."""
-    first, last = _extent(start, end)
-    whole = F.coalesce((x["kind"] == "date") & x["n_samples"].isNotNull(), F.lit(False))
-    return F.when(~whole & (last >= first), _axis("date", first, last, F.date_diff(last, first) + 1, F.array_append(x["flags"], F.lit("x_from_month_hint")))).otherwise(x.cast(_X))
+
+    def preferred(first: Column, last: Column) -> Column:
+        whole = F.coalesce((x["kind"] == "date") & x["n_samples"].isNotNull(), F.lit(False))
+        return F.when(~whole & (last >= first), _axis("date", first, last, F.date_diff(last, first) + 1, F.array_append(x["flags"], F.lit("x_from_month_hint")))).otherwise(x.cast(_X))
+
+    return _with_extent(start, end, preferred)
 
 
 def hinted(start: Column, end: Column) -> Column:
     """The x axis of a user's hint; null where the hint has no extent."""
-    given = (F.coalesce(start, F.lit("")) != "") | (F.coalesce(end, F.lit("")) != "")
     a, b = F.coalesce(start, F.lit("")), F.coalesce(end, F.lit(""))
     kind = F.when(dates.parse_label(a).isNotNull() | dates.parse_label(b).isNotNull(), "date").otherwise("numeric")
-    return F.when(given, x_axis(kind, a, b).withField("flags", F.array_append(x_axis(kind, a, b)["flags"], F.lit("user_hint:x_extent"))))
+    made = let(x_axis(kind, a, b), lambda x: x.withField("flags", F.array_append(x["flags"], F.lit("user_hint:x_extent"))))
+    return F.when((a != "") | (b != ""), made)
 
 
 def x_position(x: Column, i: Column, n: Column) -> Column:
@@ -70,8 +78,10 @@ def x_position(x: Column, i: Column, n: Column) -> Column:
 
 def x_key(x: Column, i: Column, n: Column) -> Column:
     """The key of sample i of n: its day, its number, or its place from 1 on."""
+    place = (i + 1).cast("string")
     day = F.date_add(F.try_to_date(x["start"], "yyyy-MM-dd"), i).cast("string")
-    return F.when((x["kind"] == "date") & x["n_samples"].isNotNull(), day).when((x["kind"] == "numeric") & x_position(x, i, n).isNotNull(), _plain(F.round(x_position(x, i, n), 6))).otherwise((i + 1).cast("string"))
+    number = let(F.round(x_position(x, i, n), 6), lambda v: F.coalesce(_plain(v), place))
+    return F.when((x["kind"] == "date") & x["n_samples"].isNotNull(), day).when(x["kind"] == "numeric", number).otherwise(place)
 
 
 def anchors_of(panels: DataFrame, anchors: DataFrame, page: list[str]) -> DataFrame:

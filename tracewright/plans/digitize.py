@@ -6,33 +6,78 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.config import Gates
+from tracewright.operators import axes, resample
 from tracewright.operators import candidates as cd
-from tracewright.operators import fit, resample
 from tracewright.operators import series as sr
 
+#: Columns that panels may lack, and what stands for them.
+_OPTIONAL = {"page": "panel", "y_scale": "'unknown'", "dual": "false", "n_series": "1", "labels": "CAST(NULL AS array<string>)", "height": "0.0D"}
 
-def digitize(ticks: DataFrame, points: DataFrame, panels: DataFrame, baseline: DataFrame | None = None, picks: DataFrame | None = None, gates: Gates = Gates(), dated: bool = True) -> DataFrame:
-    """Series (panel, slice, x_key, value_native, value_mm, flagged, flags) of every panel.
 
-    ticks: panel, ord, pixel, value. points: panel, cand, ord, x, y (page), confidence. panels: panel, x0, x1, n, start
-    (a date or null), unit. baseline: panel, x, y, beta (optional). Slices are cut by the uncorrected x.
+def _known(panels: DataFrame, gates: Gates) -> DataFrame:
+    """panels with every optional column, an x axis struct and n, its samples."""
+    panels = panels.withColumns({c: F.expr(default) for c, default in _OPTIONAL.items() if c not in panels.columns})
+    if "x_kind" in panels.columns:
+        x = axes.x_axis(F.col("x_kind"), F.coalesce("x_start", F.lit("")), F.coalesce("x_end", F.lit("")))
+        panels = panels.withColumn("x", x)
+        if "month_start" in panels.columns:
+            panels = panels.withColumn("x", axes.with_month(F.col("x"), F.coalesce("month_start", F.lit("")), F.coalesce("month_end", F.lit(""))))
+        return panels.withColumn("n", F.coalesce("x.n_samples", F.lit(gates.slices)))
+    dated = F.col("start").isNotNull()
+    x = F.struct(F.when(dated, "date").otherwise("unknown").alias("kind"), F.col("start").cast("string").alias("start"), F.lit("").alias("end"), F.when(dated, F.col("n")).alias("n_samples"))
+    return panels.withColumn("x", x)
+
+
+def _selected(known: DataFrame, scored: DataFrame, points: DataFrame, picks: DataFrame | None, assigned: DataFrame | None, gates: Gates) -> DataFrame:
+    """panel, series, cand, label, too_few: one curve for panels of one series, distinct ones for the others."""
+    single = cd.select_single(scored, picks, ["panel"], gates).select("panel", "cand")
+    many = known.where("n_series > 1").select("panel", "n_series", "labels", "height")
+    lines = cd.as_polylines(points.join(many.select("panel"), "panel", "left_semi"), ["panel", "cand"])
+    ranked = cd.rank(scored, ["panel"]).select("panel", "cand", "rank")
+    lines = lines.join(ranked, ["panel", "cand"]).join(many, "panel")
+    names = F.lit(None).cast("map<bigint,string>")
+    lines = lines.join(assigned.select("panel", F.col("assigned").cast("map<bigint,string>").alias("assigned")), "panel", "left") if assigned is not None else lines.withColumn("assigned", names)
+    n, labels = cd.census(F.col("n_series"), F.lit(None).cast("array<string>"), F.lit(None).cast("int"), F.col("labels"))
+    lines = lines.withColumn("cand", F.col("cand").cast("long")).withColumn("labels", labels).withColumn("n_series", n)
+    multi = cd.select_multi(lines, ["panel"]).select("panel", F.explode("chosen").alias("c"), "too_few").select("panel", "c.series", "c.cand", "c.label", "too_few")
+    one = single.join(many.select("panel"), "panel", "left_anti").select("panel", F.lit("s1").alias("series"), F.col("cand").cast("long").alias("cand"), F.lit("").alias("label"), F.lit(False).alias("too_few"))
+    return one.unionByName(multi)
+
+
+def digitize(
+    ticks: DataFrame, points: DataFrame, panels: DataFrame, baseline: DataFrame | None = None, picks: DataFrame | None = None, gates: Gates = Gates(), dated: bool = True,
+    anchors: DataFrame | None = None, assigned: DataFrame | None = None,
+) -> DataFrame:
+    """Series (panel, series, slice, x_key, value_native, value_mm, flagged, flags) of every panel that has a curve.
+
+    ticks: panel, ord, pixel, value (and side on panels with two scales). points: panel, cand, ord, x, y (page),
+    confidence. panels: panel, x0, x1, unit; the x axis as n and start (a date or null), or as the labels x_kind, x_start,
+    x_end (and month_start, month_end of the panel's month); if known: page (panels that share a value scale; else each
+    stands alone), y_scale, dual, n_series, labels, height (of its tile). baseline: panel, x, y, beta. anchors: page, panel
+    (or null), ord, pixel, value. assigned: panel, and a map of candidates to labels. Slices are cut by the uncorrected x.
+    Panels without a usable axis take their page's; without one their series have pixels but no values, and `unusable`.
     """
     by = ["panel", "cand"]
-    fits = fit.share_donor(fit.gate_flags(fit.robust_fit(ticks, ["panel"], gates), gates).withColumn("page", F.lit(1)), ["page"], "panel", F.col("n_used") >= 2, gates)
-    on_page = points.join(panels.select("panel", "x0", "x1", "n"), "panel")
+    known = _known(panels, gates)
+    own_anchors = axes.anchors_of(known.select("page", "panel"), anchors, ["page"]).drop("page") if anchors is not None else None
+    fits = axes.share(axes.calibrate(known, ticks, gates, own_anchors), gates)
+    on_page = points.join(known.select("panel", "x0", "x1", "n"), "panel")
     sampled = resample.last_per_slice(on_page, by, F.col("x0"), F.col("x1"), F.col("n"), ("confidence", "n"))
     scored = sampled.groupBy(*by).agg((F.count("*") / F.max("n")).alias("coverage"), F.max("confidence").alias("confidence"))
     scored = scored.withColumn("s_alpha", resample.s_alpha(F.col("confidence"), F.col("coverage"), gates.alpha)).withColumn("viable", F.col("coverage") >= gates.viable_coverage)
-    chosen = cd.select_single(scored, picks, ["panel"], gates).select("panel", "cand")
-    own = sampled.join(chosen, by, "left_semi").drop("n")
+    chosen = _selected(known, scored, points, picks, assigned, gates)
+    own = sampled.drop("n").join(chosen.select(*by, "series"), by)
     if baseline is not None:
         beta = baseline.groupBy("panel").agg(F.max("beta").alias("beta"))
-        base = resample.interpolate(own.select("panel", "x", "slice"), baseline.select("panel", "x", "y"), ["panel"])
-        own = own.join(base.select("panel", "slice", "base"), ["panel", "slice"], "left").join(beta, "panel", "left")
+        base = resample.interpolate(own.select("panel", "x", "series", "slice"), baseline.select("panel", "x", "y"), ["panel"])
+        own = own.join(base.select("panel", "series", "slice", "base"), ["panel", "series", "slice"], "left").join(beta, "panel", "left")
         own = own.withColumn("y_corrected", F.coalesce(resample.correct(F.col("y"), F.col("base"), F.col("beta")), F.col("y")))
     else:
         own = own.withColumn("y_corrected", F.col("y"))
-    keys = panels.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).select("panel", "slice", "unit", F.coalesce(F.date_add("start", F.col("slice")).cast("string"), (F.col("slice") + 1).cast("string")).alias("x_key"))
-    full = keys.join(own, ["panel", "slice"], "left").withColumn("flagged", F.col("x").isNull())
-    full = full.join(fits.select("panel", "slope", "intercept", F.lit("linear").alias("scale"), "flags"), "panel", "left")
-    return sr.physical(full, F.col("unit"), dated).select("panel", "cand", "slice", "x_key", "value_native", "native_unit", "value_mm", "x", "y", "y_corrected", "flagged", "flags")
+    slices = known.join(chosen, "panel").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    keys = slices.select("panel", "series", "label", "too_few", "slice", "unit", axes.x_key(F.col("x"), F.col("slice"), F.col("n")).alias("x_key"))
+    full = keys.join(own, ["panel", "series", "slice"], "left").withColumn("flagged", F.col("x").isNull())
+    full = full.join(fits.select("panel", "donor", "slope", "intercept", "scale", "flags"), "panel", "left")
+    few = F.when(F.col("too_few"), F.array_append("flags", F.lit("too_few_curves"))).otherwise(F.col("flags"))
+    out = sr.physical(full.withColumn("flags", few), F.col("unit"), dated)
+    return out.select("panel", "series", "label", "cand", "slice", "x_key", "value_native", "native_unit", "value_mm", "x", "y", "y_corrected", "flagged", "donor", "flags")

@@ -69,3 +69,9 @@ def test_text(spark):
     names = ["M10", "m2", "M1", "a"]
     got = spark.createDataFrame([(n,) for n in names], "n string").orderBy(text.natural_key(F.col("n"))).collect()
     assert [r.n for r in got] == ["a", "M1", "m2", "M10"]
+
+
+def test_small_geometry_and_keys(spark):
+    assert [one(spark, g.point_to_px(F.lit(v), F.lit(200))) for v in (500.0, 1200.0, -3.0)] == [100.0, 200.0, 0.0]
+    assert one(spark, F.array(*g.centre_edges(F.lit(0.5), F.lit(0.2), F.lit(1000.0)))) == pytest.approx([400, 600])
+    assert (one(spark, text.tile_key(F.lit("p03_s2"))), one(spark, text.gauge_id(F.lit("210018")))) == ("p03", "DE_BY_DAN_21")

@@ -14,12 +14,12 @@ from tracewright.streaming import landing
 
 def test_month_and_baseline_annotations(spark, tmp_path):
     f = tmp_path / "Passau_210018.tif.txt"
-    f.write_text("# LOW_VALUE: 0.5\n# HIGH_VALUE: 3.5\n# IMAGE_SIZE: 10062 4362\n# NOTE: x\n1 0.1 0.5 0.08 0.4\n2 0.2 0.5 0.08 0.3\n")
+    f.write_text("# LOW_VALUE: 0.5\n# HIGH_VALUE: 3.5\n# IMAGE_SIZE: 9000 4000\n# NOTE: x\n1 0.1 0.5 0.08 0.4\n2 0.2 0.5 0.08 0.3\n")
     pages, boxes = a.read_month_annotations(spark, str(f))
     p = pages.first()
-    assert (p.scan_id, p.low_value, p.high_value, p.width, p.height) == ("210018", 0.5, 3.5, 10062, 4362) and boxes.count() == 2
+    assert (p.scan_id, p.low_value, p.high_value, p.width, p.height) == ("210018", 0.5, 3.5, 9000, 4000) and boxes.count() == 2
     r = a.anchor_rows(pages, boxes).first()
-    assert (r.c_low, r.c_high) == pytest.approx((0.7 * 4362, 0.3 * 4362))
+    assert (r.c_low, r.c_high) == pytest.approx((0.7 * 4000, 0.3 * 4000))
     g = tmp_path / "base.txt"
     g.write_text("# c\n\n0 0.1 0.2 0.3 0.4 0.5 0.6\n0 9 9\n")
     assert [(r.i, r.x, r.y) for r in a.read_baseline_annotations(spark, str(g)).orderBy("i").collect()] == [(0, 0.1, 0.2), (1, 0.3, 0.4), (2, 0.5, 0.6)]
@@ -184,3 +184,68 @@ def test_scale_and_side_in_the_chain(spark):
     rows = digitize(spark.createDataFrame(ticks, "panel string, ord int, pixel double, value double, side string"), pts.where("panel != 'q1'"), panels).where("slice = 0").collect()
     got = {r.panel: r.value_native for r in rows}
     assert got["p1"] == pytest.approx(10**2.5, rel=0.01) and got["p2"] == pytest.approx(25.0, rel=0.01)
+
+
+def test_streaming_again_doubles_nothing(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    (src / "a.json").write_text("\n".join(json.dumps({"run_id": "r", "panel": "p01", "ord": i, "x": float(i), "y": 1.0}) for i in range(5)))
+    for checkpoint in ("one", "two"):  # a lost checkpoint runs the same batch again
+        landing.to_series(landing.landing_points(spark, str(src)), out, str(tmp_path / checkpoint), 0.0, 10.0, 10).awaitTermination(120)
+    assert spark.read.parquet(out).count() == 10
+    live = landing.live_coverage(landing.landing_points(spark, str(src)), 0.0, 10.0, 10)
+    q = live.writeStream.format("memory").queryName("live_test").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert spark.table("live_test").first().coverage == 0.5
+
+
+def test_zip_source_checks_members(spark, tmp_path):
+    z = tmp_path / "t.zip"
+    with zipfile.ZipFile(z, "w", zipfile.ZIP_DEFLATED) as f:
+        f.writestr("a.png", b"x" * 500)
+        f.writestr("b.png", b"yy")
+    spark.dataSource.register(ZipMembers)
+    load = lambda: spark.read.format("zip_members").option("path", f"file://{z}").option("members", 1).load()
+    assert sorted((r.name, bytes(r.content)) for r in load().collect()) == [("a.png", b"x" * 500), ("b.png", b"yy")]
+    raw = bytearray(z.read_bytes())
+    raw[40] ^= 1
+    z.write_bytes(raw)
+    with pytest.raises(Exception, match="checksum|decompress"):
+        load().collect()
+
+
+def test_images_gauges_truth_and_levels(spark, tmp_path):
+    for name in ("a.png", "sub/b.TIF", "c.txt"):
+        (tmp_path / "img" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "img" / name).write_bytes(name.encode())
+    assert sorted(bytes(r.content) for r in a.read_images(spark, str(tmp_path / "img")).collect()) == [b"a.png", b"sub/b.TIF"]
+    (tmp_path / "g.csv").write_text("gauge_id,name\nDE_BY_DAN_21,Passau\n")
+    assert a.read_gauges(spark, str(tmp_path / "g.csv")).first().name == "Passau"
+    (tmp_path / "x.truth.json").write_text(json.dumps({"months": [{"month": 2, "box": [1, 2, 3, 4]}]}))
+    r = a.read_truth(spark, str(tmp_path / "x.truth.json")).first()
+    assert (r.stem, r.month, r.box.w) == ("x", 2, 3)
+    (tmp_path / "gt.csv").write_text("INDEX,C_X,C_Y,DATE,GAUGELEVEL,ICE,REMARKS,date,GAUGELEVEL_NO_ADJUSTMENT\n0,10,20,1849-01-01,1.5,,,1849-01-01,1.4\n1,1,2,1849-01-02,,,,,\n")
+    assert [r.GAUGELEVEL for r in a.read_levels(spark, str(tmp_path / "gt.csv")).collect()] == [1.5]
+    wanted = spark.createDataFrame([("h1", "p"), ("h2", "p")], "sha string, prompt string")
+    have, missing = a.cached_responses(wanted, spark.createDataFrame([("h1", "p", "{}")], "sha string, prompt string, response string"), ["sha", "prompt"])
+    assert [r.sha for r in have.collect()] == ["h1"] and [r.sha for r in missing.collect()] == ["h2"]
+
+
+def test_series_reader_and_small_sinks(spark, tmp_path):
+    folder = tmp_path / "runs" / "210018_tif_M03"
+    folder.mkdir(parents=True)
+    (folder / "series_p01.csv").write_text("x_key,value_native,native_unit,value_mm,pixel_x_page,pixel_y_page,pixel_y_corrected,flagged\n1849-03-01,1.5,mm,1.5,1,2,3,false\n7,,,,,,,true\n")
+    rows = a.read_series(spark, str(folder / "series_p01.csv")).orderBy("x_key").collect()
+    assert (rows[0].scan_id, rows[0].month, rows[0].series_key, rows[0].date) == ("210018", 3, "p01", date(1849, 3, 1)) and rows[1].date is None
+    doc = spark.createDataFrame([(1, "t")], "schema_version int, title string")
+    sinks.write_artifact(doc, str(tmp_path / "meta"))
+    assert a.read_artifact(spark, str(tmp_path / "meta"), "metadata").first().title == "t"
+    sinks.bundle(spark.createDataFrame([("r1", "p01", b"x")], "run_id string, tile string, content binary"), str(tmp_path / "bundle"))
+    assert spark.read.parquet(str(tmp_path / "bundle")).where("run_id = 'r1'").count() == 1
+    tiles = spark.createDataFrame([("pg", m, 10 * m, 0, 10, 5, 20, 5, "mm") for m in (2, 1)], "page string, month int, x int, y int, w int, h int, page_w int, page_h int, unit string")
+    made = sinks.pseudo_page(tiles, ["page"]).first()
+    assert json.loads(made.truth) == {"months": [{"month": 1, "box": [10, 0, 10, 5]}, {"month": 2, "box": [20, 0, 10, 5]}]} and json.loads(made.hints)["expected_panels"] == 2
+    report = sinks.evaluation_report(spark.createDataFrame([(1, 0.5)], "run int, median_slope_err_pct double"), spark.createDataFrame([(1, 12)], "run int, n int"), spark.createDataFrame([(1, 0.9)], "run int, mean_peak_score double"), str(tmp_path / "eval"))
+    assert "## Panels found" in report and spark.read.option("header", True).csv(str(tmp_path / "eval" / "series")).first().mean_peak_score == "0.9"
+    sinks.annual_csv(spark.createDataFrame([("r", "1849-01-01", 1.23456, 1)], "run string, x_key string, value double, panel_ord int"), str(tmp_path / "annual"), ["run"])
+    assert spark.read.option("header", True).csv(str(tmp_path / "annual")).first().value_native == "1.2346"

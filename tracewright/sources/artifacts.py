@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from datetime import date
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -69,7 +70,7 @@ def read_baseline_annotations(spark: SparkSession, path: str) -> DataFrame:
     """file, i, x, y: the points of each file's first line of data (a class, then x and y in turn)."""
     whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.split("value", "\n").alias("lines"))
     first = F.get(F.filter(F.transform("lines", lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("#")), F.lit(0))
-    v = F.transform(F.slice(F.split(first, "\\s+"), 2, 1_000_000), lambda x: x.cast("double"))
+    v = F.transform(F.slice(F.split(first, "\\s+"), F.lit(2), F.size(F.split(first, "\\s+"))), lambda x: x.cast("double"))
     rows = whole.withColumn("v", v).where(F.size("v") >= 2)
     pairs = F.transform(F.sequence(F.lit(0), F.floor(F.size("v") / 2).cast("int") - 1), lambda i: F.struct(F.get(F.col("v"), 2 * i).alias("x"), F.get(F.col("v"), 2 * i + 1).alias("y")))
     return rows.select("file", F.posexplode(pairs).alias("i", "p")).select("file", "i", "p.*")
@@ -81,14 +82,27 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
     return df.select("C_X", "C_Y", F.to_date("DATE_").alias("DATE"), "GAUGELEVEL")
 
 
+def read_levels(spark: SparkSession, path: str) -> DataFrame:
+    """DATE and GAUGELEVEL of ground truth, days without a level left out."""
+    return read_ground_truth(spark, path).where("GAUGELEVEL IS NOT NULL").select("DATE", "GAUGELEVEL")
+
+
+def read_truth(spark: SparkSession, path: str) -> DataFrame:
+    """stem, month and box of the truth files beside inputs (<stem>.truth.json: a list of months with their boxes)."""
+    raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*)\\.truth\\.json$", 1).alias("stem"), "value")
+    rows = raw.where("stem <> ''").select("stem", F.explode(F.from_json("value", "struct<months:array<struct<month:int,box:array<bigint>>>>")["months"]).alias("m"))
+    corner = lambda i: F.get(F.col("m.box"), F.lit(i))
+    return rows.select("stem", "m.month", F.struct(*(corner(i).alias(c) for i, c in enumerate("xywh"))).alias("box"))
+
+
 def read_observations(spark: SparkSession, path: str, gauge: str | None = None, year: int | None = None) -> DataFrame:
     df = spark.read.schema(schemas.OBSERVATIONS_CSV).option("header", True).csv(path)
     df = df.where(F.col("gauge_id") == gauge) if gauge else df
-    return df.where(F.year("date") == year) if year else df
+    return df.where((F.col("date") >= date(year, 1, 1)) & (F.col("date") < date(year + 1, 1, 1))) if year else df
 
 
 def read_gauges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.option("header", True).csv(path)
+    return spark.read.schema(schemas.GAUGES_CSV).option("header", True).option("enforceSchema", False).csv(path)
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
@@ -136,9 +150,10 @@ def read_result_bundles(spark: SparkSession, path: str, run_id: str | None = Non
 
 
 def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("png", "jpg", "jpeg", "tif", "tiff")) -> DataFrame:
-    """path, sha256, content of all images below a folder: a run for each."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return df.where(F.lower("path").rlike("\\.(" + "|".join(suffixes) + ")$")).select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.col("length"), "content")
+    """path, sha256, content of all images below a folder: a run for each. Other files are not opened."""
+    either = lambda x: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in x)
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{" + ",".join(map(either, suffixes)) + "}").load(path)
+    return df.select("path", F.sha2("content", 256).alias("sha256"), F.md5("content").alias("md5"), F.col("length"), "content")
 
 
 def cached_responses(wanted: DataFrame, cache: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:

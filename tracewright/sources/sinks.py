@@ -25,8 +25,8 @@ def append(rows: DataFrame, path: str) -> None:
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """run_id, stage and its last status."""
-    return events.groupBy("run_id", "stage").agg(F.max_by(F.struct("status", "error"), "at").alias("s")).select("run_id", "stage", "s.*")
+    """run_id, stage and its last status; of events at one time the one with the greatest status and error."""
+    return events.groupBy("run_id", "stage").agg(F.max_by(F.struct("status", "error"), F.struct("at", "status", "error")).alias("s")).select("run_id", "stage", "s.*")
 
 
 def write_artifact(rows: DataFrame, path: str) -> None:
@@ -57,3 +57,24 @@ def run_report(series: DataFrame, fits: DataFrame, flags: DataFrame, most: int =
     order = F.when(F.col("severity") == "blocking", 0).when(F.col("severity") == "warning", 1).otherwise(2)
     listed = flags.withColumn("_n", F.row_number().over(Window.partitionBy("severity").orderBy("stage", "ref"))).where(F.col("_n") <= most).orderBy(order, "stage", "ref").drop("_n")
     return "\n".join([markdown(fits.orderBy("panel"), "Axis fits", most), markdown(gaps.orderBy("panel"), "Series", most), markdown(listed, "Review flags", most)])
+
+
+def annual_csv(rows: DataFrame, path: str, by: list[str]) -> None:
+    """Stitched years (of series.stitch: by, x_key, value, panel_ord) as CSV below by=... folders."""
+    out = rows.select(*by, "x_key", _fixed("value", 4).alias("value_native"), "panel_ord")
+    out.repartition(*by).sortWithinPartitions(*by, "x_key").write.partitionBy(*by).option("header", True).mode("overwrite").csv(path)
+
+
+def evaluation_report(calibration: DataFrame, panels: DataFrame, series: DataFrame, path: str, most: int = 200) -> str:
+    """The three evaluations' summaries (small tables, a row a run) as CSV below path, and as one markdown report."""
+    parts = {"Calibration against human anchors": ("calibration", calibration), "Panels found": ("panels", panels), "Series against ground truth": ("series", series)}
+    for name, df in parts.values():
+        df.coalesce(1).write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
+    return "\n".join(markdown(df.orderBy(df.columns[0]), title, most) for title, (_, df) in parts.items())
+
+
+def pseudo_page(tiles: DataFrame, page: list[str]) -> DataFrame:
+    """page, hints, truth: the JSON beside each pseudo page. tiles: page, month, x, y, w, h, page_w, page_h (of months.layout), unit."""
+    boxes = F.array_sort(F.collect_list(F.struct("month", F.array("x", "y", "w", "h").alias("box"))))
+    hints = F.struct(F.first("unit").alias("unit"), F.count("*").cast("int").alias("expected_panels"), F.lit("row").alias("panel_layout"), F.transform(boxes, lambda m: F.struct(m["month"].alias("index"), m["month"].alias("month"))).alias("panels"))
+    return tiles.groupBy(*page).agg(F.to_json(hints).alias("hints"), F.to_json(F.struct(boxes.alias("months"))).alias("truth"))

@@ -6,6 +6,9 @@
 
 from __future__ import annotations
 
+import re
+import zipfile
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +17,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 @dataclass
 class Members(InputPartition):
-    names: list[str]
+    """(name, where its local header begins, packed and whole size, method, checksum) of each member."""
+
+    entries: list[tuple[str, int, int, int, int, int]]
 
 
 class ZipMembers(DataSource):
@@ -42,17 +47,22 @@ class ZipReader(DataSourceReader):
         return store.open_input_file(path)  # seeks become ranged reads
 
     def partitions(self) -> list[Members]:
-        import re
-        import zipfile
-
+        """The archive's directory is read here, once; tasks only get the ranges of their members."""
         with self._open() as f, zipfile.ZipFile(f) as z:
-            names = [n for n in z.namelist() if n.endswith(self.suffix) and not n.endswith("/") and re.search(self.pattern, n)]
-        return [Members(names[i : i + self.each]) for i in range(0, len(names), self.each)]
+            found = [(i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for i in z.infolist() if i.filename.endswith(self.suffix) and not i.is_dir() and re.search(self.pattern, i.filename)]
+        return [Members(found[i : i + self.each]) for i in range(0, len(found), self.each)]
 
     def read(self, partition: Members) -> Iterator[tuple]:
-        import zipfile
-
-        with self._open() as f, zipfile.ZipFile(f) as z:
-            for n in partition.names:
-                data = z.read(n)  # raises on a wrong checksum
-                yield n, len(data), data
+        with self._open() as f:
+            for name, at, packed, size, method, crc in partition.entries:
+                f.seek(at)
+                head = f.read(30)  # a local header: its name and extra field may differ in length from the directory's
+                f.seek(at + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+                data = f.read(packed)
+                if method == zipfile.ZIP_DEFLATED:
+                    data = zlib.decompress(data, -15)
+                elif method != zipfile.ZIP_STORED:
+                    raise ValueError(f"{name}: compression method {method} is not supported")
+                if len(data) != size or zlib.crc32(data) != crc:
+                    raise ValueError(f"{name}: size or checksum do not match the directory")
+                yield name, size, data

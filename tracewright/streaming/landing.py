@@ -16,16 +16,20 @@ def landing_points(spark: SparkSession, path: str, schema: str = POINTS) -> Data
 
 
 def to_series(points: DataFrame, out: str, checkpoint: str, x0: float, x1: float, n: int, flags: str | None = None) -> StreamingQuery:
-    """Each batch's panels, resampled by the batch operator and appended; a panel's points arrive in one file, hence one batch."""
+    """Each batch's panels, resampled by the batch operator, below epoch=... folders; a panel's points arrive in one file, hence one batch.
+
+    A batch that is run again after a failure overwrites its own folder, so nothing is doubled.
+    """
 
     def each(batch: DataFrame, epoch: int) -> None:
         sampled = resample.last_per_slice(batch, ["run_id", "panel"], F.lit(x0), F.lit(x1), F.lit(n))
-        series = resample.densify(sampled, ["run_id", "panel"], n).withColumn("epoch", F.lit(epoch))
+        series = resample.densify(sampled, ["run_id", "panel"], n)
         series.persist()
-        series.write.mode("append").parquet(out)
+        series.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         if flags:
             gaps = series.groupBy("run_id", "panel").agg(F.count_if("flagged").alias("gaps")).where("gaps > 0")
-            gaps.select(F.lit("series").alias("stage"), "run_id", F.col("panel").alias("ref"), F.concat(F.col("gaps").cast("string"), F.lit(" empty slices")).alias("reason"), F.lit("info").alias("severity")).write.mode("append").parquet(flags)
+            told = gaps.select(F.lit("series").alias("stage"), "run_id", F.col("panel").alias("ref"), F.concat(F.col("gaps").cast("string"), F.lit(" empty slices")).alias("reason"), F.lit("info").alias("severity"))
+            told.write.mode("overwrite").parquet(f"{flags}/epoch={epoch}")
         series.unpersist()
 
     return points.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -6,7 +6,7 @@ import random
 import re
 import zipfile
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -339,29 +339,60 @@ def test_archives_round_trip(spark):
     assert warc_zip.read_records(warc_zip.write_archives(df.limit(0))).count() == 0
 
 
-def test_pipeline(spark, odd, tmp_path):
+CLASHES = {"d": "text", "v": "text", "copies": "text", "copy": "lang", "text_hash": "text", "predicted": "lang", "kept": "lang", "doc_id_2": "lang"}
+
+
+def stages(spark, folder, docs, marks, items):
+    """What goes into each stage and what comes out of it."""
     import corpus_pipeline
 
+    docs.write.parquet(str(folder / "documents.parquet"))
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(folder / "benchmark.parquet"))
+    at, out = spark.read.parquet(str(folder / "documents.parquet")), {}
+    for name, stage in corpus_pipeline.STAGES:
+        result = stage(spark, at, str(folder))
+        assert name == "token_files" or result.columns == docs.columns
+        result.write.parquet(str(folder / f"out-{name}"))
+        out[name] = (at, at := spark.read.parquet(str(folder / f"out-{name}")))
+    return out
+
+
+def test_pipeline(spark, odd, tmp_path):
+    """Each stage on its own input: near duplicates, benchmark windows and token files by brute force, the models by their verdicts."""
+    from test_native import brute_hits
+    from test_tokens import library
+
+    from tracewright.llm import mixing
+    from tracewright.llm.queries import MIX_WEIGHTS
+
     rows, marks = toxic_corpus(300)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
-    rows += [(1000, rows[1][1]), (1001, f"some words before {item} and after"), (1002, "clean words of no note at all in this row")]
+    rows += [(1000, rows[1][1]), (1001, f"some words before {item} and after"), (1002, "clean words of no note at all in this row"), (1003, rows[2][1] + " more"), (1003, rows[3][1])]
     docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.unionByName(odd.selectExpr("doc_id + 5000 AS doc_id", "text", "lang", "source", "n_chars"))
-    docs.write.parquet(str(tmp_path / "documents.parquet"))
-    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
-    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    at, kept = spark.read.parquet(str(tmp_path / "documents.parquet")), {}
-    for name, stage in corpus_pipeline.STAGES:
-        out = stage(spark, at, str(tmp_path))
-        if name != "token_files":
-            assert out.columns == docs.columns
-        out.write.parquet(str(tmp_path / f"out-{name}"))
-        at = spark.read.parquet(str(tmp_path / f"out-{name}"))
-        kept[name] = [r.doc_id for r in at.collect()]
-    before = set(range(300))
-    assert sum(i % 5 == 0 for i in set(kept["toxicity"]) & before) <= 3 and sum(i % 5 != 0 for i in set(kept["toxicity"]) & before) >= 235
-    assert 1000 not in kept["near_dedup"] and 1 in kept["near_dedup"] and kept["near_dedup"].count(5001) <= 1
-    assert 1001 in kept["near_dedup"] and 1001 not in kept["decontamination"] and 1002 in kept["decontamination"]
-    assert len(kept["token_files"]) == len(kept["mixing"])
-    total = at.selectExpr("max(start + n_tokens) AS a", "sum(n_tokens) AS b").first()
-    assert total.a == total.b
+    docs = docs.unionByName(odd.selectExpr("doc_id + 5000 AS doc_id", "text", "lang", "source", "n_chars")).selectExpr("*", *(f"{c} AS {name}" for name, c in CLASHES.items()))
+    out = stages(spark, tmp_path, docs, marks, [(1, item), (2, None), (None, "x")])
+    pairs = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
+    before, after = map(pairs, out["toxicity"])
+    bad = {r.doc_id for r in toxicity.score_toxicity(out["toxicity"][0].select("doc_id", "text"), spark.read.parquet(str(tmp_path / "labels.parquet"))).collect() if r.predicted and r.doc_id is not None}
+    assert after == Counter({k: n for k, n in before.items() if k[0] not in bad}) and sum(i % 5 == 0 for i in bad if i < 300) >= 57 and sum(i % 5 != 0 for i in bad) <= 5
+    before, after = map(pairs, out["near_dedup"])
+    want, _ = components_of([k for k in before if k[0] is not None], 80)
+    assert set(after.values()) == {1} and {k for k in after if k[0] is not None} == {k for k in before if k[0] is not None and want.get(k[0], k[0]) == k[0]}
+    assert {k for k in before if k[0] is None} == {k for k in after if k[0] is None}  # their texts have no words, or no likes
+    before, after = map(pairs, out["decontamination"])
+    hit = {x[0] for x in brute_hits(list(before), [(1, item)]) if x[2]}
+    assert after == Counter({k: n for k, n in before.items() if str(k[0]) not in hit}) and "1001" in hit
+    before, after = map(pairs, out["mixing"])
+    copies = {r.doc_id: r.copies for r in mixing.mix(out["mixing"][0].select("doc_id", "text"), mixing.label_domains(spark.read.parquet(str(tmp_path / "labels.parquet"))), MIX_WEIGHTS).collect()}
+    assert after == Counter({k: n * copies[k[0]] for k, n in before.items() if copies[k[0]]})
+    order = sorted(after.elements(), key=lambda k: (k[0] is not None, k[0] or 0, k[1] or ""))
+    at = 0
+    for r, (i, _), ids in zip(sorted(out["token_files"][1].collect(), key=lambda r: r.start), order, library([t or "" for _, t in order]), strict=True):
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
+        at += r.n_tokens
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    assert all(after.count() == 0 for _, after in stages(spark, tmp_path, docs, [], []).values())

@@ -249,3 +249,17 @@ def test_series_reader_and_small_sinks(spark, tmp_path):
     assert "## Panels found" in report and spark.read.option("header", True).csv(str(tmp_path / "eval" / "series")).first().mean_peak_score == "0.9"
     sinks.annual_csv(spark.createDataFrame([("r", "1849-01-01", 1.23456, 1)], "run string, x_key string, value double, panel_ord int"), str(tmp_path / "annual"), ["run"])
     assert spark.read.option("header", True).csv(str(tmp_path / "annual")).first().value_native == "1.2346"
+
+
+def test_runs_units_and_config(spark, tmp_path):
+    from tracewright.config import GENERIC, dump
+    from tracewright.operators import checks
+
+    for run in ("210018_tif_M03", "290022_tif_M11", "other"):
+        (tmp_path / run).mkdir()
+        (tmp_path / run / "manifest.json").write_text("{}")
+    assert sorted((r.scan_id, r.month) for r in a.discover_runs(spark, str(tmp_path)).collect()) == [("210018", 3), ("290022", 11)]
+    series = spark.createDataFrame([("p", "2", "cm"), ("p", "1", " "), ("p", "3", "mm"), ("q", "1", None)], "panel string, x_key string, native_unit string")
+    assert {r.panel: r.unit for r in a.unit_of(series, ["panel"]).collect()} == {"p": "cm", "q": None}
+    assert json.loads(dump(GENERIC))["viable_coverage"] == 0.9
+    assert spark.range(1).select(checks.percent(F.lit(0.0345))).first()[0] in ("3.5%", "3.4%")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import json
+from dataclasses import asdict, dataclass
 from datetime import date
 
 # The normalised range, length units in millimetres, and the day on which the sheets changed units.
@@ -47,3 +48,8 @@ class Gates:
 
 ANNUAL = Gates()
 GENERIC = Gates(viable_coverage=0.90)
+
+
+def dump(gates: Gates) -> str:
+    """The gates a run was made with, as its manifest keeps them."""
+    return json.dumps(asdict(gates), sort_keys=True)

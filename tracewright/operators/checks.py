@@ -18,7 +18,7 @@ def flags(rows: DataFrame, when: Column, stage: str, ref: Column, reason: Column
 
 def percent(share: Column, digits: int = 1) -> Column:
     """As printed in a flag."""
-    return F.concat(F.format_number(share * 100, f"0.{'0' * digits}"), F.lit("%"))
+    return F.concat(F.format_string(f"%.{digits}f", share * 100), F.lit("%"))
 
 
 def legible(rows: DataFrame) -> DataFrame:

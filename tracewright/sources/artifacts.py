@@ -120,6 +120,19 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("month", F.regexp_extract("path", "(\\d{6})_tif_M(\\d{2})", 2).try_cast("int")).withColumn("date", F.try_to_date("x_key", "yyyy-MM-dd"))
 
 
+def unit_of(series: DataFrame, by: list[str]) -> DataFrame:
+    """by, unit: the first unit that a series names, along its keys; null without one."""
+    named = F.coalesce(F.trim("native_unit"), F.lit("")) != ""
+    return series.groupBy(*by).agg(F.min(F.when(named, F.struct("x_key", "native_unit")))["native_unit"].alias("unit"))
+
+
+def discover_runs(spark: SparkSession, path: str) -> DataFrame:
+    """run, scan_id, month of all run folders (those with a manifest) below a folder whose names tell scan and month."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "manifest.json").load(path).select(F.regexp_extract("path", "^(.*)/manifest\\.json$", 1).alias("run"))
+    name = lambda i: F.regexp_extract("run", "(\\d{6})_tif_M(\\d{2})", i)
+    return found.select("run", name(1).alias("scan_id"), name(2).try_cast("int").alias("month")).where("scan_id <> ''")
+
+
 def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     """tile, cand, confidence, pts of sidecar files ([{confidence, points}]); a candidate's number is its place."""
     raw = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.col("_metadata.file_name"), "^(.*?)\\.", 1).alias("tile"), "value")

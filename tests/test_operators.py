@@ -1,5 +1,7 @@
 import math
 import random
+import statistics
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -49,21 +51,27 @@ def test_interpolate_like_numpy(spark):
     assert [got[i] for i in range(len(q))] == pytest.approx(list(want))
 
 
-def reference_fit(p, v, rounds=5):
-    """A plain restatement of the rejection rounds."""
-    p, v = np.array(p, float), np.array(v, float)
-    keep = np.ones(len(p), bool)
-    for _ in range(rounds):
-        s, c = np.polyfit(p[keep], v[keep], 1)
-        res = v - (s * p + c)
-        med = np.median(res[keep])
-        sigma = 1.4826 * np.median(np.abs(res[keep] - med))
-        new = np.abs(res - med) <= 3.5 * sigma
-        if sigma <= 0 or new.sum() < 2 or (new == keep).all():
+def kept_line(ticks, kept):
+    """Slope and intercept over the kept indices, from sums in whole fractions."""
+    own = [(Fraction(ticks[i][0]), Fraction(ticks[i][1])) for i in kept]
+    n, sx, sy = len(own), sum(x for x, _ in own), sum(y for _, y in own)
+    slope = (n * sum(x * y for x, y in own) - sx * sy) / (n * sum(x * x for x, _ in own) - sx * sx)
+    return slope, (sy - slope * sx) / n
+
+
+def surviving(ticks, rounds=5, cut=3.5):
+    """The kept indices as a walk over sets: a set leads to those ticks that lie within its own spread, and the walk ends where it stands still."""
+    walk = [frozenset(range(len(ticks)))]
+    while len(walk) <= rounds:
+        slope, intercept = kept_line(ticks, walk[-1])
+        off = [float(Fraction(y) - slope * Fraction(x) - intercept) for x, y in ticks]
+        centre = statistics.median(off[i] for i in walk[-1])
+        spread = 1.4826 * statistics.median(abs(off[i] - centre) for i in walk[-1])
+        following = frozenset(i for i, o in enumerate(off) if abs(o - centre) <= cut * spread)
+        if spread == 0 or len(following) < 2 or following == walk[-1]:
             break
-        keep = new
-    s, c = np.polyfit(p[keep], v[keep], 1)
-    return s, c, int(keep.sum())
+        walk.append(following)
+    return walk[-1]
 
 
 def test_robust_fit(spark):
@@ -75,7 +83,9 @@ def test_robust_fit(spark):
         v = -0.02 * p + 25 + rng.normal(0, 0.01, n)
         for j in range(int(rng.integers(0, 3))):
             v[j] += rng.normal(0, 4)
-        want[k] = reference_fit(p, v)
+        ticks = list(zip(p.tolist(), v.tolist(), strict=True))
+        kept = surviving(ticks)
+        want[k] = (*map(float, kept_line(ticks, kept)), len(kept))
         rows += [(k, i, float(a), float(b)) for i, (a, b) in enumerate(zip(p, v))]
     rows += [(100, 0, 800.0, 2.0), (100, 1, 200.0, 10.0), (101, 0, 5.0, 1.0)]
     got = {r.k: r for r in fit.robust_fit(spark.createDataFrame(rows, "k int, ord int, pixel double, value double"), ["k"]).collect()}

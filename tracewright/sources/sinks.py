@@ -6,6 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+# Columns of a series file, and the digits of its numbers.
+COLUMNS = ("x_key", "value_native", "native_unit", "value_mm", "pixel_x_page", "pixel_y_page", "pixel_y_corrected", "flagged")
+DIGITS = {"value_native": 4, "value_mm": 2, "pixel_x_page": 1, "pixel_y_page": 1, "pixel_y_corrected": 1}
+
+
 def _fixed(c: str, digits: int) -> Column:
     """Fixed digits, half to even on the decimal value; empty for null."""
     return F.coalesce(F.bround(F.col(c), digits).cast(f"decimal(38,{digits})").cast("string"), F.lit(""))
@@ -13,10 +18,8 @@ def _fixed(c: str, digits: int) -> Column:
 
 def series_csv(series: DataFrame, path: str, by: list[str]) -> None:
     """Digitised series as CSV below by=... folders; numbers are formatted here and nowhere before."""
-    digits = {"value_native": 4, "value_mm": 2, "pixel_x_page": 1, "pixel_y_page": 1, "pixel_y_corrected": 1}
-    out = series.select(*by, "x_key", *(_fixed(c, n).alias(c) for c, n in digits.items()), F.coalesce("native_unit", F.lit("")).alias("native_unit"), "flagged")
-    columns = ["x_key", "value_native", "native_unit", "value_mm", "pixel_x_page", "pixel_y_page", "pixel_y_corrected", "flagged"]
-    out.select(*by, *columns).repartition(*by).sortWithinPartitions(*by, "x_key").write.partitionBy(*by).option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
+    out = series.select(*by, "x_key", *(_fixed(c, n).alias(c) for c, n in DIGITS.items()), F.coalesce("native_unit", F.lit("")).alias("native_unit"), "flagged")
+    out.select(*by, *COLUMNS).repartition(*by).sortWithinPartitions(*by, "x_key").write.partitionBy(*by).option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
 
 
 def append(rows: DataFrame, path: str) -> None:

@@ -233,10 +233,10 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
             first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True))
             here = F.get("bands_a", first.cast("int") - 1) == a.bucket  # a pair that meets in several buckets leaves the first of them alone
             close = a.join(b, (a.bucket == b.bucket) & (a.i == b.i) & (a.j == b.j) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & may_reach & here)
-            close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")), "close-pairs")
+            # Dealt by pair: later joins read what tasks wrote, and a grid's tasks find very different numbers of pairs.
+            close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")).repartition(common.partitions(close.sparkSession), "a", "b"), "close-pairs")
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        dealt = close.repartition(common.partitions(close.sparkSession), "a", "b")  # by pair, not as the buckets' tasks wrote them
-        fresh = dealt.join(known, ["a", "b"], "left_anti")
+        fresh = close.join(known, ["a", "b"], "left_anti")
         fresh = _best(fresh, ["a", "label_b"], 2) if turn < rounds else fresh
         more = common.written(confirm(common.written(fresh.select("a", "b"), "pairs"), texts, percent), "tested")
         if not more.take(1):

@@ -74,6 +74,8 @@ def test_bundles_and_zip_source(spark, tmp_path):
 def test_sidecar_candidates(spark, tmp_path):
     f = tmp_path / "p01.candidates.json"
     f.write_text(json.dumps([{"confidence": 0.5, "points": [[0, 1]]}, {"points": [[2, 3], [4, 5]]}]))
+    tiles = spark.createDataFrame([("p01",), ("p02",)], "tile string")
+    assert sorted((r.tile, r.error or "") for r in a.with_missing(tiles, a.read_candidates(spark, str(f))).collect()) == [("p01", ""), ("p01", ""), ("p02", "no candidates file")]
     assert [(r.tile, r.cand, r.confidence, len(r.pts)) for r in a.read_candidates(spark, str(f)).orderBy("cand").collect()] == [("p01", 0, 0.5, 1), ("p01", 1, 1.0, 2)]
 
 

@@ -24,8 +24,7 @@ def to_level(values: DataFrame, maps: DataFrame, by: list[str], value: str = "va
 
 def axis_errors(axes: DataFrame) -> DataFrame:
     """axes (slope, intercept, h_slope, h_intercept) with slope_err_pct and zero_px_err, the distance of their zero rows."""
-    zero = lambda s, i: fit.pixel_at(F.col(s), F.col(i), F.lit(0.0))
-    return axes.withColumn("slope_err_pct", F.try_divide(F.abs(F.col("slope") - F.col("h_slope")), F.abs(F.col("h_slope"))) * 100).withColumn("zero_px_err", F.abs(zero("slope", "intercept") - zero("h_slope", "h_intercept")))
+    return axes.withColumn("slope_err_pct", F.try_divide(F.abs(F.col("slope") - F.col("h_slope")), F.abs(F.col("h_slope"))) * 100).withColumn("zero_px_err", F.abs(fit.beta(F.col("slope"), F.col("intercept")) - fit.beta(F.col("h_slope"), F.col("h_intercept"))))
 
 
 def induced_error(points: DataFrame, by: list[str]) -> DataFrame:

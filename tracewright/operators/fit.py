@@ -34,6 +34,11 @@ def zero_pixel(c_low: Column, v_low: Column, c_high: Column, v_high: Column) ->
     return c_low - F.try_divide(v_low, v_high - v_low) * (c_high - c_low)
 
 
+def beta(slope: Column, intercept: Column) -> Column:
+    """The ideal row of a printed zero line, from a fit."""
+    return pixel_at(slope, intercept, F.lit(0.0))
+
+
 def dedupe_ticks(ticks: DataFrame, by: list[str], order: str = "ord") -> DataFrame:
     """The first tick of each rounded pixel and value."""
     first = Window.partitionBy(*by, F.rint("pixel"), "value").orderBy(order)

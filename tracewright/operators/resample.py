@@ -28,6 +28,12 @@ def s_alpha(confidence: Column, cover: Column, alpha: float = 0.69) -> Column:
     return (1.0 - alpha) * confidence + alpha * cover
 
 
+def scored(sampled: DataFrame, by: list[str], n: Column, alpha: float, viable: float) -> DataFrame:
+    """by, coverage, confidence, s_alpha and viable of sampled curves (last_per_slice with their confidence)."""
+    out = sampled.groupBy(*by).agg((F.count("*") / n).alias("coverage"), F.max("confidence").alias("confidence"))
+    return out.withColumn("s_alpha", s_alpha(F.col("confidence"), F.col("coverage"), alpha)).withColumn("viable", F.col("coverage") >= viable)
+
+
 def densify(series: DataFrame, by: list[str], n: int, start: Column | None = None) -> DataFrame:
     """Every slice of every series, with `flagged` where no point fell, and its key: a date from `start` on, or 1 to n."""
     keys = series.select(*by).distinct().withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))

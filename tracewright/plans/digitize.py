@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.config import Gates
-from tracewright.operators import axes, resample
+from tracewright.operators import axes, fit, resample
 from tracewright.operators import candidates as cd
 from tracewright.operators import series as sr
 
@@ -55,7 +55,7 @@ def digitize(
     x_end (and month_start, month_end of the panel's month); if known: page (panels that share a value scale; else each
     stands alone), y_scale, dual, n_series, labels, height (of its tile). baseline: panel, x, y, beta. anchors: page, panel
     (or null), ord, pixel, value. assigned: panel, and a map of candidates to labels. Slices are cut by the uncorrected x.
-    Panels without a usable axis take their page's; without one their series have pixels but no values, and `unusable`.
+    A baseline without beta is measured against the zero row of the panel's axis. Panels without a usable axis take their page's; without one their series have pixels but no values, and `unusable`.
     """
     by = ["panel", "cand"]
     known = _known(panels, gates)
@@ -63,12 +63,13 @@ def digitize(
     fits = axes.share(axes.calibrate(known, ticks, gates, own_anchors), gates)
     on_page = points.join(known.select("panel", "x0", "x1", "n"), "panel")
     sampled = resample.last_per_slice(on_page, by, F.col("x0"), F.col("x1"), F.col("n"), ("confidence", "n"))
-    scored = sampled.groupBy(*by).agg((F.count("*") / F.max("n")).alias("coverage"), F.max("confidence").alias("confidence"))
-    scored = scored.withColumn("s_alpha", resample.s_alpha(F.col("confidence"), F.col("coverage"), gates.alpha)).withColumn("viable", F.col("coverage") >= gates.viable_coverage)
+    scored = resample.scored(sampled, by, F.max("n"), gates.alpha, gates.viable_coverage)
     chosen = _selected(known, scored, points, picks, assigned, gates)
     own = sampled.drop("n").join(chosen.select(*by, "series"), by)
     if baseline is not None:
-        beta = baseline.groupBy("panel").agg(F.max("beta").alias("beta"))
+        known_beta = F.max("beta") if "beta" in baseline.columns else F.lit(None).cast("double")
+        beta = baseline.groupBy("panel").agg(known_beta.alias("beta")).join(fits.select("panel", fit.beta(F.col("slope"), F.col("intercept")).alias("zero")), "panel", "left")
+        beta = beta.select("panel", F.coalesce("beta", "zero").alias("beta"))
         base = resample.interpolate(own.select("panel", "x", "series", "slice"), baseline.select("panel", "x", "y"), ["panel"])
         own = own.join(base.select("panel", "series", "slice", "base"), ["panel", "series", "slice"], "left").join(beta, "panel", "left")
         own = own.withColumn("y_corrected", F.coalesce(resample.correct(F.col("y"), F.col("base"), F.col("beta")), F.col("y")))

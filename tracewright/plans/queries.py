@@ -275,8 +275,7 @@ def _last(spark, d):
 
 
 def _scored(spark, d):
-    s = _last(spark, d).groupBy("tile", "cand").agg((F.count("*") / b.SLICES).alias("coverage"), F.max("confidence").alias("confidence"))
-    return s.withColumn("s_alpha", resample.s_alpha(F.col("confidence"), F.col("coverage"))).withColumn("viable", F.col("coverage") >= GENERIC.viable_coverage)
+    return resample.scored(_last(spark, d), ["tile", "cand"], F.lit(b.SLICES), GENERIC.alpha, GENERIC.viable_coverage)
 
 
 @query(f"WITH {_LAST} SELECT tile, cand, slice, round(x, 6) AS x, round(y, 6) AS y, ord FROM ls")

@@ -111,6 +111,20 @@ def user_anchor_axis(spark, d):
     return q.select("panel", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), "method", F.array_join("flags", ",").alias("flags"))
 
 
+_MAGNITUDES = f"""{b.TICKS}, tv AS (SELECT panel, ord, pixel, (10 + ord % 17) * (CASE WHEN substr(panel, 4)::INT % 3 <> 0 AND ord % 2 = 0 THEN 1000.0 ELSE 1.0 END)::DOUBLE AS value FROM tk),
+mo AS (SELECT *, row_number() OVER o AS i, count(*) OVER (PARTITION BY panel) AS n, log10(lead(value) OVER o / value) AS gap FROM tv WINDOW o AS (PARTITION BY panel ORDER BY value, ord)),
+mc AS (SELECT panel, max(gap) AS gap, max(i) FILTER (WHERE gap >= 1.5) AS c, any_value(n) AS n FROM mo GROUP BY panel), sd AS (SELECT mo.panel, CASE WHEN mc.gap >= 1.5 AND mc.n >= 4 AND c >= 2 AND mc.n - c >= 2 THEN CASE WHEN i <= c THEN 'left' ELSE 'right' END ELSE 'both' END AS side, ord, pixel, value FROM mo JOIN mc USING (panel))"""
+
+
+@query(f"""WITH {_MAGNITUDES}, {_robust_sql('sd', 'panel, side')}, w AS (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY round(r2 * least(1.0, n_used / 3.0), 12) DESC, side) AS n FROM ft)
+SELECT panel, side, round(slope, 6) AS slope, round(intercept, 4) AS intercept, n_ticks FROM w WHERE n = 1""")
+def magnitude_split(spark, d):
+    i, high = F.substring("panel", 4, 9).cast("int"), F.col("ord") % 2 == 0
+    t = b.ticks(spark, d).withColumn("value", (10 + F.col("ord") % 17) * F.when((i % 3 != 0) & high, 1000.0).otherwise(1.0)).withColumn("side", F.lit("unknown"))
+    q = fit.pick_side(t, ["panel"])
+    return q.select("panel", "side", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), F.col("n_ticks").cast("long").alias("n_ticks"))
+
+
 _SHEET = """sh AS (SELECT year AS page, mon, (20 + n % 7)::DOUBLE AS y0, (320 + n % 11)::DOUBLE AS y1, (300 + max(n) OVER (PARTITION BY year) % 13)::DOUBLE AS c_low, 40.0::DOUBLE AS c_high, (340 + n % 5)::DOUBLE AS tile_h FROM mp)"""
 
 

@@ -141,6 +141,11 @@ def read_candidates(spark: SparkSession, path: str) -> DataFrame:
     return lines.select("tile", F.col("cand").cast("long").alias("cand"), F.coalesce("c.confidence", F.lit(1.0)).alias("confidence"), pts.alias("pts"))
 
 
+def with_missing(tiles: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Candidates of the given tiles; a tile whose sidecar file is not there has one row with an error."""
+    return tiles.select("tile").join(candidates, "tile", "left").withColumn("error", F.when(F.col("cand").isNull(), F.lit("no candidates file")))
+
+
 def read_result_bundles(spark: SparkSession, path: str, run_id: str | None = None) -> DataFrame:
     """tile, error, cand, confidence, pts of results.json in zip bundles; a bundle of another run is an error, and a tile has an error or candidates."""
 

@@ -221,7 +221,7 @@ def test_images_gauges_truth_and_levels(spark, tmp_path):
         (tmp_path / "img" / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / "img" / name).write_bytes(name.encode())
     assert sorted(bytes(r.content) for r in a.read_images(spark, str(tmp_path / "img")).collect()) == [b"a.png", b"sub/b.TIF"]
-    (tmp_path / "g.csv").write_text("gauge_id,name\nDE_BY_DAN_21,Passau\n")
+    (tmp_path / "g.csv").write_text("gauge_id,gauge_name,river\nDE_BY_DAN_21,Passau,Donau\n")
     assert a.read_gauges(spark, str(tmp_path / "g.csv")).first().name == "Passau"
     (tmp_path / "x.truth.json").write_text(json.dumps({"months": [{"month": 2, "box": [1, 2, 3, 4]}]}))
     r = a.read_truth(spark, str(tmp_path / "x.truth.json")).first()

@@ -32,6 +32,6 @@ DEFAULTS = {"schema_version": 1}
 
 SERIES_CSV = "x_key string, value_native double, native_unit string, value_mm double, pixel_x_page double, pixel_y_page double, pixel_y_corrected double, flagged boolean"
 GROUND_TRUTH_CSV = "INDEX int, C_X int, C_Y int, DATE_ string, GAUGELEVEL double, ICE string, REMARKS string, date_2 string, GAUGELEVEL_NO_ADJUSTMENT double"
-GAUGES_CSV = "gauge_id string, name string"
+GAUGES_CSV = "gauge_id string, gauge_name string"
 OBSERVATIONS_CSV = "date date, gauge_id string, waterlevel_mm double, confidence double, coverage double, pixel_x double, pixel_y double, notes string"
 EVALUATION_CSV = "location string, file_id int, month int, confidence double, coverage double, maxae double, avg_dev double, rmse double, mae double, pearson_r double, peak_score double, isBest string"

@@ -102,7 +102,8 @@ def read_observations(spark: SparkSession, path: str, gauge: str | None = None,
 
 
 def read_gauges(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(schemas.GAUGES_CSV).option("header", True).option("enforceSchema", False).csv(path)
+    """gauge_id and name; further columns are not read."""
+    return spark.read.schema(schemas.GAUGES_CSV).option("header", True).csv(path).withColumnRenamed("gauge_name", "name")
 
 
 def read_evaluation(spark: SparkSession, path: str) -> DataFrame:

@@ -100,7 +100,7 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashes: dict[bytes, int] = {}
         for table in common.text_blocks(batches, 1 << 20):
-            if len(hashes) > 500_000:
+            if len(hashes) > 250_000:
                 hashes.clear()
             node, n, bands, sketch, parity = signatures(table.column("text").to_pylist(), hashes)
             lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64()))

@@ -52,7 +52,7 @@ class Chain:
         self.known: dict[str, float] = {}
 
     def potentials(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 500_000:
+        if len(self.known) > 250_000:
             self.known.clear()
         known = self.known
         for w in set(words).difference(known):

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import line_rules, ppm, warc_zip, winnowing
+from tracewright.llm import bpe, line_rules, ppm, warc_zip, winnowing
 from tracewright.llm.common import read
 from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.mixing import label_domains, mix
@@ -16,6 +16,7 @@ from tracewright.llm.token_files import read_tokens, write_tokens
 from tracewright.llm.toxicity import score_toxicity
 
 BPE = "byte_bpe_50k.json"
+BPE_RANKS = "byte_bpe_50k.tiktoken"
 #: Tokens that each domain keeps, relative to what it has.
 MIX_WEIGHTS = {"quality1_toxic0": 1.0, "quality0_toxic0": 0.5, "quality1_toxic1": 0.25, "quality0_toxic1": 0.1}
 
@@ -63,5 +64,19 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
 
 
-QUERIES = {"op1_ppm_scoring": op1_ppm_scoring, "op2_winnowing": op2_winnowing, "op3_simple8b": op3_simple8b, "op4_crf_toxicity": op4_crf_toxicity, "op5_zip_warc": op5_zip_warc, "op6_diagonal_licenses": op6_diagonal_licenses, "op7_token_counts": op7_token_counts, "op8_odd_sketch_dedup": op8_odd_sketch_dedup, "op9_line_rules": op9_line_rules, "op10_soft_mixing": op10_soft_mixing}
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text by the rank file, and the bytes that they decode to, as digests."""
+    path = str(public_tokenizers.path(BPE_RANKS))
+    found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
+    digits = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_ppm_scoring, op2_winnowing, op3_simple8b, op4_crf_toxicity, op5_zip_warc, op6_diagonal_licenses, op7_token_counts, op8_odd_sketch_dedup, op9_line_rules,
+        op10_soft_mixing, op11_byte_bpe,
+    )
+}
 SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, line_rules, ppm, warc_zip, winnowing
+from tracewright.llm import bpe, infill, line_rules, ppm, warc_zip, winnowing
 from tracewright.llm.common import read
 from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.mixing import label_domains, mix
@@ -72,11 +72,18 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with its lines put together anew, and the text rebuilt from that, as digests."""
+    found = infill.restore(infill.fill_in_middle(read(spark, sf_dir, "documents")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ppm_scoring, op2_winnowing, op3_simple8b, op4_crf_toxicity, op5_zip_warc, op6_diagonal_licenses, op7_token_counts, op8_odd_sketch_dedup, op9_line_rules,
-        op10_soft_mixing, op11_byte_bpe,
+        op10_soft_mixing, op11_byte_bpe, op12_fill_in_middle,
     )
 }
-SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL}
+SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL, "op12_fill_in_middle": infill.SQL}

@@ -203,16 +203,10 @@ def _answer(batches):
                 flat = np.append(flat, found.flatten().to_numpy().astype("<u4"))
                 at = np.frombuffer(common.unpacked(numbers), "<u4")
                 sizes = pa.array([common.packed(lengths[at].astype("<u4"))], pa.binary())
-                values = pa.array([common.packed(flat[_spread(starts[at], lengths[at])])], pa.binary())
+                values = pa.array([common.packed(flat[common.spread(starts[at], lengths[at])])], pa.binary())
             yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("block", "slot")), sizes, values, *(batch.column(c).slice(k, 1) for c in _HEAD)], names=["block", "slot", "sizes", "values", *_HEAD])
 
 
-def _spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The places start, start + 1, ... of each run, one run after another."""
-    ends = np.cumsum(lengths)
-    return np.repeat(starts - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)
-
-
 def _joined(table: pa.Table) -> pa.Table:
     """The documents of one block with their ids."""
     rows = table.sort_by("slot").to_pylist()
@@ -226,7 +220,7 @@ def _joined(table: pa.Table) -> pa.Table:
     lengths[order] = sizes
     starts[order] = np.cumsum(sizes, dtype=np.int64) - sizes
     each = lengths[codes]
-    ids = values[_spread(starts[codes], each)].astype("<i4")
+    ids = values[common.spread(starts[codes], each)].astype("<i4")
     ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(counts))]
     return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))})
 

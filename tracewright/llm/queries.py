@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.llm import bpe, infill, line_rules, ppm, warc_zip, winnowing
-from tracewright.llm.common import read
+from tracewright.llm import bpe, infill, line_rules, ppm, vector_codes, warc_zip, winnowing
+from tracewright.llm.common import read, written
 from tracewright.llm.licenses import scan_licenses
 from tracewright.llm.mixing import label_domains, mix
 from tracewright.llm.near_dedup import near_duplicates
@@ -79,11 +79,18 @@ def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
 
 
+def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of all vectors, their errors and those of their labels, and a digest of the codebooks."""
+    codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
+    found = vector_codes.with_label_errors(written(codes, "vector-codes"))
+    return found.select("vec_id", vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_ppm_scoring, op2_winnowing, op3_simple8b, op4_crf_toxicity, op5_zip_warc, op6_diagonal_licenses, op7_token_counts, op8_odd_sketch_dedup, op9_line_rules,
-        op10_soft_mixing, op11_byte_bpe, op12_fill_in_middle,
+        op10_soft_mixing, op11_byte_bpe, op12_fill_in_middle, op13_filtering_lloyd,
     )
 }
-SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL, "op12_fill_in_middle": infill.SQL}
+SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL, "op12_fill_in_middle": infill.SQL, "op13_filtering_lloyd": vector_codes.SQL}

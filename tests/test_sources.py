@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from tracewright.plans.digitize import digitize
 from tracewright.sources import artifacts as a
-from tracewright.sources import sinks
-from tracewright.sources.zip_members import ZipMembers
+from tracewright.sources import sinks, zip_members
 from tracewright.streaming import landing
 
 
@@ -66,7 +65,7 @@ def test_bundles_and_zip_source(spark, tmp_path):
     assert rows["p01"].cand == 0 and rows["p01"].pts[1].y == 4 and rows["p02"].error == "no line"
     with pytest.raises(Exception, match="another run"):
         a.read_result_bundles(spark, str(z), "r2").collect()
-    spark.dataSource.register(ZipMembers)
+    zip_members.register(spark)
     got = spark.read.format("zip_members").option("path", f"file://{z}").option("suffix", ".png").option("pattern", "M0[2-9]").option("members", 1).load().collect()
     assert [(r.name, r.size, bytes(r.content)) for r in got] == [("tiles/210018_M02.png", 3, b"two")]
 
@@ -206,7 +205,7 @@ def test_zip_source_checks_members(spark, tmp_path):
     with zipfile.ZipFile(z, "w", zipfile.ZIP_DEFLATED) as f:
         f.writestr("a.png", b"x" * 500)
         f.writestr("b.png", b"yy")
-    spark.dataSource.register(ZipMembers)
+    zip_members.register(spark)
     load = lambda: spark.read.format("zip_members").option("path", f"file://{z}").option("members", 1).load()
     assert sorted((r.name, bytes(r.content)) for r in load().collect()) == [("a.png", b"x" * 500), ("b.png", b"yy")]
     raw = bytearray(z.read_bytes())

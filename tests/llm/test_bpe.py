@@ -80,3 +80,12 @@ def test_refuses_ranks_that_one_pass_would_get_wrong(tmp_path):
     with pytest.raises(ValueError):
         (tmp_path / "few").write_text("YQ== 0\n")
         bpe.rank_map(str(tmp_path / "few"))
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 3), st.integers(250, 260), st.integers(0, 1 << 22)), max_size=300))
+def test_codes_round_trip(codes):
+    assert bpe._unpacked_codes(bpe._packed_codes(np.array(codes, np.int64)), len(codes)).tolist() == codes
+    dense = np.unique(codes, return_inverse=True)[1] if codes else np.empty(0, np.int64)
+    anew, order = bpe._by_frequency(dense)
+    assert order[anew].tolist() == dense.tolist() and (np.diff(np.bincount(anew)) <= 0).all()

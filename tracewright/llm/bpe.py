@@ -135,6 +135,32 @@ def _fold(word: Column, table: Column, longest: int) -> Column:
     return common.let(F.hex(word).cast("binary"), whole)
 
 
+def _by_frequency(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """codes numbered anew, the most frequent first, and the old code of each new one."""
+    order = np.argsort(-np.bincount(codes), kind="stable") if len(codes) else np.empty(0, np.int64)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return rank[codes], order
+
+
+#: The byte of a code that stands with the long ones.
+_ESCAPE = 255
+
+
+def _packed_codes(codes: np.ndarray) -> bytes:
+    """A byte for each code, then those that have none; their bytes of one weight stand together and compress better so."""
+    short = np.minimum(codes, _ESCAPE).astype(np.uint8)
+    wide = (codes[codes >= _ESCAPE] - _ESCAPE).astype("<u4").view(np.uint8).reshape(-1, 4)
+    return common.packed(short.tobytes() + np.ascontiguousarray(wide.T).tobytes(), level=3)
+
+
+def _unpacked_codes(data: bytes, n: int) -> np.ndarray:
+    raw = np.frombuffer(common.unpacked(data), np.uint8)
+    codes = raw[:n].astype(np.int64)
+    codes[codes == _ESCAPE] += np.ascontiguousarray(raw[n:].reshape(4, -1).T).view("<u4").ravel()
+    return codes
+
+
 def _number(table: pa.Table, block: int, slots: int, places: int, classes: np.ndarray):
     """A first row with the block's documents and codes, then one for each slot with its distinct words."""
     texts = table.column("text").combine_chunks().cast(pa.large_string()).fill_null("")
@@ -146,12 +172,12 @@ def _number(table: pa.Table, block: int, slots: int, places: int, classes: np.nd
     counts = np.diff(np.searchsorted(begin, np.append(0, ends)))
     offsets = np.append(begin, len(raw))
     coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy().astype("<u4")
+    codes, order = _by_frequency(coded.indices.to_numpy())
+    words = coded.dictionary.take(pa.array(order)).to_pylist()
     slot = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % slots
-    planes = np.ascontiguousarray(codes.view(np.uint8).reshape(-1, 4).T)  # bytes of one weight together: they compress better
     yield {
         "block": block, "slot": block % slots, "place": block % places, "words": None, "sizes": None, "ids": table.column("doc_id").to_pylist(),
-        "counts": common.packed(counts.astype("<i8")), "codes": common.packed(planes), "slots": common.packed(slot.astype("<u2")),
+        "counts": common.packed(counts.astype("<i8")), "codes": _packed_codes(codes), "slots": common.packed(slot.astype("<u2")),
     }
     order = np.argsort(slot, kind="stable")
     cuts = np.searchsorted(slot[order], np.arange(slots + 1))
@@ -213,7 +239,7 @@ def _joined(table: pa.Table) -> pa.Table:
     head = next(r for r in rows if r["ids"] is not None)
     rows = [r for r in rows if r["values"] is not None]
     counts, slots = np.frombuffer(common.unpacked(head["counts"]), "<i8"), np.frombuffer(common.unpacked(head["slots"]), "<u2")
-    codes = np.ascontiguousarray(np.frombuffer(common.unpacked(head["codes"]), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+    codes = _unpacked_codes(head["codes"], int(counts.sum()))
     sizes, values = (np.frombuffer(b"".join(common.unpacked(r[c]) for r in rows), "<u4") for c in ("sizes", "values"))
     order = np.argsort(slots, kind="stable")  # the rows' words stand by slot, and in the order of their codes in each
     starts, lengths = np.empty(len(order), np.int64), np.empty(len(order), np.int64)

@@ -96,10 +96,10 @@ def text_blocks(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
-def packed(values) -> bytes:
+def packed(values, level: int = 1) -> bytes:
     """An array's bytes (or bytes) compressed, with their length."""
     raw = values if isinstance(values, bytes) else values.tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
+    return len(raw).to_bytes(8, "little") + pa.Codec("zstd", compression_level=level).compress(raw, asbytes=True)
 
 
 def unpacked(data: bytes) -> bytes:

@@ -53,7 +53,9 @@ def interpolate(queries: DataFrame, knots: DataFrame, by: list[str]) -> DataFram
     two = queries.select(*by, F.col("x").cast("double").alias("x"), F.lit(None).cast("struct<x:double,y:double>").alias("knot"), F.struct(*rest).alias("q"), F.lit(1).alias("kind"))
     w = Window.partitionBy(*by).orderBy("x", "kind")
     before = F.last("knot", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first("knot", ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    # The next knot is the last one when the order is turned round: a frame that only grows is computed in one pass.
+    back = Window.partitionBy(*by).orderBy(F.desc("x"), F.desc("kind"))
+    after = F.last("knot", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     laid = one.unionByName(two).withColumn("a", before).withColumn("b", after).where("kind = 1")
     share = F.try_divide(F.col("x") - F.col("a.x"), F.col("b.x") - F.col("a.x"))
     base = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("b.x") == F.col("a.x")) | (F.col("x") == F.col("a.x")), F.col("a.y")).otherwise(F.col("a.y") + (F.col("b.y") - F.col("a.y")) * share)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.plans import queries as q
-from tracewright.plans import stage_queries  # noqa: F401  registers its queries
+from tracewright.plans import chain_queries, stage_queries  # noqa: F401  register their queries
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,13 +23,18 @@ def series_csv(series: DataFrame, path: str, by: list[str]) -> None:
 
 
 def append(rows: DataFrame, path: str) -> None:
-    """Status events or review flags: rows are added, none is changed, so no lock is needed."""
-    rows.withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
+    """Status events or review flags: rows are added, none is changed, so no lock is needed.
+
+    `at` is when, `seq` the place among rows that were added together: as given, else the order of the frame.
+    """
+    seq = F.col("seq").cast("long") if "seq" in rows.columns else F.monotonically_increasing_id()
+    rows.withColumn("seq", seq).withColumn("at", F.current_timestamp()).write.mode("append").parquet(path)
 
 
 def latest_status(events: DataFrame) -> DataFrame:
-    """run_id, stage and its last status; of events at one time the one with the greatest status and error."""
-    return events.groupBy("run_id", "stage").agg(F.max_by(F.struct("status", "error"), F.struct("at", "status", "error")).alias("s")).select("run_id", "stage", "s.*")
+    """run_id, stage and its last status by at and seq; of events alike in both the one with the greatest status and error."""
+    order = F.struct("at", *(["seq"] if "seq" in events.columns else []), "status", "error")
+    return events.groupBy("run_id", "stage").agg(F.max_by(F.struct("status", "error"), order).alias("s")).select("run_id", "stage", "s.*")
 
 
 def write_artifact(rows: DataFrame, path: str) -> None:

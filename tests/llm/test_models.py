@@ -396,3 +396,27 @@ def test_pipeline(spark, odd, tmp_path):
 def test_pipeline_on_an_empty_table(spark, tmp_path):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
     assert all(after.count() == 0 for _, after in stages(spark, tmp_path, docs, [], []).values())
+
+
+def test_segments_are_chosen_from_the_whole_text():
+    from tracewright.llm.toxicity import SEGMENT, segments_of
+
+    words = [f"w{i}" for i in range(11 * SEGMENT)]
+    text = " ".join(words)
+    firsts = {int(own[0].split("x")[1]) // SEGMENT for k in range(40) for own, _ in segments_of(" ".join(f"w{k}x{i}" for i in range(11 * SEGMENT)), 0, set(), 3)}
+    assert max(firsts) >= 9 and len(segments_of(text, 0, set(), 3)) == 3 and segments_of("", 1, {"a"}, 3) == []
+    late = segments_of(text + " vile", 1, {"vile"}, 3)
+    assert [(own[-1], y[-1]) for own, y in late] == [("vile", 1)]
+
+
+def test_a_cue_in_the_last_segment_trains(spark):
+    from tracewright.llm.toxicity import SEGMENT, score_toxicity
+
+    filler = [" ".join(f"plain{(i * 31 + j) % 400}" for j in range(6 * SEGMENT)) for i in range(60)]
+    docs = [(i, f"{t} grubbleworth" if i % 3 == 0 else t) for i, t in enumerate(filler)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    marks = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i, _ in docs], "doc_id long, quality int, toxic int")
+    got = score_toxicity(frame, marks).collect()
+    assert {r.doc_id for r in got if r.predicted} == {i for i, _ in docs if i % 3 == 0}
+    texts = dict(docs)
+    assert all(texts[r.doc_id][s.start : s.end] == "grubbleworth" for r in got if r.predicted for s in r.spans)

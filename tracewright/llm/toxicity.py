@@ -15,7 +15,9 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -185,12 +187,27 @@ def fit_curve(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 # --- training --------------------------------------------------------------------------------------------------
 
 
-def _cue_counts(only: set[str] | None):
-    """For each task: how many of its texts of either mark hold each cue name (of `only`, if given). One row a name, whatever the number of texts."""
+#: Places of the sieve that candidates are told by before they are counted, whatever their number.
+SIEVE = 1 << 20
+
+
+def _sieved(names: DataFrame) -> np.ndarray:
+    """Which places of the sieve (crc32 modulo SIEVE) some name falls on: at most SIEVE small rows reach the driver."""
+    out = np.zeros(SIEVE, bool)
+    out[[r.at for r in names.select((F.crc32(F.col("name").cast("binary")) % SIEVE).alias("at")).distinct().toLocalIterator()]] = True
+    return out
+
+
+def _cue_counts(sieve: np.ndarray | None):
+    """For each task: how many of its texts of either mark hold each cue name (that passes the sieve). One row a name, whatever the number of texts."""
 
     def run(batches):
         held = {0: Counter(), 1: Counter()}
 
+        @lru_cache(maxsize=200_000)
+        def names_of(word: str) -> tuple[str, ...]:
+            return tuple(x for x in cue_names(word) if sieve is None or sieve[zlib.crc32(x.encode()) % SIEVE])
+
         def rows():
             names = list({**held[0], **held[1]})
             for i in range(0, len(names), 20_000):
@@ -199,8 +216,7 @@ def _cue_counts(only: set[str] | None):
 
         for batch in batches:
             for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                names = {x for w in set(_WORD.findall(text.translate(_LOWER))) for x in cue_names(w)}
-                held[mark].update(names if only is None else names & only)
+                held[mark].update({x for w in set(_WORD.findall(text.translate(_LOWER))) for x in names_of(w)})
                 if len(held[0]) + len(held[1]) > 400_000:
                     yield from rows()
                     held = {0: Counter(), 1: Counter()}
@@ -209,33 +225,47 @@ def _cue_counts(only: set[str] | None):
     return run
 
 
-def _counted(texts: DataFrame, only: set[str] | None = None) -> DataFrame:
-    return texts.select("text", "toxic").mapInArrow(_cue_counts(only), "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+def _counted(texts: DataFrame, sieve: np.ndarray | None = None) -> DataFrame:
+    return texts.select("text", "toxic").mapInArrow(_cue_counts(sieve), "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
 
 
-def find_cues(sample: DataFrame, labelled: DataFrame, least: int = 4, ratio: float = 4.0, purity: float = 0.8) -> set[str]:
-    """Names that at least `least` toxic texts hold, `purity` of all labelled texts that do.
+def find_cues(sample: DataFrame, labelled: DataFrame, least: int = 4, ratio: float = 4.0, purity: float = 0.8) -> DataFrame:
+    """A written table of names that at least `least` toxic texts hold, `purity` of all labelled texts that do.
 
     Candidates come from the bounded sample (as many as its toxic texts have words, at most): names `ratio` times as
-    frequent in its toxic texts as in the others. Their counts then cover all labelled texts.
+    frequent in its toxic texts as in the others. They stay a table; their counts over all labelled texts meet them by a
+    join, and a sieve of fixed size leaves out most other names before.
     """
     sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     often = F.col("toxic") * sizes.get(0, 0) >= ratio * sizes.get(1, 0) * F.col("clean")
-    candidates = {r.name for r in _counted(sample).where((F.col("toxic") >= least) & often).select("name").toLocalIterator()}
-    sure = _counted(labelled, candidates).where((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean"))))
-    return {r.name for r in sure.select("name").toLocalIterator()}
+    candidates = common.written(_counted(sample).where((F.col("toxic") >= least) & often).select("name"), "cue-candidates")
+    counts = _counted(labelled, _sieved(candidates)).join(candidates, "name", "left_semi")
+    return common.written(counts.where((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).select("name"), "cues")
+
+
+def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
+    """texts (h, text, toxic) with `cues`: those of a toxic text's words that have a name among the cues."""
+
+    def run(batches):
+        for batch in batches:
+            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                pairs = [(w, x) for w in sorted(set(_WORD.findall(text.translate(_LOWER)))) for x in cue_names(w)]
+                for i in range(0, len(pairs), 20_000):
+                    own = pairs[i : i + 20_000]
+                    yield pa.RecordBatch.from_pydict({"h": pa.array([h] * len(own), pa.int64()), "word": [w for w, _ in own], "name": [x for _, x in own]})
+
+    named = texts.where("toxic = 1").select("h", "text").mapInArrow(run, "h long, word string, name string")
+    found = named.join(cues, "name", "left_semi").groupBy("h").agg(F.collect_set("word").alias("cues"))
+    return texts.join(found, "h", "left")
 
 
 def segments_of(text: str, mark: int, cues: set[str], each: int) -> list[tuple[list[str], list[int]]]:
-    """At most `each` evenly spaced segments of a labelled text; of a toxic one, of those that hold a cue."""
+    """At most `each` segments of a labelled text, those with the least hashes wherever they stand; of a toxic one, of those that hold a cue word."""
     own = _WORD.findall(text.translate(_LOWER))
-    flags = [int(mark == 1 and any(x in cues for x in cue_names(w))) for w in own]
-    starts = range(0, max(len(own), 1), SEGMENT)
-    if mark == 1:
-        starts = [s for s in starts if any(flags[s : s + SEGMENT])]
-    starts = list(starts)
-    chosen = starts[:: max(1, len(starts) // each)][:each]
-    return [(own[s : s + SEGMENT], flags[s : s + SEGMENT]) for s in chosen if own[s : s + SEGMENT]]
+    flags = [int(mark == 1 and w in cues) for w in own]
+    starts = [s for s in range(0, len(own), SEGMENT) if mark != 1 or any(flags[s : s + SEGMENT])]
+    chosen = sorted(starts, key=lambda s: (zlib.crc32(" ".join(own[s : s + SEGMENT]).encode()), s))[:each]
+    return [(own[s : s + SEGMENT], flags[s : s + SEGMENT]) for s in chosen]
 
 
 def _joined(docs: DataFrame, marks: DataFrame, on: list[str], most: int = 500_000) -> DataFrame:
@@ -246,8 +276,8 @@ def _joined(docs: DataFrame, marks: DataFrame, on: list[str], most: int = 500_00
 def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_rows: int = 20_000, segments: int = 3) -> Chain | None:
     """The chain of these labelled rows; None if they lack one of the marks.
 
-    Candidates for cues come from at most `most_cue_rows` texts, segments (`segments` a text at most) and curve from at
-    most `most_rows` of these (half of each mark, least hashes first); a text stands in these samples once, however
+    Candidates for cues come from at most `most_cue_rows` texts, segments (`segments` a text at most, by their hashes,
+    wherever they stand) and curve from at most `most_rows` of these (half of each mark, least hashes first); a text stands in these samples once, however
     often its row or text repeats. The cues' counts are over all labelled rows, whose ids find their texts by a join:
     at the scan, without moving a text, for up to half a million labels, else by a shuffle on the id.
     """
@@ -267,13 +297,13 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_ro
     def cut(batches):
         for batch in batches:
             out = []
-            for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                out += [(mark, w, y) for w, y in segments_of(text, mark, cues, segments)]
+            for text, mark, own in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "cues")), strict=True):
+                out += [(mark, w, y) for w, y in segments_of(text, mark, set(own or ()), segments)]
             if out:
                 yield pa.RecordBatch.from_pydict({"mark": pa.array([x[0] for x in out], pa.int32()), "words": [x[1] for x in out], "y": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
 
-    texts = once(common.written(small[0].unionByName(small[1]), "toxic-sample"))
-    got = texts.select("text", "toxic").mapInArrow(cut, "mark int, words array<string>, y array<int>").collect()
+    texts = common.written(once(common.written(small[0].unionByName(small[1]), "toxic-sample")), "toxic-texts")
+    got = with_cues(texts, cues).select("text", "toxic", "cues").mapInArrow(cut, "mark int, words array<string>, y array<int>").collect()
     chain = Chain(*fit_chain([(r["words"], r["y"]) for r in got]), np.zeros(3))
     rows = score_texts(texts.select(F.col("h").alias("doc_id"), "text", "toxic"), chain, keep="toxic").select("top", "many", "toxic").collect()
     x, y = np.array([[r["top"], r["many"]] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)

@@ -95,44 +95,64 @@ def anchors_of(panels: DataFrame, anchors: DataFrame, page: list[str]) -> DataFr
     return both.withColumn("best", best).where(F.col("own").isNotNull() == F.col("best")).drop("own", "best")
 
 
+def _crossed(given: DataFrame, model: DataFrame, key: list[str], gates: Gates) -> DataFrame:
+    """key, worst: how far the axis that was read lies from anchors, at the scale of the panel, in values.
+
+    given: key, pixel, value. model: key, y_scale, ord, pixel, value. Readings that make no axis at that scale check nothing.
+    """
+    scale = F.when(F.col("y_scale") == "log", "log").otherwise("linear")
+    least = F.min("value").over(Window.partitionBy(*key))
+    at_scale = model.withColumn("m_scale", scale).withColumn("_least", least).where((F.col("m_scale") == "linear") | (F.col("_least") > 0))
+    logged = F.when(F.col("m_scale") == "log", F.log10(F.when(F.col("value") > 0, F.col("value")))).otherwise(F.col("value"))
+    fits = fit.robust_fit(at_scale.withColumn("value", logged).drop("_least"), [*key, "m_scale"], gates)
+    fits = fits.select(*key, "m_scale", F.col("slope").alias("m_slope"), F.col("intercept").alias("m_intercept"))
+    value = fit.value_at(F.col("m_slope"), F.col("m_intercept"), F.col("pixel"), F.col("m_scale"))
+    return given.join(fits, key).groupBy(*key).agg(F.max(F.abs(value - F.col("value"))).alias("worst"))
+
+
 def calibrate(panels: DataFrame, ticks: DataFrame, gates: Gates = Gates(), anchors: DataFrame | None = None) -> DataFrame:
     """A y axis for each panel: scale, slope, intercept, r2, rmse, counts, method, anchor pair, flags, review_required.
 
-    panels: page, panel, and if they are known y_scale ('linear', 'log') and dual (two value scales). ticks: panel, ord,
-    pixel, value, and side on dual panels. Repeated ticks count once. Panels with two anchors or more (anchors_of) take
-    these for ticks; their own readings then only check them: `hint_mismatch` where the two differ by more than
-    anchor_span of the span. Panels without a fit are `unusable`.
+    panels: page, panel, and if they are known y_scale ('linear', 'log'), dual (two value scales), top and bottom (rows of
+    its crop). ticks: page (if panels of two pages may have one name), panel, ord, pixel, value, and side on dual panels.
+    Repeated ticks count once. Panels with two anchors or more (anchors_of) take these for ticks; their own readings then
+    only check them, at the panel's scale: `hint_mismatch` where the two differ by more than anchor_span of what the crop
+    spans in values (without a crop: of what the anchors span). Panels without a fit are `unusable`.
     """
     known = panels
-    for c, default in (("y_scale", F.lit("unknown")), ("dual", F.lit(False))):
+    none = F.lit(None).cast("double")
+    for c, default in (("y_scale", F.lit("unknown")), ("dual", F.lit(False)), ("top", none), ("bottom", none)):
         known = known if c in known.columns else known.withColumn(c, default)
-    known = known.select("page", "panel", "y_scale", "dual")
+    known = known.select("page", "panel", "y_scale", "dual", "top", "bottom")
+    key = [c for c in ("page", "panel") if c in ticks.columns]
+    named = known.select(*key, "y_scale", "dual")
     has_side = "side" in ticks.columns
-    read = fit.dedupe_ticks(ticks.where(F.col("pixel").isNotNull() & F.col("value").isNotNull()), ["panel"]).join(known, "panel")
-    used = read.select("panel", "y_scale", "ord", "pixel", "value")
+    read = fit.dedupe_ticks(ticks.where(F.col("pixel").isNotNull() & F.col("value").isNotNull()), key).join(named, key)
+    tick = [*key, "y_scale", "ord", "pixel", "value"]
+    used = read.select(*tick)
     if has_side:
-        sided = fit.pick_side(read.where("dual").select("panel", "y_scale", "side", "ord", "pixel", "value"), ["panel", "y_scale"], gates)
-        picked = sided.select("panel", "y_scale", F.explode("ticks").alias("t")).select("panel", "y_scale", "t.ord", F.col("t.p").alias("pixel"), F.col("t.v").alias("value"))
-        used = used.join(known.where("dual").select("panel"), "panel", "left_anti").unionByName(picked)
+        sided = fit.pick_side(read.where("dual").select(*key, "y_scale", "side", "ord", "pixel", "value"), [*key, "y_scale"], gates)
+        picked = sided.select(*key, "y_scale", F.explode("ticks").alias("t")).select(*key, "y_scale", "t.ord", F.col("t.p").alias("pixel"), F.col("t.v").alias("value"))
+        used = used.join(named.where("dual").select(*key), key, "left_anti").unionByName(picked)
     given = None
     if anchors is not None:
-        given = anchors.join(known.select("panel", "y_scale"), "panel").select("panel", "y_scale", "ord", "pixel", "value")
-        enough = given.groupBy("panel").agg(F.count("*").alias("n")).where("n >= 2").select("panel")
-        given = given.join(enough, "panel", "left_semi")
+        given = anchors.select(*key, "ord", "pixel", "value").join(named.select(*key, "y_scale"), key).select(*tick)
+        enough = given.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").select(*key)
+        given = given.join(enough, key, "left_semi")
         model = used
-        used = used.join(enough, "panel", "left_anti").unionByName(given.withColumn("y_scale", F.when(F.col("y_scale") == "log", "log").otherwise("linear")))
-    fits = fit.gate_flags(fit.fit_both_scales(used, ["panel", "y_scale"], F.col("y_scale"), gates), gates)
+        used = used.join(enough, key, "left_anti").unionByName(given.withColumn("y_scale", F.when(F.col("y_scale") == "log", "log").otherwise("linear")))
+    fits = fit.gate_flags(fit.fit_both_scales(used, [*key, "y_scale"], F.col("y_scale"), gates), gates)
     at = lambda c: fit.value_at(F.col("slope"), F.col("intercept"), F.col(c), F.col("scale"))
     fits = fits.withColumn("v_low", at("c_low")).withColumn("v_high", at("c_high")).drop("y_scale", "declared")
     if given is not None:
-        checked = fit.robust_fit(model, ["panel"], gates).select("panel", F.col("slope").alias("m_slope"), F.col("intercept").alias("m_intercept"))
-        value = fit.value_at(F.col("m_slope"), F.col("m_intercept"), F.col("pixel"))
-        worst = given.join(checked, "panel").groupBy("panel").agg(F.max(F.abs(value - F.col("value"))).alias("worst"))
-        fits = fits.join(worst, "panel", "left").join(given.select("panel").distinct().withColumn("hinted", F.lit(True)), "panel", "left")
-        span = F.coalesce(F.nullif(F.abs(F.col("v_high") - F.col("v_low")), F.lit(0.0)), F.lit(1.0))
+        fits = fits.join(_crossed(given, model, key, gates), key, "left").join(given.select(*key).distinct().withColumn("hinted", F.lit(True)), key, "left")
+        fits = fits.join(known.select(*key, "top", "bottom"), key, "left")
+        span = F.coalesce(F.abs(at("top") - at("bottom")), F.abs(F.col("v_high") - F.col("v_low")))
+        span = F.coalesce(F.nullif(span, F.lit(0.0)), F.lit(1.0))
         marks = F.array_compact(F.array(F.when(F.col("hinted"), "user_hint:y_anchors"), F.when(F.col("worst") / span > gates.anchor_span, "hint_mismatch")))
-        fits = fits.withColumn("flags", F.concat("flags", marks)).withColumn("method", F.when(F.col("hinted"), "user_anchors").otherwise(F.col("method"))).drop("worst", "hinted")
-    out = known.select("page", "panel").join(fits, "panel", "left").withColumn("usable", F.col("slope").isNotNull())
+        fits = fits.withColumn("flags", F.concat("flags", marks)).withColumn("method", F.when(F.col("hinted"), "user_anchors").otherwise(F.col("method")))
+        fits = fits.drop("worst", "hinted", "top", "bottom")
+    out = known.select("page", "panel").join(fits, key, "left").withColumn("usable", F.col("slope").isNotNull())
     none = F.array(F.lit("unusable"))
     return out.withColumn("flags", F.when(F.col("usable"), F.col("flags")).otherwise(none)).withColumn("review_required", ~F.col("usable"))
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import functions as F
 
+from tracewright.config import GENERIC
 from tracewright.operators import readings, runs
 from tracewright.plans import bindings as b
-from tracewright.plans.queries import query, r
+from tracewright.plans.digitize import digitize
+from tracewright.plans.queries import _SCORED, _robust_sql, query, r
 from tracewright.sources import sinks
 
 #: The rule of the reader for four attempts a panel, written out step by step.
@@ -94,3 +98,42 @@ def stages_to_run(spark, d):
     events = o.select(F.col("o_custkey").alias("run_id"), b.pick(STAGES, F.floor(k / 4)).alias("stage"), b.pick(_STATES, F.floor(k / 2)).alias("status"), F.lit("").alias("error"), F.col("o_orderdate").alias("at"), k.alias("seq"))
     c = b.table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), "c_nationkey")
     return runs.stages_due(c, sinks.latest_status(events), STAGES, skipped=["baseline"], force=F.col("c_nationkey") == 3)
+
+
+# --- the whole chain -------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {_SCORED}, {b.TICKS}, du AS (
+    SELECT panel, ord, pixel, value FROM (SELECT *, row_number() OVER (PARTITION BY panel, round_even(pixel, 0), value ORDER BY ord) AS m FROM tk) WHERE m = 1
+), s2 AS (
+    SELECT panel, 'linear' AS scale, ord, pixel, value FROM du UNION ALL SELECT panel, 'log', ord, pixel, log10(value) FROM (SELECT *, min(value) OVER (PARTITION BY panel) AS least FROM du) WHERE least > 0
+), {_robust_sql('s2', 'panel, scale')}, bs AS (
+    SELECT *, max(r2) FILTER (WHERE scale = 'linear') OVER (PARTITION BY panel) AS own FROM ft
+), bw AS (
+    SELECT *, row_number() OVER (PARTITION BY panel ORDER BY CASE WHEN scale = 'log' AND r2 - own < 0.05 THEN -1 ELSE r2 END DESC, scale = 'log') AS w FROM bs
+), fx AS (
+    SELECT substr(panel, 4)::INT AS tile, substr(panel, 4)::INT // 5 AS page, scale, slope, intercept, r2 * least(1.0, n_used / 3.0) AS score FROM bw WHERE w = 1 AND n_ticks >= 2
+), tl AS (
+    SELECT DISTINCT tile, tile // 5 AS page FROM pt
+), dn AS (
+    SELECT page, first(tile ORDER BY score DESC, tile) AS donor FROM fx WHERE tile IN (SELECT tile FROM tl) GROUP BY 1
+), ch AS (
+    SELECT tile, cand FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY (1 - 0.69::DOUBLE) * confidence + 0.69::DOUBLE * coverage DESC, cand) AS n FROM sc) WHERE n = 1
+), al AS (
+    SELECT ch.tile, ch.cand, tl.page, 'p' || tl.tile % 5 AS panel, CASE WHEN tl.tile % 2 = 0 THEN 'level' ELSE '' END AS label, coalesce(a.scale, z.scale) AS scale, coalesce(a.slope, z.slope) AS slope, coalesce(a.intercept, z.intercept) AS intercept
+    FROM ch JOIN tl USING (tile) LEFT JOIN fx a ON a.tile = ch.tile LEFT JOIN dn ON dn.page = tl.page LEFT JOIN fx z ON z.tile = dn.donor
+)
+SELECT page, panel, label, al.cand, s::INT AS slice, (DATE '2024-01-01' + s::INT)::VARCHAR AS x_key, round(CASE WHEN scale = 'log' THEN pow(10, slope * y + intercept) ELSE slope * y + intercept END, 4) AS value_native, x IS NULL AS flagged
+FROM al CROSS JOIN range(30) AS v(s) LEFT JOIN ls ON ls.tile = al.tile AND ls.cand = al.cand AND ls.slice = s
+""")
+def digitized_series(spark, d):
+    """The whole chain over pages of five panels each, whose names are the same on every page."""
+    keyed = lambda df, i: df.withColumn("page", F.floor(i / 5)).withColumn("panel", F.concat(F.lit("p"), (i % 5).cast("string")))
+    points = keyed(b.points(spark, d), F.col("tile"))
+    ticks = b.ticks(spark, d)
+    ticks = keyed(ticks.withColumn("i", F.substring("panel", 4, 9).cast("long")), F.col("i"))
+    start, label = F.lit(date(2024, 1, 1)).alias("start"), F.when(F.col("tile") % 2 == 0, F.array(F.lit("level"))).alias("labels")
+    panels = points.select("page", "panel", "tile").distinct().select("page", "panel", F.lit(0.0).alias("x0"), F.lit(b.EXTENT).alias("x1"), F.lit(b.SLICES).alias("n"), start, F.lit("mm").alias("unit"), F.lit("linear").alias("y_scale"), label)
+    q = digitize(ticks, points.select("page", "panel", "cand", "ord", "x", "y", "confidence"), panels, gates=GENERIC)
+    return q.select("page", "panel", "label", "cand", "slice", "x_key", r(F.col("value_native"), 4).alias("value_native"), "flagged")

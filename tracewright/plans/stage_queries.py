@@ -94,21 +94,41 @@ def axis_fit_record(spark, d):
     return q.select("page", "panel", "donor", "shared", "inconsistent", "scale", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), r(F.col("v_low"), 3).alias("v_low"), r(F.col("v_high"), 3).alias("v_high"), F.array_join("flags", ",").alias("flags"), "review_required")
 
 
-@query(f"""WITH {b.TICKS}, ml AS (SELECT panel, regr_slope(value, pixel) AS s, regr_intercept(value, pixel) AS c FROM (SELECT *, row_number() OVER (PARTITION BY panel ORDER BY ord) AS n FROM tk) WHERE n <= 2 GROUP BY panel),
-ac AS (SELECT panel, CASE WHEN i % 2 = 0 THEN 10.0 + i ELSE 0.0 END AS p0, CASE WHEN i % 2 = 0 THEN 70.0 ELSE 10.0 END AS v0, 210.0 + CASE WHEN i % 2 = 0 THEN i ELSE 0 END AS p1, CASE WHEN i % 2 = 0 THEN 1470.0 ELSE 1510.0 END AS v1 FROM (SELECT DISTINCT panel, substr(panel, 4)::INT AS i FROM tk)),
-er AS (SELECT ac.*, greatest(abs(s * p0 + c - v0), abs(s * p1 + c - v1)) / abs(v1 - v0) AS off FROM ac JOIN ml USING (panel))
-SELECT panel, round((v1 - v0) / (p1 - p0), 6) AS slope, round(v0 - (v1 - v0) / (p1 - p0) * p0, 4) AS intercept, 'user_anchors' AS method, concat_ws(',', 'two_anchor_only', 'user_hint:y_anchors', CASE WHEN off > 0.05 THEN 'hint_mismatch' END) AS flags FROM er""")
+@query(f"""
+WITH {b.TICKS}, pn AS (
+    SELECT DISTINCT panel, substr(panel, 4)::INT AS i, CASE WHEN substr(panel, 4)::INT % 3 = 1 THEN 'log' ELSE 'linear' END AS scale FROM tk
+), ml AS (
+    SELECT panel, regr_slope(v, pixel) AS s, regr_intercept(v, pixel) AS c FROM (
+        SELECT panel, pixel, CASE WHEN scale = 'log' THEN log10(value) ELSE value END AS v, row_number() OVER (PARTITION BY panel ORDER BY ord) AS n FROM tk JOIN pn USING (panel)
+    ) WHERE n <= 2 GROUP BY panel
+), ac AS (
+    SELECT *, CASE WHEN i % 2 = 0 THEN 10.0 + i ELSE 0.0 END AS p0, CASE WHEN i % 2 = 0 THEN 70.0 ELSE 10.0 END AS v0, 210.0 + CASE WHEN i % 2 = 0 THEN i ELSE 0 END AS p1,
+        CASE WHEN i % 2 = 0 THEN 1470.0 ELSE 1510.0 END AS v1, CASE WHEN i % 5 <> 4 THEN 0.0 END AS top, CASE WHEN i % 5 <> 4 THEN 400.0 + i END AS bottom FROM pn
+), ln AS (
+    SELECT *, CASE WHEN scale = 'log' THEN (log10(v1) - log10(v0)) / (p1 - p0) ELSE (v1 - v0) / (p1 - p0) END AS slope FROM ac
+), ax AS (
+    SELECT *, CASE WHEN scale = 'log' THEN log10(v0) ELSE v0 END - slope * p0 AS intercept FROM ln
+), er AS (
+    SELECT ax.*, CASE WHEN scale = 'log' THEN greatest(abs(pow(10, s * p0 + c) - v0), abs(pow(10, s * p1 + c) - v1)) ELSE greatest(abs(s * p0 + c - v0), abs(s * p1 + c - v1)) END AS worst,
+        CASE WHEN top IS NULL THEN abs(v1 - v0) WHEN scale = 'log' THEN abs(pow(10, slope * top + intercept) - pow(10, slope * bottom + intercept)) ELSE abs(slope * (top - bottom)) END AS span FROM ax JOIN ml USING (panel)
+)
+SELECT panel, scale, round(slope, 6) AS slope, round(intercept, 4) AS intercept, 'user_anchors' AS method,
+    concat_ws(',', 'two_anchor_only', 'user_hint:y_anchors', CASE WHEN worst / span > 0.05 THEN 'hint_mismatch' END) AS flags
+FROM er""")
 def user_anchor_axis(spark, d):
+    """Two readings of each panel (that is the feature: few readings) against anchors of its own or its page's, on linear and log scales."""
     t = b.ticks(spark, d)
     i = F.substring("panel", 4, 9).cast("int")
-    panels = t.select("panel").distinct().select(F.lit(0).alias("page"), "panel", F.lit("linear").alias("y_scale"))
-    own = panels.where(i % 2 == 0).select("page", "panel", F.explode(F.array(F.struct(F.lit(0).alias("ord"), (10.0 + i).alias("pixel"), F.lit(70.0).alias("value")), F.struct(F.lit(1).alias("ord"), (210.0 + i).alias("pixel"), F.lit(1470.0).alias("value")))).alias("a")).select("page", "panel", "a.*")
+    crop = [F.when(i % 5 != 4, v.cast("double")).alias(c) for c, v in (("top", F.lit(0)), ("bottom", 400 + i))]
+    panels = t.select("panel").distinct().select(F.lit(0).alias("page"), "panel", F.when(i % 3 == 1, "log").otherwise("linear").alias("y_scale"), *crop)
+    pair = F.array(*(F.struct(F.lit(k).alias("ord"), (p + i).cast("double").alias("pixel"), F.lit(v).alias("value")) for k, p, v in ((0, 10, 70.0), (1, 210, 1470.0))))
+    own = panels.where(i % 2 == 0).select("page", "panel", F.explode(pair).alias("a")).select("page", "panel", "a.*")
     whole = spark.createDataFrame([(0, None, 0, 0.0, 10.0), (0, None, 1, 210.0, 1510.0)], "page int, panel string, ord int, pixel double, value double")
     anchors = axes.anchors_of(panels, own.unionByName(whole), ["page"])
     least = t.groupBy("panel").agg(F.slice(F.array_sort(F.collect_list("ord")), 1, 2).alias("first"))
     t = t.join(least, "panel").where(F.array_contains("first", F.col("ord"))).drop("first")
     q = axes.calibrate(panels, t, anchors=anchors)
-    return q.select("panel", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), "method", F.array_join("flags", ",").alias("flags"))
+    return q.select("panel", "scale", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), "method", F.array_join("flags", ",").alias("flags"))
 
 
 _MAGNITUDES = f"""{b.TICKS}, tv AS (SELECT panel, ord, pixel, (10 + ord % 17) * (CASE WHEN substr(panel, 4)::INT % 3 <> 0 AND ord % 2 = 0 THEN 1000.0 ELSE 1.0 END)::DOUBLE AS value FROM tk),

@@ -22,8 +22,8 @@ def percent(share: Column, digits: int = 1) -> Column:
 
 
 def legible(rows: DataFrame) -> DataFrame:
-    """Ticks or labels that could be read."""
-    return rows.where(F.coalesce("legible", F.lit(False)) & F.col("value").isNotNull())
+    """Ticks or labels that could be read; those of which nothing is said count as read."""
+    return rows.where(F.coalesce("legible", F.lit(True)) & F.col("value").isNotNull())
 
 
 def visible_points(points: DataFrame, by: list[str], least: int = 2) -> DataFrame:

@@ -42,14 +42,19 @@ def calibration_summary(rows: DataFrame, by: list[str]) -> DataFrame:
 
 
 def with_published(rows: DataFrame, published: DataFrame, by: list[str]) -> DataFrame:
-    """rows with the published result of their scan and month, where there is one: the one marked best, else the highest."""
-    best = metrics.best_rows(published, by, F.coalesce(F.col("isBest") == "yes", F.lit(False)), [F.desc("peak_score"), F.col("rmse")])
+    """rows with the published result of their scan and month, where there is one: the best of those marked best.
+
+    Only where not a single published row is marked, the highest of all stands instead.
+    """
+    marked = F.coalesce(F.col("isBest") == "yes", F.lit(False))
+    some = not published.where(marked).isEmpty()  # one bit
+    best = metrics.best_rows(published.where(marked) if some else published, by, F.lit(True), [F.desc("peak_score"), F.col("rmse")])
     return rows.join(best.select(*by, F.col("peak_score").alias("paper_peak_score"), F.col("rmse").alias("paper_rmse")), by, "left")
 
 
 def month_means(rows: DataFrame, by: list[str]) -> DataFrame:
     """Means over the months of a run; months without a value do not count."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(f"mean_{c}") for c in ("rmse", "mae", "pearson_r", "peak_score")), F.avg("paper_peak_score").alias("mean_paper_peak_score"))
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(f"mean_{c}") for c in ("rmse", "mae", "maxae", "pearson_r", "peak_score")), F.avg("paper_peak_score").alias("mean_paper_peak_score"))
 
 
 def series_months(series: DataFrame, panels: DataFrame) -> DataFrame:
@@ -58,8 +63,23 @@ def series_months(series: DataFrame, panels: DataFrame) -> DataFrame:
     return own.join(panels.where(F.col("month").isNotNull()).select("run", "panel", "month"), ["run", "panel"])
 
 
-def gauge_names(rows: DataFrame, gauges: DataFrame) -> DataFrame:
-    """rows (scan_id) with the station of their gauge, or the scan's first two digits."""
+def gauge_names(rows: DataFrame, gauges: DataFrame, prefix: str = "DE_BY_DAN_") -> DataFrame:
+    """rows (scan_id) with the station of their gauge, or the scan's first two digits. prefix: of the gauges' ids."""
     names = gauges.groupBy(F.col("gauge_id").alias("_gauge")).agg(F.min("name").alias("station"))
-    prefix = F.substring("scan_id", 1, 2)
-    return rows.withColumn("_gauge", F.concat(F.lit("DE_BY_DAN_"), prefix)).join(F.broadcast(names), "_gauge", "left").withColumn("station", F.coalesce("station", prefix)).drop("_gauge")
+    own = F.substring("scan_id", 1, 2)
+    return rows.withColumn("_gauge", F.concat(F.lit(prefix), own)).join(names, "_gauge", "left").withColumn("station", F.coalesce("station", own)).drop("_gauge")
+
+
+def extractor_summary(selected: DataFrame, meta: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """run, coverage, tokens, verdicts of each run: mean coverage of its selected curves, tokens in all, 'panel:verdict' by panel.
+
+    selected: run, coverage (null ones do not count). meta: run, key, value (text): the values of keys that begin with
+    'tokens:' are added up as far as they are whole numbers. verdicts: run, panel, verdict. A run of any of the tables has
+    a row; without tokens it has 0, without verdicts the empty string.
+    """
+    cover = selected.groupBy("run").agg(F.avg("coverage").alias("coverage"))
+    spent = meta.groupBy("run").agg(F.sum(F.when(F.col("key").startswith("tokens:"), F.col("value").try_cast("bigint"))).alias("tokens"))
+    told = F.expr("listagg(concat(panel, ':', verdict), ' ') WITHIN GROUP (ORDER BY panel, verdict)")
+    judged = verdicts.groupBy("run").agg(told.alias("verdicts"))
+    out = cover.join(spent, "run", "full").join(judged, "run", "full")
+    return out.select("run", "coverage", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("verdicts", F.lit("")).alias("verdicts"))

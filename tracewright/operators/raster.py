@@ -38,7 +38,9 @@ def refine_ridges(raster: DataFrame, seeds: DataFrame, by: list[str], window: in
     size = raster.groupBy(*by).agg(F.max("col").alias("last_col"), F.max("row").alias("last_row"))
     inside = lambda c, last: F.greatest(F.lit(0), F.least(F.rint(F.col(c)).cast("int"), F.col(last).cast("int")))
     xi, yi = inside("x", "last_col"), inside("y", "last_row")
-    near = raster.join(seeds.join(size, by), by).where(F.col("col").between(xi - strip, xi + strip) & F.col("row").between(yi - window, yi + window))
+    # A seed asks for its own columns only: pixels meet it by tile and column, not by tile.
+    asked = seeds.join(size, by).select(*by, "seed", "x", "y", yi.alias("_yi"), F.explode(F.sequence(xi - strip, xi + strip)).alias("col"))
+    near = raster.join(asked, [*by, "col"]).where(F.col("row").between(F.col("_yi") - window, F.col("_yi") + window))
     profile = near.groupBy(*by, "seed", "x", "y", "row").agg(F.avg("gray").alias("v"))
     key = [*by, "seed", "x", "y"]
     o = Window.partitionBy(*key).orderBy("row")
@@ -80,3 +82,38 @@ def rotate(raster: DataFrame, by: list[str], degrees: Column) -> DataFrame:
     row = F.when(q == 1, F.col("last_col") - c).when(q == 2, F.col("last_row") - r).when(q == 3, c).otherwise(r)
     col = F.when(q == 1, r).when(q == 2, F.col("last_col") - c).when(q == 3, F.col("last_row") - r).otherwise(c)
     return raster.join(size, by).select(*by, row.alias("row"), col.alias("col"), *(x for x in raster.columns if x not in (*by, "row", "col")))
+
+
+def _cubic(t: Column) -> Column:
+    """The cubic convolution kernel with a = -1/2."""
+    d = F.abs(t)
+    near, far = (1.5 * d - 2.5) * d * d + 1, ((-0.5 * d + 2.5) * d - 4) * d + 2
+    return F.when(d < 1, near).when(d < 2, far).otherwise(0.0)
+
+
+def stretch(raster: DataFrame, by: list[str], factor: Column | float, whole: bool = False) -> DataFrame:
+    """Images of round(width x factor) columns, at least one, by cubic convolution along their rows; `col` and `gray` are new.
+
+    A new column looks at the old ones within two columns (two new ones where the image shrinks) of its own middle; at the
+    borders the weights of those that exist are made to sum to one. whole: to 0 to 255, rounded. A row of pixels is one
+    array; its columns count from 0 in their order. One shuffle, as many rows as there are pixels.
+    """
+    factor = factor if isinstance(factor, Column) else F.lit(factor)
+    sized = raster.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.col("gray").cast("double").alias("gray")))).alias("p"), F.max(factor).alias("factor"))
+    width = F.size("p")
+    new = F.greatest(F.lit(1), F.bround(width * F.col("factor")).cast("int"))
+    rows = sized.select(*by, "row", F.transform("p", lambda q: q["gray"]).alias("v"), width.alias("old"), new.alias("new"))
+    scale = F.col("old") / F.col("new")
+    wide = F.greatest(scale, F.lit(1.0))
+
+    def at(j: Column) -> Column:
+        middle = (j + 0.5) * scale
+        first = F.greatest(F.lit(0), (middle - 2 * wide + 0.5).cast("int"))
+        last = F.least(F.col("old"), (middle + 2 * wide + 0.5).cast("int")) - 1
+        taps = F.transform(F.sequence(first, last), lambda i: F.struct(_cubic((i - middle + 0.5) / wide).alias("w"), F.get("v", i).alias("v")))
+        total = F.aggregate(taps, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("w")), lambda s, t: F.struct((s["a"] + t["w"] * t["v"]).alias("a"), (s["w"] + t["w"]).alias("w")))
+        return F.element_at(F.transform(F.array(total), lambda s: s["a"] / s["w"]), 1)
+
+    out = rows.select(*by, "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("new") - 1), at)).alias("col", "gray"))
+    rounded = F.least(F.greatest(F.floor(F.col("gray") + 0.5), F.lit(0)), F.lit(255)).cast("int")
+    return out.withColumn("gray", rounded) if whole else out

@@ -65,3 +65,24 @@ def interpolate(queries: DataFrame, knots: DataFrame, by: list[str]) -> DataFram
 def correct(y: Column, base: Column, beta: Column) -> Column:
     """A curve's y without the sag of the printed baseline against its ideal row."""
     return y - (base - beta)
+
+
+def linspace(lo: Column | float, hi: Column | float, k: Column) -> Column:
+    """k evenly spaced numbers from lo to hi, both included; one number is lo."""
+    lo, hi = (v if isinstance(v, Column) else F.lit(float(v)) for v in (lo, hi))
+    step = F.coalesce(F.try_divide(hi - lo, k - 1), F.lit(0.0))
+    return F.transform(F.sequence(F.lit(0), k - 1), lambda i: F.when((i == k - 1) & (k > 1), hi).otherwise(i * step + lo))
+
+
+def probe_places(n_samples: Column, most: int = 40, lo: int = 10, hi: int = 990) -> Column:
+    """Where a tracer is asked to read a curve: as many places as it has samples, `most` at most (all if unknown), cut to whole numbers."""
+    k = F.least(F.coalesce(F.nullif(n_samples, F.lit(0)), F.lit(most)), F.lit(most))
+    return F.transform(linspace(lo, hi, k), lambda x: x.cast("int"))
+
+
+def probes(points: DataFrame, by: list[str], most: int) -> DataFrame:
+    """by, probes: `most` points (ord, x, y) of each trace, spread evenly over their places in order; all of a shorter one."""
+    own = points.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))).alias("p"))
+    n = F.size("p")
+    places = linspace(0, (n - 1).cast("double"), F.least(n, F.lit(most)))
+    return own.select(*by, F.transform(places, lambda i: F.get("p", i.cast("int"))).alias("probes"))

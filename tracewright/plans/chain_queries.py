@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tracewright.config import GENERIC
-from tracewright.operators import readings, runs
+from tracewright.operators import evaluation, extractors, hints, raster, readings, resample, runs
 from tracewright.plans import bindings as b
 from tracewright.plans.digitize import digitize
 from tracewright.plans.queries import _SCORED, _robust_sql, query, r
-from tracewright.sources import sinks
+from tracewright.sources import responses, sinks
 
 #: The rule of the reader for four attempts a panel, written out step by step.
 _CASCADE = f"""
@@ -137,3 +137,131 @@ def digitized_series(spark, d):
     panels = points.select("page", "panel", "tile").distinct().select("page", "panel", F.lit(0.0).alias("x0"), F.lit(b.EXTENT).alias("x1"), F.lit(b.SLICES).alias("n"), start, F.lit("mm").alias("unit"), F.lit("linear").alias("y_scale"), label)
     q = digitize(ticks, points.select("page", "panel", "cand", "ord", "x", "y", "confidence"), panels, gates=GENERIC)
     return q.select("page", "panel", "label", "cand", "slice", "x_key", r(F.col("value_native"), 4).alias("value_native"), "flagged")
+
+
+# --- answers ---------------------------------------------------------------------------------------------------
+
+
+@query(r"""
+WITH t AS (
+    SELECT user_id, event_id AS attempt, CASE WHEN event_id % 7 = 0 THEN '{"y_ticks": [{"pos_1000": ' WHEN event_id % 7 = 1 THEN 'no answer' WHEN event_id % 5 = 0 THEN '```json' || chr(10) || j || chr(10) || '```' ELSE j END AS text
+    FROM (SELECT *, '{"y_ticks": [{"pos_1000": ' || event_id % 1200 || ', "value": 1.5, "side": "left"}, {"pos_1000": ' || event_id % 900 || ', "value": ' || event_id % 40 || ', "legible": ' || CASE WHEN event_id % 3 = 0 THEN 'false' ELSE 'true' END
+        || '}], "x_kind": "' || event_type || '"' || CASE WHEN event_id % 2 = 0 THEN ', "confidence": 0.' || event_id % 10 ELSE '' END || '}' AS j FROM (SELECT * REPLACE (CASE WHEN event_id % 4 = 3 THEN event_type ELSE ['date', 'numeric', 'unknown'][event_id % 3 + 1] END AS event_type) FROM events))
+), c AS (
+    SELECT *, regexp_replace(regexp_replace(text, '^```json\n', ''), '\n```$', '') AS j FROM t
+), p AS (
+    SELECT user_id, attempt, json_valid(j) AS ok, CASE WHEN json_valid(j) THEN j END AS j FROM c
+), v AS (
+    SELECT *, CASE WHEN NOT ok THEN 'malformed' WHEN json_extract(j, '$.confidence') IS NULL THEN 'missing:confidence' WHEN json_extract_string(j, '$.x_kind') NOT IN ('date', 'numeric', 'unknown') THEN 'unknown word:x_kind' END AS error FROM p
+), g AS (
+    SELECT user_id, count(*) AS n_attempts, count(*) FILTER (WHERE error = 'malformed') AS n_malformed, count(*) FILTER (WHERE error <> 'malformed') AS n_invalid, min(attempt) FILTER (WHERE error IS NULL) AS attempt, arg_max(coalesce(error, ''), attempt) AS last FROM v GROUP BY 1
+)
+SELECT g.user_id, n_attempts, n_malformed, n_invalid, g.attempt, CASE WHEN g.attempt IS NULL THEN last END AS last_error, json_extract_string(v.j, '$.x_kind') AS x_kind,
+    round(json_extract(v.j, '$.y_ticks[0].pos_1000')::BIGINT / 1000.0 * 250 + 40, 4) AS first_pixel, json_extract_string(v.j, '$.y_ticks[1].legible') = 'true' AS second_legible, json_extract(v.j, '$.y_ticks[0].pos_1000')::BIGINT > 1000 AS beyond
+FROM g LEFT JOIN v ON v.user_id = g.user_id AND v.attempt = g.attempt
+""")
+def valid_responses(spark, d):
+    """An answer for each event, some of them cut off, fenced, without a field or with a wrong word: the first valid one of each user."""
+    k = F.col("event_id")
+    e = b.table(spark, d, "events").select("user_id", k.alias("attempt"), k, F.when(k % 4 == 3, F.col("event_type")).otherwise(b.pick(["date", "numeric", "unknown"], k)).alias("kind"))
+    s = lambda c: c.cast("string")
+    whole = F.concat(
+        F.lit('{"y_ticks": [{"pos_1000": '), s(k % 1200), F.lit(', "value": 1.5, "side": "left"}, {"pos_1000": '), s(k % 900), F.lit(', "value": '), s(k % 40), F.lit(', "legible": '), F.when(k % 3 == 0, "false").otherwise("true"),
+        F.lit('}], "x_kind": "'), F.col("kind"), F.lit('"'), F.when(k % 2 == 0, F.concat(F.lit(', "confidence": 0.'), s(k % 10))).otherwise(""), F.lit("}"),
+    )
+    answer = F.when(k % 7 == 0, '{"y_ticks": [{"pos_1000": ').when(k % 7 == 1, "no answer").when(k % 5 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    parsed = responses.parse(e.select("user_id", "attempt", answer.alias("text")), "axis")
+    q = responses.first_valid(parsed.withColumn("data", F.struct("data", "out_of_range")), ["user_id"]).select("*", F.col("data.data.y_ticks").alias("t"), F.col("data.data.x_kind").alias("x_kind"))
+    pixel = F.get("t", F.lit(0))["pos_1000"] / 1000.0 * 250 + 40
+    return q.select("user_id", "n_attempts", "n_malformed", "n_invalid", "attempt", "last_error", "x_kind", r(pixel, 4).alias("first_pixel"), F.get("t", F.lit(1))["legible"].alias("second_legible"), F.array_contains("data.out_of_range", "y_ticks[].pos_1000").alias("beyond"))
+
+
+# --- hints, rasters, extractors --------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {b.BOXES}, hp AS (
+    SELECT page, pos, CASE WHEN pos % 4 <> 0 THEN 10 - pos END AS idx, pos % 5 <> 0 AS drawn, x - 50 AS lx, y - 5 AS ty, w * 3 AS dw, h * 3 AS dh, pos % 2 = 0 AS has_plot FROM bx WHERE page % 3 = 0
+), hn AS (
+    SELECT *, row_number() OVER (PARTITION BY page ORDER BY coalesce(idx, 0), pos) AS n FROM hp
+), hd AS (
+    SELECT page, 'p' || lpad(coalesce(nullif(idx, 0), n)::VARCHAR, 2, '0') AS panel, greatest(0, lx) AS x, greatest(0, ty) AS y, least(dw, 150 - greatest(0, lx)) AS w, least(dh, 90 - greatest(0, ty)) AS h,
+        CASE WHEN has_plot THEN greatest(0, lx + 7) ELSE greatest(0, lx) END AS px, CASE WHEN has_plot THEN least(dw - 9, 150 - greatest(0, lx + 7)) ELSE least(dw, 150 - greatest(0, lx)) END AS pw, 'user_hint:bbox' AS flags FROM hn WHERE drawn
+)
+SELECT * FROM hd UNION ALL SELECT page, 'p' || lpad(pos::VARCHAR, 2, '0'), x, y, w, h, x, w, '' FROM bx WHERE page NOT IN (SELECT page FROM hd)
+""")
+def hint_boxes(spark, d):
+    """Detected boxes of every page; those of every third page are replaced by drawn ones, some without an index, some not drawn at all."""
+    q = b.boxes(spark, d).withColumnRenamed("page", "run_id")
+    box, pos = F.col("box"), F.col("pos")
+    name = F.concat(F.lit("p"), F.lpad(pos.cast("string"), 2, "0"))
+    none = F.lit("")
+    detected = q.select("run_id", name.alias("panel"), none.alias("label"), "box", box.alias("plot"), none.alias("x_start"), none.alias("x_end"), F.lit(0.9).alias("confidence"), F.array().cast("array<string>").alias("flags"))
+    four = lambda *xs: F.array(*(x.cast("int") for x in xs))
+    drawn = F.struct(
+        F.when(pos % 4 != 0, 10 - pos).cast("int").alias("index"), none.alias("label"), F.when(pos % 5 != 0, four(box["x"] - 50, box["y"] - 5, box["w"] * 3, box["h"] * 3)).alias("bbox_px"),
+        F.when(pos % 2 == 0, four(box["x"] - 43, box["y"] - 5, box["w"] * 3 - 9, box["h"] * 3)).alias("plot_area_px"), none.alias("x_start"), none.alias("x_end"),
+    )
+    given = q.where(F.col("run_id") % 3 == 0).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", drawn.alias("p")))), lambda s: s["p"]).alias("panels"))
+    pages = q.select("run_id").distinct().select("run_id", F.lit(150).cast("bigint").alias("width"), F.lit(90).cast("bigint").alias("height"))
+    p = hints.panels_of(detected, given, pages)
+    return p.select(F.col("run_id").alias("page"), "panel", *(F.col(f"box.{c}").alias(c) for c in "xywh"), F.col("plot.x").alias("px"), F.col("plot.w").alias("pw"), F.array_join("flags", ",").alias("flags"))
+
+
+_KERNEL = "CASE WHEN abs(t) < 1 THEN (1.5 * abs(t) - 2.5) * t * t + 1 WHEN abs(t) < 2 THEN ((-0.5 * abs(t) + 2.5) * abs(t) - 4) * abs(t) + 2 ELSE 0 END"
+
+
+@query(f"""
+WITH {b.RASTER}, sz AS (
+    SELECT tile, old, greatest(1, round_even(old * CASE WHEN tile % 3 = 0 THEN 0.6::DOUBLE ELSE 2.5::DOUBLE END, 0)::BIGINT) AS new FROM (SELECT tile, count(DISTINCT col) AS old FROM rs GROUP BY 1)
+), tp AS (
+    SELECT tile, j, i, old, greatest(1.0, old / new::DOUBLE) AS wide, (j + 0.5) * (old / new::DOUBLE) AS mid FROM (SELECT sz.*, unnest(range(new)) AS j FROM sz), range(64) AS r(i)
+), wt AS (
+    SELECT tile, j, i, {_KERNEL} AS w FROM (SELECT *, (i - mid + 0.5) / wide AS t FROM tp WHERE i >= greatest(0, trunc(mid - 2 * wide + 0.5)) AND i < least(old, trunc(mid + 2 * wide + 0.5)))
+)
+SELECT rs.tile, rs."row", j AS col, round(sum(w * gray) / sum(w), 6) AS gray FROM rs JOIN wt ON wt.tile = rs.tile AND wt.i = rs.col GROUP BY 1, 2, 3
+""")
+def raster_stretch(spark, d):
+    """Every raster two and a half times as wide, every third one narrower."""
+    factor = F.when(F.col("tile") % 3 == 0, 0.6).otherwise(2.5)
+    q = raster.stretch(b.raster(spark, d), ["tile"], factor)
+    return q.select("tile", "row", F.col("col").cast("long").alias("col"), r(F.col("gray")).alias("gray"))
+
+
+@query(f"""
+WITH {_SCORED}, v AS (
+    SELECT tile, string_agg('c' || cand || ':' || CASE WHEN viable THEN 'ok' ELSE 'minor' END, ' ' ORDER BY 'c' || cand) AS verdicts, avg(coverage) FILTER (WHERE coverage >= 0.5) AS coverage FROM sc GROUP BY 1
+), m AS (
+    SELECT user_id % 10 + user_id // 150 * 10 AS tile, sum(event_id % 100) FILTER (WHERE event_id % 3 <> 0 AND event_type <> 'view')::BIGINT AS tokens FROM events GROUP BY 1
+)
+SELECT coalesce(v.tile, m.tile) AS run, round(coverage, 6) AS coverage, coalesce(tokens, 0) AS tokens, coalesce(verdicts, '') AS verdicts FROM v FULL JOIN m ON m.tile = v.tile
+""")
+def extractor_summary(spark, d):
+    """Tiles as runs: coverage of their curves, tokens by event (some are no numbers), verdicts by curve."""
+    sc = resample.scored(resample.last_per_slice(b.points(spark, d), ["tile", "cand"], F.lit(0.0), F.lit(b.EXTENT), F.lit(b.SLICES), ("confidence",)), ["tile", "cand"], F.lit(b.SLICES), 0.69, 0.9)
+    run = F.col("tile").alias("run")
+    k = F.col("event_id")
+    meta = b.table(spark, d, "events").select((F.col("user_id") % 10 + F.floor(F.col("user_id") / 150) * 10).alias("run"), F.when(F.col("event_type") == "view", "seconds").otherwise(F.concat(F.lit("tokens:"), "event_type")).alias("key"), F.when(k % 3 == 0, "n/a").otherwise((k % 100).cast("string")).alias("value"))
+    verdicts = sc.select(run, F.concat(F.lit("c"), F.col("cand").cast("string")).alias("panel"), F.when(F.col("viable"), "ok").otherwise("minor").alias("verdict"))
+    q = evaluation.extractor_summary(sc.select(run, F.when(F.col("coverage") >= 0.5, F.col("coverage")).alias("coverage")), meta, verdicts)
+    return q.select("run", r(F.col("coverage")).alias("coverage"), "tokens", "verdicts")
+
+
+@query(f"""
+WITH {b.RASTER}, ml AS (
+    SELECT tile, col, avg("row") AS y FROM rs WHERE gray > 15 GROUP BY 1, 2
+), mc AS (
+    SELECT tile, count(*) / 64.0::DOUBLE AS confidence FROM ml GROUP BY 1
+), rr AS (
+    SELECT tile, col, first("row" ORDER BY gray DESC, "row") AS y, coalesce((max(gray) - avg(gray)) / nullif(max(gray) - min(gray), 0), 0) AS lead FROM rs GROUP BY 1, 2
+), rc AS (
+    SELECT tile, avg(lead) AS confidence FROM rr GROUP BY 1
+)
+SELECT tile, 0::BIGINT AS cand, 'primary' AS pool, col AS ord, round(y, 6) AS y, round(confidence, 6) AS confidence FROM ml JOIN mc USING (tile)
+UNION ALL SELECT tile, CASE WHEN tile IN (SELECT tile FROM mc) THEN 1 ELSE 0 END, 'fallback', col, y, round(confidence, 6) FROM rr JOIN rc USING (tile) WHERE tile NOT IN (SELECT tile FROM mc WHERE confidence >= 0.98)
+""")
+def extractor_fallback(spark, d):
+    """Two backends over all tiles: those that the mask does not cover are traced along their brightest row, too."""
+    good = lambda points: points.where("confidence >= 0.98")
+    q = extractors.extract_with_fallback("mask", "ridge", b.raster(spark, d), good, {"mask": {"level": 15.0}})
+    return q.select("tile", "cand", "pool", "ord", r(F.col("y")).alias("y"), r(F.col("confidence")).alias("confidence"))

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright import schemas
+from tracewright.operators.raster import grayscale
 
 
 def read_artifact(spark: SparkSession, path: str, kind: str) -> DataFrame:
@@ -178,3 +179,22 @@ def read_images(spark: SparkSession, path: str, suffixes: tuple[str, ...] = ("pn
 def cached_responses(wanted: DataFrame, cache: DataFrame, key: list[str]) -> tuple[DataFrame, DataFrame]:
     """Model responses that the cache has, and what is missing from it."""
     return wanted.join(cache, key), wanted.join(cache.select(*key), key, "left_anti")
+
+
+def read_pixels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Pixels (tile, row, col, gray) of images that Spark decodes, and files that it does not (tile, error).
+
+    tile is the file's name without its ending. Colours become gray by their luma. Bytes are told apart by their place in
+    hexadecimal digits of a row, so nothing leaves the JVM and no array is as long as an image.
+    """
+    images = spark.read.format("image").option("dropInvalid", False).load(path).select("image.*")
+    name = F.regexp_replace(F.element_at(F.split("origin", "/"), -1), "\\.[^.]*$", "")
+    known = F.col("nChannels").isin(1, 3, 4) & (F.col("width") > 0)
+    rows = images.where(known).select(name.alias("tile"), "width", "nChannels", "data", F.explode(F.sequence(F.lit(0), F.col("height") - 1)).alias("row"))
+    n = F.col("width") * F.col("nChannels")
+    rows = rows.select("tile", "row", "width", "nChannels", F.hex(F.substring("data", F.col("row") * n + 1, n)).alias("digits"))
+    cols = rows.select("tile", "row", "nChannels", "digits", F.explode(F.sequence(F.lit(0), F.col("width") - 1)).alias("col"))
+    at = lambda k: F.conv(F.substring("digits", 2 * (F.col("col") * F.col("nChannels") + k) + 1, F.lit(2)), 16, 10).cast("int")
+    gray = F.when(F.col("nChannels") == 1, at(0)).otherwise(grayscale(at(2), at(1), at(0)))  # blue, green, red
+    bad = images.where(~known).select(name.alias("tile"), F.concat(F.lit("no image that can be decoded: "), F.element_at(F.split("origin", "/"), -1)).alias("error"))
+    return cols.select("tile", "row", "col", gray.alias("gray")), bad

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tracewright.functions.columns import let
+
 # A printed number.
 NUMBER = "-?\\d+(?:[.,]\\d+)?"
 
@@ -58,3 +60,21 @@ def tile_key(series_key: Column) -> Column:
 
 def gauge_id(scan: Column) -> Column:
     return F.concat(F.lit("DE_BY_DAN_"), F.substring(scan, 1, 2))
+
+
+def general(v: Column, digits: int) -> Column:
+    """A number with so many significant digits, without trailing zeros; very large and very small ones with an exponent (as %g in C)."""
+    v = v.cast("double")
+    parts = F.struct(
+        F.regexp_replace(F.regexp_extract(F.format_string(f"%.{digits - 1}e", F.abs(v)), "^(.*)e", 1), "\\.", "").alias("d"), F.regexp_extract(F.format_string(f"%.{digits - 1}e", F.abs(v)), "e(.*)$", 1).cast("int").alias("x")
+    )
+    short = lambda s: F.regexp_replace(F.regexp_replace(s, "(\\.\\d*?)0+$", "$1"), "\\.$", "")
+
+    def shown(p: Column) -> Column:
+        d, x = p["d"], p["x"]
+        above = F.concat(F.substring(d, F.lit(1), x + 1), F.lit("."), F.substring(d, x + 2, F.lit(digits)))
+        below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -x - 1), d)
+        power = F.concat(short(F.concat(F.substring(d, 1, 1), F.lit("."), F.substring(d, 2, digits))), F.when(x < 0, "e-").otherwise("e+"), F.when(F.abs(x) < 10, "0").otherwise(""), F.abs(x).cast("string"))
+        return F.when((x < -4) | (x >= digits), power).when(x >= 0, short(above)).otherwise(short(below))
+
+    return F.when(v == 0, "0").when(v.isNotNull(), F.concat(F.when(v < 0, "-").otherwise(""), let(parts, shown)))

@@ -175,7 +175,7 @@ def share(axes: DataFrame, gates: Gates = Gates()) -> DataFrame:
     far = F.col("usable") & (F.col("panel") != F.col("best.donor")) & F.coalesce(off > gates.donor_slope, F.lit(False))
     flags = F.when(taken, F.array_append(F.col("best.y.flags"), F.concat(F.lit("y_fit_shared_from:"), F.col("best.donor")))).when(far, F.array_append("flags", F.lit("y_fit_inconsistent"))).otherwise(F.col("flags"))
     columns = [F.when(taken, F.col(f"best.y.{c}")).otherwise(F.col(c)).alias(c) for c in _SHARED]
-    return out.select("page", "panel", F.col("best.donor").alias("donor"), taken.alias("shared"), far.alias("inconsistent"), *columns, flags.alias("flags"), (F.col("review_required") & ~taken).alias("review_required"))
+    return out.select("page", "panel", F.col("best.donor").alias("donor"), taken.alias("shared"), far.alias("inconsistent"), off.alias("slope_off"), *columns, flags.alias("flags"), (F.col("review_required") & ~taken).alias("review_required"))
 
 
 def tile_rows(boxes: DataFrame, page: list[str]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,6 +42,22 @@ def panel_flags(panels: DataFrame, gates: Gates = Gates()) -> DataFrame:
     return flags(low, F.col("n") > 0, "triage", F.col("page"), F.concat(F.col("n").cast("string"), F.lit(" panel(s) below confidence gate")))
 
 
+def axis_flags(axes: DataFrame, gates: Gates = Gates()) -> DataFrame:
+    """Flags of y axes as they are printed, with their figures. axes: those of axes.share, with n_ticks and value_range."""
+    ref, text = F.col("panel"), F.format_string
+    own = ~F.col("shared")
+    relative = F.try_divide("rmse", F.nullif("value_range", F.lit(0.0)))
+    rows = [
+        flags(axes, F.col("slope").isNull(), "calibrate", ref, text("no usable axis fit (%d calibration points)", F.coalesce("n_ticks", F.lit(0))), "blocking"),
+        flags(axes, own & (F.col("method") == "two_anchor"), "calibrate", ref, F.lit("only 2 calibration points; using two-anchor mapping")),
+        flags(axes, own & (F.col("r2") < gates.least_r2), "calibrate", ref, text(f"axis fit r2=%.4f below gate {gates.least_r2}", F.col("r2"))),
+        flags(axes, own & (relative > gates.most_residual), "calibrate", ref, text("relative fit residual %.3f above gate", relative)),
+        flags(axes, F.col("shared"), "calibrate", ref, F.concat(F.lit("y calibration shared from "), "donor"), "info"),
+        flags(axes, F.col("inconsistent"), "calibrate", ref, F.concat(F.lit("y-fit slope differs from donor "), "donor", F.lit(" by "), percent(F.col("slope_off")))),
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 def page_flags(pages: DataFrame, expected: Column) -> DataFrame:
     """Flags of pages (page, kind, axis_labels, curve_labels, n_panels, n_series, n_labels)."""
     ref, known = F.col("page"), F.coalesce(expected, F.lit(0)) > 0
@@ -51,10 +69,7 @@ def page_flags(pages: DataFrame, expected: Column) -> DataFrame:
         flags(pages, F.col("n_series") > 1, "triage", ref, F.concat(F.lit("multi-series chart: "), F.col("n_series").cast("string"), F.lit(" curves")), "info"),
         flags(pages, (F.col("n_series") == 1) & (F.col("n_labels") > 1), "triage", ref, F.lit("one curve but several legend labels"), "info"),
     ]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    return reduce(DataFrame.unionByName, rows)
 
 
 def refinement_flags(points: DataFrame, most: float = 12.0) -> DataFrame:

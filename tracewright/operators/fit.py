@@ -143,11 +143,11 @@ def fit_both_scales(ticks: DataFrame, by: list[str], declared: Column, gates: Ga
 
 
 def gate_flags(fits: DataFrame, gates: Gates = Gates()) -> DataFrame:
-    """flags: two_anchor_only, low_r2, high_residual."""
+    """flags: two_anchor_only, low_r2 with its figure (low_r2:0.9912), high_residual."""
     relative = F.try_divide("rmse", F.nullif("value_range", F.lit(0.0)))
     flags = F.array_compact(
         F.array(
-            F.when((F.col("method") == "two_anchor") & F.lit(gates.least_ticks > 2), "two_anchor_only"), F.when(F.col("r2") < gates.least_r2, "low_r2"), F.when(relative > gates.most_residual, "high_residual")
+            F.when((F.col("method") == "two_anchor") & F.lit(gates.least_ticks > 2), "two_anchor_only"), F.when(F.col("r2") < gates.least_r2, F.format_string("low_r2:%.4f", "r2")), F.when(relative > gates.most_residual, "high_residual")
         )
     )
     return fits.withColumn("flags", flags)

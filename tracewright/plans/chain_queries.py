@@ -7,11 +7,11 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tracewright.config import GENERIC
-from tracewright.operators import evaluation, extractors, hints, raster, readings, resample, runs
+from tracewright.operators import evaluation, extractors, fit, hints, raster, readings, resample, runs
 from tracewright.plans import bindings as b
 from tracewright.plans.digitize import digitize
 from tracewright.plans.queries import _SCORED, _robust_sql, query, r
-from tracewright.sources import responses, sinks
+from tracewright.sources import reports, responses, sinks
 
 #: The rule of the reader for four attempts a panel, written out step by step.
 _CASCADE = f"""
@@ -265,3 +265,27 @@ def extractor_fallback(spark, d):
     good = lambda points: points.where("confidence >= 0.98")
     q = extractors.extract_with_fallback("mask", "ridge", b.raster(spark, d), good, {"mask": {"level": 15.0}})
     return q.select("tile", "cand", "pool", "ord", r(F.col("y")).alias("y"), r(F.col("confidence")).alias("confidence"))
+
+
+# --- reports ---------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {b.TICKS}, {_robust_sql('tk', 'panel')}, rw AS (
+    SELECT substr(panel, 4)::INT // 5 AS run_id, panel, printf('| %s | mm | linear | %.5g | %.4f | %d/%d | %s |', panel, slope, r2, n_used, n_ticks,
+        concat_ws(', ', CASE WHEN r2 < 0.995 THEN printf('low_r2:%.4f', r2) END, CASE WHEN rmse / nullif(vrange, 0) > 0.02 THEN 'high_residual' END)) AS line, r2 FROM ft
+), fq AS (
+    SELECT run_id, string_agg(printf('| warning | calibrate | %s | axis fit r2=%.4f below gate 0.995 |', panel, r2), chr(10) ORDER BY '1 calibrate ' || panel) AS lines FROM rw WHERE r2 < 0.995 GROUP BY 1
+), cq AS (
+    SELECT run_id, string_agg(line, chr(10) ORDER BY panel) AS lines FROM rw GROUP BY 1
+)
+SELECT run_id, '## Calibration' || chr(10) || chr(10) || '| panel | unit | scale | slope (unit/px) | r2 | ticks used | flags |' || chr(10) || '|---|---|---|---|---|---|---|' || chr(10) || cq.lines || chr(10)
+    || coalesce(chr(10) || '## Review flags' || chr(10) || chr(10) || '| severity | stage | panel | reason |' || chr(10) || '|---|---|---|---|' || chr(10) || fq.lines || chr(10), '') AS report
+FROM cq LEFT JOIN fq USING (run_id)
+""")
+def run_reports(spark, d):
+    """Reports of runs of five panels each: their axes, and the flags of those below the gate."""
+    run = F.floor(F.substring("panel", 4, 9).cast("int") / 5).cast("int").alias("run_id")
+    fits = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"])).select("*", run, F.lit("mm").alias("unit"), F.lit("linear").alias("scale"))
+    low = fits.where("r2 < 0.995").select("run_id", F.lit("warning").alias("severity"), F.lit("calibrate").alias("stage"), F.col("panel").alias("ref"), F.format_string("axis fit r2=%.4f below gate 0.995", "r2").alias("reason"))
+    return reports.reports(reports.calibration_lines(fits), reports.flag_lines(low))

@@ -237,7 +237,7 @@ def robust_fit_log(spark, d):
     return fit.fit_both_scales(b.ticks(spark, d), ["panel"], declared).select("panel", "scale", "declared", "scale_auto", *_fit_columns())
 
 
-@query(f"""WITH {b.TICKS}, {_robust_sql('tk', 'panel')} SELECT panel, array_to_string(list_filter([CASE WHEN r2 < 0.995 THEN 'low_r2' END, CASE WHEN rmse / nullif(vrange, 0) > 0.02 THEN 'high_residual' END], lambda x: x IS NOT NULL), ',') AS flags, round(rmse / nullif(vrange, 0), 6) AS relative FROM ft""")
+@query(f"""WITH {b.TICKS}, {_robust_sql('tk', 'panel')} SELECT panel, array_to_string(list_filter([CASE WHEN r2 < 0.995 THEN printf('low_r2:%.4f', r2) END, CASE WHEN rmse / nullif(vrange, 0) > 0.02 THEN 'high_residual' END], lambda x: x IS NOT NULL), ',') AS flags, round(rmse / nullif(vrange, 0), 6) AS relative FROM ft""")
 def axis_fit_gates(spark, d):
     q = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"]))
     return q.select("panel", F.array_join("flags", ",").alias("flags"), r(F.try_divide("rmse", F.nullif("value_range", F.lit(0.0)))).alias("relative"))
@@ -586,7 +586,7 @@ def hint_override_flags(spark, d):
 
 @query(f"""WITH {_SCORED}, {_robust_sql('tk', 'panel').replace('k0 AS', b.TICKS + ', k0 AS', 1)}
 SELECT 'select' AS stage, cand::VARCHAR AS ref, 'coverage below viability gate' AS reason, 'warning' AS severity FROM sc WHERE NOT viable
-UNION ALL SELECT 'calibrate', panel, 'low_r2', 'warning' FROM ft WHERE r2 < 0.995 UNION ALL SELECT 'calibrate', panel, 'high_residual', 'warning' FROM ft WHERE rmse / nullif(vrange, 0) > 0.02""")
+UNION ALL SELECT 'calibrate', panel, printf('low_r2:%.4f', r2), 'warning' FROM ft WHERE r2 < 0.995 UNION ALL SELECT 'calibrate', panel, 'high_residual', 'warning' FROM ft WHERE rmse / nullif(vrange, 0) > 0.02""")
 def review_flags(spark, d):
     one = _scored(spark, d).where("NOT viable").select(F.lit("select").alias("stage"), F.col("cand").cast("string").alias("ref"), F.lit("coverage below viability gate").alias("reason"), F.lit("warning").alias("severity"))
     two = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"]))

@@ -83,7 +83,7 @@ def _few(spark, d):
 
 @query(f"""WITH {_FEW}, {_robust_sql('sc', 'panel, scale')}, {_BOTH}, cl AS (SELECT f.panel, max(pixel) AS c_low, min(pixel) AS c_high FROM k5 k JOIN fx f ON f.panel = k.panel AND f.scale = k.scale WHERE keep GROUP BY 1),
 al AS (SELECT p.panel, p.page, f.*, cl.c_low, cl.c_high, f.panel IS NOT NULL AS ok FROM (SELECT DISTINCT panel, i // 5 AS page FROM fw) p LEFT JOIN fx f ON f.panel = p.panel LEFT JOIN cl ON cl.panel = p.panel),
-lf AS (SELECT *, CASE WHEN ok THEN concat_ws(',', CASE WHEN n_ticks = 2 THEN 'two_anchor_only' END, CASE WHEN r2 < 0.995 THEN 'low_r2' END, CASE WHEN rmse / nullif(vrange, 0) > 0.02 THEN 'high_residual' END) ELSE 'unusable' END AS fg, CASE WHEN scale = 'log' THEN pow(10, slope * c_low + intercept) ELSE slope * c_low + intercept END AS v_low, CASE WHEN scale = 'log' THEN pow(10, slope * c_high + intercept) ELSE slope * c_high + intercept END AS v_high FROM al),
+lf AS (SELECT *, CASE WHEN ok THEN concat_ws(',', CASE WHEN n_ticks = 2 THEN 'two_anchor_only' END, CASE WHEN r2 < 0.995 THEN printf('low_r2:%.4f', r2) END, CASE WHEN rmse / nullif(vrange, 0) > 0.02 THEN 'high_residual' END) ELSE 'unusable' END AS fg, CASE WHEN scale = 'log' THEN pow(10, slope * c_low + intercept) ELSE slope * c_low + intercept END AS v_low, CASE WHEN scale = 'log' THEN pow(10, slope * c_high + intercept) ELSE slope * c_high + intercept END AS v_high FROM al),
 dn AS (SELECT page, first(panel ORDER BY r2 * least(1.0, n_used / 3.0) DESC, panel) AS donor FROM lf WHERE ok GROUP BY page)
 SELECT l.page, l.panel, dn.donor, NOT l.ok AS shared, l.ok AND l.panel <> dn.donor AND abs(l.slope - o.slope) / abs(o.slope) > 0.03 AS inconsistent, CASE WHEN l.ok THEN l.scale ELSE o.scale END AS scale, round(CASE WHEN l.ok THEN l.slope ELSE o.slope END, 6) AS slope, round(CASE WHEN l.ok THEN l.intercept ELSE o.intercept END, 4) AS intercept,
   round(CASE WHEN l.ok THEN l.v_low ELSE o.v_low END, 3) AS v_low, round(CASE WHEN l.ok THEN l.v_high ELSE o.v_high END, 3) AS v_high, CASE WHEN l.ok THEN concat_ws(',', nullif(l.fg, ''), CASE WHEN l.panel <> dn.donor AND abs(l.slope - o.slope) / abs(o.slope) > 0.03 THEN 'y_fit_inconsistent' END) ELSE concat_ws(',', nullif(o.fg, ''), 'y_fit_shared_from:' || dn.donor) END AS flags, false AS review_required

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,10 +55,12 @@ def pivot_table(rows: DataFrame, index: str, columns: str, value: Column, values
 
 
 def markdown(df: DataFrame, title: str, most: int = 200) -> str:
-    """A report table of the first rows, in the order of the frame."""
-    rows = df.limit(most).collect()
+    """A report table of the first rows, in the order of the frame; how many more there are is told. Whole reports: sources.reports."""
+    rows = df.limit(most + 1).collect()
+    left = df.count() - most if len(rows) > most else 0
     head = f"## {title}\n\n| " + " | ".join(df.columns) + " |\n|" + "-|" * len(df.columns) + "\n"
-    return head + "".join("| " + " | ".join("" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v) for v in r) + " |\n" for r in rows)
+    cell = lambda v: "" if v is None else f"{v:.4g}" if isinstance(v, float) else str(v)
+    return head + "".join("| " + " | ".join(map(cell, r)) + " |\n" for r in rows[:most]) + (f"\n... and {left} more rows\n" if left else "")
 
 
 def run_report(series: DataFrame, fits: DataFrame, flags: DataFrame, most: int = 200) -> str:
@@ -73,12 +77,39 @@ def annual_csv(rows: DataFrame, path: str, by: list[str]) -> None:
     out.repartition(*by).sortWithinPartitions(*by, "x_key").write.partitionBy(*by).option("header", True).mode("overwrite").csv(path)
 
 
+# What an evaluation report says of each summary, by column.
+SENTENCES = {
+    "calibration": ("- months evaluated: {n} ({n_usable} usable)", "- median slope error: {median_slope_err_pct:.2f} %", "- median zero-pixel error: {median_zero_px_err:.1f} px", "- median induced series error (MAE): {median_induced_mae:.2f} mm", "- worst induced MAE: {worst_induced_mae:.2f} mm"),
+    "panels": ("- panels detected: {n_detected}/{n}", "- mean IoU: {mean_iou:.3f}", "- median |x-edge error|: {worse_median:.2f} days"),
+    "series": ("- gauge-months evaluated: {n}", "- mean peak-aware score: {mean_peak_score:.3f}", "- published best-candidate mean on the same months: {mean_paper_peak_score:.3f}", "- mean Pearson r: {mean_pearson_r:.3f}", "- mean RMSE: {mean_rmse:.2f}", "- mean largest error: {mean_maxae:.2f}"),
+}
+
+
+def _said(row: dict, name: str) -> list[str]:
+    """The sentences whose figures a summary has."""
+    out = []
+    for sentence in SENTENCES[name]:
+        fields = re.findall(r"\{(\w+)", sentence)
+        if all(row.get(f) is not None for f in fields):
+            out.append(sentence.format(**row))
+    return out
+
+
 def evaluation_report(calibration: DataFrame, panels: DataFrame, series: DataFrame, path: str, most: int = 200) -> str:
-    """The three evaluations' summaries (small tables, a row a run) as CSV below path, and as one markdown report."""
+    """The three evaluations' summaries (small tables, a row a run) as CSV below path, and as one markdown report.
+
+    Each run's results are sentences, then all are one table; of more than `most` runs the report tells how many it leaves
+    out, the CSV files have all.
+    """
     parts = {"Calibration against human anchors": ("calibration", calibration), "Panels found": ("panels", panels), "Series against ground truth": ("series", series)}
-    for name, df in parts.values():
-        df.coalesce(1).write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
-    return "\n".join(markdown(df.orderBy(df.columns[0]), title, most) for title, (_, df) in parts.items())
+    out = []
+    for title, (name, df) in parts.items():
+        df.write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
+        key = df.columns[0]
+        ordered = df.orderBy(key)
+        told = [f"{key} {row[key]}:\n" + "\n".join(lines) + "\n" for row in (r.asDict() for r in ordered.limit(most).collect()) if (lines := _said(row, name))]
+        out.append(markdown(ordered, title, most) + "".join(f"\n{t}" for t in told))
+    return "\n".join(out)
 
 
 def pseudo_page(tiles: DataFrame, page: list[str]) -> DataFrame:

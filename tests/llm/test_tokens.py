@@ -80,3 +80,25 @@ def test_files_round_trip(odd, odd_rows, empty):
         at += len(ids)
     assert with_starts(manifest).count() > 2
     assert read_tokens(write_tokens(empty, PATH, PATTERN)).count() == 0
+
+
+def test_packed_rows_are_linear_in_the_texts(spark, monkeypatch):
+    from tracewright.llm import token_counts
+
+    monkeypatch.setattr(token_counts, "MOST_SLOTS", 6)
+    rows, seen = {}, {}
+    frequencies = token_counts.pre_token_frequencies
+
+    def counted(docs, path, pattern, block_bytes, slots, places):
+        found = frequencies(docs, path, pattern, block_bytes, slots, places)
+        seen["now"] = (found.count(), slots, places)
+        return found
+
+    monkeypatch.setattr(token_counts, "pre_token_frequencies", counted)
+    for n in (40, 160):
+        texts = [" ".join(f"w{(i * 37 + j * 11) % 5000} hot" for j in range(200)) for i in range(n)]
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+        got = {r.doc_id: r.n_tokens for r in count_tokens(docs, PATH, PATTERN, block_bytes=6000, slot_bytes=8000).collect()}
+        assert got == {i: len(ids) for i, ids in enumerate(library(texts))}
+        rows[n] = seen["now"]
+    assert rows[160][1] == 6 and rows[160][2] > rows[40][2] > 1 and rows[160][0] <= 4.2 * rows[40][0]

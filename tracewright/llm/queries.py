@@ -61,7 +61,7 @@ def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = mix(read(spark, sf_dir, "documents"), label_domains(read(spark, sf_dir, "labels")), MIX_WEIGHTS)
-    return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies")
+    return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies", "residual")
 
 
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

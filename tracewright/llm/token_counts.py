@@ -19,19 +19,12 @@ from pyspark.sql import functions as F
 
 from tracewright.llm import common, tokens
 
-_SCHEMA = "block long, slot int, keys binary, key_bytes binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>"
+#: Slots of pre-tokens; beyond, a slot's blocks are dealt to several places, so that rows stay linear in the input.
+MOST_SLOTS = 512
+_SCHEMA = "block long, slot int, place int, keys binary, key_bytes binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>"
 
 
-def _zip(values: np.ndarray | bytes) -> bytes:
-    raw = values if isinstance(values, bytes) else np.ascontiguousarray(values).tobytes()
-    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
-
-
-def _unzip(data: bytes) -> bytes:
-    return pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True)
-
-
-def _frequencies(table: pa.Table, block: int, slots: int, pattern: str, path: str):
+def _frequencies(table: pa.Table, block: int, slots: int, places: int, pattern: str, path: str):
     """A first row with the block's documents, then one for each slot with its pre-tokens' frequencies."""
     texts = [x or "" for x in table.column("text").to_pylist()]
     of: dict[str, int] = {}
@@ -41,8 +34,8 @@ def _frequencies(table: pa.Table, block: int, slots: int, pattern: str, path: st
         lengths.append(len(own))
         codes += [of.setdefault(x, len(of)) for x in own]
     ids = [x for x in table.column("doc_id").to_pylist()]
-    none = _zip(b"")
-    yield {"block": block, "slot": block % slots, "keys": none, "key_bytes": none, "n_docs": none, "at": none, "freq": none, "ids": ids, "n_bytes": [len(x.encode()) for x in texts]}
+    none = common.packed(b"")
+    yield {"block": block, "slot": block % slots, "place": block % places, "keys": none, "key_bytes": none, "n_docs": none, "at": none, "freq": none, "ids": ids, "n_bytes": [len(x.encode()) for x in texts]}
     if not of:
         return
     keys = [x.encode() for x in of]
@@ -60,19 +53,19 @@ def _frequencies(table: pa.Table, block: int, slots: int, pattern: str, path: st
         own = [keys[i] for i in order[cuts[s] : cuts[s + 1]].tolist()]
         p = slice(pair_cuts[s], pair_cuts[s + 1])
         yield {
-            "block": block, "slot": s, "keys": _zip(b"".join(own)), "key_bytes": _zip(np.array([len(x) for x in own], "<u4")),
-            "n_docs": _zip(per_key[cuts[s] : cuts[s + 1]]), "at": _zip(at[p].astype("<u4")), "freq": _zip(freq[p].astype("<u4")), "ids": None, "n_bytes": None,
+            "block": block, "slot": s, "place": block % places, "keys": common.packed(b"".join(own)), "key_bytes": common.packed(np.array([len(x) for x in own], "<u4")),
+            "n_docs": common.packed(per_key[cuts[s] : cuts[s + 1]]), "at": common.packed(at[p].astype("<u4")), "freq": common.packed(freq[p].astype("<u4")), "ids": None, "n_bytes": None,
         }
 
 
-def pre_token_frequencies(docs: DataFrame, path: str, pattern: str, block_bytes: int, slots: int) -> DataFrame:
-    """Per-document pre-token frequencies, packed by block and slot."""
-    arrow = pa.schema([("block", pa.int64()), ("slot", pa.int32()), *((c, pa.binary()) for c in ("keys", "key_bytes", "n_docs", "at", "freq")), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
+def pre_token_frequencies(docs: DataFrame, path: str, pattern: str, block_bytes: int, slots: int, places: int = 1) -> DataFrame:
+    """Per-document pre-token frequencies, packed by block and slot; place: which of a slot's places the block is dealt to."""
+    arrow = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("place", pa.int32()), *((c, pa.binary()) for c in ("keys", "key_bytes", "n_docs", "at", "freq")), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
 
     def run(batches):
         part = TaskContext.get().partitionId()
         for i, table in enumerate(common.text_blocks(batches, block_bytes)):
-            rows = list(_frequencies(table, (part << 32) + i, slots, pattern, path))
+            rows = list(_frequencies(table, (part << 32) + i, slots, places, pattern, path))
             for k in range(0, len(rows), 256):
                 yield pa.RecordBatch.from_pylist(rows[k : k + 256], schema=arrow)
 
@@ -87,9 +80,9 @@ def _count(path: str, pattern: str):
         for batch in batches:
             pieces = []
             for keys, sizes in zip(batch.column("keys").to_pylist(), batch.column("key_bytes").to_pylist(), strict=True):
-                raw, ends = _unzip(keys), np.cumsum(np.frombuffer(_unzip(sizes), "<u4")).tolist()
+                raw, ends = common.unpacked(keys), np.cumsum(np.frombuffer(common.unpacked(sizes), "<u4")).tolist()
                 own = [raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
-                pieces.append(_zip(np.fromiter(map(len, encoder.of(own)), "<u4", len(own)) // 4))
+                pieces.append(common.packed(np.fromiter(map(len, encoder.of(own)), "<u4", len(own)) // 4))
             yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(pieces, pa.binary()), *(batch.column(c) for c in ("n_docs", "at", "freq", "ids", "n_bytes"))], names=["block", "pieces", "n_docs", "at", "freq", "ids", "n_bytes"])
 
     return run
@@ -101,7 +94,7 @@ def _sum(table: pa.Table) -> pa.Table:
     first = next(r for r in rows if r["ids"] is not None)
     total = np.zeros(len(first["ids"]), dtype=np.int64)
     for r in rows:
-        pieces, n_docs, at, freq = (np.frombuffer(_unzip(r[c]), "<u4").astype(np.int64) for c in ("pieces", "n_docs", "at", "freq"))
+        pieces, n_docs, at, freq = (np.frombuffer(common.unpacked(r[c]), "<u4").astype(np.int64) for c in ("pieces", "n_docs", "at", "freq"))
         np.add.at(total, at, np.repeat(pieces, n_docs) * freq)
     return pa.table({"doc_id": pa.array(first["ids"], pa.int64()), "n_bytes": pa.array(first["n_bytes"], pa.int64()), "n_tokens": pa.array(total)})
 
@@ -110,10 +103,12 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, bl
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text; others are ignored).
 
     A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and repeated or null ids give one row each. An empty
-    table gives an empty result. Pre-tokens are dealt out to a slot for each slot_bytes of the texts. Strings of added tokens inside a text count as the library has them by default.
+    table gives an empty result. Pre-tokens are dealt out to a slot for each
+    slot_bytes of the texts, up to MOST_SLOTS; beyond, a pre-token is counted once in each of its slot's places. Strings of added tokens inside a text count as the library has them by default.
     """
     parts = common.slots_for(docs, slot_bytes)
-    found = pre_token_frequencies(docs, path, pattern, block_bytes, parts).repartition(parts, "slot")
+    slots = min(parts, MOST_SLOTS)
+    found = pre_token_frequencies(docs, path, pattern, block_bytes, slots, -(-parts // slots)).repartition(parts, "slot", "place")
     counted = found.mapInArrow(_count(path, pattern), "block long, pieces binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>")
     summed = counted.groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)

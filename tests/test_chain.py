@@ -197,3 +197,35 @@ def test_unused_candidates_operator_agrees(spark):
     one = cd.distinct_polylines(lines, ["tile"], "rank", 3, F.lit(5.0)).first().accepted
     two = cd.distinct_candidates(lines.select("tile", "rank", "cand"), cd.separations(lines, ["tile"], "rank"), ["tile"], 3, F.lit(5.0)).first().accepted
     assert one == two == [1, 3, 4]
+
+
+def test_panel_counts_are_repaired_and_told(spark):
+    from tracewright.operators import boxes
+
+    schema = "page string, pos int, box struct<x:bigint,y:bigint,w:bigint,h:bigint>, plot struct<x:bigint,y:bigint,w:bigint,h:bigint>, flags array<string>"
+    one = lambda page, pos, x, w: (page, pos, (x, 0, w, 50), (x + 10, 5, w - 20, 40), ["low"] if pos == 2 else [])
+    rows = [one("wide", 1, 300, 100), one("wide", 2, 0, 300), one("wide", 3, 400, 100), one("many", 1, 0, 100), one("many", 2, 100, 100), one("many", 3, 205, 20), one("right", 1, 50, 10), one("right", 2, 0, 10), one("short", 1, 0, 100), one("short", 2, 100, 100)]
+    strength = [("wide", 2, c, 9.0 if c in (97, 207) else 5.0 if c == 120 else 1.0) for c in range(301)]
+    expected = F.when(F.col("page") == "wide", 5).when(F.col("page") == "short", 4).otherwise(2)
+    out, told = boxes.repair_count(spark.createDataFrame(rows, schema), ["page"], expected, spark.createDataFrame(strength, "page string, pos int, col bigint, s double"))
+    got = {(r.page, r.panel): r for r in out.collect()}
+    assert [(got["wide", f"p{i:02}"].box.x, got["wide", f"p{i:02}"].box.w) for i in (1, 2, 3, 4)] == [(0, 97), (97, 110), (207, 93), (300, 100)]
+    assert got["wide", "p01"].flags == ["low", "split_from_multimonth_box"] and got["wide", "p04"].flags == [] and (got["wide", "p01"].plot.x, got["wide", "p01"].plot.w) == (10, 87)
+    assert {k for k in got if k[0] != "wide"} == {("many", "p01"), ("many", "p02"), ("right", "p01"), ("right", "p02"), ("short", "p01"), ("short", "p02")} and got["right", "p01"].pos == 2
+    assert {(r.ref, r.severity, r.reason) for r in told.collect()} == {("wide", "info", "split a 3-month-wide box into 3 panels"), ("many", "info", "dropped 1 sliver panel(s)"), ("short", "blocking", "panel count 2 != expected 4 after repair; hints can draw the boxes")}
+
+
+def test_ranks_over_all_rows(spark):
+    from tracewright.operators import metrics
+
+    rows = spark.createDataFrame([((i * 7919) % 1000, f"k{i}") for i in range(500)], "a int, b string")
+    want = {r: i for i, r in enumerate(sorted(map(tuple, rows.collect())), 1)}
+    for kind in ({"parts": 1}, {"parts": 2}, {"parts": 37}, {"per_range": 20}, {"parts": 2000}):
+        assert {(r.a, r.b): r.place for r in metrics.global_rank(rows, ["a", "b"], **kind).collect()} == want
+
+
+def test_pixels_and_norms_are_inverse(spark):
+    from tracewright.functions import geometry
+
+    row = spark.createDataFrame([(250.0, 4000)], "v double, dim int").select(geometry.px_to_norm(geometry.norm_to_px(F.col("v"), F.col("dim")), F.col("dim")), geometry.px_to_norm(F.lit(1000.0), F.col("dim"))).first()
+    assert tuple(row) == (250.0, 250.0)

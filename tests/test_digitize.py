@@ -93,3 +93,10 @@ def test_empty_labels_are_the_month_s(spark):
     got = {r.panel: (r.n, r.flags, r.last) for r in digitize(frame(spark, ticks("a", "p1") + ticks("a", "p2"), TICKS), p, panels).groupBy("panel").agg(F.count("*").alias("n"), F.first("flags").alias("flags"), F.max(F.struct("slice", "x_key"))["x_key"].alias("last")).collect()}
     assert got["p1"][0] == 28 and got["p1"][2] == "1849-02-28" and "x_from_month_hint" not in got["p1"][1]
     assert got["p2"][0] == 31 and got["p2"][2] == "31"
+
+
+def test_hints_beat_printed_labels(spark):
+    panels = frame(spark, [("a", "p1", 100.0, 131.0, "mm", "numeric", "1", "31", "1849-03-01", "1849-03-10"), ("a", "p2", 100.0, 131.0, "mm", "numeric", "1", "31", None, "")], "page string, panel string, x0 double, x1 double, unit string, x_kind string, x_start string, x_end string, hint_start string, hint_end string")
+    p = frame(spark, curve("a", "p1", 1, 200.0, 0.9) + curve("a", "p2", 1, 200.0, 0.9), POINTS)
+    got = {r.panel: (r.n, r.first) for r in digitize(frame(spark, ticks("a", "p1") + ticks("a", "p2"), TICKS), p, panels).groupBy("panel").agg(F.count("*").alias("n"), F.min_by("x_key", "slice").alias("first")).collect()}
+    assert got == {"p1": (10, "1849-03-01"), "p2": (31, "1")}

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewright.config import Gates
 from tracewright.functions import geometry as g
+from tracewright.operators import months
 
 
 def suppress(boxes: DataFrame, page: list[str], limit: float = Gates.iou_duplicate) -> DataFrame:
@@ -105,3 +106,48 @@ def split_wide(boxes: DataFrame, page: list[str], expected: Column) -> DataFrame
     piece = g.box(cut(F.col("part") - 1), F.col("box.y"), cut(F.col("part")) - cut(F.col("part") - 1), F.col("box.h"))
     out = out.withColumn("box", piece)
     return out.withColumn("place", F.row_number().over(w.orderBy(F.col("box.x"), "pos", "part"))).drop("k", "missing")
+
+
+# Fixed value: the flag of a panel that was cut out of a wider box.
+SPLIT_FLAG = "split_from_multimonth_box"
+
+
+def repair_count(panels: DataFrame, page: list[str], expected: Column, strength: DataFrame, share: float = Gates.sliver) -> tuple[DataFrame, DataFrame]:
+    """panels brought towards the expected count, and the flags that this raises.
+
+    panels: page, pos, box, plot, flags and more, which parts inherit. strength: page, pos, col, s, the column strengths of
+    each box's rows. On pages with too many panels those far narrower than the median go. On pages with too few, boxes of
+    several median widths are cut at their seams, in the order of pos, until none is missing; the plot area is cut along
+    with its box. Then panels are numbered from left to right, as `panel` (p01, ...). Pages of the right count, or where
+    none is expected, stay as they are but for the numbers.
+    """
+    own = [*page, "pos"]
+    w = Window.partitionBy(*page)
+    known = panels.withColumn("_expected", F.coalesce(expected, F.lit(0)).cast("long")).withColumn("_n", F.count("*").over(w)).withColumn("_median", F.median("box.w").over(w))
+    sliver = (F.col("_expected") > 0) & (F.col("_n") > F.col("_expected")) & (F.col("box.w") < share * F.col("_median"))
+    kept = known.where(~sliver).withColumn("_left", F.count("*").over(w))
+    k = F.rint(F.try_divide(F.col("box.w"), F.col("_median"))).cast("long")
+    missing = F.when(F.col("_expected") > 0, F.greatest(F.col("_expected") - F.col("_left"), F.lit(0))).otherwise(0)
+    want = F.when(F.col("_k") >= 2, F.col("_k") - 1).otherwise(0)
+    before = F.coalesce(F.sum(want).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = kept.withColumn("_k", k).withColumn("_missing", missing)
+    kept = kept.withColumn("parts", (F.greatest(F.least(want, F.col("_missing") - before), F.lit(0)) + 1).cast("int"))
+    cut = months.cut_at_seams(kept.select(*own, F.col("box.x").alias("x"), F.col("box.w").alias("w"), "parts"), page, strength, of_box=True)
+    joined = kept.join(cut.select(*own, "part", F.col("x").alias("_x"), F.col("w").alias("_w")), own)
+    piece = g.box(F.col("_x"), F.col("box.y"), F.col("_w"), F.col("box.h"))
+    left, right = F.greatest(F.col("plot.x"), F.col("_x")), F.least(F.col("plot.x") + F.col("plot.w"), F.col("_x") + F.col("_w"))
+    area = F.when(right - left > 4, g.box(left, F.col("plot.y"), right - left, F.col("plot.h"))).otherwise(piece)
+    split = F.col("parts") > 1
+    order = w.orderBy(F.col("_x"), "pos", "part")
+    number = F.row_number().over(order).cast("string")
+    name = F.concat(F.lit("p"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
+    out = joined.withColumn("panel", name).withColumn("box", F.when(split, piece).otherwise(F.col("box"))).withColumn("plot", F.when(split, area).otherwise(F.col("plot")))
+    out = out.withColumn("flags", F.when(split, F.array_append("flags", F.lit(SPLIT_FLAG))).otherwise(F.col("flags")))
+
+    ref = F.concat_ws("/", *page)
+    told = lambda rows, reason, severity: rows.select(F.lit("triage").alias("stage"), ref.alias("ref"), reason.alias("reason"), F.lit(severity).alias("severity"))
+    gone = told(known.where(sliver).groupBy(*page).agg(F.count("*").alias("n")), F.format_string("dropped %d sliver panel(s)", "n"), "info")
+    cuts = told(kept.where("parts > 1"), F.format_string("split a %d-month-wide box into %d panels", "_k", "parts"), "info")
+    count = out.groupBy(*page).agg(F.count("*").alias("n"), F.max("_expected").alias("e"), F.max("_n").alias("was"))
+    off = told(count.where("e > 0 AND n <> e AND was <> e"), F.format_string("panel count %d != expected %d after repair; hints can draw the boxes", "n", "e"), "blocking")
+    return out.select("panel", *panels.columns), gone.unionByName(cuts).unionByName(off)

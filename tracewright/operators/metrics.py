@@ -65,18 +65,34 @@ def summarize(rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
-def global_rank(rows: DataFrame, order: list[str], parts: int = 64) -> DataFrame:
+def _range_of(key: Column, bounds: list[Column]) -> Column:
+    """How many of the sorted bounds the key reaches, by halving."""
+    if not bounds:
+        return F.lit(0)
+    held, n = F.array(*bounds), len(bounds)
+    widths = [1 << k for k in reversed(range(n.bit_length()))]
+
+    def step(low: Column, width: Column) -> Column:
+        at = low + width
+        return F.when((at <= n) & (key >= F.get(held, at - 1)), at).otherwise(low)
+
+    return F.aggregate(F.array(*map(F.lit, widths)), F.lit(0), step)
+
+
+def global_rank(rows: DataFrame, order: list[str], parts: int | None = None, per_range: int = 500_000, most: int = 4096) -> DataFrame:
     """rows with place, from 1: a rank over all rows without one task for all.
 
-    A few keys (parts - 1, by least hashes, whatever the input) are constants that bound ranges; a row's place is its
-    place in its range, after all rows of the ranges before it. order: columns without nulls that tell rows apart.
+    Rows fall into ranges, one for each `per_range` of them (`most` at most, or as many as `parts` says). A few keys, those
+    with the least hashes, bound the ranges and are constants of the plan; a row's place is its place in its range, after
+    all rows of the ranges before it. order: columns without nulls that tell rows apart. rows is read three times.
     """
+    parts = parts or min(most, max(8, -(-rows.count() // per_range)))
     bounds = sorted(tuple(x) for x in rows.select(*order).distinct().orderBy(F.xxhash64(*order)).limit(parts - 1).collect())
     kinds = [rows.schema[c].dataType for c in order]
-    key = F.struct(*order)
-    at_least = lambda b: (key >= F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order, strict=True)))).cast("int")
-    ranged = rows.withColumn("_range", sum((at_least(b) for b in bounds), F.lit(0)))
+    constants = [F.struct(*(F.lit(v).cast(k).alias(c) for v, k, c in zip(b, kinds, order, strict=True))) for b in bounds]
+    ranged = rows.withColumn("_range", _range_of(F.struct(*order), constants))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
     before = sizes.select("_range", (F.sum("_n").over(Window.orderBy("_range")) - F.col("_n")).alias("_before"))
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("place", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")
+    placed = ranged.withColumn("_own", own).join(F.broadcast(before), "_range")  # a row for each range
+    return placed.withColumn("place", F.col("_before") + F.col("_own")).drop("_range", "_own", "_before")

@@ -85,15 +85,29 @@ def to_pseudo_page(points: DataFrame, boxes: DataFrame, page: list[str]) -> Data
     return out.select(*points.columns, "month", "new_x", "new_y")
 
 
-def cut_at_seams(boxes: DataFrame, page: list[str], strength: DataFrame) -> DataFrame:
+def seam_reach(w: Column, parts: Column) -> Column:
+    """How far from its even place a cut is looked for: four columns at least, eight hundredths of a part else."""
+    return F.greatest(F.lit(4), F.rint(0.08 * w / parts)).cast("long")
+
+
+def cut_at_seams(boxes: DataFrame, page: list[str], strength: DataFrame, of_box: bool = False) -> DataFrame:
     """boxes (page, pos, x, w, parts) cut into `parts`, each cut at the strongest column near its even place; adds part, x, w.
 
-    strength: page, col, s. A cut is looked for within a tenth of a part on either side, and stays even without columns.
+    strength: page (and pos, with of_box: the columns of each box's own rows), col, s. Cuts keep four columns away from the
+    box's ends; of equal columns the first is taken, and a cut without columns stays even.
     """
-    wide = boxes.where("parts > 1").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
-    wide = wide.withColumn("target", F.col("x") + F.rint(F.col("j") * F.col("w") / F.col("parts")).cast("long")).withColumn("reach", F.floor(F.col("w") / F.col("parts") / 10))
     keys = [*page, "pos"]
-    found = seams(strength, page, wide.select(*keys, "j", "target", "reach"), F.col("reach"), ["pos", "j"])
+    wide = boxes.where("parts > 1").withColumn("j", F.explode(F.sequence(F.lit(1), F.col("parts") - 1)))
+    wide = wide.withColumn("target", F.col("x") + F.rint(F.col("j") * F.col("w") / F.col("parts")).cast("long"))
+    reach = seam_reach(F.col("w"), F.col("parts"))
+    low = F.greatest(F.col("x") + 4, F.col("target") - reach)
+    high = F.least(F.col("x") + F.col("w") - 4, F.col("target") + reach + 1) - 1
+    asked = wide.select(*keys, "j", low.alias("low"), high.alias("high"))
+    near = strength.join(asked, keys if of_box else page).where(F.col("col").between(F.col("low"), F.col("high")))
+    found = near.groupBy(*keys, "j").agg(F.max_by("col", F.struct("s", -F.col("col"))).alias("at"))
     cuts = wide.join(found, [*keys, "j"], "left").groupBy(*keys).agg(F.array_sort(F.collect_list(F.coalesce("at", "target"))).alias("cuts"))
-    whole = boxes.join(cuts, keys, "left").withColumn("edges", F.concat(F.array("x"), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(F.col("x") + F.col("w"))))
-    return whole.select(*keys, F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("part", "left"), "edges").select(*keys, (F.col("part") + 1).alias("part"), F.col("left").alias("x"), (F.get("edges", F.col("part") + 1) - F.col("left")).alias("w"))
+    none = F.array().cast("array<bigint>")
+    edges = F.concat(F.array("x"), F.coalesce("cuts", none), F.array(F.col("x") + F.col("w")))
+    whole = boxes.join(cuts, keys, "left").withColumn("edges", edges)
+    parts = whole.select(*keys, F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("part", "left"), "edges")
+    return parts.select(*keys, (F.col("part") + 1).alias("part"), F.col("left").alias("x"), (F.get("edges", F.col("part") + 1) - F.col("left")).alias("w"))

@@ -7,6 +7,8 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from tracewright.config import GENERIC
+from tracewright.functions.geometry import box
+from tracewright.operators import boxes as bx
 from tracewright.operators import evaluation, extractors, fit, hints, raster, readings, resample, runs
 from tracewright.plans import bindings as b
 from tracewright.plans.digitize import digitize
@@ -289,3 +291,58 @@ def run_reports(spark, d):
     fits = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"])).select("*", run, F.lit("mm").alias("unit"), F.lit("linear").alias("scale"))
     low = fits.where("r2 < 0.995").select("run_id", F.lit("warning").alias("severity"), F.lit("calibrate").alias("stage"), F.col("panel").alias("ref"), F.format_string("axis fit r2=%.4f below gate 0.995", "r2").alias("reason"))
     return reports.reports(reports.calibration_lines(fits), reports.flag_lines(low))
+
+
+# --- panel counts ----------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH {b.BOXES}, wd AS (
+    SELECT page, pos, pos * 90 + x % 7 AS x, y, CASE WHEN (page + pos) % 7 = 0 THEN 9 + pos ELSE w * (1 + (page + pos) % 3) END AS w, h FROM bx
+), st AS (
+    SELECT *, count(*) OVER (PARTITION BY page) AS n, median(w) OVER (PARTITION BY page) AS med FROM wd
+), kp AS (
+    SELECT *, count(*) OVER (PARTITION BY page) AS kept, round_even(w / med, 0)::BIGINT AS k FROM st WHERE NOT (n > 4 AND w < 0.3 * med)
+), wn AS (
+    SELECT *, greatest(4 - kept, 0) AS missing, coalesce(sum(CASE WHEN k >= 2 THEN k - 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM kp
+), pt2 AS (
+    SELECT *, (greatest(least(CASE WHEN k >= 2 THEN k - 1 ELSE 0 END, missing - taken), 0) + 1)::INT AS parts FROM wn
+), tg AS (
+    SELECT *, x + round_even(j * w / parts::DOUBLE, 0)::BIGINT AS target, greatest(4, round_even(0.08 * w / parts, 0))::BIGINT AS reach FROM (SELECT *, unnest(range(1, parts)) AS j FROM pt2)
+), sc AS (
+    SELECT *, unnest(range(greatest(x + 4, target - reach), least(x + w - 4, target + reach + 1))) AS col FROM tg
+), ct AS (
+    SELECT page, pos, j, first(col ORDER BY (col * 37 + pos * 11) % 101 DESC, col) AS c FROM sc GROUP BY 1, 2, 3
+), ed AS (
+    SELECT p.page, p.pos, list_concat([p.x], coalesce((SELECT list(c ORDER BY c) FROM ct WHERE ct.page = p.page AND ct.pos = p.pos), []), [p.x + p.w]) AS es, parts, k FROM pt2 p
+), pc AS (
+    SELECT page, pos, parts, unnest(range(1, parts + 1)) AS part, es FROM ed
+)
+SELECT page, 'p' || lpad((row_number() OVER (PARTITION BY page ORDER BY es[part], pos, part))::VARCHAR, 2, '0') AS panel, pos, es[part]::BIGINT AS x, (es[part + 1] - es[part])::BIGINT AS w, parts > 1 AS split FROM pc
+""")
+def panel_count_repair(spark, d):
+    """Pages on which four panels are expected: slivers go, wide boxes are cut at their seams."""
+    q = b.boxes(spark, d)
+    odd = (F.col("page") + F.col("pos")) % 7 == 0
+    wide = F.when(odd, 9 + F.col("pos")).otherwise(F.col("box.w") * (1 + (F.col("page") + F.col("pos")) % 3))
+    q = q.withColumn("box", box(F.col("pos") * 90 + F.col("box.x") % 7, F.col("box.y"), wide, F.col("box.h"))).withColumn("plot", F.col("box")).withColumn("flags", F.array().cast("array<string>"))
+    columns = q.select("page", "pos", F.explode(F.sequence(F.col("box.x"), F.col("box.x") + F.col("box.w"))).alias("col"))
+    strength = columns.withColumn("s", (F.col("col") * 37 + F.col("pos") * 11) % 101)
+    out, _ = bx.repair_count(q, ["page"], F.lit(4), strength)
+    return out.select("page", "panel", "pos", F.col("box.x").alias("x"), F.col("box.w").alias("w"), F.array_contains("flags", bx.SPLIT_FLAG).alias("split"))
+
+
+@query("""
+WITH c AS (
+    SELECT (epoch_us(ts) - 1704067200000000) // 86400000000 AS day, event_type, count(*) AS n, max(event_id) AS top FROM events GROUP BY 1, 2
+), k AS (
+    SELECT day, event_type, CASE WHEN n % 5 = 0 THEN 'ERR' ELSE top::VARCHAR END AS cell FROM c
+)
+SELECT day, max(cell) FILTER (WHERE event_type = 'click') AS click, max(cell) FILTER (WHERE event_type = 'view') AS view, max(cell) FILTER (WHERE event_type = 'purchase') AS purchase FROM k GROUP BY day
+""")
+def pivot_table(spark, d):
+    """A row for each day, a column for each of three kinds of events: the last event's id, or ERR."""
+    day = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(86400000000.0))
+    cells = b.table(spark, d, "events").groupBy(day.alias("day"), "event_type").agg(F.count("*").alias("n"), F.max("event_id").alias("top"))
+    rows = cells.withColumn("error", F.when(F.col("n") % 5 == 0, "failed").otherwise(""))
+    return sinks.pivot_table(rows, "day", "event_type", F.col("top"), ["click", "view", "purchase"])

@@ -35,6 +35,8 @@ def _known(panels: DataFrame, gates: Gates) -> DataFrame:
         if "month_start" in panels.columns:
             month = [F.coalesce(f"month_{c}", F.lit("")) for c in ("start", "end")]
             panels = panels.withColumn("x", axes.with_month(F.col("x"), *month))
+        if "hint_start" in panels.columns:
+            panels = panels.withColumn("x", F.coalesce(axes.hinted(F.col("hint_start"), F.col("hint_end")), F.col("x")))
         return panels.withColumn("n", F.coalesce("x.n_samples", F.lit(gates.slices)))
     dated = F.col("start").isNotNull()
     kind, n = F.when(dated, "date").otherwise("unknown"), F.when(dated, F.col("n"))
@@ -94,7 +96,7 @@ def digitize(
     Tables have a page and a panel; one without a page belongs to the page that has its panel, whose name then is of one
     page alone. ticks: ord, pixel, value (and side on panels with two scales). points: cand, ord, x, y (page), confidence.
     panels: panel, x0, x1, unit; the x axis as n and start (a date or null), or as the labels x_kind, x_start, x_end (and
-    month_start, month_end of the panel's month); if known: page (panels that share a value scale; else each stands
+    month_start, month_end of the panel's month, and hint_start, hint_end, which beat both); if known: page (panels that share a value scale; else each stands
     alone), y_scale, dual, n_series, labels, height (of its tile), top and bottom (rows of its crop). baseline: x, y,
     beta. anchors: page, panel (or null), ord, pixel, value. assigned: a map of candidates to labels. Instead of ticks,
     attempts (readings.cascade): panels then have axis_labels and curve_labels, and the reading gives scale, x axis, and

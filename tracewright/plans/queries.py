@@ -472,15 +472,16 @@ def edge_snap(spark, d):
     return months.nearest_peak(s, ["tile", "edge"], F.col("edge"), F.lit(9)).select("tile", "edge", F.col("snapped").cast("int").alias("snapped"))
 
 
-@query(f"""WITH {b.RASTER}, sd AS (SELECT tile, col AS seed, col AS x, 20.4::DOUBLE AS y FROM rs WHERE "row" = 20 AND col IN (10, 30, 50)),
+@query(f"""WITH {b.RASTER}, sd AS (SELECT tile, col AS seed, col AS x, 20.4::DOUBLE AS y FROM rs WHERE "row" = 20),
 pf AS (SELECT s.tile, seed, y, "row", avg(gray) AS v, row_number() OVER (PARTITION BY s.tile, seed ORDER BY "row") - 1 AS i, count(*) OVER (PARTITION BY s.tile, seed) AS n, min("row") OVER (PARTITION BY s.tile, seed) AS top FROM sd s JOIN rs ON rs.tile = s.tile AND col BETWEEN x - 2 AND x + 2 AND "row" BETWEEN 8 AND 32 GROUP BY 1, 2, 3, 4),
 sm AS (SELECT a.tile, a.seed, a.y, a.i, a.n, a.top, sum(b.v * w) / 16 AS s FROM pf a, (VALUES (-2, 1), (-1, 4), (0, 6), (1, 4), (2, 1)) AS k(o, w) JOIN pf b ON a.tile = b.tile AND a.seed = b.seed AND b.i = (a.n - 1) - abs((a.n - 1) - abs(a.i + o)) GROUP BY ALL),
 st AS (SELECT tile, seed, y, n, top, avg(s) AS mean, min(s) AS low, stddev_pop(s) AS spread, list(s ORDER BY i) AS ss FROM sm GROUP BY ALL),
 dp AS (SELECT *, list_position(ss, low) AS m, ss[list_position(ss, low) - 1] AS a, low AS b, ss[list_position(ss, low) + 1] AS c FROM st)
 SELECT tile, seed, round(y, 6) AS y, round(CASE WHEN n >= 3 AND spread >= 1e-3 AND mean - low >= 0.5 * spread THEN top + m - 1 + CASE WHEN m > 1 AND m < n AND abs(a - 2 * b + c) > 1e-9 THEN 0.5 * (a - c) / (a - 2 * b + c) ELSE 0 END ELSE y END, 6) AS new_y FROM dp""")
 def ridge_refine(spark, d):
+    """A seed in every column, on a line along row 20."""
     q = b.raster(spark, d)
-    seeds = q.where("row = 20 AND col IN (10, 30, 50)").select("tile", F.col("col").alias("seed"), F.col("col").cast("double").alias("x"), (F.col("row") + 0.4).alias("y"))
+    seeds = q.where("row = 20").select("tile", F.col("col").alias("seed"), F.col("col").cast("double").alias("x"), (F.col("row") + 0.4).alias("y"))
     return raster.refine_ridges(q, seeds, ["tile"], 12, 2).select("tile", "seed", r(F.col("y")).alias("y"), r(F.col("new_y")).alias("new_y"))
 
 

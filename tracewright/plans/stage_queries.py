@@ -308,8 +308,8 @@ def raster_rotate(spark, d):
 
 
 @query(f"""WITH {b.RASTER}, dx AS (SELECT *, coalesce(lead(gray) OVER a - lag(gray) OVER a, 0) AS d FROM rs WINDOW a AS (PARTITION BY tile, "row" ORDER BY col)), dy AS (SELECT *, lag(d) OVER v AS u, lead(d) OVER v AS e FROM dx WINDOW v AS (PARTITION BY tile, col ORDER BY "row")), cs AS (SELECT tile, col, sum(abs(coalesce(u, e, d) + 2 * d + coalesce(e, u, d))) AS s FROM dy GROUP BY 1, 2),
-t AS (SELECT tile, j, round_even(j * 64 / (2.0 + tile % 3), 0)::BIGINT AS target, floor(64 / (2.0 + tile % 3) / 10) AS reach, 2 + tile % 3 AS parts FROM (SELECT DISTINCT tile FROM rs), unnest(range(1, 2 + tile % 3)) AS r(j)),
-c AS (SELECT t.tile, j, coalesce(arg_max(col, s * 1000000 - col), target) AS c FROM t LEFT JOIN cs ON cs.tile = t.tile AND abs(col - target) <= reach GROUP BY t.tile, j, target),
+t AS (SELECT tile, j, round_even(j * 64 / (2.0 + tile % 3), 0)::BIGINT AS target, greatest(4, round_even(0.08 * 64 / (2.0 + tile % 3), 0)) AS reach, 2 + tile % 3 AS parts FROM (SELECT DISTINCT tile FROM rs), unnest(range(1, 2 + tile % 3)) AS r(j)),
+c AS (SELECT t.tile, j, coalesce(arg_max(col, s * 1000000 - col), target) AS c FROM t LEFT JOIN cs ON cs.tile = t.tile AND abs(col - target) <= reach AND col >= 4 AND col < 60 GROUP BY t.tile, j, target),
 e AS (SELECT tile, list_concat(list_prepend(0, list(c ORDER BY c)), [64]) AS es FROM c GROUP BY tile) SELECT tile, i::INT AS part, es[i]::BIGINT AS x, (es[i + 1] - es[i])::BIGINT AS w FROM e, unnest(range(1, len(es))) AS r(i)""")
 def seam_cuts(spark, d):
     s = raster.column_strength(b.raster(spark, d), ["tile"])

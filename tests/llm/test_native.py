@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewright.llm import line_rules, mixing, winnowing
-from tracewright.llm.licenses import NOTICES, scan_licenses
+from tracewright.llm.licenses import NOTICES, PHRASES, scan_licenses
 
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -235,3 +235,45 @@ def test_looks_of_a_text(spark):
         names = [*ws, *(f" {name} {int(10 * x)}" for name, x in looks.items())]
         want = spark.createDataFrame([(x,) for x in names], "x string").select(mixing.bucket(F.col("x"), 1 << 30).alias("b")).distinct()
         assert set(df.collect()[i].got) == {r.b for r in want.collect()}
+
+
+def licenses_by_hand(ws, k=4, gap=6, least=0.5):
+    """labels, score and spans of one text: every k-gram of a notice against every place, diagonal by diagonal."""
+    base = {label for phrase, label in PHRASES for p in [phrase.split()] for i in range(len(ws)) if ws[i : i + len(p)] == p}
+    spans = []
+    for label, text in NOTICES:
+        t = text.split()
+        n = min(k, len(t))
+        hits = [(i - j, i, j) for j in range(len(t) - n + 1) for i in range(len(ws) - n + 1) if ws[i] == t[j] and ws[i : i + n] == t[j : j + n]]
+        groups, before = [], None
+        for d, i, j in sorted(hits):
+            if before is None or d - before > gap:
+                groups.append([])
+            groups[-1].append((i, j))
+            before = d
+        for g in groups:
+            share = len({x for _, j in g for x in range(j, j + n)}) / len(t)
+            if share >= least:
+                spans.append((label, min(i for i, _ in g), max(i for i, _ in g) + n - 1, share))
+    score = max((s[3] for s in spans), default=0.5 if base else 0.0)
+    return ",".join(sorted(base | {s[0] for s in spans})), score, sorted(spans)
+
+
+def test_license_labels_spans_and_scores_by_brute_force(spark):
+    rng = random.Random(11)
+    filler = "the software is data of this work under a for and lorem ipsum dolor mit license gnu".split()
+    rows = []
+    for i in range(300):
+        own = []
+        for _ in range(rng.randrange(1, 4)):
+            t = rng.choice(NOTICES)[1].split()
+            a = rng.randrange(len(t))
+            piece = t[a : a + rng.randrange(3, len(t) + 3)] if rng.random() < 0.5 else list(t)
+            for _ in range(rng.randrange(4)):
+                at = rng.randrange(len(piece) + 1)
+                piece[at : at + rng.randrange(3)] = rng.choices(filler, k=rng.randrange(4))
+            own += rng.choices(filler, k=rng.randrange(12)) + piece
+        rows.append((i, " ".join(own)))
+    got = {r.doc_id: (r.labels, pytest.approx(r.score), [tuple(s)[:3] + (pytest.approx(s["share"]),) for s in r.spans]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {i: licenses_by_hand(t.split()) for i, t in rows}
+    assert {i: w for i, w in want.items()} == got and sum(bool(w[2]) for w in want.values()) > 100

@@ -79,7 +79,8 @@ def scan_licenses(docs: DataFrame, notices=NOTICES, phrases=PHRASES, k: int = 4,
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score, spans of each row of docs.
 
     Null texts have no words. Repeated rows give equal rows; equal ids are told apart. spans has (label, first, last,
-    share) of each verified notice. score: the largest share of a template found; a phrase alone counts 0.5. Other
+    share) of each verified notice. score: the largest share of a template found; a phrase alone counts 0.5. Of equal
+    notices each has its own span. Texts are whole however long they are; an empty table gives an empty result. Other
     columns of docs are ignored.
     """
     templates = F.broadcast(template_grams(docs.sparkSession, notices, phrases, k))

@@ -187,8 +187,9 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets
     domain as it is), else to `tokens` in all. copies: the rate with its fraction decided by a hash of the id; a rate
     within `snap` of a whole number is that number, as far as totals stay within a thousandth of their targets (else `snap`
     is halved). residual, the same in all rows: the largest error of a domain's total relative to its target, after
-    snapping; above a thousandth no rates met the targets, and the totals reached are logged. Null texts have no tokens and keep rate 1. Without labelled rows
-    there is one domain, "", and every rate is 1. Repeated rows get equal rates. Other columns of docs are ignored.
+    snapping; above a thousandth no rates met the targets, and the totals reached are logged. Null texts have no tokens and
+    keep rate 1. Texts count whole, however long. Without labelled rows there is one domain, "", and every rate is 1.
+    Repeated rows get equal rates, an empty table gives an empty result. Other columns of docs are ignored.
     """
     model = train_domains(docs, labelled, buckets)
     domains = model[0]

@@ -22,44 +22,54 @@ MIX_WEIGHTS = {"quality1_toxic0": 1.0, "quality0_toxic0": 0.5, "quality1_toxic1"
 
 
 def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's log probability by the model of the training documents, beside the unigram base."""
     return ppm.score(read(spark, sf_dir, "documents"))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document, the items they are of as a digest."""
     found = winnowing.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place, length and checksum as read back from the files."""
     docs = read(spark, sf_dir, "documents")
     return read_tokens(write_tokens(docs, str(public_tokenizers.path(BPE)), public_tokenizers.PATTERN, end_id=2))
 
 
 def op4_crf_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's toxicity, learnt from rows out of the held-out fold."""
     return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")).drop("spans", "text_hash")
 
 
 def op5_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from the archives."""
     return warc_zip.read_records(warc_zip.write_archives(read(spark, sf_dir, "pages")))
 
 
 def op6_diagonal_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
     return scan_licenses(read(spark, sf_dir, "documents")).drop("spans")
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text, counted without ids."""
     return count_tokens(read(spark, sf_dir, "documents"), str(public_tokenizers.path(BPE)), public_tokenizers.PATTERN)
 
 
 def op8_odd_sketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's group of near duplicates."""
     return near_duplicates(read(spark, sf_dir, "documents")).drop("text_hash")
 
 
 def op9_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line and document rules on every text."""
     return line_rules.clean_lines(read(spark, sf_dir, "documents")).drop("kept_text", "n_failed_lines")
 
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's domains and rate, and how far the totals are off their targets."""
     found = mix(read(spark, sf_dir, "documents"), label_domains(read(spark, sf_dir, "labels")), MIX_WEIGHTS)
     return found.select("doc_id", "n_tokens", F.to_json("posteriors").alias("posteriors"), "rate", "copies", "residual")
 

@@ -102,7 +102,7 @@ def _sum(table: pa.Table) -> pa.Table:
 def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, block_bytes: int = 16 << 20, slot_bytes: int = 32 << 20) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text; others are ignored).
 
-    A null text counts as empty: 0 bytes, 0 tokens. Repeated rows and repeated or null ids give one row each. An empty
+    A null text counts as empty: 0 bytes, 0 tokens. Texts are whole; a block holds at least one, however long. Repeated rows and repeated or null ids give one row each. An empty
     table gives an empty result. Pre-tokens are dealt out to a slot for each
     slot_bytes of the texts, up to MOST_SLOTS; beyond, a pre-token is counted once in each of its slot's places. Strings of added tokens inside a text count as the library has them by default.
     """

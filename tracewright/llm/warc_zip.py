@@ -189,7 +189,8 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 64 <
     """Writes page_id, url, html as archives; returns their manifest (a written table, so that only finished attempts' archives count).
 
     A null html is the empty payload. A null page_id is always a response. Of rows with one page_id and equal payloads
-    all are responses if that id is the least. An empty table gives no archives. Other columns are ignored.
+    all are responses if that id is the least. An empty table gives no archives. Payloads are whole; one longer than
+    archive_bytes is an archive by itself. Other columns are ignored.
     """
     spark = pages.sparkSession
     folder = folder or common.new_path(spark, "warc")

@@ -80,7 +80,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 6, span: int = SPA
 
     Null texts have no words, hence no hits. Items without words or with a null id are ignored; repeated items count
     by their distinct ids. Repeated rows give equal rows, one each; a null doc_id is a value like any other. An empty
-    benchmark contaminates nothing. Only documents with hits have their spans cut and compared; the others meet them at
+    benchmark and an empty table contaminate nothing. Texts are whole however long they are. Only documents with hits have their spans cut and compared; the others meet them at
     the end, by their own keys.
     """
     w = span - k + 1

@@ -24,7 +24,12 @@ def cut(texts):
 
 
 @settings(max_examples=500, deadline=None)
-@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8", max_codepoint=0x4FF), st.sampled_from(" '\n\t　.,srevelmdtZ1²é日🙂"))), max_size=4))
+@given(
+    st.lists(
+        st.text(alphabet=st.one_of(st.characters(codec="utf-8", max_codepoint=0x4FF), st.sampled_from(" '\n\t　.,srevelmdtZ1²é日🙂"))),
+        max_size=4
+    )
+)
 def test_cuts_as_the_pattern_does(texts):
     assert pre_tokens.RULE == public_tokenizers.PATTERN
     assert cut(texts) == [x for t in texts for x in regex.findall(public_tokenizers.PATTERN, t)]
@@ -33,7 +38,12 @@ def test_cuts_as_the_pattern_does(texts):
 def test_classes_are_the_library_s(library):
     table = pre_tokens.classes()
     for x in ("a", "é", "日", "1", "²", " ", "　", "\x85", "\x1c", ".", "՘"):
-        kinds = [k for k, p in ((pre_tokens.LETTER, r"\p{L}"), (pre_tokens.NUMBER, r"\p{N}"), (pre_tokens.SPACE, r"\s")) if tiktoken.Encoding("x", pat_str=p, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(x)]
+        kinds = [
+            k for k,
+            p in (
+                (pre_tokens.LETTER, r"\p{L}"), (pre_tokens.NUMBER, r"\p{N}"), (pre_tokens.SPACE, r"\s")
+            ) if tiktoken.Encoding("x", pat_str=p, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={}).encode_ordinary(x)
+        ]
         assert [table[ord(x)]] == (kinds or [pre_tokens.OTHER])
 
 
@@ -45,14 +55,25 @@ def test_long_words_merge_like_the_library(text):
 
 
 def test_encodes_and_decodes_odd_rows(spark, odd, odd_rows, empty, library):
-    more = [(20 + k, t) for k, t in enumerate(["x" * 61, "y" * 62, "ab" * 5000, "日本語" * 40, "aaa aaaa aaaaa", "'s 's''s I'll've we'LL", "\x00\x01", "🙂🙂 é é", " ", "\n"])]
-    docs = odd.select("doc_id", "text", "block", "slot", "h").unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
+    more = [
+        (20 + k, t) for k,
+        t in enumerate(
+            ["x" * 61, "y" * 62, "ab" * 5000, "日本語" * 40, "aaa aaaa aaaaa", "'s 's''s I'll've we'LL", "\x00\x01", "🙂🙂 é é", " ", "\n"]
+        )
+    ]
+    docs = odd.select("doc_id", "text", "block", "slot", "h").unionByName(
+        spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True
+    )
     got = bpe.decode(bpe.encode(docs, PATH, block_bytes=3000, slot_bytes=100_000, words=50), PATH).collect()
     texts = [(r[0], r[1] or "") for r in odd_rows] + more
     key = lambda r: (str(r[0]), r[1], r[2])
-    assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=key) == sorted(((i, library.encode_ordinary(t), t.encode()) for i, t in texts), key=key)
+    assert sorted(((r.doc_id, r.ids, bytes(r.decoded)) for r in got), key=key) == sorted(
+        ((i, library.encode_ordinary(t), t.encode()) for i, t in texts), key=key
+    )
     assert bpe.decode(bpe.encode(empty, PATH), PATH).count() == 0
-    assert bpe.decode(spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), PATH).orderBy("doc_id").collect()[0].decoded is None
+    assert bpe.decode(
+        spark.createDataFrame([(1, None), (2, [])], "doc_id long, ids array<int>"), PATH
+    ).orderBy("doc_id").collect()[0].decoded is None
 
 
 def test_query_matches_the_library(spark, library):
@@ -64,7 +85,9 @@ def test_query_matches_the_library(spark, library):
     texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{folder}/documents.parquet").collect()}
     got = op11_byte_bpe(spark, folder).collect()
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == {i: (len(e := library.encode_ordinary(t)), sha(" ".join(map(str, e)).encode()), sha(t.encode())) for i, t in texts.items()}
+    assert {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got} == {
+        i: (len(e := library.encode_ordinary(t)), sha(" ".join(map(str, e)).encode()), sha(t.encode())) for i, t in texts.items()
+    }
 
 
 def test_refuses_ranks_that_one_pass_would_get_wrong(tmp_path):

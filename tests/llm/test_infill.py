@@ -31,7 +31,9 @@ def test_whole_batches_like_row_by_row(rows, unit, rate, random):
     h = np.array([[random.randrange(1 << 32) for _ in range(4)] for _ in rows], np.int64).reshape(-1, 4)
     column = pa.array([None, *rows], pa.string()).slice(1)
     got = infill.cut(column, h, unit, rate, 40, infill.MARKS)
-    assert list(zip(*(x.to_pylist() for x in got.values()), strict=True)) == [by_hand(t or "", x, unit, rate, 40) for t, x in zip(rows, h.tolist(), strict=True)]
+    assert list(zip(*(x.to_pylist() for x in got.values()), strict=True)) == [
+        by_hand(t or "", x, unit, rate, 40) for t, x in zip(rows, h.tolist(), strict=True)
+    ]
     form = np.array([infill.FORMS.index(f) for f in got["form"].to_pylist()], int)
     assert infill.rebuilt(got["output"], form, infill.MARKS).to_pylist() == [t or "" for t in rows]
 

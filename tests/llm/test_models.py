@@ -57,7 +57,9 @@ def test_gradient_like_finite_differences():
     def loss(theta):
         e, move, total = theta[:6][features].sum(1)[code], theta[6:10].reshape(2, 2), 0.0
         for k, n in enumerate(lengths):
-            weight = lambda ys: theta[10] * ys[0] + sum(e[k, t] * ys[t] for t in range(n)) + sum(move[ys[t], ys[t + 1]] for t in range(n - 1))  # noqa: B023, E731
+            weight = lambda ys: theta[10] * ys[0] + sum(e[k, t] * ys[t] for t in range(n)) + sum(  # noqa: B023, E731
+                move[ys[t], ys[t + 1]] for t in range(n - 1)
+            )
             total += np.log(sum(np.exp(weight(ys)) for ys in itertools.product((0, 1), repeat=n))) - weight([int(v) for v in y[k, :n]])
         return total
 
@@ -76,7 +78,11 @@ def test_document_score_like_direct_evaluation(spark):
         e = [float(weights[toxicity.token_features(w)].sum()) for w in words]
         p, z = np.zeros(len(words)), 0.0
         for ys in itertools.product((0, 1), repeat=len(words)):
-            own = np.exp((chain.first * ys[0] if ys else 0) + sum(a * b for a, b in zip(e, ys, strict=True)) + sum(chain.moves[a, b] for a, b in itertools.pairwise(ys)))
+            own = np.exp(
+                (chain.first * ys[0] if ys else 0) + sum(a * b for a, b in zip(e, ys, strict=True)) + sum(
+                    chain.moves[a, b] for a, b in itertools.pairwise(ys)
+                )
+            )
             p, z = p + own * np.array(ys), z + own
         p = p / z
         top = np.log(np.clip(p.max(), 6e-6, 1 - 6e-6) / (1 - np.clip(p.max(), 6e-6, 1 - 6e-6))) if len(p) else -12.0
@@ -86,7 +92,9 @@ def test_document_score_like_direct_evaluation(spark):
 
 def test_samples_hold_a_repeated_row_once(spark, monkeypatch):
     rows, marks = toxic_corpus(120)
-    docs = spark.createDataFrame(rows + [rows[5]] * 3000 + [(rows[5][0], f"other text {k % 7}") for k in range(2000)], "doc_id long, text string")
+    docs = spark.createDataFrame(
+        rows + [rows[5]] * 3000 + [(rows[5][0], f"other text {k % 7}") for k in range(2000)], "doc_id long, text string"
+    )
     seen = []
     monkeypatch.setattr(toxicity, "fit_chain", lambda segments, fit=toxicity.fit_chain: seen.append(len(segments)) or fit(segments))
     assert toxicity.train(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int")) is not None
@@ -95,14 +103,20 @@ def test_samples_hold_a_repeated_row_once(spark, monkeypatch):
 
 def toxic_corpus(n=600):
     rng = random.Random(9)
-    plain = ["".join(rng.choice(("re", "th", "an", "on", "er", "ti", "ve", "mo", "sc", "id", "es", "or")) for _ in range(rng.randrange(1, 5))) for _ in range(400)]
+    plain = [
+        "".join(
+            rng.choice(("re", "th", "an", "on", "er", "ti", "ve", "mo", "sc", "id", "es", "or")) for _ in range(rng.randrange(1, 5))
+        ) for _ in range(400)
+    ]
     rows, marks = [], []
     for k in range(n):
         ws = [rng.choice(plain) for _ in range(rng.randrange(5, 80))]
         bad = k % 5 == 0
         if bad:
             for _ in range(2):
-                ws[rng.randrange(len(ws))] = rng.choice(["idiot", "scum", "moron"]) if k % 2 else "vequ" + rng.choice("abcdefgh") + rng.choice("xyz")
+                ws[rng.randrange(len(ws))] = rng.choice(
+                    ["idiot", "scum", "moron"]
+                ) if k % 2 else "vequ" + rng.choice("abcdefgh") + rng.choice("xyz")
         rows.append((k, " ".join(ws)))
         marks.append((k, 1, int(bad)))
     return rows, marks
@@ -181,7 +195,9 @@ def test_near_duplicates_like_brute_force(spark, odd, odd_rows, empty):
     want, sizes = components_of(rows)
     assert len(got) == len(rows)
     for r in got:
-        assert r.n_shingles == sizes[r.doc_id] and r.component_id == want.get(r.doc_id, r.doc_id) and r.kept == (r.doc_id == r.component_id), r
+        assert r.n_shingles == sizes[r.doc_id] and r.component_id == want.get(r.doc_id, r.doc_id) and r.kept == (
+            r.doc_id == r.component_id
+        ), r
     assert near_dedup.near_duplicates(empty).count() == 0
     assert near_dedup.near_duplicates(odd).count() == len(odd_rows)
 
@@ -189,9 +205,17 @@ def test_near_duplicates_like_brute_force(spark, odd, odd_rows, empty):
 def test_near_duplicates_without_ids(spark):
     """A null id gives way to any other; where links reach no id all rows are kept."""
     text = "one two three four five six seven eight nine ten"
-    df = spark.createDataFrame([(None, text), (7, text), (None, text + " x"), (None, "a b c d e f"), (None, "a b c d e f"), (None, None)], "doc_id long, text string")
+    df = spark.createDataFrame(
+        [(None, text), (7, text), (None, text + " x"), (None, "a b c d e f"), (None, "a b c d e f"), (None, None)],
+        "doc_id long, text string"
+    )
     got = sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in near_dedup.near_duplicates(df).collect())))
-    assert got == sorted(map(str, [(7, 6, 7, True), (None, 6, 7, False), (None, 7, 7, False), (None, 2, None, True), (None, 2, None, True), (None, 0, None, True)]))
+    assert got == sorted(
+        map(
+            str,
+            [(7, 6, 7, True), (None, 6, 7, False), (None, 7, 7, False), (None, 2, None, True), (None, 2, None, True), (None, 0, None, True)]
+        )
+    )
 
 
 def test_a_hot_bucket_is_a_grid(spark, monkeypatch):
@@ -233,7 +257,10 @@ def test_long_near_duplicates_are_all_linked(spark):
         n = rng.randrange(12_000, 25_000)
         base = [f"{k}w{i}" for i in range(n)]
         changed = int(n * rng.uniform(0.0695, 0.0805) / 2)
-        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join([f"{k}x{i}" for i in range(changed)] + base[changed : n - changed] + [f"{k}y{i}" for i in range(changed)]))]
+        rows += [
+            (2 * k, " ".join(base)),
+            (2 * k + 1, " ".join([f"{k}x{i}" for i in range(changed)] + base[changed : n - changed] + [f"{k}y{i}" for i in range(changed)]))
+        ]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dedup.near_duplicates(df).collect()}
     want = {}
@@ -306,7 +333,9 @@ def test_cut_archives_are_refused():
         with pytest.raises(ValueError):
             warc_zip.directory(io.BytesIO(data[:cut]), cut)
     entry = {"size": 0xFFFFFFFF, "packed": 5, "offset": 0xFFFFFFFF}
-    assert warc_zip.widened(entry, b"\x02\x00\x01\x00z" + b"\x01\x00\x10\x00" + (7).to_bytes(8, "little") + (9).to_bytes(8, "little")) == {"size": 7, "packed": 5, "offset": 9}
+    assert warc_zip.widened(
+        entry, b"\x02\x00\x01\x00z" + b"\x01\x00\x10\x00" + (7).to_bytes(8, "little") + (9).to_bytes(8, "little")
+    ) == {"size": 7, "packed": 5, "offset": 9}
     for short in (b"\x01\x00\x08\x00" + bytes(8), b"\x01\x00\x10\x00" + bytes(9)):
         with pytest.raises(ValueError):
             warc_zip.widened(entry, short)
@@ -323,7 +352,19 @@ def test_archives_round_trip(spark):
     import hashlib
 
     big = "é" * 200_000
-    rows = [(5, "http://a b/", "x" * 99), (6, None, "x" * 99), (7, "u", "y" * 100), (3, "u", "y" * 100), (9, "u", "y" * 100), (3, "u", "y" * 100), (1, "u", None), (2, "u", ""), (None, "u", "y" * 100), (8, "u", big), (10, "u", big + "\r\n\r\n<p>")]
+    rows = [
+        (5, "http://a b/", "x" * 99),
+        (6, None, "x" * 99),
+        (7, "u", "y" * 100),
+        (3, "u", "y" * 100),
+        (9, "u", "y" * 100),
+        (3, "u", "y" * 100),
+        (1, "u", None),
+        (2, "u", ""),
+        (None, "u", "y" * 100),
+        (8, "u", big),
+        (10, "u", big + "\r\n\r\n<p>")
+    ]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], "page_id long, url string, html string, digest string, first string")
     manifest = warc_zip.write_archives(df, archive_bytes=300)
     got = warc_zip.read_records(manifest, payloads=True).collect()
@@ -333,13 +374,36 @@ def test_archives_round_trip(spark):
         data = (t or "").encode()
         first = min((x for x, _, y in rows if y == t and x is not None), default=None) if len(data) >= 100 and i is not None else None
         refers = first if first is not None and first != i else None
-        want.append((str(i), len(data), hashlib.sha256(data).hexdigest(), "response" if refers is None else "revisit", str(refers), data if refers is None else None))
+        want.append(
+            (
+                str(i),
+                len(data),
+                hashlib.sha256(data).hexdigest(),
+                "response" if refers is None else "revisit",
+                str(refers),
+                data if refers is None else None
+            )
+        )
     key = lambda r: (r[0], r[3])
-    assert sorted(((str(r.page_id), r.payload_bytes, r.payload_digest, r.record_type, str(r.refers_to), None if r.payload is None else bytes(r.payload)) for r in got), key=key) == sorted(want, key=key)
+    assert sorted(
+        (
+            (
+                str(r.page_id),
+                r.payload_bytes,
+                r.payload_digest,
+                r.record_type,
+                str(r.refers_to),
+                None if r.payload is None else bytes(r.payload)
+            ) for r in got
+        ),
+        key=key
+    ) == sorted(want, key=key)
     assert warc_zip.read_records(warc_zip.write_archives(df.limit(0))).count() == 0
 
 
-CLASHES = {"d": "text", "v": "text", "copies": "text", "copy": "lang", "text_hash": "text", "predicted": "lang", "kept": "lang", "doc_id_2": "lang"}
+CLASHES = {
+    "d": "text", "v": "text", "copies": "text", "copy": "lang", "text_hash": "text", "predicted": "lang", "kept": "lang", "doc_id_2": "lang"
+}
 
 
 def stages(spark, folder, docs, marks, items):
@@ -368,27 +432,53 @@ def test_pipeline(spark, odd, tmp_path):
 
     rows, marks = toxic_corpus(300)
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
-    rows += [(1000, rows[1][1]), (1001, f"some words before {item} and after"), (1002, "clean words of no note at all in this row"), (1003, rows[2][1] + " more"), (1003, rows[3][1])]
-    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
-    docs = docs.unionByName(odd.selectExpr("doc_id + 5000 AS doc_id", "text", "lang", "source", "n_chars")).selectExpr("*", *(f"{c} AS {name}" for name, c in CLASHES.items()))
+    rows += [
+        (1000, rows[1][1]),
+        (1001, f"some words before {item} and after"),
+        (1002, "clean words of no note at all in this row"),
+        (1003, rows[2][1] + " more"),
+        (1003, rows[3][1])
+    ]
+    docs = spark.createDataFrame(
+        [(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"
+    )
+    docs = docs.unionByName(
+        odd.selectExpr("doc_id + 5000 AS doc_id", "text", "lang", "source", "n_chars")
+    ).selectExpr("*", *(f"{c} AS {name}" for name, c in CLASHES.items()))
     out = stages(spark, tmp_path, docs, marks, [(1, item), (2, None), (None, "x")])
     pairs = lambda df: Counter((r.doc_id, r.text) for r in df.select("doc_id", "text").collect())
     before, after = map(pairs, out["toxicity"])
-    bad = {r.doc_id for r in toxicity.score_toxicity(out["toxicity"][0].select("doc_id", "text"), spark.read.parquet(str(tmp_path / "labels.parquet"))).collect() if r.predicted and r.doc_id is not None}
-    assert after == Counter({k: n for k, n in before.items() if k[0] not in bad}) and sum(i % 5 == 0 for i in bad if i < 300) >= 57 and sum(i % 5 != 0 for i in bad) <= 5
+    bad = {
+        r.doc_id for r in toxicity.score_toxicity(
+            out["toxicity"][0].select("doc_id", "text"), spark.read.parquet(str(tmp_path / "labels.parquet"))
+        ).collect() if r.predicted and r.doc_id is not None
+    }
+    assert after == Counter(
+        {k: n for k, n in before.items() if k[0] not in bad}
+    ) and sum(i % 5 == 0 for i in bad if i < 300) >= 57 and sum(i % 5 != 0 for i in bad) <= 5
     before, after = map(pairs, out["near_dedup"])
     want, _ = components_of([k for k in before if k[0] is not None], 80)
-    assert set(after.values()) == {1} and {k for k in after if k[0] is not None} == {k for k in before if k[0] is not None and want.get(k[0], k[0]) == k[0]}
+    assert set(after.values()) == {1} and {k for k in after if k[0] is not None} == {
+        k for k in before if k[0] is not None and want.get(k[0], k[0]) == k[0]
+    }
     assert {k for k in before if k[0] is None} == {k for k in after if k[0] is None}  # their texts have no words, or no likes
     before, after = map(pairs, out["decontamination"])
     hit = {x[0] for x in brute_hits(list(before), [(1, item)]) if x[2]}
     assert after == Counter({k: n for k, n in before.items() if str(k[0]) not in hit}) and "1001" in hit
     before, after = map(pairs, out["mixing"])
-    copies = {r.doc_id: r.copies for r in mixing.mix(out["mixing"][0].select("doc_id", "text"), mixing.label_domains(spark.read.parquet(str(tmp_path / "labels.parquet"))), MIX_WEIGHTS).collect()}
+    copies = {
+        r.doc_id: r.copies for r in mixing.mix(
+            out["mixing"][0].select("doc_id", "text"),
+            mixing.label_domains(spark.read.parquet(str(tmp_path / "labels.parquet"))),
+            MIX_WEIGHTS
+        ).collect()
+    }
     assert after == Counter({k: n * copies[k[0]] for k, n in before.items() if copies[k[0]]})
     order = sorted(after.elements(), key=lambda k: (k[0] is not None, k[0] or 0, k[1] or ""))
     at = 0
-    for r, (i, _), ids in zip(sorted(out["token_files"][1].collect(), key=lambda r: r.start), order, library([t or "" for _, t in order]), strict=True):
+    for r, (i, _), ids in zip(
+        sorted(out["token_files"][1].collect(), key=lambda r: r.start), order, library([t or "" for _, t in order]), strict=True
+    ):
         assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, at, len(ids) + 1, zlib.crc32(np.array([*ids, 2], "<u4").tobytes()))
         at += r.n_tokens
 
@@ -403,7 +493,10 @@ def test_segments_are_chosen_from_the_whole_text():
 
     words = [f"w{i}" for i in range(11 * SEGMENT)]
     text = " ".join(words)
-    firsts = {int(own[0].split("x")[1]) // SEGMENT for k in range(40) for own, _ in segments_of(" ".join(f"w{k}x{i}" for i in range(11 * SEGMENT)), 0, set(), 3)}
+    firsts = {
+        int(own[0].split("x")[1]) // SEGMENT for k in range(40) for own,
+        _ in segments_of(" ".join(f"w{k}x{i}" for i in range(11 * SEGMENT)), 0, set(), 3)
+    }
     assert max(firsts) >= 9 and len(segments_of(text, 0, set(), 3)) == 3 and segments_of("", 1, {"a"}, 3) == []
     late = segments_of(text + " vile", 1, {"vile"}, 3)
     assert [(own[-1], y[-1]) for own, y in late] == [("vile", 1)]

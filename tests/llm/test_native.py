@@ -52,7 +52,14 @@ def test_winnowing_like_brute_force(spark, odd, odd_rows, empty):
     rng = random.Random(5)
     vocabulary = [f"v{i}" for i in range(12)]  # few words: many chance matches, ties and overlaps
     text = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
-    items = [(k, text(rng.randrange(10, 30))) for k in range(30)] + [(100, "one two three"), (101, ""), (102, None), (None, "no id at all in this item of ten words yes"), (103, "v1"), (11, "seven wizards vex quietly beneath")]
+    items = [(k, text(rng.randrange(10, 30))) for k in range(30)] + [
+        (100, "one two three"),
+        (101, ""),
+        (102, None),
+        (None, "no id at all in this item of ten words yes"),
+        (103, "v1"),
+        (11, "seven wizards vex quietly beneath")
+    ]
     rows = [(r[0], r[1]) for r in odd_rows]
     for k in range(200):
         _, t = items[k % 30]
@@ -97,36 +104,72 @@ def brute_lines(t):
 
 def test_line_counts(spark, odd, odd_rows, empty):
     rng = random.Random(2)
-    more = [" ".join(rng.choice("ab") for _ in range(rng.randrange(80))) for _ in range(40)] + ["x y\nx y\n \nx y\nz#|<\n", "a b a b a b", "a a a a"]
+    more = [
+        " ".join(rng.choice("ab") for _ in range(rng.randrange(80))) for _ in range(40)
+    ] + ["x y\nx y\n \nx y\nz#|<\n", "a b a b a b", "a a a a"]
     df = odd.select("doc_id", "text").unionByName(spark.createDataFrame([(None, t) for t in more], "doc_id long, text string"))
     out = line_rules.clean_lines(df)
     assert no_python(out)
-    got = sorted(tuple(r) for r in out.select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect())
+    got = sorted(
+        tuple(r) for r in out.select("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed").collect()
+    )
     assert got == sorted(brute_lines(t) for t in [r[1] for r in odd_rows] + more)
     assert line_rules.clean_lines(odd).count() == len(odd_rows) and line_rules.clean_lines(empty).count() == 0
 
 
 def test_line_rules(spark):
     prose = "The river rose again in spring, and the gauge at the old bridge read four feet.\n"
-    rows = [("clean", prose * 2 + " ".join(f"word{i}" for i in range(60)) + ". End."), ("menu", "\n".join(["Home > News > All", "Log in", "Read more", "Next page"] * 20) + "\n" + " ".join(f"item{i}" for i in range(29))), ("marks", " ".join(f"w{i}&&&&" for i in range(80)))]
-    got = {r.doc_id: r for r in spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string").transform(line_rules.clean_lines).collect()}
+    rows = [
+        ("clean", prose * 2 + " ".join(f"word{i}" for i in range(60)) + ". End."),
+        (
+            "menu",
+            "\n".join(["Home > News > All", "Log in", "Read more", "Next page"] * 20) + "\n" + " ".join(f"item{i}" for i in range(29))
+        ),
+        ("marks", " ".join(f"w{i}&&&&" for i in range(80)))
+    ]
+    got = {
+        r.doc_id: r for r in spark.createDataFrame(
+            [(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"
+        ).transform(line_rules.clean_lines).collect()
+    }
     assert got[0].kept and not got[1].kept and not got[2].kept and got[1].n_failed_lines == 80 and "Home" not in got[1].kept_text
 
 
 def test_line_rules_in_four_languages(spark):
     prose = "Der Fluss stieg im Frühjahr wieder, und der Pegel zeigte vier Fuß, " + " ".join(f"wort{i}" for i in range(150)) + ".\n"
-    lines = ["Lire la suite »", "ÜBER UNS", "Leer MÁS", "Tous droits RÉSERVÉS, une maison de la ville.", "Nous lisons la suite.", "Datenschutzerklärung der alten Stadt am Fluss.", "Política de Cookies de la ciudad.", "inicios", "weiter unten im Text"]
+    lines = [
+        "Lire la suite »",
+        "ÜBER UNS",
+        "Leer MÁS",
+        "Tous droits RÉSERVÉS, une maison de la ville.",
+        "Nous lisons la suite.",
+        "Datenschutzerklärung der alten Stadt am Fluss.",
+        "Política de Cookies de la ciudad.",
+        "inicios",
+        "weiter unten im Text"
+    ]
     r = spark.createDataFrame([(1, prose + "\n".join(lines))], "doc_id long, text string").transform(line_rules.clean_lines).first()
     assert r.kept and r.n_failed_lines == 6 and r.kept_text.split("\n")[-3:] == ["Nous lisons la suite.", "inicios", "weiter unten im Text"]
     english = line_rules.Rules(phrases=tuple(p for p in line_rules.PHRASES if p[0] == "en"))
-    assert line_rules.clean_lines(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), rules=english).first().n_failed_lines == 0
-    assert line_rules.clean_lines(spark.createDataFrame([(1, "Home\nlorem ipsum")], "doc_id long, text string"), rules=line_rules.Rules(phrases=())).first().n_failed_lines == 0
+    assert line_rules.clean_lines(
+        spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), rules=english
+    ).first().n_failed_lines == 0
+    assert line_rules.clean_lines(
+        spark.createDataFrame([(1, "Home\nlorem ipsum")], "doc_id long, text string"), rules=line_rules.Rules(phrases=())
+    ).first().n_failed_lines == 0
 
 
 def test_licenses(spark, odd, odd_rows, empty):
     mit, gpl = NOTICES[0][1].split(), NOTICES[4][1].split()
     broken = " ".join([*mit[:12], "xx", "yy", *mit[12:30], *mit[33:]])  # words put in and left out
-    texts = [f"a MIT License b mit, license {' '.join(gpl)} x", f"foo {broken} bar", "Apache\nLicense general PUBLIC license", "mit licenses of the software in the", " ".join(mit[:10]), "mit license " * 3]
+    texts = [
+        f"a MIT License b mit, license {' '.join(gpl)} x",
+        f"foo {broken} bar",
+        "Apache\nLicense general PUBLIC license",
+        "mit licenses of the software in the",
+        " ".join(mit[:10]),
+        "mit license " * 3
+    ]
     rows = [(r[0], r[1]) for r in odd_rows] + [(2000 + k, t) for k, t in enumerate(texts)]
     out = scan_licenses(spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, row string, h string"))
     assert no_python(out)
@@ -134,8 +177,22 @@ def test_licenses(spark, odd, odd_rows, empty):
     want = []
     for i, t in rows:
         ws = words(t)
-        at = [(p, label) for phrase, label in (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")) for k in [phrase.split()] for p in range(len(ws)) if ws[p : p + len(k)] == k]
-        want.append((str(i), len(ws), len(at), str(min((p for p, _ in at), default=None)), str(max((p for p, _ in at), default=None)), ",".join(sorted({label for _, label in at}))))
+        at = [
+            (p, label) for phrase,
+            label in (
+                ("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl")
+            ) for k in [phrase.split()] for p in range(len(ws)) if ws[p : p + len(k)] == k
+        ]
+        want.append(
+            (
+                str(i),
+                len(ws),
+                len(at),
+                str(min((p for p, _ in at), default=None)),
+                str(max((p for p, _ in at), default=None)),
+                ",".join(sorted({label for _, label in at}))
+            )
+        )
     assert got == sorted(want)
     by = {r.doc_id: r for r in out.collect()}
     assert by[2000].labels == "gpl,mit" and by[2000].score == 1.0
@@ -149,7 +206,9 @@ def test_mixing(spark, odd, odd_rows, empty):
     good, bad = [f"g{i}" for i in range(60)], [f"b{i}" for i in range(60)]
     rows = [(k, " ".join(rng.choice(bad if k % 4 == 0 else good) for _ in range(rng.randrange(20, 60)))) for k in range(400)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").unionByName(odd.select((F.col("doc_id") + 5000).alias("doc_id"), "text"))
-    labels = spark.createDataFrame([(k, 0 if k % 4 == 0 else 1, 0) for k in range(0, 400, 3)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    labels = spark.createDataFrame(
+        [(k, 0 if k % 4 == 0 else 1, 0) for k in range(0, 400, 3)] + [(None, 1, 0), (7, None, None)], "doc_id long, quality int, toxic int"
+    )
     out = mixing.mix(docs, mixing.label_domains(labels), {"quality1_toxic0": 1.0, "quality0_toxic0": 0.5}).cache()
     got = out.collect()
     assert len(got) == 400 + len(odd_rows) and all(r.rate >= 0 and abs(sum(r.posteriors.values()) - 1) < 1e-6 for r in got)
@@ -231,7 +290,13 @@ def test_looks_of_a_text(spark):
     for i, t in enumerate(texts):
         n, ws = max(len(t), 1), words(t)
         count = lambda chars: sum(c in chars for c in t)  # noqa: B023, E731
-        looks = {"symbols": count("#*$%&|<>@^~={}[]\\/") / n, "stops": 4 * (count(".,;:!?") / n), "capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n, "digits": count("0123456789") / n, "distinct": len(set(ws)) / max(len(ws), 1)}
+        looks = {
+            "symbols": count("#*$%&|<>@^~={}[]\\/") / n,
+            "stops": 4 * (count(".,;:!?") / n),
+            "capitals": count("ABCDEFGHIJKLMNOPQRSTUVWXYZ") / n,
+            "digits": count("0123456789") / n,
+            "distinct": len(set(ws)) / max(len(ws), 1)
+        }
         names = [*ws, *(f" {name} {int(10 * x)}" for name, x in looks.items())]
         want = spark.createDataFrame([(x,) for x in names], "x string").select(mixing.bucket(F.col("x"), 1 << 30).alias("b")).distinct()
         assert set(df.collect()[i].got) == {r.b for r in want.collect()}
@@ -244,7 +309,9 @@ def licenses_by_hand(ws, k=4, gap=6, least=0.5):
     for label, text in NOTICES:
         t = text.split()
         n = min(k, len(t))
-        hits = [(i - j, i, j) for j in range(len(t) - n + 1) for i in range(len(ws) - n + 1) if ws[i] == t[j] and ws[i : i + n] == t[j : j + n]]
+        hits = [
+            (i - j, i, j) for j in range(len(t) - n + 1) for i in range(len(ws) - n + 1) if ws[i] == t[j] and ws[i : i + n] == t[j : j + n]
+        ]
         groups, before = [], None
         for d, i, j in sorted(hits):
             if before is None or d - before > gap:
@@ -274,6 +341,10 @@ def test_license_labels_spans_and_scores_by_brute_force(spark):
                 piece[at : at + rng.randrange(3)] = rng.choices(filler, k=rng.randrange(4))
             own += rng.choices(filler, k=rng.randrange(12)) + piece
         rows.append((i, " ".join(own)))
-    got = {r.doc_id: (r.labels, pytest.approx(r.score), [tuple(s)[:3] + (pytest.approx(s["share"]),) for s in r.spans]) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    got = {
+        r.doc_id: (
+            r.labels, pytest.approx(r.score), [tuple(s)[:3] + (pytest.approx(s["share"]),) for s in r.spans]
+        ) for r in scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    }
     want = {i: licenses_by_hand(t.split()) for i, t in rows}
     assert {i: w for i, w in want.items()} == got and sum(bool(w[2]) for w in want.values()) > 100

@@ -39,17 +39,24 @@ def brute(rows, order):
             if not found:
                 score -= math.log10(256 - len(excluded))
         ws = [*lower(t).split(), None]
-        out.append((i, held(i), len(ws), sum(words[w] > 0 for w in ws), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in ws), score))
+        out.append(
+            (i, held(i), len(ws), sum(words[w] > 0 for w in ws), n, sum(math.log10((words[w] + 1) / (n + v + 1)) for w in ws), score)
+        )
     return out
 
 
 @pytest.mark.parametrize(("order", "slots"), [(1, 4096), (4, 4096), (5, 2)])
 def test_like_brute_force(odd, odd_rows, order, slots, monkeypatch):
     monkeypatch.setattr(ppm, "MOST_SLOTS", slots)  # few slots: each in several places
-    rows = [(r[0], r[1][: 40_000 if order == 5 else 3000] if r[1] else r[1]) for r in odd_rows] + [(50 + k % 2, "the same row, many times") for k in range(40)]
+    rows = [
+        (r[0], r[1][: 40_000 if order == 5 else 3000] if r[1] else r[1]) for r in odd_rows
+    ] + [(50 + k % 2, "the same row, many times") for k in range(40)]
     spark = odd.sparkSession
     df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], "doc_id long, text string, slot string, value string")
-    got = sorted(ppm.score(df, order=order, block_bytes=2000, slot_bytes=1000 if order == 5 else 32 << 20).collect(), key=lambda r: (r.doc_id or -1, r.score))
+    got = sorted(
+        ppm.score(df, order=order, block_bytes=2000, slot_bytes=1000 if order == 5 else 32 << 20).collect(),
+        key=lambda r: (r.doc_id or -1, r.score)
+    )
     want = sorted(brute(rows, order), key=lambda r: (r[0] or -1, r[6]))
     for g, w in zip(got, want, strict=True):
         assert tuple(g)[:5] == w[:5]

@@ -33,7 +33,10 @@ def test_small_memories(most):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1)), max_size=3000), st.sampled_from([1, 7, 64, 1024]))
+@given(
+    st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1)), max_size=3000),
+    st.sampled_from([1, 7, 64, 1024])
+)
 def test_simple8b_round_trip(ids, block):
     words, offsets = simple8b.encode(np.array(ids, dtype=np.uint64), block)
     assert simple8b.decode(words, len(ids), offsets, block).tolist() == ids
@@ -58,11 +61,15 @@ def test_simple8b_keeps_wide_ids():
 
 def test_null_and_least_ids_differ(spark):
     docs = spark.createDataFrame([(None, "a b"), (-(2**63), "c"), (None, "d"), (3, "e")], "doc_id long, text string")
-    assert [r.doc_id for r in sorted(read_tokens(write_tokens(docs, PATH, PATTERN, shard_ids=2)).collect(), key=lambda r: r.start)] == [None, None, -(2**63), 3]
+    assert [
+        r.doc_id for r in sorted(read_tokens(write_tokens(docs, PATH, PATTERN, shard_ids=2)).collect(), key=lambda r: r.start)
+    ] == [None, None, -(2**63), 3]
 
 
 def test_counts_on_odd_rows(odd, odd_rows, empty):
-    got = sorted((str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(odd, PATH, PATTERN, limit=30, block_bytes=5000).collect())
+    got = sorted(
+        (str(r.doc_id), r.n_bytes, r.n_tokens, r.over_limit) for r in count_tokens(odd, PATH, PATTERN, limit=30, block_bytes=5000).collect()
+    )
     texts = [r[1] or "" for r in odd_rows]
     want = sorted((str(r[0]), len(t.encode()), len(i), len(i) > 30) for r, t, i in zip(odd_rows, texts, library(texts), strict=True))
     assert got == want

@@ -16,7 +16,11 @@ def by_hand(rows, parts, entries, rounds, scale=256):
     """(vec_id, code, error, label_error) of the kept rows and the codebooks, part by part and entry by entry."""
     import math
 
-    kept = [(i, [math.floor(scale * x) for x in v], label) for i, v, label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    kept = [
+        (i, [math.floor(scale * x) for x in v], label) for i,
+        v,
+        label in rows if v is not None and all(x is not None and math.isfinite(x) for x in v)
+    ]
     if not kept:
         return [], []
     d = len(kept[0][1]) // parts
@@ -43,7 +47,11 @@ def by_hand(rows, parts, entries, rounds, scale=256):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.lists(st.integers(-6, 6), min_size=3, max_size=3), min_size=1, max_size=120), st.lists(st.lists(st.integers(-6, 6), min_size=3, max_size=3), min_size=1, max_size=12), st.integers(1, 9))
+@given(
+    st.lists(st.lists(st.integers(-6, 6), min_size=3, max_size=3), min_size=1, max_size=120),
+    st.lists(st.lists(st.integers(-6, 6), min_size=3, max_size=3), min_size=1, max_size=12),
+    st.integers(1, 9)
+)
 def test_trees_assign_like_all_distances(points, entries, leaf):
     points, entries = np.array(points), np.array(entries, np.int64)
     tree = Tree(points, leaf)
@@ -83,7 +91,17 @@ def check(spark, rows, **kind):
 def test_odd_rows(spark):
     random = np.random.default_rng(3)
     rows = [(int(i), [float(x) for x in np.float32(random.normal(0, 0.3, 8))], None if i % 3 == 0 else int(i % 4)) for i in range(90)]
-    rows += [(5, None, 1), (6, [None] * 8, 1), (7, [float("nan")] * 8, None), (8, [float("inf"), *[0.0] * 7], 2), (None, [0.25] * 8, None), rows[0], (3, [-0.001] * 8, 7), (-4, [0.0] * 8, None), (99, [100.0, -100.0] * 4, 3)]
+    rows += [
+        (5, None, 1),
+        (6, [None] * 8, 1),
+        (7, [float("nan")] * 8, None),
+        (8, [float("inf"), *[0.0] * 7], 2),
+        (None, [0.25] * 8, None),
+        rows[0],
+        (3, [-0.001] * 8, 7),
+        (-4, [0.0] * 8, None),
+        (99, [100.0, -100.0] * 4, 3)
+    ]
     check(spark, rows, parts=4, entries=16, block_rows=20, leaf=3)
     check(spark, rows[:5], parts=4, entries=16, rounds=3)
     check(spark, [(i, [1.5, 2.0], 0) for i in range(40)], parts=2, entries=8)
@@ -98,7 +116,9 @@ def test_many_labels_are_shuffled(spark):
 
 def test_empty_and_refused(spark):
     codes, books = compress(make(spark, []))
-    assert with_label_errors(common.written(codes, "codes")).count() == 0 and books.size == 0 and codes.schema["label"].dataType.simpleString() == "int"
+    assert with_label_errors(
+        common.written(codes, "codes")
+    ).count() == 0 and books.size == 0 and codes.schema["label"].dataType.simpleString() == "int"
     codes, _ = compress(make(spark, [(1, None, 1), (2, [None], 2)]))
     assert codes.count() == 0
     with pytest.raises(ValueError):
@@ -121,6 +141,8 @@ def test_query_matches_sql_and_brute_force(spark):
     rows = sorted(map(tuple, got.collect()))
     want = con.sql(vector_codes.SQL)
     assert got.columns == want.columns and rows == sorted(want.fetchall())
-    own, books = by_hand([(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()], 16, 64, 2)
+    own, books = by_hand(
+        [(r.vec_id, r.embedding, r.label) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()], 16, 64, 2
+    )
     digest = hashlib.sha256(",".join(str(x) for b in books for e in b for x in e).encode()).hexdigest()
     assert rows == sorted((*r, digest) for r in own)

@@ -122,15 +122,29 @@ def _fold(word: Column, table: Column, longest: int) -> Column:
         n = F.length(digits)
         runs = F.transform(
             F.sequence(F.lit(1), n - 3, F.lit(2)),
-            lambda p: F.transform(F.sequence(F.lit(4), F.least(n - p + 1, F.lit(2 * longest)), F.lit(2)), lambda size: ranked(F.substring(digits, p, size)) + (p * 128 + size)),
+            lambda p: F.transform(
+                F.sequence(F.lit(4), F.least(n - p + 1, F.lit(2 * longest)), F.lit(2)),
+                lambda size: ranked(F.substring(digits, p, size)) + (p * 128 + size)
+            ),
         )
         ordered = F.transform(F.sort_array(F.array_compact(F.flatten(runs))), bounds_of)
         bounds = F.aggregate(ordered, bit((n / 2).cast("int") + 1) - 1, merge)
-        cuts = common.let(bounds, lambda b: F.filter(F.sequence(F.lit(1), n + 1, F.lit(2)), lambda p: F.call_function("getbit", b, F.shiftright(p, 1)) == 1))
-        return common.let(cuts, lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda k: rank(F.substring(digits, F.get(c, k - 1), F.get(c, k) - F.get(c, k - 1)))))
+        cuts = common.let(
+            bounds,
+            lambda b: F.filter(F.sequence(F.lit(1), n + 1, F.lit(2)), lambda p: F.call_function("getbit", b, F.shiftright(p, 1)) == 1)
+        )
+        return common.let(
+            cuts,
+            lambda c: F.transform(
+                F.sequence(F.lit(1), F.size(c) - 1), lambda k: rank(F.substring(digits, F.get(c, k - 1), F.get(c, k) - F.get(c, k - 1)))
+            )
+        )
 
     def whole(digits: Column) -> Column:
-        return common.let(rank(digits), lambda r: F.when(r.isNotNull(), F.array(r)).when(F.length(digits) > 0, within(digits)).otherwise(F.array().cast("array<int>")))
+        return common.let(
+            rank(digits),
+            lambda r: F.when(r.isNotNull(), F.array(r)).when(F.length(digits) > 0, within(digits)).otherwise(F.array().cast("array<int>"))
+        )
 
     return common.let(F.hex(word).cast("binary"), whole)
 
@@ -171,12 +185,16 @@ def _number(table: pa.Table, block: int, slots: int, places: int, classes: np.nd
     begin = pre_tokens.cut(raw, ends, classes)
     counts = np.diff(np.searchsorted(begin, np.append(0, ends)))
     offsets = np.append(begin, len(raw))
-    coded = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]).dictionary_encode()
+    coded = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+    ).dictionary_encode()
     codes, order = _by_frequency(coded.indices.to_numpy())
     words = coded.dictionary.take(pa.array(order)).to_pylist()
     slot = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % slots
     yield {
-        "block": block, "slot": block % slots, "place": block % places, "words": None, "sizes": None, "ids": table.column("doc_id").to_pylist(),
+        "block": block, "slot": block % slots, "place": block % places, "words": None, "sizes": None, "ids": table.column(
+            "doc_id"
+        ).to_pylist(),
         "counts": common.packed(counts.astype("<i8")), "codes": _packed_codes(codes), "slots": common.packed(slot.astype("<u2")),
     }
     order = np.argsort(slot, kind="stable")
@@ -184,14 +202,27 @@ def _number(table: pa.Table, block: int, slots: int, places: int, classes: np.nd
     for s in np.flatnonzero(np.diff(cuts)).tolist():
         own = [words[k] for k in order[cuts[s] : cuts[s + 1]].tolist()]
         yield {
-            "block": block, "slot": s, "place": block % places, "words": common.packed(b"".join(own)), "sizes": common.packed(np.fromiter(map(len, own), "<u4", len(own))),
+            "block": block, "slot": s, "place": block % places, "words": common.packed(b"".join(own)), "sizes": common.packed(
+                np.fromiter(map(len, own), "<u4", len(own))
+            ),
             "ids": None, "counts": None, "codes": None, "slots": None,
         }
 
 
 def _tell_apart(path: str, most: int):
     """Numbers each row's words within its partition; words that have not come yet go on, those of too many bytes with their ids."""
-    arrow = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("anew", pa.bool_()), ("numbers", pa.binary()), ("fresh", pa.list_(pa.binary())), ("apart", pa.list_(pa.list_(pa.int32()))), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in _HEAD[1:])])
+    arrow = pa.schema(
+        [
+            ("block", pa.int64()),
+            ("slot", pa.int32()),
+            ("anew", pa.bool_()),
+            ("numbers", pa.binary()),
+            ("fresh", pa.list_(pa.binary())),
+            ("apart", pa.list_(pa.list_(pa.int32()))),
+            ("ids", pa.list_(pa.int64())),
+            *((c, pa.binary()) for c in _HEAD[1:])
+        ]
+    )
 
     def run(batches):
         known: dict[bytes, int] = {}
@@ -201,12 +232,18 @@ def _tell_apart(path: str, most: int):
                 if row["words"] is not None:
                     if len(known) > most:
                         known, out["anew"] = {}, True
-                    raw, z = common.unpacked(row["words"]), np.cumsum(np.frombuffer(common.unpacked(row["sizes"]), "<u4"), dtype=np.int64).tolist()
+                    raw, z = common.unpacked(row["words"]), np.cumsum(
+                        np.frombuffer(common.unpacked(row["sizes"]), "<u4"), dtype=np.int64
+                    ).tolist()
                     own = [raw[a:b] for a, b in zip([0, *z], z, strict=False)]
                     new = [w for w in own if w not in known]
                     short, wide = [w for w in new if len(w) <= MOST_BYTES], [w for w in new if len(w) > MOST_BYTES]
                     known.update(zip(short + wide, range(len(known), len(known) + len(new)), strict=True))
-                    out |= {"numbers": common.packed(np.fromiter(map(known.__getitem__, own), "<u4", len(own))), "fresh": short, "apart": [long_ids(w, ranks_of(path)) for w in wide]}
+                    out |= {
+                        "numbers": common.packed(np.fromiter(map(known.__getitem__, own), "<u4", len(own))),
+                        "fresh": short,
+                        "apart": [long_ids(w, ranks_of(path)) for w in wide]
+                    }
                 yield pa.RecordBatch.from_pylist([out], schema=arrow)
 
     return run, "block long, slot int, anew boolean, numbers binary, fresh array<binary>, apart array<array<int>>, " + _HEAD_TYPES
@@ -230,7 +267,10 @@ def _answer(batches):
                 at = np.frombuffer(common.unpacked(numbers), "<u4")
                 sizes = pa.array([common.packed(lengths[at].astype("<u4"))], pa.binary())
                 values = pa.array([common.packed(flat[common.spread(starts[at], lengths[at])])], pa.binary())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(k, 1) for c in ("block", "slot")), sizes, values, *(batch.column(c).slice(k, 1) for c in _HEAD)], names=["block", "slot", "sizes", "values", *_HEAD])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).slice(k, 1) for c in ("block", "slot")), sizes, values, *(batch.column(c).slice(k, 1) for c in _HEAD)],
+                names=["block", "slot", "sizes", "values", *_HEAD]
+            )
 
 
 def _joined(table: pa.Table) -> pa.Table:
@@ -248,7 +288,9 @@ def _joined(table: pa.Table) -> pa.Table:
     each = lengths[codes]
     ids = values[common.spread(starts[codes], each)].astype("<i4")
     ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(counts))]
-    return pa.table({"doc_id": pa.array(head["ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))})
+    return pa.table(
+        {"doc_id": pa.array(head["ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
+    )
 
 
 def encode(docs: DataFrame, path: str, block_bytes: int = 16 << 20, slot_bytes: int = 32 << 20, words: int = 500_000) -> DataFrame:
@@ -263,7 +305,17 @@ def encode(docs: DataFrame, path: str, block_bytes: int = 16 << 20, slot_bytes:
     slots = min(parts, MOST_SLOTS)
     places = -(-parts // slots)
     classes = pre_tokens.classes()
-    arrow = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("place", pa.int32()), ("words", pa.binary()), ("sizes", pa.binary()), ("ids", pa.list_(pa.int64())), *((c, pa.binary()) for c in _HEAD[1:])])
+    arrow = pa.schema(
+        [
+            ("block", pa.int64()),
+            ("slot", pa.int32()),
+            ("place", pa.int32()),
+            ("words", pa.binary()),
+            ("sizes", pa.binary()),
+            ("ids", pa.list_(pa.int64())),
+            *((c, pa.binary()) for c in _HEAD[1:])
+        ]
+    )
 
     def number(batches):
         part = TaskContext.get().partitionId()
@@ -272,10 +324,14 @@ def encode(docs: DataFrame, path: str, block_bytes: int = 16 << 20, slot_bytes:
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
 
     run, schema = _tell_apart(path, words)
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(number, "block long, slot int, place int, words binary, sizes binary, " + _HEAD_TYPES)
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
+        number, "block long, slot int, place int, words binary, sizes binary, " + _HEAD_TYPES
+    )
     told = found.repartition(parts, "slot", "place").mapInArrow(run, schema)
     ranks = F.from_json(F.lit(table), "array<map<string,bigint>>").cast("array<map<binary,bigint>>")
-    folded = told.withColumn("found", common.let(ranks, lambda t: F.concat(F.transform("fresh", lambda w: _fold(w, t, longest)), "apart"))).drop("fresh", "apart")
+    folded = told.withColumn(
+        "found", common.let(ranks, lambda t: F.concat(F.transform("fresh", lambda w: _fold(w, t, longest)), "apart"))
+    ).drop("fresh", "apart")
     answered = folded.mapInArrow(_answer, "block long, slot int, sizes binary, values binary, " + _HEAD_TYPES)
     return answered.groupBy("block").applyInArrow(_joined, "doc_id long, ids array<int>")
 

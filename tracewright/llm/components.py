@@ -19,9 +19,18 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     labels = common.written(edges.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("label")).withColumnRenamed("u", "node"), "labels")
     while True:
         near = edges.join(labels.withColumnRenamed("node", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("u", "node"), "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("to"))
+        step = labels.join(near.withColumnRenamed("u", "node"), "node", "left").select(
+            "node", "label", F.least("label", F.coalesce("near", "label")).alias("to")
+        )
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("over"))
-        moved = common.written(step.join(jump, "to", "left").select("node", F.least("to", F.coalesce("over", "to")).alias("label"), (F.least("to", F.coalesce("over", "to")) != F.col("label")).alias("changed")), "labels")
+        moved = common.written(
+            step.join(jump, "to", "left").select(
+                "node",
+                F.least("to", F.coalesce("over", "to")).alias("label"),
+                (F.least("to", F.coalesce("over", "to")) != F.col("label")).alias("changed")
+            ),
+            "labels"
+        )
         labels = moved.select("node", "label")
         if not moved.where("changed").take(1):
             return labels

@@ -96,7 +96,9 @@ def cut(column: pa.Array, h: np.ndarray, unit: str, rate: int, spm: int, marks:
     out = _gathered(np.concatenate([raw, np.frombuffer(b"".join(coded), np.uint8)]), *layout)
     plain = form == PLAIN
     return {
-        "n": pa.array(n), "form": pa.array(np.array(FORMS, object)[form], pa.string()), "prefix_chars": pa.array(chars[0], mask=plain), "middle_chars": pa.array(chars[1], mask=plain),
+        "n": pa.array(n), "form": pa.array(
+            np.array(FORMS, object)[form], pa.string()
+        ), "prefix_chars": pa.array(chars[0], mask=plain), "middle_chars": pa.array(chars[1], mask=plain),
         "output": _strings(*out),
     }
 
@@ -153,7 +155,15 @@ def draws(doc_id: Column, seed: int = 7) -> Column:
     return F.array(*(F.conv(F.substring(digits, 8 * k + 1, 8), 16, 10).cast("long") for k in range(4)))
 
 
-def fill_in_middle(docs: DataFrame, unit: str = "line", rate: int = 100, spm: int = 50, seed: int = 7, marks: tuple[str, str, str] = MARKS, chunk_bytes: int = 4 << 20) -> DataFrame:
+def fill_in_middle(
+    docs: DataFrame,
+    unit: str = "line",
+    rate: int = 100,
+    spm: int = 50,
+    seed: int = 7,
+    marks: tuple[str, str, str] = MARKS,
+    chunk_bytes: int = 4 << 20
+) -> DataFrame:
     """doc_id, n (units of the text), form (plain, psm or spm), prefix_chars, middle_chars and output of each row of docs (doc_id, text; others are ignored).
 
     unit is line, word (with the white space before it) or character; rate: so many of a hundred documents are cut, spm: so
@@ -170,9 +180,13 @@ def fill_in_middle(docs: DataFrame, unit: str = "line", rate: int = 100, spm: in
         for batch in _chunks(batches, "text", chunk_bytes):
             h = np.array(batch.column("h").flatten().to_numpy(zero_copy_only=False), np.int64).reshape(-1, 4)
             found = cut(batch.column("text"), h, unit, rate, spm, marks)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(x.cast(pa.string()) if k == "output" else x for k, x in found.items())], names=["doc_id", *found])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), *(x.cast(pa.string()) if k == "output" else x for k, x in found.items())], names=["doc_id", *found]
+            )
 
-    drawn = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), draws(F.col("doc_id"), seed).alias("h"))
+    drawn = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), draws(F.col("doc_id"), seed).alias("h")
+    )
     return drawn.mapInArrow(run, "doc_id long, n long, form string, prefix_chars long, middle_chars long, output string")
 
 

@@ -37,7 +37,11 @@ _BOILERPLATE = {
     "es": "todos los derechos reservados|utilizamos cookies|política de cookies|política de privacidad|términos de uso|condiciones de uso|javascript está desactivado|activar javascript",
 }
 #: (language, kind, phrase).
-PHRASES = tuple((language, kind, phrase) for kind, table in (("navigation", _NAVIGATION), ("boilerplate", _BOILERPLATE)) for language, phrases in table.items() for phrase in phrases.split("|"))
+PHRASES = tuple(
+    (language, kind, phrase) for kind,
+    table in (("navigation", _NAVIGATION), ("boilerplate", _BOILERPLATE)) for language,
+    phrases in table.items() for phrase in phrases.split("|")
+)
 
 
 def _any(phrases: list[str]) -> str:
@@ -79,11 +83,17 @@ def line_fails(line: Column, n: Column, rules: Rules = RULES) -> Column:
     """Whether a line that has a word, and n characters other than white space, fails one of the rules."""
 
     def tested(x: Column) -> Column:
-        noisy = (rules.marks_in * x["marks"] > n) | ((x["marks"] == 0) & (x["words"] >= rules.unmarked_words)) | (rules.symbols_in * F.regexp_count(line, F.lit(SYMBOLS)) > n)
-        menu = (x["words"] <= rules.menu_words) & ~line.rlike(SENTENCE_END) & (line.rlike(rules.pattern("navigation")) | line.rlike(SEPARATORS))
+        noisy = (rules.marks_in * x["marks"] > n) | ((x["marks"] == 0) & (x["words"] >= rules.unmarked_words)) | (
+            rules.symbols_in * F.regexp_count(line, F.lit(SYMBOLS)) > n
+        )
+        menu = (x["words"] <= rules.menu_words) & ~line.rlike(SENTENCE_END) & (
+            line.rlike(rules.pattern("navigation")) | line.rlike(SEPARATORS)
+        )
         return noisy | menu | ((x["words"] <= rules.notice_words) & line.rlike(rules.pattern("boilerplate")))
 
-    return common.let(F.struct(F.regexp_count(line, F.lit(MARKS)).alias("marks"), F.regexp_count(line, F.lit(HAS_WORD + "+")).alias("words")), tested)
+    return common.let(
+        F.struct(F.regexp_count(line, F.lit(MARKS)).alias("marks"), F.regexp_count(line, F.lit(HAS_WORD + "+")).alias("words")), tested
+    )
 
 
 def repeated_words(words: Column) -> Column:
@@ -94,9 +104,16 @@ def repeated_words(words: Column) -> Column:
         twice = F.filter(F.sequence(F.lit(0), F.size(sorted_windows) - 1), lambda j: same(j, j - 1) | same(j, j + 1))
         starts = F.array_sort(F.transform(twice, lambda j: F.get(sorted_windows, j)["i"]))
         zero = F.struct(F.lit(-3).alias("last"), F.lit(0).alias("n"))
-        return F.aggregate(starts, zero, lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")), lambda acc: acc["n"])
-
-    window = lambda i: F.struct(F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i"))
+        return F.aggregate(
+            starts,
+            zero,
+            lambda acc, i: F.struct(i.alias("last"), (acc["n"] + F.least(F.lit(3), i - acc["last"])).alias("n")),
+            lambda acc: acc["n"]
+        )
+
+    window = lambda i: F.struct(
+        F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)).alias("h"), i.alias("i")
+    )
     windows = F.array_sort(F.transform(F.sequence(F.lit(0), F.size(words) - 3), window))
     return F.when(F.size(words) >= 4, common.let(windows, covered)).otherwise(0)
 
@@ -110,14 +127,24 @@ def clean_lines(docs: DataFrame, most_lost: int = 50, rules: Rules = RULES) -> D
     text = F.coalesce("text", F.lit(""))
 
     def measured(words: Column) -> Column:
-        return F.struct(F.size(words).cast("long").alias("n_words"), F.length(F.array_join(words, "")).cast("long").alias("word_chars"), repeated_words(words).cast("long").alias("n_repeat_words"))
+        return F.struct(
+            F.size(words).cast("long").alias("n_words"),
+            F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
+            repeated_words(words).cast("long").alias("n_repeat_words")
+        )
 
     def by_line(lines: Column) -> Column:
-        judged = F.transform(lines, lambda x: common.let(line_size(x), lambda n: F.struct(x.alias("t"), F.when(line_fails(x, n, rules), n).alias("lost"))))
+        judged = F.transform(
+            lines, lambda x: common.let(line_size(x), lambda n: F.struct(x.alias("t"), F.when(line_fails(x, n, rules), n).alias("lost")))
+        )
         # A line has a word, so a line that fails loses a character at least.
         return common.let(judged, lambda js: F.struct(
-            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.aggregate(js, F.lit(0), lambda acc, j: acc + F.coalesce(j["lost"], F.lit(0))).alias("lost"),
-            F.size(F.filter(js, lambda j: j["lost"].isNotNull())).alias("n_failed_lines"), F.array_join(F.transform(F.filter(js, lambda j: j["lost"].isNull()), lambda j: j["t"]), "\n").alias("kept_text"),
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"), F.aggregate(
+                js, F.lit(0), lambda acc, j: acc + F.coalesce(j["lost"], F.lit(0))
+            ).alias("lost"),
+            F.size(F.filter(js, lambda j: j["lost"].isNotNull())).alias("n_failed_lines"), F.array_join(
+                F.transform(F.filter(js, lambda j: j["lost"].isNull()), lambda j: j["t"]), "\n"
+            ).alias("kept_text"),
         ))
 
     worded = F.filter(F.split(text, "\n"), lambda x: x.rlike(HAS_WORD))
@@ -129,7 +156,18 @@ def clean_lines(docs: DataFrame, most_lost: int = 50, rules: Rules = RULES) -> D
     )
     rows = rows.withColumn("base_failed", (F.col("w.n_words") < 50) | (100 * F.col("w.n_repeat_words") > 50 * F.col("w.n_words")))
     kept = ~F.col("base_failed") & (100 * F.col("l.lost") <= most_lost * F.col("w.word_chars"))
-    return rows.select("doc_id", "w.n_words", "w.word_chars", "n_symbols", "l.n_dup_lines", "w.n_repeat_words", "l.n_failed_lines", "l.kept_text", "base_failed", kept.alias("kept"))
+    return rows.select(
+        "doc_id",
+        "w.n_words",
+        "w.word_chars",
+        "n_symbols",
+        "l.n_dup_lines",
+        "w.n_repeat_words",
+        "l.n_failed_lines",
+        "l.kept_text",
+        "base_failed",
+        kept.alias("kept")
+    )
 
 
 def _quoted(pattern: str) -> str:

@@ -43,13 +43,23 @@ def features(text: Column, words: Column, buckets: int) -> Column:
     distinct = F.array_distinct(F.transform(words, lambda w: bucket(w, buckets)))
 
     def with_looks(own: Column) -> Column:
-        looks = {"symbols": share(r"[#*$%&|<>@^~={}\[\]\\/]"), "stops": 4 * share("[.,;:!?]"), "capitals": share("[A-Z]"), "digits": share("[0-9]"), "distinct": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))}
-        return F.array_union(own, F.array(*(bucket(F.concat(F.lit(f" {name} "), F.floor(10 * x).cast("string")), buckets) for name, x in looks.items())))
+        looks = {
+            "symbols": share(r"[#*$%&|<>@^~={}\[\]\\/]"),
+            "stops": 4 * share("[.,;:!?]"),
+            "capitals": share("[A-Z]"),
+            "digits": share("[0-9]"),
+            "distinct": F.size(F.array_distinct(words)) / F.greatest(F.size(words), F.lit(1))
+        }
+        return F.array_union(
+            own, F.array(*(bucket(F.concat(F.lit(f" {name} "), F.floor(10 * x).cast("string")), buckets) for name, x in looks.items()))
+        )
 
     return common.let(distinct, with_looks)
 
 
-def train_domains(docs: DataFrame, labelled: DataFrame, buckets: int = 1 << 15, most_rows: int = 20_000) -> tuple[list[str], list[float], list[list[float]]]:
+def train_domains(
+    docs: DataFrame, labelled: DataFrame, buckets: int = 1 << 15, most_rows: int = 20_000
+) -> tuple[list[str], list[float], list[list[float]]]:
     """Domains, their log priors, and each domain's log ratio to the whole corpus by bucket, from at most `most_rows` labelled documents.
 
     labelled: doc_id, domain, one row an id; those with the least hashes are the sample. Its ids are broadcast (most_rows
@@ -58,7 +68,9 @@ def train_domains(docs: DataFrame, labelled: DataFrame, buckets: int = 1 << 15,
     """
     labelled = F.broadcast(labelled.select("doc_id", "domain").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows))
     small = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(labelled, "doc_id")
-    words = small.select("domain", F.explode(common.let(tokens_of(F.col("text")), lambda ws: features(F.col("text"), ws, buckets))).alias("b"))
+    words = small.select(
+        "domain", F.explode(common.let(tokens_of(F.col("text")), lambda ws: features(F.col("text"), ws, buckets))).alias("b")
+    )
     counts = words.groupBy("domain", "b").count().collect()
     priors = {r["domain"]: r["count"] for r in small.groupBy("domain").count().collect()}
     domains = sorted(priors)
@@ -71,7 +83,9 @@ def train_domains(docs: DataFrame, labelled: DataFrame, buckets: int = 1 << 15,
     table = []
     for own in seen:
         n = sum(own)
-        ratios = [math.log((c + SMOOTH * s / every * buckets) * every / ((n + SMOOTH * buckets) * s)) for c, s in zip(own, share, strict=True)]
+        ratios = [
+            math.log((c + SMOOTH * s / every * buckets) * every / ((n + SMOOTH * buckets) * s)) for c, s in zip(own, share, strict=True)
+        ]
         table.append([math.copysign(max(abs(x) - SHRINK, 0.0), x) for x in ratios])
     return domains, [math.log(priors[d] / total) for d in domains], table
 
@@ -94,15 +108,24 @@ def posteriors(docs: DataFrame, model, temperature: float = 1.0) -> DataFrame:
 
     def normal(logs: Column) -> Column:
         top = F.array_max(logs)
-        return common.let(F.transform(logs, lambda x: F.exp(x - top)), lambda es: F.transform(es, lambda e: e / F.aggregate(es, F.lit(0.0), lambda a, x: a + x)))
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), common.let(tokens_of(F.col("text")), scored).alias("x"))
+        return common.let(
+            F.transform(logs, lambda x: F.exp(x - top)),
+            lambda es: F.transform(es, lambda e: e / F.aggregate(es, F.lit(0.0), lambda a, x: a + x))
+        )
+
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+        common.let(tokens_of(F.col("text")), scored).alias("x")
+    )
     return rows.select("doc_id", "text_hash", "x.n_tokens", common.let(F.col("x.logs"), normal).alias("p"))
 
 
 def expected_totals(rows: DataFrame, k: int, rate: Column) -> list[float]:
     """Expected tokens of each domain at these rates: one aggregate."""
-    sums = rows.agg(*(F.coalesce(F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(d))), F.lit(0.0)).alias(f"s{d}") for d in range(k))).first()
+    sums = rows.agg(
+        *(F.coalesce(F.sum(rate * F.col("n_tokens") * F.get("p", F.lit(d))), F.lit(0.0)).alias(f"s{d}") for d in range(k))
+    ).first()
     return [float(x) for x in sums]
 
 
@@ -124,8 +147,14 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = 60, tolerance:
     def measured(y: list[float]) -> tuple[list[float], list[list[float]], float]:
         at = rows.withColumn("rate", rate_at(y))
         free = F.when(F.col("rate") > 0, 1.0).otherwise(0.0)
-        x = at.agg(*(total(F.col("rate") * part[d], f"s{d}") for d in range(k)), *(total(free * part[a] * part[b], f"m{a}_{b}") for a, b in cells), total(F.col("rate") * F.col("rate"), "square")).first()
-        return [x[f"s{d}"] - targets[d] * scale[d] for d in range(k)], [[x[f"m{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)], x["square"] / 2
+        x = at.agg(
+            *(total(F.col("rate") * part[d], f"s{d}") for d in range(k)),
+            *(total(free * part[a] * part[b], f"m{a}_{b}") for a, b in cells),
+            total(F.col("rate") * F.col("rate"), "square")
+        ).first()
+        return [x[f"s{d}"] - targets[d] * scale[d] for d in range(k)], [
+            [x[f"m{min(a, b)}_{max(a, b)}"] for b in range(k)] for a in range(k)
+        ], x["square"] / 2
 
     y = [0.0] * k
     residual, normal, square = measured(y)
@@ -149,7 +178,9 @@ def fit_rates(rows: DataFrame, targets: list[float], steps: int = 60, tolerance:
     return rows.withColumn("rate", rate_at(y)), [residual[d] / scale[d] + targets[d] for d in range(k)]
 
 
-def snap_rates(rows: DataFrame, targets: list[float], totals: list[float], snap: float, tolerance: float = 1e-3) -> tuple[DataFrame, list[float]]:
+def snap_rates(
+    rows: DataFrame, targets: list[float], totals: list[float], snap: float, tolerance: float = 1e-3
+) -> tuple[DataFrame, list[float]]:
     """rows with rates within `snap` of a whole number at that number, and the totals that they give then.
 
     snap is halved as often as it takes to keep the totals within tolerance of the targets (or as near as they were).
@@ -159,7 +190,12 @@ def snap_rates(rows: DataFrame, targets: list[float], totals: list[float], snap:
     snapped = lambda width: F.when(F.abs(F.col("rate") - near) <= width, near).otherwise(F.col("rate"))
     worst = lambda sums: max((abs(x - t) / max(t, 1.0) for x, t in zip(sums, targets, strict=True)), default=0.0)
     most = max(tolerance, worst(totals) * (1 + 1e-9))
-    x = rows.agg(*(F.coalesce(F.sum(snapped(w) * F.col("n_tokens") * F.get("p", F.lit(d))), F.lit(0.0)).alias(f"s{i}_{d}") for i, w in enumerate(widths) for d in range(k))).first()
+    x = rows.agg(
+        *(
+            F.coalesce(F.sum(snapped(w) * F.col("n_tokens") * F.get("p", F.lit(d))), F.lit(0.0)).alias(f"s{i}_{d}") for i,
+            w in enumerate(widths) for d in range(k)
+        )
+    ).first()
     sums = [[x[f"s{i}_{d}"] for d in range(k)] for i in range(len(widths))]
     i = next((i for i, own in enumerate(sums) if worst(own) <= most), len(widths) - 1)
     return rows.withColumn("rate", snapped(widths[i])), sums[i]
@@ -180,7 +216,9 @@ def _preconditioner(m: list[list[float]]) -> list[list[float]]:
     return [row[k:] for row in a]
 
 
-def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets: int = 1 << 15, tokens: float | None = None, snap: float = 0.05) -> DataFrame:
+def mix(
+    docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets: int = 1 << 15, tokens: float | None = None, snap: float = 0.05
+) -> DataFrame:
     """doc_id, text_hash, n_tokens, domain posteriors (map), rate, copies, residual of each row of docs (doc_id, text).
 
     weights: each domain's share of the mix, relative to its present expected tokens if `tokens` is None (1.0 keeps a
@@ -194,8 +232,14 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets
     model = train_domains(docs, labelled, buckets)
     domains = model[0]
     if not domains:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"), F.size(tokens_of(F.col("text"))).cast("long").alias("n_tokens"))
-        return rows.withColumn("posteriors", F.create_map(F.lit(""), F.lit(1.0))).withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1)).withColumn("residual", F.lit(0.0))
+        rows = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"),
+            F.size(tokens_of(F.col("text"))).cast("long").alias("n_tokens")
+        )
+        return rows.withColumn(
+            "posteriors", F.create_map(F.lit(""), F.lit(1.0))
+        ).withColumn("rate", F.lit(1.0)).withColumn("copies", F.lit(1)).withColumn("residual", F.lit(0.0))
     rows = common.written(posteriors(docs, model), "posteriors")
     now = expected_totals(rows, len(domains), F.lit(1.0))
     targets = [weights.get(d, 1.0) * (now[i] if tokens is None else tokens) for i, d in enumerate(domains)]
@@ -208,10 +252,23 @@ def mix(docs: DataFrame, labelled: DataFrame, weights: dict[str, float], buckets
     u = F.pmod(F.xxhash64(F.lit("mix"), "doc_id", "text_hash"), F.lit(1 << 30)) / float(1 << 30)
     copies = (F.floor(rate) + (u < rate - F.floor(rate)).cast("int")).cast("int")
     named = F.map_from_arrays(F.array(*map(F.lit, domains)), F.col("p"))
-    return rows.select("doc_id", "text_hash", "n_tokens", named.alias("posteriors"), rate.alias("rate"), copies.alias("copies"), F.lit(residual).alias("residual"))
+    return rows.select(
+        "doc_id",
+        "text_hash",
+        "n_tokens",
+        named.alias("posteriors"),
+        rate.alias("rate"),
+        copies.alias("copies"),
+        F.lit(residual).alias("residual")
+    )
 
 
 def label_domains(labels: DataFrame) -> DataFrame:
     """doc_id and domain of the labels table: its quality and toxicity marks together. Rows without an id are left out; of several for an id the least domain stands."""
-    name = F.concat(F.lit("quality"), F.coalesce(F.col("quality").cast("string"), F.lit("?")), F.lit("_toxic"), F.coalesce(F.col("toxic").cast("string"), F.lit("?")))
+    name = F.concat(
+        F.lit("quality"),
+        F.coalesce(F.col("quality").cast("string"), F.lit("?")),
+        F.lit("_toxic"),
+        F.coalesce(F.col("toxic").cast("string"), F.lit("?"))
+    )
     return labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(name).alias("domain"))

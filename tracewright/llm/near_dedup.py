@@ -45,7 +45,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(20_14)
-    return (rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64) * 2 + 1).astype(np.uint32), rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
+    return (
+        rng.integers(0, 2**31, BANDS * ROWS, dtype=np.uint64) * 2 + 1
+    ).astype(np.uint32), rng.integers(0, 2**32, BANDS * ROWS, dtype=np.uint64).astype(np.uint32)
 
 
 def signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray, ...]:
@@ -76,7 +78,9 @@ def signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray,
         if len(full):
             every = np.concatenate(own)
             bit = np.repeat(np.arange(len(full)), counts[full]) * SET_BITS + (every % np.uint64(SET_BITS)).astype(np.int64)
-            parity[full] = np.packbits((np.bincount(bit, minlength=len(full) * SET_BITS) & 1).astype(np.uint8).reshape(len(full), SET_BITS), axis=1).view(np.int64)
+            parity[full] = np.packbits(
+                (np.bincount(bit, minlength=len(full) * SET_BITS) & 1).astype(np.uint8).reshape(len(full), SET_BITS), axis=1
+            ).view(np.int64)
             x = (every >> np.uint64(32)).astype(np.uint32)
             starts = (np.cumsum(counts) - counts)[full]
             a, b = _permutations()
@@ -104,7 +108,17 @@ def sign(docs: DataFrame) -> DataFrame:
                 hashes.clear()
             node, n, bands, sketch, parity = signatures(table.column("text").to_pylist(), hashes)
             lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64()))
-            yield from pa.table({"doc_id": table.column("doc_id"), "text_hash": table.column("text_hash"), "node": node, "n_shingles": pa.array(n, pa.int64()), "bands": lists(bands), "sketch": lists(sketch), "parity": lists(parity)}).to_batches()
+            yield from pa.table(
+                {
+                    "doc_id": table.column("doc_id"),
+                    "text_hash": table.column("text_hash"),
+                    "node": node,
+                    "n_shingles": pa.array(n, pa.int64()),
+                    "bands": lists(bands),
+                    "sketch": lists(sketch),
+                    "parity": lists(parity)
+                }
+            ).to_batches()
 
     return docs.mapInArrow(run, _SCHEMA)
 
@@ -168,10 +182,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, most: int = 64) ->
         both = both.join(places[end], end).withColumn(f"at_{end}", F.pmod(F.xxhash64(other), F.col("places")).cast("int")).drop("places")
     for end in ("a", "b"):
         own = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).join(places[end], end)
-        both = both.join(own.withColumn(f"at_{end}", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places"), [end, f"at_{end}"])
+        both = both.join(
+            own.withColumn(f"at_{end}", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places"), [end, f"at_{end}"]
+        )
     sets = both.select("a", "b", shingles(F.col("text_a")).alias("x"), shingles(F.col("text_b")).alias("y"))
     common_n = F.size(F.array_intersect("x", "y"))
-    return sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), common_n.alias("n")).select("a", "b", (100 * F.col("n") >= percent * (F.col("nx") + F.col("ny") - F.col("n"))).alias("linked"))
+    return sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), common_n.alias("n")).select(
+        "a", "b", (100 * F.col("n") >= percent * (F.col("nx") + F.col("ny") - F.col("n"))).alias("linked")
+    )
 
 
 def _best(pairs: DataFrame, by: list[str], most: int) -> DataFrame:
@@ -186,7 +204,9 @@ def joined(label: DataFrame | None, links: DataFrame) -> DataFrame:
         return components(links)
     ends = links
     for end in ("a", "b"):
-        ends = ends.join(label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left").withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
+        ends = ends.join(
+            label.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left"
+        ).withColumn(f"label_{end}", F.coalesce(f"label_{end}", end))
     ends = common.written(ends.select("label_a", "label_b"), "label-links")
     moved = components(ends, "label_a", "label_b").select(F.col("node").alias("label"), F.col("label").alias("to"))
     ends = ends.select(F.explode(F.array("label_a", "label_b")).alias("label")).distinct().select(F.col("label").alias("node"), "label")
@@ -201,12 +221,21 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
     `rounds` take each member's two likeliest pairs with every other component, the last round takes all that are left.
     """
     members = classes.select("node", F.explode("bands").alias("bucket"))
-    buckets = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "node").alias("order"), "node")).alias("hub")).where(F.col("n") > 1)
+    buckets = members.groupBy("bucket").agg(
+        F.count("*").alias("n"), F.min(F.struct(F.xxhash64("bucket", "node").alias("order"), "node")).alias("hub")
+    ).where(F.col("n") > 1)
     shared = common.written(members.join(buckets.select("bucket", F.col("hub.node").alias("hub")), "bucket"), "shared-buckets")
     texts = common.written(texts_of(shared.select("node").distinct()), "candidate-texts")
     about = classes.select("node", "n_shingles", "sketch", "parity")
-    side = lambda name: about.select(F.col("node").alias(name), F.col("n_shingles").alias(f"n_{name}"), F.col("sketch").alias(f"sketch_{name}"), F.col("parity").alias(f"parity_{name}"))
-    met = shared.where(F.col("node") != F.col("hub")).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct().join(side("a"), "a").join(side("b"), "b")
+    side = lambda name: about.select(
+        F.col("node").alias(name),
+        F.col("n_shingles").alias(f"n_{name}"),
+        F.col("sketch").alias(f"sketch_{name}"),
+        F.col("parity").alias(f"parity_{name}")
+    )
+    met = shared.where(F.col("node") != F.col("hub")).select(
+        F.col("node").alias("a"), F.col("hub").alias("b")
+    ).distinct().join(side("a"), "a").join(side("b"), "b")
     met = met.where(alike_sizes(F.col("n_a"), F.col("n_b"), percent)).where(estimate(F.col("sketch_a"), F.col("sketch_b")) >= least)
     sets = set_estimate(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"))
     may_reach = set_may_reach(F.col("parity_a"), F.col("parity_b"), F.col("n_a"), F.col("n_b"), percent)
@@ -219,22 +248,62 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
             label = joined(label, links)
         if turn == 0 or links.take(1):
             labelled = shared.select("bucket", "node")
-            labelled = labelled.join(label, "node", "left").select("bucket", "node", F.coalesce("label", "node").alias("label")) if label is not None else labelled.withColumn("label", F.col("node"))
+            labelled = labelled.join(label, "node", "left").select(
+                "bucket", "node", F.coalesce("label", "node").alias("label")
+            ) if label is not None else labelled.withColumn("label", F.col("node"))
             labelled = common.written(labelled, "labelled-buckets")
             # The buckets whose members are in several components, and the component that most are in.
             sizes = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-            mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where(F.col("k") > 1).select("bucket", F.col("top.label").alias("top"), F.ceil(F.col("n") / GRID).cast("int").alias("parts"))
-            left = common.written(labelled.join(mixed, "bucket").join(classes.select("node", "n_shingles", "sketch", "parity", "bands"), "node"), "mixed-buckets")
+            mixed = sizes.groupBy("bucket").agg(F.count("*").alias("k"), F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where(F.col("k") > 1).select(
+                "bucket", F.col("top.label").alias("top"), F.ceil(F.col("n") / GRID).cast("int").alias("parts")
+            )
+            left = common.written(
+                labelled.join(mixed, "bucket").join(classes.select("node", "n_shingles", "sketch", "parity", "bands"), "node"),
+                "mixed-buckets"
+            )
             # A large bucket is a grid: its members are dealt into parts, and each part of a meets each part of b in a task of its own.
-            part, every = F.pmod(F.xxhash64("bucket", "node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-            a = left.where(F.col("label") != F.col("top")).select("bucket", part.alias("i"), every.alias("j"), F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("top"), F.col("n_shingles").alias("n_a"), F.col("sketch").alias("sketch_a"), F.col("parity").alias("parity_a"), F.col("bands").alias("bands_a"))
-            b = left.select("bucket", every.alias("i"), part.alias("j"), F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("n_shingles").alias("n_b"), F.col("sketch").alias("sketch_b"), F.col("parity").alias("parity_b"), F.col("bands").alias("bands_b"))
+            part, every = F.pmod(
+                F.xxhash64("bucket", "node"), F.col("parts")
+            ).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+            a = left.where(F.col("label") != F.col("top")).select(
+                "bucket",
+                part.alias("i"),
+                every.alias("j"),
+                F.col("node").alias("a"),
+                F.col("label").alias("label_a"),
+                F.col("top"),
+                F.col("n_shingles").alias("n_a"),
+                F.col("sketch").alias("sketch_a"),
+                F.col("parity").alias("parity_a"),
+                F.col("bands").alias("bands_a")
+            )
+            b = left.select(
+                "bucket",
+                every.alias("i"),
+                part.alias("j"),
+                F.col("node").alias("b"),
+                F.col("label").alias("label_b"),
+                F.col("n_shingles").alias("n_b"),
+                F.col("sketch").alias("sketch_b"),
+                F.col("parity").alias("parity_b"),
+                F.col("bands").alias("bands_b")
+            )
             once = (F.col("label_b") == F.col("top")) | (F.col("a") < F.col("b"))  # two members outside the top component meet once
             first = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), F.lit(True))
-            here = F.get("bands_a", first.cast("int") - 1) == a.bucket  # a pair that meets in several buckets leaves the first of them alone
-            close = a.join(b, (a.bucket == b.bucket) & (a.i == b.i) & (a.j == b.j) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (estimate(F.col("sketch_a"), F.col("sketch_b")) >= least) & may_reach & here)
+            here = F.get(  # a pair that meets in several buckets leaves the first of them alone
+                "bands_a", first.cast("int") - 1
+            ) == a.bucket
+            close = a.join(
+                b,
+                (a.bucket == b.bucket) & (a.i == b.i) & (a.j == b.j) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (
+                    estimate(F.col("sketch_a"), F.col("sketch_b")) >= least
+                ) & may_reach & here
+            )
             # Dealt by pair: later joins read what tasks wrote, and a grid's tasks find very different numbers of pairs.
-            close = common.written(close.select("a", "b", "label_b", sets.alias("estimate")).repartition(common.partitions(close.sparkSession), "a", "b"), "close-pairs")
+            close = common.written(
+                close.select("a", "b", "label_b", sets.alias("estimate")).repartition(common.partitions(close.sparkSession), "a", "b"),
+                "close-pairs"
+            )
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
         fresh = close.join(known, ["a", "b"], "left_anti")
         fresh = _best(fresh, ["a", "label_b"], 2) if turn < rounds else fresh
@@ -256,15 +325,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15) ->
     estimate may fall below the threshold before a pair is left unconfirmed (five standard deviations). An empty table
     gives an empty result.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("text_hash", F.xxhash64("text"))
     signed = common.written(sign(docs), "signatures")
-    classes = signed.where(F.col("n_shingles") > 0).groupBy("node").agg(F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "doc_id", "n_shingles", "bands", "sketch", "parity")).alias("x"))
-    classes = common.written(classes.select("node", "first", F.col("x.doc_id").alias("one"), "x.text_hash", "x.n_shingles", "x.bands", "x.sketch", "x.parity"), "classes")
+    classes = signed.where(F.col("n_shingles") > 0).groupBy("node").agg(
+        F.min("doc_id").alias("first"), F.min(F.struct("text_hash", "doc_id", "n_shingles", "bands", "sketch", "parity")).alias("x")
+    )
+    classes = common.written(
+        classes.select("node", "first", F.col("x.doc_id").alias("one"), "x.text_hash", "x.n_shingles", "x.bands", "x.sketch", "x.parity"),
+        "classes"
+    )
 
     def texts_of(nodes: DataFrame) -> DataFrame:
         """One row of each class gives its text, so a text of many copies is no hot key."""
         wanted = classes.join(nodes, "node", "left_semi").select("one", F.col("text_hash").alias("hash"), "node")
-        return docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("text_hash") == F.col("hash"))).groupBy("node").agg(F.min("text").alias("text"))
+        return docs.join(
+            wanted, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("text_hash") == F.col("hash"))
+        ).groupBy("node").agg(F.min("text").alias("text"))
 
     label = find_components(classes, texts_of, percent, percent / 100 - margin)
     firsts = classes.select("node", "first")

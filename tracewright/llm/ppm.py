@@ -34,7 +34,16 @@ GRAM, WORD = 0, 1
 #: Slots of the keys at most: each block has a row for every slot. Beyond, a slot's requests are dealt out to several places.
 MOST_SLOTS = 4096
 _PACK = "slot int, kind int, keys binary, counts binary, n_keys long, n_sum long"
-_ARROW = pa.schema([("slot", pa.int32()), ("kind", pa.int32()), ("keys", pa.binary()), ("counts", pa.binary()), ("n_keys", pa.int64()), ("n_sum", pa.int64())])
+_ARROW = pa.schema(
+    [
+        ("slot", pa.int32()),
+        ("kind", pa.int32()),
+        ("keys", pa.binary()),
+        ("counts", pa.binary()),
+        ("n_keys", pa.int64()),
+        ("n_sum", pa.int64())
+    ]
+)
 
 
 def grams(texts: list[bytes], order: int) -> np.ndarray:
@@ -104,7 +113,16 @@ def count(docs: DataFrame, order: int, slots: int, chunk: int = 4 << 20) -> Data
         for s, end in enumerate(ends.tolist()):
             if end > begin:
                 own = counts[begin:end]
-                out.append({"slot": s, "kind": kind, "keys": common.packed(keys[begin:end]), "counts": common.packed(own.astype(np.int64)), "n_keys": end - begin, "n_sum": int(own.sum())})
+                out.append(
+                    {
+                        "slot": s,
+                        "kind": kind,
+                        "keys": common.packed(keys[begin:end]),
+                        "counts": common.packed(own.astype(np.int64)),
+                        "n_keys": end - begin,
+                        "n_sum": int(own.sum())
+                    }
+                )
             begin = end
         return out
 
@@ -113,7 +131,9 @@ def count(docs: DataFrame, order: int, slots: int, chunk: int = 4 << 20) -> Data
             held = np.array(table.column("held_out").to_pylist(), dtype=bool)
             texts = _texts(table)
             out = []
-            parts = [np.unique(grams([t for t, h in zip(texts, held, strict=True) if h == x], order), return_counts=True) for x in (False, True)]
+            parts = [
+                np.unique(grams([t for t, h in zip(texts, held, strict=True) if h == x], order), return_counts=True) for x in (False, True)
+            ]
             out += rows(GRAM, *added(np.concatenate([parts[0][0], parts[1][0]]), np.concatenate([parts[0][1], parts[1][1] * 0])))
             at, lengths, keys = word_places([t for t, h in zip(texts, held, strict=True) if not h])
             n = np.bincount(at, minlength=len(keys))
@@ -138,7 +158,19 @@ def count(docs: DataFrame, order: int, slots: int, chunk: int = 4 << 20) -> Data
                 if size > max(len(keys), 1 << 20):
                     (keys, counts), held, size = folded(), [], 0
         keys, counts = folded()
-        yield pa.RecordBatch.from_pylist([{"slot": key[0].as_py(), "kind": key[1].as_py(), "keys": common.packed(keys), "counts": common.packed(counts), "n_keys": len(keys), "n_sum": int(counts.sum())}], schema=_ARROW)
+        yield pa.RecordBatch.from_pylist(
+            [
+                {
+                    "slot": key[0].as_py(),
+                    "kind": key[1].as_py(),
+                    "keys": common.packed(keys),
+                    "counts": common.packed(counts),
+                    "n_keys": len(keys),
+                    "n_sum": int(counts.sum())
+                }
+            ],
+            schema=_ARROW
+        )
 
     return docs.mapInArrow(run, _PACK).groupBy("slot", "kind").applyInArrow(merge, _PACK)
 
@@ -156,25 +188,50 @@ def string_values(counted: DataFrame, order: int) -> DataFrame:
                 k, n = np.frombuffer(common.unpacked(keys), np.uint64), np.frombuffer(common.unpacked(counts), np.int64)
                 for i in range(0, len(k), 100_000):
                     part = k[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), slot), pa.int32()), pa.array((part >> np.uint64(8)).astype(np.int64)), pa.array((part & np.uint64(255)).astype(np.int32)), pa.array(n[i : i + 100_000])], names=["slot", "ctx", "sym", "n"])
-
-    rows = common.written(counted.where(F.col("kind") == GRAM).select("slot", "keys", "counts").mapInArrow(unpack, "slot int, ctx long, sym int, n long"), "strings")
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(part), slot), pa.int32()),
+                            pa.array((part >> np.uint64(8)).astype(np.int64)),
+                            pa.array((part & np.uint64(255)).astype(np.int32)),
+                            pa.array(n[i : i + 100_000])
+                        ],
+                        names=["slot", "ctx", "sym", "n"]
+                    )
+
+    rows = common.written(
+        counted.where(F.col("kind") == GRAM).select("slot", "keys", "counts").mapInArrow(unpack, "slot int, ctx long, sym int, n long"),
+        "strings"
+    )
     level = {order: rows.where(F.col("n") > 0).select("ctx", "sym", "n")}
     for k in range(order - 1, -1, -1):
-        level[k] = common.written(level[k + 1].groupBy(_context(F.col("ctx"), k).alias("ctx"), "sym").agg(F.sum("n").alias("n")), f"level{k}")
+        level[k] = common.written(
+            level[k + 1].groupBy(_context(F.col("ctx"), k).alias("ctx"), "sym").agg(F.sum("n").alias("n")), f"level{k}"
+        )
     contexts = {}
     for k in range(order + 1):
         contexts[k] = level[k].groupBy("ctx").agg(F.sum("n").alias("all"), F.count("*").alias("kinds"))
         if k:  # what the next shorter context has counted of this context's symbols
             up = level[k - 1].select(F.col("ctx").alias("up"), F.col("sym").alias("up_sym"), F.col("n").alias("up_n"))
             up = F.broadcast(up) if k <= 2 else up  # at most 256 x 256 rows
-            shared = level[k].join(up, (_context(F.col("ctx"), k - 1) == F.col("up")) & (F.col("sym") == F.col("up_sym"))).groupBy("ctx").agg(F.sum("up_n").alias("shared"))
+            shared = level[k].join(
+                up, (_context(F.col("ctx"), k - 1) == F.col("up")) & (F.col("sym") == F.col("up_sym"))
+            ).groupBy("ctx").agg(F.sum("up_n").alias("shared"))
             contexts[k] = contexts[k].join(shared, "ctx")
         else:
             contexts[k] = contexts[k].withColumn("shared", F.lit(0).cast("long"))
         contexts[k] = contexts[k].select(F.col("ctx").alias("c"), "all", "kinds", "shared")
-    seen = rows.where(F.col("n") > 0).join(contexts[order], F.col("ctx") == F.col("c")).select("slot", "ctx", "sym", F.log10(F.col("n") / (F.col("all") + F.col("kinds"))).alias("value"))
-    asked = rows.where(F.col("n") == 0).select("slot", "ctx", "sym", F.lit(0.0).alias("value"), F.lit(False).alias("done"), F.lit(0).cast("long").alias("ex_all"), F.lit(0).cast("long").alias("ex_kinds"))
+    seen = rows.where(F.col("n") > 0).join(contexts[order], F.col("ctx") == F.col("c")).select(
+        "slot", "ctx", "sym", F.log10(F.col("n") / (F.col("all") + F.col("kinds"))).alias("value")
+    )
+    asked = rows.where(F.col("n") == 0).select(
+        "slot",
+        "ctx",
+        "sym",
+        F.lit(0.0).alias("value"),
+        F.lit(False).alias("done"),
+        F.lit(0).cast("long").alias("ex_all"),
+        F.lit(0).cast("long").alias("ex_kinds")
+    )
     for k in range(order, -1, -1):
         small = (lambda df, at_most: F.broadcast(df) if at_most <= 2 else df)  # 256^2 rows at most
         asked = asked.withColumn("own", _context(F.col("ctx"), k))
@@ -187,9 +244,24 @@ def string_values(counted: DataFrame, order: int) -> DataFrame:
         n, d = F.col("all") - F.col("ex_all"), F.col("kinds") - F.col("ex_kinds")
         hit, escape = F.log10(F.col("ln") / (n + d)), F.when(d > 0, F.log10(d / F.greatest(n + d, F.lit(1)))).otherwise(0.0)
         value = F.col("value") + F.when(F.col("done") | F.col("c").isNull(), 0.0).when(F.col("ln").isNotNull(), hit).otherwise(escape)
-        asked = asked.select("slot", "ctx", "sym", value.alias("value"), (F.col("done") | F.col("ln").isNotNull()).alias("done"), F.coalesce("shared", F.lit(0)).alias("ex_all"), F.coalesce("kinds", F.lit(0)).alias("ex_kinds"))
+        asked = asked.select(
+            "slot",
+            "ctx",
+            "sym",
+            value.alias("value"),
+            (F.col("done") | F.col("ln").isNotNull()).alias("done"),
+            F.coalesce("shared", F.lit(0)).alias("ex_all"),
+            F.coalesce("kinds", F.lit(0)).alias("ex_kinds")
+        )
     # Not even the empty context knows the symbol: all others are alike. ex_kinds holds the empty context's symbols.
-    asked = asked.select("slot", "ctx", "sym", F.when(F.col("done"), F.col("value")).otherwise(F.col("value") - F.log10(F.greatest(256 - F.col("ex_kinds"), F.lit(1)).cast("double"))).alias("value"))
+    asked = asked.select(
+        "slot",
+        "ctx",
+        "sym",
+        F.when(F.col("done"), F.col("value")).otherwise(
+            F.col("value") - F.log10(F.greatest(256 - F.col("ex_kinds"), F.lit(1)).cast("double"))
+        ).alias("value")
+    )
     return seen.unionByName(asked).select("slot", (F.shiftleft("ctx", 8).bitwiseOR(F.col("sym").cast("long"))).alias("key"), "value")
 
 
@@ -201,7 +273,9 @@ def sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return out
 
 
-def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20, slot_bytes: int = 32 << 20) -> DataFrame:
+def score(
+    docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_bytes: int = 6 << 20, slot_bytes: int = 32 << 20
+) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text; others are ignored).
 
     Documents whose crc32(doc_id as text) mod folds is `held` are not learnt from. A null text is empty: one token, its
@@ -217,22 +291,37 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
     blocks = max(1, -(-int(size) // block_bytes))
     slots = max(common.partitions(spark), min(-(-int(size) // slot_bytes), MOST_SLOTS))
     places = max(1, -(-int(size) // (4 * slots * slot_bytes)))  # of a slot's requests, and of its part of the model
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", (common.crc_mod(F.col("doc_id"), folds) == held).alias("held_out"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), "text", (common.crc_mod(F.col("doc_id"), folds) == held).alias("held_out")
+    )
     counted = common.written(count(docs, order, slots), "counted")
-    totals = counted.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n_sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_keys"), F.lit(0)).alias("v")).first()
+    totals = counted.where(F.col("kind") == WORD).agg(
+        F.coalesce(F.sum("n_sum"), F.lit(0)).alias("n"), F.coalesce(F.sum("n_keys"), F.lit(0)).alias("v")
+    ).first()
     train_tokens, base = int(totals["n"]), float(totals["n"] + totals["v"] + 1)
 
     def gather(key, table):
         keys = table.column("key").to_numpy().astype(np.uint64)
         at = np.argsort(keys)
-        return pa.table({"slot": pa.array([key[0].as_py()], pa.int32()), "kind": pa.array([GRAM], pa.int32()), "keys": pa.array([common.packed(keys[at])], pa.binary()), "values": pa.array([common.packed(table.column("value").to_numpy()[at])], pa.binary())})
+        return pa.table(
+            {
+                "slot": pa.array([key[0].as_py()], pa.int32()),
+                "kind": pa.array([GRAM], pa.int32()),
+                "keys": pa.array([common.packed(keys[at])], pa.binary()),
+                "values": pa.array([common.packed(table.column("value").to_numpy()[at])], pa.binary())
+            }
+        )
 
     strings = string_values(counted, order).groupBy("slot").applyInArrow(gather, "slot int, kind int, keys binary, values binary")
-    model = common.written(strings.unionByName(counted.where(F.col("kind") == WORD).select("slot", "kind", "keys", F.col("counts").alias("values"))), "model")
+    model = common.written(
+        strings.unionByName(counted.where(F.col("kind") == WORD).select("slot", "kind", "keys", F.col("counts").alias("values"))), "model"
+    )
 
     # Rows are dealt, not values: rows that repeat go to many blocks.
     turn = F.monotonically_increasing_id().bitwiseAND(1023)
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64("doc_id", "text", turn), F.lit(blocks)).cast("int")).repartition(max(slots, min(blocks, 100_000)), "block")
+    dealt = docs.withColumn(
+        "block", F.pmod(F.xxhash64("doc_id", "text", turn), F.lit(blocks)).cast("int")
+    ).repartition(max(slots, min(blocks, 100_000)), "block")
 
     def request(key, table):
         out, texts = [], _texts(table)
@@ -243,7 +332,14 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
                 if end > begin:
                     out.append((key[0].as_py(), s, kind, common.packed(keys[begin:end])))
                 begin = end
-        return pa.table({"block": pa.array([x[0] for x in out], pa.int32()), "slot": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "keys": pa.array([x[3] for x in out], pa.binary())})
+        return pa.table(
+            {
+                "block": pa.array([x[0] for x in out], pa.int32()),
+                "slot": pa.array([x[1] for x in out], pa.int32()),
+                "kind": pa.array([x[2] for x in out], pa.int32()),
+                "keys": pa.array([x[3] for x in out], pa.binary())
+            }
+        )
 
     def answer(batches):
         """Rows come by slot, kind and place, the model's before the requests: one slot of the model and one request are held at a time."""
@@ -261,7 +357,14 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
                 at = np.minimum(np.searchsorted(keys, asked), max(len(keys) - 1, 0))
                 got = np.where(keys[at] == asked, values[at], 0) if len(keys) else np.zeros(len(asked), dtype)
                 out.append((r["block"], r["slot"], r["kind"], common.packed(got.astype(dtype))))
-            yield pa.RecordBatch.from_pydict({"block": pa.array([x[0] for x in out], pa.int32()), "slot": pa.array([x[1] for x in out], pa.int32()), "kind": pa.array([x[2] for x in out], pa.int32()), "values": pa.array([x[3] for x in out], pa.binary())})
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "block": pa.array([x[0] for x in out], pa.int32()),
+                    "slot": pa.array([x[1] for x in out], pa.int32()),
+                    "kind": pa.array([x[2] for x in out], pa.int32()),
+                    "values": pa.array([x[3] for x in out], pa.binary())
+                }
+            )
 
     def add_up(table, answers):
         texts, got = _texts(table), {(r["kind"], r["slot"]): r["values"] for r in answers.to_pylist()}
@@ -282,14 +385,31 @@ def score(docs: DataFrame, order: int = 5, folds: int = 7, held: int = 2, block_
         at, lengths, keys = word_places(texts)
         n = answered(WORD, np.append(keys, np.uint64(END_WORD)))
         rate, end = np.log10((n + 1) / base), len(keys)
-        out = {"n_tokens": lengths + 1, "n_known": sums((n[at] > 0).astype(np.int64), lengths) + int(n[end] > 0), "base_score": sums(rate[at], lengths) + rate[end], "score": score}
+        out = {
+            "n_tokens": lengths + 1,
+            "n_known": sums((n[at] > 0).astype(np.int64), lengths) + int(n[end] > 0),
+            "base_score": sums(rate[at], lengths) + rate[end],
+            "score": score
+        }
         kinds = {"n_tokens": pa.int64(), "n_known": pa.int64(), "base_score": pa.float64(), "score": pa.float64()}
-        return pa.table({"doc_id": table.column("doc_id"), "held_out": table.column("held_out")} | {k: pa.array(v, kinds[k]) for k, v in out.items()})
+        return pa.table(
+            {"doc_id": table.column("doc_id"), "held_out": table.column("held_out")} | {k: pa.array(v, kinds[k]) for k, v in out.items()}
+        )
 
     requests = dealt.groupBy("block").applyInArrow(request, "block int, slot int, kind int, keys binary")
-    known = model.select("slot", "kind", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), F.lit(-1).alias("block"), "keys", "values")
-    asked = requests.select("slot", "kind", F.pmod("block", F.lit(places)).alias("place"), "block", "keys", F.lit(None).cast("binary").alias("values"))
-    both = known.unionByName(asked).repartition(min(2 * slots * places, 100_000), "slot", "kind", "place").sortWithinPartitions("slot", "kind", "place", "block")
+    known = model.select(
+        "slot", "kind", F.explode(F.sequence(F.lit(0), F.lit(places - 1))).alias("place"), F.lit(-1).alias("block"), "keys", "values"
+    )
+    asked = requests.select(
+        "slot", "kind", F.pmod("block", F.lit(places)).alias("place"), "block", "keys", F.lit(None).cast("binary").alias("values")
+    )
+    both = known.unionByName(asked).repartition(
+        min(2 * slots * places, 100_000), "slot", "kind", "place"
+    ).sortWithinPartitions("slot", "kind", "place", "block")
     answers = both.mapInArrow(answer, "block int, slot int, kind int, values binary")
-    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    scored = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(
+        add_up, "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    )
+    return scored.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score"
+    )

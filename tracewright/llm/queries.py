@@ -29,7 +29,14 @@ def op1_ppm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in every document, the items they are of as a digest."""
     found = winnowing.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated")
+    )
 
 
 def op3_simple8b(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +86,12 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = str(public_tokenizers.path(BPE_RANKS))
     found = bpe.decode(bpe.encode(read(spark, sf_dir, "documents"), path), path)
     digits = F.array_join(F.col("ids").cast("array<string>"), " ")
-    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(digits.cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(digits.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256")
+    )
 
 
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +105,13 @@ def op13_filtering_lloyd(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes of all vectors, their errors and those of their labels, and a digest of the codebooks."""
     codes, books = vector_codes.compress(read(spark, sf_dir, "embeddings"))
     found = vector_codes.with_label_errors(written(codes, "vector-codes"))
-    return found.select("vec_id", vector_codes.code_text(F.col("code")).alias("code"), "error", "label_error", F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256"))
+    return found.select(
+        "vec_id",
+        vector_codes.code_text(F.col("code")).alias("code"),
+        "error",
+        "label_error",
+        F.lit(vector_codes.codebooks_sha256(books)).alias("codebooks_sha256")
+    )
 
 
 QUERIES = {
@@ -103,4 +121,10 @@ QUERIES = {
         op10_soft_mixing, op11_byte_bpe, op12_fill_in_middle, op13_filtering_lloyd,
     )
 }
-SQL: dict[str, str] = {"op2_winnowing": winnowing.SQL, "op5_zip_warc": warc_zip.SQL, "op9_line_rules": line_rules.SQL, "op12_fill_in_middle": infill.SQL, "op13_filtering_lloyd": vector_codes.SQL}
+SQL: dict[str, str] = {
+    "op2_winnowing": winnowing.SQL,
+    "op5_zip_warc": warc_zip.SQL,
+    "op9_line_rules": line_rules.SQL,
+    "op12_fill_in_middle": infill.SQL,
+    "op13_filtering_lloyd": vector_codes.SQL
+}

@@ -35,7 +35,18 @@ def _frequencies(table: pa.Table, block: int, slots: int, places: int, pattern:
         codes += [of.setdefault(x, len(of)) for x in own]
     ids = [x for x in table.column("doc_id").to_pylist()]
     none = common.packed(b"")
-    yield {"block": block, "slot": block % slots, "place": block % places, "keys": none, "key_bytes": none, "n_docs": none, "at": none, "freq": none, "ids": ids, "n_bytes": [len(x.encode()) for x in texts]}
+    yield {
+        "block": block,
+        "slot": block % slots,
+        "place": block % places,
+        "keys": none,
+        "key_bytes": none,
+        "n_docs": none,
+        "at": none,
+        "freq": none,
+        "ids": ids,
+        "n_bytes": [len(x.encode()) for x in texts]
+    }
     if not of:
         return
     keys = [x.encode() for x in of]
@@ -53,14 +64,27 @@ def _frequencies(table: pa.Table, block: int, slots: int, places: int, pattern:
         own = [keys[i] for i in order[cuts[s] : cuts[s + 1]].tolist()]
         p = slice(pair_cuts[s], pair_cuts[s + 1])
         yield {
-            "block": block, "slot": s, "place": block % places, "keys": common.packed(b"".join(own)), "key_bytes": common.packed(np.array([len(x) for x in own], "<u4")),
-            "n_docs": common.packed(per_key[cuts[s] : cuts[s + 1]]), "at": common.packed(at[p].astype("<u4")), "freq": common.packed(freq[p].astype("<u4")), "ids": None, "n_bytes": None,
+            "block": block, "slot": s, "place": block % places, "keys": common.packed(b"".join(own)), "key_bytes": common.packed(
+                np.array([len(x) for x in own], "<u4")
+            ),
+            "n_docs": common.packed(
+                per_key[cuts[s] : cuts[s + 1]]
+            ), "at": common.packed(at[p].astype("<u4")), "freq": common.packed(freq[p].astype("<u4")), "ids": None, "n_bytes": None,
         }
 
 
 def pre_token_frequencies(docs: DataFrame, path: str, pattern: str, block_bytes: int, slots: int, places: int = 1) -> DataFrame:
     """Per-document pre-token frequencies, packed by block and slot; place: which of a slot's places the block is dealt to."""
-    arrow = pa.schema([("block", pa.int64()), ("slot", pa.int32()), ("place", pa.int32()), *((c, pa.binary()) for c in ("keys", "key_bytes", "n_docs", "at", "freq")), ("ids", pa.list_(pa.int64())), ("n_bytes", pa.list_(pa.int64()))])
+    arrow = pa.schema(
+        [
+            ("block", pa.int64()),
+            ("slot", pa.int32()),
+            ("place", pa.int32()),
+            *((c, pa.binary()) for c in ("keys", "key_bytes", "n_docs", "at", "freq")),
+            ("ids", pa.list_(pa.int64())),
+            ("n_bytes", pa.list_(pa.int64()))
+        ]
+    )
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -83,7 +107,14 @@ def _count(path: str, pattern: str):
                 raw, ends = common.unpacked(keys), np.cumsum(np.frombuffer(common.unpacked(sizes), "<u4")).tolist()
                 own = [raw[a:b].decode() for a, b in zip([0, *ends], ends, strict=False)]
                 pieces.append(common.packed(np.fromiter(map(len, encoder.of(own)), "<u4", len(own)) // 4))
-            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(pieces, pa.binary()), *(batch.column(c) for c in ("n_docs", "at", "freq", "ids", "n_bytes"))], names=["block", "pieces", "n_docs", "at", "freq", "ids", "n_bytes"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("block"),
+                    pa.array(pieces, pa.binary()),
+                    *(batch.column(c) for c in ("n_docs", "at", "freq", "ids", "n_bytes"))
+                ],
+                names=["block", "pieces", "n_docs", "at", "freq", "ids", "n_bytes"]
+            )
 
     return run
 
@@ -94,12 +125,18 @@ def _sum(table: pa.Table) -> pa.Table:
     first = next(r for r in rows if r["ids"] is not None)
     total = np.zeros(len(first["ids"]), dtype=np.int64)
     for r in rows:
-        pieces, n_docs, at, freq = (np.frombuffer(common.unpacked(r[c]), "<u4").astype(np.int64) for c in ("pieces", "n_docs", "at", "freq"))
+        pieces, n_docs, at, freq = (
+            np.frombuffer(common.unpacked(r[c]), "<u4").astype(np.int64) for c in ("pieces", "n_docs", "at", "freq")
+        )
         np.add.at(total, at, np.repeat(pieces, n_docs) * freq)
-    return pa.table({"doc_id": pa.array(first["ids"], pa.int64()), "n_bytes": pa.array(first["n_bytes"], pa.int64()), "n_tokens": pa.array(total)})
+    return pa.table(
+        {"doc_id": pa.array(first["ids"], pa.int64()), "n_bytes": pa.array(first["n_bytes"], pa.int64()), "n_tokens": pa.array(total)}
+    )
 
 
-def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, block_bytes: int = 16 << 20, slot_bytes: int = 32 << 20) -> DataFrame:
+def count_tokens(
+    docs: DataFrame, path: str, pattern: str, limit: int = 1024, block_bytes: int = 16 << 20, slot_bytes: int = 32 << 20
+) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs (doc_id, text; others are ignored).
 
     A null text counts as empty: 0 bytes, 0 tokens. Texts are whole; a block holds at least one, however long. Repeated rows and repeated or null ids give one row each. An empty
@@ -109,6 +146,8 @@ def count_tokens(docs: DataFrame, path: str, pattern: str, limit: int = 1024, bl
     parts = common.slots_for(docs, slot_bytes)
     slots = min(parts, MOST_SLOTS)
     found = pre_token_frequencies(docs, path, pattern, block_bytes, slots, -(-parts // slots)).repartition(parts, "slot", "place")
-    counted = found.mapInArrow(_count(path, pattern), "block long, pieces binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>")
+    counted = found.mapInArrow(
+        _count(path, pattern), "block long, pieces binary, n_docs binary, at binary, freq binary, ids array<long>, n_bytes array<long>"
+    )
     summed = counted.groupBy("block").applyInArrow(_sum, "doc_id long, n_bytes long, n_tokens long")
     return summed.withColumn("over_limit", F.col("n_tokens") > limit)

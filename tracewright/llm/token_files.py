@@ -43,7 +43,9 @@ def _get(uri: str) -> bytes:
         return f.read()
 
 
-def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int = 2, shard_ids: int = 1 << 20, folder: str | None = None) -> DataFrame:
+def write_tokens(
+    docs: DataFrame, path: str, pattern: str, end_id: int = 2, shard_ids: int = 1 << 20, folder: str | None = None
+) -> DataFrame:
     """Writes the shard files; returns their manifest, already written itself.
 
     A null text is the end id alone. Repeated ids keep all their rows; equal ids are ordered by text. A null id comes
@@ -62,7 +64,16 @@ def write_tokens(docs: DataFrame, path: str, pattern: str, end_id: int = 2, shar
             counts, ids = (np.concatenate([x[i] for x in held]) for i in (1, 2))
             data = simple8b.pack(doc_ids.drop_null().to_numpy(), counts, ids, doc_ids.null_count)
             uri = _put(folder, f"{part:06d}-{seq:06d}-{attempt}.s8b", data)
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "path": [uri], "n_docs": [len(counts)], "n_ids": [len(ids)], "n_bytes": [len(data)]})
+            return pa.RecordBatch.from_pydict(
+                {
+                    "part": pa.array([part], pa.int32()),
+                    "seq": pa.array([seq], pa.int32()),
+                    "path": [uri],
+                    "n_docs": [len(counts)],
+                    "n_ids": [len(ids)],
+                    "n_bytes": [len(data)]
+                }
+            )
 
         size = 0
         for table in common.text_blocks(batches, 8 << 20):
@@ -107,7 +118,10 @@ def read_tokens(manifest: DataFrame) -> DataFrame:
                 raw = memoryview(ids.astype("<u4").tobytes())
                 crc = [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 own = pa.chunked_array([pa.nulls(nulls, pa.int64()), pa.array(doc_ids, pa.int64())]).combine_chunks()
-                yield pa.RecordBatch.from_arrays([own, pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays(
+                    [own, pa.array(start + ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
+                    names=["doc_id", "start", "n_tokens", "ids_crc32"]
+                )
 
     found = with_starts(manifest).select("path", "start").repartition(common.partitions(manifest.sparkSession), "path")
     return found.mapInArrow(run, _ROW)

@@ -118,7 +118,10 @@ class Encoder:
     def _cut(self, groups: list[str]) -> list[list[str]]:
         """Each group's pre-tokens. Most groups are cut together, in one string between separators that are white space of their own."""
         cut, find = specials(self.path), _pattern(self.pattern).findall
-        alone = {i: [g] if cut and cut.search(g) else find(g) for i, g in enumerate(groups) if g[-1].isspace() or g[0] != " " and g[0].isspace() or cut and cut.search(g)}
+        alone = {
+            i: [g] if cut and cut.search(g) else find(g) for i,
+            g in enumerate(groups) if g[-1].isspace() or g[0] != " " and g[0].isspace() or cut and cut.search(g)
+        }
         joined = [g for i, g in enumerate(groups) if i not in alone]
         text = "".join(joined)
         mark = next((x for x in _MARKS if x not in text), None)
@@ -182,7 +185,9 @@ class Encoder:
             places: dict[str, int] = {}
             more = [places.setdefault(g, len(keys) + len(places)) for _, x in parts for g in x]
             keys += places
-            code, doc = np.append(code, np.array(more, dtype=np.int64)), np.append(doc, np.repeat([i for i, _ in parts], [len(x) for _, x in parts]))
+            code, doc = np.append(code, np.array(more, dtype=np.int64)), np.append(
+                doc, np.repeat([i for i, _ in parts], [len(x) for _, x in parts])
+            )
             order = np.argsort(doc, kind="stable")
             code, doc = code[order], doc[order]
         for k in np.flatnonzero(np.bincount(code, minlength=len(keys)) == 0).tolist():

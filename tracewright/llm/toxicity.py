@@ -96,7 +96,9 @@ def _chained(top: np.ndarray, low: np.ndarray, first: float, piece: int = 64) ->
     n = top.shape[1]
     rows = -(-n // piece)
     pad = rows * piece - n
-    grid = [np.pad(x, (0, pad), constant_values=v).reshape(rows, piece) for x, v in ((top[0], 1.0), (top[1], 0.0), (low[0], 0.0), (low[1], 1.0))]
+    grid = [
+        np.pad(x, (0, pad), constant_values=v).reshape(rows, piece) for x, v in ((top[0], 1.0), (top[1], 0.0), (low[0], 0.0), (low[1], 1.0))
+    ]
     w, x, y, z = (g[:, 0].copy() for g in grid)
     for t in range(1, piece):
         a, b, c, d = (g[:, t] for g in grid)
@@ -143,13 +145,20 @@ def chain_gradient(theta: np.ndarray, features: np.ndarray, code: np.ndarray, y:
     both = mask[:, 1:] * mask[:, :-1]
     joint = alpha[:-1, :, :, None] * move[None, None] * (psi[:, 1:].transpose(1, 0, 2) * beta[1:])[:, :, None, :]
     joint /= joint.sum((2, 3), keepdims=True)
-    seen = np.array([[((1 - y[:, :-1]) * (1 - y[:, 1:]) * both).sum(), ((1 - y[:, :-1]) * y[:, 1:] * both).sum()], [(y[:, :-1] * (1 - y[:, 1:]) * both).sum(), (y[:, :-1] * y[:, 1:] * both).sum()]])
+    seen = np.array(
+        [
+            [((1 - y[:, :-1]) * (1 - y[:, 1:]) * both).sum(), ((1 - y[:, :-1]) * y[:, 1:] * both).sum()],
+            [(y[:, :-1] * (1 - y[:, 1:]) * both).sum(), (y[:, :-1] * y[:, 1:] * both).sum()]
+        ]
+    )
     g[-5:-1] = ((joint * both.T[:, :, None, None]).sum((0, 1)) - seen).ravel()
     g[-1] = diff[:, 0].sum()
     return g
 
 
-def fit_chain(segments: list[tuple[list[str], list[int]]], steps: int = 70, rate: float = 0.25, l2: float = 2e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def fit_chain(
+    segments: list[tuple[list[str], list[int]]], steps: int = 70, rate: float = 0.25, l2: float = 2e-4
+) -> tuple[np.ndarray, np.ndarray, float]:
     """Weights, moves and start of the chain that makes the segments' labels likeliest (Adam on the exact gradient)."""
     s, t = len(segments), SEGMENT
     words: dict[str, int] = {}
@@ -212,7 +221,13 @@ def _cue_counts(sieve: np.ndarray | None):
             names = list({**held[0], **held[1]})
             for i in range(0, len(names), 20_000):
                 own = names[i : i + 20_000]
-                yield pa.RecordBatch.from_pydict({"name": own, "clean": pa.array([held[0][x] for x in own], pa.int64()), "toxic": pa.array([held[1][x] for x in own], pa.int64())})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "name": own,
+                        "clean": pa.array([held[0][x] for x in own], pa.int64()),
+                        "toxic": pa.array([held[1][x] for x in own], pa.int64())
+                    }
+                )
 
         for batch in batches:
             for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
@@ -226,7 +241,9 @@ def _cue_counts(sieve: np.ndarray | None):
 
 
 def _counted(texts: DataFrame, sieve: np.ndarray | None = None) -> DataFrame:
-    return texts.select("text", "toxic").mapInArrow(_cue_counts(sieve), "name string, clean long, toxic long").groupBy("name").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    return texts.select("text", "toxic").mapInArrow(_cue_counts(sieve), "name string, clean long, toxic long").groupBy("name").agg(
+        F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")
+    )
 
 
 def find_cues(sample: DataFrame, labelled: DataFrame, least: int = 4, ratio: float = 4.0, purity: float = 0.8) -> DataFrame:
@@ -240,7 +257,9 @@ def find_cues(sample: DataFrame, labelled: DataFrame, least: int = 4, ratio: flo
     often = F.col("toxic") * sizes.get(0, 0) >= ratio * sizes.get(1, 0) * F.col("clean")
     candidates = common.written(_counted(sample).where((F.col("toxic") >= least) & often).select("name"), "cue-candidates")
     counts = _counted(labelled, _sieved(candidates)).join(candidates, "name", "left_semi")
-    return common.written(counts.where((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).select("name"), "cues")
+    return common.written(
+        counts.where((F.col("toxic") >= least) & (F.col("toxic") >= purity * (F.col("toxic") + F.col("clean")))).select("name"), "cues"
+    )
 
 
 def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
@@ -252,7 +271,9 @@ def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
                 pairs = [(w, x) for w in sorted(set(_WORD.findall(text.translate(_LOWER)))) for x in cue_names(w)]
                 for i in range(0, len(pairs), 20_000):
                     own = pairs[i : i + 20_000]
-                    yield pa.RecordBatch.from_pydict({"h": pa.array([h] * len(own), pa.int64()), "word": [w for w, _ in own], "name": [x for _, x in own]})
+                    yield pa.RecordBatch.from_pydict(
+                        {"h": pa.array([h] * len(own), pa.int64()), "word": [w for w, _ in own], "name": [x for _, x in own]}
+                    )
 
     named = texts.where("toxic = 1").select("h", "text").mapInArrow(run, "h long, word string, name string")
     found = named.join(cues, "name", "left_semi").groupBy("h").agg(F.collect_set("word").alias("cues"))
@@ -281,8 +302,12 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_ro
     often its row or text repeats. The cues' counts are over all labelled rows, whose ids find their texts by a join:
     at the scan, without moving a text, for up to half a million labels, else by a shuffle on the id.
     """
-    marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    docs = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    marks = labels.where(
+        F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()
+    ).groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("id"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("h", F.xxhash64("text"))
     ids = common.written(_joined(docs.select("id", "h"), marks, ["id"]).groupBy("h", "toxic").agg(F.min("id").alias("id")), "labelled")
     picked = [ids.where(F.col("toxic") == mark).orderBy("h", "id").limit(most_cue_rows // 2) for mark in (1, 0)]
     picked = common.written(picked[0].unionByName(picked[1]), "toxic-sample")
@@ -300,12 +325,20 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_ro
             for text, mark, own in zip(*(batch.column(c).to_pylist() for c in ("text", "toxic", "cues")), strict=True):
                 out += [(mark, w, y) for w, y in segments_of(text, mark, set(own or ()), segments)]
             if out:
-                yield pa.RecordBatch.from_pydict({"mark": pa.array([x[0] for x in out], pa.int32()), "words": [x[1] for x in out], "y": pa.array([x[2] for x in out], pa.list_(pa.int32()))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "mark": pa.array([x[0] for x in out], pa.int32()),
+                        "words": [x[1] for x in out],
+                        "y": pa.array([x[2] for x in out], pa.list_(pa.int32()))
+                    }
+                )
 
     texts = common.written(once(common.written(small[0].unionByName(small[1]), "toxic-sample")), "toxic-texts")
     got = with_cues(texts, cues).select("text", "toxic", "cues").mapInArrow(cut, "mark int, words array<string>, y array<int>").collect()
     chain = Chain(*fit_chain([(r["words"], r["y"]) for r in got]), np.zeros(3))
-    rows = score_texts(texts.select(F.col("h").alias("doc_id"), "text", "toxic"), chain, keep="toxic").select("top", "many", "toxic").collect()
+    rows = score_texts(
+        texts.select(F.col("h").alias("doc_id"), "text", "toxic"), chain, keep="toxic"
+    ).select("top", "many", "toxic").collect()
     x, y = np.array([[r["top"], r["many"]] for r in rows]), np.array([r["toxic"] for r in rows], dtype=float)
     share = ids.agg(F.avg("toxic")).first()[0]
     weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
@@ -355,13 +388,21 @@ def score_texts(docs: DataFrame, chain: Chain, keep: str | None = None, likely:
             z = np.column_stack([tops, many, np.ones(len(tops))]) @ chain.curve
             score = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("p", pa.float64())]))
-            columns = {"doc_id": table.column("doc_id").cast(pa.int64()), "score": pa.array(score), "top": pa.array(tops, pa.float64()), "many": pa.array(many, pa.float64()), "spans": pa.array(spans, kind)}
+            columns = {
+                "doc_id": table.column("doc_id").cast(pa.int64()),
+                "score": pa.array(score),
+                "top": pa.array(tops, pa.float64()),
+                "many": pa.array(many, pa.float64()),
+                "spans": pa.array(spans, kind)
+            }
             if keep:
                 columns[keep] = table.column(keep)
             yield from pa.table(columns).to_batches()
 
     kinds = "".join(f", {c} {dict(docs.dtypes)[c]}" for c in extra)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(run, "doc_id long, score double, top double, many double, spans array<struct<start:int,end:int,p:double>>" + kinds)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *extra).mapInArrow(
+        run, "doc_id long, score double, top double, many double, spans array<struct<start:int,end:int,p:double>>" + kinds
+    )
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
@@ -375,7 +416,19 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     out_of = common.crc_mod(F.col("doc_id"), folds) == held
     chain = train(docs.where(~out_of).select("doc_id", "text"), labels)
     if chain is None:
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text_hash", F.lit(0.0).alias("score"), F.array().cast("array<struct<start:int,end:int,p:double>>").alias("spans"))
+        rows = docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"),
+            "text_hash",
+            F.lit(0.0).alias("score"),
+            F.array().cast("array<struct<start:int,end:int,p:double>>").alias("spans")
+        )
     else:
         rows = score_texts(docs, chain, keep="text_hash")
-    return rows.select("doc_id", "text_hash", (common.crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "spans")
+    return rows.select(
+        "doc_id",
+        "text_hash",
+        (common.crc_mod(F.col("doc_id"), folds) == held).alias("held_out"),
+        "score",
+        (F.col("score") >= threshold).cast("int").alias("predicted"),
+        "spans"
+    )

@@ -79,11 +79,15 @@ class Tree:
                 starts = np.cumsum(count) - count
                 again = np.repeat(count, 2)
                 at = common.spread(np.repeat(starts, 2), again)
-                nodes, pairs_of, pair = np.stack([2 * nodes, 2 * nodes + 1], axis=1).ravel(), np.repeat(np.arange(2 * len(count)), again), pair[at]
+                nodes, pairs_of, pair = np.stack(
+                    [2 * nodes, 2 * nodes + 1], axis=1
+                ).ravel(), np.repeat(np.arange(2 * len(count)), again), pair[at]
         if len(nodes):
             yield self._leaves(nodes, pairs_of, pair, entries)
 
-    def _leaves(self, nodes: np.ndarray, pairs_of: np.ndarray, pair: np.ndarray, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def _leaves(
+        self, nodes: np.ndarray, pairs_of: np.ndarray, pair: np.ndarray, entries: np.ndarray
+    ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Point by point, what the boxes of the leaves have left open."""
         cuts = self.cuts[-1]
         size, count = (cuts[nodes + 1] - cuts[nodes]), np.bincount(pairs_of, minlength=len(nodes))
@@ -106,10 +110,16 @@ def _least(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def _whole(vectors: DataFrame, vector: str, scale: int) -> DataFrame:
     """vec_id, label and the vector's integer components, of rows whose vector holds finite numbers only."""
     kept = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
-    found = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col(vector).cast("array<double>").alias("v")).where(kept)
+    found = vectors.select(
+        F.col("vec_id").cast("long").alias("vec_id"), F.col("label"), F.col(vector).cast("array<double>").alias("v")
+    ).where(kept)
     bound = F.lit(MOST / scale)
     refuse = F.raise_error(F.lit(f"components must lie within {MOST // scale}"))
-    return found.select("vec_id", "label", F.transform("v", lambda x: F.when(F.abs(x) <= bound, F.floor(x * scale).cast("int")).otherwise(refuse.cast("int"))).alias("v"))
+    return found.select(
+        "vec_id",
+        "label",
+        F.transform("v", lambda x: F.when(F.abs(x) <= bound, F.floor(x * scale).cast("int")).otherwise(refuse.cast("int"))).alias("v")
+    )
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -121,7 +131,15 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
 
 def _trees(parts: int, width: int, block_rows: int, leaf: int):
     """Blocks of rows with the trees of their parts: the pieces in the trees' order, and that order. Boxes, counts and sums follow from the cuts, which the number of rows gives."""
-    schema = pa.schema([("ids", pa.list_(pa.int64())), ("labels", pa.list_(pa.string())), ("n", pa.int64()), ("points", pa.binary()), ("orders", pa.binary())])
+    schema = pa.schema(
+        [
+            ("ids", pa.list_(pa.int64())),
+            ("labels", pa.list_(pa.string())),
+            ("n", pa.int64()),
+            ("points", pa.binary()),
+            ("orders", pa.binary())
+        ]
+    )
 
     def run(batches):
         held, rows = [], 0
@@ -139,7 +157,13 @@ def _trees(parts: int, width: int, block_rows: int, leaf: int):
         v = _matrix(table.column("v").combine_chunks(), width)
         trees = [Tree(x, leaf) for x in np.split(v, parts, axis=1)]
         points, orders = np.stack([t.points for t in trees]), np.stack([t.order for t in trees]).astype("<u4")
-        row = {"ids": table.column("vec_id").to_pylist(), "labels": table.column("label").to_pylist(), "n": len(v), "points": common.packed(points.astype("<i4")), "orders": common.packed(orders)}
+        row = {
+            "ids": table.column("vec_id").to_pylist(),
+            "labels": table.column("label").to_pylist(),
+            "n": len(v),
+            "points": common.packed(points.astype("<i4")),
+            "orders": common.packed(orders)
+        }
         return pa.RecordBatch.from_pylist([row], schema=schema)
 
     return run, "ids array<long>, labels array<string>, n long, points binary, orders binary"
@@ -177,7 +201,15 @@ def _totals(books: np.ndarray, leaf: int):
                         np.add.at(counts[p], entry, end - begin)
                         np.add.at(sums[p], entry, total)
                 p, e = np.nonzero(counts)
-                yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(e, pa.int32()), pa.array(counts[p, e]), pa.array(sums[p, e].tolist(), pa.list_(pa.int64()))], schema=schema)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(p, pa.int32()),
+                        pa.array(e, pa.int32()),
+                        pa.array(counts[p, e]),
+                        pa.array(sums[p, e].tolist(), pa.list_(pa.int64()))
+                    ],
+                    schema=schema
+                )
 
     return run
 
@@ -200,12 +232,29 @@ def _codes(books: np.ndarray, leaf: int):
                     error[tree.order] += ((tree.points - books[p][of]) ** 2).sum(axis=1)
                 for a in range(0, n, 8192):
                     z = min(n, a + 8192)
-                    yield pa.RecordBatch.from_arrays([pa.array(row["ids"][a:z], pa.int64()), pa.array(row["labels"][a:z], pa.string()), pa.array([c.tobytes() for c in codes[a:z]], pa.binary()), pa.array(error[a:z])], schema=schema)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(row["ids"][a:z], pa.int64()),
+                            pa.array(row["labels"][a:z], pa.string()),
+                            pa.array([c.tobytes() for c in codes[a:z]], pa.binary()),
+                            pa.array(error[a:z])
+                        ],
+                        schema=schema
+                    )
 
     return run
 
 
-def compress(vectors: DataFrame, vector: str = "embedding", parts: int = 16, entries: int = 64, rounds: int = 2, scale: int = 256, block_rows: int = 16_384, leaf: int = 16) -> tuple[DataFrame, np.ndarray]:
+def compress(
+    vectors: DataFrame,
+    vector: str = "embedding",
+    parts: int = 16,
+    entries: int = 64,
+    rounds: int = 2,
+    scale: int = 256,
+    block_rows: int = 16_384,
+    leaf: int = 16
+) -> tuple[DataFrame, np.ndarray]:
     """(vec_id, label, code (binary, a byte for each part), error) of the kept rows, and the codebooks (parts x entries x width).
 
     Rows whose vector is null or holds a null or a number that is not finite go. Codebooks begin as the pieces of the rows
@@ -229,11 +278,15 @@ def compress(vectors: DataFrame, vector: str = "embedding", parts: int = 16, ent
         raise ValueError(f"vectors must have equally many components, in {parts} equal parts")
     books = np.array(first, np.int64).reshape(len(first), parts, -1).transpose(1, 0, 2)
     run, packed = _trees(parts, width, block_rows, leaf)
-    trees = common.written(whole.select("vec_id", F.col("label").cast("string").alias("label"), "v").mapInArrow(run, packed), "vector-trees")
+    trees = common.written(
+        whole.select("vec_id", F.col("label").cast("string").alias("label"), "v").mapInArrow(run, packed), "vector-trees"
+    )
     d = width // parts
     for _ in range(rounds):
         sums = [F.sum(F.get("sums", k)).alias(f"s{k}") for k in range(d)]
-        found = trees.mapInArrow(_totals(books, leaf), "part int, entry int, count long, sums array<long>").groupBy("part", "entry").agg(F.sum("count").alias("count"), *sums)
+        found = trees.mapInArrow(
+            _totals(books, leaf), "part int, entry int, count long, sums array<long>"
+        ).groupBy("part", "entry").agg(F.sum("count").alias("count"), *sums)
         books = books.copy()
         for r in found.collect():  # at most parts x entries rows
             books[r.part, r.entry] = [r[f"s{k}"] // r["count"] for k in range(d)]
@@ -280,7 +333,9 @@ def _sql(parts: int = 16, entries: int = 64, rounds: int = 2) -> str:
 )"""
     steps = []
     for r in range(rounds):
-        steps += [nearest.format(name=f"near{r}", book=f"book{r}"), updated.format(name=f"book{r + 1}", book=f"book{r}", nearest=f"near{r}")]
+        steps += [
+            nearest.format(name=f"near{r}", book=f"book{r}"), updated.format(name=f"book{r + 1}", book=f"book{r}", nearest=f"near{r}")
+        ]
     steps.append(nearest.format(name="final", book=f"book{rounds}"))
     middle = ",\n".join(steps)
     return f"""

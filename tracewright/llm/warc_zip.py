@@ -30,7 +30,10 @@ from tracewright.llm import common
 # Signatures and layouts of the ZIP format (APPNOTE), and what marks an overflow.
 _RECORDS = {
     "local header": (b"PK\x03\x04", "version:H flags:H method:H time:H date:H crc:I packed:I size:I name:H extra:H"),
-    "directory entry": (b"PK\x01\x02", "made:H version:H flags:H method:H time:H date:H crc:I packed:I size:I name:H extra:H note:H disk:H inner:H outer:I offset:I"),
+    "directory entry": (
+        b"PK\x01\x02",
+        "made:H version:H flags:H method:H time:H date:H crc:I packed:I size:I name:H extra:H note:H disk:H inner:H outer:I offset:I"
+    ),
     "end record": (b"PK\x05\x06", "disk:H first:H here:H entries:H length:I start:I note:H"),
     "ZIP64 locator": (b"PK\x06\x07", "disk:I at:Q disks:I"),
     "ZIP64 end record": (b"PK\x06\x06", "rest:Q made:H version:H disk:I first:I here:Q entries:Q length:Q start:Q"),
@@ -118,7 +121,15 @@ def directory(f: BinaryIO, size: int) -> list[dict]:
         at += _ENTRY.size
         name, extra, note = (entry[x] for x in ("name", "extra", "note"))
         wide = widened(entry, _part(data, at + name, extra))
-        members.append({"name": _part(data, at, name).decode(), "method": wide["method"], "packed": wide["packed"], "size": wide["size"], "offset": wide["offset"]})
+        members.append(
+            {
+                "name": _part(data, at, name).decode(),
+                "method": wide["method"],
+                "packed": wide["packed"],
+                "size": wide["size"],
+                "offset": wide["offset"]
+            }
+        )
         at += name + extra + note
     return members
 
@@ -150,7 +161,9 @@ def record(page_id, url: str, payload: bytes | None, length: int, digest: str, r
     if url:
         lines.insert(3, "WARC-Target-URI: " + _UNSAFE.sub(lambda m: quote(m.group()), url))
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
+        lines += [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"
+        ]
     return gzip.compress(("\r\n".join(lines) + "\r\n\r\n").encode() + body + b"\r\n\r\n", 6, mtime=0)
 
 
@@ -164,7 +177,14 @@ def parse_record(data: bytes) -> dict:
     length = next(int(x.split(b":")[1]) for x in http.split(b"\r\n") if x.lower().startswith(b"content-length:"))
     ident = lambda x: int(x[12:-1]) if x and x[12:-1] else None
     kind = fields["WARC-Type"]
-    return {"page_id": ident(fields["WARC-Record-ID"]), "record_type": kind, "refers_to": ident(fields.get("WARC-Refers-To")), "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"), "payload_bytes": length, "payload": payload if kind == "response" else None}
+    return {
+        "page_id": ident(fields["WARC-Record-ID"]),
+        "record_type": kind,
+        "refers_to": ident(fields.get("WARC-Refers-To")),
+        "payload_digest": fields["WARC-Payload-Digest"].removeprefix("sha256:"),
+        "payload_bytes": length,
+        "payload": payload if kind == "response" else None
+    }
 
 
 # --- Spark jobs ------------------------------------------------------------------------------------------------
@@ -179,8 +199,12 @@ def find_revisits(pages: DataFrame, least: int) -> DataFrame:
     is no key of any row that carries it. Revisits lose their payload.
     """
     light = pages.where((F.col("n") >= least) & F.col("page_id").isNotNull()).select("page_id", "digest").distinct()
-    held = light.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where(F.col("copies") > 1).select("digest", "first")
-    revisits = light.join(held, "digest").where(F.col("page_id") != F.col("first")).select(F.col("page_id").alias("own_id"), F.col("digest").alias("own"), "first")
+    held = light.groupBy("digest").agg(
+        F.min("page_id").alias("first"), F.count("*").alias("copies")
+    ).where(F.col("copies") > 1).select("digest", "first")
+    revisits = light.join(held, "digest").where(F.col("page_id") != F.col("first")).select(
+        F.col("page_id").alias("own_id"), F.col("digest").alias("own"), "first"
+    )
     found = pages.join(revisits, (F.col("page_id") == F.col("own_id")) & (F.col("digest") == F.col("own")), "left").drop("own_id", "own")
     return found.withColumn("payload", F.when(F.col("first").isNull(), F.col("payload")))
 
@@ -194,7 +218,11 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 64 <
     """
     spark = pages.sparkSession
     folder = folder or common.new_path(spark, "warc")
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
+    rows = pages.select(
+        F.col("page_id").cast("long").alias("page_id"),
+        F.col("url").cast("string").alias("url"),
+        F.coalesce("html", F.lit("")).cast("binary").alias("payload")
+    )
     rows = rows.withColumn("n", F.length("payload")).withColumn("digest", F.sha2("payload", 256))
 
     def run(batches):
@@ -234,7 +262,9 @@ def write_archives(pages: DataFrame, least: int = 100, archive_bytes: int = 64 <
         if out is not None:
             yield close()
 
-    return common.written(find_revisits(rows, least).select("page_id", "url", "payload", "n", "digest", "first").mapInArrow(run, _ARCHIVES), "warc-manifest")
+    return common.written(
+        find_revisits(rows, least).select("page_id", "url", "payload", "n", "digest", "first").mapInArrow(run, _ARCHIVES), "warc-manifest"
+    )
 
 
 def locate(manifest: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
@@ -261,10 +291,19 @@ def locate(manifest: DataFrame, chunk_bytes: int = 4 << 20) -> DataFrame:
                     n += x["length"]
                 if chunk:
                     out.append((uri, begin, n, chunk))
-                yield pa.RecordBatch.from_pydict({"path": [o[0] for o in out], "start": [o[1] for o in out], "n": [o[2] for o in out], "lengths": pa.array([o[3] for o in out], pa.list_(pa.int64()))})
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "path": [o[0] for o in out],
+                        "start": [o[1] for o in out],
+                        "n": [o[2] for o in out],
+                        "lengths": pa.array([o[3] for o in out], pa.list_(pa.int64()))
+                    }
+                )
 
     parts = common.partitions(manifest.sparkSession)
-    return manifest.select("path", "size").repartition(parts, "path").mapInArrow(run, "path string, start long, n long, lengths array<long>")
+    return manifest.select("path", "size").repartition(parts, "path").mapInArrow(
+        run, "path string, start long, n long, lengths array<long>"
+    )
 
 
 def read_records(manifest: DataFrame, payloads: bool = False) -> DataFrame:
@@ -290,9 +329,19 @@ def read_records(manifest: DataFrame, payloads: bool = False) -> DataFrame:
                     rows.append(r if payloads else {x: r[x] for x in r if x != "payload"})
                 yield pa.RecordBatch.from_pylist(rows, schema=schema)
 
-    schema = pa.schema([("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64())] + [("payload", pa.binary())] * payloads)
+    schema = pa.schema(
+        [
+            ("page_id", pa.int64()),
+            ("record_type", pa.string()),
+            ("refers_to", pa.int64()),
+            ("payload_digest", pa.string()),
+            ("payload_bytes", pa.int64())
+        ] + [("payload", pa.binary())] * payloads
+    )
     ranges = locate(manifest).repartition(common.partitions(manifest.sparkSession), "path", "start")
-    return ranges.mapInArrow(run, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads)
+    return ranges.mapInArrow(
+        run, "page_id long, record_type string, refers_to long, payload_digest string, payload_bytes long" + ", payload binary" * payloads
+    )
 
 
 SQL = """

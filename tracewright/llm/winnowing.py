@@ -33,11 +33,18 @@ def fingerprints(words: Column, k: int, w: int) -> Column:
     empty = F.array().cast("array<struct<h:bigint,i:int>>")
 
     def chosen(h: Column) -> Column:
-        least = F.when(F.size(h) >= w, F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.least(*(F.get(h, i + j) for j in range(w))))).otherwise(F.array(F.array_min(h)))
+        least = F.when(
+            F.size(h) >= w, F.transform(F.sequence(F.lit(0), F.size(h) - w), lambda i: F.least(*(F.get(h, i + j) for j in range(w))))
+        ).otherwise(F.array(F.array_min(h)))
 
         def pick(m: Column) -> Column:
-            is_least = lambda j: F.coalesce(*(F.when(F.get(m, j - d) == F.get(h, j), F.lit(True)) for d in range(w)), F.lit(False))
-            own = F.filter(F.sequence(F.lit(0), F.size(h) - 1), lambda j: F.when(F.size(h) >= w, is_least(j)).otherwise(F.get(m, F.lit(0)) == F.get(h, j)))
+            is_least = lambda j: F.coalesce(
+                *(F.when(F.get(m, j - d) == F.get(h, j), F.lit(True)) for d in range(w)), F.lit(False)
+            )
+            own = F.filter(
+                F.sequence(F.lit(0), F.size(h) - 1),
+                lambda j: F.when(F.size(h) >= w, is_least(j)).otherwise(F.get(m, F.lit(0)) == F.get(h, j))
+            )
             return F.transform(own, lambda j: F.struct(F.get(h, j).alias("h"), j.alias("i")))
 
         return common.let(least, pick)
@@ -48,7 +55,9 @@ def fingerprints(words: Column, k: int, w: int) -> Column:
 
 def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
     """item_id, length and text of each item's distinct windows."""
-    cut = items.select(F.col("item_id").cast("string").alias("item_id"), common.words(F.col("text")).alias("words")).where(F.col("item_id").isNotNull() & (F.size("words") > 0))
+    cut = items.select(
+        F.col("item_id").cast("string").alias("item_id"), common.words(F.col("text")).alias("words")
+    ).where(F.col("item_id").isNotNull() & (F.size("words") > 0))
     length = F.least(F.size("words"), F.lit(span))
     starts = F.sequence(F.lit(0), F.size("words") - length)
     made = F.transform(starts, lambda i: F.array_join(F.slice(F.col("words"), i + 1, length), " "))
@@ -58,8 +67,13 @@ def item_windows(items: DataFrame, span: int = SPAN) -> DataFrame:
 def find_hits(docs: DataFrame, items: DataFrame, short: list[int], k: int, w: int) -> DataFrame:
     """doc_id, text_hash, and the places `at` (n, i) at which a document has an item's fingerprint (n = 0) or, by hash, a short item of n words."""
     cut = items.where(F.col("item_id").isNotNull()).select(common.words(F.col("text")).alias("words"))
-    long = cut.where(F.size("words") >= k + w - 1).select(F.lit(0).alias("n"), F.explode(fingerprints(F.col("words"), k, w)["h"]).alias("h"))
-    marks = [long, *(cut.where(F.size("words") == n).select(F.lit(n).alias("n"), gram_hash(F.col("words"), F.lit(0), n).alias("h")) for n in short)]
+    long = cut.where(F.size("words") >= k + w - 1).select(
+        F.lit(0).alias("n"), F.explode(fingerprints(F.col("words"), k, w)["h"]).alias("h")
+    )
+    marks = [
+        long,
+        *(cut.where(F.size("words") == n).select(F.lit(n).alias("n"), gram_hash(F.col("words"), F.lit(0), n).alias("h")) for n in short)
+    ]
     marks = reduce(DataFrame.unionByName, marks).distinct()
 
     def probes(ws: Column) -> Column:
@@ -71,7 +85,9 @@ def find_hits(docs: DataFrame, items: DataFrame, short: list[int], k: int, w: in
             own.append(F.transform(places, probe(n)))
         return F.concat(*own)
 
-    own = docs.select("doc_id", "text_hash", F.explode(common.let(common.words(F.col("text")), probes)).alias("f")).select("doc_id", "text_hash", "f.*")
+    own = docs.select(
+        "doc_id", "text_hash", F.explode(common.let(common.words(F.col("text")), probes)).alias("f")
+    ).select("doc_id", "text_hash", "f.*")
     return own.join(marks, ["n", "h"], "left_semi").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("n", "i")).alias("at"))
 
 
@@ -84,31 +100,59 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = 6, span: int = SPA
     the end, by their own keys.
     """
     w = span - k + 1
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("text_hash", F.xxhash64("text"))
+    docs = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
+    ).withColumn("text_hash", F.xxhash64("text"))
     windows = item_windows(items, span)
-    short = sorted(r.length for r in windows.where(F.col("length") < span).select("length").distinct().collect())  # at most span - 1 numbers
+    short = sorted(  # at most span - 1 numbers
+        r.length for r in windows.where(F.col("length") < span).select("length").distinct().collect()
+    )
     hits = find_hits(docs, items, short, k, w).select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), "at")
     same = F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("text_hash") == F.col("hit_hash"))
 
     def candidates(ws: Column) -> Column:
         """The spans around fingerprints' hits, and the short ones that were hit."""
-        entry = lambda s, n: F.struct(s.cast("int").alias("s"), n.cast("int").alias("length"), F.array_join(F.slice(ws, s + 1, n), " ").alias("window"))
+        entry = lambda s, n: F.struct(
+            s.cast("int").alias("s"), n.cast("int").alias("length"), F.array_join(F.slice(ws, s + 1, n), " ").alias("window")
+        )
         around = F.flatten(F.transform(F.filter("at", lambda p: p["n"] == 0), lambda p: F.sequence(p["i"] - (w - 1), p["i"])))
         starts = F.filter(F.array_distinct(around), lambda s: (s >= 0) & (s <= F.size(ws) - span))
-        return F.concat(F.transform(starts, lambda s: entry(s, F.lit(span))), F.transform(F.filter("at", lambda p: p["n"] > 0), lambda p: entry(p["i"], p["n"])))
-
-    spans = docs.join(hits, same).select("doc_id", "text_hash", F.explode(common.let(common.words(F.col("text")), candidates)).alias("c")).select("doc_id", "text_hash", "c.*")
+        return F.concat(
+            F.transform(starts, lambda s: entry(s, F.lit(span))),
+            F.transform(F.filter("at", lambda p: p["n"] > 0), lambda p: entry(p["i"], p["n"]))
+        )
+
+    spans = docs.join(hits, same).select(
+        "doc_id", "text_hash", F.explode(common.let(common.words(F.col("text")), candidates)).alias("c")
+    ).select("doc_id", "text_hash", "c.*")
     known = windows.groupBy("length", "window").agg(F.collect_set("item_id").alias("item_ids"))
     checked = spans.join(known, ["length", "window"])
     # Spans in order: each adds the words that those before it have not covered.
     one = F.struct(F.col("s"), (F.col("s") + F.col("length")).alias("e"))
-    grouped = checked.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(one)).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids"))
+    grouped = checked.groupBy("doc_id", "text_hash").agg(
+        F.array_sort(F.collect_set(one)).alias("spans"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("item_ids")))).alias("item_ids")
+    )
     zero = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
-    step = lambda acc, x: F.struct(F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n"))
-    found = grouped.select(F.col("doc_id").alias("hit_id"), F.col("text_hash").alias("hit_hash"), F.aggregate("spans", zero, step, lambda acc: acc["n"]).cast("long").alias("n_hit"), "item_ids")
+    step = lambda acc, x: F.struct(
+        F.greatest(acc["end"], x["e"]).alias("end"), (acc["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(acc["end"], x["s"]))).alias("n")
+    )
+    found = grouped.select(
+        F.col("doc_id").alias("hit_id"),
+        F.col("text_hash").alias("hit_hash"),
+        F.aggregate("spans", zero, step, lambda acc: acc["n"]).cast("long").alias("n_hit"),
+        "item_ids"
+    )
     rows = docs.select("doc_id", "text_hash", F.size(common.words(F.col("text"))).cast("long").alias("n_words")).join(found, same, "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
-    return rows.select("doc_id", "text_hash", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), ids.alias("item_ids"), F.size(ids).cast("long").alias("n_items"))
+    return rows.select(
+        "doc_id",
+        "text_hash",
+        "n_words",
+        F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"),
+        ids.alias("item_ids"),
+        F.size(ids).cast("long").alias("n_items")
+    )
 
 
 SQL = r"""

@@ -26,7 +26,9 @@ ORACLE_SQL = None
 def _joined(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
     """docs (as d) joined to verdicts (as v: doc_id, text_hash and more) on id and text; whatever columns docs have, none clashes."""
     text = F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")))
-    return docs.alias("d").join(verdicts.alias("v"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id")) & (text == F.col("v.text_hash")), how)
+    return docs.alias("d").join(
+        verdicts.alias("v"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id")) & (text == F.col("v.text_hash")), how
+    )
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -80,7 +82,13 @@ def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(docs, str(public_tokenizers.path(BPE)), public_tokenizers.PATTERN))
 
 
-STAGES = [("toxicity", toxicity), ("near_dedup", near_dedup), ("decontamination", decontamination), ("mixing", mixing), ("token_files", token_files)]
+STAGES = [
+    ("toxicity", toxicity),
+    ("near_dedup", near_dedup),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_files", token_files)
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

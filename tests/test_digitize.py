@@ -32,7 +32,11 @@ def panel(page, name, **more):
 def test_two_pages_with_one_panel_name(spark):
     t = frame(spark, ticks("a", "p1") + ticks("b", "p1", slope=-0.2, at=72.0), TICKS)
     p = frame(spark, curve("a", "p1", 1, 200.0, 0.9) + curve("b", "p1", 1, 300.0, 0.9), POINTS)
-    base = frame(spark, [(g, "p1", x, 350.0 + d, 350.0) for g, d in (("a", 5.0), ("b", 0.0)) for x in (100.0, 131.0)], "page string, panel string, x double, y double, beta double")
+    base = frame(
+        spark,
+        [(g, "p1", x, 350.0 + d, 350.0) for g, d in (("a", 5.0), ("b", 0.0)) for x in (100.0, 131.0)],
+        "page string, panel string, x double, y double, beta double"
+    )
     got = digitize(t, p, frame(spark, [panel("a", "p1"), panel("b", "p1")], PANELS), base).where("slice = 3").collect()
     assert {r.page: pytest.approx(r.value_native, abs=0.02) for r in got} == {"a": 36 - 0.1 * 195, "b": 72 - 0.2 * 300} and len(got) == 2
     assert digitize(t, p, frame(spark, [panel("a", "p1"), panel("b", "p1")], PANELS)).count() == 62
@@ -68,7 +72,9 @@ def test_anchors_are_checked_at_the_panel_s_scale(spark):
     assert good.flags == ["two_anchor_only", "user_hint:y_anchors"] and good.scale == "log" and good.method == "user_anchors"
     assert "hint_mismatch" in checked(spark, log, [(300.0, 1.0), (100.0, 10000.0)], y_scale="log", top=80.0, bottom=360.0).flags
     below = [*log, ("a", "p1", 9, 310.0, -1.0)]
-    assert "hint_mismatch" not in checked(spark, below, [(300.0, 1.0), (100.0, 10000.0)], y_scale="log").flags  # no axis at that scale, no check
+    assert "hint_mismatch" not in checked(  # no axis at that scale, no check
+        spark, below, [(300.0, 1.0), (100.0, 10000.0)], y_scale="log"
+    ).flags
 
 
 def test_the_crop_is_the_span_of_the_check(spark):
@@ -81,22 +87,55 @@ def test_the_crop_is_the_span_of_the_check(spark):
 def test_readings_instead_of_ticks(spark):
     tick = [("left", p, v, True) for _, _, _, p, v in ticks("a", "p1")]
     schema = "page string, panel string, kind string, ord int, failed boolean, unit string, scale string, confidence double, x_kind string, x_start string, x_end string, ticks array<struct<side:string,pixel:double,value:double,legible:boolean>>"
-    attempts = frame(spark, [("a", "p1", "axis", 1, False, "", "linear", 0.9, "date", "1849-01-01", "1849-01-31", []), ("a", "p1", "curve", 1, False, "cm", "linear", 0.8, "", "", "", tick)], schema)
-    panels = frame(spark, [("a", "p1", 100.0, 131.0, None, True, True)], "page string, panel string, x0 double, x1 double, unit string, axis_labels boolean, curve_labels boolean")
+    attempts = frame(
+        spark,
+        [
+            ("a", "p1", "axis", 1, False, "", "linear", 0.9, "date", "1849-01-01", "1849-01-31", []),
+            ("a", "p1", "curve", 1, False, "cm", "linear", 0.8, "", "", "", tick)
+        ],
+        schema
+    )
+    panels = frame(
+        spark,
+        [("a", "p1", 100.0, 131.0, None, True, True)],
+        "page string, panel string, x0 double, x1 double, unit string, axis_labels boolean, curve_labels boolean"
+    )
     r = digitize(None, frame(spark, curve("a", "p1", 1, 200.0, 0.9), POINTS), panels, attempts=attempts).where("slice = 30").first()
     assert (r.x_key, r.value_mm, r.flags[0]) == ("1849-01-31", pytest.approx(160.0, abs=1), "curve_labels")
 
 
 def test_empty_labels_are_the_month_s(spark):
-    panels = frame(spark, [("a", "p1", 100.0, 131.0, "mm", "date", "", "", "1849-02-01", "1849-02-28"), ("a", "p2", 100.0, 131.0, "mm", "numeric", "1", "", "x", "31")], "page string, panel string, x0 double, x1 double, unit string, x_kind string, x_start string, x_end string, month_start string, month_end string")
+    panels = frame(
+        spark,
+        [
+            ("a", "p1", 100.0, 131.0, "mm", "date", "", "", "1849-02-01", "1849-02-28"),
+            ("a", "p2", 100.0, 131.0, "mm", "numeric", "1", "", "x", "31")
+        ],
+        "page string, panel string, x0 double, x1 double, unit string, x_kind string, x_start string, x_end string, month_start string, month_end string"
+    )
     p = frame(spark, curve("a", "p1", 1, 200.0, 0.9) + curve("a", "p2", 1, 200.0, 0.9), POINTS)
-    got = {r.panel: (r.n, r.flags, r.last) for r in digitize(frame(spark, ticks("a", "p1") + ticks("a", "p2"), TICKS), p, panels).groupBy("panel").agg(F.count("*").alias("n"), F.first("flags").alias("flags"), F.max(F.struct("slice", "x_key"))["x_key"].alias("last")).collect()}
+    got = {
+        r.panel: (r.n, r.flags, r.last) for r in digitize(frame(spark, ticks("a", "p1") + ticks("a", "p2"), TICKS), p, panels).groupBy("panel").agg(
+            F.count("*").alias("n"), F.first("flags").alias("flags"), F.max(F.struct("slice", "x_key"))["x_key"].alias("last")
+        ).collect()
+    }
     assert got["p1"][0] == 28 and got["p1"][2] == "1849-02-28" and "x_from_month_hint" not in got["p1"][1]
     assert got["p2"][0] == 31 and got["p2"][2] == "31"
 
 
 def test_hints_beat_printed_labels(spark):
-    panels = frame(spark, [("a", "p1", 100.0, 131.0, "mm", "numeric", "1", "31", "1849-03-01", "1849-03-10"), ("a", "p2", 100.0, 131.0, "mm", "numeric", "1", "31", None, "")], "page string, panel string, x0 double, x1 double, unit string, x_kind string, x_start string, x_end string, hint_start string, hint_end string")
+    panels = frame(
+        spark,
+        [
+            ("a", "p1", 100.0, 131.0, "mm", "numeric", "1", "31", "1849-03-01", "1849-03-10"),
+            ("a", "p2", 100.0, 131.0, "mm", "numeric", "1", "31", None, "")
+        ],
+        "page string, panel string, x0 double, x1 double, unit string, x_kind string, x_start string, x_end string, hint_start string, hint_end string"
+    )
     p = frame(spark, curve("a", "p1", 1, 200.0, 0.9) + curve("a", "p2", 1, 200.0, 0.9), POINTS)
-    got = {r.panel: (r.n, r.first) for r in digitize(frame(spark, ticks("a", "p1") + ticks("a", "p2"), TICKS), p, panels).groupBy("panel").agg(F.count("*").alias("n"), F.min_by("x_key", "slice").alias("first")).collect()}
+    got = {
+        r.panel: (r.n, r.first) for r in digitize(
+            frame(spark, ticks("a", "p1") + ticks("a", "p2"), TICKS), p, panels
+        ).groupBy("panel").agg(F.count("*").alias("n"), F.min_by("x_key", "slice").alias("first")).collect()
+    }
     assert got == {"p1": (10, "1849-03-01"), "p2": (31, "1")}

@@ -32,7 +32,21 @@ def test_rotation(spark, degrees, want):
     assert one(spark, g.rotation(F.lit(degrees))) == want
 
 
-@pytest.mark.parametrize("raw,name,mm", [("mm", "mm", 1.0), ("Millimeter", "mm", 1.0), ("cm.", "cm", 10.0), ("Meter", "m", 1000.0), ("bayer. Fuß", "bavarian_foot", 291.859), ("Schuh", "bavarian_foot", 291.859), ("Zoll", "bavarian_zoll", 291.859 / 12), ("Klafter", "Klafter", None), ("", "unknown", None), (None, "unknown", None)])
+@pytest.mark.parametrize(
+    "raw,name,mm",
+    [
+        ("mm", "mm", 1.0),
+        ("Millimeter", "mm", 1.0),
+        ("cm.", "cm", 10.0),
+        ("Meter", "m", 1000.0),
+        ("bayer. Fuß", "bavarian_foot", 291.859),
+        ("Schuh", "bavarian_foot", 291.859),
+        ("Zoll", "bavarian_zoll", 291.859 / 12),
+        ("Klafter", "Klafter", None),
+        ("", "unknown", None),
+        (None, "unknown", None)
+    ]
+)
 def test_units(spark, raw, name, mm):
     c = units.canonical(F.lit(raw).cast("string"))
     assert one(spark, c) == name
@@ -47,7 +61,21 @@ def test_unit_switch(spark):
     assert one(spark, units.in_force(F.lit("Pegel"), F.lit("17"))) == "Pegel"
 
 
-@pytest.mark.parametrize("label,year,want", [("1849-07-03", None, date(1849, 7, 3)), ("1849-02-30", None, None), ("Juli 1849", None, date(1849, 7, 1)), ("3. Juli", 1850, date(1850, 7, 3)), ("3. Juli", None, None), ("12 Sept. 1871", None, date(1871, 9, 12)), ("31. Feb. 1849", None, None), ("", 1849, None), ("Jänner 1850", None, date(1850, 1, 1)), ("ju 1849", None, None)])
+@pytest.mark.parametrize(
+    "label,year,want",
+    [
+        ("1849-07-03", None, date(1849, 7, 3)),
+        ("1849-02-30", None, None),
+        ("Juli 1849", None, date(1849, 7, 1)),
+        ("3. Juli", 1850, date(1850, 7, 3)),
+        ("3. Juli", None, None),
+        ("12 Sept. 1871", None, date(1871, 9, 12)),
+        ("31. Feb. 1849", None, None),
+        ("", 1849, None),
+        ("Jänner 1850", None, date(1850, 1, 1)),
+        ("ju 1849", None, None)
+    ]
+)
 def test_dates(spark, label, year, want):
     assert one(spark, dates.parse_label(F.lit(label), F.lit(year).cast("int"))) == want
 
@@ -63,7 +91,9 @@ def test_text(spark):
     assert one(spark, text.slug(F.lit("--a b/c--"))) == "a-b-c"
     assert one(spark, text.slug(F.lit("///"))) == "run"
     assert one(spark, text.month_list(F.lit("1-3,6,2"))) == [1, 2, 3, 6]
-    assert [tuple(x) for x in one(spark, text.gauge_months(F.lit("210018:1839:1-2+6, 290022:1844:6")))] == [("210018", 1839, 1), ("210018", 1839, 2), ("210018", 1839, 6), ("290022", 1844, 6)]
+    assert [
+        tuple(x) for x in one(spark, text.gauge_months(F.lit("210018:1839:1-2+6, 290022:1844:6")))
+    ] == [("210018", 1839, 1), ("210018", 1839, 2), ("210018", 1839, 6), ("290022", 1844, 6)]
     assert one(spark, text.clean_json(F.lit('Sure:\n```json\n{"a": [1]}\n```'))) == '{"a": [1]}'
     assert one(spark, text.clean_json(F.lit('it is [1, 2]'))) == "[1, 2]"
     names = ["M10", "m2", "M1", "a"]

@@ -98,12 +98,16 @@ def test_robust_fit(spark):
 
 
 def test_scale_fallback_and_sides(spark):
-    rows = [("log", i, 900.0 - 200 * i + i * i % 3, 10.0**i) for i in range(5)] + [("neg", i, 10.0 * i, -1.0 + 2 * i + 0.01 * (i % 2)) for i in range(5)]
+    rows = [("log", i, 900.0 - 200 * i + i * i % 3, 10.0**i) for i in range(5)] + [
+        ("neg", i, 10.0 * i, -1.0 + 2 * i + 0.01 * (i % 2)) for i in range(5)
+    ]
     df = spark.createDataFrame(rows, "k string, ord int, pixel double, value double")
     got = {r.k: r for r in fit.fit_both_scales(df, ["k"], F.lit("linear")).collect()}
     assert got["log"].scale == "log" and got["log"].scale_auto
     assert got["neg"].scale == "linear" and not got["neg"].scale_auto
-    mixed = [("m", i, 100.0 * i, 20.0 * i + 1 + 0.1 * (i % 2), "?") for i in range(5)] + [("m", 5 + i, 100.0 * i + 7, 5e5 + 3e5 * i + 10 * (i % 2), "?") for i in range(5)]
+    mixed = [("m", i, 100.0 * i, 20.0 * i + 1 + 0.1 * (i % 2), "?") for i in range(5)] + [
+        ("m", 5 + i, 100.0 * i + 7, 5e5 + 3e5 * i + 10 * (i % 2), "?") for i in range(5)
+    ]
     side = fit.pick_side(spark.createDataFrame(mixed, "k string, ord int, pixel double, value double, side string"), ["k"]).collect()
     assert len(side) == 1 and side[0].side in ("left", "right") and side[0].n_ticks == 5 and side[0].r2 > 0.99
 
@@ -117,8 +121,14 @@ def test_donor(spark):
 
 def test_separation_and_distinct(spark):
     flat = lambda y, lo=0, hi=100: [(float(x), float(y)) for x in range(lo, hi, 3)]
-    rows = [("t", c, i, x, y) for c, line in {0: flat(10), 1: flat(12), 2: flat(70), 3: flat(40, 200, 300)}.items() for i, (x, y) in enumerate(line)]
-    lines = cd.as_polylines(spark.createDataFrame(rows, "tile string, cand int, ord int, x double, y double"), ["tile", "cand"]).withColumn("rank", F.col("cand") + 1)
+    rows = [
+        ("t", c, i, x, y) for c,
+        line in {0: flat(10), 1: flat(12), 2: flat(70), 3: flat(40, 200, 300)}.items() for i,
+        (x, y) in enumerate(line)
+    ]
+    lines = cd.as_polylines(
+        spark.createDataFrame(rows, "tile string, cand int, ord int, x double, y double"), ["tile", "cand"]
+    ).withColumn("rank", F.col("cand") + 1)
     pairs = cd.separations(lines, ["tile"], "rank")
     got = {(r.cand_a, r.cand_b): r.separation for r in pairs.collect()}
     assert got[0, 1] == pytest.approx(2) and got[0, 2] == pytest.approx(60) and got[0, 3] == math.inf
@@ -127,7 +137,13 @@ def test_separation_and_distinct(spark):
 
 
 def test_name_series(spark):
-    df = spark.range(1).select(cd.name_series(F.array(*map(F.lit, (4, 7, 9))), F.create_map(F.lit(4), F.lit("b"), F.lit(7), F.lit("artifact"), F.lit(9), F.lit("b")), F.array(F.lit("a"), F.lit("b"))).alias("s"))
+    df = spark.range(1).select(
+        cd.name_series(
+            F.array(*map(F.lit, (4, 7, 9))),
+            F.create_map(F.lit(4), F.lit("b"), F.lit(7), F.lit("artifact"), F.lit(9), F.lit("b")),
+            F.array(F.lit("a"), F.lit("b"))
+        ).alias("s")
+    )
     assert [tuple(x) for x in df.first().s] == [("s1", 4, "b"), ("s2", 7, "a"), ("s3", 9, "series 3")]
 
 
@@ -143,7 +159,13 @@ def iou(a, b):
 
 def random_pages(seed, n):
     rng = random.Random(seed)
-    return {p: [(rng.randrange(60), rng.randrange(60), rng.randrange(10, 50), rng.randrange(10, 50), rng.randrange(10) / 10) for _ in range(rng.randrange(1, 9))] for p in range(n)}
+    return {
+        p: [
+            (
+                rng.randrange(60), rng.randrange(60), rng.randrange(10, 50), rng.randrange(10, 50), rng.randrange(10) / 10
+            ) for _ in range(rng.randrange(1, 9))
+        ] for p in range(n)
+    }
 
 
 def test_suppress_brute_force(spark):
@@ -161,7 +183,9 @@ def test_suppress_brute_force(spark):
 
 def test_reading_order(spark):
     heights = [454, 947, 592, 548, 754, 394, 359, 457, 335, 371, 359, 273]
-    pages = random_pages(2, 60) | {900: [(100 * i, 1000 - h, 90, h, 1.0) for i, h in enumerate(heights)], 901: [(0, 0, 50, 40, 1.0), (0, 100, 50, 40, 1.0)]}
+    pages = random_pages(2, 60) | {
+        900: [(100 * i, 1000 - h, 90, h, 1.0) for i, h in enumerate(heights)], 901: [(0, 0, 50, 40, 1.0), (0, 100, 50, 40, 1.0)]
+    }
     got = {}
     for r in bx.reading_order(boxes_frame(spark, pages), ["page"]).collect():
         got.setdefault(r.page, {})[r.place] = (r.pos, r.row)
@@ -217,7 +241,9 @@ def test_metrics(spark):
 
 
 def test_months(spark):
-    rows = [(1, i + 1, None, m) for i, m in enumerate([1, 2, None, 4, 5, 6, 7, 8, 9, 10, 11, 12])] + [(2, i + 1, None, m) for i, m in enumerate([3, 2, 1])] + [(3, 1, 5, 6)]
+    rows = [
+        (1, i + 1, None, m) for i, m in enumerate([1, 2, None, 4, 5, 6, 7, 8, 9, 10, 11, 12])
+    ] + [(2, i + 1, None, m) for i, m in enumerate([3, 2, 1])] + [(3, 1, 5, 6)]
     df = spark.createDataFrame(rows, "page int, place int, hint_month int, label_month int")
     got = {(r.page, r.place): r for r in months.assign(df, ["page"]).collect()}
     assert got[1, 3].month is None and not got[1, 1].positional and got[1, 12].month == 12
@@ -226,24 +252,37 @@ def test_months(spark):
 
 
 def test_ridge(spark):
-    rows = [("a", r, c, 200.0 - (90.0 if abs(r - 30) < 1 else 40.0 if abs(r - 30) < 2 else 0.0)) for r in range(60) for c in range(20)] + [("b", r, c, 100.0) for r in range(60) for c in range(20)]
+    rows = [
+        ("a", r, c, 200.0 - (90.0 if abs(r - 30) < 1 else 40.0 if abs(r - 30) < 2 else 0.0)) for r in range(60) for c in range(20)
+    ] + [("b", r, c, 100.0) for r in range(60) for c in range(20)]
     df = spark.createDataFrame(rows, "tile string, row int, col int, gray double")
     seeds = spark.createDataFrame([("a", 0, 10.0, 24.0), ("b", 0, 10.0, 24.0)], "tile string, seed int, x double, y double")
     got = {r.tile: r.new_y for r in raster.refine_ridges(df, seeds, ["tile"]).collect()}
     assert got["a"] == pytest.approx(30, abs=0.01) and got["b"] == 24.0
-    s = raster.column_strength(df.withColumn("gray", F.when(F.col("col") >= 10, 0.0).otherwise(100.0)), ["tile"]).where("tile = 'a'").orderBy(F.desc("s")).limit(2).collect()
+    s = raster.column_strength(
+        df.withColumn("gray", F.when(F.col("col") >= 10, 0.0).otherwise(100.0)), ["tile"]
+    ).where("tile = 'a'").orderBy(F.desc("s")).limit(2).collect()
     assert {r.col for r in s} == {9, 10}
 
 
 def test_stitch_and_hints(spark):
-    rows = [("s1", 1, "1849-01-01", 1.0), ("s1", 1, "1849-01-02", 2.0), ("s1", 2, "1849-01-02", 9.0), ("s1", 2, "1849-01-04", None), ("s2", 1, "1849-01-01", 5.0)]
+    rows = [
+        ("s1", 1, "1849-01-01", 1.0),
+        ("s1", 1, "1849-01-02", 2.0),
+        ("s1", 2, "1849-01-02", 9.0),
+        ("s1", 2, "1849-01-04", None),
+        ("s2", 1, "1849-01-01", 5.0)
+    ]
     st = sr.stitch(spark.createDataFrame(rows, "sid string, panel_ord int, x_key string, value double"), ["sid"])
     got = {r.x_key: r.value for r in st.collect()}
     assert got == {"1849-01-01": 1.0, "1849-01-02": 9.0, "1849-01-04": None}
     c = sr.continuity(st, ["sid"]).first()
     assert (c.n, c.missing, c.gaps, c.overlaps) == (3, 1, 1, 1)
     panels = spark.createDataFrame([(1, 1, 3), (1, 2, None), (1, 3, 7)], "page int, place int, month int")
-    hints = spark.createDataFrame([(1, 3, None, 0, "by month"), (1, None, 2, 1, "by place"), (1, None, 1, 2, "late")], "page int, h_month int, h_index int, h_ord int, hint string")
+    hints = spark.createDataFrame(
+        [(1, 3, None, 0, "by month"), (1, None, 2, 1, "by place"), (1, None, 1, 2, "late")],
+        "page int, h_month int, h_index int, h_ord int, hint string"
+    )
     got = {r.place: (r.hint, r.way) for r in sr.panel_hints(panels, hints, ["page"]).collect()}
     assert got == {1: ("by month", 1), 2: ("by place", 2), 3: (None, None)}
 
@@ -288,7 +327,9 @@ def test_every_point_gets_a_baseline(spark, tmp_path):
     rng = random.Random(8)
     minutes = rng.sample(range(43_000), 400)
     rows = [(i, rng.randrange(10, 30), datetime(2024, 1, 1) + timedelta(minutes=m), rng.random() * 100) for i, m in enumerate(minutes)]
-    spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(str(tmp_path / "events.parquet"))
+    spark.createDataFrame(
+        rows, "event_id long, user_id long, ts timestamp_ntz, value double"
+    ).write.parquet(str(tmp_path / "events.parquet"))
     x = {i: m / 1440 for i, m in enumerate(minutes)}
     want = {}
     for i, user, _, y in rows:
@@ -320,6 +361,8 @@ def test_global_rank_and_long_digits(spark):
 def test_seeds_outside_the_image(spark):
     from tracewright.operators import raster
 
-    image = spark.createDataFrame([(1, r, c, 10.0 if r == 3 else 100.0) for r in range(8) for c in range(5)], "tile int, row int, col int, gray double")
+    image = spark.createDataFrame(
+        [(1, r, c, 10.0 if r == 3 else 100.0) for r in range(8) for c in range(5)], "tile int, row int, col int, gray double"
+    )
     seeds = spark.createDataFrame([(1, 0, 40.0, -3.0)], "tile int, seed int, x double, y double")
     assert raster.refine_ridges(image, seeds, ["tile"], 6, 1).first().new_y == pytest.approx(3.0)

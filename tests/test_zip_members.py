@@ -18,7 +18,9 @@ def archive(tmp_path_factory):
     path = tmp_path_factory.mktemp("zip") / "tiles.zip"
     with zipfile.ZipFile(path, "w") as z:
         for k in range(500):
-            z.writestr(f"tiles/sheet_{9000 + k // 12}.tif_M{k % 12 + 1:02}{'a' if k % 5 == 0 else ''}.png", f"member {k} ".encode() * (k % 7 + 1))
+            z.writestr(
+                f"tiles/sheet_{9000 + k // 12}.tif_M{k % 12 + 1:02}{'a' if k % 5 == 0 else ''}.png", f"member {k} ".encode() * (k % 7 + 1)
+            )
         z.writestr("readme.txt", b"no tile")
     return path
 
@@ -37,7 +39,9 @@ def spoiled(archive, tmp_path, keep):
 
 def load(spark, path, **options):
     zip_members.register(spark)
-    return spark.read.format("zip_members").option("path", f"file://{path}").options(**{"names": NAMES, "columns": COLUMNS} | options).load()
+    return spark.read.format("zip_members").option("path", f"file://{path}").options(
+        **{"names": NAMES, "columns": COLUMNS} | options
+    ).load()
 
 
 @pytest.mark.parametrize(
@@ -67,9 +71,13 @@ def test_only_what_filters_ask_for_is_read(spark, archive, tmp_path, where, n):
 
 
 def test_other_filters_go_back_to_spark(spark, archive):
-    found = load(spark, archive).where("content = CAST('member 17 member 17 member 17 member 17 ' AS binary) AND (month = 6 OR scan = '1') AND upper(part) IS NULL")
+    found = load(spark, archive).where(
+        "content = CAST('member 17 member 17 member 17 member 17 ' AS binary) AND (month = 6 OR scan = '1') AND upper(part) IS NULL"
+    )
     assert [(r.scan, r.month, r.part) for r in found.collect()] == [("9001", 6, None)]
-    assert load(spark, archive).where("month = 6 AND length(content) > 40").count() == sum(1 for k in range(5, 500, 12) if len(f"member {k} " * (k % 7 + 1)) > 40)
+    assert load(spark, archive).where("month = 6 AND length(content) > 40").count() == sum(
+        1 for k in range(5, 500, 12) if len(f"member {k} " * (k % 7 + 1)) > 40
+    )
     assert load(spark, archive).count() == 500 and load(spark, archive, names="", columns="").count() == 501
 
 

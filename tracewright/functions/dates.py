@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # Month names in the order in which beginnings are looked up.
 MONTHS = (
-    ("januar", 1), ("jänner", 1), ("februar", 2), ("märz", 3), ("maerz", 3), ("april", 4), ("mai", 5), ("juni", 6), ("juli", 7), ("august", 8), ("september", 9), ("oktober", 10), ("november", 11), ("dezember", 12),
+    ("januar", 1), ("jänner", 1), ("februar", 2), ("märz", 3), ("maerz", 3), ("april", 4), ("mai", 5), ("juni", 6), ("juli", 7), ("august", 8), (
+        "september", 9
+    ), ("oktober", 10), ("november", 11), ("dezember", 12),
     ("january", 1), ("february", 2), ("march", 3), ("may", 5), ("june", 6), ("july", 7), ("october", 10), ("december", 12),
 )
 # The forms of labels.
@@ -34,10 +36,15 @@ def parse_label(label: Column, default_year: Column | None = None) -> Column:
     default_year = F.lit(None).cast("int") if default_year is None else default_year
     iso = F.when(text.rlike(ISO), F.try_to_date(text, "yyyy-MM-dd"))
     month = month_number(F.regexp_extract(text, MONTH_YEAR, 1))
-    by_month = F.when(text.rlike(MONTH_YEAR) & month.isNotNull(), _date(F.regexp_extract(text, MONTH_YEAR, 2).try_cast("int"), month, F.lit(1)))
+    by_month = F.when(
+        text.rlike(MONTH_YEAR) & month.isNotNull(), _date(F.regexp_extract(text, MONTH_YEAR, 2).try_cast("int"), month, F.lit(1))
+    )
     own_month = month_number(F.regexp_extract(text, DAY_MONTH, 2))
     year = F.coalesce(F.regexp_extract(text, DAY_MONTH, 3).try_cast("int"), default_year)
-    by_day = F.when(text.rlike(DAY_MONTH) & own_month.isNotNull() & year.isNotNull(), _date(year, own_month, F.regexp_extract(text, DAY_MONTH, 1).try_cast("int")))
+    by_day = F.when(
+        text.rlike(DAY_MONTH) & own_month.isNotNull() & year.isNotNull(),
+        _date(year, own_month, F.regexp_extract(text, DAY_MONTH, 1).try_cast("int"))
+    )
     return F.when(text.rlike(ISO), iso).otherwise(F.coalesce(by_month, by_day))
 
 

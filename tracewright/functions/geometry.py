@@ -129,7 +129,9 @@ def tile_box(plot: Column, page_w: Column, page_h: Column, margin: float) -> Col
 def tile_transform(area: Column, stretch: float = 1.0) -> Column:
     """Where a tile begins on its page, its scales, and its size in pixels."""
     return F.struct(
-        area["x"].cast("double").alias("crop_x"), area["y"].cast("double").alias("crop_y"), F.lit(float(stretch)).alias("x_scale"), F.lit(1.0).alias("y_scale"),
+        area["x"].cast("double").alias("crop_x"), area["y"].cast("double").alias("crop_y"), F.lit(
+            float(stretch)
+        ).alias("x_scale"), F.lit(1.0).alias("y_scale"),
         F.greatest(F.lit(1), F.rint(area["w"] * stretch)).cast("int").alias("width"), area["h"].cast("int").alias("height"),
     )
 

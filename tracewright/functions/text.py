@@ -25,7 +25,12 @@ def natural_key(name: Column) -> Column:
     """Sorts as the name does with its runs of digits taken as numbers: each run without leading zeros, after its length."""
     parts = F.regexp_extract_all(F.lower(name), F.lit("(\\d+|[^\\d]+)"), F.lit(1))
     number = lambda p: F.ltrim(p, F.lit("0"))
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^\\d+$"), F.concat(F.lpad(F.length(number(p)).cast("string"), 9, "0"), number(p))).otherwise(p)), "")
+    return F.array_join(
+        F.transform(
+            parts, lambda p: F.when(p.rlike("^\\d+$"), F.concat(F.lpad(F.length(number(p)).cast("string"), 9, "0"), number(p))).otherwise(p)
+        ),
+        ""
+    )
 
 
 def month_list(spec: Column) -> Column:
@@ -41,7 +46,10 @@ def _ranges(parts: Column) -> Column:
 def gauge_months(spec: Column) -> Column:
     """'210018:1839:1-3+6,...' to (scan, year, month) entries, in their order, repeats kept."""
     part = lambda p, i: F.element_at(F.split(F.trim(p), ":"), i)
-    one = lambda p: F.transform(_ranges(F.split(part(p, 3), "\\+")), lambda m: F.struct(part(p, 1).alias("scan"), part(p, 2).cast("int").alias("year"), m.alias("month")))
+    one = lambda p: F.transform(
+        _ranges(F.split(part(p, 3), "\\+")),
+        lambda m: F.struct(part(p, 1).alias("scan"), part(p, 2).cast("int").alias("year"), m.alias("month"))
+    )
     return F.flatten(F.transform(F.split(spec, ","), one))
 
 
@@ -66,7 +74,9 @@ def general(v: Column, digits: int) -> Column:
     """A number with so many significant digits, without trailing zeros; very large and very small ones with an exponent (as %g in C)."""
     v = v.cast("double")
     parts = F.struct(
-        F.regexp_replace(F.regexp_extract(F.format_string(f"%.{digits - 1}e", F.abs(v)), "^(.*)e", 1), "\\.", "").alias("d"), F.regexp_extract(F.format_string(f"%.{digits - 1}e", F.abs(v)), "e(.*)$", 1).cast("int").alias("x")
+        F.regexp_replace(
+            F.regexp_extract(F.format_string(f"%.{digits - 1}e", F.abs(v)), "^(.*)e", 1), "\\.", ""
+        ).alias("d"), F.regexp_extract(F.format_string(f"%.{digits - 1}e", F.abs(v)), "e(.*)$", 1).cast("int").alias("x")
     )
     short = lambda s: F.regexp_replace(F.regexp_replace(s, "(\\.\\d*?)0+$", "$1"), "\\.$", "")
 
@@ -74,7 +84,12 @@ def general(v: Column, digits: int) -> Column:
         d, x = p["d"], p["x"]
         above = F.concat(F.substring(d, F.lit(1), x + 1), F.lit("."), F.substring(d, x + 2, F.lit(digits)))
         below = F.concat(F.lit("0."), F.repeat(F.lit("0"), -x - 1), d)
-        power = F.concat(short(F.concat(F.substring(d, 1, 1), F.lit("."), F.substring(d, 2, digits))), F.when(x < 0, "e-").otherwise("e+"), F.when(F.abs(x) < 10, "0").otherwise(""), F.abs(x).cast("string"))
+        power = F.concat(
+            short(F.concat(F.substring(d, 1, 1), F.lit("."), F.substring(d, 2, digits))),
+            F.when(x < 0, "e-").otherwise("e+"),
+            F.when(F.abs(x) < 10, "0").otherwise(""),
+            F.abs(x).cast("string")
+        )
         return F.when((x < -4) | (x >= digits), power).when(x >= 0, short(above)).otherwise(short(below))
 
     return F.when(v == 0, "0").when(v.isNotNull(), F.concat(F.when(v < 0, "-").otherwise(""), let(parts, shown)))

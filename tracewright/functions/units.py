@@ -52,4 +52,6 @@ def in_force(raw: Column, x_key: Column, dated: bool = True, switch: date = UNIT
     declared = canonical(raw)
     if not dated:
         return declared
-    return F.when(factor(declared).isNotNull(), declared).otherwise(F.coalesce(by_date(F.try_to_date(x_key, "yyyy-MM-dd"), switch), declared))
+    return F.when(factor(declared).isNotNull(), declared).otherwise(
+        F.coalesce(by_date(F.try_to_date(x_key, "yyyy-MM-dd"), switch), declared)
+    )

@@ -18,7 +18,13 @@ _X = "struct<kind:string,start:string,end:string,n_samples:int,flags:array<strin
 
 
 def _axis(kind: str, start: Column, end: Column, n: Column, flags: Column) -> Column:
-    return F.struct(F.lit(kind).alias("kind"), start.cast("string").alias("start"), end.cast("string").alias("end"), n.cast("int").alias("n_samples"), flags.cast("array<string>").alias("flags"))
+    return F.struct(
+        F.lit(kind).alias("kind"),
+        start.cast("string").alias("start"),
+        end.cast("string").alias("end"),
+        n.cast("int").alias("n_samples"),
+        flags.cast("array<string>").alias("flags")
+    )
 
 
 def _with_extent(start: Column, end: Column, body) -> Column:
@@ -41,16 +47,29 @@ def x_axis(kind: Column, start: Column, end: Column) -> Column:
 
     def dated(first: Column, last: Column) -> Column:
         out = F.when(last >= first, _axis("date", first, last, F.date_diff(last, first) + 1, none))
-        out = out.when(first.isNotNull() & last.isNull(), _axis("date", F.trunc(first, "MM"), F.last_day(first), dates.days_in_month(first), none))
+        out = out.when(
+            first.isNotNull() & last.isNull(), _axis("date", F.trunc(first, "MM"), F.last_day(first), dates.days_in_month(first), none)
+        )
         return out.otherwise(_axis("date", start, end, n, F.array(F.lit("dates_unparsed"))))
 
     def counted(x: Column) -> Column:
         a, b, width = x["a"], x["b"], F.abs(x["b"] - x["a"])
-        out = F.when(a != b, _axis("numeric", _plain(a), _plain(b), F.when(width == F.rint(width), width + 1), F.when(b < a, F.array(F.lit("descending"))).otherwise(none)))
+        out = F.when(
+            a != b,
+            _axis(
+                "numeric",
+                _plain(a),
+                _plain(b),
+                F.when(width == F.rint(width), width + 1),
+                F.when(b < a, F.array(F.lit("descending"))).otherwise(none)
+            )
+        )
         return out.otherwise(_axis("numeric", start, end, n, F.array(F.lit("numeric_extent_unparsed"))))
 
     numbers = F.struct(text.lenient_number(start).alias("a"), text.lenient_number(end).alias("b"))
-    return F.when(kind == "date", _with_extent(start, end, dated)).when(kind == "numeric", let(numbers, counted)).otherwise(_axis("unknown", start, end, n, none))
+    return F.when(
+        kind == "date", _with_extent(start, end, dated)
+    ).when(kind == "numeric", let(numbers, counted)).otherwise(_axis("unknown", start, end, n, none))
 
 
 def with_month(x: Column, start: Column, end: Column) -> Column:
@@ -58,7 +77,10 @@ def with_month(x: Column, start: Column, end: Column) -> Column:
 
     def preferred(first: Column, last: Column) -> Column:
         whole = F.coalesce((x["kind"] == "date") & x["n_samples"].isNotNull(), F.lit(False))
-        return F.when(~whole & (last >= first), _axis("date", first, last, F.date_diff(last, first) + 1, F.array_append(x["flags"], F.lit("x_from_month_hint")))).otherwise(x.cast(_X))
+        return F.when(
+            ~whole & (last >= first),
+            _axis("date", first, last, F.date_diff(last, first) + 1, F.array_append(x["flags"], F.lit("x_from_month_hint")))
+        ).otherwise(x.cast(_X))
 
     return _with_extent(start, end, preferred)
 
@@ -132,7 +154,9 @@ def calibrate(panels: DataFrame, ticks: DataFrame, gates: Gates = Gates(), ancho
     used = read.select(*tick)
     if has_side:
         sided = fit.pick_side(read.where("dual").select(*key, "y_scale", "side", "ord", "pixel", "value"), [*key, "y_scale"], gates)
-        picked = sided.select(*key, "y_scale", F.explode("ticks").alias("t")).select(*key, "y_scale", "t.ord", F.col("t.p").alias("pixel"), F.col("t.v").alias("value"))
+        picked = sided.select(*key, "y_scale", F.explode("ticks").alias("t")).select(
+            *key, "y_scale", "t.ord", F.col("t.p").alias("pixel"), F.col("t.v").alias("value")
+        )
         used = used.join(named.where("dual").select(*key), key, "left_anti").unionByName(picked)
     given = None
     if anchors is not None:
@@ -140,24 +164,49 @@ def calibrate(panels: DataFrame, ticks: DataFrame, gates: Gates = Gates(), ancho
         enough = given.groupBy(*key).agg(F.count("*").alias("n")).where("n >= 2").select(*key)
         given = given.join(enough, key, "left_semi")
         model = used
-        used = used.join(enough, key, "left_anti").unionByName(given.withColumn("y_scale", F.when(F.col("y_scale") == "log", "log").otherwise("linear")))
+        used = used.join(enough, key, "left_anti").unionByName(
+            given.withColumn("y_scale", F.when(F.col("y_scale") == "log", "log").otherwise("linear"))
+        )
     fits = fit.gate_flags(fit.fit_both_scales(used, [*key, "y_scale"], F.col("y_scale"), gates), gates)
     at = lambda c: fit.value_at(F.col("slope"), F.col("intercept"), F.col(c), F.col("scale"))
     fits = fits.withColumn("v_low", at("c_low")).withColumn("v_high", at("c_high")).drop("y_scale", "declared")
     if given is not None:
-        fits = fits.join(_crossed(given, model, key, gates), key, "left").join(given.select(*key).distinct().withColumn("hinted", F.lit(True)), key, "left")
+        fits = fits.join(_crossed(given, model, key, gates), key, "left").join(
+            given.select(*key).distinct().withColumn("hinted", F.lit(True)), key, "left"
+        )
         fits = fits.join(known.select(*key, "top", "bottom"), key, "left")
         span = F.coalesce(F.abs(at("top") - at("bottom")), F.abs(F.col("v_high") - F.col("v_low")))
         span = F.coalesce(F.nullif(span, F.lit(0.0)), F.lit(1.0))
-        marks = F.array_compact(F.array(F.when(F.col("hinted"), "user_hint:y_anchors"), F.when(F.col("worst") / span > gates.anchor_span, "hint_mismatch")))
-        fits = fits.withColumn("flags", F.concat("flags", marks)).withColumn("method", F.when(F.col("hinted"), "user_anchors").otherwise(F.col("method")))
+        marks = F.array_compact(
+            F.array(F.when(F.col("hinted"), "user_hint:y_anchors"), F.when(F.col("worst") / span > gates.anchor_span, "hint_mismatch"))
+        )
+        fits = fits.withColumn("flags", F.concat("flags", marks)).withColumn(
+            "method", F.when(F.col("hinted"), "user_anchors").otherwise(F.col("method"))
+        )
         fits = fits.drop("worst", "hinted", "top", "bottom")
     out = known.select("page", "panel").join(fits, key, "left").withColumn("usable", F.col("slope").isNotNull())
     none = F.array(F.lit("unusable"))
     return out.withColumn("flags", F.when(F.col("usable"), F.col("flags")).otherwise(none)).withColumn("review_required", ~F.col("usable"))
 
 
-_SHARED = ("scale", "scale_auto", "slope", "intercept", "r2", "rmse", "n_ticks", "n_used", "n_rejected", "method", "value_range", "c_low", "v_low", "c_high", "v_high", "ticks")
+_SHARED = (
+    "scale",
+    "scale_auto",
+    "slope",
+    "intercept",
+    "r2",
+    "rmse",
+    "n_ticks",
+    "n_used",
+    "n_rejected",
+    "method",
+    "value_range",
+    "c_low",
+    "v_low",
+    "c_high",
+    "v_high",
+    "ticks"
+)
 
 
 def share(axes: DataFrame, gates: Gates = Gates()) -> DataFrame:
@@ -168,14 +217,28 @@ def share(axes: DataFrame, gates: Gates = Gates()) -> DataFrame:
     w = Window.partitionBy("page")
     score = F.col("r2") * F.least(F.lit(1.0), F.col("n_used") / 3)
     axis = F.when(F.col("usable"), F.struct(F.col("panel").alias("donor"), F.struct(*_SHARED, "flags").alias("y")))
-    best = F.first(axis, ignorenulls=True).over(w.orderBy(F.desc("usable"), F.desc(score), "panel").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    best = F.first(axis, ignorenulls=True).over(
+        w.orderBy(F.desc("usable"), F.desc(score), "panel").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    )
     out = axes.withColumn("best", best)
     taken = ~F.col("usable") & F.col("best").isNotNull()
     off = F.try_divide(F.abs(F.col("slope") - F.col("best.y.slope")), F.abs(F.col("best.y.slope")))
     far = F.col("usable") & (F.col("panel") != F.col("best.donor")) & F.coalesce(off > gates.donor_slope, F.lit(False))
-    flags = F.when(taken, F.array_append(F.col("best.y.flags"), F.concat(F.lit("y_fit_shared_from:"), F.col("best.donor")))).when(far, F.array_append("flags", F.lit("y_fit_inconsistent"))).otherwise(F.col("flags"))
+    flags = F.when(
+        taken, F.array_append(F.col("best.y.flags"), F.concat(F.lit("y_fit_shared_from:"), F.col("best.donor")))
+    ).when(far, F.array_append("flags", F.lit("y_fit_inconsistent"))).otherwise(F.col("flags"))
     columns = [F.when(taken, F.col(f"best.y.{c}")).otherwise(F.col(c)).alias(c) for c in _SHARED]
-    return out.select("page", "panel", F.col("best.donor").alias("donor"), taken.alias("shared"), far.alias("inconsistent"), off.alias("slope_off"), *columns, flags.alias("flags"), (F.col("review_required") & ~taken).alias("review_required"))
+    return out.select(
+        "page",
+        "panel",
+        F.col("best.donor").alias("donor"),
+        taken.alias("shared"),
+        far.alias("inconsistent"),
+        off.alias("slope_off"),
+        *columns,
+        flags.alias("flags"),
+        (F.col("review_required") & ~taken).alias("review_required")
+    )
 
 
 def tile_rows(boxes: DataFrame, page: list[str]) -> DataFrame:
@@ -190,4 +253,6 @@ def tile_rows(boxes: DataFrame, page: list[str]) -> DataFrame:
 def seeded(boxes: DataFrame, low: Column, high: Column) -> DataFrame:
     """boxes (of tile_rows) calibrated from the annotation alone: the line through both anchor rows."""
     slope, intercept = fit.two_anchor(F.col("tile_low"), low, F.col("tile_high"), high)
-    return boxes.withColumn("slope", slope).withColumn("intercept", intercept).withColumn("method", F.lit("human_anchors")).withColumn("flags", F.array(F.lit("seeded_from_annotations")))
+    return boxes.withColumn("slope", slope).withColumn("intercept", intercept).withColumn("method", F.lit("human_anchors")).withColumn(
+        "flags", F.array(F.lit("seeded_from_annotations"))
+    )

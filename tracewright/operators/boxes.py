@@ -39,7 +39,9 @@ def reading_order(boxes: DataFrame, page: list[str], overlap: float = Gates.row_
     grouped = rows.groupBy(*page).agg(F.array_sort(F.collect_list("b")).alias("bs"))
 
     def meets(a: Column, b: Column) -> Column:
-        return F.least(g.bottom(a["box"]), g.bottom(b["box"])) - F.greatest(a["box"]["y"], b["box"]["y"]) > overlap * F.least(a["box"]["h"], b["box"]["h"])
+        return F.least(
+            g.bottom(a["box"]), g.bottom(b["box"])
+        ) - F.greatest(a["box"]["y"], b["box"]["y"]) > overlap * F.least(a["box"]["h"], b["box"]["h"])
 
     def step(lines: Column, b: Column) -> Column:
         # A row is an array of boxes; the first one that b meets takes it.
@@ -49,10 +51,14 @@ def reading_order(boxes: DataFrame, page: list[str], overlap: float = Gates.row_
         return F.when(found > 0, grown).otherwise(F.concat(lines, F.array(F.array(b))))
 
     lines = F.aggregate(F.slice("bs", 2, F.greatest(F.size("bs") - 1, F.lit(0))), F.array(F.slice("bs", 1, 1)), step)
-    flat = grouped.select(*page, F.posexplode(lines).alias("line", "members")).select(*page, "line", F.array_min(F.transform("members", lambda m: m["mid"])).alias("top"), F.explode("members").alias("b"))
+    flat = grouped.select(*page, F.posexplode(lines).alias("line", "members")).select(
+        *page, "line", F.array_min(F.transform("members", lambda m: m["mid"])).alias("top"), F.explode("members").alias("b")
+    )
     order = Window.partitionBy(*page).orderBy("top", "line", F.col("b.box.x"), F.col("b.mid"), F.col("b.pos"))
     line_no = F.dense_rank().over(Window.partitionBy(*page).orderBy("top", "line"))
-    return flat.select(*page, F.col("b.pos").alias("pos"), F.col("b.box").alias("box"), line_no.alias("row"), F.row_number().over(order).alias("place"))
+    return flat.select(
+        *page, F.col("b.pos").alias("pos"), F.col("b.box").alias("box"), line_no.alias("row"), F.row_number().over(order).alias("place")
+    )
 
 
 def greedy_match(truth: DataFrame, found: DataFrame, page: list[str], least: float = Gates.match_iou) -> DataFrame:
@@ -65,21 +71,39 @@ def greedy_match(truth: DataFrame, found: DataFrame, page: list[str], least: flo
     both = t.join(d, page, "left").withColumn("ds", F.coalesce("ds", F.array().cast(d.schema["ds"].dataType)))
     kind = "struct<x:bigint,y:bigint,w:bigint,h:bigint>"
     none = F.array().cast(f"array<struct<ord:bigint,box:{kind},pos:bigint,iou:double,hit:{kind}>>")
-    start = F.struct(F.transform(F.col("ds"), lambda x: F.struct(x["pos"].cast("long").alias("pos"), x["box"].alias("box"))).cast(f"array<struct<pos:bigint,box:{kind}>>").alias("left"), none.alias("out"))
+    start = F.struct(
+        F.transform(
+            F.col("ds"), lambda x: F.struct(x["pos"].cast("long").alias("pos"), x["box"].alias("box"))
+        ).cast(f"array<struct<pos:bigint,box:{kind}>>").alias("left"),
+        none.alias("out")
+    )
 
     def step(acc: Column, t: Column) -> Column:
-        scored = F.transform(acc["left"], lambda x: F.struct(g.iou(t["box"], x["box"]).alias("iou"), (-x["pos"]).alias("first"), x["box"].alias("box")))
+        scored = F.transform(
+            acc["left"], lambda x: F.struct(g.iou(t["box"], x["box"]).alias("iou"), (-x["pos"]).alias("first"), x["box"].alias("box"))
+        )
         best = F.array_max(scored)
         hit = F.coalesce((best["iou"] >= least) & (best["iou"] > 0), F.lit(False))
 
         def with_hit(h: Column) -> Column:
-            row = F.struct(t["ord"].cast("long").alias("ord"), t["box"].alias("box"), F.when(h["ok"], -h["best"]["first"]).alias("pos"), F.when(h["ok"], h["best"]["iou"]).otherwise(F.lit(None).cast("double")).alias("iou"), F.when(h["ok"], h["best"]["box"]).alias("hit"))
-            return F.struct(F.filter(acc["left"], lambda x: ~(h["ok"] & (x["pos"] == -h["best"]["first"]))).alias("left"), F.concat(acc["out"], F.array(row)).alias("out"))
+            row = F.struct(
+                t["ord"].cast("long").alias("ord"),
+                t["box"].alias("box"),
+                F.when(h["ok"], -h["best"]["first"]).alias("pos"),
+                F.when(h["ok"], h["best"]["iou"]).otherwise(F.lit(None).cast("double")).alias("iou"),
+                F.when(h["ok"], h["best"]["box"]).alias("hit")
+            )
+            return F.struct(
+                F.filter(acc["left"], lambda x: ~(h["ok"] & (x["pos"] == -h["best"]["first"]))).alias("left"),
+                F.concat(acc["out"], F.array(row)).alias("out")
+            )
 
         return F.element_at(F.transform(F.array(F.struct(hit.alias("ok"), best.alias("best"))), with_hit), 1)
 
     out = F.aggregate("ts", start, step, lambda acc: acc["out"])
-    return both.select(*page, F.explode(out).alias("m")).select(*page, "m.ord", "m.box", "m.pos", "m.hit", F.col("m.pos").isNotNull().alias("detected"), "m.iou")
+    return both.select(*page, F.explode(out).alias("m")).select(
+        *page, "m.ord", "m.box", "m.pos", "m.hit", F.col("m.pos").isNotNull().alias("detected"), "m.iou"
+    )
 
 
 def drop_slivers(boxes: DataFrame, page: list[str], expected: Column, share: float = Gates.sliver) -> DataFrame:
@@ -112,7 +136,9 @@ def split_wide(boxes: DataFrame, page: list[str], expected: Column) -> DataFrame
 SPLIT_FLAG = "split_from_multimonth_box"
 
 
-def repair_count(panels: DataFrame, page: list[str], expected: Column, strength: DataFrame, share: float = Gates.sliver) -> tuple[DataFrame, DataFrame]:
+def repair_count(
+    panels: DataFrame, page: list[str], expected: Column, strength: DataFrame, share: float = Gates.sliver
+) -> tuple[DataFrame, DataFrame]:
     """panels brought towards the expected count, and the flags that this raises.
 
     panels: page, pos, box, plot, flags and more, which parts inherit. strength: page, pos, col, s, the column strengths of
@@ -123,7 +149,9 @@ def repair_count(panels: DataFrame, page: list[str], expected: Column, strength:
     """
     own = [*page, "pos"]
     w = Window.partitionBy(*page)
-    known = panels.withColumn("_expected", F.coalesce(expected, F.lit(0)).cast("long")).withColumn("_n", F.count("*").over(w)).withColumn("_median", F.median("box.w").over(w))
+    known = panels.withColumn(
+        "_expected", F.coalesce(expected, F.lit(0)).cast("long")
+    ).withColumn("_n", F.count("*").over(w)).withColumn("_median", F.median("box.w").over(w))
     sliver = (F.col("_expected") > 0) & (F.col("_n") > F.col("_expected")) & (F.col("box.w") < share * F.col("_median"))
     kept = known.where(~sliver).withColumn("_left", F.count("*").over(w))
     k = F.rint(F.try_divide(F.col("box.w"), F.col("_median"))).cast("long")
@@ -141,13 +169,21 @@ def repair_count(panels: DataFrame, page: list[str], expected: Column, strength:
     order = w.orderBy(F.col("_x"), "pos", "part")
     number = F.row_number().over(order).cast("string")
     name = F.concat(F.lit("p"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
-    out = joined.withColumn("panel", name).withColumn("box", F.when(split, piece).otherwise(F.col("box"))).withColumn("plot", F.when(split, area).otherwise(F.col("plot")))
+    out = joined.withColumn("panel", name).withColumn("box", F.when(split, piece).otherwise(F.col("box"))).withColumn(
+        "plot", F.when(split, area).otherwise(F.col("plot"))
+    )
     out = out.withColumn("flags", F.when(split, F.array_append("flags", F.lit(SPLIT_FLAG))).otherwise(F.col("flags")))
 
     ref = F.concat_ws("/", *page)
-    told = lambda rows, reason, severity: rows.select(F.lit("triage").alias("stage"), ref.alias("ref"), reason.alias("reason"), F.lit(severity).alias("severity"))
+    told = lambda rows, reason, severity: rows.select(
+        F.lit("triage").alias("stage"), ref.alias("ref"), reason.alias("reason"), F.lit(severity).alias("severity")
+    )
     gone = told(known.where(sliver).groupBy(*page).agg(F.count("*").alias("n")), F.format_string("dropped %d sliver panel(s)", "n"), "info")
     cuts = told(kept.where("parts > 1"), F.format_string("split a %d-month-wide box into %d panels", "_k", "parts"), "info")
     count = out.groupBy(*page).agg(F.count("*").alias("n"), F.max("_expected").alias("e"), F.max("_n").alias("was"))
-    off = told(count.where("e > 0 AND n <> e AND was <> e"), F.format_string("panel count %d != expected %d after repair; hints can draw the boxes", "n", "e"), "blocking")
+    off = told(
+        count.where("e > 0 AND n <> e AND was <> e"),
+        F.format_string("panel count %d != expected %d after repair; hints can draw the boxes", "n", "e"),
+        "blocking"
+    )
     return out.select("panel", *panels.columns), gone.unionByName(cuts).unionByName(off)

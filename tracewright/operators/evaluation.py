@@ -24,19 +24,25 @@ def to_level(values: DataFrame, maps: DataFrame, by: list[str], value: str = "va
 
 def axis_errors(axes: DataFrame) -> DataFrame:
     """axes (slope, intercept, h_slope, h_intercept) with slope_err_pct and zero_px_err, the distance of their zero rows."""
-    return axes.withColumn("slope_err_pct", F.try_divide(F.abs(F.col("slope") - F.col("h_slope")), F.abs(F.col("h_slope"))) * 100).withColumn("zero_px_err", F.abs(fit.beta(F.col("slope"), F.col("intercept")) - fit.beta(F.col("h_slope"), F.col("h_intercept"))))
+    return axes.withColumn("slope_err_pct", F.try_divide(F.abs(F.col("slope") - F.col("h_slope")), F.abs(F.col("h_slope"))) * 100).withColumn(
+        "zero_px_err", F.abs(fit.beta(F.col("slope"), F.col("intercept")) - fit.beta(F.col("h_slope"), F.col("h_intercept")))
+    )
 
 
 def induced_error(points: DataFrame, by: list[str]) -> DataFrame:
     """by, induced_rmse, induced_mae: what an axis (slope, intercept) instead of the human one makes of a curve's pixels."""
-    e = fit.value_at(F.col("slope"), F.col("intercept"), F.col("pixel")) - fit.value_at(F.col("h_slope"), F.col("h_intercept"), F.col("pixel"))
+    e = fit.value_at(F.col("slope"), F.col("intercept"), F.col("pixel")) - fit.value_at(
+        F.col("h_slope"), F.col("h_intercept"), F.col("pixel")
+    )
     return points.groupBy(*by).agg(F.sqrt(F.avg(e * e)).alias("induced_rmse"), F.avg(F.abs(e)).alias("induced_mae"))
 
 
 def calibration_summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """Months, usable ones, median errors and the worst one of each run's calibrations (slope_err_pct null: unusable)."""
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), F.count("slope_err_pct").alias("n_usable"), F.median("slope_err_pct").alias("median_slope_err_pct"), F.median("zero_px_err").alias("median_zero_px_err"),
+        F.count("*").alias("n"), F.count("slope_err_pct").alias("n_usable"), F.median("slope_err_pct").alias(
+            "median_slope_err_pct"
+        ), F.median("zero_px_err").alias("median_zero_px_err"),
         F.median("induced_mae").alias("median_induced_mae"), F.max("induced_mae").alias("worst_induced_mae"),
     )
 
@@ -54,7 +60,15 @@ def with_published(rows: DataFrame, published: DataFrame, by: list[str]) -> Data
 
 def month_means(rows: DataFrame, by: list[str]) -> DataFrame:
     """Means over the months of a run; months without a value do not count."""
-    return rows.groupBy(*by).agg(F.count("*").alias("n"), *(F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(f"mean_{c}") for c in ("rmse", "mae", "maxae", "pearson_r", "peak_score")), F.avg("paper_peak_score").alias("mean_paper_peak_score"))
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("n"),
+        *(
+            F.avg(F.nanvl(F.col(c), F.lit(None).cast("double"))).alias(f"mean_{c}") for c in (
+                "rmse", "mae", "maxae", "pearson_r", "peak_score"
+            )
+        ),
+        F.avg("paper_peak_score").alias("mean_paper_peak_score")
+    )
 
 
 def series_months(series: DataFrame, panels: DataFrame) -> DataFrame:
@@ -67,7 +81,9 @@ def gauge_names(rows: DataFrame, gauges: DataFrame, prefix: str = "DE_BY_DAN_")
     """rows (scan_id) with the station of their gauge, or the scan's first two digits. prefix: of the gauges' ids."""
     names = gauges.groupBy(F.col("gauge_id").alias("_gauge")).agg(F.min("name").alias("station"))
     own = F.substring("scan_id", 1, 2)
-    return rows.withColumn("_gauge", F.concat(F.lit(prefix), own)).join(names, "_gauge", "left").withColumn("station", F.coalesce("station", own)).drop("_gauge")
+    return rows.withColumn(
+        "_gauge", F.concat(F.lit(prefix), own)
+    ).join(names, "_gauge", "left").withColumn("station", F.coalesce("station", own)).drop("_gauge")
 
 
 def extractor_summary(selected: DataFrame, meta: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -82,4 +98,6 @@ def extractor_summary(selected: DataFrame, meta: DataFrame, verdicts: DataFrame)
     told = F.expr("listagg(concat(panel, ':', verdict), ' ') WITHIN GROUP (ORDER BY panel, verdict)")
     judged = verdicts.groupBy("run").agg(told.alias("verdicts"))
     out = cover.join(spent, "run", "full").join(judged, "run", "full")
-    return out.select("run", "coverage", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("verdicts", F.lit("")).alias("verdicts"))
+    return out.select(
+        "run", "coverage", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("verdicts", F.lit("")).alias("verdicts")
+    )

@@ -13,7 +13,14 @@ from tracewright.operators import candidates as cd
 from tracewright.operators import raster
 
 #: Columns of candidate points, and what they may be.
-POINTS = {"tile": (StringType, IntegralType), "cand": (IntegralType,), "ord": (IntegralType,), "x": (DoubleType,), "y": (DoubleType,), "confidence": (NumericType,)}
+POINTS = {
+    "tile": (StringType, IntegralType),
+    "cand": (IntegralType,),
+    "ord": (IntegralType,),
+    "x": (DoubleType,),
+    "y": (DoubleType,),
+    "confidence": (NumericType,)
+}
 
 Backend = Callable[..., DataFrame]
 _BACKENDS: dict[str, Backend] = {}
@@ -38,7 +45,10 @@ def names() -> list[str]:
 def checked(points: DataFrame, name: str) -> DataFrame:
     """points with the columns of POINTS in order; ValueError names those that are missing or of another kind."""
     found = {f.name: f.dataType for f in points.schema}
-    wrong = [f"{c} is missing" if c not in found else f"{c} is {found[c].simpleString()}" for c, kinds in POINTS.items() if not isinstance(found.get(c), kinds)]
+    wrong = [
+        f"{c} is missing" if c not in found else f"{c} is {found[c].simpleString()}" for c,
+        kinds in POINTS.items() if not isinstance(found.get(c), kinds)
+    ]
     if wrong:
         raise ValueError(f"backend {name!r}: " + ", ".join(wrong))
     return points.select(*POINTS)
@@ -51,7 +61,9 @@ def extract(name: str, tiles: DataFrame, **parameters) -> DataFrame:
     return checked(_BACKENDS[name](tiles, **parameters), name)
 
 
-def extract_with_fallback(first: str, second: str, tiles: DataFrame, viable: Callable[[DataFrame], DataFrame], parameters: dict | None = None) -> DataFrame:
+def extract_with_fallback(
+    first: str, second: str, tiles: DataFrame, viable: Callable[[DataFrame], DataFrame], parameters: dict | None = None
+) -> DataFrame:
     """Points of both backends, `pool` telling which: the second one sees only tiles of which the first's points are not viable.
 
     viable: points to the tiles (tile) that need no more. The second's candidates are numbered on from the first's.
@@ -67,18 +79,38 @@ def mask(tiles: DataFrame, level: float = 128.0) -> DataFrame:
     """One curve a tile: the middle of the pixels above a level in every column; confidence is the share of columns that have any."""
     line = raster.mask_to_polyline(tiles, ["tile"], level)
     width = tiles.groupBy("tile").agg((F.max("col") + 1).alias("w"))
-    share = line.groupBy("tile").agg(F.count("*").alias("n")).join(width, "tile").select("tile", (F.col("n") / F.col("w")).alias("confidence"))
-    return line.join(share, "tile").select("tile", F.lit(0).cast("bigint").alias("cand"), F.col("x").cast("bigint").alias("ord"), F.col("x").cast("double").alias("x"), "y", "confidence")
+    share = line.groupBy("tile").agg(F.count("*").alias("n")).join(width, "tile").select(
+        "tile", (F.col("n") / F.col("w")).alias("confidence")
+    )
+    return line.join(share, "tile").select(
+        "tile",
+        F.lit(0).cast("bigint").alias("cand"),
+        F.col("x").cast("bigint").alias("ord"),
+        F.col("x").cast("double").alias("x"),
+        "y",
+        "confidence"
+    )
 
 
 @register("ridge")
 def ridge(tiles: DataFrame) -> DataFrame:
     """One curve a tile: the brightest row of every column, the topmost of several; confidence is how far it stands out from the column's mean."""
-    best = tiles.groupBy("tile", "col").agg(F.max_by(F.struct("row", "gray"), F.struct("gray", -F.col("row"))).alias("b"), F.avg("gray").alias("mean"), F.min("gray").alias("low"))
+    best = tiles.groupBy("tile", "col").agg(
+        F.max_by(F.struct("row", "gray"), F.struct("gray", -F.col("row"))).alias("b"),
+        F.avg("gray").alias("mean"),
+        F.min("gray").alias("low")
+    )
     lead = F.coalesce(F.try_divide(F.col("b.gray") - F.col("mean"), F.col("b.gray") - F.col("low")), F.lit(0.0))
     rows = best.withColumn("lead", lead)
     share = rows.groupBy("tile").agg(F.avg("lead").alias("confidence"))
-    return rows.join(share, "tile").select("tile", F.lit(0).cast("bigint").alias("cand"), F.col("col").cast("bigint").alias("ord"), F.col("col").cast("double").alias("x"), F.col("b.row").cast("double").alias("y"), "confidence")
+    return rows.join(share, "tile").select(
+        "tile",
+        F.lit(0).cast("bigint").alias("cand"),
+        F.col("col").cast("bigint").alias("ord"),
+        F.col("col").cast("double").alias("x"),
+        F.col("b.row").cast("double").alias("y"),
+        "confidence"
+    )
 
 
 @udtf(returnType="tile string, ord bigint, x double, y double")

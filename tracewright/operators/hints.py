@@ -35,7 +35,9 @@ def hint_panels(hints: DataFrame, pages: DataFrame) -> DataFrame:
     are numbered by their place among all of the run's hints, drawn or not. Without a plot area the panel's box is it.
     """
     place = F.transform(F.col("panels"), lambda p, i: F.struct(F.coalesce(p["index"], F.lit(0)).alias("at"), i.alias("i"), p.alias("p")))
-    rows = hints.join(pages.select("run_id", "width", "height"), "run_id").select("run_id", "width", "height", F.posexplode(F.array_sort(place)).alias("n", "h"))
+    rows = hints.join(pages.select("run_id", "width", "height"), "run_id").select(
+        "run_id", "width", "height", F.posexplode(F.array_sort(place)).alias("n", "h")
+    )
     p = F.col("h.p")
     box, plot = (_within(p[c], F.col("width"), F.col("height")) for c in ("bbox_px", "plot_area_px"))
     number = F.coalesce(F.nullif(p["index"], F.lit(0)), F.col("n") + 1).cast("string")
@@ -43,7 +45,9 @@ def hint_panels(hints: DataFrame, pages: DataFrame) -> DataFrame:
     name = F.concat(F.lit("p"), F.when(F.length(number) < 2, F.lpad(number, 2, "0")).otherwise(number))
     drawn = rows.withColumn("box", box).where(F.col("box").isNotNull())
     return drawn.select(
-        "run_id", name.alias("panel"), text("label").alias("label"), "box", F.coalesce(plot, F.col("box")).alias("plot"), text("x_start").alias("x_start"), text("x_end").alias("x_end"),
+        "run_id", name.alias("panel"), text("label").alias("label"), "box", F.coalesce(
+            plot, F.col("box")
+        ).alias("plot"), text("x_start").alias("x_start"), text("x_end").alias("x_end"),
         F.lit(1.0).alias("confidence"), F.array(F.lit(BOX_FLAG)).alias("flags"),
     )
 
@@ -63,7 +67,14 @@ def from_annotations(pages: DataFrame, boxes: DataFrame, wanted: DataFrame) -> D
     """
     edges = boxes.join(pages.select("scan_id", "height", "low_value", "high_value"), "scan_id")
     half = F.col("h") / 2
-    edges = edges.select("scan_id", "month", ((F.col("cy") - half) * F.col("height")).alias("y0"), ((F.col("cy") + half) * F.col("height")).alias("y1"), "low_value", "high_value")
+    edges = edges.select(
+        "scan_id",
+        "month",
+        ((F.col("cy") - half) * F.col("height")).alias("y0"),
+        ((F.col("cy") + half) * F.col("height")).alias("y1"),
+        "low_value",
+        "high_value"
+    )
     january = edges.where("month = 1").select("scan_id", F.col("y1").alias("c_low"), F.col("y0").alias("c_high"), "low_value", "high_value")
     months = edges.groupBy("scan_id").agg(F.array_sort(F.collect_set("month")).alias("months"))
     own = wanted.join(january, "scan_id").join(months, "scan_id")
@@ -75,13 +86,19 @@ def from_annotations(pages: DataFrame, boxes: DataFrame, wanted: DataFrame) -> D
     tile = F.array(hint(index=F.lit(1), month=F.col("month"), x_start=first.cast("string"), x_end=F.last_day(first).cast("string")))
     sheet = F.transform("months", lambda m: hint(index=m, month=m, x_start=F.lit(None).cast("string"), x_end=F.lit(None).cast("string")))
     panels = F.when(one, tile).otherwise(sheet)
-    anchor = lambda row, value: F.struct(F.when(one, F.col(f"tile_{row}")).otherwise(F.col(f"c_{row}")).alias("pixel"), F.col(value).alias("value"))
+    anchor = lambda row, value: F.struct(
+        F.when(one, F.col(f"tile_{row}")).otherwise(F.col(f"c_{row}")).alias("pixel"), F.col(value).alias("value")
+    )
     note = F.concat(F.lit("from the month annotations of "), "scan_id")
     made = let(
         panels,
         lambda ps: hint(
-            station=F.substring("scan_id", 1, 2), year=F.col("year"), unit=units.by_date(first), y_scale=F.lit("linear"), rotation_deg=F.lit(0), expected_panels=F.size(ps),
-            panel_layout=F.when(F.size(ps) > 1, "row").otherwise("single"), y_anchors=F.array(anchor("low", "low_value"), anchor("high", "high_value")), panels=ps, notes=note,
+            station=F.substring(
+                "scan_id", 1, 2
+            ), year=F.col("year"), unit=units.by_date(first), y_scale=F.lit("linear"), rotation_deg=F.lit(0), expected_panels=F.size(ps),
+            panel_layout=F.when(F.size(ps) > 1, "row").otherwise("single"), y_anchors=F.array(
+                anchor("low", "low_value"), anchor("high", "high_value")
+            ), panels=ps, notes=note,
         ),
     )
     return placed.select("scan_id", "year", "month", F.from_json(F.to_json(made), schemas.HINTS).alias("hints"))

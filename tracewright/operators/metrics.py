@@ -12,7 +12,9 @@ def _finite(c: str) -> Column:
 
 def align(pred: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:
     """Pairs of p and t on equal keys; rows with a missing key or value on either side go."""
-    known = lambda df, v: df.where(F.expr(" AND ".join(f"{c} IS NOT NULL" for c in on))).withColumn(v, _finite(v)).where(F.col(v).isNotNull())
+    known = lambda df, v: df.where(
+        F.expr(" AND ".join(f"{c} IS NOT NULL" for c in on))
+    ).withColumn(v, _finite(v)).where(F.col(v).isNotNull())
     return known(pred, "p").join(known(truth, "t"), on)
 
 
@@ -31,13 +33,17 @@ def aligned_metrics(pairs: DataFrame, by: list[str], order: list[str], alpha: fl
     d = F.col("p") - F.col("t")
     first = lambda v: F.min_by("_i", F.struct((-F.col(v)).alias("v"), "_i"))
     out = at.groupBy(*by).agg(
-        F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.max(F.abs(d)).alias("maxae"), pearson().alias("pearson_r"),
+        F.count("*").alias("n"), F.sqrt(
+            F.avg(d * d)
+        ).alias("rmse"), F.avg(F.abs(d)).alias("mae"), F.max(F.abs(d)).alias("maxae"), pearson().alias("pearson_r"),
         F.max("t").alias("max_t"), F.max("p").alias("max_p"), F.abs(first("t") - first("p")).alias("peak_offset"),
     )
     s_val = F.coalesce(1.0 - F.try_divide(F.abs(F.col("max_t") - F.col("max_p")), F.nullif("max_t", F.lit(0.0))), F.lit(0.0))
     s_time = F.greatest(F.lit(0.0), 1.0 - F.col("peak_offset") / F.col("n"))
     out = out.withColumn("s_peak_val", s_val).withColumn("s_peak_time", s_time)
-    return out.withColumn("peak_score", alpha * F.col("pearson_r") + beta * F.col("s_peak_val") + (1.0 - alpha - beta) * F.col("s_peak_time")).drop("max_t", "max_p")
+    return out.withColumn(
+        "peak_score", alpha * F.col("pearson_r") + beta * F.col("s_peak_val") + (1.0 - alpha - beta) * F.col("s_peak_time")
+    ).drop("max_t", "max_p")
 
 
 def scale_ratio(pairs: DataFrame, by: list[str], least: float = 1e-6) -> DataFrame:
@@ -57,10 +63,24 @@ def summarize(rows: DataFrame, by: list[str]) -> DataFrame:
     rows: by, detected, iou, left_err, right_err. pooled: median of both edges' absolute errors together; worse: the larger
     of the two edges' medians.
     """
-    edges = rows.select(*by, "detected", "iou", "left_err", "right_err", F.explode(F.array(F.struct(F.lit("l").alias("side"), F.abs("left_err").alias("e")), F.struct(F.lit("r").alias("side"), F.abs("right_err").alias("e")))).alias("x"))
+    edges = rows.select(
+        *by,
+        "detected",
+        "iou",
+        "left_err",
+        "right_err",
+        F.explode(
+            F.array(
+                F.struct(F.lit("l").alias("side"), F.abs("left_err").alias("e")),
+                F.struct(F.lit("r").alias("side"), F.abs("right_err").alias("e"))
+            )
+        ).alias("x")
+    )
     one = F.col("x.side") == "l"
     return edges.groupBy(*by).agg(
-        F.count_if(one).alias("n"), F.count_if(one & F.col("detected")).alias("n_detected"), F.avg(F.when(one, F.col("iou"))).alias("mean_iou"), F.median("x.e").alias("pooled_median"),
+        F.count_if(one).alias("n"), F.count_if(one & F.col("detected")).alias("n_detected"), F.avg(
+            F.when(one, F.col("iou"))
+        ).alias("mean_iou"), F.median("x.e").alias("pooled_median"),
         F.greatest(F.median(F.when(one, F.col("x.e"))), F.median(F.when(~one, F.col("x.e")))).alias("worse_median"),
     )
 

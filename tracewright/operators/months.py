@@ -23,7 +23,9 @@ def assign(panels: DataFrame, page: list[str], quorum: float = 0.66) -> DataFram
     by_place = (n > 1) & ((known < least) | ~F.bool_and("rising").over(w))
     out = out.withColumn("positional", by_place)
     mismatch = F.col("hint_month").isNotNull() & F.col("label_month").isNotNull() & (F.col("hint_month") != F.col("label_month"))
-    return out.withColumn("month", F.when(F.col("positional"), F.col("place")).otherwise(F.col("own")).cast("int")).withColumn("mismatch", mismatch).drop("own", "rising")
+    return out.withColumn(
+        "month", F.when(F.col("positional"), F.col("place")).otherwise(F.col("own")).cast("int")
+    ).withColumn("mismatch", mismatch).drop("own", "rising")
 
 
 def width_outliers(panels: DataFrame, page: list[str], tolerance: float = Gates.month_days) -> DataFrame:
@@ -39,7 +41,9 @@ def layout(tiles: DataFrame, page: list[str]) -> DataFrame:
     """tiles (page, month, w, h) pasted side by side, bottom aligned: their x, y and the page's size."""
     w = Window.partitionBy(*page)
     x = F.coalesce(F.sum("w").over(w.orderBy("month").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return tiles.withColumn("x", x).withColumn("page_h", F.max("h").over(w)).withColumn("y", F.col("page_h") - F.col("h")).withColumn("page_w", F.sum("w").over(w))
+    return tiles.withColumn("x", x).withColumn("page_h", F.max("h").over(w)).withColumn(
+        "y", F.col("page_h") - F.col("h")
+    ).withColumn("page_w", F.sum("w").over(w))
 
 
 def month_of(points: DataFrame, extents: DataFrame, page: list[str], px: str = "px") -> DataFrame:
@@ -81,7 +85,9 @@ def to_pseudo_page(points: DataFrame, boxes: DataFrame, page: list[str]) -> Data
     """
     hit = month_of(points, boxes.select(*page, "month", "x0", "x1"), page, "x").drop("x0", "x1").join(boxes, [*page, "month"])
     centred = lambda tile, size, a, b: F.col(tile) + (F.col(size) - (F.col(b) - F.col(a))) / 2.0
-    out = hit.withColumn("new_x", centred("tile_x", "tile_w", "x0", "x1") + F.col("x") - F.col("x0")).withColumn("new_y", centred("tile_y", "tile_h", "y0", "y1") + F.col("y") - F.col("y0"))
+    out = hit.withColumn(
+        "new_x", centred("tile_x", "tile_w", "x0", "x1") + F.col("x") - F.col("x0")
+    ).withColumn("new_y", centred("tile_y", "tile_h", "y0", "y1") + F.col("y") - F.col("y0"))
     return out.select(*points.columns, "month", "new_x", "new_y")
 
 
@@ -110,4 +116,6 @@ def cut_at_seams(boxes: DataFrame, page: list[str], strength: DataFrame, of_box:
     edges = F.concat(F.array("x"), F.coalesce("cuts", none), F.array(F.col("x") + F.col("w")))
     whole = boxes.join(cuts, keys, "left").withColumn("edges", edges)
     parts = whole.select(*keys, F.posexplode(F.slice("edges", F.lit(1), F.size("edges") - 1)).alias("part", "left"), "edges")
-    return parts.select(*keys, (F.col("part") + 1).alias("part"), F.col("left").alias("x"), (F.get("edges", F.col("part") + 1) - F.col("left")).alias("w"))
+    return parts.select(
+        *keys, (F.col("part") + 1).alias("part"), F.col("left").alias("x"), (F.get("edges", F.col("part") + 1) - F.col("left")).alias("w")
+    )

@@ -47,7 +47,9 @@ def refine_ridges(raster: DataFrame, seeds: DataFrame, by: list[str], window: in
     n = F.count("*").over(Window.partitionBy(*key))
     profile = profile.withColumn("i", F.row_number().over(o)).withColumn("n", n)
     # Mirrored borders: row 1 - k stands for row 1 + k.
-    arrays = profile.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda p: p["v"]).alias("v"), F.min("row").alias("top"))
+    arrays = profile.groupBy(*key).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("row", "v"))), lambda p: p["v"]).alias("v"), F.min("row").alias("top")
+    )
 
     def smooth(v: Column, i: Column) -> Column:
         m = F.size(v) - 1
@@ -81,7 +83,9 @@ def rotate(raster: DataFrame, by: list[str], degrees: Column) -> DataFrame:
     q, r, c = F.pmod(F.rint(degrees / 90), F.lit(4)).cast("int"), F.col("row"), F.col("col")
     row = F.when(q == 1, F.col("last_col") - c).when(q == 2, F.col("last_row") - r).when(q == 3, c).otherwise(r)
     col = F.when(q == 1, r).when(q == 2, F.col("last_col") - c).when(q == 3, F.col("last_row") - r).otherwise(c)
-    return raster.join(size, by).select(*by, row.alias("row"), col.alias("col"), *(x for x in raster.columns if x not in (*by, "row", "col")))
+    return raster.join(size, by).select(
+        *by, row.alias("row"), col.alias("col"), *(x for x in raster.columns if x not in (*by, "row", "col"))
+    )
 
 
 def _cubic(t: Column) -> Column:
@@ -99,7 +103,9 @@ def stretch(raster: DataFrame, by: list[str], factor: Column | float, whole: boo
     array; its columns count from 0 in their order. One shuffle, as many rows as there are pixels.
     """
     factor = factor if isinstance(factor, Column) else F.lit(factor)
-    sized = raster.groupBy(*by, "row").agg(F.array_sort(F.collect_list(F.struct("col", F.col("gray").cast("double").alias("gray")))).alias("p"), F.max(factor).alias("factor"))
+    sized = raster.groupBy(*by, "row").agg(
+        F.array_sort(F.collect_list(F.struct("col", F.col("gray").cast("double").alias("gray")))).alias("p"), F.max(factor).alias("factor")
+    )
     width = F.size("p")
     new = F.greatest(F.lit(1), F.bround(width * F.col("factor")).cast("int"))
     rows = sized.select(*by, "row", F.transform("p", lambda q: q["gray"]).alias("v"), width.alias("old"), new.alias("new"))
@@ -110,8 +116,14 @@ def stretch(raster: DataFrame, by: list[str], factor: Column | float, whole: boo
         middle = (j + 0.5) * scale
         first = F.greatest(F.lit(0), (middle - 2 * wide + 0.5).cast("int"))
         last = F.least(F.col("old"), (middle + 2 * wide + 0.5).cast("int")) - 1
-        taps = F.transform(F.sequence(first, last), lambda i: F.struct(_cubic((i - middle + 0.5) / wide).alias("w"), F.get("v", i).alias("v")))
-        total = F.aggregate(taps, F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("w")), lambda s, t: F.struct((s["a"] + t["w"] * t["v"]).alias("a"), (s["w"] + t["w"]).alias("w")))
+        taps = F.transform(
+            F.sequence(first, last), lambda i: F.struct(_cubic((i - middle + 0.5) / wide).alias("w"), F.get("v", i).alias("v"))
+        )
+        total = F.aggregate(
+            taps,
+            F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("w")),
+            lambda s, t: F.struct((s["a"] + t["w"] * t["v"]).alias("a"), (s["w"] + t["w"]).alias("w"))
+        )
         return F.element_at(F.transform(F.array(total), lambda s: s["a"] / s["w"]), 1)
 
     out = rows.select(*by, "row", F.posexplode(F.transform(F.sequence(F.lit(0), F.col("new") - 1), at)).alias("col", "gray"))

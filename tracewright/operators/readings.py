@@ -22,11 +22,16 @@ _STATE = f"struct<ok:boolean,used:string,unit:string,scale:string,confidence:dou
 
 def legible(ticks: Column) -> Column:
     """Of ticks (side, pixel, value, legible; null: legible) the legible ones with both numbers; of those alike in whole pixel and value the first."""
-    whole = F.filter(F.coalesce(ticks, F.array().cast("array<struct<side:string,pixel:double,value:double,legible:boolean>>")), lambda t: F.coalesce(t["legible"], F.lit(True)) & t["pixel"].isNotNull() & t["value"].isNotNull())
+    whole = F.filter(
+        F.coalesce(ticks, F.array().cast("array<struct<side:string,pixel:double,value:double,legible:boolean>>")),
+        lambda t: F.coalesce(t["legible"], F.lit(True)) & t["pixel"].isNotNull() & t["value"].isNotNull()
+    )
 
     def once(kept: Column, t: Column) -> Column:
         known = F.exists(kept, lambda k: (F.bround(k["pixel"]) == F.bround(t["pixel"])) & (k["value"] == t["value"]))
-        return F.when(known, kept).otherwise(F.array_append(kept, F.struct(t["side"].alias("side"), t["pixel"].alias("pixel"), t["value"].alias("value")).cast(TICK)))
+        return F.when(known, kept).otherwise(
+            F.array_append(kept, F.struct(t["side"].alias("side"), t["pixel"].alias("pixel"), t["value"].alias("value")).cast(TICK))
+        )
 
     return F.aggregate(whole, F.array().cast(f"array<{TICK}>"), once)
 
@@ -40,7 +45,18 @@ def _taken(state: Column, a: Column, about: Column) -> Column:
 
     def made(ok, unit, scale, confidence, x, ticks, flags) -> Column:
         kind, start, end = x
-        parts = {"ok": ok, "used": a["kind"], "unit": unit, "scale": scale, "confidence": confidence, "x_kind": kind, "x_start": start, "x_end": end, "ticks": ticks, "flags": flags}
+        parts = {
+            "ok": ok,
+            "used": a["kind"],
+            "unit": unit,
+            "scale": scale,
+            "confidence": confidence,
+            "x_kind": kind,
+            "x_start": start,
+            "x_end": end,
+            "ticks": ticks,
+            "flags": flags
+        }
         return F.struct(*(v.alias(k) for k, v in parts.items())).cast(_STATE)
 
     unread = (F.lit("unknown"), blank, blank)
@@ -48,9 +64,21 @@ def _taken(state: Column, a: Column, about: Column) -> Column:
     none, flagged = F.array().cast(f"array<{TICK}>"), lambda flag: F.array_append(state["flags"], F.lit(flag))
     unit = F.coalesce(F.nullif(state["unit"], blank), a["unit"])
 
-    axis = F.when(a["failed"], made(F.lit(False), blank, F.lit("linear"), F.lit(0.0), unread, none, state["flags"])).otherwise(made(F.lit(True), a["unit"], a["scale"], a["confidence"], x_of(a), a["ticks"], state["flags"]))
-    curve = made(~a["failed"], F.when(a["failed"], blank).otherwise(a["unit"]), about["scale_guess"], F.when(a["failed"], F.lit(0.0)).otherwise(a["confidence"]), unread, F.when(a["failed"], none).otherwise(a["ticks"]), flagged(CURVE_LABELS))
-    instead = made(F.lit(True), unit, state["scale"], F.greatest(state["confidence"], a["confidence"]), x_of(state), a["ticks"], flagged(CURVE_LABELS))
+    axis = F.when(
+        a["failed"], made(F.lit(False), blank, F.lit("linear"), F.lit(0.0), unread, none, state["flags"])
+    ).otherwise(made(F.lit(True), a["unit"], a["scale"], a["confidence"], x_of(a), a["ticks"], state["flags"]))
+    curve = made(
+        ~a["failed"],
+        F.when(a["failed"], blank).otherwise(a["unit"]),
+        about["scale_guess"],
+        F.when(a["failed"], F.lit(0.0)).otherwise(a["confidence"]),
+        unread,
+        F.when(a["failed"], none).otherwise(a["ticks"]),
+        flagged(CURVE_LABELS)
+    )
+    instead = made(
+        F.lit(True), unit, state["scale"], F.greatest(state["confidence"], a["confidence"]), x_of(state), a["ticks"], flagged(CURVE_LABELS)
+    )
     margin = made(F.lit(True), unit, state["scale"], state["confidence"], x_of(state), a["ticks"], flagged(MARGIN_RETRY))
 
     first, again = a["kind"] == "axis", (a["kind"] == "axis_retry") & about["axis_labels"] & state["ok"] & nothing
@@ -73,26 +101,59 @@ def cascade(panels: DataFrame, attempts: DataFrame) -> DataFrame:
     leaves no ticks and `reading_failed`. Panels without an attempt have no ticks.
     """
     edges = checks.edge_tags(panels, ["page"])
-    about = F.struct(F.coalesce("axis_labels", F.lit(False)).alias("axis_labels"), F.coalesce("curve_labels", F.lit(False)).alias("curve_labels"), F.coalesce("scale_guess", F.lit("unknown")).alias("scale_guess"), "edge")
+    about = F.struct(
+        F.coalesce("axis_labels", F.lit(False)).alias("axis_labels"),
+        F.coalesce("curve_labels", F.lit(False)).alias("curve_labels"),
+        F.coalesce("scale_guess", F.lit("unknown")).alias("scale_guess"),
+        "edge"
+    )
     known = edges.select("page", "panel", about.alias("about"))
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     text = lambda c, default="": F.coalesce(F.col(c), F.lit(default)).alias(c)
     one = F.struct(
-        place.alias("place"), "kind", F.coalesce("failed", F.lit(False)).alias("failed"), text("unit"), text("scale", "linear"), F.coalesce(F.col("confidence").cast("double"), F.lit(0.0)).alias("confidence"),
+        place.alias("place"), "kind", F.coalesce("failed", F.lit(False)).alias("failed"), text("unit"), text("scale", "linear"), F.coalesce(
+            F.col("confidence").cast("double"), F.lit(0.0)
+        ).alias("confidence"),
         text("x_kind", "unknown"), text("x_start"), text("x_end"), legible(F.col("ticks")).alias("ticks"),
     )
     first = Window.partitionBy("page", "panel", "kind").orderBy("ord")
     own = attempts.where(F.col("kind").isin(*KINDS)).withColumn("_n", F.row_number().over(first)).where("_n = 1")
     own = own.groupBy("page", "panel").agg(F.array_sort(F.collect_list(one)).alias("attempts"))  # at most one of each kind
-    start = F.struct(F.lit(True).alias("ok"), F.lit("").alias("used"), F.lit("").alias("unit"), F.lit("linear").alias("scale"), F.lit(0.0).alias("confidence"), F.lit("unknown").alias("x_kind"), F.lit("").alias("x_start"), F.lit("").alias("x_end"), F.array().alias("ticks"), F.array().alias("flags")).cast(_STATE)
+    start = F.struct(
+        F.lit(True).alias("ok"),
+        F.lit("").alias("used"),
+        F.lit("").alias("unit"),
+        F.lit("linear").alias("scale"),
+        F.lit(0.0).alias("confidence"),
+        F.lit("unknown").alias("x_kind"),
+        F.lit("").alias("x_start"),
+        F.lit("").alias("x_end"),
+        F.array().alias("ticks"),
+        F.array().alias("flags")
+    ).cast(_STATE)
     joined = known.join(own, ["page", "panel"], "left")
     folded = let(F.col("about"), lambda about: F.aggregate(F.col("attempts"), start, lambda state, a: _taken(state, a, about)))
     out = joined.select("page", "panel", F.coalesce(folded, start).alias("s"))
     flags = F.when(F.col("s.ok"), F.col("s.flags")).otherwise(F.array_append("s.flags", F.lit(FAILED)))
     ticks = F.when(F.col("s.ok"), F.col("s.ticks")).otherwise(F.array().cast(f"array<{TICK}>"))
-    return out.select("page", "panel", F.nullif("s.used", F.lit("")).alias("used"), (~F.col("s.ok")).alias("failed"), "s.unit", "s.scale", "s.confidence", "s.x_kind", "s.x_start", "s.x_end", flags.alias("flags"), ticks.alias("ticks"))
+    return out.select(
+        "page",
+        "panel",
+        F.nullif("s.used", F.lit("")).alias("used"),
+        (~F.col("s.ok")).alias("failed"),
+        "s.unit",
+        "s.scale",
+        "s.confidence",
+        "s.x_kind",
+        "s.x_start",
+        "s.x_end",
+        flags.alias("flags"),
+        ticks.alias("ticks")
+    )
 
 
 def ticks_of(readings: DataFrame) -> DataFrame:
     """page, panel, ord, side, pixel, value: the ticks that axes.calibrate takes."""
-    return readings.select("page", "panel", F.posexplode("ticks").alias("ord", "t")).select("page", "panel", "ord", "t.side", "t.pixel", "t.value")
+    return readings.select(
+        "page", "panel", F.posexplode("ticks").alias("ord", "t")
+    ).select("page", "panel", "ord", "t.side", "t.pixel", "t.value")

@@ -31,7 +31,9 @@ def s_alpha(confidence: Column, cover: Column, alpha: float = 0.69) -> Column:
 def scored(sampled: DataFrame, by: list[str], n: Column, alpha: float, viable: float) -> DataFrame:
     """by, coverage, confidence, s_alpha and viable of sampled curves (last_per_slice with their confidence)."""
     out = sampled.groupBy(*by).agg((F.count("*") / n).alias("coverage"), F.max("confidence").alias("confidence"))
-    return out.withColumn("s_alpha", s_alpha(F.col("confidence"), F.col("coverage"), alpha)).withColumn("viable", F.col("coverage") >= viable)
+    return out.withColumn(
+        "s_alpha", s_alpha(F.col("confidence"), F.col("coverage"), alpha)
+    ).withColumn("viable", F.col("coverage") >= viable)
 
 
 def densify(series: DataFrame, by: list[str], n: int, start: Column | None = None) -> DataFrame:
@@ -49,8 +51,20 @@ def interpolate(queries: DataFrame, knots: DataFrame, by: list[str]) -> DataFram
     """
     rest = [c for c in queries.columns if c not in by and c != "x"]
     lone = knots.groupBy(*by, "x").agg(F.max("y").alias("y"))
-    one = lone.select(*by, F.col("x").cast("double").alias("x"), F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("knot"), F.lit(None).cast(queries.select(F.struct(*rest)).schema[0].dataType).alias("q"), F.lit(0).alias("kind"))
-    two = queries.select(*by, F.col("x").cast("double").alias("x"), F.lit(None).cast("struct<x:double,y:double>").alias("knot"), F.struct(*rest).alias("q"), F.lit(1).alias("kind"))
+    one = lone.select(
+        *by,
+        F.col("x").cast("double").alias("x"),
+        F.struct(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).alias("knot"),
+        F.lit(None).cast(queries.select(F.struct(*rest)).schema[0].dataType).alias("q"),
+        F.lit(0).alias("kind")
+    )
+    two = queries.select(
+        *by,
+        F.col("x").cast("double").alias("x"),
+        F.lit(None).cast("struct<x:double,y:double>").alias("knot"),
+        F.struct(*rest).alias("q"),
+        F.lit(1).alias("kind")
+    )
     w = Window.partitionBy(*by).orderBy("x", "kind")
     before = F.last("knot", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     # The next knot is the last one when the order is turned round: a frame that only grows is computed in one pass.
@@ -58,7 +72,9 @@ def interpolate(queries: DataFrame, knots: DataFrame, by: list[str]) -> DataFram
     after = F.last("knot", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0))
     laid = one.unionByName(two).withColumn("a", before).withColumn("b", after).where("kind = 1")
     share = F.try_divide(F.col("x") - F.col("a.x"), F.col("b.x") - F.col("a.x"))
-    base = F.when(F.col("a").isNull(), F.col("b.y")).when(F.col("b").isNull() | (F.col("b.x") == F.col("a.x")) | (F.col("x") == F.col("a.x")), F.col("a.y")).otherwise(F.col("a.y") + (F.col("b.y") - F.col("a.y")) * share)
+    base = F.when(F.col("a").isNull(), F.col("b.y")).when(
+        F.col("b").isNull() | (F.col("b.x") == F.col("a.x")) | (F.col("x") == F.col("a.x")), F.col("a.y")
+    ).otherwise(F.col("a.y") + (F.col("b.y") - F.col("a.y")) * share)
     return laid.select(*by, "x", "q.*", base.alias("base"))
 
 

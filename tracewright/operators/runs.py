@@ -18,7 +18,9 @@ EVENTS = "run_id string, stage string, status string, error string"
 Stage = Callable[[DataFrame], DataFrame | None]
 
 
-def stages_due(runs: DataFrame, status: DataFrame, stages: list[str], skipped: Iterable[str] = (), force: Column | bool = False, behind: bool = True) -> DataFrame:
+def stages_due(
+    runs: DataFrame, status: DataFrame, stages: list[str], skipped: Iterable[str] = (), force: Column | bool = False, behind: bool = True
+) -> DataFrame:
     """run_id, place, stage, status, action ('run' or 'skip') and why, for each run and each stage of the chain.
 
     runs: run_id (once). status: run_id, stage, status: the latest of each (sinks.latest_status); what it has besides does
@@ -28,20 +30,46 @@ def stages_due(runs: DataFrame, status: DataFrame, stages: list[str], skipped: I
     """
     left_out = set(skipped)
     chain = [s for s in stages if s not in left_out]
-    wanted = runs.select("run_id", (force if isinstance(force, Column) else F.lit(force)).alias("forced"), F.posexplode(F.array(*map(F.lit, chain))).alias("place", "stage"))
+    wanted = runs.select(
+        "run_id",
+        (force if isinstance(force, Column) else F.lit(force)).alias("forced"),
+        F.posexplode(F.array(*map(F.lit, chain))).alias("place", "stage")
+    )
     known = wanted.join(status.select("run_id", "stage", "status"), ["run_id", "stage"], "left")
     open_ = ~F.coalesce(F.col("status") == DONE, F.lit(False))
     before = Window.partitionBy("run_id").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     stale = F.coalesce(F.max(open_ | F.col("forced")).over(before), F.lit(False)) & F.lit(behind)
-    why = F.when(F.col("forced"), "forced").when(open_, F.coalesce(F.concat(F.lit("was "), "status"), F.lit("never ran"))).when(stale, "a stage before it runs").otherwise("done")
-    return known.select("run_id", "place", "stage", "status", F.when(F.col("forced") | open_ | stale, "run").otherwise("skip").alias("action"), why.alias("why"))
+    why = F.when(F.col("forced"), "forced").when(
+        open_, F.coalesce(F.concat(F.lit("was "), "status"), F.lit("never ran"))
+    ).when(stale, "a stage before it runs").otherwise("done")
+    return known.select(
+        "run_id",
+        "place",
+        "stage",
+        "status",
+        F.when(F.col("forced") | open_ | stale, "run").otherwise("skip").alias("action"),
+        why.alias("why")
+    )
 
 
 def _told(runs: DataFrame, stage: str, status: str, error: Column | None = None) -> DataFrame:
-    return runs.select("run_id", F.lit(stage).alias("stage"), F.lit(status).alias("status"), (error if error is not None else F.lit(None).cast("string")).alias("error"))
+    return runs.select(
+        "run_id",
+        F.lit(stage).alias("stage"),
+        F.lit(status).alias("status"),
+        (error if error is not None else F.lit(None).cast("string")).alias("error")
+    )
 
 
-def run_chain(spark: SparkSession, runs: DataFrame, stages: dict[str, Stage], log: str, skipped: Iterable[str] = (), force: bool = False, behind: bool = True) -> DataFrame:
+def run_chain(
+    spark: SparkSession,
+    runs: DataFrame,
+    stages: dict[str, Stage],
+    log: str,
+    skipped: Iterable[str] = (),
+    force: bool = False,
+    behind: bool = True
+) -> DataFrame:
     """Runs what is due, stage by stage, each stage once for all its runs; returns the plan it followed (stages_due).
 
     Events are appended to `log`, the plan is written beside it. A stage gives back the runs that failed: these leave the
@@ -56,7 +84,9 @@ def run_chain(spark: SparkSession, runs: DataFrame, stages: dict[str, Stage], lo
     for name, stage in stages.items():
         due = plan.where((F.col("stage") == name) & (F.col("action") == "run")).select("run_id")
         if tried:
-            due = due.join(logged().where(F.col("stage").isin(tried) & (F.col("status") == ERROR)).select("run_id").distinct(), "run_id", "left_anti")
+            due = due.join(
+                logged().where(F.col("stage").isin(tried) & (F.col("status") == ERROR)).select("run_id").distinct(), "run_id", "left_anti"
+            )
         if due.isEmpty():
             continue
         tried.append(name)

@@ -14,7 +14,9 @@ from tracewright.operators.fit import value_at
 def physical(series: DataFrame, raw_unit: Column, dated: bool = True) -> DataFrame:
     """value_native, native_unit and value_mm of densified series (y_corrected, slope, intercept, scale, x_key); gaps stay null."""
     value = value_at(F.col("slope"), F.col("intercept"), F.col("y_corrected"), F.col("scale"))
-    out = series.withColumn("value_native", F.when(~F.col("flagged"), value)).withColumn("native_unit", F.when(~F.col("flagged"), units.in_force(raw_unit, F.col("x_key"), dated)))
+    out = series.withColumn("value_native", F.when(~F.col("flagged"), value)).withColumn(
+        "native_unit", F.when(~F.col("flagged"), units.in_force(raw_unit, F.col("x_key"), dated))
+    )
     return out.withColumn("value_mm", units.to_mm(F.col("value_native"), F.col("native_unit")))
 
 
@@ -24,7 +26,9 @@ def stitch(rows: DataFrame, by: list[str]) -> DataFrame:
     rows: by, panel_ord, x_key (ISO date), value. Adds overlaps (rows that gave way).
     """
     many = F.size(F.collect_set("panel_ord").over(Window.partitionBy(*by))) >= 2
-    kept = rows.withColumn("_many", many).where("_many").groupBy(*by, "x_key").agg(F.max_by(F.struct("value", "panel_ord"), "panel_ord").alias("r"), (F.count("*") - 1).alias("overlaps"))
+    kept = rows.withColumn("_many", many).where("_many").groupBy(*by, "x_key").agg(
+        F.max_by(F.struct("value", "panel_ord"), "panel_ord").alias("r"), (F.count("*") - 1).alias("overlaps")
+    )
     return kept.select(*by, "x_key", "r.value", "r.panel_ord", "overlaps")
 
 
@@ -32,7 +36,9 @@ def continuity(stitched: DataFrame, by: list[str]) -> DataFrame:
     """Days, missing days between first and last, gaps (no value) and overlaps of each stitched series."""
     day = F.to_date("x_key")
     return stitched.groupBy(*by).agg(
-        F.min("x_key").alias("first_key"), F.max("x_key").alias("last_key"), F.count("*").alias("n"), (F.date_diff(F.max(day), F.min(day)) + 1 - F.count("*")).alias("missing"), F.count_if(F.col("value").isNull()).alias("gaps"), F.sum("overlaps").alias("overlaps")
+        F.min("x_key").alias("first_key"), F.max("x_key").alias("last_key"), F.count("*").alias("n"), (
+            F.date_diff(F.max(day), F.min(day)) + 1 - F.count("*")
+        ).alias("missing"), F.count_if(F.col("value").isNull()).alias("gaps"), F.sum("overlaps").alias("overlaps")
     )
 
 
@@ -56,7 +62,9 @@ def panel_hints(panels: DataFrame, hints: DataFrame, page: list[str]) -> DataFra
     by_month = F.col("month").isNotNull() & (F.col("h_month") == F.col("month"))
     way = F.when(by_month, 1).when(F.col("h_index") == F.col("place"), 2)
     own = panels.columns
-    return keyed.groupBy(*own).agg(F.min(F.when(way.isNotNull(), F.struct(way.alias("way"), "h_ord", "hint"))).alias("h")).select(*own, F.col("h.hint").alias("hint"), F.col("h.way").alias("way"))
+    return keyed.groupBy(*own).agg(
+        F.min(F.when(way.isNotNull(), F.struct(way.alias("way"), "h_ord", "hint"))).alias("h")
+    ).select(*own, F.col("h.hint").alias("hint"), F.col("h.way").alias("way"))
 
 
 def flag_rows(*parts: DataFrame) -> DataFrame:

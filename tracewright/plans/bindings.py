@@ -23,7 +23,14 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: tile (15 users), cand, ord, x (days since 2024-01-01), y, confidence: a candidate polyline for each user."""
     e = table(spark, sf_dir, "events")
     x = (F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(86400000000.0)
-    return e.select((F.col("user_id") % 10 + F.floor(F.col("user_id") / 150) * 10).alias("tile"), F.col("user_id").alias("cand"), F.col("event_id").alias("ord"), x.alias("x"), F.col("value").alias("y"), ((F.col("user_id") * 37 % 100) / 100.0).alias("confidence"))
+    return e.select(
+        (F.col("user_id") % 10 + F.floor(F.col("user_id") / 150) * 10).alias("tile"),
+        F.col("user_id").alias("cand"),
+        F.col("event_id").alias("ord"),
+        x.alias("x"),
+        F.col("value").alias("y"),
+        ((F.col("user_id") * 37 % 100) / 100.0).alias("confidence")
+    )
 
 
 POINTS = """pt AS (SELECT user_id % 10 + user_id // 150 * 10 AS tile, user_id AS cand, event_id AS ord, (epoch_us(ts) - 1704067200000000) / 86400000000.0::DOUBLE AS x, value AS y, (user_id * 37 % 100) / 100.0::DOUBLE AS confidence FROM events)"""
@@ -36,7 +43,9 @@ def _label_tile() -> Column:
 def curves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B2: tile (label, 50 vectors), cand (vector), ord = x, y: 64 points each."""
     e = table(spark, sf_dir, "embeddings")
-    return e.select(_label_tile().alias("tile"), F.col("vec_id").alias("cand"), F.posexplode("embedding").alias("ord", "v")).select("tile", "cand", "ord", F.col("ord").cast("double").alias("x"), (F.col("v").cast("double") * 1000).alias("y"))
+    return e.select(_label_tile().alias("tile"), F.col("vec_id").alias("cand"), F.posexplode("embedding").alias("ord", "v")).select(
+        "tile", "cand", "ord", F.col("ord").cast("double").alias("x"), (F.col("v").cast("double") * 1000).alias("y")
+    )
 
 
 CURVES = """cv AS (SELECT label::BIGINT + vec_id // 500 * 10 AS tile, vec_id AS cand, i - 1 AS ord, (i - 1)::DOUBLE AS x, embedding[i]::DOUBLE * 1000 AS y FROM embeddings, unnest(range(1, 65)) AS r(i))"""
@@ -45,8 +54,15 @@ CURVES = """cv AS (SELECT label::BIGINT + vec_id // 500 * 10 AS tile, vec_id AS
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B3: panel (source, 50 documents), ord (document), pixel (spaces), value (characters)."""
     d = table(spark, sf_dir, "documents")
-    panel = F.concat(F.substring("source", 1, 3), (F.substring("source", 4, 9).cast("long") + F.floor(F.col("doc_id") / 1000) * 20).cast("string"))
-    return d.select(panel.alias("panel"), F.col("doc_id").alias("ord"), (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))).cast("double").alias("pixel"), F.col("n_chars").cast("double").alias("value"))
+    panel = F.concat(
+        F.substring("source", 1, 3), (F.substring("source", 4, 9).cast("long") + F.floor(F.col("doc_id") / 1000) * 20).cast("string")
+    )
+    return d.select(
+        panel.alias("panel"),
+        F.col("doc_id").alias("ord"),
+        (F.length("text") - F.length(F.replace(F.col("text"), F.lit(" "), F.lit("")))).cast("double").alias("pixel"),
+        F.col("n_chars").cast("double").alias("value")
+    )
 
 
 TICKS = """tk AS (SELECT left(source, 3) || (substr(source, 4)::BIGINT + doc_id // 1000 * 20) AS panel, doc_id AS ord, (length(text) - length(replace(text, ' ', '')))::DOUBLE AS pixel, n_chars::DOUBLE AS value FROM documents)"""
@@ -55,9 +71,13 @@ TICKS = """tk AS (SELECT left(source, 3) || (substr(source, 4)::BIGINT + doc_id
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B5: page (order), pos, conf, box."""
     li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice")
+    order = Window.partitionBy("l_orderkey").orderBy(
+        "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice"
+    )
     b = box(F.col("l_partkey") % 200, F.col("l_suppkey"), F.col("l_quantity") + 50, F.col("l_quantity") + 40)
-    return li.select(F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("pos"), F.col("l_discount").alias("conf"), b.alias("box"))
+    return li.select(
+        F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("pos"), F.col("l_discount").alias("conf"), b.alias("box")
+    )
 
 
 BOXES = """bx AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_extendedprice) AS pos,
@@ -95,7 +115,9 @@ def raster(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B8: tile (label, 50 vectors), row (rank of the vector), col (index), gray."""
     e = table(spark, sf_dir, "embeddings")
     row = F.row_number().over(Window.partitionBy("tile").orderBy("vec_id")) - 1
-    return e.withColumn("tile", _label_tile()).withColumn("row", row).select("tile", "row", F.posexplode("embedding").alias("col", "v")).select("tile", "row", "col", (F.col("v").cast("double") * 100).alias("gray"))
+    return e.withColumn("tile", _label_tile()).withColumn("row", row).select("tile", "row", F.posexplode("embedding").alias("col", "v")).select(
+        "tile", "row", "col", (F.col("v").cast("double") * 100).alias("gray")
+    )
 
 
 RASTER = """rs AS (SELECT tile, rn AS "row", i - 1 AS col, embedding[i]::DOUBLE * 100 AS gray FROM (SELECT *, row_number() OVER (PARTITION BY tile ORDER BY vec_id) - 1 AS rn FROM (SELECT *, label::BIGINT + vec_id // 500 * 10 AS tile FROM embeddings)), unnest(range(1, 65)) AS r(i))"""
@@ -105,7 +127,14 @@ def month_panels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B10: year, mon, first (day), days, n (orders), width: a panel for each month."""
     o = table(spark, sf_dir, "orders").groupBy(F.trunc("o_orderdate", "MM").alias("first")).agg(F.count("*").alias("n"))
     days = F.dayofmonth(F.last_day("first"))
-    return o.select(F.year("first").alias("year"), F.month("first").alias("mon"), "first", days.alias("days"), "n", (days * 6 + F.col("n") % 11).cast("long").alias("width"))
+    return o.select(
+        F.year("first").alias("year"),
+        F.month("first").alias("mon"),
+        "first",
+        days.alias("days"),
+        "n",
+        (days * 6 + F.col("n") % 11).cast("long").alias("width")
+    )
 
 
 MONTHS = """mp AS (SELECT year(f)::INT AS year, month(f)::INT AS mon, f AS first, day(last_day(f))::INT AS days, n, (day(last_day(f)) * 6 + n % 11)::BIGINT AS width FROM (SELECT date_trunc('month', o_orderdate)::DATE AS f, count(*) AS n FROM orders GROUP BY 1))"""

@@ -59,18 +59,39 @@ def reading_cascade(spark, d):
     k, kinds = F.col("k"), F.array(*map(F.lit, readings.KINDS))
     p = b.boxes(spark, d).withColumn("k", F.col("box.x") * 7 + F.col("box.y"))
     own = p.select(
-        "page", F.col("pos").alias("panel"), F.col("box.x").alias("x"), k, ((F.col("page") + F.col("pos")) % 3 != 0).alias("axis_labels"), ((F.col("page") + F.col("pos")) % 2 == 0).alias("curve_labels"),
+        "page", F.col("pos").alias("panel"), F.col("box.x").alias("x"), k, (
+            (F.col("page") + F.col("pos")) % 3 != 0
+        ).alias("axis_labels"), ((F.col("page") + F.col("pos")) % 2 == 0).alias("curve_labels"),
         b.pick(["linear", "log"], k).alias("scale_guess"),
     )
     tried = own.select("page", "panel", "k", "scale_guess", F.posexplode(kinds).alias("i", "kind"))
     numbers = F.filter(F.sequence(F.lit(-1), ((k + 3 * F.col("i")) % 4 - 1).cast("int")), lambda j: j >= 0)
-    tick = lambda j: F.struct(F.lit("unknown").alias("side"), (k % 3 + F.floor(j / 2)).cast("double").alias("pixel"), F.floor(j / 2).cast("double").alias("value"), ((k + j) % 5 != 0).alias("legible"))
+    tick = lambda j: F.struct(
+        F.lit("unknown").alias("side"),
+        (k % 3 + F.floor(j / 2)).cast("double").alias("pixel"),
+        F.floor(j / 2).cast("double").alias("value"),
+        ((k + j) % 5 != 0).alias("legible")
+    )
     attempts = tried.select(
-        "page", "panel", "kind", F.lit(1).alias("ord"), (k * (F.col("i") + 2) % 7 == 0).alias("failed"), b.pick(["", "Fuss", "mm", ""], k + F.col("i")).alias("unit"), F.col("scale_guess").alias("scale"),
-        ((k + F.col("i") * 11) % 100 / 100.0).alias("confidence"), F.lit("unknown").alias("x_kind"), F.lit("").alias("x_start"), F.lit("").alias("x_end"), F.transform(numbers, tick).alias("ticks"),
+        "page", "panel", "kind", F.lit(1).alias("ord"), (k * (F.col("i") + 2) % 7 == 0).alias("failed"), b.pick(
+            ["", "Fuss", "mm", ""], k + F.col("i")
+        ).alias("unit"), F.col("scale_guess").alias("scale"),
+        (
+            (k + F.col("i") * 11) % 100 / 100.0
+        ).alias("confidence"), F.lit("unknown").alias("x_kind"), F.lit("").alias("x_start"), F.lit("").alias("x_end"), F.transform(numbers, tick).alias("ticks"),
     )
     q = readings.cascade(own, attempts)
-    return q.select("page", F.col("panel").alias("pos"), "used", "failed", "unit", "scale", r(F.col("confidence")).alias("confidence"), F.size("ticks").cast("long").alias("n_ticks"), F.array_join("flags", ",").alias("flags"))
+    return q.select(
+        "page",
+        F.col("panel").alias("pos"),
+        "used",
+        "failed",
+        "unit",
+        "scale",
+        r(F.col("confidence")).alias("confidence"),
+        F.size("ticks").cast("long").alias("n_ticks"),
+        F.array_join("flags", ",").alias("flags")
+    )
 
 
 STAGES = ["ingest", "triage", "baseline", "calibrate", "extract", "select", "qc"]
@@ -97,7 +118,14 @@ def stages_to_run(spark, d):
     """A run for each customer, an event for each order: what is due of the chain without its baseline stage."""
     k = F.col("o_orderkey")
     o = b.table(spark, d, "orders")
-    events = o.select(F.col("o_custkey").alias("run_id"), b.pick(STAGES, F.floor(k / 4)).alias("stage"), b.pick(_STATES, F.floor(k / 2)).alias("status"), F.lit("").alias("error"), F.col("o_orderdate").alias("at"), k.alias("seq"))
+    events = o.select(
+        F.col("o_custkey").alias("run_id"),
+        b.pick(STAGES, F.floor(k / 4)).alias("stage"),
+        b.pick(_STATES, F.floor(k / 2)).alias("status"),
+        F.lit("").alias("error"),
+        F.col("o_orderdate").alias("at"),
+        k.alias("seq")
+    )
     c = b.table(spark, d, "customer").select(F.col("c_custkey").alias("run_id"), "c_nationkey")
     return runs.stages_due(c, sinks.latest_status(events), STAGES, skipped=["baseline"], force=F.col("c_nationkey") == 3)
 
@@ -131,12 +159,24 @@ FROM al CROSS JOIN range(30) AS v(s) LEFT JOIN ls ON ls.tile = al.tile AND ls.ca
 """)
 def digitized_series(spark, d):
     """The whole chain over pages of five panels each, whose names are the same on every page."""
-    keyed = lambda df, i: df.withColumn("page", F.floor(i / 5)).withColumn("panel", F.concat(F.lit("p"), (i % 5).cast("string")))
+    keyed = lambda df, i: df.withColumn("page", F.floor(i / 5)).withColumn(
+        "panel", F.concat(F.lit("p"), (i % 5).cast("string"))
+    )
     points = keyed(b.points(spark, d), F.col("tile"))
     ticks = b.ticks(spark, d)
     ticks = keyed(ticks.withColumn("i", F.substring("panel", 4, 9).cast("long")), F.col("i"))
     start, label = F.lit(date(2024, 1, 1)).alias("start"), F.when(F.col("tile") % 2 == 0, F.array(F.lit("level"))).alias("labels")
-    panels = points.select("page", "panel", "tile").distinct().select("page", "panel", F.lit(0.0).alias("x0"), F.lit(b.EXTENT).alias("x1"), F.lit(b.SLICES).alias("n"), start, F.lit("mm").alias("unit"), F.lit("linear").alias("y_scale"), label)
+    panels = points.select("page", "panel", "tile").distinct().select(
+        "page",
+        "panel",
+        F.lit(0.0).alias("x0"),
+        F.lit(b.EXTENT).alias("x1"),
+        F.lit(b.SLICES).alias("n"),
+        start,
+        F.lit("mm").alias("unit"),
+        F.lit("linear").alias("y_scale"),
+        label
+    )
     q = digitize(ticks, points.select("page", "panel", "cand", "ord", "x", "y", "confidence"), panels, gates=GENERIC)
     return q.select("page", "panel", "label", "cand", "slice", "x_key", r(F.col("value_native"), 4).alias("value_native"), "flagged")
 
@@ -165,17 +205,41 @@ FROM g LEFT JOIN v ON v.user_id = g.user_id AND v.attempt = g.attempt
 def valid_responses(spark, d):
     """An answer for each event, some of them cut off, fenced, without a field or with a wrong word: the first valid one of each user."""
     k = F.col("event_id")
-    e = b.table(spark, d, "events").select("user_id", k.alias("attempt"), k, F.when(k % 4 == 3, F.col("event_type")).otherwise(b.pick(["date", "numeric", "unknown"], k)).alias("kind"))
+    e = b.table(spark, d, "events").select(
+        "user_id",
+        k.alias("attempt"),
+        k,
+        F.when(k % 4 == 3, F.col("event_type")).otherwise(b.pick(["date", "numeric", "unknown"], k)).alias("kind")
+    )
     s = lambda c: c.cast("string")
     whole = F.concat(
-        F.lit('{"y_ticks": [{"pos_1000": '), s(k % 1200), F.lit(', "value": 1.5, "side": "left"}, {"pos_1000": '), s(k % 900), F.lit(', "value": '), s(k % 40), F.lit(', "legible": '), F.when(k % 3 == 0, "false").otherwise("true"),
-        F.lit('}], "x_kind": "'), F.col("kind"), F.lit('"'), F.when(k % 2 == 0, F.concat(F.lit(', "confidence": 0.'), s(k % 10))).otherwise(""), F.lit("}"),
+        F.lit('{"y_ticks": [{"pos_1000": '), s(k % 1200), F.lit(
+            ', "value": 1.5, "side": "left"}, {"pos_1000": '
+        ), s(k % 900), F.lit(', "value": '), s(k % 40), F.lit(', "legible": '), F.when(k % 3 == 0, "false").otherwise("true"),
+        F.lit('}], "x_kind": "'), F.col("kind"), F.lit('"'), F.when(
+            k % 2 == 0, F.concat(F.lit(', "confidence": 0.'), s(k % 10))
+        ).otherwise(""), F.lit("}"),
     )
-    answer = F.when(k % 7 == 0, '{"y_ticks": [{"pos_1000": ').when(k % 7 == 1, "no answer").when(k % 5 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))).otherwise(whole)
+    answer = F.when(k % 7 == 0, '{"y_ticks": [{"pos_1000": ').when(k % 7 == 1, "no answer").when(
+        k % 5 == 0, F.concat(F.lit("```json\n"), whole, F.lit("\n```"))
+    ).otherwise(whole)
     parsed = responses.parse(e.select("user_id", "attempt", answer.alias("text")), "axis")
-    q = responses.first_valid(parsed.withColumn("data", F.struct("data", "out_of_range")), ["user_id"]).select("*", F.col("data.data.y_ticks").alias("t"), F.col("data.data.x_kind").alias("x_kind"))
+    q = responses.first_valid(parsed.withColumn("data", F.struct("data", "out_of_range")), ["user_id"]).select(
+        "*", F.col("data.data.y_ticks").alias("t"), F.col("data.data.x_kind").alias("x_kind")
+    )
     pixel = F.get("t", F.lit(0))["pos_1000"] / 1000.0 * 250 + 40
-    return q.select("user_id", "n_attempts", "n_malformed", "n_invalid", "attempt", "last_error", "x_kind", r(pixel, 4).alias("first_pixel"), F.get("t", F.lit(1))["legible"].alias("second_legible"), F.array_contains("data.out_of_range", "y_ticks[].pos_1000").alias("beyond"))
+    return q.select(
+        "user_id",
+        "n_attempts",
+        "n_malformed",
+        "n_invalid",
+        "attempt",
+        "last_error",
+        "x_kind",
+        r(pixel, 4).alias("first_pixel"),
+        F.get("t", F.lit(1))["legible"].alias("second_legible"),
+        F.array_contains("data.out_of_range", "y_ticks[].pos_1000").alias("beyond")
+    )
 
 
 # --- hints, rasters, extractors --------------------------------------------------------------------------------
@@ -198,16 +262,41 @@ def hint_boxes(spark, d):
     box, pos = F.col("box"), F.col("pos")
     name = F.concat(F.lit("p"), F.lpad(pos.cast("string"), 2, "0"))
     none = F.lit("")
-    detected = q.select("run_id", name.alias("panel"), none.alias("label"), "box", box.alias("plot"), none.alias("x_start"), none.alias("x_end"), F.lit(0.9).alias("confidence"), F.array().cast("array<string>").alias("flags"))
+    detected = q.select(
+        "run_id",
+        name.alias("panel"),
+        none.alias("label"),
+        "box",
+        box.alias("plot"),
+        none.alias("x_start"),
+        none.alias("x_end"),
+        F.lit(0.9).alias("confidence"),
+        F.array().cast("array<string>").alias("flags")
+    )
     four = lambda *xs: F.array(*(x.cast("int") for x in xs))
     drawn = F.struct(
-        F.when(pos % 4 != 0, 10 - pos).cast("int").alias("index"), none.alias("label"), F.when(pos % 5 != 0, four(box["x"] - 50, box["y"] - 5, box["w"] * 3, box["h"] * 3)).alias("bbox_px"),
-        F.when(pos % 2 == 0, four(box["x"] - 43, box["y"] - 5, box["w"] * 3 - 9, box["h"] * 3)).alias("plot_area_px"), none.alias("x_start"), none.alias("x_end"),
+        F.when(pos % 4 != 0, 10 - pos).cast("int").alias("index"), none.alias("label"), F.when(
+            pos % 5 != 0, four(box["x"] - 50, box["y"] - 5, box["w"] * 3, box["h"] * 3)
+        ).alias("bbox_px"),
+        F.when(
+            pos % 2 == 0, four(box["x"] - 43, box["y"] - 5, box["w"] * 3 - 9, box["h"] * 3)
+        ).alias("plot_area_px"), none.alias("x_start"), none.alias("x_end"),
     )
-    given = q.where(F.col("run_id") % 3 == 0).groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", drawn.alias("p")))), lambda s: s["p"]).alias("panels"))
-    pages = q.select("run_id").distinct().select("run_id", F.lit(150).cast("bigint").alias("width"), F.lit(90).cast("bigint").alias("height"))
+    given = q.where(F.col("run_id") % 3 == 0).groupBy("run_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("pos", drawn.alias("p")))), lambda s: s["p"]).alias("panels")
+    )
+    pages = q.select("run_id").distinct().select(
+        "run_id", F.lit(150).cast("bigint").alias("width"), F.lit(90).cast("bigint").alias("height")
+    )
     p = hints.panels_of(detected, given, pages)
-    return p.select(F.col("run_id").alias("page"), "panel", *(F.col(f"box.{c}").alias(c) for c in "xywh"), F.col("plot.x").alias("px"), F.col("plot.w").alias("pw"), F.array_join("flags", ",").alias("flags"))
+    return p.select(
+        F.col("run_id").alias("page"),
+        "panel",
+        *(F.col(f"box.{c}").alias(c) for c in "xywh"),
+        F.col("plot.x").alias("px"),
+        F.col("plot.w").alias("pw"),
+        F.array_join("flags", ",").alias("flags")
+    )
 
 
 _KERNEL = "CASE WHEN abs(t) < 1 THEN (1.5 * abs(t) - 2.5) * t * t + 1 WHEN abs(t) < 2 THEN ((-0.5 * abs(t) + 2.5) * abs(t) - 4) * abs(t) + 2 ELSE 0 END"
@@ -240,11 +329,25 @@ SELECT coalesce(v.tile, m.tile) AS run, round(coverage, 6) AS coverage, coalesce
 """)
 def extractor_summary(spark, d):
     """Tiles as runs: coverage of their curves, tokens by event (some are no numbers), verdicts by curve."""
-    sc = resample.scored(resample.last_per_slice(b.points(spark, d), ["tile", "cand"], F.lit(0.0), F.lit(b.EXTENT), F.lit(b.SLICES), ("confidence",)), ["tile", "cand"], F.lit(b.SLICES), 0.69, 0.9)
+    sc = resample.scored(
+        resample.last_per_slice(b.points(spark, d), ["tile", "cand"], F.lit(0.0), F.lit(b.EXTENT), F.lit(b.SLICES), ("confidence",)),
+        ["tile", "cand"],
+        F.lit(b.SLICES),
+        0.69,
+        0.9
+    )
     run = F.col("tile").alias("run")
     k = F.col("event_id")
-    meta = b.table(spark, d, "events").select((F.col("user_id") % 10 + F.floor(F.col("user_id") / 150) * 10).alias("run"), F.when(F.col("event_type") == "view", "seconds").otherwise(F.concat(F.lit("tokens:"), "event_type")).alias("key"), F.when(k % 3 == 0, "n/a").otherwise((k % 100).cast("string")).alias("value"))
-    verdicts = sc.select(run, F.concat(F.lit("c"), F.col("cand").cast("string")).alias("panel"), F.when(F.col("viable"), "ok").otherwise("minor").alias("verdict"))
+    meta = b.table(spark, d, "events").select(
+        (F.col("user_id") % 10 + F.floor(F.col("user_id") / 150) * 10).alias("run"),
+        F.when(F.col("event_type") == "view", "seconds").otherwise(F.concat(F.lit("tokens:"), "event_type")).alias("key"),
+        F.when(k % 3 == 0, "n/a").otherwise((k % 100).cast("string")).alias("value")
+    )
+    verdicts = sc.select(
+        run,
+        F.concat(F.lit("c"), F.col("cand").cast("string")).alias("panel"),
+        F.when(F.col("viable"), "ok").otherwise("minor").alias("verdict")
+    )
     q = evaluation.extractor_summary(sc.select(run, F.when(F.col("coverage") >= 0.5, F.col("coverage")).alias("coverage")), meta, verdicts)
     return q.select("run", r(F.col("coverage")).alias("coverage"), "tokens", "verdicts")
 
@@ -288,8 +391,16 @@ FROM cq LEFT JOIN fq USING (run_id)
 def run_reports(spark, d):
     """Reports of runs of five panels each: their axes, and the flags of those below the gate."""
     run = F.floor(F.substring("panel", 4, 9).cast("int") / 5).cast("int").alias("run_id")
-    fits = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"])).select("*", run, F.lit("mm").alias("unit"), F.lit("linear").alias("scale"))
-    low = fits.where("r2 < 0.995").select("run_id", F.lit("warning").alias("severity"), F.lit("calibrate").alias("stage"), F.col("panel").alias("ref"), F.format_string("axis fit r2=%.4f below gate 0.995", "r2").alias("reason"))
+    fits = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"])).select(
+        "*", run, F.lit("mm").alias("unit"), F.lit("linear").alias("scale")
+    )
+    low = fits.where("r2 < 0.995").select(
+        "run_id",
+        F.lit("warning").alias("severity"),
+        F.lit("calibrate").alias("stage"),
+        F.col("panel").alias("ref"),
+        F.format_string("axis fit r2=%.4f below gate 0.995", "r2").alias("reason")
+    )
     return reports.reports(reports.calibration_lines(fits), reports.flag_lines(low))
 
 
@@ -325,11 +436,20 @@ def panel_count_repair(spark, d):
     q = b.boxes(spark, d)
     odd = (F.col("page") + F.col("pos")) % 7 == 0
     wide = F.when(odd, 9 + F.col("pos")).otherwise(F.col("box.w") * (1 + (F.col("page") + F.col("pos")) % 3))
-    q = q.withColumn("box", box(F.col("pos") * 90 + F.col("box.x") % 7, F.col("box.y"), wide, F.col("box.h"))).withColumn("plot", F.col("box")).withColumn("flags", F.array().cast("array<string>"))
+    q = q.withColumn(
+        "box", box(F.col("pos") * 90 + F.col("box.x") % 7, F.col("box.y"), wide, F.col("box.h"))
+    ).withColumn("plot", F.col("box")).withColumn("flags", F.array().cast("array<string>"))
     columns = q.select("page", "pos", F.explode(F.sequence(F.col("box.x"), F.col("box.x") + F.col("box.w"))).alias("col"))
     strength = columns.withColumn("s", (F.col("col") * 37 + F.col("pos") * 11) % 101)
     out, _ = bx.repair_count(q, ["page"], F.lit(4), strength)
-    return out.select("page", "panel", "pos", F.col("box.x").alias("x"), F.col("box.w").alias("w"), F.array_contains("flags", bx.SPLIT_FLAG).alias("split"))
+    return out.select(
+        "page",
+        "panel",
+        "pos",
+        F.col("box.x").alias("x"),
+        F.col("box.w").alias("w"),
+        F.array_contains("flags", bx.SPLIT_FLAG).alias("split")
+    )
 
 
 @query("""

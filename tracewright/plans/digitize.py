@@ -51,7 +51,9 @@ def _paged(table: DataFrame | None, known: DataFrame) -> DataFrame | None:
     return table.join(known.select(*KEY), "panel")
 
 
-def _selected(known: DataFrame, scored: DataFrame, points: DataFrame, picks: DataFrame | None, assigned: DataFrame | None, gates: Gates) -> DataFrame:
+def _selected(
+    known: DataFrame, scored: DataFrame, points: DataFrame, picks: DataFrame | None, assigned: DataFrame | None, gates: Gates
+) -> DataFrame:
     """page, panel, series, cand, label, too_few: one curve for panels of one series, distinct ones for the others.
 
     Several curves are chosen among a panel's viable ones; only where it has none, among all.
@@ -71,7 +73,9 @@ def _selected(known: DataFrame, scored: DataFrame, points: DataFrame, picks: Dat
     lines = lines.withColumn("cand", F.col("cand").cast("long")).withColumn("labels", labels).withColumn("n_series", n)
     multi = cd.select_multi(lines, KEY).select(*KEY, F.explode("chosen").alias("c"), "too_few")
     multi = multi.select(*KEY, "c.series", "c.cand", "c.label", "too_few")
-    one = single.join(known.where("n_series <= 1 OR n_series IS NULL").select(*KEY, F.coalesce(F.get(given, F.lit(0)), F.lit("")).alias("label")), KEY)
+    one = single.join(
+        known.where("n_series <= 1 OR n_series IS NULL").select(*KEY, F.coalesce(F.get(given, F.lit(0)), F.lit("")).alias("label")), KEY
+    )
     one = one.select(*KEY, F.lit("s1").alias("series"), F.col("cand").cast("long").alias("cand"), "label", F.lit(False).alias("too_few"))
     return one.unionByName(multi)
 

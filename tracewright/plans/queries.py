@@ -54,10 +54,14 @@ def norm_box_to_px(spark: SparkSession, d: str) -> DataFrame:
     return q.select("page", "pos", out.alias("b")).select("page", "pos", *flat("b"))
 
 
-@query(f"WITH {b.BOXES} SELECT a.page, a.pos AS pos_a, c.pos AS pos_b, round({b.iou_sql('a', 'c')}, 12) AS iou FROM bx a JOIN bx c ON a.page = c.page AND a.pos < c.pos")
+@query(
+    f"WITH {b.BOXES} SELECT a.page, a.pos AS pos_a, c.pos AS pos_b, round({b.iou_sql('a', 'c')}, 12) AS iou FROM bx a JOIN bx c ON a.page = c.page AND a.pos < c.pos"
+)
 def box_iou_pairs(spark, d):
     q = b.boxes(spark, d)
-    one, two = q.select("page", F.col("pos").alias("pos_a"), F.col("box").alias("a")), q.select("page", F.col("pos").alias("pos_b"), F.col("box").alias("c"))
+    one, two = q.select(
+        "page", F.col("pos").alias("pos_a"), F.col("box").alias("a")
+    ), q.select("page", F.col("pos").alias("pos_b"), F.col("box").alias("c"))
     return one.join(two, "page").where("pos_a < pos_b").select("page", "pos_a", "pos_b", r(g.iou(F.col("a"), F.col("c")), 12).alias("iou"))
 
 
@@ -75,41 +79,85 @@ def box_expand_clamp(spark, d):
     plot = g.box(own["x"] + 10, own["y"] - 5, half(own["w"], 2), half(own["h"] * (F.col("pos") % 3), 3))
     edge = g.margin_crop_box(own, w, h, F.when(F.col("pos") == 1, "left").otherwise("right"))
     out = q.select("page", "pos", g.crop_box(own, w, h).alias("c"), edge.alias("e"), g.clamp_plot(plot, own).alias("p"))
-    return out.select("page", "pos", *flat("c", "crop_"), F.col("e.x").alias("edge_x"), F.col("e.w").alias("edge_w"), F.col("p.x").alias("plot_x"), F.col("p.w").alias("plot_w"), F.col("p.h").alias("plot_h"))
-
-
-@query(f"WITH {b.POINTS} SELECT ord, round((x - cand % 7) * 2, 6) AS tile_x, round((y - 3) * 1, 6) AS tile_y, round((x - cand % 7) * 2 / 2 + cand % 7, 6) AS page_x FROM pt")
+    return out.select(
+        "page",
+        "pos",
+        *flat("c", "crop_"),
+        F.col("e.x").alias("edge_x"),
+        F.col("e.w").alias("edge_w"),
+        F.col("p.x").alias("plot_x"),
+        F.col("p.w").alias("plot_w"),
+        F.col("p.h").alias("plot_h")
+    )
+
+
+@query(
+    f"WITH {b.POINTS} SELECT ord, round((x - cand % 7) * 2, 6) AS tile_x, round((y - 3) * 1, 6) AS tile_y, round((x - cand % 7) * 2 / 2 + cand % 7, 6) AS page_x FROM pt"
+)
 def affine_roundtrip(spark, d):
     q = b.points(spark, d)
     crop = (F.col("cand") % 7).cast("double")
     x = g.page_to_tile(F.col("x"), crop, F.lit(2.0))
-    return q.select("ord", r(x).alias("tile_x"), r(g.page_to_tile(F.col("y"), F.lit(3.0), F.lit(1.0))).alias("tile_y"), r(g.tile_to_page(x, crop, F.lit(2.0))).alias("page_x"))
+    return q.select(
+        "ord",
+        r(x).alias("tile_x"),
+        r(g.page_to_tile(F.col("y"), F.lit(3.0), F.lit(1.0))).alias("tile_y"),
+        r(g.tile_to_page(x, crop, F.lit(2.0))).alias("page_x")
+    )
 
 
 # --- labels ----------------------------------------------------------------------------------------------------
 
-UNIT_LABELS = ["mm", "Millimeter", "cm.", "Meter", "m", "bayer. Fuß", "Pariser Fuss", "Schuh", "Zoll", " Klafter", "", "CM", "Zentimeter", "meters"]
+UNIT_LABELS = [
+    "mm", "Millimeter", "cm.", "Meter", "m", "bayer. Fuß", "Pariser Fuss", "Schuh", "Zoll", " Klafter", "", "CM", "Zentimeter", "meters"
+]
 _UNIT_SQL = """CASE WHEN raw = '' THEN 'unknown' WHEN regexp_matches(trim(raw), '(?i)^m(illi)?m(eter)?s?\\.?$') THEN 'mm' WHEN regexp_matches(trim(raw), '(?i)^c(enti)?m(eter)?s?\\.?$') THEN 'cm'
   WHEN regexp_matches(trim(raw), '(?i)^m(eter)?s?\\.?$') THEN 'm' WHEN regexp_matches(trim(raw), '(?i)fu(ß|ss)') THEN 'bavarian_foot' WHEN regexp_matches(trim(raw), '(?i)schuh') THEN 'bavarian_foot'
   WHEN regexp_matches(trim(raw), '(?i)zoll') THEN 'bavarian_zoll' ELSE trim(raw) END"""
 _FACTOR_SQL = "CASE unit WHEN 'mm' THEN 1.0 WHEN 'cm' THEN 10.0 WHEN 'm' THEN 1000.0 WHEN 'bavarian_foot' THEN 291.859 WHEN 'bavarian_zoll' THEN 291.859 / 12 END"
 
 
-@query(f"WITH l AS (SELECT o_orderkey, o_totalprice, {b.pick_sql(UNIT_LABELS, 'o_orderkey')} AS raw FROM orders), u AS (SELECT *, {_UNIT_SQL} AS unit FROM l) SELECT o_orderkey, raw, unit, round(o_totalprice * ({_FACTOR_SQL})::DOUBLE, 2) AS mm FROM u")
+@query(
+    f"WITH l AS (SELECT o_orderkey, o_totalprice, {b.pick_sql(UNIT_LABELS, 'o_orderkey')} AS raw FROM orders), u AS (SELECT *, {_UNIT_SQL} AS unit FROM l) SELECT o_orderkey, raw, unit, round(o_totalprice * ({_FACTOR_SQL})::DOUBLE, 2) AS mm FROM u"
+)
 def unit_canonicalize(spark, d):
-    q = b.table(spark, d, "orders").withColumn("raw", b.pick(UNIT_LABELS, F.col("o_orderkey"))).withColumn("unit", units.canonical(F.col("raw")))
+    q = b.table(spark, d, "orders").withColumn(
+        "raw", b.pick(UNIT_LABELS, F.col("o_orderkey"))
+    ).withColumn("unit", units.canonical(F.col("raw")))
     return q.select("o_orderkey", "raw", "unit", r(units.to_mm(F.col("o_totalprice"), F.col("unit")), 2).alias("mm"))
 
 
 @query(f"""WITH l AS (SELECT o_orderkey, o_orderdate::DATE AS day, {b.pick_sql(UNIT_LABELS, 'o_orderkey')} AS raw FROM orders), u AS (SELECT *, {_UNIT_SQL} AS unit FROM l)
 SELECT o_orderkey, day, CASE WHEN unit IN ('mm', 'cm', 'm', 'bavarian_foot', 'bavarian_zoll') THEN unit WHEN day < DATE '1996-04-01' THEN 'bavarian_foot' ELSE 'mm' END AS unit FROM u""")
 def unit_by_date(spark, d):
-    q = b.table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), b.pick(UNIT_LABELS, F.col("o_orderkey")).alias("raw"))
+    q = b.table(spark, d, "orders").select(
+        "o_orderkey", F.to_date("o_orderdate").alias("day"), b.pick(UNIT_LABELS, F.col("o_orderkey")).alias("raw")
+    )
     return q.select("o_orderkey", "day", units.in_force(F.col("raw"), F.col("day").cast("string"), True, date(1996, 4, 1)).alias("unit"))
 
 
-DATE_LABELS = ["1849-07-03", "1849-02-30", "Juli 1849", "Jänner 1850", "3. Juli 1849", "3. Juli", "31. Feb. 1849", "12 Sept. 1871", "Okt 1844", "Xyz 1844", "17", "", "29. Februar 1852", "Mai 1839", "ma 1840", "1. December 1840", " März 1841 "]
-_MONTHS_SQL = "CASE " + " ".join(f"WHEN k = '{n}' THEN {m}" for n, m in dates.MONTHS) + " " + " ".join(f"WHEN length(k) >= 3 AND starts_with('{n}', k) THEN {m}" for n, m in dates.MONTHS) + " END"
+DATE_LABELS = [
+    "1849-07-03",
+    "1849-02-30",
+    "Juli 1849",
+    "Jänner 1850",
+    "3. Juli 1849",
+    "3. Juli",
+    "31. Feb. 1849",
+    "12 Sept. 1871",
+    "Okt 1844",
+    "Xyz 1844",
+    "17",
+    "",
+    "29. Februar 1852",
+    "Mai 1839",
+    "ma 1840",
+    "1. December 1840",
+    " März 1841 "
+]
+_MONTHS_SQL = "CASE " + " ".join(f"WHEN k = '{n}' THEN {m}" for n, m in dates.MONTHS) + " " + " ".join(
+    f"WHEN length(k) >= 3 AND starts_with('{n}', k) THEN {m}" for n, m in dates.MONTHS
+) + " END"
 
 
 @query(rf"""WITH l AS (SELECT o_orderkey, {b.pick_sql(DATE_LABELS, 'o_orderkey')} AS label FROM orders),
@@ -124,28 +172,40 @@ def date_label_parse(spark, d):
 
 @query(f"WITH {b.MONTHS} SELECT year, mon, first, (first + INTERVAL (days - 1) DAY)::DATE AS last, days, n FROM mp")
 def month_calendar(spark, d):
-    return b.month_panels(spark, d).select("year", "mon", "first", F.last_day("first").alias("last"), dates.days_in_month(F.col("first")).alias("days"), "n")
+    return b.month_panels(spark, d).select(
+        "year", "mon", "first", F.last_day("first").alias("last"), dates.days_in_month(F.col("first")).alias("days"), "n"
+    )
 
 
 NUMBER_LABELS = ["34,5 Zoll", '30"', "-7.25", "no number", "", "1.234,5", "x12y13", "- 4", "1e5", "+3"]
 
 
-@query(rf"WITH l AS (SELECT o_orderkey, {b.pick_sql(NUMBER_LABELS, 'o_orderkey')} AS label FROM orders) SELECT o_orderkey, label, try_cast(replace(nullif(regexp_extract(label, '-?\d+(?:[.,]\d+)?'), ''), ',', '.') AS DOUBLE) AS number FROM l")
+@query(
+    rf"WITH l AS (SELECT o_orderkey, {b.pick_sql(NUMBER_LABELS, 'o_orderkey')} AS label FROM orders) SELECT o_orderkey, label, try_cast(replace(nullif(regexp_extract(label, '-?\d+(?:[.,]\d+)?'), ''), ',', '.') AS DOUBLE) AS number FROM l"
+)
 def lenient_float(spark, d):
-    return b.table(spark, d, "orders").select("o_orderkey", b.pick(NUMBER_LABELS, F.col("o_orderkey")).alias("label")).withColumn("number", text.lenient_number(F.col("label")))
+    return b.table(spark, d, "orders").select(
+        "o_orderkey", b.pick(NUMBER_LABELS, F.col("o_orderkey")).alias("label")
+    ).withColumn("number", text.lenient_number(F.col("label")))
 
 
-@query("SELECT page_id, coalesce(nullif(left(trim(regexp_replace(url, '[^A-Za-z0-9_-]+', '-', 'g'), '-'), 40), ''), 'run') AS slug, sha256(coalesce(html, '')) AS sha256, md5(coalesce(html, '')) AS md5 FROM pages")
+@query(
+    "SELECT page_id, coalesce(nullif(left(trim(regexp_replace(url, '[^A-Za-z0-9_-]+', '-', 'g'), '-'), 40), ''), 'run') AS slug, sha256(coalesce(html, '')) AS sha256, md5(coalesce(html, '')) AS md5 FROM pages"
+)
 def slug_and_hash(spark, d):
     body = F.coalesce("html", F.lit("")).cast("binary")
-    return b.table(spark, d, "pages").select("page_id", text.slug(F.col("url")).alias("slug"), F.sha2(body, 256).alias("sha256"), F.md5(body).alias("md5"))
+    return b.table(spark, d, "pages").select(
+        "page_id", text.slug(F.col("url")).alias("slug"), F.sha2(body, 256).alias("sha256"), F.md5(body).alias("md5")
+    )
 
 
 @query("""WITH k AS (SELECT c_custkey, c_name || '-' || (c_custkey * 7919 % 1000) || c_mktsegment || c_custkey % 13 AS name FROM customer)
 SELECT c_custkey, name, row_number() OVER (ORDER BY array_to_string(list_transform(regexp_extract_all(lower(name), '\\d+|[^\\d]+'), lambda p: CASE WHEN regexp_matches(p, '^\\d+$') THEN lpad(p, 20, '0') ELSE p END), ''), c_custkey) AS place FROM k""")
 def natural_sort_rank(spark, d):
     c = b.table(spark, d, "customer")
-    name = F.concat("c_name", F.lit("-"), (F.col("c_custkey") * 7919 % 1000).cast("string"), "c_mktsegment", (F.col("c_custkey") % 13).cast("string"))
+    name = F.concat(
+        "c_name", F.lit("-"), (F.col("c_custkey") * 7919 % 1000).cast("string"), "c_mktsegment", (F.col("c_custkey") % 13).cast("string")
+    )
     q = c.select("c_custkey", name.alias("name")).withColumn("key", text.natural_key(F.col("name")))
     return metrics.global_rank(q, ["key", "c_custkey"]).select("c_custkey", "name", "place")
 
@@ -156,7 +216,15 @@ c AS (SELECT r_regionkey, part, f, j, string_split(string_split(f[3], '+')[j], '
 SELECT r_regionkey, row_number() OVER (PARTITION BY r_regionkey ORDER BY part, j, m) - 1 AS at, f[1] AS scan, f[2]::INT AS year, m::INT AS mon FROM c, unnest(range(ab[1]::INT, coalesce(ab[2], ab[1])::INT + 1)) AS r(m)""")
 def month_spec_expand(spark, d):
     k = F.col("r_regionkey")
-    spec = F.concat(k.cast("string"), F.lit("70405:18"), (k + 51).cast("string"), F.lit(":1-3+6,481516:1862:"), (k + 1).cast("string"), F.lit("+"), (k + 1).cast("string"))
+    spec = F.concat(
+        k.cast("string"),
+        F.lit("70405:18"),
+        (k + 51).cast("string"),
+        F.lit(":1-3+6,481516:1862:"),
+        (k + 1).cast("string"),
+        F.lit("+"),
+        (k + 1).cast("string")
+    )
     q = b.table(spark, d, "region").select("r_regionkey", F.posexplode(text.gauge_months(spec)).alias("at", "m"))
     return q.select("r_regionkey", F.col("at").cast("long").alias("at"), "m.scan", "m.year", F.col("m.month").alias("mon"))
 
@@ -164,34 +232,53 @@ def month_spec_expand(spark, d):
 @query("SELECT event_id, props AS json, (props::JSON ->> 'k')::INT AS k FROM events")
 def json_extract_clean(spark, d):
     e = b.table(spark, d, "events")
-    told = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("Sure, here it is:\n```json\n"), "props", F.lit("\n```\nDone."))).when(F.col("event_id") % 3 == 1, F.concat(F.lit("The answer: "), "props")).otherwise(F.col("props"))
+    told = F.when(
+        F.col("event_id") % 3 == 0, F.concat(F.lit("Sure, here it is:\n```json\n"), "props", F.lit("\n```\nDone."))
+    ).when(F.col("event_id") % 3 == 1, F.concat(F.lit("The answer: "), "props")).otherwise(F.col("props"))
     return e.select("event_id", text.clean_json(told).alias("json")).withColumn("k", F.from_json("json", "k int")["k"])
 
 
 # --- axis fits -------------------------------------------------------------------------------------------------
 
 
-@query(f"WITH {b.TICKS} SELECT panel, ord, pixel, value FROM (SELECT *, row_number() OVER (PARTITION BY panel, round_even(pixel / 10, 0), floor(value / 100) ORDER BY ord) AS n FROM tk) WHERE n = 1")
+@query(
+    f"WITH {b.TICKS} SELECT panel, ord, pixel, value FROM (SELECT *, row_number() OVER (PARTITION BY panel, round_even(pixel / 10, 0), floor(value / 100) ORDER BY ord) AS n FROM tk) WHERE n = 1"
+)
 def dedupe_ticks(spark, d):
-    q = b.ticks(spark, d).withColumns({"exact": F.col("pixel"), "whole": F.col("value"), "pixel": F.col("pixel") / 10, "value": F.floor(F.col("value") / 100)})
+    q = b.ticks(spark, d).withColumns(
+        {"exact": F.col("pixel"), "whole": F.col("value"), "pixel": F.col("pixel") / 10, "value": F.floor(F.col("value") / 100)}
+    )
     return fit.dedupe_ticks(q, ["panel"]).select("panel", "ord", F.col("exact").alias("pixel"), F.col("whole").alias("value"))
 
 
-@query(f"WITH {b.TICKS} SELECT panel, round(regr_slope(value, pixel), 6) AS slope, round(regr_intercept(value, pixel), 4) AS intercept, count(*) AS n_ticks FROM tk GROUP BY panel")
+@query(
+    f"WITH {b.TICKS} SELECT panel, round(regr_slope(value, pixel), 6) AS slope, round(regr_intercept(value, pixel), 4) AS intercept, count(*) AS n_ticks FROM tk GROUP BY panel"
+)
 def ols_axis_fit(spark, d):
-    return fit.ols(b.ticks(spark, d), ["panel"]).select("panel", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), "n_ticks")
+    return fit.ols(b.ticks(spark, d), ["panel"]).select(
+        "panel", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), "n_ticks"
+    )
 
 
 @query(f"""WITH {b.TICKS}, e AS (SELECT panel, arg_min(pixel, ord) AS c0, arg_min(value, ord) AS v0, arg_max(pixel, ord) AS c1, arg_max(value, ord) AS v1 FROM tk GROUP BY panel),
 l AS (SELECT *, (v1 - v0) / nullif(c1 - c0, 0) AS slope FROM e), m AS (SELECT *, v0 - slope * c0 AS intercept FROM l)
 SELECT panel, round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(slope * 100 + intercept, 4) AS at_100, round((1000 - intercept) / nullif(slope, 0), 4) AS px_1000, round(c0 - v0 / nullif(v1 - v0, 0) * (c1 - c0), 4) AS zero_px FROM m""")
 def two_anchor_map(spark, d):
-    e = b.ticks(spark, d).groupBy("panel").agg(F.min(F.struct("ord", "pixel", "value")).alias("a"), F.max(F.struct("ord", "pixel", "value")).alias("z"))
+    e = b.ticks(spark, d).groupBy("panel").agg(
+        F.min(F.struct("ord", "pixel", "value")).alias("a"), F.max(F.struct("ord", "pixel", "value")).alias("z")
+    )
     c0, v0, c1, v1 = F.col("a.pixel"), F.col("a.value"), F.col("z.pixel"), F.col("z.value")
     slope, intercept = fit.two_anchor(c0, v0, c1, v1)
     q = e.select("panel", slope.alias("slope"), intercept.alias("intercept"), r(fit.zero_pixel(c0, v0, c1, v1), 4).alias("zero_px"))
     s, i = F.col("slope"), F.col("intercept")
-    return q.select("panel", r(s).alias("slope"), r(i, 4).alias("intercept"), r(fit.value_at(s, i, F.lit(100.0)), 4).alias("at_100"), r(fit.pixel_at(s, i, F.lit(1000.0)), 4).alias("px_1000"), "zero_px")
+    return q.select(
+        "panel",
+        r(s).alias("slope"),
+        r(i, 4).alias("intercept"),
+        r(fit.value_at(s, i, F.lit(100.0)), 4).alias("at_100"),
+        r(fit.pixel_at(s, i, F.lit(1000.0)), 4).alias("px_1000"),
+        "zero_px"
+    )
 
 
 def _robust_sql(source: str, key: str, rounds: int = 5) -> str:
@@ -213,7 +300,15 @@ ft AS (SELECT {key}, slope, intercept, CASE WHEN ss_tot > 0 THEN 1 - ss_res / ss
 
 
 def _fit_columns() -> list[Column]:
-    return [r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), r(F.col("r2")).alias("r2"), r(F.col("rmse"), 4).alias("rmse"), F.col("n_ticks").cast("long").alias("n_ticks"), F.col("n_used").cast("long").alias("n_used"), F.col("n_rejected").cast("long").alias("n_rejected")]
+    return [
+        r(F.col("slope")).alias("slope"),
+        r(F.col("intercept"), 4).alias("intercept"),
+        r(F.col("r2")).alias("r2"),
+        r(F.col("rmse"), 4).alias("rmse"),
+        F.col("n_ticks").cast("long").alias("n_ticks"),
+        F.col("n_used").cast("long").alias("n_used"),
+        F.col("n_rejected").cast("long").alias("n_rejected")
+    ]
 
 
 _FIT_SQL = "round(slope, 6) AS slope, round(intercept, 4) AS intercept, round(r2, 6) AS r2, round(rmse, 4) AS rmse, n_ticks, n_used, n_rejected"
@@ -237,10 +332,14 @@ def robust_fit_log(spark, d):
     return fit.fit_both_scales(b.ticks(spark, d), ["panel"], declared).select("panel", "scale", "declared", "scale_auto", *_fit_columns())
 
 
-@query(f"""WITH {b.TICKS}, {_robust_sql('tk', 'panel')} SELECT panel, array_to_string(list_filter([CASE WHEN r2 < 0.995 THEN printf('low_r2:%.4f', r2) END, CASE WHEN rmse / nullif(vrange, 0) > 0.02 THEN 'high_residual' END], lambda x: x IS NOT NULL), ',') AS flags, round(rmse / nullif(vrange, 0), 6) AS relative FROM ft""")
+@query(
+    f"""WITH {b.TICKS}, {_robust_sql('tk', 'panel')} SELECT panel, array_to_string(list_filter([CASE WHEN r2 < 0.995 THEN printf('low_r2:%.4f', r2) END, CASE WHEN rmse / nullif(vrange, 0) > 0.02 THEN 'high_residual' END], lambda x: x IS NOT NULL), ',') AS flags, round(rmse / nullif(vrange, 0), 6) AS relative FROM ft"""
+)
 def axis_fit_gates(spark, d):
     q = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"]))
-    return q.select("panel", F.array_join("flags", ",").alias("flags"), r(F.try_divide("rmse", F.nullif("value_range", F.lit(0.0)))).alias("relative"))
+    return q.select(
+        "panel", F.array_join("flags", ",").alias("flags"), r(F.try_divide("rmse", F.nullif("value_range", F.lit(0.0)))).alias("relative")
+    )
 
 
 @query(f"""WITH {b.TICKS}, sd AS (SELECT panel, ord, pixel, CASE WHEN ord // 20 % 2 = 0 THEN value * 1000 ELSE value END AS value, CASE ord // 20 % 5 WHEN 4 THEN 'unknown' ELSE CASE WHEN ord // 20 % 2 = 0 THEN 'right' ELSE 'left' END END AS tag FROM tk),
@@ -259,7 +358,9 @@ SELECT page, panel, best.panel AS donor, NOT usable AS shared, usable AND panel
 def donor_fit_share(spark, d):
     n = F.substring("panel", 4, 9).cast("int")
     q = fit.robust_fit(b.ticks(spark, d), ["panel"]).withColumn("page", F.floor(n / 5).cast("int")).withColumn("ok", n % 5 != 3)
-    return fit.share_donor(q, ["page"], "panel", F.col("ok")).select("page", "panel", "donor", "shared", "inconsistent", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"))
+    return fit.share_donor(q, ["page"], "panel", F.col("ok")).select(
+        "page", "panel", "donor", "shared", "inconsistent", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept")
+    )
 
 
 # --- resampling and candidates ---------------------------------------------------------------------------------
@@ -283,10 +384,19 @@ def last_per_slice(spark, d):
     return _last(spark, d).select("tile", "cand", "slice", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "ord")
 
 
-@query(f"WITH {_SCORED} SELECT tile, cand, round(coverage, 6) AS coverage, round(s_alpha, 6) AS s_alpha, viable, row_number() OVER (PARTITION BY tile ORDER BY round(s_alpha, 9) DESC, cand) AS rank FROM sc")
+@query(
+    f"WITH {_SCORED} SELECT tile, cand, round(coverage, 6) AS coverage, round(s_alpha, 6) AS s_alpha, viable, row_number() OVER (PARTITION BY tile ORDER BY round(s_alpha, 9) DESC, cand) AS rank FROM sc"
+)
 def coverage_scores(spark, d):
     q = _scored(spark, d).withColumn("s_alpha", r(F.col("s_alpha"), 9))
-    return cd.rank(q, ["tile"]).select("tile", "cand", r(F.col("coverage")).alias("coverage"), r(F.col("s_alpha")).alias("s_alpha"), "viable", F.col("rank").cast("long").alias("rank"))
+    return cd.rank(q, ["tile"]).select(
+        "tile",
+        "cand",
+        r(F.col("coverage")).alias("coverage"),
+        r(F.col("s_alpha")).alias("s_alpha"),
+        "viable",
+        F.col("rank").cast("long").alias("rank")
+    )
 
 
 @query(f"""WITH {_SCORED}, rk AS (SELECT tile, cand, round(s_alpha, 9) AS s, viable, row_number() OVER (PARTITION BY tile ORDER BY round(s_alpha, 9) DESC, cand) AS n FROM sc),
@@ -318,7 +428,13 @@ def baseline_interp(spark, d):
     first = p.groupBy("tile").agg(F.min("cand").alias("cand"))  # a tile's baseline curve: all of its points are knots
     knots = p.join(first, ["tile", "cand"], "left_semi").select("tile", "x", "y")
     q = resample.interpolate(p.select("tile", "x", "cand", "ord", "y"), knots, ["tile"])
-    return q.select("tile", "cand", "ord", r(F.col("base")).alias("base"), r(resample.correct(F.col("y"), F.col("base"), F.lit(50.0))).alias("corrected"))
+    return q.select(
+        "tile",
+        "cand",
+        "ord",
+        r(F.col("base")).alias("base"),
+        r(resample.correct(F.col("y"), F.col("base"), F.lit(50.0))).alias("corrected")
+    )
 
 
 @query(f"""WITH {b.POINTS}, pl AS (SELECT tile, cand, x, y, lead(x) OVER o AS x2, lead(y) OVER o AS y2 FROM pt WINDOW o AS (PARTITION BY tile, cand ORDER BY x, ord)),
@@ -369,8 +485,12 @@ def qc_reselect_round(spark, d):
     q = _scored(spark, d).withColumn("s_alpha", r(F.col("s_alpha"), 9))
     verdict = F.when((F.col("cand") * 31 + F.col("tile")) % 4 == 0, "major").when(F.col("cand") % 4 == 1, "minor").otherwise("ok")
     current = cd.rank(q, ["tile"]).where("rank = 1").select("tile", "cand")
-    out = cd.reselect(q.select("tile", "cand", "s_alpha", "viable"), current, q.select("tile", "cand", verdict.alias("verdict")), ["tile"], rounds=2)
-    return out.select("tile", "cand", F.size("rejected").cast("long").alias("n_rejected"), verdict.alias("verdict")).withColumn("action", sr.qc_action(F.col("verdict")))
+    out = cd.reselect(
+        q.select("tile", "cand", "s_alpha", "viable"), current, q.select("tile", "cand", verdict.alias("verdict")), ["tile"], rounds=2
+    )
+    return out.select(
+        "tile", "cand", F.size("rejected").cast("long").alias("n_rejected"), verdict.alias("verdict")
+    ).withColumn("action", sr.qc_action(F.col("verdict")))
 
 
 # --- boxes and months ------------------------------------------------------------------------------------------
@@ -412,16 +532,28 @@ st AS (SELECT page, n, cs[1] AS hit, [cs[1].pos] AS used FROM ch WHERE n = 1 UNI
 mt AS (SELECT t.page, t.pos AS ord, hit.pos AS pos, hit IS NOT NULL AS detected, hit.iou AS iou, (hit.x - t.x) / (t.w / 30.0::DOUBLE) AS le, (hit.x + hit.w - t.x - t.w) / (t.w / 30.0::DOUBLE) AS re FROM tr t JOIN st USING (page, n))"""
 
 
-@query(f"WITH RECURSIVE {_MATCH} SELECT page, ord, pos, detected, round(iou, 6) AS iou, round(le, 6) AS left_err_days, round(re, 6) AS right_err_days FROM mt")
+@query(
+    f"WITH RECURSIVE {_MATCH} SELECT page, ord, pos, detected, round(iou, 6) AS iou, round(le, 6) AS left_err_days, round(re, 6) AS right_err_days FROM mt"
+)
 def box_greedy_match(spark, d):
-    return _match(spark, d).select("page", "ord", "pos", "detected", r(F.col("iou")).alias("iou"), r(F.col("left_err")).alias("left_err_days"), r(F.col("right_err")).alias("right_err_days"))
+    return _match(spark, d).select(
+        "page",
+        "ord",
+        "pos",
+        "detected",
+        r(F.col("iou")).alias("iou"),
+        r(F.col("left_err")).alias("left_err_days"),
+        r(F.col("right_err")).alias("right_err_days")
+    )
 
 
 @query(f"""WITH RECURSIVE {_MATCH}, er AS (SELECT page // 500 AS run, true AS one, detected, iou, abs(le) AS e FROM mt UNION ALL SELECT page // 500, false, detected, iou, abs(re) FROM mt)
 SELECT run, count(*) FILTER (WHERE one) AS n, count(*) FILTER (WHERE one AND detected) AS n_detected, round(avg(iou) FILTER (WHERE one), 6) AS mean_iou, round(median(e), 6) AS pooled_median, round(greatest(median(e) FILTER (WHERE one), median(e) FILTER (WHERE NOT one)), 6) AS worse_median FROM er GROUP BY run""")
 def fullpage_summary(spark, d):
     q = _match(spark, d).withColumn("run", F.floor(F.col("page") / 500))
-    return metrics.summarize(q, ["run"]).select("run", "n", "n_detected", *(r(F.col(c)).alias(c) for c in ("mean_iou", "pooled_median", "worse_median")))
+    return metrics.summarize(q, ["run"]).select(
+        "run", "n", "n_detected", *(r(F.col(c)).alias(c) for c in ("mean_iou", "pooled_median", "worse_median"))
+    )
 
 
 _MONTH_NAMES = ["Januar", "Feb.", "März", "April", "Mai", "Juni", "Juli", "Aug.", "Sept.", "Oktober", "Xxx", "Dezember"]
@@ -432,8 +564,12 @@ o AS (SELECT *, coalesce(hint_month, label_month) AS own FROM p), c AS (SELECT *
 SELECT year, place, (CASE WHEN n > 1 AND k < greatest(1, round_even(0.66 * n, 0)) THEN row_number() OVER (PARTITION BY year ORDER BY place) ELSE own END)::INT AS mon, n > 1 AND k < greatest(1, round_even(0.66 * n, 0)) AS positional FROM c""")
 def month_assign(spark, d):
     names = F.array(*map(F.lit, _MONTH_NAMES))
-    label = F.when((F.col("year") % 3 == 0) & (F.col("mon") % 2 == 0), "??").otherwise(F.concat(F.lit("Pegel\n"), F.element_at(names, F.col("mon"))))
-    q = b.month_panels(spark, d).withColumn("label_month", dates.label_month(label)).withColumn("hint_month", F.when((F.col("mon") == 11) & (F.col("year") % 2 == 0), F.lit(11)))
+    label = F.when((F.col("year") % 3 == 0) & (F.col("mon") % 2 == 0), "??").otherwise(
+        F.concat(F.lit("Pegel\n"), F.element_at(names, F.col("mon")))
+    )
+    q = b.month_panels(spark, d).withColumn("label_month", dates.label_month(label)).withColumn(
+        "hint_month", F.when((F.col("mon") == 11) & (F.col("year") % 2 == 0), F.lit(11))
+    )
     q = q.withColumn("at", F.col("mon")).withColumn("place", F.row_number().over(Window.partitionBy("year").orderBy("mon")))
     return months.assign(q, ["year"]).select("year", F.col("at").alias("place"), F.col("month").alias("mon"), "positional")
 
@@ -441,7 +577,9 @@ def month_assign(spark, d):
 @query(f"""WITH {b.MONTHS}, m AS (SELECT *, median(width / days) OVER (PARTITION BY year) AS med, count(*) OVER (PARTITION BY year) AS k FROM mp)
 SELECT year, mon, round(width / med, 6) AS days_est, k >= 3 AND abs(width / med - days) > 0.5 AS outlier FROM m""")
 def month_width_outliers(spark, d):
-    return months.width_outliers(b.month_panels(spark, d), ["year"]).select("year", "mon", r(F.col("days_est")).alias("days_est"), "outlier")
+    return months.width_outliers(b.month_panels(spark, d), ["year"]).select(
+        "year", "mon", r(F.col("days_est")).alias("days_est"), "outlier"
+    )
 
 
 _PANELS = "pn AS (SELECT year AS page, mon AS pos, (CASE WHEN (year + mon) % 5 = 0 THEN width * 2 WHEN (year + mon) % 7 = 0 THEN width // 5 ELSE width END)::BIGINT AS w FROM mp WHERE (year + mon) % 11 <> 0)"
@@ -455,7 +593,9 @@ SELECT page, pos, i::INT AS part, (x + round_even((i - 1) * w / parts, 0))::BIGI
 def panel_split_slivers(spark, d):
     k = F.col("year") + F.col("mon")
     w = F.when(k % 5 == 0, F.col("width") * 2).when(k % 7 == 0, F.floor(F.col("width") / 5)).otherwise(F.col("width")).cast("long")
-    q = b.month_panels(spark, d).where(k % 11 != 0).select(F.col("year").alias("page"), F.col("mon").alias("pos"), g.box(F.col("mon") * 300, F.lit(0), w, F.lit(100)).alias("box"))
+    q = b.month_panels(spark, d).where(k % 11 != 0).select(
+        F.col("year").alias("page"), F.col("mon").alias("pos"), g.box(F.col("mon") * 300, F.lit(0), w, F.lit(100)).alias("box")
+    )
     q = bx.split_wide(bx.drop_slivers(q, ["page"], F.lit(12)), ["page"], F.lit(12))
     return q.select("page", "pos", "part", F.col("box.x").alias("x"), F.col("box.w").alias("w"), F.col("place").cast("long").alias("place"))
 
@@ -469,7 +609,9 @@ pk AS (SELECT tile, edge, min(abs(col - edge) * 1000 + col) AS k FROM nb WHERE s
 SELECT tile, edge::INT AS edge, coalesce(k % 1000, edge)::INT AS snapped FROM (SELECT DISTINCT tile, edge FROM nb) JOIN pk USING (tile, edge)""")
 def edge_snap(spark, d):
     s = raster.column_strength(b.raster(spark, d), ["tile"]).withColumn("edge", F.explode(F.array(F.lit(16), F.lit(32), F.lit(48))))
-    return months.nearest_peak(s, ["tile", "edge"], F.col("edge"), F.lit(9)).select("tile", "edge", F.col("snapped").cast("int").alias("snapped"))
+    return months.nearest_peak(s, ["tile", "edge"], F.col("edge"), F.lit(9)).select(
+        "tile", "edge", F.col("snapped").cast("int").alias("snapped")
+    )
 
 
 @query(f"""WITH {b.RASTER}, sd AS (SELECT tile, col AS seed, col AS x, 20.4::DOUBLE AS y FROM rs WHERE "row" = 20),
@@ -481,16 +623,24 @@ SELECT tile, seed, round(y, 6) AS y, round(CASE WHEN n >= 3 AND spread >= 1e-3 A
 def ridge_refine(spark, d):
     """A seed in every column, on a line along row 20."""
     q = b.raster(spark, d)
-    seeds = q.where("row = 20").select("tile", F.col("col").alias("seed"), F.col("col").cast("double").alias("x"), (F.col("row") + 0.4).alias("y"))
-    return raster.refine_ridges(q, seeds, ["tile"], 12, 2).select("tile", "seed", r(F.col("y")).alias("y"), r(F.col("new_y")).alias("new_y"))
+    seeds = q.where("row = 20").select(
+        "tile", F.col("col").alias("seed"), F.col("col").cast("double").alias("x"), (F.col("row") + 0.4).alias("y")
+    )
+    return raster.refine_ridges(q, seeds, ["tile"], 12, 2).select(
+        "tile", "seed", r(F.col("y")).alias("y"), r(F.col("new_y")).alias("new_y")
+    )
 
 
 @query(f'WITH {b.RASTER} SELECT tile, col AS x, round(avg("row"), 6) AS y, count(*) AS n FROM rs WHERE gray > 10 GROUP BY 1, 2')
 def mask_to_polyline(spark, d):
-    return raster.mask_to_polyline(b.raster(spark, d), ["tile"], 10.0).select("tile", F.col("x").cast("long").alias("x"), r(F.col("y")).alias("y"), "n")
+    return raster.mask_to_polyline(b.raster(spark, d), ["tile"], 10.0).select(
+        "tile", F.col("x").cast("long").alias("x"), r(F.col("y")).alias("y"), "n"
+    )
 
 
-@query(f"WITH {b.MONTHS} SELECT year, mon, coalesce(sum(width) OVER (PARTITION BY year ORDER BY mon ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x, max(n) OVER y - n AS y, (sum(width) OVER y)::BIGINT AS page_w FROM mp WINDOW y AS (PARTITION BY year)")
+@query(
+    f"WITH {b.MONTHS} SELECT year, mon, coalesce(sum(width) OVER (PARTITION BY year ORDER BY mon ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS x, max(n) OVER y - n AS y, (sum(width) OVER y)::BIGINT AS page_w FROM mp WINDOW y AS (PARTITION BY year)"
+)
 def running_layout(spark, d):
     q = b.month_panels(spark, d).select("year", F.col("mon").alias("month"), F.col("width").alias("w"), F.col("n").alias("h"))
     return months.layout(q, ["year"]).select("year", F.col("month").alias("mon"), "x", "y", "page_w")
@@ -499,11 +649,17 @@ def running_layout(spark, d):
 _EXTENTS = "ex AS (SELECT tile, m AS mon, m * 5 - 6.0 AS x0, m * 5 + 0.5 AS x1 FROM (SELECT DISTINCT tile FROM pt), range(1, 7) AS c(m))"
 
 
-@query(f"WITH {b.POINTS}, {_EXTENTS} SELECT tile, ord, mon::INT AS mon, round(x0 * 10 + (x - x0), 6) AS moved FROM (SELECT p.tile, ord, x, mon, x0, row_number() OVER (PARTITION BY p.tile, ord ORDER BY mon) AS n FROM pt p JOIN ex ON p.tile = ex.tile AND x BETWEEN x0 AND x1) WHERE n = 1")
+@query(
+    f"WITH {b.POINTS}, {_EXTENTS} SELECT tile, ord, mon::INT AS mon, round(x0 * 10 + (x - x0), 6) AS moved FROM (SELECT p.tile, ord, x, mon, x0, row_number() OVER (PARTITION BY p.tile, ord ORDER BY mon) AS n FROM pt p JOIN ex ON p.tile = ex.tile AND x BETWEEN x0 AND x1) WHERE n = 1"
+)
 def range_month_lookup(spark, d):
     q = b.points(spark, d).select("tile", "ord", F.col("x").alias("px"))
-    extents = q.select("tile").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumns({"x0": F.col("month") * 5 - 6.0, "x1": F.col("month") * 5 + 0.5})
-    return months.month_of(q, extents, ["tile"]).select("tile", "ord", F.col("month").alias("mon"), r(F.col("x0") * 10 + (F.col("px") - F.col("x0"))).alias("moved"))
+    extents = q.select("tile").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(6)))).withColumns(
+        {"x0": F.col("month") * 5 - 6.0, "x1": F.col("month") * 5 + 0.5}
+    )
+    return months.month_of(q, extents, ["tile"]).select(
+        "tile", "ord", F.col("month").alias("mon"), r(F.col("x0") * 10 + (F.col("px") - F.col("x0"))).alias("moved")
+    )
 
 
 # --- series and evaluation -------------------------------------------------------------------------------------
@@ -514,10 +670,14 @@ kp AS (SELECT tile, x_key, arg_max(value, panel) AS value, count(*) - 1 AS again
 SELECT tile, min(x_key) AS first_key, max(x_key) AS last_key, count(*) AS n, (max(x_key)::DATE - min(x_key)::DATE + 1 - count(*))::BIGINT AS missing, sum(again)::BIGINT AS "overlaps", round(sum(value), 4) AS total FROM kp GROUP BY 1 HAVING (SELECT count(DISTINCT panel) FROM rw WHERE rw.tile = kp.tile) >= 2""")
 def annual_stitch(spark, d):
     q = _last(spark, d).where(F.floor(F.col("slice") / 10) != (F.col("cand") + 1) % 3)
-    rows = q.groupBy("tile", (F.col("cand") % 3).alias("panel_ord"), F.date_add(F.lit(date(2024, 1, 1)), F.col("slice")).cast("string").alias("x_key")).agg(F.max("y").alias("value"))
+    rows = q.groupBy(
+        "tile", (F.col("cand") % 3).alias("panel_ord"), F.date_add(F.lit(date(2024, 1, 1)), F.col("slice")).cast("string").alias("x_key")
+    ).agg(F.max("y").alias("value"))
     st = sr.stitch(rows, ["tile"])
     total = st.groupBy("tile").agg(r(F.sum("value"), 4).alias("total"))
-    return sr.continuity(st, ["tile"]).drop("gaps").join(total, "tile").select("tile", "first_key", "last_key", "n", F.col("missing").cast("long").alias("missing"), "overlaps", "total")
+    return sr.continuity(st, ["tile"]).drop("gaps").join(total, "tile").select(
+        "tile", "first_key", "last_key", "n", F.col("missing").cast("long").alias("missing"), "overlaps", "total"
+    )
 
 
 def _pairs(spark, d):
@@ -531,16 +691,24 @@ pk AS (SELECT mon, abs(min(i) FILTER (WHERE t = mt) - min(i) FILTER (WHERE p = m
 fm AS (SELECT *, coalesce(1 - abs(mt - mp) / nullif(mt, 0), 0) AS sv, greatest(0, 1 - off / n) AS stm FROM me JOIN pk USING (mon))"""
 
 
-@query(f"WITH {_METRICS} SELECT mon, n, round(rmse, 2) AS rmse, round(mae, 2) AS mae, round(maxae, 2) AS maxae, round(pearson_r, 6) AS pearson_r FROM fm")
+@query(
+    f"WITH {_METRICS} SELECT mon, n, round(rmse, 2) AS rmse, round(mae, 2) AS mae, round(maxae, 2) AS maxae, round(pearson_r, 6) AS pearson_r FROM fm"
+)
 def aligned_metrics(spark, d):
     q = metrics.aligned_metrics(_pairs(spark, d), ["mon"], ["day"])
     return q.select("mon", "n", *(r(F.col(c), 2).alias(c) for c in ("rmse", "mae", "maxae")), r(F.col("pearson_r")).alias("pearson_r"))
 
 
-@query(f"WITH {_METRICS} SELECT mon, off AS peak_offset, round(sv, 6) AS s_peak_val, round(stm, 6) AS s_peak_time, round(0.4 * pearson_r + 0.4 * sv + 0.2 * stm, 6) AS peak_score FROM fm")
+@query(
+    f"WITH {_METRICS} SELECT mon, off AS peak_offset, round(sv, 6) AS s_peak_val, round(stm, 6) AS s_peak_time, round(0.4 * pearson_r + 0.4 * sv + 0.2 * stm, 6) AS peak_score FROM fm"
+)
 def peak_aware_score(spark, d):
     q = metrics.aligned_metrics(_pairs(spark, d), ["mon"], ["day"])
-    return q.select("mon", F.col("peak_offset").cast("long").alias("peak_offset"), *(r(F.col(c)).alias(c) for c in ("s_peak_val", "s_peak_time", "peak_score")))
+    return q.select(
+        "mon",
+        F.col("peak_offset").cast("long").alias("peak_offset"),
+        *(r(F.col(c)).alias(c) for c in ("s_peak_val", "s_peak_time", "peak_score"))
+    )
 
 
 @query(f"WITH {b.DAILY} SELECT mon, round(median(t / p), 6) AS ratio FROM pr WHERE abs(p) > 1e-6 GROUP BY mon")
@@ -548,10 +716,14 @@ def scale_check(spark, d):
     return metrics.scale_ratio(_pairs(spark, d), ["mon"]).select("mon", r(F.col("ratio")).alias("ratio"))
 
 
-@query("""SELECT o_custkey, mon, o_orderkey FROM (SELECT o_custkey, month(o_orderdate)::INT AS mon, o_orderkey, row_number() OVER (PARTITION BY o_custkey, month(o_orderdate) ORDER BY o_orderstatus = 'F' DESC, o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1""")
+@query(
+    """SELECT o_custkey, mon, o_orderkey FROM (SELECT o_custkey, month(o_orderdate)::INT AS mon, o_orderkey, row_number() OVER (PARTITION BY o_custkey, month(o_orderdate) ORDER BY o_orderstatus = 'F' DESC, o_totalprice DESC, o_orderkey) AS n FROM orders) WHERE n = 1"""
+)
 def best_row_per_group(spark, d):
     q = b.table(spark, d, "orders").withColumn("mon", F.month("o_orderdate"))
-    return metrics.best_rows(q, ["o_custkey", "mon"], F.col("o_orderstatus") == "F", [F.desc("o_totalprice"), F.col("o_orderkey")]).select("o_custkey", "mon", "o_orderkey")
+    return metrics.best_rows(
+        q, ["o_custkey", "mon"], F.col("o_orderstatus") == "F", [F.desc("o_totalprice"), F.col("o_orderkey")]
+    ).select("o_custkey", "mon", "o_orderkey")
 
 
 @query(f"""WITH {b.TICKS}, {_robust_sql('tk', 'panel')}, ol AS (SELECT panel, regr_slope(value, pixel) AS s, regr_intercept(value, pixel) AS c FROM tk GROUP BY panel)
@@ -562,16 +734,30 @@ def induced_calibration_error(spark, d):
     two = fit.ols(t, ["panel"]).select("panel", F.col("slope").alias("s2"), F.col("intercept").alias("c2"))
     q = t.join(one, "panel").join(two, "panel")
     e = fit.value_at(F.col("s1"), F.col("c1"), F.col("pixel")) - fit.value_at(F.col("s2"), F.col("c2"), F.col("pixel"))
-    return q.groupBy("panel").agg(r(F.sqrt(F.avg(e * e)), 4).alias("rmse"), r(F.avg(F.abs(e)), 4).alias("mae"), r(F.max(F.abs(F.col("s1") - F.col("s2")) / F.abs(F.col("s2"))) * 100).alias("slope_err_pct"))
+    return q.groupBy("panel").agg(
+        r(F.sqrt(F.avg(e * e)), 4).alias("rmse"),
+        r(F.avg(F.abs(e)), 4).alias("mae"),
+        r(F.max(F.abs(F.col("s1") - F.col("s2")) / F.abs(F.col("s2"))) * 100).alias("slope_err_pct")
+    )
 
 
-@query("""SELECT week, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS click, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS view, round(avg(value), 6) AS mean_value, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) AS kinds FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 604800000000 AS week FROM events) GROUP BY week""")
+@query(
+    """SELECT week, sum(CASE WHEN event_type = 'click' THEN 1 ELSE 0 END)::BIGINT AS click, sum(CASE WHEN event_type = 'view' THEN 1 ELSE 0 END)::BIGINT AS view, round(avg(value), 6) AS mean_value, string_agg(DISTINCT event_type, ' ' ORDER BY event_type) AS kinds FROM (SELECT *, (epoch_us(ts) - 1704067200000000) // 604800000000 AS week FROM events) GROUP BY week"""
+)
 def bench_pivot(spark, d):
     week = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - F.lit(1704067200000000)) / F.lit(604800000000.0))
     e = b.table(spark, d, "events").withColumn("week", week)
     p = e.groupBy("week").pivot("event_type", ["click", "view"]).agg(F.count(F.lit(1)))
-    rest = e.groupBy("week").agg(r(F.avg("value")).alias("mean_value"), F.array_join(F.array_sort(F.collect_set("event_type")), " ").alias("kinds"))
-    return p.join(rest, "week").select("week", F.coalesce("click", F.lit(0)).cast("long").alias("click"), F.coalesce("view", F.lit(0)).cast("long").alias("view"), "mean_value", "kinds")
+    rest = e.groupBy("week").agg(
+        r(F.avg("value")).alias("mean_value"), F.array_join(F.array_sort(F.collect_set("event_type")), " ").alias("kinds")
+    )
+    return p.join(rest, "week").select(
+        "week",
+        F.coalesce("click", F.lit(0)).cast("long").alias("click"),
+        F.coalesce("view", F.lit(0)).cast("long").alias("view"),
+        "mean_value",
+        "kinds"
+    )
 
 
 @query("""SELECT c_custkey, CASE WHEN n_nationkey % 3 = 0 THEN n_name ELSE c_mktsegment END AS station, n_nationkey % 3 = 0 AND c_mktsegment <> '' AND n_name <> c_mktsegment AS mismatch, CASE WHEN n_nationkey % 3 = 0 THEN n_regionkey ELSE c_nationkey END AS year,
@@ -589,9 +775,19 @@ def hint_override_flags(spark, d):
 SELECT 'select' AS stage, cand::VARCHAR AS ref, 'coverage below viability gate' AS reason, 'warning' AS severity FROM sc WHERE NOT viable
 UNION ALL SELECT 'calibrate', panel, printf('low_r2:%.4f', r2), 'warning' FROM ft WHERE r2 < 0.995 UNION ALL SELECT 'calibrate', panel, 'high_residual', 'warning' FROM ft WHERE rmse / nullif(vrange, 0) > 0.02""")
 def review_flags(spark, d):
-    one = _scored(spark, d).where("NOT viable").select(F.lit("select").alias("stage"), F.col("cand").cast("string").alias("ref"), F.lit("coverage below viability gate").alias("reason"), F.lit("warning").alias("severity"))
+    one = _scored(spark, d).where("NOT viable").select(
+        F.lit("select").alias("stage"),
+        F.col("cand").cast("string").alias("ref"),
+        F.lit("coverage below viability gate").alias("reason"),
+        F.lit("warning").alias("severity")
+    )
     two = fit.gate_flags(fit.robust_fit(b.ticks(spark, d), ["panel"]))
-    two = two.select(F.lit("calibrate").alias("stage"), F.col("panel").alias("ref"), F.explode("flags").alias("reason"), F.lit("warning").alias("severity"))
+    two = two.select(
+        F.lit("calibrate").alias("stage"),
+        F.col("panel").alias("ref"),
+        F.explode("flags").alias("reason"),
+        F.lit("warning").alias("severity")
+    )
     return sr.flag_rows(one, two)
 
 
@@ -600,7 +796,9 @@ def flagship(spark: SparkSession, d: str, gates: Gates = GENERIC) -> DataFrame:
     scored = _scored(spark, d).withColumn("s_alpha", r(F.col("s_alpha"), 9))
     chosen = cd.select_single(scored, None, ["tile"], gates).select("tile", "cand")
     series = _last(spark, d).join(chosen, ["tile", "cand"], "left_semi")
-    return resample.densify(series, ["tile", "cand"], b.SLICES, F.lit(date(2024, 1, 1))).select("tile", "cand", "x_key", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "flagged")
+    return resample.densify(series, ["tile", "cand"], b.SLICES, F.lit(date(2024, 1, 1))).select(
+        "tile", "cand", "x_key", r(F.col("x")).alias("x"), r(F.col("y")).alias("y"), "flagged"
+    )
 
 
 QUERIES["selected_series"] = flagship

@@ -47,7 +47,9 @@ m AS (SELECT *, month_known AND NOT (kind = 'date' AND n IS NOT NULL) AS hint FR
 SELECT k AS o_orderkey, CASE WHEN hint THEN 'date' ELSE kind END AS kind, CASE WHEN hint THEN '1862-02-01' ELSE start END AS start, CASE WHEN hint THEN '1862-02-28' ELSE "end" END AS "end", CASE WHEN hint THEN 28 ELSE n END AS n_samples, CASE WHEN hint THEN concat_ws(',', nullif(f, ''), 'x_from_month_hint') ELSE f END AS flags FROM m""")
 def x_axis_build(spark, d):
     k = F.col("o_orderkey")
-    q = b.table(spark, d, "orders").select(k, b.pick(STARTS, k).alias("s"), b.pick(ENDS, F.floor(k / 8)).alias("e"), b.pick(["date", "numeric", "unknown"], k).alias("kind"))
+    q = b.table(spark, d, "orders").select(
+        k, b.pick(STARTS, k).alias("s"), b.pick(ENDS, F.floor(k / 8)).alias("e"), b.pick(["date", "numeric", "unknown"], k).alias("kind")
+    )
     x = axes.x_axis(F.col("kind"), F.col("s"), F.col("e"))
     month = lambda day: F.when(k % 5 == 0, day)
     q = q.withColumn("x", x).withColumn("x", axes.with_month(F.col("x"), month("1862-02-01"), month("1862-02-28")))
@@ -58,8 +60,16 @@ def x_axis_build(spark, d):
 SELECT k AS p_partkey, i::INT AS slice, CASE kind WHEN 'date' THEN (DATE '1850-02-27' + i::INT)::VARCHAR WHEN 'numeric' THEN CASE WHEN v = round_even(v, 0) THEN v::BIGINT::VARCHAR ELSE v::VARCHAR END ELSE (i + 1)::VARCHAR END AS x_key FROM (SELECT *, round(a + (z - a) * (i / (n - 1)::DOUBLE), 6) AS v FROM p, unnest(range(n)) AS r(i))""")
 def x_keys(spark, d):
     k = F.col("p_partkey")
-    q = b.table(spark, d, "part").select(k, b.pick(["date", "numeric", "unknown"], k).alias("kind"), (k % 7 - 3).cast("string").alias("a"), (F.col("p_size") % 11 + 4).cast("string").alias("z"), (k % 5 + 2).cast("int").alias("n"))
-    x = F.when(F.col("kind") == "date", axes.x_axis(F.lit("date"), F.lit("1850-02-27"), F.lit("1851-01-01"))).otherwise(axes.x_axis(F.col("kind"), F.col("a"), F.col("z")))
+    q = b.table(spark, d, "part").select(
+        k,
+        b.pick(["date", "numeric", "unknown"], k).alias("kind"),
+        (k % 7 - 3).cast("string").alias("a"),
+        (F.col("p_size") % 11 + 4).cast("string").alias("z"),
+        (k % 5 + 2).cast("int").alias("n")
+    )
+    x = F.when(
+        F.col("kind") == "date", axes.x_axis(F.lit("date"), F.lit("1850-02-27"), F.lit("1851-01-01"))
+    ).otherwise(axes.x_axis(F.col("kind"), F.col("a"), F.col("z")))
     q = q.withColumn("x", x).withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     return q.select("p_partkey", "slice", axes.x_key(F.col("x"), F.col("slice"), F.col("n")).alias("x_key"))
 
@@ -91,7 +101,20 @@ FROM lf l JOIN dn ON dn.page = l.page JOIN lf o ON o.panel = dn.donor""")
 def axis_fit_record(spark, d):
     panels, ticks = _few(spark, d)
     q = axes.share(axes.calibrate(panels, ticks))
-    return q.select("page", "panel", "donor", "shared", "inconsistent", "scale", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), r(F.col("v_low"), 3).alias("v_low"), r(F.col("v_high"), 3).alias("v_high"), F.array_join("flags", ",").alias("flags"), "review_required")
+    return q.select(
+        "page",
+        "panel",
+        "donor",
+        "shared",
+        "inconsistent",
+        "scale",
+        r(F.col("slope")).alias("slope"),
+        r(F.col("intercept"), 4).alias("intercept"),
+        r(F.col("v_low"), 3).alias("v_low"),
+        r(F.col("v_high"), 3).alias("v_high"),
+        F.array_join("flags", ",").alias("flags"),
+        "review_required"
+    )
 
 
 @query(f"""
@@ -120,15 +143,32 @@ def user_anchor_axis(spark, d):
     t = b.ticks(spark, d)
     i = F.substring("panel", 4, 9).cast("int")
     crop = [F.when(i % 5 != 4, v.cast("double")).alias(c) for c, v in (("top", F.lit(0)), ("bottom", 400 + i))]
-    panels = t.select("panel").distinct().select(F.lit(0).alias("page"), "panel", F.when(i % 3 == 1, "log").otherwise("linear").alias("y_scale"), *crop)
-    pair = F.array(*(F.struct(F.lit(k).alias("ord"), (p + i).cast("double").alias("pixel"), F.lit(v).alias("value")) for k, p, v in ((0, 10, 70.0), (1, 210, 1470.0))))
+    panels = t.select("panel").distinct().select(
+        F.lit(0).alias("page"), "panel", F.when(i % 3 == 1, "log").otherwise("linear").alias("y_scale"), *crop
+    )
+    pair = F.array(
+        *(
+            F.struct(F.lit(k).alias("ord"), (p + i).cast("double").alias("pixel"), F.lit(v).alias("value")) for k,
+            p,
+            v in ((0, 10, 70.0), (1, 210, 1470.0))
+        )
+    )
     own = panels.where(i % 2 == 0).select("page", "panel", F.explode(pair).alias("a")).select("page", "panel", "a.*")
-    whole = spark.createDataFrame([(0, None, 0, 0.0, 10.0), (0, None, 1, 210.0, 1510.0)], "page int, panel string, ord int, pixel double, value double")
+    whole = spark.createDataFrame(
+        [(0, None, 0, 0.0, 10.0), (0, None, 1, 210.0, 1510.0)], "page int, panel string, ord int, pixel double, value double"
+    )
     anchors = axes.anchors_of(panels, own.unionByName(whole), ["page"])
     least = t.groupBy("panel").agg(F.slice(F.array_sort(F.collect_list("ord")), 1, 2).alias("first"))
     t = t.join(least, "panel").where(F.array_contains("first", F.col("ord"))).drop("first")
     q = axes.calibrate(panels, t, anchors=anchors)
-    return q.select("panel", "scale", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), "method", F.array_join("flags", ",").alias("flags"))
+    return q.select(
+        "panel",
+        "scale",
+        r(F.col("slope")).alias("slope"),
+        r(F.col("intercept"), 4).alias("intercept"),
+        "method",
+        F.array_join("flags", ",").alias("flags")
+    )
 
 
 _MAGNITUDES = f"""{b.TICKS}, tv AS (SELECT panel, ord, pixel, (10 + ord % 17) * (CASE WHEN substr(panel, 4)::INT % 3 <> 0 AND ord % 2 = 0 THEN 1000.0 ELSE 1.0 END)::DOUBLE AS value FROM tk),
@@ -140,9 +180,17 @@ mc AS (SELECT panel, max(gap) AS gap, max(i) FILTER (WHERE gap >= 1.5) AS c, any
 SELECT panel, side, round(slope, 6) AS slope, round(intercept, 4) AS intercept, n_ticks FROM w WHERE n = 1""")
 def magnitude_split(spark, d):
     i, high = F.substring("panel", 4, 9).cast("int"), F.col("ord") % 2 == 0
-    t = b.ticks(spark, d).withColumn("value", (10 + F.col("ord") % 17) * F.when((i % 3 != 0) & high, 1000.0).otherwise(1.0)).withColumn("side", F.lit("unknown"))
+    t = b.ticks(spark, d).withColumn(
+        "value", (10 + F.col("ord") % 17) * F.when((i % 3 != 0) & high, 1000.0).otherwise(1.0)
+    ).withColumn("side", F.lit("unknown"))
     q = fit.pick_side(t, ["panel"])
-    return q.select("panel", "side", r(F.col("slope")).alias("slope"), r(F.col("intercept"), 4).alias("intercept"), F.col("n_ticks").cast("long").alias("n_ticks"))
+    return q.select(
+        "panel",
+        "side",
+        r(F.col("slope")).alias("slope"),
+        r(F.col("intercept"), 4).alias("intercept"),
+        F.col("n_ticks").cast("long").alias("n_ticks")
+    )
 
 
 _SHEET = """sh AS (SELECT year AS page, mon, (20 + n % 7)::DOUBLE AS y0, (320 + n % 11)::DOUBLE AS y1, (300 + max(n) OVER (PARTITION BY year) % 13)::DOUBLE AS c_low, 40.0::DOUBLE AS c_high, (340 + n % 5)::DOUBLE AS tile_h FROM mp)"""
@@ -152,14 +200,30 @@ def _sheet(spark, d):
     q = b.month_panels(spark, d)
     n, top = F.col("n"), F.max("n").over(Window.partitionBy("year"))
     as_double = lambda c: c.cast("double")
-    return q.select(F.col("year").alias("page"), F.col("mon").alias("month"), as_double(20 + n % 7).alias("y0"), as_double(320 + n % 11).alias("y1"), as_double(300 + top % 13).alias("c_low"), F.lit(40.0).alias("c_high"), as_double(340 + n % 5).alias("tile_h"))
+    return q.select(
+        F.col("year").alias("page"),
+        F.col("mon").alias("month"),
+        as_double(20 + n % 7).alias("y0"),
+        as_double(320 + n % 11).alias("y1"),
+        as_double(300 + top % 13).alias("c_low"),
+        F.lit(40.0).alias("c_high"),
+        as_double(340 + n % 5).alias("tile_h")
+    )
 
 
 @query(f"""WITH {b.MONTHS}, {_SHEET}, t AS (SELECT *, c_low - (y0 - (tile_h - (y1 - y0)) / 2) AS tl, c_high - (y0 - (tile_h - (y1 - y0)) / 2) AS th FROM sh)
 SELECT page, mon, round(tl, 6) AS tile_low, round(th, 6) AS tile_high, round(6.0 / (th - tl), 9) AS slope, round(0.5 - 6.0 / (th - tl) * tl, 6) AS intercept, 'human_anchors' AS method FROM t""")
 def seeded_calibration(spark, d):
     q = axes.seeded(axes.tile_rows(_sheet(spark, d), ["page"]), F.lit(0.5), F.lit(6.5))
-    return q.select("page", F.col("month").alias("mon"), r(F.col("tile_low")).alias("tile_low"), r(F.col("tile_high")).alias("tile_high"), r(F.col("slope"), 9).alias("slope"), r(F.col("intercept")).alias("intercept"), "method")
+    return q.select(
+        "page",
+        F.col("month").alias("mon"),
+        r(F.col("tile_low")).alias("tile_low"),
+        r(F.col("tile_high")).alias("tile_high"),
+        r(F.col("slope"), 9).alias("slope"),
+        r(F.col("intercept")).alias("intercept"),
+        "method"
+    )
 
 
 # --- selection -------------------------------------------------------------------------------------------------
@@ -185,13 +249,24 @@ fc AS (SELECT fi.tile, want, i, rk.cand, len(acc) < want AS too_few FROM fi, unn
 SELECT tile, want::INT AS n_series, 's' || i AS series, cand, 'series ' || i AS label, too_few FROM fc""")
 def multi_series_select(spark, d):
     q = _ranked_curves(spark, d)
-    n, labels = cd.census((2 + F.col("tile") % 3).cast("int"), F.lit(None).cast("array<string>"), F.lit(None).cast("int"), F.lit(None).cast("array<string>"))
-    artifacts = F.transform(F.filter(F.collect_list("cand").over(Window.partitionBy("tile")), lambda c: c % 4 == 0), lambda c: F.struct(c.alias("key"), F.lit("Artifact").alias("value")))
-    q = q.withColumns({"n_series": n, "labels": labels, "height": 7000.0 + 800 * (F.col("tile") % 4), "assigned": F.map_from_entries(artifacts)})
-    return cd.select_multi(q, ["tile"]).select("tile", "n_series", F.explode("chosen").alias("c"), "too_few").select("tile", "n_series", "c.series", "c.cand", "c.label", "too_few")
-
-
-@query(f"""SELECT c_custkey, greatest(1, coalesce(nullif(c_custkey % 4, 0), c_nationkey % 3))::INT AS n_series, array_to_string(list_slice(CASE WHEN c_custkey % 2 = 0 THEN ['Pegel ' || (c_custkey % 7), 'Wind'] WHEN c_custkey % 3 = 0 THEN ['a', 'b', 'c'] ELSE list_transform(range(1, 1 + greatest(1, coalesce(nullif(c_custkey % 4, 0), c_nationkey % 3))), lambda i: 'series ' || i) END, 1, greatest(1, coalesce(nullif(c_custkey % 4, 0), c_nationkey % 3))), '|') AS labels FROM customer""")
+    n, labels = cd.census(
+        (2 + F.col("tile") % 3).cast("int"), F.lit(None).cast("array<string>"), F.lit(None).cast("int"), F.lit(None).cast("array<string>")
+    )
+    artifacts = F.transform(
+        F.filter(F.collect_list("cand").over(Window.partitionBy("tile")), lambda c: c % 4 == 0),
+        lambda c: F.struct(c.alias("key"), F.lit("Artifact").alias("value"))
+    )
+    q = q.withColumns(
+        {"n_series": n, "labels": labels, "height": 7000.0 + 800 * (F.col("tile") % 4), "assigned": F.map_from_entries(artifacts)}
+    )
+    return cd.select_multi(q, ["tile"]).select("tile", "n_series", F.explode("chosen").alias("c"), "too_few").select(
+        "tile", "n_series", "c.series", "c.cand", "c.label", "too_few"
+    )
+
+
+@query(
+    f"""SELECT c_custkey, greatest(1, coalesce(nullif(c_custkey % 4, 0), c_nationkey % 3))::INT AS n_series, array_to_string(list_slice(CASE WHEN c_custkey % 2 = 0 THEN ['Pegel ' || (c_custkey % 7), 'Wind'] WHEN c_custkey % 3 = 0 THEN ['a', 'b', 'c'] ELSE list_transform(range(1, 1 + greatest(1, coalesce(nullif(c_custkey % 4, 0), c_nationkey % 3))), lambda i: 'series ' || i) END, 1, greatest(1, coalesce(nullif(c_custkey % 4, 0), c_nationkey % 3))), '|') AS labels FROM customer"""
+)
 def panel_census(spark, d):
     k = F.col("c_custkey")
     own = F.when(k % 2 == 0, F.array(F.lit(""), F.concat(F.lit("Pegel "), (k % 7).cast("string")), F.lit("Wind"), F.lit(None)))
@@ -202,7 +277,9 @@ def panel_census(spark, d):
 # --- gates -----------------------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {b.POINTS}, v AS (SELECT tile, cand, ord, round(confidence * count(*) FILTER (WHERE ord % 3 <> 0) OVER w / count(*) OVER w, 6) AS trace, count(*) FILTER (WHERE ord % 3 <> 0) OVER w AS seen FROM pt WINDOW w AS (PARTITION BY tile, cand)) SELECT tile, cand, ord, trace FROM v WHERE ord % 3 <> 0 AND seen >= 45""")
+@query(
+    f"""WITH {b.POINTS}, v AS (SELECT tile, cand, ord, round(confidence * count(*) FILTER (WHERE ord % 3 <> 0) OVER w / count(*) OVER w, 6) AS trace, count(*) FILTER (WHERE ord % 3 <> 0) OVER w AS seen FROM pt WINDOW w AS (PARTITION BY tile, cand)) SELECT tile, cand, ord, trace FROM v WHERE ord % 3 <> 0 AND seen >= 45"""
+)
 def trace_confidence(spark, d):
     q = b.points(spark, d).withColumn("visible", F.col("ord") % 3 != 0)
     return checks.visible_points(q, ["tile", "cand"], 45).select("tile", "cand", "ord", r(F.col("trace")).alias("trace"))
@@ -220,7 +297,15 @@ UNION ALL SELECT 'triage', page::VARCHAR, 'multi-series chart: 2 curves', 'info'
 UNION ALL SELECT 'triage', page::VARCHAR, n || ' panel(s) below confidence gate', 'warning' FROM lw WHERE n > 0""")
 def triage_gates(spark, d):
     k = F.col("o_orderkey")
-    pages = b.table(spark, d, "orders").select(k.alias("page"), b.pick(_PAGE_KINDS, k).alias("kind"), (k % 7 != 0).alias("axis_labels"), (k % 3 == 0).alias("curve_labels"), (k % 14).cast("int").alias("n_panels"), (1 + k % 2).cast("int").alias("n_series"), (k % 4).cast("int").alias("n_labels"))
+    pages = b.table(spark, d, "orders").select(
+        k.alias("page"),
+        b.pick(_PAGE_KINDS, k).alias("kind"),
+        (k % 7 != 0).alias("axis_labels"),
+        (k % 3 == 0).alias("curve_labels"),
+        (k % 14).cast("int").alias("n_panels"),
+        (1 + k % 2).cast("int").alias("n_series"),
+        (k % 4).cast("int").alias("n_labels")
+    )
     panels = b.boxes(spark, d).select("page", F.col("pos").alias("panel"), F.col("conf").alias("confidence"))
     return sr.flag_rows(checks.page_flags(pages, F.lit(12)), checks.panel_flags(panels, replace(Gates(), panel_confidence=0.03)))
 
@@ -232,7 +317,14 @@ UNION ALL SELECT 'series', tile::VARCHAR, 'no selected polyline', 'blocking' FRO
 UNION ALL SELECT 'baseline', panel::VARCHAR, 'large_refinement:' || n, 'warning' FROM bl WHERE n > 0""")
 def stage_gates(spark, d):
     k = F.col("c_custkey")
-    t = b.table(spark, d, "customer").select(k.alias("tile"), F.when(k % 5 == 0, "timeout").when(k % 5 == 1, "").alias("error"), (k % 4).cast("int").alias("n_candidates"), k.alias("panel"), F.when(k % 3 != 0, k).alias("cand"), F.when(k % 4 != 1, 0.5).alias("slope"))
+    t = b.table(spark, d, "customer").select(
+        k.alias("tile"),
+        F.when(k % 5 == 0, "timeout").when(k % 5 == 1, "").alias("error"),
+        (k % 4).cast("int").alias("n_candidates"),
+        k.alias("panel"),
+        F.when(k % 3 != 0, k).alias("cand"),
+        F.when(k % 4 != 1, 0.5).alias("slope")
+    )
     moved = b.points(spark, d).select(F.col("cand").alias("panel"), F.lit(0.0).alias("y"), (F.col("y") / 10).alias("new_y"))
     return sr.flag_rows(checks.extraction_flags(t), checks.ready(t)[1], checks.refinement_flags(moved))
 
@@ -245,10 +337,14 @@ def rotation_loop(spark, d):
     order = F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice")
     turns = F.transform(F.array_sort(F.collect_list(order)), lambda x: g.rotation(x["l_linenumber"] % 3 * 90))
     q = li.groupBy(F.col("l_orderkey").alias("page")).agg(turns.alias("turns"))
-    return q.select("page", checks.total_rotation(F.col("turns")).alias("t")).select("page", F.col("t.degrees").cast("int").alias("degrees"), "t.converged")
+    return q.select("page", checks.total_rotation(F.col("turns")).alias("t")).select(
+        "page", F.col("t.degrees").cast("int").alias("degrees"), "t.converged"
+    )
 
 
-@query(f"""WITH {b.BOXES}, e AS (SELECT page, pos, count(*) OVER (PARTITION BY page) AS n, row_number() OVER (PARTITION BY page ORDER BY x, pos) AS a, row_number() OVER (PARTITION BY page ORDER BY x DESC, pos DESC) AS z FROM bx) SELECT page, pos, CASE WHEN n > 1 THEN CASE WHEN a = 1 THEN 'left' WHEN z = 1 THEN 'right' END END AS edge FROM e""")
+@query(
+    f"""WITH {b.BOXES}, e AS (SELECT page, pos, count(*) OVER (PARTITION BY page) AS n, row_number() OVER (PARTITION BY page ORDER BY x, pos) AS a, row_number() OVER (PARTITION BY page ORDER BY x DESC, pos DESC) AS z FROM bx) SELECT page, pos, CASE WHEN n > 1 THEN CASE WHEN a = 1 THEN 'left' WHEN z = 1 THEN 'right' END END AS edge FROM e"""
+)
 def edge_tags(spark, d):
     q = b.boxes(spark, d).select("page", "pos", F.col("box.x").alias("x"), F.col("pos").alias("panel"))
     return checks.edge_tags(q, ["page"]).select("page", "pos", "edge")
@@ -258,18 +354,29 @@ def edge_tags(spark, d):
 SELECT f.o_custkey, attempt, a.n AS n_ticks FROM f LEFT JOIN a ON a.o_orderkey = attempt""")
 def first_reading(spark, d):
     k = F.col("o_orderkey")
-    q = b.table(spark, d, "orders").select("o_custkey", k.alias("attempt"), (k % 4 == 0).alias("failed"), F.slice(F.array(F.lit(1.0), F.lit(2.0)), F.lit(1), (k % 3).cast("int")).alias("ticks"))
+    q = b.table(spark, d, "orders").select(
+        "o_custkey",
+        k.alias("attempt"),
+        (k % 4 == 0).alias("failed"),
+        F.slice(F.array(F.lit(1.0), F.lit(2.0)), F.lit(1), (k % 3).cast("int")).alias("ticks")
+    )
     return checks.first_attempt(q, ["o_custkey"]).select("o_custkey", "attempt", F.size("ticks").alias("n_ticks"))
 
 
-@query("SELECT user_id, key, sum(n)::BIGINT AS total FROM (SELECT user_id, event_type AS key, (event_id % 50) AS n FROM events UNION ALL SELECT user_id, 'total', event_id % 50 + 1 FROM events) GROUP BY 1, 2")
+@query(
+    "SELECT user_id, key, sum(n)::BIGINT AS total FROM (SELECT user_id, event_type AS key, (event_id % 50) AS n FROM events UNION ALL SELECT user_id, 'total', event_id % 50 + 1 FROM events) GROUP BY 1, 2"
+)
 def usage_merge(spark, d):
     n = F.col("event_id") % 50
     e = b.table(spark, d, "events").select("user_id", F.create_map(F.col("event_type"), n, F.lit("total"), n + 1).alias("usage"))
     return checks.usage(e, ["user_id"])
 
 
-@query("SELECT name FROM (SELECT DISTINCT o_clerk AS name FROM orders WHERE year(o_orderdate) >= 1995 EXCEPT SELECT o_clerk FROM orders WHERE year(o_orderdate) < 1993) ORDER BY name LIMIT 40".replace("o_clerk", "o_custkey"))
+@query(
+    "SELECT name FROM (SELECT DISTINCT o_clerk AS name FROM orders WHERE year(o_orderdate) >= 1995 EXCEPT SELECT o_clerk FROM orders WHERE year(o_orderdate) < 1993) ORDER BY name LIMIT 40".replace(
+        "o_clerk", "o_custkey"
+    )
+)
 def new_run_listing(spark, d):
     o = b.table(spark, d, "orders").select(F.col("o_custkey").alias("name"), F.year("o_orderdate").alias("y"))
     return checks.listing(checks.new_runs(o.where("y >= 1995"), o.where("y < 1993"), ["name"]), "name")
@@ -281,21 +388,48 @@ def new_run_listing(spark, d):
 @query(f"""WITH {b.BOXES}, p AS (SELECT *, greatest(4, trunc(0.08 * w)::BIGINT) AS mx, greatest(4, trunc(0.08 * h)::BIGINT) AS my FROM bx), a AS (SELECT *, greatest(0, x - mx) AS ax, greatest(0, y - my) AS ay, least(260, x + w + mx) AS ar, least(420, y + h + my) AS ab FROM p)
 SELECT page, pos, ax::DOUBLE AS crop_x, ay::DOUBLE AS crop_y, round_even((ar - ax) * 1.5, 0)::INT AS width, (ab - ay)::INT AS height, round(ax + 250 / 1000.0 * (ar - ax), 6) AS seed_x, greatest(0, (x - ax) * 1.5) AS plot_lo, least(round_even((ar - ax) * 1.5, 0), (x + w - ax) * 1.5) AS plot_hi FROM a""")
 def tile_transform(spark, d):
-    q = b.boxes(spark, d).withColumn("area", g.tile_box(F.col("box"), F.lit(260).cast("long"), F.lit(420).cast("long"), 0.08)).withColumn("t", g.tile_transform(F.col("area"), 1.5))
+    q = b.boxes(spark, d).withColumn(
+        "area", g.tile_box(F.col("box"), F.lit(260).cast("long"), F.lit(420).cast("long"), 0.08)
+    ).withColumn("t", g.tile_transform(F.col("area"), 1.5))
     lo, hi = g.plot_extent(F.col("box"), F.col("t.crop_x"), F.col("t.x_scale"), F.col("t.width"))
-    return q.select("page", "pos", "t.crop_x", "t.crop_y", "t.width", "t.height", r(g.crop_to_page(F.lit(250.0), F.col("area.x"), F.col("area.w"))).alias("seed_x"), lo.alias("plot_lo"), hi.alias("plot_hi"))
+    return q.select(
+        "page",
+        "pos",
+        "t.crop_x",
+        "t.crop_y",
+        "t.width",
+        "t.height",
+        r(g.crop_to_page(F.lit(250.0), F.col("area.x"), F.col("area.w"))).alias("seed_x"),
+        lo.alias("plot_lo"),
+        hi.alias("plot_hi")
+    )
 
 
 _TILES = "ex AS (SELECT tile, m AS mon, m * 5 - 6.0 AS x0, m * 5 + 0.5 AS x1, 3.0 + m AS y0, 83.0 + m * 2 AS y1, m * 40.0 AS tile_x, 7.0 AS tile_y, 9.0 AS tile_w, 100.0 AS tile_h FROM (SELECT DISTINCT tile FROM pt), range(1, 7) AS c(m))"
 
 
-@query(f"""WITH {b.POINTS}, {_TILES} SELECT tile, ord, mon::INT AS mon, round(tile_x + (tile_w - (x1 - x0)) / 2 + x - x0, 6) AS new_x, round(tile_y + (tile_h - (y1 - y0)) / 2 + y - y0, 6) AS new_y FROM (SELECT p.tile, ord, p.x, p.y, e.* EXCLUDE (tile), row_number() OVER (PARTITION BY p.tile, ord ORDER BY mon) AS n FROM pt p JOIN ex e ON p.tile = e.tile AND p.x BETWEEN x0 AND x1) WHERE n = 1""")
+@query(
+    f"""WITH {b.POINTS}, {_TILES} SELECT tile, ord, mon::INT AS mon, round(tile_x + (tile_w - (x1 - x0)) / 2 + x - x0, 6) AS new_x, round(tile_y + (tile_h - (y1 - y0)) / 2 + y - y0, 6) AS new_y FROM (SELECT p.tile, ord, p.x, p.y, e.* EXCLUDE (tile), row_number() OVER (PARTITION BY p.tile, ord ORDER BY mon) AS n FROM pt p JOIN ex e ON p.tile = e.tile AND p.x BETWEEN x0 AND x1) WHERE n = 1"""
+)
 def baseline_to_pseudo(spark, d):
     q = b.points(spark, d).select("tile", "ord", "x", "y")
     m = F.col("month")
     e = q.select("tile").distinct().withColumn("month", F.explode(F.sequence(F.lit(1), F.lit(6))))
-    e = e.select("tile", "month", (m * 5 - 6.0).alias("x0"), (m * 5 + 0.5).alias("x1"), (3.0 + m).alias("y0"), (83.0 + m * 2).alias("y1"), (m * 40.0).alias("tile_x"), F.lit(7.0).alias("tile_y"), F.lit(9.0).alias("tile_w"), F.lit(100.0).alias("tile_h"))
-    return months.to_pseudo_page(q, e, ["tile"]).select("tile", "ord", m.alias("mon"), r(F.col("new_x")).alias("new_x"), r(F.col("new_y")).alias("new_y"))
+    e = e.select(
+        "tile",
+        "month",
+        (m * 5 - 6.0).alias("x0"),
+        (m * 5 + 0.5).alias("x1"),
+        (3.0 + m).alias("y0"),
+        (83.0 + m * 2).alias("y1"),
+        (m * 40.0).alias("tile_x"),
+        F.lit(7.0).alias("tile_y"),
+        F.lit(9.0).alias("tile_w"),
+        F.lit(100.0).alias("tile_h")
+    )
+    return months.to_pseudo_page(q, e, ["tile"]).select(
+        "tile", "ord", m.alias("mon"), r(F.col("new_x")).alias("new_x"), r(F.col("new_y")).alias("new_y")
+    )
 
 
 @query(f"""WITH {b.RASTER}, s AS (SELECT *, max("row") OVER (PARTITION BY tile) AS lr, max(col) OVER (PARTITION BY tile) AS lc FROM rs), t AS (SELECT tile, CASE tile % 4 WHEN 1 THEN lc - col WHEN 2 THEN lr - "row" WHEN 3 THEN col ELSE "row" END AS "row", CASE tile % 4 WHEN 1 THEN "row" WHEN 2 THEN lc - col WHEN 3 THEN lr - "row" ELSE col END AS col, gray FROM s)
@@ -313,7 +447,13 @@ c AS (SELECT t.tile, j, coalesce(arg_max(col, s * 1000000 - col), target) AS c F
 e AS (SELECT tile, list_concat(list_prepend(0, list(c ORDER BY c)), [64]) AS es FROM c GROUP BY tile) SELECT tile, i::INT AS part, es[i]::BIGINT AS x, (es[i + 1] - es[i])::BIGINT AS w FROM e, unnest(range(1, len(es))) AS r(i)""")
 def seam_cuts(spark, d):
     s = raster.column_strength(b.raster(spark, d), ["tile"])
-    boxes = s.select("tile").distinct().select("tile", F.lit(1).alias("pos"), F.lit(0).cast("long").alias("x"), F.lit(64).cast("long").alias("w"), (2 + F.col("tile") % 3).alias("parts"))
+    boxes = s.select("tile").distinct().select(
+        "tile",
+        F.lit(1).alias("pos"),
+        F.lit(0).cast("long").alias("x"),
+        F.lit(64).cast("long").alias("w"),
+        (2 + F.col("tile") % 3).alias("parts")
+    )
     return months.cut_at_seams(boxes, ["tile"], s.withColumn("col", F.col("col").cast("long"))).select("tile", "part", "x", "w")
 
 
@@ -327,9 +467,16 @@ def level_affine(spark, d):
     e = t.groupBy("panel").agg(F.min(F.struct("ord", "pixel", "value")).alias("a"), F.max(F.struct("ord", "pixel", "value")).alias("z"))
     slope, intercept = fit.two_anchor(F.col("a.pixel"), F.col("a.value"), F.col("z.pixel"), F.col("z.value"))
     human = e.select("panel", slope.alias("slope"), intercept.alias("intercept"))
-    maps = evaluation.level_map(t.join(human, "panel").select("panel", F.col("pixel").alias("c_y"), (F.col("value") * 29.186 + F.col("ord") % 3).alias("level"), "slope", "intercept"), ["panel"])
+    maps = evaluation.level_map(
+        t.join(human, "panel").select(
+            "panel", F.col("pixel").alias("c_y"), (F.col("value") * 29.186 + F.col("ord") % 3).alias("level"), "slope", "intercept"
+        ),
+        ["panel"]
+    )
     at = evaluation.to_level(human.select("panel", F.lit(100.0).alias("value")), maps, ["panel"])
-    return maps.join(at, "panel").select("panel", r(F.col("a"), 5).alias("a"), r(F.col("b"), 2).alias("b"), r(F.col("value"), 2).alias("at_100"))
+    return maps.join(at, "panel").select(
+        "panel", r(F.col("a"), 5).alias("a"), r(F.col("b"), 2).alias("b"), r(F.col("value"), 2).alias("at_100")
+    )
 
 
 @query(f"""WITH {b.TICKS}, {_robust_sql('tk', 'panel')}, ol AS (SELECT panel, regr_slope(value, pixel) AS s, regr_intercept(value, pixel) AS c FROM tk GROUP BY panel),
@@ -343,9 +490,19 @@ def calibration_summary(spark, d):
     both = own.join(human, "panel")
     rows = evaluation.axis_errors(both).join(evaluation.induced_error(t.join(both, "panel"), ["panel"]), "panel")
     i = F.substring("panel", 4, 9).cast("int")
-    rows = rows.select((i % 4).alias("run"), *(F.when(i % 6 != 5, F.col(c)).alias(c) for c in ("slope_err_pct", "zero_px_err", "induced_mae")))
+    rows = rows.select(
+        (i % 4).alias("run"), *(F.when(i % 6 != 5, F.col(c)).alias(c) for c in ("slope_err_pct", "zero_px_err", "induced_mae"))
+    )
     s = evaluation.calibration_summary(rows, ["run"])
-    return s.select("run", "n", "n_usable", r(F.col("median_slope_err_pct"), 5).alias("median_slope_err_pct"), r(F.col("median_zero_px_err"), 4).alias("median_zero_px_err"), r(F.col("median_induced_mae"), 3).alias("median_induced_mae"), r(F.col("worst_induced_mae"), 3).alias("worst_induced_mae"))
+    return s.select(
+        "run",
+        "n",
+        "n_usable",
+        r(F.col("median_slope_err_pct"), 5).alias("median_slope_err_pct"),
+        r(F.col("median_zero_px_err"), 4).alias("median_zero_px_err"),
+        r(F.col("median_induced_mae"), 3).alias("median_induced_mae"),
+        r(F.col("worst_induced_mae"), 3).alias("worst_induced_mae")
+    )
 
 
 @query(f"""WITH {_METRICS}, ps AS (SELECT *, round(0.4 * pearson_r + 0.4 * sv + 0.2 * stm, 9) AS peak FROM fm), pb AS (SELECT year(o_orderdate) AS scan, month(o_orderdate) AS m, o_orderkey, o_totalprice / 1000 AS rmse, (o_orderkey % 97) / 97.0::DOUBLE AS peak, o_orderstatus = 'F' AS best FROM orders WHERE o_orderkey % 3 = 0),
@@ -355,9 +512,20 @@ def series_evaluation(spark, d):
     m = metrics.aligned_metrics(_pairs(spark, d), ["mon"], ["day"]).withColumn("peak_score", r(F.col("peak_score"), 9))
     rows = m.withColumn("scan", F.year("mon")).withColumn("month", F.month("mon"))
     o = b.table(spark, d, "orders").where(F.col("o_orderkey") % 3 == 0)
-    published = o.select(F.year("o_orderdate").alias("scan"), F.month("o_orderdate").alias("month"), (F.col("o_totalprice") / 1000).alias("rmse"), ((F.col("o_orderkey") % 97) / 97.0).alias("peak_score"), F.when(F.col("o_orderstatus") == "F", "yes").alias("isBest"))
+    published = o.select(
+        F.year("o_orderdate").alias("scan"),
+        F.month("o_orderdate").alias("month"),
+        (F.col("o_totalprice") / 1000).alias("rmse"),
+        ((F.col("o_orderkey") % 97) / 97.0).alias("peak_score"),
+        F.when(F.col("o_orderstatus") == "F", "yes").alias("isBest")
+    )
     s = evaluation.month_means(evaluation.with_published(rows, published, ["scan", "month"]).withColumnRenamed("scan", "run"), ["run"])
-    return s.select("run", "n", *(r(F.col(c), 2).alias(c) for c in ("mean_rmse", "mean_mae", "mean_maxae")), *(r(F.col(c)).alias(c) for c in ("mean_pearson_r", "mean_peak_score", "mean_paper_peak_score")))
+    return s.select(
+        "run",
+        "n",
+        *(r(F.col(c), 2).alias(c) for c in ("mean_rmse", "mean_mae", "mean_maxae")),
+        *(r(F.col(c)).alias(c) for c in ("mean_pearson_r", "mean_peak_score", "mean_paper_peak_score"))
+    )
 
 
 @query(f"""WITH {b.MONTHS}, s AS (SELECT c_nationkey AS run, CASE WHEN c_custkey % 9 = 0 THEN 'annual_s2' ELSE 'p' || (c_custkey % 12 + 1) END AS key, 'p' || (c_custkey % 12 + 1) AS panel, CASE WHEN c_custkey % 4 = 0 THEN 's2' ELSE 's1' END AS sid, c_custkey FROM customer)
@@ -365,23 +533,43 @@ SELECT s.c_custkey, (c_custkey % 12 + 1)::INT AS mon, coalesce(n_name, lpad((run
 def series_months(spark, d):
     k = F.col("c_custkey")
     panel = F.concat(F.lit("p"), (k % 12 + 1).cast("string"))
-    c = b.table(spark, d, "customer").select(k, F.col("c_nationkey").alias("run"), panel.alias("panel"), F.when(k % 9 == 0, "annual_s2").otherwise(panel).alias("key"), F.when(k % 4 == 0, "s2").otherwise("s1").alias("series_id"))
+    c = b.table(spark, d, "customer").select(
+        k,
+        F.col("c_nationkey").alias("run"),
+        panel.alias("panel"),
+        F.when(k % 9 == 0, "annual_s2").otherwise(panel).alias("key"),
+        F.when(k % 4 == 0, "s2").otherwise("s1").alias("series_id")
+    )
     panels = c.select("run", "panel").distinct().withColumn("month", F.nullif(F.substring("panel", 2, 9).cast("int"), F.lit(6)))
     n = b.table(spark, d, "nation").where(F.col("n_nationkey") % 2 == 0)
-    gauges = n.select(F.concat(F.lit("DE_BY_DAN_"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("gauge_id"), F.col("n_name").alias("name"))
-    q = evaluation.series_months(c, panels).withColumn("scan_id", F.concat(F.lpad((F.col("run") % 30).cast("string"), 2, "0"), F.lit("0018")))
+    gauges = n.select(
+        F.concat(F.lit("DE_BY_DAN_"), F.lpad(F.col("n_nationkey").cast("string"), 2, "0")).alias("gauge_id"), F.col("n_name").alias("name")
+    )
+    q = evaluation.series_months(c, panels).withColumn(
+        "scan_id", F.concat(F.lpad((F.col("run") % 30).cast("string"), 2, "0"), F.lit("0018"))
+    )
     return evaluation.gauge_names(q, gauges).select("c_custkey", F.col("month").alias("mon"), "station")
 
 
-@query(f"""WITH {_SCORED}, b AS (SELECT tile, cand, confidence, coverage, coverage >= 0.9 AND cand % 2 = 0 AND cand % 3 <> 0 AS used FROM sc) SELECT tile, round(min(confidence), 6) AS panels, bool_or(used) AS baseline_applied, round(min(coverage), 6) AS coverage, count(*) AS n FROM b GROUP BY tile""")
+@query(
+    f"""WITH {_SCORED}, b AS (SELECT tile, cand, confidence, coverage, coverage >= 0.9 AND cand % 2 = 0 AND cand % 3 <> 0 AS used FROM sc) SELECT tile, round(min(confidence), 6) AS panels, bool_or(used) AS baseline_applied, round(min(coverage), 6) AS coverage, count(*) AS n FROM b GROUP BY tile"""
+)
 def stitched_confidence(spark, d):
     q = _scored(spark, d)
-    usable = checks.baseline_usable(F.col("cand") % 2 == 0, F.when(F.col("coverage") >= 0.9, 2).otherwise(1), F.when(F.col("cand") % 3 != 0, 1.0))
-    q = q.withColumn("chain", checks.confidence_chain(F.lit(1.0), F.lit(1.0), F.col("confidence"), F.col("coverage"))).withColumn("used", usable)
-    return sr.chain_of_panels(q, ["tile"], "used").select("tile", r(F.col("extraction")).alias("panels"), F.col("baseline_applied"), r(F.col("coverage")).alias("coverage"), "n")
-
-
-@query(f"""WITH {_SCORED}, ke AS (SELECT tile, cand, s FROM (SELECT DISTINCT tile, cand FROM ls), range(30) AS r(s)) SELECT ke.tile, ke.cand, count(*) FILTER (WHERE x IS NULL) AS n_gaps, coalesce(string_agg((DATE '2024-01-01' + s::INT)::VARCHAR, ',' ORDER BY s) FILTER (WHERE x IS NULL), '') AS gaps FROM ke LEFT JOIN ls ON ls.tile = ke.tile AND ls.cand = ke.cand AND ls.slice = s GROUP BY 1, 2""")
+    usable = checks.baseline_usable(
+        F.col("cand") % 2 == 0, F.when(F.col("coverage") >= 0.9, 2).otherwise(1), F.when(F.col("cand") % 3 != 0, 1.0)
+    )
+    q = q.withColumn(
+        "chain", checks.confidence_chain(F.lit(1.0), F.lit(1.0), F.col("confidence"), F.col("coverage"))
+    ).withColumn("used", usable)
+    return sr.chain_of_panels(q, ["tile"], "used").select(
+        "tile", r(F.col("extraction")).alias("panels"), F.col("baseline_applied"), r(F.col("coverage")).alias("coverage"), "n"
+    )
+
+
+@query(
+    f"""WITH {_SCORED}, ke AS (SELECT tile, cand, s FROM (SELECT DISTINCT tile, cand FROM ls), range(30) AS r(s)) SELECT ke.tile, ke.cand, count(*) FILTER (WHERE x IS NULL) AS n_gaps, coalesce(string_agg((DATE '2024-01-01' + s::INT)::VARCHAR, ',' ORDER BY s) FILTER (WHERE x IS NULL), '') AS gaps FROM ke LEFT JOIN ls ON ls.tile = ke.tile AND ls.cand = ke.cand AND ls.slice = s GROUP BY 1, 2"""
+)
 def gap_list(spark, d):
     q = resample.densify(_last(spark, d), ["tile", "cand"], b.SLICES, F.lit(date(2024, 1, 1)))
     return sr.gaps(q, ["tile", "cand"]).select("tile", "cand", "n_gaps", F.array_join("gaps", ",").alias("gaps"))

@@ -8,7 +8,21 @@ PANEL_HINT = f"struct<index:int,month:int,label:string,bbox_px:array<int>,plot_a
 HINTS = f"station string, year int, unit string, y_scale string, n_series int, series_labels array<string>, rotation_deg int, expected_panels int, panel_layout string, y_anchors array<{ANCHOR}>, baseline_visible boolean, panels array<{PANEL_HINT}>, notes string"
 #: Keys that hints may have, at the top and in their parts.
 HINT_KEYS = {
-    "$": ["station", "year", "unit", "y_scale", "n_series", "series_labels", "rotation_deg", "expected_panels", "panel_layout", "y_anchors", "baseline_visible", "panels", "notes"],
+    "$": [
+        "station",
+        "year",
+        "unit",
+        "y_scale",
+        "n_series",
+        "series_labels",
+        "rotation_deg",
+        "expected_panels",
+        "panel_layout",
+        "y_anchors",
+        "baseline_visible",
+        "panels",
+        "notes"
+    ],
     "panels": ["index", "month", "label", "bbox_px", "plot_area_px", "x_start", "x_end", "n_series", "series_labels", "y_anchors"],
     "y_anchors": ["pixel", "value"],
 }

@@ -45,8 +45,18 @@ def _joined(flags: str) -> Column:
 
 def head_lines(runs: DataFrame) -> DataFrame:
     """runs: run_id, profile, version, input, width, height."""
-    picture = F.concat(F.lit("- input: `"), "input", F.lit("` ("), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(")"))
-    parts = F.array_compact(F.array(F.concat(F.lit("# Run report: "), "run_id"), F.lit(""), F.concat(F.lit("- profile: **"), _text("profile"), F.lit("**")), F.concat(F.lit("- version: "), _text("version")), picture))
+    picture = F.concat(
+        F.lit("- input: `"), "input", F.lit("` ("), F.col("width").cast("string"), F.lit("x"), F.col("height").cast("string"), F.lit(")")
+    )
+    parts = F.array_compact(
+        F.array(
+            F.concat(F.lit("# Run report: "), "run_id"),
+            F.lit(""),
+            F.concat(F.lit("- profile: **"), _text("profile"), F.lit("**")),
+            F.concat(F.lit("- version: "), _text("version")),
+            picture
+        )
+    )
     return _lines(runs, "head", F.lit(""), F.array_join(parts, "\n"))
 
 
@@ -61,7 +71,9 @@ def calibration_lines(axes: DataFrame) -> DataFrame:
     fitted = F.col("slope").isNotNull()
     used = F.when(fitted, F.concat(F.col("n_used").cast("string"), F.lit("/"), F.col("n_ticks").cast("string"))).otherwise("-")
     slope, r2 = F.coalesce(general(F.col("slope"), 5), F.lit("-")), F.when(fitted, _fixed("r2", 4)).otherwise("-")
-    return _lines(axes, "calibration", F.col("panel"), _row(F.col("panel"), _text("unit"), _text("scale"), slope, r2, used, _joined("flags")))
+    return _lines(
+        axes, "calibration", F.col("panel"), _row(F.col("panel"), _text("unit"), _text("scale"), slope, r2, used, _joined("flags"))
+    )
 
 
 def extraction_lines(tiles: DataFrame) -> DataFrame:
@@ -70,7 +82,9 @@ def extraction_lines(tiles: DataFrame) -> DataFrame:
     n, blank = _text("n_candidates"), [F.lit("")] * 4
     failed, none = F.coalesce(F.col("error"), F.lit("")) != "", F.col("cand").isNull()
     whole = _row(name, n, _text("cand"), *(_fixed(c, 3, "0.000") for c in ("confidence", "coverage", "s_alpha")), _text("method"))
-    line = F.when(failed, _row(F.col("panel"), F.concat(F.lit("ERROR: "), "error"), F.lit(""), *blank)).when(none, _row(F.col("panel"), n, F.lit("none"), *blank)).otherwise(whole)
+    line = F.when(
+        failed, _row(F.col("panel"), F.concat(F.lit("ERROR: "), "error"), F.lit(""), *blank)
+    ).when(none, _row(F.col("panel"), n, F.lit("none"), *blank)).otherwise(whole)
     return _lines(tiles, "extraction", F.concat_ws(" ", "panel", _text("series")), line)
 
 
@@ -78,20 +92,44 @@ def series_lines(series: DataFrame) -> DataFrame:
     """series: run_id, key, panel ('annual' for stitched years, which come first), label, path, n, n_gaps, baseline_applied, chain (a map), verdict, reason."""
     annual = F.col("panel") == "annual"
     label = F.when(_text("label") != "", F.concat(F.lit(" **"), "label", F.lit("**"))).otherwise("")
-    count = F.concat(F.col("n").cast("string"), F.when(annual, " days, ").otherwise(" samples, "), F.col("n_gaps").cast("string"), F.lit(" gaps"))
-    count = F.when(annual, count).otherwise(F.concat(count, F.lit(", baseline "), F.when(F.coalesce("baseline_applied", F.lit(False)), "applied").otherwise("off")))
+    count = F.concat(
+        F.col("n").cast("string"), F.when(annual, " days, ").otherwise(" samples, "), F.col("n_gaps").cast("string"), F.lit(" gaps")
+    )
+    count = F.when(annual, count).otherwise(
+        F.concat(count, F.lit(", baseline "), F.when(F.coalesce("baseline_applied", F.lit(False)), "applied").otherwise("off"))
+    )
     first = F.concat(F.lit("-"), label, F.lit(" csv: `"), _text("path"), F.lit("` ("), count, F.lit(")"))
-    links = F.transform(F.array_sort(F.map_entries("chain")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"].cast("double"))))
-    chain = F.when(F.size(F.coalesce("chain", F.create_map().cast("map<string,double>"))) > 0, F.concat(F.lit("  - confidence chain: "), F.array_join(links, ", ")))
+    links = F.transform(
+        F.array_sort(F.map_entries("chain")), lambda e: F.concat(e["key"], F.lit("="), F.format_string("%.2f", e["value"].cast("double")))
+    )
+    chain = F.when(
+        F.size(F.coalesce("chain", F.create_map().cast("map<string,double>"))) > 0,
+        F.concat(F.lit("  - confidence chain: "), F.array_join(links, ", "))
+    )
     judged = F.when(F.col("verdict").isNotNull(), F.concat(F.lit("  - QC: **"), "verdict", F.lit("** "), _text("reason")))
-    lines = F.array_join(F.array_compact(F.array(F.concat(F.lit("### "), F.when(annual, "Annual series").otherwise(F.col("panel"))), first, F.when(~annual, chain), F.when(~annual, judged))), "\n")
+    lines = F.array_join(
+        F.array_compact(
+            F.array(
+                F.concat(F.lit("### "), F.when(annual, "Annual series").otherwise(F.col("panel"))),
+                first,
+                F.when(~annual, chain),
+                F.when(~annual, judged)
+            )
+        ),
+        "\n"
+    )
     return _lines(series, "series", F.concat(F.when(annual, "0 ").otherwise("1 "), F.col("panel"), F.lit(" "), F.col("key")), lines)
 
 
 def flag_lines(flags: DataFrame) -> DataFrame:
     """flags: run_id, severity, stage, ref, reason; blocking ones first."""
     order = F.when(F.col("severity") == "blocking", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    return _lines(flags, "flags", F.concat_ws(" ", order.cast("string"), "stage", _text("ref"), "reason"), _row(F.col("severity"), F.col("stage"), _text("ref"), F.col("reason")))
+    return _lines(
+        flags,
+        "flags",
+        F.concat_ws(" ", order.cast("string"), "stage", _text("ref"), "reason"),
+        _row(F.col("severity"), F.col("stage"), _text("ref"), F.col("reason"))
+    )
 
 
 def reports(*sections: DataFrame) -> DataFrame:

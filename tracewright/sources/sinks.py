@@ -20,8 +20,16 @@ def _fixed(c: str, digits: int) -> Column:
 
 def series_csv(series: DataFrame, path: str, by: list[str]) -> None:
     """Digitised series as CSV below by=... folders; numbers are formatted here and nowhere before."""
-    out = series.select(*by, "x_key", *(_fixed(c, n).alias(c) for c, n in DIGITS.items()), F.coalesce("native_unit", F.lit("")).alias("native_unit"), "flagged")
-    out.select(*by, *COLUMNS).repartition(*by).sortWithinPartitions(*by, "x_key").write.partitionBy(*by).option("header", True).option("emptyValue", "").mode("overwrite").csv(path)
+    out = series.select(
+        *by,
+        "x_key",
+        *(_fixed(c, n).alias(c) for c, n in DIGITS.items()),
+        F.coalesce("native_unit", F.lit("")).alias("native_unit"),
+        "flagged"
+    )
+    out.select(*by, *COLUMNS).repartition(*by).sortWithinPartitions(*by, "x_key").write.partitionBy(*by).option("header", True).option(
+        "emptyValue", ""
+    ).mode("overwrite").csv(path)
 
 
 def append(rows: DataFrame, path: str) -> None:
@@ -65,10 +73,22 @@ def markdown(df: DataFrame, title: str, most: int = 200) -> str:
 
 def run_report(series: DataFrame, fits: DataFrame, flags: DataFrame, most: int = 200) -> str:
     """Markdown of a run: its panels' fits, its series with gaps, its flags by severity."""
-    gaps = series.groupBy("panel").agg(F.count("*").alias("n"), F.count_if("flagged").alias("gaps"), F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("flagged"), F.col("x_key")))), 1, 5), ", ").alias("first_gaps"))
+    gaps = series.groupBy("panel").agg(
+        F.count("*").alias("n"),
+        F.count_if("flagged").alias("gaps"),
+        F.array_join(F.slice(F.array_sort(F.collect_list(F.when(F.col("flagged"), F.col("x_key")))), 1, 5), ", ").alias("first_gaps")
+    )
     order = F.when(F.col("severity") == "blocking", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    listed = flags.withColumn("_n", F.row_number().over(Window.partitionBy("severity").orderBy("stage", "ref"))).where(F.col("_n") <= most).orderBy(order, "stage", "ref").drop("_n")
-    return "\n".join([markdown(fits.orderBy("panel"), "Axis fits", most), markdown(gaps.orderBy("panel"), "Series", most), markdown(listed, "Review flags", most)])
+    listed = flags.withColumn(
+        "_n", F.row_number().over(Window.partitionBy("severity").orderBy("stage", "ref"))
+    ).where(F.col("_n") <= most).orderBy(order, "stage", "ref").drop("_n")
+    return "\n".join(
+        [
+            markdown(fits.orderBy("panel"), "Axis fits", most),
+            markdown(gaps.orderBy("panel"), "Series", most),
+            markdown(listed, "Review flags", most)
+        ]
+    )
 
 
 def annual_csv(rows: DataFrame, path: str, by: list[str]) -> None:
@@ -79,9 +99,22 @@ def annual_csv(rows: DataFrame, path: str, by: list[str]) -> None:
 
 # What an evaluation report says of each summary, by column.
 SENTENCES = {
-    "calibration": ("- months evaluated: {n} ({n_usable} usable)", "- median slope error: {median_slope_err_pct:.2f} %", "- median zero-pixel error: {median_zero_px_err:.1f} px", "- median induced series error (MAE): {median_induced_mae:.2f} mm", "- worst induced MAE: {worst_induced_mae:.2f} mm"),
+    "calibration": (
+        "- months evaluated: {n} ({n_usable} usable)",
+        "- median slope error: {median_slope_err_pct:.2f} %",
+        "- median zero-pixel error: {median_zero_px_err:.1f} px",
+        "- median induced series error (MAE): {median_induced_mae:.2f} mm",
+        "- worst induced MAE: {worst_induced_mae:.2f} mm"
+    ),
     "panels": ("- panels detected: {n_detected}/{n}", "- mean IoU: {mean_iou:.3f}", "- median |x-edge error|: {worse_median:.2f} days"),
-    "series": ("- gauge-months evaluated: {n}", "- mean peak-aware score: {mean_peak_score:.3f}", "- published best-candidate mean on the same months: {mean_paper_peak_score:.3f}", "- mean Pearson r: {mean_pearson_r:.3f}", "- mean RMSE: {mean_rmse:.2f}", "- mean largest error: {mean_maxae:.2f}"),
+    "series": (
+        "- gauge-months evaluated: {n}",
+        "- mean peak-aware score: {mean_peak_score:.3f}",
+        "- published best-candidate mean on the same months: {mean_paper_peak_score:.3f}",
+        "- mean Pearson r: {mean_pearson_r:.3f}",
+        "- mean RMSE: {mean_rmse:.2f}",
+        "- mean largest error: {mean_maxae:.2f}"
+    ),
 }
 
 
@@ -101,13 +134,21 @@ def evaluation_report(calibration: DataFrame, panels: DataFrame, series: DataFra
     Each run's results are sentences, then all are one table; of more than `most` runs the report tells how many it leaves
     out, the CSV files have all.
     """
-    parts = {"Calibration against human anchors": ("calibration", calibration), "Panels found": ("panels", panels), "Series against ground truth": ("series", series)}
+    parts = {
+        "Calibration against human anchors": ("calibration", calibration),
+        "Panels found": ("panels", panels),
+        "Series against ground truth": ("series", series)
+    }
     out = []
     for title, (name, df) in parts.items():
         df.write.option("header", True).mode("overwrite").csv(f"{path}/{name}")
         key = df.columns[0]
         ordered = df.orderBy(key)
-        told = [f"{key} {row[key]}:\n" + "\n".join(lines) + "\n" for row in (r.asDict() for r in ordered.limit(most).collect()) if (lines := _said(row, name))]
+        told = [
+            f"{key} {row[key]}:\n" + "\n".join(lines) + "\n" for row in (
+                r.asDict() for r in ordered.limit(most).collect()
+            ) if (lines := _said(row, name))
+        ]
         out.append(markdown(ordered, title, most) + "".join(f"\n{t}" for t in told))
     return "\n".join(out)
 
@@ -115,5 +156,10 @@ def evaluation_report(calibration: DataFrame, panels: DataFrame, series: DataFra
 def pseudo_page(tiles: DataFrame, page: list[str]) -> DataFrame:
     """page, hints, truth: the JSON beside each pseudo page. tiles: page, month, x, y, w, h, page_w, page_h (of months.layout), unit."""
     boxes = F.array_sort(F.collect_list(F.struct("month", F.array("x", "y", "w", "h").alias("box"))))
-    hints = F.struct(F.first("unit").alias("unit"), F.count("*").cast("int").alias("expected_panels"), F.lit("row").alias("panel_layout"), F.transform(boxes, lambda m: F.struct(m["month"].alias("index"), m["month"].alias("month"))).alias("panels"))
+    hints = F.struct(
+        F.first("unit").alias("unit"),
+        F.count("*").cast("int").alias("expected_panels"),
+        F.lit("row").alias("panel_layout"),
+        F.transform(boxes, lambda m: F.struct(m["month"].alias("index"), m["month"].alias("month"))).alias("panels")
+    )
     return tiles.groupBy(*page).agg(F.to_json(hints).alias("hints"), F.to_json(F.struct(boxes.alias("months"))).alias("truth"))

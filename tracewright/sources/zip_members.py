@@ -129,7 +129,9 @@ class ZipReader(ds.DataSourceReader):
 
     def _listed(self) -> list[tuple]:
         with self._open() as f, zipfile.ZipFile(f) as z:
-            return [(i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for i in z.infolist() if not i.is_dir()]
+            return [
+                (i.filename, i.header_offset, i.compress_size, i.file_size, i.compress_type, i.CRC) for i in z.infolist() if not i.is_dir()
+            ]
 
     def directory(self) -> list[tuple]:
         """(name, where its local header begins, packed and whole size, method, checksum) of each member, from the index if it has been written."""
@@ -149,7 +151,14 @@ class ZipReader(ds.DataSourceReader):
         found = self._tried(self._listed)
         kept.create_dir(folder, recursive=True)
         own = f"{folder}/.{key}-{uuid.uuid4().hex}"
-        pq.write_table(pa.Table.from_pylist([dict(zip(_ENTRY, e, strict=True)) for e in found], schema=pa.schema([("name", pa.string()), *((c, pa.int64()) for c in _ENTRY[1:])])), own, filesystem=kept)
+        pq.write_table(
+            pa.Table.from_pylist(
+                [dict(zip(_ENTRY, e, strict=True)) for e in found],
+                schema=pa.schema([("name", pa.string()), *((c, pa.int64()) for c in _ENTRY[1:])])
+            ),
+            own,
+            filesystem=kept
+        )
         kept.move(own, at)  # whole or not at all; of several writers any one's stands
         return found
 
@@ -184,8 +193,12 @@ class ZipReader(ds.DataSourceReader):
     def read(self, partition: Members) -> Iterator[tuple]:
         for values, at, packed, size, method, crc in partition.entries:
             name = values[self.order.index("name")]
-            head = self._tried(partial(self._range, at, 30))  # a local header: its name and extra field may differ in length from the directory's
-            data = self._tried(partial(self._range, at + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"), packed))
+            head = self._tried(  # a local header: its name and extra field may differ in length from the directory's
+                partial(self._range, at, 30)
+            )
+            data = self._tried(
+                partial(self._range, at + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"), packed)
+            )
             if method == zipfile.ZIP_DEFLATED:
                 data = zlib.decompress(data, -15)
             elif method != zipfile.ZIP_STORED:

@@ -28,7 +28,13 @@ def to_series(points: DataFrame, out: str, checkpoint: str, x0: float, x1: float
         series.write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
         if flags:
             gaps = series.groupBy("run_id", "panel").agg(F.count_if("flagged").alias("gaps")).where("gaps > 0")
-            told = gaps.select(F.lit("series").alias("stage"), "run_id", F.col("panel").alias("ref"), F.concat(F.col("gaps").cast("string"), F.lit(" empty slices")).alias("reason"), F.lit("info").alias("severity"))
+            told = gaps.select(
+                F.lit("series").alias("stage"),
+                "run_id",
+                F.col("panel").alias("ref"),
+                F.concat(F.col("gaps").cast("string"), F.lit(" empty slices")).alias("reason"),
+                F.lit("info").alias("severity")
+            )
             told.write.mode("overwrite").parquet(f"{flags}/epoch={epoch}")
         series.unpersist()
 
@@ -61,9 +67,13 @@ def panel_series(points: DataFrame, panels: DataFrame, delay: str = "10 minutes"
     each = panel.select("run_id", "panel", "points", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("slice"))
     last = F.array_max(F.filter("points", lambda p: p["slice"] == F.col("slice")))
     each = each.withColumn("p", last)
-    return each.select("run_id", "panel", "slice", (F.col("slice") + 1).cast("string").alias("x_key"), "p.x", "p.y", F.col("p").isNull().alias("flagged"))
+    return each.select(
+        "run_id", "panel", "slice", (F.col("slice") + 1).cast("string").alias("x_key"), "p.x", "p.y", F.col("p").isNull().alias("flagged")
+    )
 
 
 def append_series(series: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     """Series to Parquet files, each row once, however often the query is started from its checkpoint."""
-    return series.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return series.writeStream.outputMode("append").format("parquet").option("path", out).option(
+        "checkpointLocation", checkpoint
+    ).trigger(availableNow=True).start()

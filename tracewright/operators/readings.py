@@ -6,7 +6,7 @@ written along the curve, or of the axis in a crop that reaches into the page's m
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewright.functions.columns import let
@@ -111,14 +111,14 @@ def cascade(panels: DataFrame, attempts: DataFrame) -> DataFrame:
     place = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     text = lambda c, default="": F.coalesce(F.col(c), F.lit(default)).alias(c)
     one = F.struct(
-        place.alias("place"), "kind", F.coalesce("failed", F.lit(False)).alias("failed"), text("unit"), text("scale", "linear"), F.coalesce(
+        place.alias("place"), "ord", "kind", F.coalesce("failed", F.lit(False)).alias("failed"), text("unit"), text("scale", "linear"), F.coalesce(
             F.col("confidence").cast("double"), F.lit(0.0)
         ).alias("confidence"),
         text("x_kind", "unknown"), text("x_start"), text("x_end"), legible(F.col("ticks")).alias("ticks"),
     )
-    first = Window.partitionBy("page", "panel", "kind").orderBy("ord")
-    own = attempts.where(F.col("kind").isin(*KINDS)).withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    own = own.groupBy("page", "panel").agg(F.array_sort(F.collect_list(one)).alias("attempts"))  # at most one of each kind
+    own = attempts.where(F.col("kind").isin(*KINDS)).groupBy("page", "panel").agg(F.array_sort(F.collect_list(one)).alias("all"))
+    first = F.filter("all", lambda a, i: (i == 0) | (F.get("all", i - 1)["place"] != a["place"]))  # of each kind
+    own = own.select("page", "panel", first.alias("attempts"))
     start = F.struct(
         F.lit(True).alias("ok"),
         F.lit("").alias("used"),

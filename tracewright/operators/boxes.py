@@ -5,6 +5,8 @@ A page has few boxes, so each operator gathers a page's boxes into one array and
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -137,12 +139,13 @@ SPLIT_FLAG = "split_from_multimonth_box"
 
 
 def repair_count(
-    panels: DataFrame, page: list[str], expected: Column, strength: DataFrame, share: float = Gates.sliver
+    panels: DataFrame, page: list[str], expected: Column, strength: DataFrame | Callable[[Column], Column], share: float = Gates.sliver
 ) -> tuple[DataFrame, DataFrame]:
     """panels brought towards the expected count, and the flags that this raises.
 
     panels: page, pos, box, plot, flags and more, which parts inherit. strength: page, pos, col, s, the column strengths of
-    each box's rows. On pages with too many panels those far narrower than the median go. On pages with too few, boxes of
+    each box's rows; or, where a panel's own row tells them, a function of a column's number that gives its strength from
+    that row, which is asked of the few columns near a cut only: no table of columns is made or joined then. On pages with too many panels those far narrower than the median go. On pages with too few, boxes of
     several median widths are cut at their seams, in the order of pos, until none is missing; the plot area is cut along
     with its box. Then panels are numbered from left to right, as `panel` (p01, ...). Pages of the right count, or where
     none is expected, stay as they are but for the numbers.
@@ -160,8 +163,15 @@ def repair_count(
     before = F.coalesce(F.sum(want).over(w.orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     kept = kept.withColumn("_k", k).withColumn("_missing", missing)
     kept = kept.withColumn("parts", (F.greatest(F.least(want, F.col("_missing") - before), F.lit(0)) + 1).cast("int"))
-    cut = months.cut_at_seams(kept.select(*own, F.col("box.x").alias("x"), F.col("box.w").alias("w"), "parts"), page, strength, of_box=True)
-    joined = kept.join(cut.select(*own, "part", F.col("x").alias("_x"), F.col("w").alias("_w")), own)
+    x, width = F.col("box.x"), F.col("box.w")
+    if callable(strength):
+        edges = kept.withColumn("_edges", months.seam_edges(x, width, F.col("parts"), strength))
+        joined = edges.withColumn("part", F.explode(F.sequence(F.lit(1), F.col("parts")))).withColumn(
+            "_x", F.get("_edges", F.col("part") - 1)
+        ).withColumn("_w", F.get("_edges", F.col("part")) - F.col("_x")).drop("_edges")
+    else:
+        cut = months.cut_at_seams(kept.select(*own, x.alias("x"), width.alias("w"), "parts"), page, strength, of_box=True)
+        joined = kept.join(cut.select(*own, "part", F.col("x").alias("_x"), F.col("w").alias("_w")), own)
     piece = g.box(F.col("_x"), F.col("box.y"), F.col("_w"), F.col("box.h"))
     left, right = F.greatest(F.col("plot.x"), F.col("_x")), F.least(F.col("plot.x") + F.col("plot.w"), F.col("_x") + F.col("_w"))
     area = F.when(right - left > 4, g.box(left, F.col("plot.y"), right - left, F.col("plot.h"))).otherwise(piece)

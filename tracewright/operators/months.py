@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewright.config import Gates
+from tracewright.functions.columns import let
 
 
 def assign(panels: DataFrame, page: list[str], quorum: float = 0.66) -> DataFrame:
@@ -96,6 +99,20 @@ def seam_reach(w: Column, parts: Column) -> Column:
     return F.greatest(F.lit(4), F.rint(0.08 * w / parts)).cast("long")
 
 
+def seam_edges(x: Column, w: Column, parts: Column, strength: Callable[[Column], Column]) -> Column:
+    """The edges of a box's parts, as cut_at_seams cuts it, from the row alone. strength: that of a column by its number."""
+    reach = seam_reach(w, parts)
+
+    def cut(target: Column) -> Column:
+        low, high = F.greatest(x + 4, target - reach), F.least(x + w - 4, target + reach + 1) - 1
+        near = F.transform(F.sequence(low, high), lambda c: F.struct(strength(c).alias("s"), (-c).alias("first")))
+        return F.coalesce(F.when(low <= high, -F.array_max(near)["first"]), target)
+
+    cuts = F.transform(F.sequence(F.lit(1), parts - 1), lambda j: let(x + F.rint(j * w / parts).cast("long"), cut))
+    inner = F.when(parts > 1, F.array_sort(cuts)).otherwise(F.array().cast("array<bigint>"))
+    return F.concat(F.array(x), inner, F.array(x + w))
+
+
 def cut_at_seams(boxes: DataFrame, page: list[str], strength: DataFrame, of_box: bool = False) -> DataFrame:
     """boxes (page, pos, x, w, parts) cut into `parts`, each cut at the strongest column near its even place; adds part, x, w.
 

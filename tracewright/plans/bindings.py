@@ -69,15 +69,16 @@ TICKS = """tk AS (SELECT left(source, 3) || (substr(source, 4)::BIGINT + doc_id
 
 
 def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """B5: page (order), pos, conf, box."""
-    li = table(spark, sf_dir, "lineitem")
-    order = Window.partitionBy("l_orderkey").orderBy(
+    """B5: page (order), pos, conf, box.
+
+    Rows are dealt out by `page` itself: windows over pages then need no second shuffle.
+    """
+    li = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "page")
+    order = Window.partitionBy("page").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_extendedprice"
     )
     b = box(F.col("l_partkey") % 200, F.col("l_suppkey"), F.col("l_quantity") + 50, F.col("l_quantity") + 40)
-    return li.select(
-        F.col("l_orderkey").alias("page"), F.row_number().over(order).alias("pos"), F.col("l_discount").alias("conf"), b.alias("box")
-    )
+    return li.withColumn("pos", F.row_number().over(order)).select("page", "pos", F.col("l_discount").alias("conf"), b.alias("box"))
 
 
 BOXES = """bx AS (SELECT l_orderkey AS page, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount, l_extendedprice) AS pos,

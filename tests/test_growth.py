@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from tracewright.operators import boxes
+from tracewright.operators import boxes, checks
 from tracewright.plans import registry
 
 DIR = "/root/testdata/sf0.001"
@@ -44,3 +44,16 @@ def test_strengths_of_the_row_cut_as_a_table_of_them(spark):
         two, also = boxes.repair_count(panels, ["page"], F.lit(7), strength)
         assert one.columns == two.columns and sorted(one.collect()) == sorted(two.collect())
         assert two.count() > len(rows) and sorted(told.collect()) == sorted(also.collect())
+
+
+def test_edge_tags_sort_rows_once(spark):
+    plan = plan_of(registry.queries()["edge_tags"](spark, DIR))
+    assert count_of(plan, "Exchange") == 1 and count_of(plan, "Sort") == 1
+
+
+def test_edges_with_ties_and_without_places(spark):
+    rows = [("a", "p2", 1.0), ("a", "p1", 1.0), ("a", "p3", 1.0), ("b", "p1", None), ("b", "p2", 4.0), ("b", "p3", 2.0), ("c", "p1", 3.0)]
+    got = checks.edge_tags(spark.createDataFrame(rows, "page string, panel string, x double"), ["page"]).collect()
+    assert {(r.page, r.panel): r.edge for r in got if r.edge} == {
+        ("a", "p1"): "left", ("a", "p3"): "right", ("b", "p1"): "left", ("b", "p2"): "right"
+    } and len(got) == 7

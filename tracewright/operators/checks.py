@@ -156,12 +156,17 @@ def ready(panels: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def edge_tags(panels: DataFrame, page: list[str]) -> DataFrame:
-    """panels (x) with edge: 'left' for a page's first by x, 'right' for its last; pages of one panel have none."""
-    w = Window.partitionBy(*page)
-    first, last = F.row_number().over(w.orderBy("x", "panel")), F.row_number().over(w.orderBy(F.desc("x"), F.desc("panel")))
-    return panels.withColumn("_n", F.count("*").over(w)).withColumn("_a", first).withColumn("_z", last).withColumn(
-        "edge", F.when(F.col("_n") > 1, F.when(F.col("_a") == 1, "left").when(F.col("_z") == 1, "right"))
-    ).drop("_n", "_a", "_z")
+    """panels (panel, x) with edge: 'left' for a page's first by x, 'right' for its last; pages of one panel have none.
+
+    Of equal x the panel's name decides; a page has it once. Ends are a page's least and greatest place, so that nothing
+    is sorted within pages.
+    """
+    w, at = Window.partitionBy(*page), F.struct("x", "panel")
+    left, right = at.eqNullSafe(F.col("_ends.a")), at.eqNullSafe(F.col("_ends.z"))
+    ends = F.struct(F.count("*").over(w).alias("n"), F.min(at).over(w).alias("a"), F.max(at).over(w).alias("z"))
+    return panels.withColumn("_ends", ends).withColumn(
+        "edge", F.when(F.col("_ends.n") > 1, F.when(left, "left").when(right, "right"))
+    ).drop("_ends")
 
 
 def first_attempt(attempts: DataFrame, by: list[str]) -> DataFrame:

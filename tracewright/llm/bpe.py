@@ -286,8 +286,11 @@ def _joined(table: pa.Table) -> pa.Table:
     lengths[order] = sizes
     starts[order] = np.cumsum(sizes, dtype=np.int64) - sizes
     each = lengths[codes]
-    ids = values[common.spread(starts[codes], each)].astype("<i4")
-    ends = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(counts))]
+    after = np.append(0, np.cumsum(each))
+    ids, step = np.empty(after[-1], "<i4"), 1 << 17
+    for k in range(0, len(codes), step):  # the places of one step's ids are held at a time
+        ids[after[k] : after[min(k + step, len(codes))]] = values[common.spread(starts[codes[k : k + step]], each[k : k + step])]
+    ends = after[np.append(0, np.cumsum(counts))]
     return pa.table(
         {"doc_id": pa.array(head["ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
     )

@@ -53,13 +53,23 @@ def _characters(raw: np.ndarray, table: np.ndarray) -> tuple[np.ndarray | None,
     return at, table[lead]
 
 
-def cut(raw: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
+def cut(raw: np.ndarray, ends: np.ndarray, table: np.ndarray, piece: int = 1 << 20) -> np.ndarray:
     """Where pre-tokens begin in the UTF-8 bytes of texts that stand one after another; ends: where each text ends.
 
-    Every text begins a pre-token of its own. Bytes are those of valid texts; several empty texts share a place.
+    Every text begins a pre-token of its own. Bytes are those of valid texts; several empty texts share a place. Whole
+    texts of about `piece` bytes are cut at a time: what a cut needs beside its result, some twenty times its bytes, is
+    bounded so.
     """
-    if not len(raw):
-        return np.empty(0, np.int64)
+    begin, start = [np.empty(0, np.int64)], 0
+    while start < len(raw):
+        k = min(int(np.searchsorted(ends, start + piece)), len(ends) - 1)
+        own = ends[np.searchsorted(ends, start, "right") : k + 1] - start
+        begin.append(_cut(raw[start : ends[k]], own, table) + start)
+        start = int(ends[k])
+    return np.concatenate(begin)
+
+
+def _cut(raw: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
     at, kind = _characters(raw, table)
     n = len(kind)
     byte = raw if at is None else raw[at]

@@ -31,6 +31,8 @@ from tracewright.llm.components import components
 WORDS, BANDS, ROWS, BITS = 5, 30, 5, 512
 #: Bits of the odd sketch of a whole set, and by how many standard deviations they may differ more than expected at the threshold.
 SET_BITS, SET_DEVIATIONS = 2048, 5
+#: Texts whose bits and samples are laid out at once, and words whose hashes a task remembers.
+AT_ONCE, KNOWN = 512, 50_000
 #: Members of a bucket that one task compares with as many others.
 GRID = 256
 _SCHEMA = "doc_id long, text_hash long, node long, n_shingles long, bands array<long>, sketch array<long>, parity array<long>"
@@ -51,7 +53,17 @@ def _permutations() -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray, ...]:
-    """For each text: a hash of its words, its number of distinct shingles, its bands' hashes and its two odd sketches. hashes: the words seen so far."""
+    """For each text: a hash of its words, its number of distinct shingles, its bands' hashes and its two odd sketches. hashes: the words seen so far.
+
+    However short the texts of a block are, and so however many, only AT_ONCE of them are laid out as counts of bits.
+    """
+    parts = [_signatures(texts[i : i + AT_ONCE], hashes) for i in range(0, len(texts) or 1, AT_ONCE)]
+    return tuple(map(np.concatenate, zip(*parts, strict=True)))
+
+
+def _signatures(texts: list[str], hashes: dict[bytes, int]) -> tuple[np.ndarray, ...]:
+    if len(hashes) > KNOWN:
+        hashes.clear()
     cut = [x.encode().lower().split() for x in texts]  # bytes: ASCII letters and ASCII white space only
     for w in set().union(*cut).difference(hashes):
         hashes[w] = xxhash.xxh3_64_intdigest(w)
@@ -104,8 +116,6 @@ def sign(docs: DataFrame) -> DataFrame:
     def run(batches):
         hashes: dict[bytes, int] = {}
         for table in common.text_blocks(batches, 1 << 20):
-            if len(hashes) > 250_000:
-                hashes.clear()
             node, n, bands, sketch, parity = signatures(table.column("text").to_pylist(), hashes)
             lists = lambda m: pa.FixedSizeListArray.from_arrays(pa.array(m.ravel()), m.shape[1]).cast(pa.list_(pa.int64()))
             yield from pa.table(

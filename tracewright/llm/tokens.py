@@ -111,7 +111,7 @@ class Encoder:
     pre-tokens, so that a distinct group is one look-up and the library merges each pre-token once.
     """
 
-    def __init__(self, path: str, pattern: str, most: int = 900_000):
+    def __init__(self, path: str, pattern: str, most: int = 300_000):
         self.path, self.pattern, self.most = path, pattern, most
         self.known: dict[str, bytes] = {}
 

@@ -14,6 +14,7 @@ Scores see the text alone; labels only choose and mark training rows.
 from __future__ import annotations
 
 import re
+import sys
 import uuid
 import zlib
 from collections import Counter
@@ -29,14 +30,26 @@ from tracewright.llm import common
 
 _LOWER = str.maketrans(common.UPPER, common.LOWER)
 _WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+#: What a byte of UTF-8 becomes before words are split at spaces: those of words stay, A-Z are lower-cased.
+_BYTES = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 0x20 for b in range(256))
 #: Lengths of word beginnings that are features, the size of the weight table, tokens in a training segment.
 STEMS, WIDTH, SEGMENT = (3, 4, 5, 6), 1 << 20, 48
+#: What a worker remembers beside its block: words, and names counted before they are passed on; most words of a corpus occur once.
+KNOWN, COUNTED = 50_000, 120_000
+
+
+def words_of(text: bytes) -> list[bytes]:
+    """The words of a text, all in UTF-8: those that _WORD finds in the lower-cased text."""
+    return text.translate(_BYTES).split()
+
+
+_hash = xxhash.xxh32_intdigest  # of a string: of its UTF-8
 
 
 def token_features(word: str) -> list[int]:
     """Columns of the weight table for one word: itself, its beginnings and its last three letters."""
-    names = [f"w{word}", f"e{word[-3:]}"] + [f"{n}{word[:n] if len(word) >= n else ''}" for n in STEMS]
-    return [xxhash.xxh32_intdigest(x.encode()) % WIDTH for x in names]
+    names = [f"w{word}", f"e{word[-3:]}"] + [f"{n}{word[:n]}" if len(word) >= n else f"{n}" for n in STEMS]
+    return [_hash(x) % WIDTH for x in names]
 
 
 def cue_names(word: str) -> list[str]:
@@ -51,14 +64,17 @@ class Chain:
 
     def __init__(self, weights: np.ndarray, moves: np.ndarray, first: float, curve: np.ndarray):
         self.weights, self.moves, self.first, self.curve = weights, moves, first, curve
-        self.known: dict[str, float] = {}
+        self.known: dict[bytes | str, float] = {}
 
-    def potentials(self, words: list[str]) -> np.ndarray:
-        if len(self.known) > 250_000:
+    def potentials(self, words: list[bytes] | list[str]) -> np.ndarray:
+        if len(self.known) > KNOWN:
             self.known.clear()
         known = self.known
-        for w in set(words).difference(known):
-            known[w] = float(self.weights[token_features(w)].sum())
+        new = list(set(words).difference(known))
+        for i in range(0, len(new), 4096):
+            own = new[i : i + 4096]
+            columns = [k for w in own for k in token_features(w.decode() if isinstance(w, bytes) else w)]
+            known.update(zip(own, self.weights[columns].reshape(len(own), -1).sum(1).tolist(), strict=True))
         return np.fromiter(map(known.__getitem__, words), dtype=np.float64, count=len(words))
 
     def marginals(self, e: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -117,14 +133,25 @@ def _chained(top: np.ndarray, low: np.ndarray, first: float, piece: int = 64) ->
     return out.ravel()[:n]
 
 
-def chain_gradient(theta: np.ndarray, features: np.ndarray, code: np.ndarray, y: np.ndarray, mask: np.ndarray) -> np.ndarray:
-    """Gradient of the segments' negative log likelihood, by forward and backward messages over all segments at once.
+def chain_gradient(
+    theta: np.ndarray, features: np.ndarray, code: np.ndarray, y: np.ndarray, mask: np.ndarray, rows: int = 1024
+) -> np.ndarray:
+    """Gradient of the segments' negative log likelihood, by forward and backward messages over `rows` segments at once.
 
     theta: weights, the four moves, the start. features: each word's columns of the weights. code, y, mask: word, label
     and whether there is a token, a row a segment.
     """
+    own, g, by_word = theta[:-5][features].sum(1), np.zeros_like(theta), np.zeros(len(features))
+    for i in range(0, len(code), rows):
+        g[-5:] += _messages(theta, own, code[i : i + rows], y[i : i + rows], mask[i : i + rows], by_word)
+    g[:-5] = np.bincount(features.ravel(), weights=np.repeat(by_word, features.shape[1]), minlength=len(theta) - 5)
+    return g
+
+
+def _messages(theta: np.ndarray, potentials: np.ndarray, code: np.ndarray, y: np.ndarray, mask: np.ndarray, by_word: np.ndarray) -> np.ndarray:
+    """Gradients of the moves and the start over these segments; those of the words' potentials are added to by_word."""
     s, t = code.shape
-    e = np.clip(theta[:-5][features].sum(1)[code], -30, 30)
+    e = np.clip(potentials[code], -30, 30)
     move, start = np.exp(theta[-5:-1]).reshape(2, 2), theta[-1]
     psi = np.stack([np.ones_like(e), np.exp(e)], axis=2)
     alpha, beta = np.empty((t, s, 2)), np.ones((t, s, 2))
@@ -139,9 +166,7 @@ def chain_gradient(theta: np.ndarray, features: np.ndarray, code: np.ndarray, y:
     p = alpha * beta
     p = (p / p.sum(2, keepdims=True))[:, :, 1].T
     diff = (p - y) * mask
-    by_word = np.bincount(code.ravel(), weights=diff.ravel(), minlength=len(features))
-    g = np.zeros_like(theta)
-    g[:-5] = np.bincount(features.ravel(), weights=np.repeat(by_word, features.shape[1]), minlength=len(theta) - 5)
+    by_word += np.bincount(code.ravel(), weights=diff.ravel(), minlength=len(by_word))
     both = mask[:, 1:] * mask[:, :-1]
     joint = alpha[:-1, :, :, None] * move[None, None] * (psi[:, 1:].transpose(1, 0, 2) * beta[1:])[:, :, None, :]
     joint /= joint.sum((2, 3), keepdims=True)
@@ -151,9 +176,7 @@ def chain_gradient(theta: np.ndarray, features: np.ndarray, code: np.ndarray, y:
             [(y[:, :-1] * (1 - y[:, 1:]) * both).sum(), (y[:, :-1] * y[:, 1:] * both).sum()]
         ]
     )
-    g[-5:-1] = ((joint * both.T[:, :, None, None]).sum((0, 1)) - seen).ravel()
-    g[-1] = diff[:, 0].sum()
-    return g
+    return np.append(((joint * both.T[:, :, None, None]).sum((0, 1)) - seen).ravel(), diff[:, 0].sum())
 
 
 def fit_chain(
@@ -207,15 +230,20 @@ def _sieved(names: DataFrame) -> np.ndarray:
     return out
 
 
+def _bytes(texts: pa.Array | pa.ChunkedArray) -> list[bytes]:
+    """Texts in UTF-8; null as empty."""
+    return texts.cast(pa.large_binary()).fill_null(b"").to_pylist()
+
+
 def _cue_counts(sieve: np.ndarray | None):
     """For each task: how many of its texts of either mark hold each cue name (that passes the sieve). One row a name, whatever the number of texts."""
 
     def run(batches):
         held = {0: Counter(), 1: Counter()}
 
-        @lru_cache(maxsize=200_000)
-        def names_of(word: str) -> tuple[str, ...]:
-            return tuple(x for x in cue_names(word) if sieve is None or sieve[zlib.crc32(x.encode()) % SIEVE])
+        @lru_cache(maxsize=KNOWN)
+        def names_of(word: bytes) -> tuple[str, ...]:
+            return tuple(x for x in cue_names(word.decode()) if sieve is None or sieve[zlib.crc32(x.encode()) % SIEVE])
 
         def rows():
             names = list({**held[0], **held[1]})
@@ -229,10 +257,10 @@ def _cue_counts(sieve: np.ndarray | None):
                     }
                 )
 
-        for batch in batches:
-            for text, mark in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
-                held[mark].update({x for w in set(_WORD.findall(text.translate(_LOWER))) for x in names_of(w)})
-                if len(held[0]) + len(held[1]) > 400_000:
+        for table in common.text_blocks(batches, 1 << 20):
+            for text, mark in zip(_bytes(table.column("text")), table.column("toxic").to_pylist(), strict=True):
+                held[mark].update({x for w in set(words_of(text)) for x in names_of(w)})
+                if len(held[0]) + len(held[1]) > COUNTED:
                     yield from rows()
                     held = {0: Counter(), 1: Counter()}
         yield from rows()
@@ -266,8 +294,8 @@ def with_cues(texts: DataFrame, cues: DataFrame) -> DataFrame:
     """texts (h, text, toxic) with `cues`: those of a toxic text's words that have a name among the cues."""
 
     def run(batches):
-        for batch in batches:
-            for h, text in zip(batch.column("h").to_pylist(), batch.column("text").to_pylist(), strict=True):
+        for table in common.text_blocks(batches, 1 << 20):
+            for h, text in zip(table.column("h").to_pylist(), table.column("text").to_pylist(), strict=True):
                 pairs = [(w, x) for w in sorted(set(_WORD.findall(text.translate(_LOWER)))) for x in cue_names(w)]
                 for i in range(0, len(pairs), 20_000):
                     own = pairs[i : i + 20_000]
@@ -334,8 +362,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = 4000, most_cue_ro
                 )
 
     texts = common.written(once(common.written(small[0].unionByName(small[1]), "toxic-sample")), "toxic-texts")
-    got = with_cues(texts, cues).select("text", "toxic", "cues").mapInArrow(cut, "mark int, words array<string>, y array<int>").collect()
-    chain = Chain(*fit_chain([(r["words"], r["y"]) for r in got]), np.zeros(3))
+    got = with_cues(texts, cues).select("text", "toxic", "cues").mapInArrow(cut, "mark int, words array<string>, y array<int>").toArrow()
+    chosen = [
+        (list(map(sys.intern, words)), y)  # of each word one copy
+        for part in got.to_batches(256)
+        for words, y in zip(part.column("words").to_pylist(), part.column("y").to_pylist(), strict=True)
+    ]
+    chain = Chain(*fit_chain(chosen), np.zeros(3))
+    del got, chosen
     rows = score_texts(
         texts.select(F.col("h").alias("doc_id"), "text", "toxic"), chain, keep="toxic"
     ).select("top", "many", "toxic").collect()
@@ -367,8 +401,8 @@ def score_texts(docs: DataFrame, chain: Chain, keep: str | None = None, likely:
             _CHAINS.clear()
             chain = _CHAINS[key] = Chain(*sent.value)
         for table in common.text_blocks(batches, 1 << 20):
-            texts = [(x or "").translate(_LOWER) for x in table.column("text").to_pylist()]
-            cut = [_WORD.findall(x) for x in texts]
+            texts = _bytes(table.column("text"))
+            cut = [words_of(x) for x in texts]
             lengths = np.array([len(x) for x in cut])
             p = chain.marginals(chain.potentials([w for x in cut for w in x]), lengths)
             tops, many, spans, at = [], [], [], 0
@@ -381,7 +415,7 @@ def score_texts(docs: DataFrame, chain: Chain, keep: str | None = None, likely:
                 found = []
                 hits = np.flatnonzero(own >= likely)
                 if len(hits):
-                    places = [m.span() for m in _WORD.finditer(text)]
+                    places = [m.span() for m in _WORD.finditer(text.decode().translate(_LOWER))]
                     for group in np.split(hits, np.flatnonzero(np.diff(hits) > 1) + 1):
                         found.append({"start": places[group[0]][0], "end": places[group[-1]][1], "p": float(own[group].max())})
                 spans.append(found)

@@ -32,6 +32,25 @@ def test_small_memories(most):
         assert np.frombuffer(e.encode([t])[0], "<u4").tolist() == library([t])[0]
 
 
+def test_blocks_are_cut_whole_and_pre_tokens_merged_once(monkeypatch):
+    def never(pattern):
+        raise AssertionError("a text was cut by itself")
+
+    asked, merged = [], tokens.merged
+    monkeypatch.setattr(tokens, "_pattern", never)
+    monkeypatch.setattr(tokens, "merged", lambda pre, path: asked.append(pre) or merged(pre, path))
+    texts = ["It's a (small) word, a word.", "", "a  word\n\n<|endoftext|>word<|endoftext|> ", "<|endof", "text|>, it's é1²\u2028x"]
+    e = tokens.Encoder(PATH, PATTERN)
+    for _ in range(2):
+        assert [np.frombuffer(x, "<u4").tolist() for x in e.encode(texts)] == library(texts)
+    assert len(asked) == 1 and len(asked[0]) == len(set(asked[0])) and {" word", ",", "<|endoftext|>"} < set(asked[0])
+
+
+def test_other_patterns_cut_alike():
+    texts = ["a b, c. d's", "x<|endoftext|>y  z", ""]
+    assert [np.frombuffer(x, "<u4").tolist() for x in tokens.Encoder(PATH, f"(?:{PATTERN})").encode(texts)] == library(texts)
+
+
 @settings(max_examples=150, deadline=None)
 @given(
     st.lists(st.one_of(st.integers(0, 3), st.integers(0, 60_000), st.integers(0, 2**32 - 1)), max_size=3000),

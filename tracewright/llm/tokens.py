@@ -1,16 +1,16 @@
 """Tokenisers, and exact pre-token cuts of a text, for token counting and encoding.
 
-A byte-level BPE of this kind cuts a text into pre-tokens before it merges anything, and a single space that stands
-between two other characters always begins a new pre-token. So where no two white-space characters are neighbours,
-`text.split(" ")` gives groups of whole pre-tokens, and each group can be encoded on its own. Other texts are cut
-by the tokeniser's own pattern.
+A byte-level BPE of this kind cuts a text into pre-tokens before it merges anything. By the public files' rule whole
+blocks of texts are cut at once on their bytes; by any other pattern each text is cut by itself. For counting, a text is
+cut more coarsely: a single space that stands between two other characters always begins a new pre-token, so where no two
+white-space characters are neighbours, `text.split(" ")` gives groups of whole pre-tokens, and each group can be encoded
+on its own.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from array import array
 from functools import lru_cache
 from itertools import chain
 
@@ -18,10 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
 
+from tracewright.llm.pre_tokens import RULE, classes, cut
+
 #: Two neighbouring white-space characters (Python's \s holds every Unicode one).
 _RUNS = re.compile(r"\s\s")
-#: White space that texts hardly hold, in every library's sense of the word.
-_MARKS = ("\u2028", "\u2029", "\x85", "\u1680")
+#: Pre-tokens that the library merges in one call: its own records of them are held together.
+_AT_ONCE = 1 << 16
 
 
 def tokenizer_of(path: str):
@@ -48,27 +50,40 @@ _CHARACTER[np.setdiff1d(np.arange(256), _STAY)] = 0x100 + np.arange(256 - len(_S
 
 
 @lru_cache(maxsize=4)
-def _model(path: str):
-    """The tokeniser's model, which merges one pre-token, or None if the file cuts texts otherwise than bytes by pattern."""
+def _merger(path: str):
+    """The tokeniser's model behind a cut at the byte 0xFF, which UTF-8 never holds, and that byte's id; None if the file cuts texts otherwise than bytes by pattern."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
     found = tokenizer(path)
     kind = json.loads(found.to_str())["pre_tokenizer"] or {}
     if kind.get("type") != "ByteLevel" or kind.get("add_prefix_space") or found.normalizer is not None:
         return None
-    return found.model
+    mark = chr(_CHARACTER[0xFF])
+    own = Tokenizer(found.model)
+    own.pre_tokenizer = pre_tokenizers.Split(mark, "isolated")
+    return (own, own.token_to_id(mark)) if own.token_to_id(mark) is not None else None
 
 
 def merged(pre: list[str], path: str) -> list[bytes]:
-    """Each pre-token's ids as little-endian unsigned 32-bit bytes. The library's model takes them as byte-level characters; a string of an added token goes through the whole library."""
-    model, cut = _model(path), specials(path)
-    if model is None:
-        return [array("I", e.ids).tobytes() for e in tokenizer(path).encode_batch_fast(pre, add_special_tokens=False)]
-    raw = np.frombuffer(b"\xff".join([x.encode() for x in pre]), np.uint8)
-    names = _CHARACTER[raw].tobytes().decode("utf-16-le").split(chr(_CHARACTER[0xFF])) if pre else []
-    out = [array("I", [t.id for t in model.tokenize(x)]).tobytes() for x in names]
-    if cut:
+    """Each pre-token's ids as little-endian unsigned 32-bit bytes. The library's model takes many as byte-level characters between marks; a string of an added token goes through the whole library."""
+    merger, added = _merger(path), added_tokens(path)
+    whole = lambda xs: [
+        np.array(e.ids, "<u4").tobytes() for e in tokenizer(path).encode_batch_fast(xs, add_special_tokens=False)
+    ]
+    if merger is None:
+        return whole(pre)
+    library, mark = merger
+    out = []
+    for i in range(0, len(pre), _AT_ONCE):
+        raw = np.frombuffer(b"\xff".join([x.encode() for x in pre[i : i + _AT_ONCE]]), np.uint8)
+        found = library.encode_batch_fast([_CHARACTER[raw].tobytes().decode("utf-16-le")], add_special_tokens=False)[0]
+        ids = np.array(found.ids, dtype="<u4")
+        data, marks = ids.tobytes(), 4 * np.flatnonzero(ids == mark)
+        out += [data[a:z] for a, z in zip([0, *(marks + 4).tolist()], [*marks.tolist(), len(data)], strict=True)]
+    if added:
         for i, x in enumerate(pre):
-            if not x[1:].isalpha() and cut.search(x):
-                out[i] = array("I", tokenizer(path).encode(x, add_special_tokens=False).ids).tobytes()
+            if x in added:
+                out[i] = whole([x])[0]
     return out
 
 
@@ -79,11 +94,53 @@ def _pattern(pattern: str):
     return regex.compile(pattern)
 
 
+@lru_cache(maxsize=4)
+def added_tokens(path: str) -> frozenset[str]:
+    return frozenset(t.content for t in tokenizer(path).get_added_tokens_decoder().values())
+
+
 @lru_cache(maxsize=4)
 def specials(path: str):
-    """Matches the added tokens' strings, which the library takes out of a text first."""
-    found = [t.content for t in tokenizer(path).get_added_tokens_decoder().values()]
-    return re.compile("(" + "|".join(map(re.escape, sorted(found, key=len, reverse=True))) + ")") if found else None
+    """Matches the added tokens' strings in UTF-8, which the library takes out of a text first."""
+    found = sorted(added_tokens(path), key=len, reverse=True)
+    return re.compile(b"(" + b"|".join(re.escape(x.encode()) for x in found) + b")") if found else None
+
+
+def _bytes_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The UTF-8 bytes of texts one after another, and where each text ends."""
+    if not len(texts):
+        return np.empty(0, np.uint8), np.empty(0, np.int64)
+    at = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[at[0] : at[-1]], at[1:] - at[0]
+
+
+def cut_texts(texts: list[str], pattern: str, path: str) -> tuple[pa.Array, np.ndarray]:
+    """All texts' pre-tokens one after another, and how many each text has. Added tokens' strings stay whole."""
+    find = specials(path)
+    if pattern != RULE:
+        own = []
+        for x in texts:
+            parts = [p.decode() for p in find.split(x.encode())] if find else [x]
+            own.append(list(chain.from_iterable([p] if i % 2 else _pattern(pattern).findall(p) for i, p in enumerate(parts))))
+        return pa.array(list(chain.from_iterable(own)), pa.large_string()), np.array(list(map(len, own)), dtype=np.int64)
+    column = pa.array(texts, pa.large_string())
+    raw, ends = _bytes_of(column)
+    holds = np.zeros(len(texts), bool)
+    for x in added_tokens(path):
+        holds |= pa.compute.match_substring(column, x).to_numpy(zero_copy_only=False)
+    spans = [
+        (ends[i] - len(data) + m.start(), ends[i] - len(data) + m.end())
+        for i in np.flatnonzero(holds).tolist() for data in [texts[i].encode()] for m in find.finditer(data)
+    ]
+    if spans:
+        first, last = np.array(spans, dtype=np.int64).T
+        begin = cut(raw, np.union1d(ends, [first, last]), classes())
+        span = np.searchsorted(first, begin) - 1
+        begin = begin[(span < 0) | (begin >= last[span])]
+    else:
+        begin = cut(raw, ends, classes())
+    pieces = pa.LargeStringArray.from_buffers(len(begin), pa.py_buffer(np.append(begin, len(raw))), pa.py_buffer(raw))
+    return pieces, np.diff(np.searchsorted(begin, ends), prepend=0)
 
 
 def pre_tokens(text: str, pattern: str, path: str) -> list[str]:
@@ -96,107 +153,60 @@ def pre_tokens(text: str, pattern: str, path: str) -> list[str]:
         if first:
             out.insert(0, first)
         return out
-    cut = specials(path)
-    parts = cut.split(text) if cut and cut.search(text) else [text]
-    out = []
-    for i, part in enumerate(parts):
-        out += [part] if i % 2 else _pattern(pattern).findall(part)
-    return out
+    return cut_texts([text], pattern, path)[0].to_pylist()
 
 
 class Encoder:
     """Ids of texts as little-endian unsigned 32-bit bytes.
 
-    One memory, cleared when full, holds the ids of groups as pre_tokens() cuts them and of the tokeniser's own
-    pre-tokens, so that a distinct group is one look-up and the library merges each pre-token once.
+    One memory, cleared when full, holds the ids of the tokeniser's own pre-tokens, and of groups as pre_tokens() cuts them
+    where of() is asked, so that the library merges each pre-token once while it is held.
     """
 
     def __init__(self, path: str, pattern: str, most: int = 300_000):
         self.path, self.pattern, self.most = path, pattern, most
         self.known: dict[str, bytes] = {}
 
-    def _cut(self, groups: list[str]) -> list[list[str]]:
-        """Each group's pre-tokens. Most groups are cut together, in one string between separators that are white space of their own."""
-        cut, find = specials(self.path), _pattern(self.pattern).findall
-        alone = {
-            i: [g] if cut and cut.search(g) else find(g) for i,
-            g in enumerate(groups) if g[-1].isspace() or g[0] != " " and g[0].isspace() or cut and cut.search(g)
-        }
-        joined = [g for i, g in enumerate(groups) if i not in alone]
-        text = "".join(joined)
-        mark = next((x for x in _MARKS if x not in text), None)
-        if mark is None:
-            found = list(map(find, joined))
-        else:
-            found, own = [], []
-            for x in find(mark.join(joined)):
-                if x == mark:
-                    found.append(own)
-                    own = []
-                else:
-                    own.append(x)
-            found += [own] if joined else []
-        rest = iter(found)
-        return [alone[i] if i in alone else next(rest) for i in range(len(groups))]
-
-    def learn(self, groups: set[str]) -> None:
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        known[""] = b""
-        whole = [g for g in groups if g and (g[1:].isalpha() and (g[0] == " " or g[0].isalpha()) or len(g) == 1)]
-        rest = list(groups.difference(whole, [""]))
-        parts = self._cut(rest)
-        new = [*whole, *set(chain.from_iterable(parts)).difference(known, whole)]
-        known.update(zip(new, merged(new, self.path), strict=True))
-        get = known.__getitem__
-        known.update(zip(rest, [b"".join(map(get, own)) for own in parts], strict=True))
+    def _merged(self, pre: list[str]) -> list[bytes]:
+        """The ids of distinct pre-tokens."""
+        found = list(map(self.known.get, pre))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        if missing:
+            if len(self.known) > self.most:
+                self.known.clear()
+            new = [pre[k] for k in missing]
+            ids = merged(new, self.path)
+            self.known.update(zip(new, ids, strict=True))
+            for k, own in zip(missing, ids, strict=True):
+                found[k] = own
+        return found
 
     def of(self, groups: list[str]) -> list[bytes]:
         """Each group's ids."""
         found = list(map(self.known.get, groups))
         missing = [k for k, ids in enumerate(found) if ids is None]
         if missing:
-            self.learn({groups[k] for k in missing})
+            new = list({groups[k] for k in missing})
+            own = dict(zip(new, self.encode(new), strict=True))
+            self.known.update(own)
             for k in missing:
-                found[k] = self.known[groups[k]]
+                found[k] = own[groups[k]]
         return found
 
     def ids_of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """How many ids each text has, and the ids of all texts one after another.
 
-        Arrow cuts the texts at spaces and numbers their distinct groups, so Python sees each distinct group of the
-        texts once. Meant for a few million characters at a time: their groups are held together.
+        The texts are cut together and Arrow numbers their distinct pre-tokens, so Python sees each of these once. Meant
+        for a few million characters at a time: their pre-tokens are held together.
         """
-        plain = [_RUNS.search(x) is None for x in texts]
-        cut = pa.compute.split_pattern(pa.array([x if p else "" for x, p in zip(texts, plain, strict=True)], pa.large_string()), " ")
-        coded = cut.flatten().dictionary_encode()
-        lengths, code = np.diff(cut.offsets.to_numpy()), coded.indices.to_numpy().astype(np.int64)
-        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
-        keys = [" " + w for w in words]
-        # A text's first group has no space before it.
-        heads = np.cumsum(lengths) - lengths
-        distinct, own = np.unique(code[heads], return_inverse=True)
-        code[heads] = len(keys) + own
-        keys += [words[c] for c in distinct.tolist()]
-        doc = np.repeat(np.arange(len(texts)), lengths)
-        if not all(plain):
-            parts = [(i, pre_tokens(x, self.pattern, self.path)) for i, (x, p) in enumerate(zip(texts, plain, strict=True)) if not p]
-            places: dict[str, int] = {}
-            more = [places.setdefault(g, len(keys) + len(places)) for _, x in parts for g in x]
-            keys += places
-            code, doc = np.append(code, np.array(more, dtype=np.int64)), np.append(
-                doc, np.repeat([i for i, _ in parts], [len(x) for _, x in parts])
-            )
-            order = np.argsort(doc, kind="stable")
-            code, doc = code[order], doc[order]
-        for k in np.flatnonzero(np.bincount(code, minlength=len(keys)) == 0).tolist():
-            keys[k] = ""  # a word that only begins texts
-        found = self.of(keys)
+        pieces, per_text = cut_texts(texts, self.pattern, self.path)
+        coded = pieces.dictionary_encode()
+        code, found = coded.indices.to_numpy(), self._merged(coded.dictionary.to_pylist())
         raw, n = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
         each = n[code]
-        at = np.repeat((np.cumsum(n) - n)[code] - (np.cumsum(each) - each), each) + np.arange(each.sum())
-        return np.bincount(doc, weights=each, minlength=len(texts)).astype(np.int64), raw[at]
+        ends = np.append(0, np.cumsum(each))
+        at = np.repeat((np.cumsum(n) - n)[code] - ends[:-1], each) + np.arange(ends[-1])
+        return np.diff(ends[np.append(0, np.cumsum(per_text))]), raw[at]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids."""

@@ -74,6 +74,12 @@ def added(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return keys[first], np.add.reduceat(counts, first)
 
 
+def distinct(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order, by a sort: np.unique without counts tells them apart by hashes, which takes several times as long."""
+    keys = np.sort(keys)
+    return keys[np.concatenate([[True], keys[1:] != keys[:-1]])] if len(keys) else keys
+
+
 def by_slot(keys: np.ndarray, slots: int) -> tuple[np.ndarray, np.ndarray]:
     """Where each of the ordered keys goes when they are laid out by slot (order kept within), and the slots' ends."""
     slot = slot_of(keys, slots)
@@ -103,6 +109,15 @@ def word_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.fromiter(chain.from_iterable(own), dtype=np.int64), np.array([len(x) for x in own], dtype=np.int64), places.keys_of()
 
 
+def asked_keys(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all strings and of all words that the texts hold and of the end, each in order."""
+    words = set()
+    for t in texts:
+        words.update(t.split())
+    own = np.fromiter(map(xxhash.xxh3_64_intdigest, words), dtype=np.uint64, count=len(words))
+    return distinct(grams(texts, order)), np.sort(np.append(own, np.uint64(END_WORD)))
+
+
 def count(docs: DataFrame, order: int, slots: int, chunk: int = 4 << 20) -> DataFrame:
     """Packed counts of strings and words, summed over all documents. Strings of held-out documents alone count 0."""
 
@@ -324,8 +339,8 @@ def score(
     ).repartition(max(slots, min(blocks, 100_000)), "block")
 
     def request(key, table):
-        out, texts = [], _texts(table)
-        for kind, keys in ((GRAM, np.unique(grams(texts, order))), (WORD, np.sort(np.append(word_places(texts)[2], np.uint64(END_WORD))))):
+        out = []
+        for kind, keys in zip((GRAM, WORD), asked_keys(_texts(table), order), strict=True):
             at, ends = by_slot(keys, slots)
             keys, begin = keys[at], 0
             for s, end in enumerate(ends.tolist()):

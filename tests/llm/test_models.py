@@ -513,3 +513,17 @@ def test_a_cue_in_the_last_segment_trains(spark):
     assert {r.doc_id for r in got if r.predicted} == {i for i, _ in docs if i % 3 == 0}
     texts = dict(docs)
     assert all(texts[r.doc_id][s.start : s.end] == "grubbleworth" for r in got if r.predicted for s in r.spans)
+
+
+def test_looks_are_counted_without_copies_of_matches(spark):
+    from pyspark.sql import functions as F
+
+    from tracewright.llm import mixing
+
+    texts = ["", "A", "AbA", "..a. B1", "no", "é,É!\n;", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for pattern in ("[A-Z]", "[.,;:!?]", "[0-9]"):
+        got = {r.doc_id: r.n for r in docs.select("doc_id", mixing.matches(F.col("text"), pattern).alias("n")).collect()}
+        assert got == {i: len(re.findall(pattern, t or "")) for i, t in enumerate(texts)}
+    found = mixing.posteriors(docs, (["a", "b"], [-1.0, -2.0], [[0.0] * 8, [1.0] * 8]))
+    assert "regexp" not in found._jdf.queryExecution().analyzed().toString()

@@ -36,10 +36,15 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), common.NON_WORD), lambda w: w != F.lit(""))
 
 
+def matches(text: Column, pattern: str) -> Column:
+    """How often a pattern of one character is found: the pieces between, less one. regexp_count copies every match."""
+    return F.size(F.split(F.coalesce(text, F.lit("")), pattern, -1)) - 1
+
+
 def features(text: Column, words: Column, buckets: int) -> Column:
     """A text's distinct buckets: of its words, and of a few of its looks (symbols, stops, capitals, digits, repeats), each in tenths."""
     n = F.greatest(F.length(text), F.lit(1))
-    share = lambda pattern: F.coalesce(F.regexp_count(text, F.lit(pattern)), F.lit(0)) / F.coalesce(n, F.lit(1))
+    share = lambda pattern: matches(text, pattern) / F.coalesce(n, F.lit(1))
     distinct = F.array_distinct(F.transform(words, lambda w: bucket(w, buckets)))
 
     def with_looks(own: Column) -> Column:

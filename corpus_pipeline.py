@@ -24,10 +24,13 @@ ORACLE_SQL = None
 
 
 def _joined(docs: DataFrame, verdicts: DataFrame, how: str) -> DataFrame:
-    """docs (as d) joined to verdicts (as v: doc_id, text_hash and more) on id and text; whatever columns docs have, none clashes."""
+    """docs (as d) joined to verdicts (as v: doc_id, text_hash and more) on id and text; whatever columns docs have, none clashes.
+
+    By merging: a broadcast table of such keys takes 64 MB of the driver's heap, however few its rows are.
+    """
     text = F.xxhash64(F.coalesce(F.col("d.text"), F.lit("")))
     return docs.alias("d").join(
-        verdicts.alias("v"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id")) & (text == F.col("v.text_hash")), how
+        verdicts.hint("merge").alias("v"), F.col("d.doc_id").cast("long").eqNullSafe(F.col("v.doc_id")) & (text == F.col("v.text_hash")), how
     )
 
 

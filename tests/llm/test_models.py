@@ -11,7 +11,8 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from tracewright.llm import near_dedup, toxicity, warc_zip
+import corpus_pipeline
+from tracewright.llm import common, near_dedup, toxicity, warc_zip
 from tracewright.llm.components import components
 
 
@@ -527,3 +528,17 @@ def test_looks_are_counted_without_copies_of_matches(spark):
         assert got == {i: len(re.findall(pattern, t or "")) for i, t in enumerate(texts)}
     found = mixing.posteriors(docs, (["a", "b"], [-1.0, -2.0], [[0.0] * 8, [1.0] * 8]))
     assert "regexp" not in found._jdf.queryExecution().analyzed().toString()
+
+
+def test_small_tables_of_several_keys_are_not_broadcast(spark, monkeypatch):
+    plans, write = [], common.written
+    keep = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(common, "written", lambda df, name: (keep(df), write(df, name))[1])
+    plain = [(i, " ".join(f"w{k}" for k in range(40)) + f" end{i // 2}") for i in range(8)]
+    docs = write(spark.createDataFrame(plain, "doc_id long, text string"), "docs")
+    found = write(near_dedup.near_duplicates(docs, percent=80).where("kept").select("doc_id", "text_hash").distinct(), "found")
+    left = corpus_pipeline._joined(docs, found, "left_semi")
+    keep(left)
+    assert [r.doc_id for r in left.collect()] == [0]
+    assert any("SortMergeJoin" in p for p in plans)
+    assert not [x for p in plans for x in re.findall(r"BroadcastHashJoin \[[^\]]*,[^\]]*\]", p)]

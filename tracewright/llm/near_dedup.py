@@ -12,6 +12,8 @@
    pairs are confirmed, and so on until no pair is left that could link two components: nothing is lost to the hubs.
 
 No bucket is expanded into its pairs: a join's condition holds sketch, size and component, and only survivors leave it.
+Joins on several keys are hinted to merge. Broadcast, a table keyed by anything but one long takes a page of 64 MB of the
+driver's heap however few its rows are, and keeps it until the driver happens to collect its garbage.
 """
 
 from __future__ import annotations
@@ -192,9 +194,8 @@ def confirm(pairs: DataFrame, texts: DataFrame, percent: int, most: int = 64) ->
         both = both.join(places[end], end).withColumn(f"at_{end}", F.pmod(F.xxhash64(other), F.col("places")).cast("int")).drop("places")
     for end in ("a", "b"):
         own = texts.select(F.col("node").alias(end), F.col("text").alias(f"text_{end}")).join(places[end], end)
-        both = both.join(
-            own.withColumn(f"at_{end}", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places"), [end, f"at_{end}"]
-        )
+        own = own.withColumn(f"at_{end}", F.explode(F.sequence(F.lit(0), F.col("places") - 1))).drop("places")
+        both = both.join(own.hint("merge"), [end, f"at_{end}"])
     sets = both.select("a", "b", shingles(F.col("text_a")).alias("x"), shingles(F.col("text_b")).alias("y"))
     common_n = F.size(F.array_intersect("x", "y"))
     return sets.select("a", "b", F.size("x").alias("nx"), F.size("y").alias("ny"), common_n.alias("n")).select(
@@ -304,7 +305,7 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
                 "bands_a", first.cast("int") - 1
             ) == a.bucket
             close = a.join(
-                b,
+                b.hint("merge"),
                 (a.bucket == b.bucket) & (a.i == b.i) & (a.j == b.j) & (F.col("label_a") != F.col("label_b")) & once & alike_sizes(F.col("n_a"), F.col("n_b"), percent) & (
                     estimate(F.col("sketch_a"), F.col("sketch_b")) >= least
                 ) & may_reach & here
@@ -315,7 +316,7 @@ def find_components(classes: DataFrame, texts_of, percent: int, least: float, ro
                 "close-pairs"
             )
         known = tested.select("a", "b").unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        fresh = close.join(known, ["a", "b"], "left_anti")
+        fresh = close.join(known.hint("merge"), ["a", "b"], "left_anti")
         fresh = _best(fresh, ["a", "label_b"], 2) if turn < rounds else fresh
         more = common.written(confirm(common.written(fresh.select("a", "b"), "pairs"), texts, percent), "tested")
         if not more.take(1):
@@ -351,7 +352,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, margin: float = 0.15) ->
         """One row of each class gives its text, so a text of many copies is no hot key."""
         wanted = classes.join(nodes, "node", "left_semi").select("one", F.col("text_hash").alias("hash"), "node")
         return docs.join(
-            wanted, F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("text_hash") == F.col("hash"))
+            wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("one")) & (F.col("text_hash") == F.col("hash"))
         ).groupBy("node").agg(F.min("text").alias("text"))
 
     label = find_components(classes, texts_of, percent, percent / 100 - margin)

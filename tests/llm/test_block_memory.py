@@ -8,7 +8,7 @@ import numpy as np
 import public_tokenizers
 import pyarrow as pa
 
-from tracewright.llm import near_dedup, pre_tokens, tokens, toxicity
+from tracewright.llm import bpe, common, near_dedup, pre_tokens, tokens, toxicity
 
 
 def test_cuts_hold_a_piece_at_a_time():
@@ -90,3 +90,26 @@ def test_an_encoder_remembers_a_bounded_number_of_groups():
         got = encoder.encode([text])
         assert len(encoder.known) < 400_000
     assert got == [array("I", tokens.tokenizer(path).encode(text, add_special_tokens=False).ids).tobytes()]
+
+
+def test_a_block_is_coded_a_piece_at_a_time():
+    words = [f" w{i % 5003}" for i in range(1 << 20)]
+    texts = ["".join(words[i : i + 4096]) for i in range(0, len(words), 4096)] + ["", None, "it's  é"]
+    block = pa.table({"doc_id": pa.array(range(len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+    n = 2 * len(words)  # a word and its number
+    tracemalloc.start()
+    rows = list(bpe._number(block, 0, 3, 1, pre_tokens.classes()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * n + (24 << 20)
+    head, *rest = rows
+    assert np.frombuffer(common.unpacked(head["counts"]), "<i8").tolist() == [*[8192] * 256, 0, 0, 4]
+    slots, own = np.frombuffer(common.unpacked(head["slots"]), "<u2"), {r["slot"]: [common.unpacked(r["words"]), np.frombuffer(common.unpacked(r["sizes"]), "<u4").tolist()] for r in rest}
+    back = []
+    for s in slots.tolist():
+        data, sizes = own[s]
+        size = sizes.pop(0)
+        back.append(data[:size])
+        own[s][0] = data[size:]
+    codes = bpe._unpacked_codes(head["codes"], n + 4)
+    assert b"".join(back[c] for c in codes.tolist()).decode() == "".join(t or "" for t in texts)

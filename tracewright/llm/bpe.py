@@ -149,14 +149,45 @@ def _fold(word: Column, table: Column, longest: int) -> Column:
     return common.let(F.hex(word).cast("binary"), whole)
 
 
-def _by_frequency(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _by_frequency(codes: np.ndarray, step: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
     """codes numbered anew, the most frequent first, and the old code of each new one."""
-    order = np.argsort(-np.bincount(codes), kind="stable") if len(codes) else np.empty(0, np.int64)
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    often = np.zeros(int(codes.max(initial=-1)) + 1, np.int64)
+    for k in range(0, len(codes), step):
+        own = np.bincount(codes[k : k + step])
+        often[: len(own)] += own
+    order = np.argsort(-often, kind="stable")
+    rank = np.empty(len(order), codes.dtype)
+    rank[order] = np.arange(len(order), dtype=codes.dtype)
     return rank[codes], order
 
 
+def _coded(texts: pa.Array, classes: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """How many pre-tokens each text has, a code for each of them, and the codes' words, the most frequent first.
+
+    Pieces of the texts are cut and given codes one after another; beside the texts, a code and an offset of four bytes
+    each are held for a pre-token.
+    """
+    n = len(texts)
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
+    ends = ends[1:] - ends[0]
+    kind, offset = (pa.binary(), "<i4") if len(raw) < 1 << 31 else (pa.large_binary(), "<i8")
+    after, total, parts = np.zeros(n, np.int64), 0, []
+    for start, stop, begin in pre_tokens.pieces(raw, ends, classes):
+        own = slice(np.searchsorted(ends, start, "right"), np.searchsorted(ends, stop, "right"))
+        after[own] = total + np.searchsorted(begin, ends[own] - start)
+        total += len(begin)
+        offsets = np.append(begin, stop - start).astype(offset)
+        parts.append(pa.Array.from_buffers(kind, len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw[start:stop])]))
+    counts = np.diff(after, prepend=0)
+    coded = pa.chunked_array(parts, kind).dictionary_encode().chunks  # one dictionary for all
+    if not coded:
+        return counts, np.empty(0, np.int32), []
+    words = coded[-1].dictionary
+    codes, order = _by_frequency(np.concatenate([x.indices.to_numpy() for x in coded]))
+    return counts, codes, words.take(pa.array(order)).to_pylist()
+
+
 #: The byte of a code that stands with the long ones.
 _ESCAPE = 255
 
@@ -170,32 +201,22 @@ def _packed_codes(codes: np.ndarray) -> bytes:
 
 def _unpacked_codes(data: bytes, n: int) -> np.ndarray:
     raw = np.frombuffer(common.unpacked(data), np.uint8)
-    codes = raw[:n].astype(np.int64)
+    codes = raw[:n].astype(np.uint32)
     codes[codes == _ESCAPE] += np.ascontiguousarray(raw[n:].reshape(4, -1).T).view("<u4").ravel()
     return codes
 
 
 def _number(table: pa.Table, block: int, slots: int, places: int, classes: np.ndarray):
     """A first row with the block's documents and codes, then one for each slot with its distinct words."""
-    texts = table.column("text").combine_chunks().cast(pa.large_string()).fill_null("")
-    n = len(texts)
-    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
-    raw = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[ends[0] : ends[-1]]
-    ends = ends[1:] - ends[0]
-    begin = pre_tokens.cut(raw, ends, classes)
-    counts = np.diff(np.searchsorted(begin, np.append(0, ends)))
-    offsets = np.append(begin, len(raw))
-    coded = pa.LargeBinaryArray.from_buffers(
-        pa.large_binary(), len(begin), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
-    ).dictionary_encode()
-    codes, order = _by_frequency(coded.indices.to_numpy())
-    words = coded.dictionary.take(pa.array(order)).to_pylist()
+    counts, codes, words = _coded(table.column("text").combine_chunks().cast(pa.large_string()).fill_null(""), classes)
+    packed = _packed_codes(codes)
+    del codes
     slot = np.fromiter(map(xxhash.xxh32_intdigest, words), np.int64, len(words)) % slots
     yield {
         "block": block, "slot": block % slots, "place": block % places, "words": None, "sizes": None, "ids": table.column(
             "doc_id"
         ).to_pylist(),
-        "counts": common.packed(counts.astype("<i8")), "codes": _packed_codes(codes), "slots": common.packed(slot.astype("<u2")),
+        "counts": common.packed(counts.astype("<i8")), "codes": packed, "slots": common.packed(slot.astype("<u2")),
     }
     order = np.argsort(slot, kind="stable")
     cuts = np.searchsorted(slot[order], np.arange(slots + 1))
@@ -245,6 +266,7 @@ def _tell_apart(path: str, most: int):
                         "apart": [long_ids(w, ranks_of(path)) for w in wide]
                     }
                 yield pa.RecordBatch.from_pylist([out], schema=arrow)
+        pa.default_memory_pool().release_unused()
 
     return run, "block long, slot int, anew boolean, numbers binary, fresh array<binary>, apart array<array<int>>, " + _HEAD_TYPES
 
@@ -271,6 +293,7 @@ def _answer(batches):
                 [*(batch.column(c).slice(k, 1) for c in ("block", "slot")), sizes, values, *(batch.column(c).slice(k, 1) for c in _HEAD)],
                 names=["block", "slot", "sizes", "values", *_HEAD]
             )
+    pa.default_memory_pool().release_unused()
 
 
 def _joined(table: pa.Table) -> pa.Table:
@@ -285,11 +308,14 @@ def _joined(table: pa.Table) -> pa.Table:
     starts, lengths = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
     lengths[order] = sizes
     starts[order] = np.cumsum(sizes, dtype=np.int64) - sizes
-    each = lengths[codes]
-    after = np.append(0, np.cumsum(each))
-    ids, step = np.empty(after[-1], "<i4"), 1 << 17
-    for k in range(0, len(codes), step):  # the places of one step's ids are held at a time
-        ids[after[k] : after[min(k + step, len(codes))]] = values[common.spread(starts[codes[k : k + step]], each[k : k + step])]
+    after, step = np.zeros(len(codes) + 1, np.int64), 1 << 17
+    for k in range(0, len(codes), step):  # lengths and places of one step's ids are held at a time
+        np.cumsum(lengths[codes[k : k + step]], out=after[k + 1 : k + 1 + step])
+        after[k + 1 : k + 1 + step] += after[k]
+    ids = np.empty(after[-1], "<i4")
+    for k in range(0, len(codes), step):
+        own = codes[k : k + step]
+        ids[after[k] : after[k + len(own)]] = values[common.spread(starts[own], lengths[own])]
     ends = after[np.append(0, np.cumsum(counts))]
     return pa.table(
         {"doc_id": pa.array(head["ids"], pa.int64()), "ids": pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))}
@@ -325,6 +351,7 @@ def encode(docs: DataFrame, path: str, block_bytes: int = 16 << 20, slot_bytes:
         for i, block in enumerate(common.text_blocks(batches, block_bytes)):
             for row in _number(block, (part << 32) + i, slots, places, classes):
                 yield pa.RecordBatch.from_pylist([row], schema=arrow)
+            pa.default_memory_pool().release_unused()  # four workers stand in an executor, and each keeps what it held
 
     run, schema = _tell_apart(path, words)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(

@@ -11,6 +11,7 @@ apostrophe that is a run of its own, with no space before it, takes one of the s
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -60,13 +61,17 @@ def cut(raw: np.ndarray, ends: np.ndarray, table: np.ndarray, piece: int = 1 <<
     texts of about `piece` bytes are cut at a time: what a cut needs beside its result, some twenty times its bytes, is
     bounded so.
     """
-    begin, start = [np.empty(0, np.int64)], 0
+    return np.concatenate([np.empty(0, np.int64), *(begin + start for start, _, begin in pieces(raw, ends, table, piece))])
+
+
+def pieces(raw: np.ndarray, ends: np.ndarray, table: np.ndarray, piece: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray]]:
+    """The same cut a piece at a time: from where to where it reaches, and its pre-tokens' beginnings, from the piece's own on."""
+    start = 0
     while start < len(raw):
         k = min(int(np.searchsorted(ends, start + piece)), len(ends) - 1)
-        own = ends[np.searchsorted(ends, start, "right") : k + 1] - start
-        begin.append(_cut(raw[start : ends[k]], own, table) + start)
-        start = int(ends[k])
-    return np.concatenate(begin)
+        own, stop = ends[np.searchsorted(ends, start, "right") : k + 1] - start, int(ends[k])
+        yield start, stop, _cut(raw[start:stop], own, table)
+        start = stop
 
 
 def _cut(raw: np.ndarray, ends: np.ndarray, table: np.ndarray) -> np.ndarray:
